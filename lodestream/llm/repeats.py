@@ -124,8 +124,10 @@ def compare_contexts(a: np.ndarray, d: np.ndarray, contexts: list[bytes], length
     key = mix(span_hash(prefix_hash(data), at, at + length) ^ mix(a[own].astype(_U) + (d[own] - start).astype(_U) * _U(0xD1B54A32D192ED03)))
     _, code, times = np.unique(key, return_inverse=True, return_counts=True)
     n = times[code]
+    who = np.zeros(len(times), _U)  # tells the set of contexts of a class
+    np.add.at(who, code, mix(own.astype(_U)))
     extends = np.zeros(len(own), bool)
-    extends[1:] = (own[1:] == own[:-1]) & (n[1:] == n[:-1])
+    extends[1:] = (own[1:] == own[:-1]) & (n[1:] == n[:-1]) & (who[code[1:]] == who[code[:-1]])
     kept = np.flatnonzero((n > 1) & ~extends)
     if not len(kept):
         return spans, []
