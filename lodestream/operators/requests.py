@@ -1,0 +1,136 @@
+"""Operators over a request log: rollups, usage, cost, latency, errors, reliability and limits."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
+
+#: Models, keys and platforms are catalogs; up to so many rows of one are broadcast, larger ones are joined by a shuffle.
+CATALOG_ROWS = 100_000
+
+# Categories of error texts, in order; patterns are those of LIKE.
+ERROR_CATEGORIES = (
+    ("Rate Limited (429)", ("%429%", "%rate limit%", "%too many%", "%quota%")),
+    ("Auth Error (401)", ("%401%", "%unauthorized%", "%invalid.*key%")),
+    ("Forbidden (403)", ("%403%", "%forbidden%")),
+    ("Not Found (404)", ("%404%", "%not found%")),
+    ("Timeout/Connection", ("%timeout%", "%ETIMEDOUT%", "%ECONNREFUSED%")),
+    ("Server Error (500)", ("%500%", "%internal server%")),
+    ("Unavailable (503)", ("%503%", "%unavailable%")),
+)
+
+# Client labels by pattern over the lower-cased user agent, in order.
+CLIENT_AGENTS = (
+    ("codex", r"\bcodex\b"),
+    ("opencode", "opencode"),
+    ("cline", r"\bcline\b"),
+    ("continue", r"continue(\.dev)?"),
+    ("aider", r"\baider\b"),
+    ("goose", r"\bgoose\b"),
+    ("cursor", r"\bcursor\b"),
+    ("zed", r"\bzed\b"),
+    ("jetbrains", "jetbrains|intellij|pycharm|webstorm"),
+    ("ollama-client", r"\bollama\b"),
+    ("openai-sdk", "openai|langchain|litellm"),
+)
+
+INPUT_PRICE, OUTPUT_PRICE = 0.20, 0.80
+
+
+def catalog(df: DataFrame, limit: int = CATALOG_ROWS) -> DataFrame:
+    """A lookup side: broadcast if it was counted to be small, else left to a sort-merge join."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df.hint("merge")
+
+
+def error_category(error: Column) -> Column:
+    out = None
+    for label, patterns in ERROR_CATEGORIES:
+        test = F.lit(False)
+        for p in patterns:
+            test = test | error.ilike(p)
+        out = F.when(test, label) if out is None else out.when(test, label)
+    return out.otherwise("Other")
+
+
+def client_agent(user_agent: Column) -> Column:
+    """Label of a client; ``unknown`` where nothing matches."""
+    low, out = F.lower(F.coalesce(user_agent, F.lit(""))), None
+    for label, pattern in CLIENT_AGENTS:
+        test = low.rlike(pattern)
+        out = F.when(test, label) if out is None else out.when(test, label)
+    return out.otherwise("unknown")
+
+
+def in_range(requests: DataFrame, now: Column, days: int) -> DataFrame:
+    """Rows of the ``days`` before ``now``: a plain comparison, which reaches the scan."""
+    return requests.filter((F.col("created_at") >= now - F.expr(f"INTERVAL {days} DAYS")) & (F.col("created_at") <= now))
+
+
+def success_rate() -> Column:
+    """Percentage of successes among successes and errors; 0 with neither."""
+    good, bad = F.count_if(F.col("status") == "success"), F.count_if(F.col("status") == "error")
+    return F.coalesce(F.round(F.try_divide(F.lit(100.0) * good, good + bad), 4), F.lit(0.0))
+
+
+def hourly_rollup(requests: DataFrame) -> DataFrame:
+    return requests.groupBy(F.date_trunc("hour", "created_at").cast("timestamp_ntz").alias("hour"), "platform", "model_id").agg(
+        F.count(F.lit(1)).alias("requests"), F.count_if(F.col("status") == "success").alias("successes"), F.count_if(F.col("status") == "error").alias("errors"), F.count_if(F.col("status") == "canceled").alias("canceled"),
+        F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"),
+    )
+
+
+def rollup_totals(hourly: DataFrame, since: Column) -> DataFrame:
+    recent = hourly.filter(F.col("hour") >= F.date_trunc("hour", since))
+    return recent.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("requests", "successes", "errors", "input_tokens", "output_tokens")])
+
+
+def with_prices(requests: DataFrame, models: DataFrame) -> DataFrame:
+    """Prices and display name of each request's model; fallback prices where the model isn't known."""
+    known = models.select("platform", "model_id", "display_name", "input_price", "output_price")
+    priced = requests.join(catalog(known), ["platform", "model_id"], "left")
+    cost = (F.col("input_tokens") * F.coalesce("input_price", F.lit(INPUT_PRICE)) + F.col("output_tokens") * F.coalesce("output_price", F.lit(OUTPUT_PRICE))) / 1e6
+    return priced.withColumn("cost", F.when(F.col("status") == "success", cost).otherwise(0.0))
+
+
+def percentile(df: DataFrame, value: str, fractions: dict[str, float], by: list[str]) -> DataFrame:
+    """Nearest-rank percentiles at place floor((n - 1) f) of the non-null values.
+
+    Works on counts by value, so a group's rows are never ranked one by one: the running sums go over distinct values.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    totals = counts.groupBy(*by).agg(F.sum("_n").alias("_all")) if by else counts.agg(F.sum("_n").alias("_all"))
+    upto = F.sum("_n").over(W.partitionBy(*by).orderBy(value))
+    placed = counts.withColumn("_to", upto)
+    placed = placed.join(catalog(totals), by) if by else placed.crossJoin(F.broadcast(totals))  # one row
+    hit = lambda f: F.min(F.when(F.col("_to") > F.floor((F.col("_all") - 1) * F.lit(f)), F.col(value)))
+    return placed.groupBy(*by).agg(*[hit(f).alias(name) for name, f in fractions.items()])
+
+
+def decayed_stats(requests: DataFrame, now: Column, *, days: int = 7, half_life: float = 2.0, cap_ms: float = 120_000) -> DataFrame:
+    """Successes, failures and latency of each (platform, model), a day's weight halving every ``half_life`` days."""
+    age = F.floor((F.unix_timestamp(now) - F.unix_timestamp("created_at")) / 86400)
+    recent = requests.withColumn("age", age).filter((F.col("age") >= 0) & (F.col("age") < days))
+    daily = recent.groupBy("platform", "model_id", "age").agg(
+        F.count_if(F.col("status") == "success").alias("good"), F.count_if(F.col("status") == "error").alias("bad"),
+        F.sum(F.least("latency_ms", F.lit(cap_ms))).alias("latency"), F.count("latency_ms").alias("timed"),
+    )
+    weight = F.pow(F.lit(0.5), F.col("age") / half_life)
+    return daily.groupBy("platform", "model_id").agg(*[F.round(F.sum(weight * F.coalesce(c, F.lit(0))), 4).alias(c) for c in ("good", "bad", "latency", "timed")])
+
+
+def sliding_usage(requests: DataFrame, keys: list[str]) -> DataFrame:
+    """Requests and tokens of the same keys in the minute and the day that end with each request."""
+    at = F.unix_micros(F.col("created_at").cast("timestamp"))
+    base = requests.withColumn("_us", at).withColumn("_tokens", F.col("input_tokens") + F.col("output_tokens"))
+    out = base
+    for name, span in (("minute", 60_000_000), ("day", 86_400_000_000)):
+        w = W.partitionBy(*keys).orderBy("_us").rangeBetween(-(span - 1), 0)
+        out = out.withColumn(f"requests_{name}", F.count(F.lit(1)).over(w)).withColumn(f"tokens_{name}", F.sum("_tokens").over(w))
+    return out.drop("_us", "_tokens")
+
+
+def bench_time(failures: DataFrame, keys: list[str]) -> DataFrame:
+    """The nth failure within 24 hours benches for 2 minutes, 10 minutes, 1 hour, then 24 hours."""
+    us = F.unix_micros(F.col("created_at").cast("timestamp"))
+    hits = F.count(F.lit(1)).over(W.partitionBy(*keys).orderBy("_us").rangeBetween(-86_399_999_999, 0))
+    steps = F.array(*map(F.lit, (120, 600, 3600, 86400)))
+    return failures.withColumn("_us", us).withColumn("hits", hits).withColumn("bench_s", F.element_at(steps, F.least("hits", F.lit(4)).cast("int"))).drop("_us")

@@ -1,0 +1,494 @@
+"""Queries over the request log."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window as W, functions as F
+
+from ..functions import scores as S, text as X
+from ..operators import requests as R
+from .registry import query
+from .views import NOW
+
+now = F.expr(NOW)
+
+_CASE_ERROR = "CASE " + " ".join(f"WHEN {' OR '.join(f'error ILIKE {chr(39)}{p}{chr(39)}' for p in ps)} THEN '{label}'" for label, ps in R.ERROR_CATEGORIES) + " ELSE 'Other' END"
+_CASE_AGENT = "CASE " + " ".join(f"WHEN regexp_matches(lower(coalesce(user_agent, '')), '{p}') THEN '{label}'" for label, p in R.CLIENT_AGENTS) + " ELSE 'unknown' END"
+_RATE = "coalesce(round(100.0 * count(*) FILTER (WHERE status = 'success') / nullif(count(*) FILTER (WHERE status IN ('success', 'error')), 0), 4), 0)"
+_COST = f"CASE WHEN status = 'success' THEN (input_tokens * coalesce(input_price, {R.INPUT_PRICE}) + output_tokens * coalesce(output_price, {R.OUTPUT_PRICE})) / 1e6 ELSE 0 END"
+_PRICED = "requests_v r LEFT JOIN models_v m ON r.platform = m.platform AND r.model_id = m.model_id"
+
+
+@query("SELECT id, platform, model_id, status, created_at FROM requests_v WHERE created_at >= $NOW - INTERVAL 7 DAY AND created_at <= $NOW AND status = 'error'")
+def prj12_request_list(v):
+    return R.in_range(v.requests_v, now, 7).filter("status = 'error'").select("id", "platform", "model_id", "status", "created_at")
+
+
+@query("SELECT count(*) AS n, min(id) AS first_id FROM requests_v WHERE created_at >= $NOW - INTERVAL 1 DAY AND created_at <= $NOW")
+def prj13_range_cutoff(v):
+    return R.in_range(v.requests_v, now, 1).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
+
+
+@query("SELECT * FROM (SELECT event_id, user_id, ts, event_type FROM events WHERE user_id = 7 AND event_id > 100 ORDER BY event_id DESC LIMIT 25)")
+def prj14_trace_history(v):
+    tail = v.events.filter("user_id = 7 AND event_id > 100").select("event_id", "user_id", "ts", "event_type").orderBy(F.desc("event_id")).limit(25)
+    return tail.orderBy("event_id")
+
+
+@query(f"SELECT id, {_CASE_ERROR} AS category FROM requests_v WHERE status = 'error'")
+def prj19_error_category(v):
+    return v.requests_v.filter("status = 'error'").select("id", R.error_category(F.col("error")).alias("category"))
+
+
+@query(f"SELECT {_CASE_AGENT} AS client, count(*) AS n FROM requests_v GROUP BY 1")
+def prj20_client_agent(v):
+    return v.requests_v.groupBy(R.client_agent(F.col("user_agent")).alias("client")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT event_id, CASE WHEN strlen(props) > 10 THEN substring(props, 1, 5) || '...' ELSE props END AS payload FROM events")
+def prj30_payload_cut(v):
+    return v.events.select("event_id", F.when(F.octet_length("props") > 10, F.concat(F.substring("props", 1, 5), F.lit("..."))).otherwise(F.col("props")).alias("payload"))
+
+
+@query(f"SELECT r.id, m.display_name, {_COST} AS cost FROM {_PRICED}")
+def jon01_request_prices(v):
+    return R.with_prices(v.requests_v, v.models_v).select("id", "display_name", "cost")
+
+
+_KEYS = "keys_v AS (SELECT DISTINCT key_id, CASE WHEN key_id % 5 <> 0 THEN 'key ' || CAST(key_id AS VARCHAR) END AS label, key_id % 4 AS state, key_id % 3 <> 0 AS enabled, platform FROM requests_v WHERE key_id IS NOT NULL AND key_id % 7 <> 0)"
+
+
+def keys(v):
+    """Keys in use; one in seven has been deleted."""
+    rows = v.requests_v.filter("key_id IS NOT NULL AND key_id % 7 <> 0")
+    return rows.selectExpr("key_id", "CASE WHEN key_id % 5 <> 0 THEN 'key ' || CAST(key_id AS STRING) END AS label", "key_id % 4 AS state", "key_id % 3 <> 0 AS enabled", "platform").distinct()
+
+
+@query(f"WITH {_KEYS} SELECT r.id, k.label, k.key_id IS NOT NULL AS known FROM requests_v r LEFT JOIN keys_v k ON r.key_id = k.key_id")
+def jon02_request_keys(v):
+    known = keys(v).select("key_id", "label", F.lit(True).alias("known"))
+    return v.requests_v.join(R.catalog(known), "key_id", "left").select("id", "label", F.coalesce("known", F.lit(False)).alias("known"))
+
+
+@query(f"WITH {_KEYS} SELECT platform, count(*) AS models FROM models_v m WHERE EXISTS (SELECT 1 FROM keys_v k WHERE k.platform = m.platform AND k.enabled) GROUP BY platform")
+def jon10_reachable_models(v):
+    usable = keys(v).filter("enabled").select("platform").distinct()
+    return v.models_v.join(R.catalog(usable), "platform", "left_semi").groupBy("platform").agg(F.count(F.lit(1)).alias("models"))
+
+
+@query("SELECT m.id, 100 + row_number() OVER (ORDER BY m.id) AS priority FROM models_v m LEFT JOIN (SELECT id FROM models_v WHERE priority < 4) f ON m.id = f.id WHERE f.id IS NULL")
+def jon11_missing_fallbacks(v):
+    known = v.models_v.filter("priority < 4").select("id")
+    # the catalog is at most 40 rows, so one ordered window is fine
+    return v.models_v.join(R.catalog(known), "id", "left_anti").select("id", (F.lit(100) + F.row_number().over(W.orderBy("id"))).cast("long").alias("priority"))
+
+
+@query("SELECT m.id, count(r.id) FILTER (WHERE r.created_at >= $NOW - INTERVAL 1 DAY) AS today, count(r.id) AS month, coalesce(sum(r.output_tokens), 0) AS tokens FROM models_v m LEFT JOIN (SELECT * FROM requests_v WHERE status = 'success' AND created_at >= TIMESTAMP '2024-01-01 00:00:00') r ON r.platform = m.platform AND r.model_id = m.model_id GROUP BY m.id", tokens="BIGINT")
+def jon12_catalog_usage(v):
+    good = v.requests_v.filter("status = 'success' AND created_at >= TIMESTAMP_NTZ '2024-01-01 00:00:00'")
+    used = good.groupBy("platform", "model_id").agg(F.count_if(F.col("created_at") >= now - F.expr("INTERVAL 1 DAY")).alias("today"), F.count(F.lit(1)).alias("month"), F.sum("output_tokens").alias("tokens"))
+    return v.models_v.join(used.hint("merge"), ["platform", "model_id"], "left").select("id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("today", "month", "tokens")])
+
+
+_OBS = "obs AS (SELECT platform, key_id, request_type AS pool, created_at AS observed_at, id, input_tokens AS used FROM requests_v WHERE key_id IS NOT NULL)"
+
+
+@query(f"WITH {_OBS} SELECT platform, key_id, pool, observed_at, used FROM (SELECT *, row_number() OVER (PARTITION BY platform, key_id, pool ORDER BY observed_at DESC, id DESC) AS rn FROM obs) WHERE rn = 1")
+def win02_latest_observation(v):
+    obs = v.requests_v.filter("key_id IS NOT NULL")
+    return obs.groupBy("platform", "key_id", F.col("request_type").alias("pool")).agg(F.max(F.struct("created_at", "id", "input_tokens")).alias("x")).select("platform", "key_id", "pool", F.col("x.created_at").alias("observed_at"), F.col("x.input_tokens").alias("used"))
+
+
+@query(f"WITH {_OBS}, latest AS (SELECT platform, key_id, pool, max_by(used, observed_at) AS used FROM obs GROUP BY 1, 2, 3), state AS (SELECT DISTINCT platform, key_id FROM requests_v WHERE key_id IS NOT NULL) SELECT s.platform, s.key_id, l.used FROM state s LEFT JOIN latest l ON s.platform = l.platform AND s.key_id = l.key_id AND l.pool = 'chat'")
+def jon13_quota_state(v):
+    obs = v.requests_v.filter("key_id IS NOT NULL")
+    latest = obs.filter("request_type = 'chat'").groupBy("platform", "key_id").agg(F.max_by("input_tokens", "created_at").alias("used"))
+    return obs.select("platform", "key_id").distinct().join(latest.hint("merge"), ["platform", "key_id"], "left").select("platform", "key_id", "used")
+
+
+@query("SELECT id, input_tokens % 4 AS attempts FROM requests_v WHERE status = 'error'")
+def jon17_attempt_counts(v):
+    bad = v.requests_v.filter("status = 'error'")
+    attempts = bad.select("id", F.explode(F.expr("CASE WHEN input_tokens % 4 > 0 THEN sequence(1, CAST(input_tokens % 4 AS INT)) ELSE array() END")).alias("ordinal"))
+    counts = attempts.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    return bad.select("id").join(counts.hint("merge"), "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("attempts"))
+
+
+@query("SELECT m.id, coalesce(o.priority, m.priority, 999) AS priority, coalesce(o.enabled, m.enabled) AS enabled, o.id IS NOT NULL AS has_overrides FROM models_v m LEFT JOIN (SELECT id, priority + 10 AS priority, CASE WHEN id % 2 = 0 THEN false END AS enabled FROM models_v WHERE id % 5 = 0) o ON m.id = o.id")
+def jon23_catalog_listing(v):
+    over = v.models_v.filter("id % 5 = 0").selectExpr("id", "priority + 10 AS o_priority", "CASE WHEN id % 2 = 0 THEN false END AS o_enabled", "true AS has")
+    return v.models_v.join(R.catalog(over), "id", "left").select("id", F.coalesce("o_priority", "priority", F.lit(999)).alias("priority"), F.coalesce("o_enabled", "enabled").alias("enabled"), F.coalesce("has", F.lit(False)).alias("has_overrides"))
+
+
+_HOURLY = "SELECT date_trunc('hour', created_at) AS hour, platform, model_id, count(*) AS requests, count(*) FILTER (WHERE status = 'success') AS successes, count(*) FILTER (WHERE status = 'error') AS errors, count(*) FILTER (WHERE status = 'canceled') AS canceled, sum(input_tokens) AS input_tokens, sum(output_tokens) AS output_tokens FROM requests_v GROUP BY 1, 2, 3"
+
+
+@query(_HOURLY, input_tokens="BIGINT", output_tokens="BIGINT")
+def agg15_hourly_rollup(v):
+    return R.hourly_rollup(v.requests_v)
+
+
+@query(f"WITH h AS ({_HOURLY}) SELECT coalesce(sum(requests), 0) AS requests, coalesce(sum(successes), 0) AS successes, coalesce(sum(errors), 0) AS errors, coalesce(sum(input_tokens), 0) AS input_tokens, coalesce(sum(output_tokens), 0) AS output_tokens FROM h WHERE hour >= date_trunc('hour', $NOW - INTERVAL 7 DAY)", requests="BIGINT", successes="BIGINT", errors="BIGINT", input_tokens="BIGINT", output_tokens="BIGINT")
+def agg16_range_totals(v):
+    return R.rollup_totals(R.hourly_rollup(v.requests_v), now - F.expr("INTERVAL 7 DAYS"))
+
+
+@query(f"SELECT count(*) AS requests, {_RATE} AS success_rate, round(avg(latency_ms), 4) AS latency, round(avg(ttfb_ms), 4) AS ttfb, count(*) FILTER (WHERE request_type = 'chat') AS chat FROM requests_v")
+def agg17_summary(v):
+    return v.requests_v.agg(F.count(F.lit(1)).alias("requests"), R.success_rate().alias("success_rate"), F.round(F.avg("latency_ms"), 4).alias("latency"), F.round(F.avg("ttfb_ms"), 4).alias("ttfb"), F.count_if(F.col("request_type") == "chat").alias("chat"))
+
+
+@query(f"SELECT r.platform, r.model_id, count(*) AS requests, {_RATE} AS success_rate, round(avg(latency_ms), 4) AS latency, sum(input_tokens + output_tokens) AS tokens, round(sum({_COST}), 6) AS cost FROM {_PRICED} GROUP BY 1, 2", tokens="BIGINT")
+def agg18_by_model(v):
+    # one price per model: aggregate before the join, so that the log is shuffled once, by partial sums
+    cost = lambda unit: F.sum(F.when(F.col("status") == "success", F.col(unit)).otherwise(0))
+    per = v.requests_v.groupBy("platform", "model_id").agg(F.count(F.lit(1)).alias("requests"), R.success_rate().alias("success_rate"), F.round(F.avg("latency_ms"), 4).alias("latency"), F.sum(F.col("input_tokens") + F.col("output_tokens")).alias("tokens"), cost("input_tokens").alias("i"), cost("output_tokens").alias("o"))
+    priced = per.join(R.catalog(v.models_v.select("platform", "model_id", "input_price", "output_price")), ["platform", "model_id"], "left")
+    return priced.select("platform", "model_id", "requests", "success_rate", "latency", "tokens", F.round((F.col("i") * F.coalesce("input_price", F.lit(R.INPUT_PRICE)) + F.col("o") * F.coalesce("output_price", F.lit(R.OUTPUT_PRICE))) / 1e6, 6).alias("cost"))
+
+
+@query("SELECT platform, count(*) AS requests, count(*) FILTER (WHERE status = 'error') AS errors, round(avg(ttfb_ms), 4) AS ttfb, round(avg(CASE WHEN latency_ms > 0 AND status = 'success' THEN output_tokens / (latency_ms / 1000) END), 4) AS tokens_per_s FROM requests_v GROUP BY 1")
+def agg19_by_platform(v):
+    rate = F.when((F.col("latency_ms") > 0) & (F.col("status") == "success"), F.col("output_tokens") / (F.col("latency_ms") / 1000))
+    return v.requests_v.groupBy("platform").agg(F.count(F.lit(1)).alias("requests"), F.count_if(F.col("status") == "error").alias("errors"), F.round(F.avg("ttfb_ms"), 4).alias("ttfb"), F.round(F.avg(rate), 4).alias("tokens_per_s"))
+
+
+@query("SELECT coalesce(user_agent, 'unknown') AS client, count(*) AS requests, strftime(max(created_at), '%Y-%m-%dT%H:%M:%SZ') AS last_seen FROM requests_v GROUP BY 1")
+def agg20_by_client(v):
+    return v.requests_v.groupBy(F.coalesce("user_agent", F.lit("unknown")).alias("client")).agg(F.count(F.lit(1)).alias("requests"), F.date_format(F.max("created_at"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("last_seen"))
+
+
+@query(f"WITH {_KEYS}, labels_of AS (SELECT DISTINCT key_id, label FROM keys_v) SELECT u.key_id, k.label, u.requests, u.tokens FROM (SELECT key_id, count(*) AS requests, sum(input_tokens + output_tokens) AS tokens FROM requests_v WHERE key_id IS NOT NULL GROUP BY 1) u LEFT JOIN labels_of k ON u.key_id = k.key_id ORDER BY u.requests DESC, u.key_id LIMIT 50", tokens="BIGINT")
+def agg21_by_key(v):
+    used = v.requests_v.filter("key_id IS NOT NULL").groupBy("key_id").agg(F.count(F.lit(1)).alias("requests"), F.sum(F.col("input_tokens") + F.col("output_tokens")).alias("tokens"))
+    top = used.orderBy(F.desc("requests"), "key_id").limit(50)
+    return top.join(R.catalog(keys(v).select("key_id", "label").distinct()), "key_id", "left").select("key_id", "label", "requests", "tokens")
+
+
+@query("SELECT date_trunc('day', created_at + INTERVAL 330 MINUTE) AS bucket, count(*) AS requests, sum(output_tokens) AS tokens FROM requests_v GROUP BY 1", tokens="BIGINT")
+def agg22_timeline(v):
+    at = F.col("created_at") + F.expr("INTERVAL 330 MINUTES")
+    return v.requests_v.groupBy(F.date_trunc("day", at).cast("timestamp_ntz").alias("bucket")).agg(F.count(F.lit(1)).alias("requests"), F.sum("output_tokens").alias("tokens"))
+
+
+@query(f"WITH e AS (SELECT platform, {_CASE_ERROR} AS category FROM requests_v WHERE status = 'error') SELECT category, platform, count(*) AS n FROM e GROUP BY GROUPING SETS ((category), (platform), (platform, category))")
+def agg23_error_grains(v):
+    bad = v.requests_v.filter("status = 'error'").select("platform", R.error_category(F.col("error")).alias("category"))
+    return bad.groupingSets([["category"], ["platform"], ["platform", "category"]], "category", "platform").agg(F.count(F.lit(1)).alias("n")).select("category", "platform", "n")
+
+
+@query(f"SELECT round(sum({_COST}), 6) AS savings FROM {_PRICED}")
+def agg24_savings(v):
+    return R.with_prices(v.requests_v, v.models_v).agg(F.round(F.sum("cost"), 6).alias("savings"))
+
+
+@query("SELECT count(*) FILTER (WHERE requested_model IS NOT NULL) AS pinned, count(*) FILTER (WHERE requested_model = model_id) AS honoured FROM requests_v")
+def agg25_pinned(v):
+    return v.requests_v.agg(F.count_if(F.col("requested_model").isNotNull()).alias("pinned"), F.count_if(F.col("requested_model") == F.col("model_id")).alias("honoured"))
+
+
+_DECAY = "daily AS (SELECT platform, model_id, floor((epoch($NOW) - floor(epoch(created_at))) / 86400) AS age, count(*) FILTER (WHERE status = 'success') AS g, count(*) FILTER (WHERE status = 'error') AS b, coalesce(sum(least(latency_ms, 120000)), 0) AS l, count(latency_ms) AS t FROM requests_v GROUP BY 1, 2, 3), decayed AS (SELECT platform, model_id, round(sum(pow(0.5, age / 2) * g), 4) AS good, round(sum(pow(0.5, age / 2) * b), 4) AS bad, round(sum(pow(0.5, age / 2) * l), 4) AS latency, round(sum(pow(0.5, age / 2) * t), 4) AS timed FROM daily WHERE age >= 0 AND age < 7 GROUP BY 1, 2)"
+
+
+@query(f"WITH {_DECAY} SELECT * FROM decayed")
+def agg26_decayed_stats(v):
+    return R.decayed_stats(v.requests_v, now)
+
+
+@query("SELECT model_id, key_id, sum(input_tokens + output_tokens) AS tokens FROM requests_v WHERE created_at >= date_trunc('month', $NOW) AND request_type = 'chat' GROUP BY 1, 2", tokens="BIGINT")
+def agg27_month_tokens(v):
+    return v.requests_v.filter((F.col("created_at") >= F.date_trunc("month", now)) & (F.col("request_type") == "chat")).groupBy("model_id", "key_id").agg(F.sum(F.col("input_tokens") + F.col("output_tokens")).alias("tokens"))
+
+
+@query(f"WITH {_KEYS}, k AS (SELECT platform, count(DISTINCT key_id) FILTER (WHERE enabled) AS n FROM keys_v GROUP BY 1), u AS (SELECT platform, sum(input_tokens + output_tokens) AS used FROM requests_v GROUP BY 1) SELECT u.platform, 1000000 * greatest(1, coalesce(k.n, 0)) AS budget, u.used FROM u LEFT JOIN k ON u.platform = k.platform", used="BIGINT")
+def agg28_budget_use(v):
+    usable = keys(v).groupBy("platform").agg(F.countDistinct(F.when(F.col("enabled"), F.col("key_id"))).alias("n"))
+    used = v.requests_v.groupBy("platform").agg(F.sum(F.col("input_tokens") + F.col("output_tokens")).alias("used"))
+    return used.join(usable.hint("merge"), "platform", "left").select("platform", (F.lit(1_000_000) * F.greatest(F.lit(1), F.coalesce("n", F.lit(0)))).alias("budget"), "used")
+
+
+@query(f"WITH {_KEYS} SELECT platform, count(*) AS keys, count(*) FILTER (WHERE state = 0) AS healthy, count(*) FILTER (WHERE state = 1) AS limited, count(DISTINCT CASE WHEN enabled THEN label END) AS ready FROM keys_v GROUP BY 1")
+def agg29_key_status(v):
+    return keys(v).groupBy("platform").agg(F.count(F.lit(1)).alias("keys"), F.count_if(F.col("state") == 0).alias("healthy"), F.count_if(F.col("state") == 1).alias("limited"), F.countDistinct(F.when(F.col("enabled"), F.col("label"))).alias("ready"))
+
+
+@query(f"WITH {_KEYS}, p AS (SELECT platform, count(*) FILTER (WHERE state = 0) AS s0, count(*) FILTER (WHERE state = 1) AS s1, count(*) FILTER (WHERE state = 2) AS s2, count(*) FILTER (WHERE state = 3) AS s3 FROM keys_v GROUP BY 1), m AS (SELECT platform, count(*) AS models FROM models_v WHERE enabled GROUP BY 1) SELECT coalesce(p.platform, m.platform) AS platform, coalesce(s0, 0) AS s0, coalesce(s1, 0) AS s1, coalesce(s2, 0) AS s2, coalesce(s3, 0) AS s3, coalesce(models, 0) AS models FROM p FULL JOIN m ON p.platform = m.platform")
+def agg30_provider_health(v):
+    by_state = keys(v).groupBy("platform").pivot("state", [0, 1, 2, 3]).count()
+    by_state = by_state.select("platform", *[F.col(str(i)).alias(f"s{i}") for i in range(4)])
+    models = v.models_v.filter("enabled").groupBy("platform").agg(F.count(F.lit(1)).alias("models"))
+    return by_state.join(models.hint("merge"), "platform", "full").select("platform", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("s0", "s1", "s2", "s3", "models")])
+
+
+@query("SELECT hash, n - 1 AS hits, (n - 1) * input_tokens AS saved_input, (n - 1) * output_tokens AS saved_output FROM (SELECT sha256(model_id || '|' || coalesce(requested_model, '') || '|' || CAST(input_tokens AS VARCHAR)) AS hash, count(*) AS n, max(input_tokens) AS input_tokens, max(output_tokens) AS output_tokens FROM requests_v GROUP BY 1) WHERE n > 1")
+def agg38_reuse_report(v):
+    key = F.sha2(F.concat_ws("|", "model_id", F.coalesce("requested_model", F.lit("")), F.col("input_tokens").cast("string")), 256)
+    groups = v.requests_v.groupBy(key.alias("hash")).agg(F.count(F.lit(1)).alias("n"), F.max("input_tokens").alias("i"), F.max("output_tokens").alias("o")).filter("n > 1")
+    return groups.select("hash", (F.col("n") - 1).alias("hits"), ((F.col("n") - 1) * F.col("i")).alias("saved_input"), ((F.col("n") - 1) * F.col("o")).alias("saved_output"))
+
+
+_GROUP = "regexp_replace(lower(regexp_replace(display_name, '(\\s*\\([^()]*\\)|\\s+free)+\\s*$', '')), '[\\s_./-]+', ' ', 'g')"
+
+
+@query(f"WITH g AS (SELECT id, {_GROUP} AS group_key, intelligence_rank, display_name FROM models_v) SELECT group_key, count(*) AS members, min(intelligence_rank) AS best_rank FROM g GROUP BY 1")
+def agg39_model_groups(v):
+    return v.models_v.groupBy(X.group_key(F.col("display_name")).alias("group_key")).agg(F.count(F.lit(1)).alias("members"), F.min("intelligence_rank").alias("best_rank"))
+
+
+@query("SELECT model_id, sum(input_tokens + output_tokens) AS tokens, count(*) AS requests FROM requests_v WHERE created_at >= $NOW - INTERVAL 7 DAY AND created_at <= $NOW GROUP BY 1 ORDER BY requests DESC, model_id LIMIT 5", tokens="BIGINT")
+def agg44_top_models(v):
+    used = R.in_range(v.requests_v, now, 7).groupBy("model_id").agg(F.sum(F.col("input_tokens") + F.col("output_tokens")).alias("tokens"), F.count(F.lit(1)).alias("requests"))
+    return used.orderBy(F.desc("requests"), "model_id").limit(5)
+
+
+_COOL = "cool AS (SELECT platform, created_at + INTERVAL 1 DAY AS expires FROM requests_v WHERE status = 'error')"
+
+
+@query(f"WITH {_COOL} SELECT platform, count(*) AS active, min(expires) AS resume FROM cool WHERE expires > $NOW GROUP BY 1")
+def agg45_cooldowns(v):
+    cool = v.requests_v.filter("status = 'error'").select("platform", (F.col("created_at") + F.expr("INTERVAL 1 DAY")).alias("expires"))
+    return cool.filter(F.col("expires") > now).groupBy("platform").agg(F.count(F.lit(1)).alias("active"), F.min("expires").alias("resume"))
+
+
+@query("SELECT key_id, sum(ceil(tokens * factor)) AS billed FROM (SELECT key_id, model_id, sum(input_tokens + output_tokens) AS tokens, CASE WHEN model_id = 'm1' THEN 1.5 ELSE 0.3 END AS factor FROM requests_v WHERE created_at >= TIMESTAMP '2024-01-30 00:00:00' GROUP BY 1, 2) GROUP BY 1", billed="DOUBLE")
+def agg46_billed_tokens(v):
+    per = v.requests_v.filter("created_at >= TIMESTAMP_NTZ '2024-01-30 00:00:00'").groupBy("key_id", "model_id").agg(F.sum(F.col("input_tokens") + F.col("output_tokens")).alias("tokens"))
+    factor = F.when(F.col("model_id") == "m1", 1.5).otherwise(0.3)
+    return per.groupBy("key_id").agg(F.sum(F.ceil(F.col("tokens") * factor)).cast("double").alias("billed"))
+
+
+@query("SELECT platform, model_id, count(*) AS n FROM (SELECT platform, model_id FROM models_v UNION ALL SELECT platform, model_id FROM models_v WHERE id % 6 = 0) GROUP BY 1, 2 HAVING count(*) > 1")
+def agg48_ambiguous_models(v):
+    pairs = v.models_v.select("platform", "model_id")
+    return pairs.unionByName(v.models_v.filter("id % 6 = 0").select("platform", "model_id")).groupBy("platform", "model_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+
+
+_RANKED = "SELECT platform, latency_ms, row_number() OVER (PARTITION BY platform ORDER BY latency_ms) AS rn, count(*) OVER (PARTITION BY platform) AS n FROM requests_v WHERE latency_ms IS NOT NULL"
+
+
+@query(f"WITH r AS ({_RANKED}) SELECT platform, min(latency_ms) FILTER (WHERE rn = floor((n - 1) * 0.5) + 1) AS p50, min(latency_ms) FILTER (WHERE rn = floor((n - 1) * 0.95) + 1) AS p95 FROM r GROUP BY 1")
+def win01_percentiles(v):
+    return R.percentile(v.requests_v, "latency_ms", {"p50": 0.5, "p95": 0.95}, ["platform"])
+
+
+@query("WITH r AS (SELECT latency_ms, row_number() OVER (ORDER BY latency_ms) AS rn, count(*) OVER () AS n FROM requests_v WHERE latency_ms IS NOT NULL) SELECT min(latency_ms) FILTER (WHERE rn = floor((n - 1) * 0.5) + 1) AS p50, min(latency_ms) FILTER (WHERE rn = floor((n - 1) * 0.95) + 1) AS p95 FROM r")
+def win01_percentiles_overall(v):
+    return R.percentile(v.requests_v.withColumn("_g", F.lit(0)), "latency_ms", {"p50": 0.5, "p95": 0.95}, ["_g"]).drop("_g")
+
+
+@query("SELECT id FROM (SELECT id FROM requests_v WHERE created_at >= $NOW - INTERVAL 20 DAY ORDER BY created_at DESC, id DESC LIMIT 3000)")
+def win03_retention(v):
+    """Newest N within the cutoff: days counted from the newest, ranks only in the day where N falls."""
+    keep = 3000
+    recent = v.requests_v.filter(F.col("created_at") >= now - F.expr("INTERVAL 20 DAYS")).withColumn("day", F.to_date("created_at"))
+    days = recent.groupBy("day").agg(F.count(F.lit(1)).alias("n"))
+    days = days.withColumn("upto", F.sum("n").over(W.orderBy(F.desc("day")))).filter(F.col("upto") - F.col("n") < keep)  # a row a day
+    boundary = recent.join(F.broadcast(days.limit(10_000)), "day").withColumn("whole", F.col("upto") <= keep)
+    ranked = boundary.filter("not whole").withColumn("rn", F.row_number().over(W.partitionBy("day").orderBy(F.desc("created_at"), F.desc("id"))))
+    return boundary.filter("whole").select("id").unionByName(ranked.filter(F.col("rn") <= keep - (F.col("upto") - F.col("n"))).select("id"))
+
+
+@query("SELECT platform, model_id, id, rn FROM (SELECT *, row_number() OVER (PARTITION BY platform, model_id ORDER BY created_at DESC, id DESC) AS rn FROM requests_v WHERE status = 'error' AND created_at >= $NOW - INTERVAL 2 DAY) WHERE rn <= 5")
+def win05_newest_errors(v):
+    w = W.partitionBy("platform", "model_id").orderBy(F.desc("created_at"), F.desc("id"))
+    return v.requests_v.filter((F.col("status") == "error") & (F.col("created_at") >= now - F.expr("INTERVAL 2 DAYS"))).withColumn("rn", F.row_number().over(w)).filter("rn <= 5").select("platform", "model_id", "id", F.col("rn").cast("long").alias("rn"))
+
+
+@query("SELECT model_id, min_by(id, priority * 1000 + id) AS id FROM models_v GROUP BY 1")
+def win06_first_of_family(v):
+    return v.models_v.groupBy("model_id").agg(F.min_by("id", F.struct("priority", "id")).alias("id"))
+
+
+@query(f"WITH g AS (SELECT id, {_GROUP} AS group_key, intelligence_rank, display_name FROM models_v) SELECT group_key, id, display_name FROM (SELECT *, row_number() OVER (PARTITION BY group_key ORDER BY intelligence_rank, length(display_name), id) AS rn FROM g) WHERE rn = 1")
+def win07_representative(v):
+    rows = v.models_v.withColumn("group_key", X.group_key(F.col("display_name")))
+    return rows.groupBy("group_key").agg(F.min_by(F.struct("id", "display_name"), F.struct("intelligence_rank", F.length("display_name"), "id")).alias("x")).select("group_key", "x.id", "x.display_name")
+
+
+@query("WITH s AS (SELECT id, regexp_replace(lower(display_name), '[^a-z0-9]+', '-', 'g') AS slug FROM models_v) SELECT id, CASE WHEN rn > 1 THEN slug || '-' || CAST(rn AS VARCHAR) ELSE slug END AS slug FROM (SELECT id, slug, row_number() OVER (PARTITION BY slug ORDER BY id) AS rn FROM s)")
+def win08_slugs(v):
+    rows = v.models_v.select("id", F.regexp_replace(F.lower("display_name"), "[^a-z0-9]+", "-").alias("slug")).withColumn("rn", F.row_number().over(W.partitionBy("slug").orderBy("id")))
+    return rows.select("id", F.when(F.col("rn") > 1, F.concat_ws("-", "slug", F.col("rn").cast("string"))).otherwise(F.col("slug")).alias("slug"))
+
+
+@query("SELECT id, CASE WHEN hi = lo THEN 1.0 ELSE round((intelligence_rank - lo) / (hi - lo), 6) END AS scaled FROM (SELECT id, intelligence_rank, min(intelligence_rank) OVER () AS lo, max(intelligence_rank) OVER () AS hi FROM models_v)")
+def win09_min_max(v):
+    ends = v.models_v.agg(F.min("intelligence_rank").alias("lo"), F.max("intelligence_rank").alias("hi"))
+    return v.models_v.crossJoin(F.broadcast(ends)).select("id", F.when(F.col("hi") == F.col("lo"), 1.0).otherwise(F.round((F.col("intelligence_rank") - F.col("lo")) / (F.col("hi") - F.col("lo")), 6)).alias("scaled"))  # one row
+
+
+@query("WITH a AS (SELECT id, platform, model_id, row_number() OVER (PARTITION BY platform ORDER BY priority, id) AS p, row_number() OVER (PARTITION BY model_id ORDER BY priority, id) AS f, priority FROM models_v) SELECT id, row_number() OVER (ORDER BY f > 1, p > 1, priority, id) AS place FROM a")
+def win10_diversity(v):
+    a = v.models_v.withColumn("p", F.row_number().over(W.partitionBy("platform").orderBy("priority", "id"))).withColumn("f", F.row_number().over(W.partitionBy("model_id").orderBy("priority", "id")))
+    return a.select("id", F.row_number().over(W.orderBy(F.col("f") > 1, F.col("p") > 1, "priority", "id")).cast("long").alias("place"))  # the candidate set is at most 40 rows
+
+
+@query("SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events")
+def win13_sequence(v):
+    return v.events.select("event_id", F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")).cast("long").alias("seq"))
+
+
+_US = "epoch_us(created_at)"
+
+
+@query(f"SELECT id, count(*) OVER m AS requests_minute, sum(input_tokens + output_tokens) OVER m AS tokens_minute, count(*) OVER d AS requests_day, sum(input_tokens + output_tokens) OVER d AS tokens_day FROM requests_v WINDOW m AS (PARTITION BY platform, model_id, key_id ORDER BY {_US} RANGE BETWEEN 59999999 PRECEDING AND CURRENT ROW), d AS (PARTITION BY platform, model_id, key_id ORDER BY {_US} RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW)", tokens_minute="BIGINT", tokens_day="BIGINT")
+def win24_sliding_usage(v):
+    return R.sliding_usage(v.requests_v, ["platform", "model_id", "key_id"]).select("id", "requests_minute", "tokens_minute", "requests_day", "tokens_day")
+
+
+@query(f"SELECT id, hits, CASE least(hits, 4) WHEN 1 THEN 120 WHEN 2 THEN 600 WHEN 3 THEN 3600 ELSE 86400 END AS bench_s FROM (SELECT id, count(*) OVER (PARTITION BY platform, model_id ORDER BY {_US} RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW) AS hits FROM requests_v WHERE status = 'error')")
+def win25_bench_time(v):
+    return R.bench_time(v.requests_v.filter("status = 'error'"), ["platform", "model_id"]).select("id", "hits", "bench_s")
+
+
+@query("SELECT id, created_at, error FROM requests_v WHERE status = 'error' ORDER BY created_at DESC, id DESC LIMIT 50")
+def top03_recent_errors(v):
+    return v.requests_v.filter("status = 'error'").select("id", "created_at", "error").orderBy(F.desc("created_at"), F.desc("id")).limit(50)
+
+
+@query("SELECT id, array_to_string(list_transform(range(1, input_tokens % 4 + 1), lambda x: 'attempt ' || CAST(x AS VARCHAR)), ',') AS attempts FROM requests_v WHERE status = 'error' AND input_tokens % 4 > 0")
+def top05_attempts_in_order(v):
+    bad = v.requests_v.filter("status = 'error' AND input_tokens % 4 > 0").select("id", F.explode(F.expr("sequence(1, CAST(input_tokens % 4 AS INT))")).alias("ordinal"))
+    return bad.groupBy("id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("ordinal")), lambda o: F.concat(F.lit("attempt "), o.cast("string"))), ",").alias("attempts"))
+
+
+@query("SELECT r.id AS request_id, m.id AS model, row_number() OVER (PARTITION BY r.id ORDER BY (m.model_id = r.requested_model) DESC, m.intelligence_rank DESC, m.priority, m.id) AS place FROM (SELECT * FROM requests_v WHERE requested_model IS NOT NULL AND status = 'error') r JOIN models_v m ON r.platform = m.platform")
+def top06_candidate_order(v):
+    r = v.requests_v.filter("requested_model IS NOT NULL AND status = 'error'").select(F.col("id").alias("request_id"), "platform", "requested_model")
+    both = r.join(R.catalog(v.models_v.select(F.col("id").alias("model"), "platform", "model_id", "intelligence_rank", "priority")), "platform")
+    w = W.partitionBy("request_id").orderBy(F.desc(F.col("model_id") == F.col("requested_model")), F.desc("intelligence_rank"), "priority", "model")
+    return both.select("request_id", "model", F.row_number().over(w).cast("long").alias("place"))
+
+
+@query("SELECT id, model_id, dense_rank() OVER (ORDER BY best DESC, model_id) AS group_place, row_number() OVER (PARTITION BY model_id ORDER BY intelligence_rank DESC, id) AS place FROM (SELECT id, model_id, intelligence_rank, max(intelligence_rank) OVER (PARTITION BY model_id) AS best FROM models_v)")
+def top07_grouped_order(v):
+    best = v.models_v.groupBy("model_id").agg(F.max("intelligence_rank").alias("best"))
+    groups = best.select("model_id", F.row_number().over(W.orderBy(F.desc("best"), "model_id")).cast("long").alias("group_place"))  # a row a model name
+    return v.models_v.join(groups.hint("merge"), "model_id").select("id", "model_id", "group_place", F.row_number().over(W.partitionBy("model_id").orderBy(F.desc("intelligence_rank"), "id")).cast("long").alias("place"))
+
+
+@query("SELECT id FROM models_v EXCEPT SELECT id FROM models_v WHERE id % 4 = 1")
+def set04_catalog_difference(v):
+    return v.models_v.select("id").join(R.catalog(v.models_v.filter("id % 4 = 1").select("id")), "id", "left_anti")
+
+
+@query("SELECT id, 'chat' AS kind FROM models_v WHERE id % 3 = 0 UNION ALL SELECT id, 'embedding' FROM models_v WHERE id % 3 = 1 UNION ALL SELECT id, 'media' FROM models_v WHERE id % 3 = 2")
+def set05_kinds_of_models(v):
+    parts = [v.models_v.filter(f"id % 3 = {i}").select("id", F.lit(kind).alias("kind")) for i, kind in enumerate(("chat", "embedding", "media"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("SELECT id, regexp_matches(error, '(?i)timeout|stalled|etimedout|aborted') AS timed_out FROM requests_v WHERE error IS NOT NULL")
+def fun12_timeout_text(v):
+    return v.requests_v.filter("error IS NOT NULL").select("id", F.col("error").rlike("(?i)timeout|stalled|etimedout|aborted").alias("timed_out"))
+
+
+_TPS = "CASE WHEN latency_ms > 0 THEN output_tokens / (latency_ms / 1000) ELSE 0 END"
+_SPEED = f"CASE WHEN {_TPS} <= 0 AND ttfb_ms IS NULL THEN 0.6 ELSE 0.6 * (1 - exp(-({_TPS}) / 60.0)) + 0.4 * coalesce(least(greatest((5000.0 - ttfb_ms) / 4700.0, 0.0), 1.0), 0.6) END"
+
+
+def _speed():
+    tps = F.when(F.col("latency_ms") > 0, F.col("output_tokens") / (F.col("latency_ms") / 1000)).otherwise(0.0)
+    return S.speed(tps, F.col("ttfb_ms"))
+
+
+@query(f"SELECT id, round({_SPEED}, 6) AS speed FROM requests_v")
+def fun13_speed_score(v):
+    return v.requests_v.select("id", F.round(_speed(), 6).alias("speed"))
+
+
+@query(f"SELECT model_id, CAST(least(greatest(1 + round((1 - avg({_SPEED})) * 9), 1), 10) AS INT) AS rank FROM requests_v GROUP BY 1 HAVING count(*) >= 20")
+def fun14_speed_rank(v):
+    per = v.requests_v.groupBy("model_id").agg(F.avg(_speed()).alias("s"), F.count(F.lit(1)).alias("n")).filter("n >= 20")
+    return per.select("model_id", S.speed_rank(F.col("s")).alias("rank"))
+
+
+@query(f"WITH {_DECAY} SELECT platform, model_id, round((good + 1) / (good + bad + 2), 6) AS reliability FROM decayed")
+def fun15_reliability(v):
+    return R.decayed_stats(v.requests_v, now).select("platform", "model_id", F.round(S.reliability(F.col("good"), F.col("bad")), 6).alias("reliability"))
+
+
+_TIER = "CASE size_label WHEN 'frontier' THEN 4 WHEN 'large' THEN 3 WHEN 'medium' THEN 2 WHEN 'small' THEN 1 ELSE 0 END"
+
+
+@query(f"SELECT id, round({_TIER} * 1000 - sqrt(intelligence_rank) * 31, 6) AS intelligence FROM models_v")
+def fun16_intelligence(v):
+    return v.models_v.select("id", F.round(S.intelligence(F.col("size_label"), F.col("intelligence_rank")), 6).alias("intelligence"))
+
+
+@query("SELECT id, round(CASE WHEN remaining >= 0.2 THEN 1.0 ELSE 0.1 + 0.9 * greatest(remaining, 0.0) / 0.2 END, 6) AS headroom FROM (SELECT id, priority / 7.0 AS remaining FROM models_v)")
+def fun17_headroom(v):
+    return v.models_v.select("id", F.round(S.headroom(F.col("priority") / 7.0), 6).alias("headroom"))
+
+
+@query(f"WITH {_DECAY} SELECT m.id, round((0.5 * (good + 1) / (good + bad + 2) + 0.25 * 0.6 + 0.25 * intelligence_rank / 50.0) * 1.0, 6) AS score FROM models_v m JOIN decayed d ON m.platform = d.platform AND m.model_id = d.model_id")
+def fun18_model_score(v):
+    stats = R.decayed_stats(v.requests_v, now)
+    both = v.models_v.join(R.catalog(stats), ["platform", "model_id"])
+    return both.select("id", F.round(S.mixed("balanced", S.reliability(F.col("good"), F.col("bad")), F.lit(S.SPEED_PRIOR), F.col("intelligence_rank") / 50.0, F.lit(1.0)), 6).alias("score"))
+
+
+@query("SELECT id, CAST(ceil(strlen(model_id) / 4.0) AS BIGINT) + input_tokens AS tokens, CASE WHEN input_tokens + 3 * input_tokens > 300 THEN 'reject' WHEN output_tokens > 150 THEN 'cap' ELSE 'ok' END AS verdict FROM requests_v")
+def fun21_token_budget(v):
+    verdict = F.when(F.col("input_tokens") + F.col("output_tokens") > 300, "reject").when(F.col("output_tokens") > 150, "cap").otherwise("ok")
+    return v.requests_v.select("id", (F.ceil(F.length("model_id") / 4.0) + F.col("input_tokens")).alias("tokens"), verdict.alias("verdict"))
+
+
+@query("SELECT id, CASE WHEN v > 1e12 THEN v / 1000.0 WHEN v > 1e9 THEN v * 1.0 ELSE 1706659200 + v * 1.0 END AS reset_s FROM (SELECT id, CASE id % 3 WHEN 0 THEN 1706659200000 + id WHEN 1 THEN 1706659200 + id ELSE id END AS v FROM requests_v)")
+def fun29_reset_time(v):
+    raw = F.expr("CASE id % 3 WHEN 0 THEN 1706659200000 + id WHEN 1 THEN 1706659200 + id ELSE id END")
+    return v.requests_v.select("id", raw.alias("v")).select("id", F.when(F.col("v") > 1e12, F.col("v") / 1000.0).when(F.col("v") > 1e9, F.col("v") * 1.0).otherwise(F.col("v") * 1.0 + 1706659200).cast("double").alias("reset_s"))
+
+
+@query("SELECT id, CASE WHEN reset_at < $NOW - INTERVAL 10 DAY THEN lim ELSE remaining END AS remaining, CASE WHEN reset_at >= $NOW - INTERVAL 10 DAY THEN reset_at END AS reset_at FROM (SELECT id, created_at AS reset_at, 100 AS lim, input_tokens AS remaining FROM requests_v)")
+def fun30_quota_expiry(v):
+    past = F.col("created_at") < now - F.expr("INTERVAL 10 DAYS")
+    return v.requests_v.select("id", F.when(past, F.lit(100).cast("long")).otherwise(F.col("input_tokens")).alias("remaining"), F.when(~past, F.col("created_at")).alias("reset_at"))
+
+
+@query("SELECT id, CASE WHEN regexp_matches(budget_label, '[0-9]+(-[0-9]+)?[MK]') THEN CAST(regexp_extract(budget_label, '([0-9]+)[MK]', 1) AS BIGINT) * CASE WHEN budget_label LIKE '%M' THEN 1000000 ELSE 1000 END ELSE 0 END AS budget FROM models_v")
+def fun31_budget_label(v):
+    n = F.expr("try_cast(regexp_extract(budget_label, '([0-9]+)[MK]', 1) AS BIGINT)")
+    unit = F.when(F.col("budget_label").endswith("M"), 1_000_000).otherwise(1000)
+    return v.models_v.select("id", F.coalesce(n * unit, F.lit(0)).alias("budget"))
+
+
+@query("SELECT model_id, min(CAST(regexp_extract(error, 'limit ([0-9]+)', 1) AS BIGINT)) AS learned FROM requests_v WHERE regexp_matches(error, 'limit [0-9]+ TPM') GROUP BY 1")
+def fun33_learned_limit(v):
+    return v.requests_v.filter(F.col("error").rlike("limit [0-9]+ TPM")).groupBy("model_id").agg(F.min(F.regexp_extract("error", "limit ([0-9]+)", 1).cast("long")).alias("learned"))
+
+
+@query("SELECT id, error ILIKE '%429%' OR error ILIKE '%rate limit%' AS rate_limit, regexp_matches(lower(error), 'timeout|etimedout|aborted') AS timeout, error ILIKE '%unauthorized%' AS key_auth, error ILIKE '%not found%' AS not_found, error ILIKE '%forbidden%' AS forbidden FROM requests_v WHERE error IS NOT NULL")
+def fun34_error_flags(v):
+    e = F.col("error")
+    return v.requests_v.filter("error IS NOT NULL").select("id", (e.ilike("%429%") | e.ilike("%rate limit%")).alias("rate_limit"), F.lower(e).rlike("timeout|etimedout|aborted").alias("timeout"), e.ilike("%unauthorized%").alias("key_auth"), e.ilike("%not found%").alias("not_found"), e.ilike("%forbidden%").alias("forbidden"))
+
+
+@query("SELECT m.id, intelligence_rank * coalesce(f.factor, 1.0) AS score FROM models_v m LEFT JOIN (SELECT id, 0.5 AS factor FROM models_v WHERE id % 9 = 0) f ON m.id = f.id", score="DOUBLE")
+def fun35_score_multiplier(v):
+    factor = v.models_v.filter("id % 9 = 0").select("id", F.lit(0.5).alias("factor"))
+    return v.models_v.join(R.catalog(factor), "id", "left").select("id", (F.col("intelligence_rank") * F.coalesce("factor", F.lit(1.0))).alias("score"))
+
+
+@query(f"SELECT id, {X.sanitise_sql('error')} AS said FROM requests_v WHERE error IS NOT NULL")
+def fun08_sanitised_error(v):
+    return v.requests_v.filter("error IS NOT NULL").select("id", X.sanitise(F.col("error")).alias("said"))
+
+
+@query(f"SELECT id, {_GROUP} AS group_key FROM models_v")
+def fun09_group_key(v):
+    return v.models_v.select("id", X.group_key(F.col("display_name")).alias("group_key"))
+
+
+@query("SELECT id, coalesce(nullif(trim(regexp_replace(lower(display_name), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'model') AS slug FROM models_v")
+def fun10_slug(v):
+    return v.models_v.select("id", X.slug(F.col("display_name")).alias("slug"))
+
+
+@query("SELECT id, regexp_replace(regexp_replace('vendor/' || model_id || ':free', '^.*/', ''), ':.*$', '') AS family FROM models_v")
+def fun11_family(v):
+    return v.models_v.select("id", X.family(F.concat(F.lit("vendor/"), "model_id", F.lit(":free"))).alias("family"))
+
+
+@query("SELECT id, sha256('{\"model\":\"' || model_id || '\",\"type\":\"' || request_type || '\"}') AS hash FROM requests_v")
+def fun20_canonical_hash(v):
+    return v.requests_v.select("id", F.sha2(F.to_json(F.struct(F.col("model_id").alias("model"), F.col("request_type").alias("type"))), 256).alias("hash"))
