@@ -1 +1,588 @@
-"""Queries."""
+"""Queries over catalogs, attributes, evidence, jobs and issues."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window as W, functions as F
+
+from ..functions import text as X
+from ..operators import products as P
+from ..operators.requests import catalog
+from .registry import query
+
+_in = "(" + ", ".join(f"'{p}'" for p in X.PLACEHOLDERS) + ")"
+_clean = lambda c: f"CASE WHEN trim({c}) <> '' AND lower(trim({c})) NOT IN {_in} THEN trim({c}) END"
+_TYPE = "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(lower(key), {chr(39)}{w}{chr(39)})' for w in ws)} THEN '{k}'" for k, ws in P.ATTRIBUTE_TYPES) + " ELSE 'technical_spec' END"
+_LEVEL = "CASE WHEN conflict_fields > 0 THEN 'CONFLICT' WHEN confidence_score >= 0.75 THEN 'HIGH' WHEN confidence_score >= 0.5 THEN 'MEDIUM' WHEN confidence_score >= 0.25 THEN 'LOW' ELSE 'CONFLICT' END"
+_map = lambda c, known, default: f"CASE {c} " + " ".join(f"WHEN '{k}' THEN '{v}'" if isinstance(v, str) else f"WHEN '{k}' THEN {v}" for k, v in known.items()) + f" ELSE {default} END"
+_NUMBER = f"coalesce(TRY_CAST(nullif(regexp_extract(value, '{X.NUMBER_UNIT}', 1), '') AS DOUBLE), TRY_CAST(nullif(regexp_extract(value, '{X.FRACTION}', 1), '') AS DOUBLE) / nullif(TRY_CAST(nullif(regexp_extract(value, '{X.FRACTION}', 2), '') AS DOUBLE), 0))"
+_RAW = f"nullif(coalesce(nullif(regexp_extract(value, '{X.NUMBER_UNIT}', 2), ''), trim(regexp_extract(value, '{X.FRACTION}', 3))), '')"
+_UNIT = f"coalesce({_map(f'lower(trim({_RAW}))', X.UNITS, 'NULL')}, trim({_RAW}))"
+
+
+@query(f"SELECT count(*) AS total, count(*) FILTER (WHERE {_clean('name')} IS NOT NULL) AS imported, count(*) FILTER (WHERE {_clean('name')} IS NULL) AS skipped FROM products_v")
+def src02_row_accounting(v):
+    bad = X.clean(F.col("name")).isNull()
+    return v.products_v.agg(F.count(F.lit(1)).alias("total"), F.count_if(~bad).alias("imported"), F.count_if(bad).alias("skipped"))
+
+
+@query("SELECT lang AS dataset_id, count(*) AS row_count, sum(strlen(text)) AS bytes FROM documents GROUP BY 1", bytes="BIGINT")
+def src05_dataset_counts(v):
+    return v.documents.groupBy(F.col("lang").alias("dataset_id")).agg(F.count(F.lit(1)).alias("row_count"), F.sum(F.octet_length("text")).alias("bytes"))
+
+
+@query("SELECT doc_id, length(text) AS char_count, strlen(text) AS file_size FROM documents", char_count="BIGINT", file_size="BIGINT")
+def src07_text_sizes(v):
+    return v.documents.select("doc_id", F.char_length("text").cast("long").alias("char_count"), F.octet_length("text").cast("long").alias("file_size"))
+
+
+@query("SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '[ \\t\\n\\r]+', ' ', 'g')) AS said FROM pages")
+def src09_html_to_text(v):
+    said = F.regexp_replace("html", "<[^>]+>", " ")
+    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        said = F.replace(said, F.lit(entity), F.lit(char))
+    return v.pages.select("page_id", F.trim(F.regexp_replace(said, "[ \\t\\n\\r]+", " ")).alias("said"))
+
+
+@query("SELECT issue_id, product_id, severity FROM issues_v WHERE product_id % 10 <> 3 UNION ALL SELECT issue_id, product_id, 'NEW' FROM issues_v WHERE product_id % 10 = 3 AND severity = 'HIGH'")
+def src12_idempotent_replace(v):
+    current = v.issues_v.select("issue_id", "product_id", "severity")
+    incoming = current.filter("product_id % 10 = 3 AND severity = 'HIGH'").withColumn("severity", F.lit("NEW"))
+    gone = current.filter("product_id % 10 = 3").select("product_id").distinct()
+    return current.join(gone.hint("merge"), "product_id", "left_anti").select("issue_id", "product_id", "severity").unionByName(incoming)
+
+
+@query("SELECT source AS dataset_id, CASE WHEN min(doc_id) % 2 = 0 THEN 'permanent' ELSE 'temporary' END AS storage_class FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE doc_id < 3) GROUP BY 1")
+def src14_registry_upsert(v):
+    known = v.documents.filter("doc_id < 3").select("source").distinct()
+    new = v.documents.groupBy("source").agg(F.min("doc_id").alias("first")).join(catalog(known), "source", "left_anti")
+    return new.select(F.col("source").alias("dataset_id"), F.when(F.col("first") % 2 == 0, "permanent").otherwise("temporary").alias("storage_class"))
+
+
+@query("SELECT coalesce(c.id, u.id) AS id, coalesce(u.priority, c.priority) AS priority, CASE WHEN c.id IS NULL THEN 'inserted' WHEN u.id IS NULL AND c.custom THEN 'kept' WHEN u.id IS NULL THEN 'deleted' WHEN c.priority = u.priority THEN 'same' ELSE 'updated' END AS state FROM (SELECT id, priority, id % 8 = 0 AS custom FROM models_v WHERE id < 30) c FULL JOIN (SELECT id, CASE WHEN id % 3 = 0 THEN priority + 1 ELSE priority END AS priority FROM models_v WHERE id >= 10) u ON c.id = u.id")
+def src15_catalog_sync(v):
+    upstream = v.models_v.filter("id >= 10").selectExpr("id", "CASE WHEN id % 3 = 0 THEN priority + 1 ELSE priority END AS priority")
+    return P.snapshot_merge(v.models_v.filter("id < 30"), upstream, "id", ["priority"], F.col("id") % 8 == 0)
+
+
+@query("SELECT m.id, coalesce(CASE WHEN m.id % 4 = 0 THEN 'patched ' || CAST(m.id AS VARCHAR) END, m.display_name) AS display_name FROM models_v m")
+def src16_override_overlay(v):
+    patch = v.models_v.filter("id % 4 = 0").select("id", F.to_json(F.struct(F.concat(F.lit("patched "), F.col("id").cast("string")).alias("display_name"))).alias("patch"))
+    return v.models_v.join(catalog(patch), "id", "left").select("id", F.coalesce(F.get_json_object("patch", "$.display_name"), "display_name").alias("display_name"))
+
+
+@query("SELECT p_partkey AS id, regexp_replace(regexp_replace(lower(trim(p_name || ' No.-1/x')), '[ .\\-/]', '_', 'g'), '[^a-z0-9_]', '', 'g') AS header FROM part")
+def prj01_header_names(v):
+    raw = F.lower(F.trim(F.concat("p_name", F.lit(" No.-1/x"))))
+    return v.part.select(F.col("p_partkey").alias("id"), F.regexp_replace(F.translate(raw, " .-/", "____"), "[^a-z0-9_]", "").alias("header"))
+
+
+@query(f"SELECT product_id, coalesce({_clean('name')}, {_clean('brand')}, sku) AS first_value FROM products_v")
+def prj03_first_value(v):
+    return v.products_v.select("product_id", F.coalesce(X.clean(F.col("name")), X.clean(F.col("brand")), "sku").alias("first_value"))
+
+
+@query(f"SELECT product_id, {_clean('brand')} AS brand, {_clean('name')} AS name FROM products_v")
+def prj04_placeholders(v):
+    return v.products_v.select("product_id", X.clean(F.col("brand")).alias("brand"), X.clean(F.col("name")).alias("name"))
+
+
+@query(f"SELECT product_id, coalesce({_clean('name')}, sku) AS name, coalesce({_clean('brand')}, 'Unknown') AS brand, coalesce(category, 'Industrial Equipment') AS category, coalesce(nullif(sku, ''), 'ITEM-' || lpad(CAST(product_id AS VARCHAR), 4, '0')) AS sku FROM products_v")
+def prj05_defaults(v):
+    return v.products_v.select("product_id", F.coalesce(X.clean(F.col("name")), "sku").alias("name"), F.coalesce(X.clean(F.col("brand")), F.lit("Unknown")).alias("brand"), F.coalesce("category", F.lit("Industrial Equipment")).alias("category"), F.coalesce(F.nullif("sku", F.lit("")), F.format_string("ITEM-%04d", "product_id")).alias("sku"))
+
+
+@query("SELECT p_partkey AS id, u.key, u.value FROM part, LATERAL (VALUES ('P Brand', p_brand), ('P Type', p_type)) u(key, value) WHERE u.value IS NOT NULL")
+def prj06_wide_to_long(v):
+    long = v.part.unpivot(["p_partkey"], ["p_brand", "p_type"], "key", "value").filter("value IS NOT NULL")
+    return long.select(F.col("p_partkey").alias("id"), F.initcap(F.replace("key", F.lit("_"), F.lit(" "))).alias("key"), "value")
+
+
+@query("SELECT p_partkey AS id, regexp_replace(CAST(p_partkey AS VARCHAR) || '.0', '^([0-9]+)\\.0$', '\\1') AS identifier FROM part")
+def prj07_identifiers(v):
+    return v.part.select(F.col("p_partkey").alias("id"), F.regexp_replace(F.concat(F.col("p_partkey").cast("string"), F.lit(".0")), r"^([0-9]+)\.0$", "$1").alias("identifier"))
+
+
+@query(f"SELECT product_id, name FROM products_v WHERE tenant_id = 't1' AND (name ILIKE '%ring%' OR brand ILIKE '%ring%' OR sku ILIKE '%ring%') AND status = 'verified' AND {_LEVEL} = 'LOW'")
+def prj08_product_search(v):
+    hit = F.col("name").ilike("%ring%") | F.col("brand").ilike("%ring%") | F.col("sku").ilike("%ring%")
+    return v.products_v.filter((F.col("tenant_id") == "t1") & hit & (F.col("status") == "verified") & (P.confidence_level(F.col("confidence_score"), F.col("conflict_fields")) == "LOW")).select("product_id", "name")
+
+
+@query("SELECT tenant_id, count(*) AS n FROM products_v WHERE tenant_id = 't2' GROUP BY 1")
+def prj09_tenant_scope(v):
+    return v.products_v.filter("tenant_id = 't2'").groupBy("tenant_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT i.issue_id, p.name FROM issues_v i LEFT JOIN products_v p ON i.product_id = p.product_id WHERE i.severity = 'HIGH' AND i.type = 'MISSING' AND NOT i.resolved")
+def prj10_issue_filter(v):
+    return v.issues_v.filter("severity = 'HIGH' AND type = 'MISSING' AND NOT resolved").join(v.products_v.select("product_id", "name").hint("merge"), "product_id", "left").select("issue_id", "name")
+
+
+@query("SELECT job_id, created_at FROM jobs_v WHERE tenant_id = 't1' AND status = 'FAILED' ORDER BY created_at DESC, job_id LIMIT 20 OFFSET 20")
+def prj11_job_list(v):
+    return v.jobs_v.filter("tenant_id = 't1' AND status = 'FAILED'").select("job_id", "created_at").orderBy(F.desc("created_at"), "job_id").offset(20).limit(20)
+
+
+@query(f"SELECT attribute_id, {_TYPE} AS attribute_type FROM attributes_v")
+def prj15_attribute_type(v):
+    return v.attributes_v.select("attribute_id", P.attribute_type(F.col("key")).alias("attribute_type"))
+
+
+@query(f"SELECT product_id, {_LEVEL} AS level FROM products_v")
+def prj16_confidence_level(v):
+    return v.products_v.select("product_id", P.confidence_level(F.col("confidence_score"), F.col("conflict_fields")).alias("level"))
+
+
+@query("SELECT product_id, CASE WHEN status = 'failed' THEN 'failed' WHEN conflict_fields > 0 THEN 'conflicting' WHEN missing_fields > 2 THEN 'needs_review' ELSE 'verified' END AS status FROM products_v")
+def prj17_product_status(v):
+    return v.products_v.select("product_id", F.when(F.col("status") == "failed", "failed").when(F.col("conflict_fields") > 0, "conflicting").when(F.col("missing_fields") > 2, "needs_review").otherwise("verified").alias("status"))
+
+
+@query("SELECT attribute_id, CASE status WHEN 'DIRECTLY_SUPPORTED' THEN 'ai_inferred' WHEN 'INFERRED' THEN 'ai_inferred' WHEN 'MISSING' THEN 'missing' WHEN 'CONFLICTING' THEN 'conflicting' WHEN 'UNKNOWN' THEN 'missing' ELSE 'ai_inferred' END AS stored FROM attributes_v")
+def prj18_stored_status(v):
+    return v.attributes_v.select("attribute_id", P.lookup(F.col("status"), {"DIRECTLY_SUPPORTED": "ai_inferred", "INFERRED": "ai_inferred", "MISSING": "missing", "CONFLICTING": "conflicting", "UNKNOWN": "missing"}, "ai_inferred").alias("stored"))
+
+
+_SOURCE = _map("source_type", P.SOURCE_TYPES, "'SECONDARY_SOURCE'")
+
+
+@query(f"SELECT evidence_id, {_SOURCE} AS mapped FROM evidence_v")
+def prj21_source_type(v):
+    return v.evidence_v.select("evidence_id", P.lookup(F.col("source_type"), P.SOURCE_TYPES, "SECONDARY_SOURCE").alias("mapped"))
+
+
+@query("SELECT evidence_id, license, lower(trim(license)) IN (" + ", ".join(f"'{x}'" for x in P.OPEN_LICENSES) + ") AS permitted FROM (SELECT evidence_id, CASE evidence_id % 4 WHEN 0 THEN ' MIT ' WHEN 1 THEN 'proprietary' WHEN 2 THEN 'CC-BY-4.0' ELSE 'unknown' END AS license FROM evidence_v)")
+def prj22_license_screen(v):
+    licensed = v.evidence_v.select("evidence_id", F.expr("CASE evidence_id % 4 WHEN 0 THEN ' MIT ' WHEN 1 THEN 'proprietary' WHEN 2 THEN 'CC-BY-4.0' ELSE 'unknown' END").alias("license"))
+    return licensed.select("evidence_id", "license", F.lower(F.trim("license")).isin(*P.OPEN_LICENSES).alias("permitted"))
+
+
+@query("SELECT source AS dataset_id FROM documents GROUP BY 1 HAVING bool_or(lang = 'de')")
+def prj23_dataset_filter(v):
+    sets = v.documents.groupBy(F.col("source").alias("dataset_id")).agg(F.collect_set("lang").alias("industries"))
+    return sets.filter(F.array_contains("industries", "de")).select("dataset_id")
+
+
+@query("SELECT product_id, coalesce(nullif(trim(name), ''), sku, '') AS shown FROM products_v")
+def prj25_display_value(v):
+    return v.products_v.select("product_id", F.coalesce(F.nullif(F.trim("name"), F.lit("")), "sku", F.lit("")).alias("shown"))
+
+
+@query("SELECT product_id, CASE WHEN status = 'failed' THEN 0.0 ELSE round(confidence_score, 4) END AS score, CASE WHEN status = 'failed' THEN 0 ELSE missing_fields END AS missing FROM products_v", score="DOUBLE")
+def prj28_persisted(v):
+    ok = F.col("status") != "failed"
+    return v.products_v.select("product_id", F.when(ok, F.round("confidence_score", 4)).otherwise(0.0).alias("score"), F.when(ok, F.col("missing_fields")).otherwise(0).alias("missing"))
+
+
+@query("SELECT product_id, concat_ws(' ', brand, name, sku) AS query FROM products_v")
+def prj29_query_text(v):
+    return v.products_v.select("product_id", F.concat_ws(" ", "brand", "name", "sku").alias("query"))
+
+
+@query("SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS name, substring(replace(regexp_extract(url, '([^/?#]*)([?#].*)?$', 1), '-', '_'), 1, 30) AS sku FROM pages")
+def prj31_url_names(v):
+    return v.pages.select("page_id", F.regexp_extract("url", "://([^/?#]*)", 1).alias("name"), F.substring(F.replace(F.regexp_extract("url", "([^/?#]*)([?#].*)?$", 1), F.lit("-"), F.lit("_")), 1, 30).alias("sku"))
+
+
+@query("SELECT evidence_id AS id, 'document' AS modality, content, score AS confidence FROM evidence_v UNION ALL SELECT event_id, 'media', content, NULL FROM timeline_v")
+def prj32_canonical_evidence(v):
+    docs = v.evidence_v.select(F.col("evidence_id").alias("id"), F.lit("document").alias("modality"), "content", F.col("score").alias("confidence"))
+    media = v.timeline_v.select(F.col("event_id").alias("id"), F.lit("media").alias("modality"), "content")
+    return docs.unionByName(media, allowMissingColumns=True)
+
+
+@query("WITH b AS (SELECT DISTINCT p_brand AS brand, lower(trim(p_brand)) AS k, CAST(regexp_extract(p_brand, '[0-9]+') AS INT) AS pos FROM part), q AS (SELECT product_id, lower(trim(CASE WHEN product_id % 3 = 0 THEN regexp_extract(brand, '#[0-9]+') ELSE brand END)) AS k FROM products_v WHERE brand LIKE 'Brand%') SELECT q.product_id, coalesce(e.brand, f.brand) AS brand FROM q LEFT JOIN b e ON e.k = q.k LEFT JOIN (SELECT q.k, min_by(b.brand, b.pos) AS brand FROM (SELECT DISTINCT k FROM q) q JOIN b ON contains(b.k, q.k) GROUP BY q.k) f ON f.k = q.k")
+def jon03_brand_lookup(v):
+    brands = v.part.select(F.col("p_brand").alias("brand"), F.lower(F.trim("p_brand")).alias("bk"), F.regexp_extract("p_brand", "[0-9]+", 0).cast("int").alias("pos")).distinct()
+    asked = v.products_v.filter("brand LIKE 'Brand%'").select("product_id", F.lower(F.trim(F.when(F.col("product_id") % 3 == 0, F.regexp_extract("brand", "#[0-9]+", 0)).otherwise(F.col("brand")))).alias("k"))
+    exact = asked.join(catalog(brands.select(F.col("bk").alias("k"), F.col("brand").alias("exact"))), "k", "left")
+    missed = exact.filter("exact IS NULL").select("k").distinct()
+    # Only distinct texts without an exact hit meet the brands, through pieces that both hold: a brand's suffixes from '#'.
+    held = brands.select("brand", "pos", F.explode(F.array(F.concat(F.lit("#"), F.col("pos").cast("string")), "bk")).alias("k"))
+    prefixes = held.select("brand", "pos", F.explode(F.expr("transform(sequence(1, length(k)), i -> substring(k, 1, i))")).alias("k"))
+    near = missed.join(prefixes.hint("merge"), "k").groupBy("k").agg(F.min_by("brand", "pos").alias("near"))
+    return exact.join(near.hint("merge"), "k", "left").select("product_id", F.coalesce("exact", "near").alias("brand"))
+
+
+_LOV = "(SELECT DISTINCT p_type AS category, p_brand AS allowed FROM part WHERE p_partkey % 2 = 0)"
+
+
+@query(f"SELECT p.product_id, EXISTS (SELECT 1 FROM {_LOV} l WHERE lower(l.category) = lower(p.category) AND lower(l.allowed) = lower(p.brand)) AS allowed FROM products_v p")
+def jon04_allowed_values(v):
+    lov = v.part.filter("p_partkey % 2 = 0").select(F.lower("p_type").alias("c"), F.lower("p_brand").alias("b"), F.lit(True).alias("hit")).distinct()
+    return v.products_v.select("product_id", F.lower("category").alias("c"), F.lower("brand").alias("b")).join(catalog(lov), ["c", "b"], "left").select("product_id", F.coalesce("hit", F.lit(False)).alias("allowed"))
+
+
+@query(f"SELECT category, array_to_string(list_sort(list(allowed)), ',') AS allowed FROM {_LOV} GROUP BY 1")
+def jon05_value_lists(v):
+    lov = v.part.filter("p_partkey % 2 = 0").select(F.col("p_type").alias("category"), F.col("p_brand").alias("allowed")).distinct()
+    return lov.groupBy("category").agg(F.array_join(F.sort_array(F.collect_list("allowed")), ",").alias("allowed"))
+
+
+@query(f"SELECT attribute_id, {_UNIT} AS unit FROM attributes_v WHERE {_NUMBER} IS NOT NULL")
+def jon06_unit_synonyms(v):
+    """Units by a key table of all spellings, as a join."""
+    spark = v.spark
+    keys = spark.range(1).select(F.explode(F.create_map(*[F.lit(x) for pair in X.UNITS.items() for x in pair])).alias("k", "unit"))
+    asked = v.attributes_v.filter(X.number(F.col("value")).isNotNull()).select("attribute_id", X.raw_unit(F.col("value")).alias("raw"))
+    return asked.join(F.broadcast(keys), F.lower(F.trim("raw")) == F.col("k"), "left").select("attribute_id", F.coalesce("unit", F.trim("raw")).alias("unit"))
+
+
+@query("SELECT attribute_id, CASE regexp_replace(value, '[\" ]|in', '', 'g') WHEN '1/2' THEN 0.5 WHEN '1/4' THEN 0.25 WHEN '3/4' THEN 0.75 END AS decimal_value FROM attributes_v WHERE contains(value, '/')", decimal_value="DOUBLE")
+def jon07_fractions(v):
+    table = {"1/2": 0.5, "1/4": 0.25, "3/4": 0.75}
+    return v.attributes_v.filter(F.col("value").contains("/")).select("attribute_id", P.lookup(F.regexp_replace("value", "[\" ]|in", ""), table).alias("decimal_value"))
+
+
+@query("SELECT product_id, sku FROM (SELECT product_id, sku, count(*) OVER (PARTITION BY tenant_id, sku) AS n FROM products_v) WHERE n > 1")
+def jon08_duplicate_skus(v):
+    counts = v.products_v.groupBy("tenant_id", "sku").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return v.products_v.join(counts.hint("merge"), ["tenant_id", "sku"], "left_semi").select("product_id", "sku")
+
+
+@query("SELECT j.job_id, p.name, j.status FROM (SELECT * FROM jobs_v ORDER BY created_at DESC, job_id LIMIT 100) j LEFT JOIN products_v p ON j.product_id = p.product_id AND j.tenant_id = p.tenant_id")
+def jon09_recent_activity(v):
+    newest = v.jobs_v.orderBy(F.desc("created_at"), "job_id").limit(100)
+    # the 100 jobs are the bounded side
+    return v.products_v.select("product_id", "tenant_id", "name").join(F.broadcast(newest), ["product_id", "tenant_id"], "right").select("job_id", "name", "status")
+
+
+_BUCKET = 600
+
+
+@query("SELECT a.event_id AS a, b.event_id AS b FROM (SELECT * FROM timeline_v WHERE content = 'error') a JOIN (SELECT * FROM timeline_v WHERE content = 'signup') b ON a.media_id = b.media_id AND a.end_s >= b.start_s AND a.start_s <= b.end_s")
+def jon14_interval_overlap(v):
+    """Overlaps by time buckets: each interval is a row per bucket, a pair counts in the first bucket that both hold."""
+    cut = lambda kind, n: v.timeline_v.filter(F.col("content") == kind).select(F.col("event_id").alias(n), "media_id", F.col("start_s").alias(f"s_{n}"), F.col("end_s").alias(f"e_{n}"), F.explode(F.expr(f"sequence(CAST(start_s / {_BUCKET} AS INT), CAST(end_s / {_BUCKET} AS INT))")).alias("bucket"))
+    both = cut("error", "a").join(cut("signup", "b").hint("merge"), ["media_id", "bucket"])
+    first = F.greatest(F.floor(F.col("s_a") / _BUCKET), F.floor(F.col("s_b") / _BUCKET))
+    return both.filter((F.col("e_a") >= F.col("s_b")) & (F.col("s_a") <= F.col("e_b")) & (F.col("bucket") == first)).select("a", "b")
+
+
+@query("SELECT content, count(*) AS n, array_to_string(list_sort(list(evidence_id))[1:3], ',') AS first_ids FROM evidence_v GROUP BY 1 HAVING count(*) > 1")
+def jon15_same_content(v):
+    same = v.evidence_v.groupBy(F.sha2("content", 256).alias("h")).agg(F.first("content").alias("content"), F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("evidence_id")).alias("ids")).filter("n > 1")
+    return same.select("content", "n", F.array_join(F.slice("ids", 1, 3), ",").alias("first_ids"))
+
+
+_WORDS = "list_filter(string_split(lower(name), ' '), lambda w: length(w) > 3)[1:3]"
+
+
+@query(f"SELECT p.product_id, count(*) FILTER (WHERE list_has_any([contains(lower(e.content), w) FOR w IN {_WORDS}], [true])) > 0 AS supported FROM (SELECT product_id, name FROM products_v WHERE product_id < 200 AND trim(name) <> '') p JOIN evidence_v e ON e.product_id = p.product_id GROUP BY 1")
+def jon16_evidence_support(v):
+    named = v.products_v.filter("product_id < 200 AND trim(name) <> ''").select("product_id", F.slice(F.filter(F.split(F.lower("name"), " "), lambda w: F.length(w) > 3), 1, 3).alias("words"))
+    both = v.evidence_v.select("product_id", F.lower("content").alias("c")).join(named.hint("merge"), "product_id")
+    return both.groupBy("product_id").agg(F.bool_or(F.exists("words", lambda w: F.col("c").contains(w))).alias("supported"))
+
+
+@query("SELECT evidence_id FROM evidence_v WHERE evidence_id NOT IN (SELECT evidence_id FROM evidence_v WHERE source_type = 'baseline')")
+def jon18_novel_evidence(v):
+    known = v.evidence_v.filter("source_type = 'baseline'").select("evidence_id")
+    return v.evidence_v.select("evidence_id").join(known.hint("merge"), "evidence_id", "left_anti")
+
+
+@query("WITH c AS (SELECT evidence_id AS idx, product_id % 4 AS page, score FROM evidence_v), h AS (SELECT * FROM c WHERE score >= 0.5), n AS (SELECT c.idx, max(0.85 * h.score) AS score FROM h JOIN c ON c.idx IN (h.idx - 1, h.idx + 1) AND c.page = h.page GROUP BY 1) SELECT idx, score FROM h UNION ALL SELECT n.idx, n.score FROM n WHERE n.idx NOT IN (SELECT idx FROM h)")
+def jon19_neighbour_chunks(v):
+    chunks = v.evidence_v.select(F.col("evidence_id").alias("idx"), (F.col("product_id") % 4).alias("page"), "score")
+    hits = chunks.filter("score >= 0.5")
+    asked = hits.select(F.explode(F.array(F.col("idx") - 1, F.col("idx") + 1)).alias("idx"), "page", (F.col("score") * 0.85).alias("near")).groupBy("idx", "page").agg(F.max("near").alias("near"))
+    near = chunks.join(asked.hint("merge"), ["idx", "page"]).groupBy("idx").agg(F.max("near").alias("score"))
+    return hits.select("idx", "score").unionByName(near.join(hits.select("idx").hint("merge"), "idx", "left_anti").select("idx", "score"))
+
+
+@query("SELECT a.product_id, a.key, count(DISTINCT e.evidence_id) AS mentions FROM (SELECT DISTINCT product_id, key FROM attributes_v WHERE product_id < 200) a JOIN evidence_v e ON e.product_id = a.product_id WHERE contains(lower(e.content), lower(substring(a.key, 1, 2))) GROUP BY 1, 2")
+def jon21_attribute_mentions(v):
+    asked = v.attributes_v.filter("product_id < 200").select("product_id", "key").distinct()
+    both = v.evidence_v.select("product_id", "evidence_id", F.lower("content").alias("c")).join(asked.hint("merge"), "product_id")
+    return both.filter(F.col("c").contains(F.lower(F.substring("key", 1, 2)))).groupBy("product_id", "key").agg(F.countDistinct("evidence_id").alias("mentions"))
+
+
+@query("SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)idiot|worthless|all rights reserved|confidential')")
+def jon22_forbidden_phrases(v):
+    return v.documents.filter(F.col("text").rlike("(?i)idiot|worthless|all rights reserved|confidential")).select("doc_id")
+
+
+@query(f"WITH p AS (SELECT count(*) AS products, count(*) FILTER (WHERE status = 'verified') AS verified, count(*) FILTER (WHERE {_LEVEL} = 'HIGH') AS high, sum(missing_fields) AS missing FROM products_v WHERE tenant_id = 't1'), j AS (SELECT count(*) AS jobs, round(count(*) FILTER (WHERE status = 'COMPLETED') / CAST(count(*) AS DOUBLE), 4) AS success_rate FROM jobs_v WHERE tenant_id = 't1') SELECT * FROM p, j", missing="BIGINT")
+def agg01_dashboard(v):
+    level = P.confidence_level(F.col("confidence_score"), F.col("conflict_fields"))
+    p = v.products_v.filter("tenant_id = 't1'").agg(F.count(F.lit(1)).alias("products"), F.count_if(F.col("status") == "verified").alias("verified"), F.count_if(level == "HIGH").alias("high"), F.sum("missing_fields").alias("missing"))
+    j = v.jobs_v.filter("tenant_id = 't1'").agg(F.count(F.lit(1)).alias("jobs"), F.round(F.count_if(F.col("status") == "COMPLETED") / F.count(F.lit(1)), 4).alias("success_rate"))
+    return p.crossJoin(F.broadcast(j))  # one row each
+
+
+@query("SELECT coalesce(category, 'General') AS category, count(*) AS n FROM products_v GROUP BY 1")
+def agg02_categories(v):
+    return v.products_v.groupBy(F.coalesce("category", F.lit("General")).alias("category")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT CAST(created_at AS DATE) AS day, count(*) AS total, count(*) FILTER (WHERE status = 'COMPLETED') AS completed, count(*) FILTER (WHERE status = 'FAILED') AS failed FROM jobs_v GROUP BY 1")
+def agg03_job_trend(v):
+    return v.jobs_v.groupBy(F.to_date("created_at").alias("day")).agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("status") == "COMPLETED").alias("completed"), F.count_if(F.col("status") == "FAILED").alias("failed"))
+
+
+@query("SELECT tenant_id, count(*) FILTER (WHERE status = 'COMPLETED') AS completed, count(*) FILTER (WHERE status = 'PROCESSING') AS processing, count(*) FILTER (WHERE status = 'FAILED') AS failed FROM jobs_v GROUP BY 1")
+def agg04_batch_summary(v):
+    return v.jobs_v.groupBy("tenant_id").agg(*[F.count_if(F.col("status") == s).alias(s.lower()) for s in ("COMPLETED", "PROCESSING", "FAILED")])
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (WHERE resolved) AS resolved, count(*) FILTER (WHERE type = 'CONFLICT') AS conflict, count(*) FILTER (WHERE severity = 'CRITICAL' AND NOT resolved) AS needs_attention FROM issues_v")
+def agg05_validation_summary(v):
+    return v.issues_v.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("resolved")).alias("resolved"), F.count_if(F.col("type") == "CONFLICT").alias("conflict"), F.count_if((F.col("severity") == "CRITICAL") & ~F.col("resolved")).alias("needs_attention"))
+
+
+_METRICS = "SELECT product_id, count(*) AS n, round(avg(score), 4) AS mean_score, count(DISTINCT source_type) AS types, bool_or(starts_with(source_type, 'manufacturer')) AS from_manufacturer FROM evidence_v GROUP BY 1"
+
+
+@query(_METRICS)
+def agg06_evidence_metrics(v):
+    return P.evidence_metrics(v.evidence_v, ["product_id"])
+
+
+_REQUIRED = ("the", "was", "des", "ung", "zebra")
+
+
+@query("SELECT product_id, round((" + " + ".join(f"CAST(bool_or(contains(lower(content), '{w}')) AS INT)" for w in _REQUIRED) + f") / {len(_REQUIRED)}.0, 4) AS coverage FROM evidence_v GROUP BY 1", coverage="DOUBLE")
+def agg07_requirement_coverage(v):
+    low = F.lower("content")
+    hits = [F.bool_or(low.contains(w)).cast("int") for w in _REQUIRED]
+    total = hits[0]
+    for h in hits[1:]:
+        total = total + h
+    return v.evidence_v.groupBy("product_id").agg(F.round(total / float(len(_REQUIRED)), 4).alias("coverage"))
+
+
+@query(f"WITH m AS ({_METRICS}) SELECT product_id, CASE WHEN n < 2 THEN 'INSUFFICIENT' WHEN mean_score >= 0.5 AND types >= 2 AND from_manufacturer THEN 'SUFFICIENT' WHEN mean_score >= 0.3 THEN 'PARTIAL' ELSE 'INSUFFICIENT' END AS decision FROM m")
+def agg08_sufficiency(v):
+    m = P.evidence_metrics(v.evidence_v, ["product_id"])
+    return m.select("product_id", F.when(F.col("n") < 2, "INSUFFICIENT").when((F.col("mean_score") >= 0.5) & (F.col("types") >= 2) & F.col("from_manufacturer"), "SUFFICIENT").when(F.col("mean_score") >= 0.3, "PARTIAL").otherwise("INSUFFICIENT").alias("decision"))
+
+
+@query("SELECT product_id, count(*) AS total, count(value) AS populated, count(*) - count(value) AS missing, count(*) FILTER (WHERE status = 'CONFLICTING') AS conflicting, round(count(value) / CAST(count(*) AS DOUBLE), 4) AS completeness FROM attributes_v GROUP BY 1")
+def agg09_field_metrics(v):
+    n, full = F.count(F.lit(1)), F.count("value")
+    return v.attributes_v.groupBy("product_id").agg(n.alias("total"), full.alias("populated"), (n - full).alias("missing"), F.count_if(F.col("status") == "CONFLICTING").alias("conflicting"), F.round(full / n, 4).alias("completeness"))
+
+
+_AUTH = _map(f"({_SOURCE})", P.AUTHORITY, "0.2")
+_DIRECT = "CASE a.status WHEN 'DIRECTLY_SUPPORTED' THEN 1.0 WHEN 'INFERRED' THEN 0.4 WHEN 'CONFLICTING' THEN 0.3 ELSE 0.0 END"
+_CONF = f"e AS (SELECT product_id, max(CAST({_AUTH} AS DOUBLE)) AS authority, avg(score) AS quality, count(*) AS n, bool_or(evidence_class = 'VERIFIED') AS verified FROM evidence_v GROUP BY 1), conf AS (SELECT a.attribute_id, a.product_id, round(least(greatest(coalesce(authority, 0.1) * 0.3 + CAST({_DIRECT} AS DOUBLE) * 0.3 + coalesce(quality, 0.0) * 0.2 + CAST(CASE WHEN n >= 2 THEN 0.9 WHEN n = 1 THEN 0.5 ELSE 0.0 END AS DOUBLE) * 0.2 - (CASE WHEN a.status = 'INFERRED' THEN 0.03 ELSE 0.0 END + CASE WHEN a.value IS NULL THEN 0.1 ELSE 0.0 END + CASE WHEN verified THEN 0.0 ELSE 0.05 END), 0.0), 1.0), 4) AS score FROM attributes_v a LEFT JOIN e ON a.product_id = e.product_id)"
+
+
+@query(f"WITH {_CONF} SELECT attribute_id, round(score, 2) AS score FROM conf")
+def agg10_field_confidence(v):
+    return P.field_confidence(v.attributes_v, v.evidence_v).select("attribute_id", F.round("score", 2).alias("score"))
+
+
+@query(f"WITH {_CONF} SELECT product_id, round(avg(score), 8) AS score FROM conf GROUP BY 1")
+def agg11_product_confidence(v):
+    return P.field_confidence(v.attributes_v, v.evidence_v).groupBy("product_id").agg(F.round(F.avg("score"), 8).alias("score"))
+
+
+@query("WITH p AS (SELECT product_id, least(count(*) / 10.0, 1.0) AS coverage, avg(score) AS quality, avg(CASE WHEN evidence_class = 'VERIFIED' THEN 1.0 ELSE 0.0 END) AS agreement FROM evidence_v GROUP BY 1) SELECT product_id, round((coverage + quality + agreement) / 3, 2) AS composite FROM p")
+def agg12_composite(v):
+    p = v.evidence_v.groupBy("product_id").agg(F.least(F.count(F.lit(1)) / 10.0, F.lit(1.0)).alias("c"), F.avg("score").alias("q"), F.avg(F.when(F.col("evidence_class") == "VERIFIED", 1.0).otherwise(0.0)).alias("a"))
+    return p.select("product_id", F.round((F.col("c") + F.col("q") + F.col("a")) / 3, 2).alias("composite"))
+
+
+@query("SELECT media_id, round((0.35 * coalesce(o, 0) + 0.35 * coalesce(s, 0) + 0.2 * coalesce(f, 0)) / nullif(0.35 * CAST(o IS NOT NULL AS INT) + 0.35 * CAST(s IS NOT NULL AS INT) + 0.2 * CAST(f IS NOT NULL AS INT), 0), 2) AS score FROM (SELECT media_id, avg(end_s - start_s) FILTER (WHERE content = 'view') AS o, avg(end_s - start_s) FILTER (WHERE content = 'click') AS s, avg(end_s - start_s) FILTER (WHERE content = 'error') AS f FROM timeline_v GROUP BY 1)")
+def agg13_media_confidence(v):
+    span = F.col("end_s") - F.col("start_s")
+    m = v.timeline_v.groupBy("media_id").agg(*[F.avg(F.when(F.col("content") == c, span)).alias(n) for c, n in (("view", "o"), ("click", "s"), ("error", "f"))])
+    weights = {"o": 0.35, "s": 0.35, "f": 0.2}
+    top = sum((w * F.coalesce(c, F.lit(0.0)) for c, w in weights.items()), F.lit(0.0))
+    under = sum((w * F.col(c).isNotNull().cast("int") for c, w in weights.items()), F.lit(0.0))
+    return m.select("media_id", F.round(F.try_divide(top, under), 2).alias("score"))
+
+
+@query("SELECT product_id, 0 AS place, concat_ws(' ', brand, name) AS target FROM products_v WHERE missing_fields > 0 UNION ALL SELECT product_id, k, concat_ws(' ', brand, name, 'field ' || CAST(k AS VARCHAR)) FROM products_v, LATERAL (SELECT unnest(range(1, missing_fields + 1)) AS k) WHERE missing_fields > 0", place="INTEGER")
+def agg14_research_plan(v):
+    need = v.products_v.filter("missing_fields > 0")
+    general = need.select("product_id", F.lit(0).alias("place"), F.concat_ws(" ", "brand", "name").alias("target"))
+    each = need.select("product_id", "brand", "name", F.explode(F.sequence(F.lit(1), F.col("missing_fields"))).alias("place"))
+    return general.unionByName(each.select("product_id", "place", F.concat_ws(" ", "brand", "name", F.concat(F.lit("field "), F.col("place").cast("string"))).alias("target")))
+
+
+_COVER = "t AS (SELECT p_brand AS industry, count(DISTINCT p_type) AS categories FROM part GROUP BY 1), d AS (SELECT 'Brand#' || CAST(doc_id % 7 AS VARCHAR) AS industry, count(DISTINCT source) AS datasets, sum(strlen(text)) AS bytes FROM documents GROUP BY 1), cover AS (SELECT coalesce(t.industry, d.industry) AS industry, coalesce(categories, 0) AS categories, coalesce(datasets, 0) AS datasets, coalesce(bytes, 0) AS bytes, CASE WHEN coalesce(datasets, 0) = 0 THEN 'NONE' WHEN datasets < 2 THEN 'LOW' WHEN datasets < 4 THEN 'MEDIUM' ELSE 'HIGH' END AS level FROM t FULL JOIN d ON t.industry = d.industry)"
+
+
+def _coverage(v):
+    t = v.part.groupBy(F.col("p_brand").alias("industry")).agg(F.countDistinct("p_type").alias("categories"))
+    d = v.documents.groupBy(F.concat(F.lit("Brand#"), (F.col("doc_id") % 7).cast("string")).alias("industry")).agg(F.countDistinct("source").alias("datasets"), F.sum(F.octet_length("text")).alias("bytes"))
+    both = t.join(d.hint("merge"), "industry", "full").na.fill(0, ["categories", "datasets", "bytes"])
+    return both.withColumn("level", F.when(F.col("datasets") == 0, "NONE").when(F.col("datasets") < 2, "LOW").when(F.col("datasets") < 4, "MEDIUM").otherwise("HIGH"))
+
+
+@query(f"WITH {_COVER} SELECT * FROM cover", bytes="BIGINT")
+def agg31_industry_coverage(v):
+    return _coverage(v)
+
+
+@query(f"WITH {_COVER} SELECT industry, level, concat_ws(',', CASE WHEN categories = 0 THEN 'categories' END, CASE WHEN datasets = 0 THEN 'datasets' END) AS missing FROM cover WHERE level IN ('NONE', 'LOW')")
+def agg32_gap_report(v):
+    return _coverage(v).filter("level IN ('NONE', 'LOW')").select("industry", "level", F.concat_ws(",", F.when(F.col("categories") == 0, "categories"), F.when(F.col("datasets") == 0, "datasets")).alias("missing"))
+
+
+@query("SELECT count(DISTINCT source) AS datasets, count(DISTINCT lang) AS industries, sum(strlen(text)) AS bytes FROM documents", bytes="BIGINT")
+def agg33_baseline_status(v):
+    return v.documents.agg(F.countDistinct("source").alias("datasets"), F.countDistinct("lang").alias("industries"), F.sum(F.octet_length("text")).alias("bytes"))
+
+
+@query("SELECT sum(strlen(text)) AS all_bytes, sum(strlen(text)) FILTER (WHERE doc_id % 2 = 0) AS permanent_bytes FROM documents", all_bytes="BIGINT", permanent_bytes="BIGINT")
+def agg34_registry_size(v):
+    size = F.octet_length("text")
+    return v.documents.agg(F.sum(size).alias("all_bytes"), F.sum(F.when(F.col("doc_id") % 2 == 0, size)).alias("permanent_bytes"))
+
+
+@query("SELECT product_id, lower(trim(key)) AS name, count(DISTINCT value) AS variations FROM attributes_v GROUP BY 1, 2 HAVING count(DISTINCT value) > 1")
+def agg35_conflicts(v):
+    return v.attributes_v.groupBy("product_id", F.lower(F.trim("key")).alias("name")).agg(F.countDistinct("value").alias("variations")).filter("variations > 1")
+
+
+@query("SELECT product_id, lower(key) AS name, count(*) AS n FROM attributes_v GROUP BY 1, 2 HAVING count(*) > 1")
+def agg36_duplicate_names(v):
+    return v.attributes_v.groupBy("product_id", F.lower("key").alias("name")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+
+
+@query("SELECT count(*) FILTER (WHERE score >= 0.3) AS active, count(*) FILTER (WHERE score < 0.3) AS expired, sum(length(content)) FILTER (WHERE score >= 0.3) AS active_chars, count(DISTINCT source) FILTER (WHERE score >= 0.3) AS sources FROM evidence_v", active_chars="BIGINT")
+def agg37_cache_statistics(v):
+    live = F.col("score") >= 0.3
+    return v.evidence_v.agg(F.count_if(live).alias("active"), F.count_if(~live).alias("expired"), F.sum(F.when(live, F.char_length("content"))).alias("active_chars"), F.countDistinct(F.when(live, F.col("source"))).alias("sources"))
+
+
+_ISSUES = f"issues AS (SELECT product_id, rule, severity FROM (SELECT *, count(*) OVER (PARTITION BY tenant_id, sku) AS copies FROM products_v) p, LATERAL (VALUES ('missing_name', 'CRITICAL', {_clean('name')} IS NULL), ('missing_brand', 'HIGH', {_clean('brand')} IS NULL), ('missing_category', 'HIGH', category IS NULL), ('duplicate_sku', 'CRITICAL', copies > 1), ('conflicts', 'HIGH', conflict_fields > 0)) r(rule, severity, broken) WHERE broken)"
+
+
+@query(f"WITH {_ISSUES} SELECT * FROM issues")
+def set03_issue_union(v):
+    return P.validation_issues(v.products_v)
+
+
+@query(f"WITH {_ISSUES}, s AS (SELECT product_id, count(*) AS issues, count(*) FILTER (WHERE severity = 'CRITICAL') AS critical FROM issues GROUP BY 1) SELECT p.product_id, coalesce(issues, 0) AS issues, CASE WHEN critical > 0 THEN 'FAILED' WHEN issues > 0 THEN 'NEEDS_REVIEW' ELSE 'PASS' END AS status, CASE WHEN critical > 0 THEN 40 WHEN issues > 0 THEN 75 ELSE 98 END AS score FROM products_v p LEFT JOIN s ON p.product_id = s.product_id")
+def agg40_validation_run(v):
+    return P.validation_run(v.products_v)
+
+
+@query(f"WITH {_ISSUES} SELECT rule, severity, count(*) AS broken FROM issues GROUP BY 1, 2")
+def agg41_validation_report(v):
+    return P.validation_issues(v.products_v).groupBy("rule", "severity").agg(F.count(F.lit(1)).alias("broken"))
+
+
+@query("SELECT sum(strlen(html)) AS bytes, round(100.0 * sum(strlen(html)) / 2147483648, 2) AS percent FROM pages", bytes="BIGINT", percent="DOUBLE")
+def agg43_storage(v):
+    total = F.sum(F.octet_length("html"))
+    return v.pages.agg(total.alias("bytes"), F.round(total * 100.0 / 2147483648, 2).alias("percent"))
+
+
+@query("SELECT product_id, CASE WHEN t / n > 0.5 THEN 'table' WHEN m / n > 0.4 THEN 'image' ELSE 'text' END AS kind FROM (SELECT product_id, CAST(count(*) AS DOUBLE) AS n, count(*) FILTER (WHERE page % 2 = 0) AS t, count(*) FILTER (WHERE page % 3 = 0) AS m FROM attributes_v GROUP BY 1)")
+def agg47_document_kind(v):
+    n = F.count(F.lit(1))
+    per = v.attributes_v.groupBy("product_id").agg((F.count_if(F.col("page") % 2 == 0) / n).alias("t"), (F.count_if(F.col("page") % 3 == 0) / n).alias("m"))
+    return per.select("product_id", F.when(F.col("t") > 0.5, "table").when(F.col("m") > 0.4, "image").otherwise("text").alias("kind"))
+
+
+@query("SELECT model_id AS group_key, CASE WHEN max(CASE WHEN budget_label LIKE '~%' THEN 1 ELSE 0 END) = 1 THEN 'budget' WHEN max(priority) > 3 THEN 'rpm' ELSE 'label' END AS badge FROM models_v GROUP BY 1")
+def agg49_quota_badge(v):
+    return v.models_v.groupBy(F.col("model_id").alias("group_key")).agg(F.when(F.bool_or(F.col("budget_label").startswith("~")), "budget").when(F.max("priority") > 3, "rpm").otherwise("label").alias("badge"))
+
+
+@query("SELECT p_partkey FROM (SELECT p_partkey, p_size, sum(p_size) OVER (ORDER BY p_retailprice * 100000 + p_partkey) AS upto FROM part) WHERE upto - p_size < 5000")
+def win04_eviction(v):
+    items = v.part.withColumn("used_at", F.col("p_retailprice") * 100000 + F.col("p_partkey"))
+    return P.eviction(items, order="used_at", size="p_size", need=5000).select("p_partkey")
+
+
+_GAP = "WITH t AS (SELECT *, CASE WHEN start_s - max(start_s) OVER (PARTITION BY media_id, content ORDER BY start_s, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 120 THEN 0 ELSE 1 END AS new FROM timeline_v), i AS (SELECT *, sum(new) OVER (PARTITION BY media_id, content ORDER BY start_s, event_id ROWS UNBOUNDED PRECEDING) AS island FROM t)"
+
+
+@query(f"{_GAP} SELECT media_id, content, min(start_s) AS start_s, max(end_s) AS end_s, count(*) AS merged FROM i GROUP BY media_id, content, island")
+def win11_timeline_merge(v):
+    w = W.partitionBy("media_id", "content").orderBy("start_s", "event_id")
+    t = v.timeline_v.withColumn("new", F.when(F.col("start_s") - F.lag("start_s").over(w) <= 120, 0).otherwise(1)).withColumn("island", F.sum("new").over(w))
+    return t.groupBy("media_id", "content", "island").agg(F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"), F.count(F.lit(1)).alias("merged")).drop("island")
+
+
+@query("SELECT media_id, bool_and(coalesce(ok, true)) AS ordered FROM (SELECT media_id, lag(start_s) OVER (PARTITION BY media_id ORDER BY event_id) <= start_s AS ok FROM timeline_v) GROUP BY 1")
+def win12_order_check(v):
+    w = W.partitionBy("media_id").orderBy("event_id")
+    t = v.timeline_v.select("media_id", F.coalesce(F.lag("start_s").over(w) <= F.col("start_s"), F.lit(True)).alias("ok"))
+    return t.groupBy("media_id").agg(F.bool_and("ok").alias("ordered"))
+
+
+@query("SELECT product_id, max(value) FILTER (WHERE rn = 1) AS value_1, max(value) FILTER (WHERE rn = 2) AS value_2, max(value) FILTER (WHERE rn = 3) AS value_3 FROM (SELECT product_id, value, row_number() OVER (PARTITION BY product_id ORDER BY attribute_id) AS rn FROM attributes_v WHERE value IS NOT NULL) WHERE rn <= 3 GROUP BY 1")
+def win14_positional_columns(v):
+    w = W.partitionBy("product_id").orderBy("attribute_id")
+    cut = v.attributes_v.filter("value IS NOT NULL").withColumn("rn", F.row_number().over(w)).filter("rn <= 3")
+    return cut.groupBy("product_id").pivot("rn", [1, 2, 3]).agg(F.max("value")).select("product_id", *[F.col(str(i)).alias(f"value_{i}") for i in (1, 2, 3)])
+
+
+@query("SELECT source, substring(content, 1, 50) AS head, min(evidence_id) AS evidence_id FROM evidence_v GROUP BY 1, 2")
+def win23_first_occurrence(v):
+    return v.evidence_v.groupBy("source", F.substring("content", 1, 50).alias("head")).agg(F.min("evidence_id").alias("evidence_id"))
+
+
+@query("SELECT job_id, created_at FROM jobs_v ORDER BY created_at DESC, job_id DESC LIMIT 30")
+def top02_recent_jobs(v):
+    return v.jobs_v.select("job_id", "created_at").orderBy(F.desc("created_at"), F.desc("job_id")).limit(30)
+
+
+@query("SELECT product_id, conflict_fields, missing_fields FROM products_v ORDER BY conflict_fields DESC, missing_fields DESC, category NULLS LAST, product_id LIMIT 40")
+def top04_inspector_order(v):
+    return v.products_v.orderBy(F.desc("conflict_fields"), F.desc("missing_fields"), F.asc_nulls_last("category"), "product_id").limit(40).select("product_id", "conflict_fields", "missing_fields")
+
+
+@query("SELECT job_id, 'completed' AS event FROM jobs_v WHERE status = 'COMPLETED' UNION ALL SELECT job_id, 'failed' FROM jobs_v WHERE status = 'FAILED'")
+def set01_job_events(v):
+    return v.jobs_v.filter("status IN ('COMPLETED', 'FAILED')").select("job_id", F.when(F.col("status") == "COMPLETED", "completed").otherwise("failed").alias("event"))
+
+
+@query("SELECT DISTINCT evidence_id FROM evidence_v WHERE score > 0.8 OR source_type = 'baseline' OR lang = 'fr'")
+def set02_evidence_union(v):
+    e = v.evidence_v
+    return e.filter("score > 0.8").select("evidence_id").unionByName(e.filter("source_type = 'baseline'").select("evidence_id")).unionByName(e.filter("lang = 'fr'").select("evidence_id")).distinct()
+
+
+@query(f"SELECT attribute_id, {_NUMBER} AS number, {_RAW} AS raw_unit FROM attributes_v")
+def fun01_number_unit(v):
+    return v.attributes_v.select("attribute_id", X.number(F.col("value")).alias("number"), X.raw_unit(F.col("value")).alias("raw_unit"))
+
+
+@query(f"SELECT attribute_id, {_UNIT} AS unit FROM attributes_v")
+def fun02_unit_alias(v):
+    return v.attributes_v.select("attribute_id", X.unit(X.raw_unit(F.col("value"))).alias("unit"))
+
+
+@query(f"WITH n AS (SELECT attribute_id, value, {_NUMBER} AS number, {_UNIT} AS u FROM attributes_v) SELECT attribute_id, CASE WHEN number IS NULL THEN trim(value) ELSE concat_ws(' ', CASE WHEN number = floor(number) THEN CAST(CAST(number AS BIGINT) AS VARCHAR) ELSE CAST(number AS VARCHAR) END, nullif(u, '')) END AS display FROM n")
+def fun03_display(v):
+    return P.normalised(v.attributes_v).select("attribute_id", "display")
+
+
+@query(f"WITH n AS (SELECT *, {_NUMBER} AS number, {_UNIT} AS u FROM attributes_v) SELECT product_id, count(number) AS numeric_fields, count(*) - count(number) AS text_fields, round(sum(number), 3) AS total, count(DISTINCT CASE WHEN number IS NOT NULL THEN u END) AS units FROM n GROUP BY 1")
+def fun04_normalised_product(v):
+    n = P.normalised(v.attributes_v)
+    return n.groupBy("product_id").agg(F.count("number").alias("numeric_fields"), (F.count(F.lit(1)) - F.count("number")).alias("text_fields"), F.round(F.sum("number"), 3).alias("total"), F.countDistinct("unit").alias("units"))
+
+
+@query(f"SELECT evidence_id, CAST({_AUTH} AS DOUBLE) AS authority FROM evidence_v")
+def fun25_authority(v):
+    return v.evidence_v.select("evidence_id", P.lookup(P.lookup(F.col("source_type"), P.SOURCE_TYPES, "SECONDARY_SOURCE"), P.AUTHORITY, 0.2).alias("authority"))
+
+
+@query("SELECT product_id, min_by(regexp_extract(value, '[a-zA-Z]+$'), attribute_id) FILTER (WHERE regexp_matches(value, '[a-zA-Z]+$') AND length(value) <= 10) AS unit FROM attributes_v GROUP BY 1")
+def fun26_table_unit(v):
+    tail = F.when(F.col("value").rlike("[a-zA-Z]+$") & (F.length("value") <= 10), F.regexp_extract("value", "[a-zA-Z]+$", 0))
+    return v.attributes_v.groupBy("product_id").agg(F.min_by(tail, F.when(tail.isNotNull(), F.col("attribute_id"))).alias("unit"))
+
+
+@query("SELECT product_id, concat_ws('; ', CASE WHEN conflict_fields > 0 THEN 'conflicts' END, CASE WHEN missing_fields > 0 THEN CAST(missing_fields AS VARCHAR) || ' missing' END, CAST(CAST(round(confidence_score * 100) AS INT) AS VARCHAR) || '%') AS said FROM products_v")
+def fun27_explanation(v):
+    return v.products_v.select("product_id", F.concat_ws("; ", F.when(F.col("conflict_fields") > 0, "conflicts"), F.when(F.col("missing_fields") > 0, F.concat(F.col("missing_fields").cast("string"), F.lit(" missing"))), F.concat(F.round(F.col("confidence_score") * 100).cast("int").cast("string"), F.lit("%"))).alias("said"))
+
+
+@query("SELECT sha256(text) AS hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1")
+def fun28_content_hash(v):
+    return v.documents.groupBy(F.sha2("text", 256).alias("hash")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+
+
+@query("SELECT evidence_id, score >= 0.4 AS indexed FROM evidence_v")
+def str08_idle_expiry(v):
+    return v.evidence_v.select("evidence_id", (F.col("score") >= 0.4).alias("indexed"))
