@@ -1 +1,208 @@
-"""Queries."""
+"""Queries over document texts."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import texts as T
+from .registry import query
+
+_LINES = "lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)"
+_KIND = "CASE WHEN regexp_matches(trim(line), '^(?i)(figure|table) [0-9]') THEN 'caption' WHEN regexp_matches(trim(line), '^\\[[0-9]+\\]') THEN 'footnote' WHEN regexp_matches(trim(line), '^[-*•] ') THEN 'bullet' WHEN regexp_matches(trim(line), '^[0-9]+[.)] ') THEN 'numbered' WHEN trim(line) = upper(trim(line)) AND regexp_matches(trim(line), '[A-Z]') AND length(trim(line)) < 80 THEN 'heading' WHEN length(trim(line)) < 40 AND NOT regexp_matches(trim(line), '[.!?]$') THEN 'subheading' ELSE 'paragraph' END"
+
+
+@query(f"WITH {_LINES} SELECT doc_id, pos, line FROM lines WHERE pos <= 19", pos="BIGINT")
+def src08_first_lines(v):
+    return T.lines(v.documents).filter("pos <= 19")
+
+
+@query(f"WITH {_LINES} SELECT doc_id, trim(regexp_extract(line, '^([^:]{{2,40}}):', 1), ' -*') AS key, trim(regexp_extract(line, '^[^:]{{2,40}}:(.*)$', 1)) AS value FROM lines WHERE regexp_matches(line, '^[^:]{{2,40}}:')")
+def fun05_key_values(v):
+    got = T.lines(v.documents).filter(F.col("line").rlike("^[^:]{2,40}:"))
+    return got.select("doc_id", F.btrim(F.regexp_extract("line", "^([^:]{2,40}):", 1), F.lit(" -*")).alias("key"), F.trim(F.regexp_extract("line", "^[^:]{2,40}:(.*)$", 1)).alias("value"))
+
+
+@query(f"WITH {_LINES} SELECT {_KIND} AS kind, count(*) AS n FROM lines GROUP BY 1")
+def fun06_line_kinds(v):
+    return T.lines(v.documents).groupBy(T.line_kind(F.col("line")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# Shapes of secrets in logs and texts, in order.
+_SECRETS = (r"\bsk-[A-Za-z0-9_/+=-]{8,}", r"\bgsk_[A-Za-z0-9_-]{8,}", r"\bAIza[0-9A-Za-z_-]{20,}", r"\bghp_[A-Za-z0-9]{20,}", r"\bhf_[A-Za-z0-9]{16,}", r"\bAKIA[0-9A-Z]{16}\b", r"\b[A-Za-z0-9]{32,}\b")
+
+
+def _redacted_sql(c: str) -> str:
+    for p in _SECRETS:
+        c = f"regexp_replace({c}, '{p}', '[redacted]', 'g')"
+    return c
+
+
+@query(f"SELECT doc_id, sha256({_redacted_sql('text')}) AS said, {_redacted_sql('text')} <> text AS changed FROM documents")
+def fun07_redaction(v):
+    said = F.col("text")
+    for p in _SECRETS:
+        said = F.regexp_replace(said, p, "[redacted]")
+    return v.documents.select("doc_id", F.sha2(said, 256).alias("said"), (said != F.col("text")).alias("changed"))
+
+
+@query("SELECT doc_id, kind, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, unnest(regexp_extract_all(text, '{p}')) AS span FROM documents" for k, p in T.PROTECTED.items()) + ") GROUP BY 1, 2")
+def fun23_protected_spans(v):
+    found = F.array(*[F.struct(F.lit(k).alias("kind"), F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias("spans")) for k, p in T.PROTECTED.items()])
+    return v.documents.select("doc_id", F.inline(found)).select("doc_id", "kind", F.size("spans").cast("long").alias("n")).filter("n > 0")
+
+
+_NUM = r"[0-9]+(?:\.[0-9]+)?"
+
+
+@query(f"WITH s AS (SELECT doc_id, list_distinct(regexp_extract_all(text, '{_NUM}')) AS spans, substring(text, 1, CAST(floor(length(text) / 2) AS INT)) AS short FROM documents) SELECT doc_id, len(spans) AS spans, len(list_filter(spans, lambda x: contains(short, x))) AS kept FROM s", spans="BIGINT", kept="BIGINT")
+def fun24_fidelity_gate(v):
+    s = v.documents.select("doc_id", F.array_distinct(F.regexp_extract_all("text", F.lit(_NUM), F.lit(0))).alias("spans"), F.expr("substring(text, 1, cast(floor(length(text) / 2) as int))").alias("short"))
+    return s.select("doc_id", F.size("spans").cast("long").alias("spans"), F.size(F.filter("spans", lambda x: F.col("short").contains(x))).cast("long").alias("kept"))
+
+
+@query()
+def txt01_chunks(v):
+    return T.chunks(v.documents)
+
+
+@query()
+def txt02_chunk_index(v):
+    """Chunks with their provenance; ids follow from content, so a rerun replaces rows by equal ones."""
+    rows = T.chunks(v.documents).join(v.documents.select("doc_id", "source", "lang").hint("merge"), "doc_id")
+    return rows.select(F.sha2(F.concat_ws("|", F.col("doc_id").cast("string"), F.col("chunk").cast("string"), "text"), 256).alias("chunk_id"), "doc_id", "chunk", "source", "lang", F.char_length("text").alias("n_chars"))
+
+
+def queries_v(v):
+    words = F.slice(F.split("text", " "), 1, 6)
+    return v.benchmark.select(F.col("item_id").alias("query_id"), F.array_join(words, " ").alias("query"))
+
+
+_ASKED = "q AS (SELECT item_id AS query_id, lower(array_to_string(string_split(text, ' ')[1:6], ' ')) AS phrase FROM benchmark), qt AS (SELECT query_id, phrase, list_distinct(list_filter(string_split_regex(phrase, '[^\\p{L}0-9]+'), lambda t: length(t) > 2)) AS terms FROM q)"
+_HITS = "tok AS (SELECT doc_id, unnest(list_distinct(string_split_regex(lower(text), '[^\\p{L}0-9]+'))) AS t FROM documents), h AS (SELECT query_id, doc_id, count(*) AS n FROM tok JOIN (SELECT query_id, unnest(terms) AS t FROM qt) USING (t) GROUP BY 1, 2), s AS (SELECT query_id, doc_id, round(least(0.5 + CASE WHEN contains(lower(text), phrase) THEN 0.4 ELSE 0.0 END + n * 0.1, 0.99), 4) AS score FROM h JOIN documents USING (doc_id) JOIN qt USING (query_id)), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS place FROM s)"
+
+
+@query(f"WITH {_ASKED}, {_HITS} SELECT query_id, doc_id, score, place FROM ranked WHERE place <= 5", score="DOUBLE", place="INTEGER")
+def txt03_search(v):
+    return T.search(queries_v(v), v.documents)
+
+
+@query(f"WITH {_ASKED}, {_HITS} SELECT query_id, doc_id, score FROM ranked WHERE place <= 20 AND score >= 0.8", score="DOUBLE")
+def top01_top_k(v):
+    return T.search(queries_v(v), v.documents, k=20, least=0.8).select("query_id", "doc_id", "score")
+
+
+@query(f"WITH {_ASKED}, {_HITS} SELECT r.query_id, d.source, d.lang, substring(d.text, 1, 200) AS snippet, r.score FROM ranked r JOIN documents d USING (doc_id) WHERE place <= 5", score="DOUBLE")
+def txt04_evidence_of_hits(v):
+    hits = T.search(queries_v(v), v.documents)
+    return hits.join(v.documents.hint("merge"), "doc_id").select("query_id", "source", "lang", F.substring("text", 1, 200).alias("snippet"), "score")
+
+
+@query(f"WITH {_ASKED}, {_HITS} SELECT query_id, count(*) AS hits, max(score) AS top FROM ranked WHERE place <= 3 GROUP BY 1", top="DOUBLE")
+def agg42_retrieval_check(v):
+    return T.search(queries_v(v), v.documents, k=3).groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"), F.max("score").alias("top"))
+
+
+_STOP = ("the", "and", "of", "to", "in", "for", "that", "with", "was", "is")
+
+
+@query("WITH w AS (SELECT item_id AS query_id, list_filter(string_split_regex(lower(text), '[^\\p{L}0-9]+'), lambda t: length(t) > 0 AND t NOT IN (" + ", ".join(f"'{s}'" for s in _STOP) + ")) AS words FROM benchmark) SELECT query_id, len(words) AS words, array_to_string(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]), '|') AS bigrams FROM w", words="BIGINT")
+def txt05_query_analysis(v):
+    words = F.filter(F.split(F.lower("text"), r"[^\p{L}0-9]+"), lambda t: (t != "") & ~t.isin(*_STOP))
+    w = v.benchmark.select(F.col("item_id").alias("query_id"), words.alias("w"))
+    pairs = F.zip_with(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+    return w.select("query_id", F.size("w").cast("long").alias("words"), F.array_join(pairs, "|").alias("bigrams"))
+
+
+@query(f"WITH {_ASKED}, {_HITS}, m AS (SELECT query_id, doc_id, least((25 * CAST(contains(lower(text), phrase) AS INT) + 10 * n / CAST(len(terms) AS DOUBLE) + 2.5 * (1 + ln(n))) / 45, 1.0) AS score FROM h JOIN documents USING (doc_id) JOIN qt USING (query_id)) SELECT query_id, count(*) FILTER (WHERE score >= 0.2) AS hits, round(max(score), 4) AS top FROM m GROUP BY 1", top="DOUBLE")
+def txt06_hybrid_score(v):
+    asked = queries_v(v).select("query_id", F.lower("query").alias("phrase"), F.array_distinct(F.filter(F.split(F.lower("query"), r"[^\p{L}0-9]+"), lambda t: F.length(t) > 2)).alias("terms"))
+    tokens = v.documents.select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}0-9]+"))).alias("t"))
+    hits = tokens.join(asked.select("query_id", F.explode("terms").alias("t")).hint("merge"), "t").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    both = hits.join(v.documents.select("doc_id", F.lower("text").alias("low")).hint("merge"), "doc_id").join(asked.hint("merge"), "query_id")
+    score = F.least((F.col("low").contains(F.col("phrase")).cast("int") * 25 + F.col("n") * 10 / F.size("terms").cast("double") + (F.log("n") + 1) * 2.5) / 45, F.lit(1.0))
+    return both.select("query_id", score.alias("s")).groupBy("query_id").agg(F.count_if(F.col("s") >= 0.2).alias("hits"), F.round(F.max("s"), 4).alias("top"))
+
+
+@query(f"WITH {_ASKED}, {_HITS} SELECT q.query_id, coalesce(r.n, 0) AS hits, r.n IS NULL AS fallback FROM q LEFT JOIN (SELECT query_id, count(*) AS n FROM ranked JOIN documents USING (doc_id) WHERE place <= 20 AND lang = 'de' GROUP BY 1) r USING (query_id)")
+def txt07_filtered_retrieval(v):
+    hits = T.search(queries_v(v), v.documents, k=20).join(v.documents.filter("lang = 'de'").select("doc_id").hint("merge"), "doc_id", "left_semi").groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    return queries_v(v).select("query_id").join(hits.hint("merge"), "query_id", "left").select("query_id", F.coalesce("n", F.lit(0)).alias("hits"), F.col("n").isNull().alias("fallback"))
+
+
+@query("SELECT p_partkey AS id, concat_ws(' | ', 'name: ' || p_name, 'brand: ' || p_brand, 'size: ' || CAST(p_size AS VARCHAR) || ' mm') AS chunk FROM part")
+def txt08_table_chunks(v):
+    return v.part.select(F.col("p_partkey").alias("id"), F.concat_ws(" | ", F.concat(F.lit("name: "), "p_name"), F.concat(F.lit("brand: "), "p_brand"), F.concat(F.lit("size: "), F.col("p_size").cast("string"), F.lit(" mm"))).alias("chunk"))
+
+
+@query(f"WITH {_LINES} SELECT doc_id, pos, {_KIND} AS block_type, line AS text FROM lines WHERE trim(line) <> ''", pos="BIGINT")
+def txt09_block_chunks(v):
+    return T.lines(v.documents).filter("trim(line) <> ''").select("doc_id", "pos", T.line_kind(F.col("line")).alias("block_type"), F.col("line").alias("text"))
+
+
+@query(f"WITH {_LINES}, k AS (SELECT doc_id, pos, line, sum(CASE WHEN {_KIND} IN ('heading', 'subheading') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS island FROM lines) SELECT doc_id, island AS section, count(*) AS n_lines, sum(length(line)) AS chars FROM k GROUP BY 1, 2", section="BIGINT", chars="BIGINT")
+def txt10_sections(v):
+    flagged = T.islands(T.lines(v.documents), ["doc_id"], ["pos"], T.line_kind(F.col("line")).isin("heading", "subheading"))
+    return flagged.groupBy("doc_id", F.col("island").alias("section")).agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.char_length("line")).alias("chars"))
+
+
+@query(f"WITH {_LINES} SELECT doc_id, pos, len(string_split(line, ' | ')) AS cells, trim(string_split(line, ' | ')[1]) AS first_cell FROM lines WHERE contains(line, ' | ')", pos="BIGINT", cells="BIGINT")
+def txt11_pipe_rows(v):
+    cells = F.split("line", r" \| ")
+    return T.lines(v.documents).filter(F.col("line").contains(" | ")).select("doc_id", "pos", F.size(cells).cast("long").alias("cells"), F.trim(F.get(cells, 0)).alias("first_cell"))
+
+
+@query(f"WITH {_LINES} SELECT doc_id, 'text' AS kind, count(*) AS n, 1.0 AS confidence FROM lines WHERE regexp_matches(line, '^[^:]{{2,40}}:') GROUP BY 1 UNION ALL SELECT doc_id, 'table', count(*), 0.98 FROM lines WHERE contains(line, ' | ') GROUP BY 1", confidence="DOUBLE")
+def txt12_observed_attributes(v):
+    rows = T.lines(v.documents)
+    text = rows.filter(F.col("line").rlike("^[^:]{2,40}:")).groupBy("doc_id").agg(F.lit("text").alias("kind"), F.count(F.lit(1)).alias("n"), F.lit(1.0).alias("confidence"))
+    cells = rows.filter(F.col("line").contains(" | ")).groupBy("doc_id").agg(F.lit("table").alias("kind"), F.count(F.lit(1)).alias("n"), F.lit(0.98).alias("confidence"))
+    return text.unionByName(cells)
+
+
+@query("SELECT media_id, event_id, 'scene' AS kind, start_s FROM timeline_v WHERE content = 'view' UNION ALL SELECT media_id, event_id, 'ocr', start_s FROM timeline_v WHERE content = 'click' UNION ALL SELECT media_id, event_id, 'speech', start_s FROM timeline_v WHERE content = 'purchase'")
+def txt13_timeline(v):
+    parts = [v.timeline_v.filter(F.col("content") == c).select("media_id", "event_id", F.lit(k).alias("kind"), "start_s") for c, k in (("view", "scene"), ("click", "ocr"), ("purchase", "speech"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("SELECT event_id, content || ' at ' || CAST(CAST(start_s AS INT) AS VARCHAR) || ' s' AS said FROM timeline_v")
+def txt14_media_evidence(v):
+    return v.timeline_v.select("event_id", F.format_string("%s at %d s", "content", F.col("start_s").cast("int")).alias("said"))
+
+
+@query(f"WITH {_LINES} SELECT doc_id, sha256(string_agg(CAST(pos AS VARCHAR) || ' ' || {_KIND} || ' ' || line, chr(10) ORDER BY pos)) AS said FROM lines GROUP BY 1")
+def txt15_assembled_text(v):
+    rows = T.lines(v.documents).select("doc_id", F.struct("pos", F.concat_ws(" ", F.col("pos").cast("string"), T.line_kind(F.col("line")), "line").alias("l")).alias("x"))
+    return rows.groupBy("doc_id").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["l"]), "\n"), 256).alias("said"))
+
+
+@query("SELECT l_orderkey AS image_id, count(*) FILTER (WHERE l_linenumber % 2 = 0) AS specifications, round(coalesce(avg(CASE WHEN l_tax > 0.04 THEN l_discount END), 0.85), 8) AS confidence FROM lineitem GROUP BY 1")
+def txt16_image_summary(v):
+    return v.lineitem.groupBy(F.col("l_orderkey").alias("image_id")).agg(F.count_if(F.col("l_linenumber") % 2 == 0).alias("specifications"), F.round(F.coalesce(F.avg(F.when(F.col("l_tax") > 0.04, F.col("l_discount"))), F.lit(0.85)), 8).alias("confidence"))
+
+
+@query(f"WITH {_LINES}, c AS (SELECT *, coalesce(lag(line) OVER (PARTITION BY doc_id ORDER BY pos) <> line, true) AS changed FROM lines), i AS (SELECT *, sum(CAST(changed AS INT)) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS island FROM c) SELECT doc_id, min(pos) AS pos, count(*) AS n FROM i GROUP BY doc_id, island HAVING count(*) > 1", pos="BIGINT")
+def win19_line_runs(v):
+    from pyspark.sql import Window as W
+
+    rows = T.lines(v.documents)
+    changed = F.coalesce(F.lag("line").over(W.partitionBy("doc_id").orderBy("pos")) != F.col("line"), F.lit(True))
+    runs = T.islands(rows.withColumn("changed", changed), ["doc_id"], ["pos"], F.col("changed"))
+    return runs.groupBy("doc_id", "island").agg(F.min("pos").alias("pos"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("island")
+
+
+@query(f"WITH {_LINES}, n AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS total FROM lines) SELECT doc_id, count(*) FILTER (WHERE pos <= 5 OR pos > total - 3 OR regexp_matches(line, '[0-9]')) AS kept, count(*) FILTER (WHERE NOT (pos <= 5 OR pos > total - 3 OR regexp_matches(line, '[0-9]'))) AS omitted FROM n GROUP BY 1")
+def win20_head_tail(v):
+    rows = v.documents.select("doc_id", F.split("text", "\n").alias("a")).select("doc_id", F.size("a").alias("total"), F.posexplode("a").alias("pos", "line"))
+    keep = (F.col("pos") < 5) | (F.col("pos") >= F.col("total") - 3) | F.col("line").rlike("[0-9]")
+    return rows.groupBy("doc_id").agg(F.count_if(keep).alias("kept"), F.count_if(~keep).alias("omitted"))
+
+
+@query(f"WITH {_LINES}, s AS (SELECT doc_id, pos, line, sum(length(line)) OVER (PARTITION BY doc_id ORDER BY length(line) DESC, pos ROWS UNBOUNDED PRECEDING) AS upto, sum(length(line)) OVER (PARTITION BY doc_id) AS total FROM lines) SELECT doc_id, count(*) AS kept, sum(length(line)) AS chars FROM s WHERE upto <= greatest(total / 2, 200) GROUP BY 1", chars="BIGINT")
+def win21_budgeted_drop(v):
+    from pyspark.sql import Window as W
+
+    rows = T.lines(v.documents).withColumn("n", F.char_length("line"))
+    upto = F.sum("n").over(W.partitionBy("doc_id").orderBy(F.desc("n"), "pos").rowsBetween(W.unboundedPreceding, 0))
+    s = rows.withColumn("upto", upto).withColumn("total", F.sum("n").over(W.partitionBy("doc_id")))
+    return s.filter(F.col("upto") <= F.greatest(F.col("total") / 2, F.lit(200))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("kept"), F.sum("n").alias("chars"))

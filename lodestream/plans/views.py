@@ -60,6 +60,11 @@ VIEWS: dict[str, tuple[str, list[str], str | None]] = {
         "CASE doc_id % 5 WHEN 0 THEN 'manufacturer_document' WHEN 1 THEN 'manufacturer_website' WHEN 2 THEN 'distributor_document' WHEN 3 THEN 'baseline' ELSE 'user_upload' END AS source_type",
         "CASE WHEN doc_id % 2 = 0 THEN 'VERIFIED' ELSE 'PROVISIONAL' END AS evidence_class", "source", "lang",
     ], None),
+    "turns_v": ("conversations", [
+        "conv_id", "turn", "role",
+        "CASE WHEN role = 'assistant' AND conv_id % 3 = 0 THEN '<think>plan ' || CAST(conv_id AS STRING) || '</think> ' || text WHEN role = 'system' THEN 'Be brief.   ' ELSE text END AS text",
+        "'file' || CAST(conv_id % 4 AS STRING) || '.txt' AS path", "CASE turn % 3 WHEN 0 THEN 'read' WHEN 1 THEN 'write' ELSE 'say' END AS action",
+    ], None),
     "timeline_v": ("events", [
         "event_id", "CAST(ts AS DATE) AS media_id", "(extract(hour FROM ts) * 3600 + extract(minute FROM ts) * 60) / CAST(1 AS DOUBLE) AS start_s",
         "(extract(hour FROM ts) * 3600 + extract(minute FROM ts) * 60) / CAST(1 AS DOUBLE) + value AS end_s", "event_type AS content",
