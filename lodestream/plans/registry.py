@@ -30,4 +30,4 @@ def query(sql: str | None = None, **types: str) -> Callable:
     return register
 
 
-from . import conversations, products, requests, texts  # noqa: E402, F401  they register their queries
+from . import catalogs, conversations, products, requests, streams, texts  # noqa: E402, F401  they register their queries
