@@ -9,7 +9,10 @@ from ..operators import requests as R
 from .registry import query
 from .views import NOW
 
-now = F.expr(NOW)
+
+def now():
+    return F.expr(NOW)
+
 
 _CASE_ERROR = "CASE " + " ".join(f"WHEN {' OR '.join(f'error ILIKE {chr(39)}{p}{chr(39)}' for p in ps)} THEN '{label}'" for label, ps in R.ERROR_CATEGORIES) + " ELSE 'Other' END"
 _CASE_AGENT = "CASE " + " ".join(f"WHEN regexp_matches(lower(coalesce(user_agent, '')), '{p}') THEN '{label}'" for label, p in R.CLIENT_AGENTS) + " ELSE 'unknown' END"
@@ -20,12 +23,12 @@ _PRICED = "requests_v r LEFT JOIN models_v m ON r.platform = m.platform AND r.mo
 
 @query("SELECT id, platform, model_id, status, created_at FROM requests_v WHERE created_at >= $NOW - INTERVAL 7 DAY AND created_at <= $NOW AND status = 'error'")
 def prj12_request_list(v):
-    return R.in_range(v.requests_v, now, 7).filter("status = 'error'").select("id", "platform", "model_id", "status", "created_at")
+    return R.in_range(v.requests_v, now(), 7).filter("status = 'error'").select("id", "platform", "model_id", "status", "created_at")
 
 
 @query("SELECT count(*) AS n, min(id) AS first_id FROM requests_v WHERE created_at >= $NOW - INTERVAL 1 DAY AND created_at <= $NOW")
 def prj13_range_cutoff(v):
-    return R.in_range(v.requests_v, now, 1).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
+    return R.in_range(v.requests_v, now(), 1).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
 
 
 @query("SELECT * FROM (SELECT event_id, user_id, ts, event_type FROM events WHERE user_id = 7 AND event_id > 100 ORDER BY event_id DESC LIMIT 25)")
@@ -85,7 +88,7 @@ def jon11_missing_fallbacks(v):
 @query("SELECT m.id, count(r.id) FILTER (WHERE r.created_at >= $NOW - INTERVAL 1 DAY) AS today, count(r.id) AS month, coalesce(sum(r.output_tokens), 0) AS tokens FROM models_v m LEFT JOIN (SELECT * FROM requests_v WHERE status = 'success' AND created_at >= TIMESTAMP '2024-01-01 00:00:00') r ON r.platform = m.platform AND r.model_id = m.model_id GROUP BY m.id", tokens="BIGINT")
 def jon12_catalog_usage(v):
     good = v.requests_v.filter("status = 'success' AND created_at >= TIMESTAMP_NTZ '2024-01-01 00:00:00'")
-    used = good.groupBy("platform", "model_id").agg(F.count_if(F.col("created_at") >= now - F.expr("INTERVAL 1 DAY")).alias("today"), F.count(F.lit(1)).alias("month"), F.sum("output_tokens").alias("tokens"))
+    used = good.groupBy("platform", "model_id").agg(F.count_if(F.col("created_at") >= now() - F.expr("INTERVAL 1 DAY")).alias("today"), F.count(F.lit(1)).alias("month"), F.sum("output_tokens").alias("tokens"))
     return v.models_v.join(used.hint("merge"), ["platform", "model_id"], "left").select("id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("today", "month", "tokens")])
 
 
@@ -129,7 +132,7 @@ def agg15_hourly_rollup(v):
 
 @query(f"WITH h AS ({_HOURLY}) SELECT coalesce(sum(requests), 0) AS requests, coalesce(sum(successes), 0) AS successes, coalesce(sum(errors), 0) AS errors, coalesce(sum(input_tokens), 0) AS input_tokens, coalesce(sum(output_tokens), 0) AS output_tokens FROM h WHERE hour >= date_trunc('hour', $NOW - INTERVAL 7 DAY)", requests="BIGINT", successes="BIGINT", errors="BIGINT", input_tokens="BIGINT", output_tokens="BIGINT")
 def agg16_range_totals(v):
-    return R.rollup_totals(R.hourly_rollup(v.requests_v), now - F.expr("INTERVAL 7 DAYS"))
+    return R.rollup_totals(R.hourly_rollup(v.requests_v), now() - F.expr("INTERVAL 7 DAYS"))
 
 
 @query(f"SELECT count(*) AS requests, {_RATE} AS success_rate, round(avg(latency_ms), 4) AS latency, round(avg(ttfb_ms), 4) AS ttfb, count(*) FILTER (WHERE request_type = 'chat') AS chat FROM requests_v")
@@ -191,12 +194,12 @@ _DECAY = "daily AS (SELECT platform, model_id, floor((epoch($NOW) - floor(epoch(
 
 @query(f"WITH {_DECAY} SELECT * FROM decayed")
 def agg26_decayed_stats(v):
-    return R.decayed_stats(v.requests_v, now)
+    return R.decayed_stats(v.requests_v, now())
 
 
 @query("SELECT model_id, key_id, sum(input_tokens + output_tokens) AS tokens FROM requests_v WHERE created_at >= date_trunc('month', $NOW) AND request_type = 'chat' GROUP BY 1, 2", tokens="BIGINT")
 def agg27_month_tokens(v):
-    return v.requests_v.filter((F.col("created_at") >= F.date_trunc("month", now)) & (F.col("request_type") == "chat")).groupBy("model_id", "key_id").agg(F.sum(F.col("input_tokens") + F.col("output_tokens")).alias("tokens"))
+    return v.requests_v.filter((F.col("created_at") >= F.date_trunc("month", now())) & (F.col("request_type") == "chat")).groupBy("model_id", "key_id").agg(F.sum(F.col("input_tokens") + F.col("output_tokens")).alias("tokens"))
 
 
 @query(f"WITH {_KEYS}, k AS (SELECT platform, count(DISTINCT key_id) FILTER (WHERE enabled) AS n FROM keys_v GROUP BY 1), u AS (SELECT platform, sum(input_tokens + output_tokens) AS used FROM requests_v GROUP BY 1) SELECT u.platform, 1000000 * greatest(1, coalesce(k.n, 0)) AS budget, u.used FROM u LEFT JOIN k ON u.platform = k.platform", used="BIGINT")
@@ -236,7 +239,7 @@ def agg39_model_groups(v):
 
 @query("SELECT model_id, sum(input_tokens + output_tokens) AS tokens, count(*) AS requests FROM requests_v WHERE created_at >= $NOW - INTERVAL 7 DAY AND created_at <= $NOW GROUP BY 1 ORDER BY requests DESC, model_id LIMIT 5", tokens="BIGINT")
 def agg44_top_models(v):
-    used = R.in_range(v.requests_v, now, 7).groupBy("model_id").agg(F.sum(F.col("input_tokens") + F.col("output_tokens")).alias("tokens"), F.count(F.lit(1)).alias("requests"))
+    used = R.in_range(v.requests_v, now(), 7).groupBy("model_id").agg(F.sum(F.col("input_tokens") + F.col("output_tokens")).alias("tokens"), F.count(F.lit(1)).alias("requests"))
     return used.orderBy(F.desc("requests"), "model_id").limit(5)
 
 
@@ -246,7 +249,7 @@ _COOL = "cool AS (SELECT platform, created_at + INTERVAL 1 DAY AS expires FROM r
 @query(f"WITH {_COOL} SELECT platform, count(*) AS active, min(expires) AS resume FROM cool WHERE expires > $NOW GROUP BY 1")
 def agg45_cooldowns(v):
     cool = v.requests_v.filter("status = 'error'").select("platform", (F.col("created_at") + F.expr("INTERVAL 1 DAY")).alias("expires"))
-    return cool.filter(F.col("expires") > now).groupBy("platform").agg(F.count(F.lit(1)).alias("active"), F.min("expires").alias("resume"))
+    return cool.filter(F.col("expires") > now()).groupBy("platform").agg(F.count(F.lit(1)).alias("active"), F.min("expires").alias("resume"))
 
 
 @query("SELECT key_id, sum(ceil(tokens * factor)) AS billed FROM (SELECT key_id, model_id, sum(input_tokens + output_tokens) AS tokens, CASE WHEN model_id = 'm1' THEN 1.5 ELSE 0.3 END AS factor FROM requests_v WHERE created_at >= TIMESTAMP '2024-01-30 00:00:00' GROUP BY 1, 2) GROUP BY 1", billed="DOUBLE")
@@ -279,7 +282,7 @@ def win01_percentiles_overall(v):
 def win03_retention(v):
     """Newest N within the cutoff: days counted from the newest, ranks only in the day where N falls."""
     keep = 3000
-    recent = v.requests_v.filter(F.col("created_at") >= now - F.expr("INTERVAL 20 DAYS")).withColumn("day", F.to_date("created_at"))
+    recent = v.requests_v.filter(F.col("created_at") >= now() - F.expr("INTERVAL 20 DAYS")).withColumn("day", F.to_date("created_at"))
     days = recent.groupBy("day").agg(F.count(F.lit(1)).alias("n"))
     days = days.withColumn("upto", F.sum("n").over(W.orderBy(F.desc("day")))).filter(F.col("upto") - F.col("n") < keep)  # a row a day
     boundary = recent.join(F.broadcast(days.limit(10_000)), "day").withColumn("whole", F.col("upto") <= keep)
@@ -290,7 +293,7 @@ def win03_retention(v):
 @query("SELECT platform, model_id, id, rn FROM (SELECT *, row_number() OVER (PARTITION BY platform, model_id ORDER BY created_at DESC, id DESC) AS rn FROM requests_v WHERE status = 'error' AND created_at >= $NOW - INTERVAL 2 DAY) WHERE rn <= 5")
 def win05_newest_errors(v):
     w = W.partitionBy("platform", "model_id").orderBy(F.desc("created_at"), F.desc("id"))
-    return v.requests_v.filter((F.col("status") == "error") & (F.col("created_at") >= now - F.expr("INTERVAL 2 DAYS"))).withColumn("rn", F.row_number().over(w)).filter("rn <= 5").select("platform", "model_id", "id", F.col("rn").cast("long").alias("rn"))
+    return v.requests_v.filter((F.col("status") == "error") & (F.col("created_at") >= now() - F.expr("INTERVAL 2 DAYS"))).withColumn("rn", F.row_number().over(w)).filter("rn <= 5").select("platform", "model_id", "id", F.col("rn").cast("long").alias("rn"))
 
 
 @query("SELECT model_id, min_by(id, priority * 1000 + id) AS id FROM models_v GROUP BY 1")
@@ -404,7 +407,7 @@ def fun14_speed_rank(v):
 
 @query(f"WITH {_DECAY} SELECT platform, model_id, round((good + 1) / (good + bad + 2), 6) AS reliability FROM decayed")
 def fun15_reliability(v):
-    return R.decayed_stats(v.requests_v, now).select("platform", "model_id", F.round(S.reliability(F.col("good"), F.col("bad")), 6).alias("reliability"))
+    return R.decayed_stats(v.requests_v, now()).select("platform", "model_id", F.round(S.reliability(F.col("good"), F.col("bad")), 6).alias("reliability"))
 
 
 _TIER = "CASE size_label WHEN 'frontier' THEN 4 WHEN 'large' THEN 3 WHEN 'medium' THEN 2 WHEN 'small' THEN 1 ELSE 0 END"
@@ -422,7 +425,7 @@ def fun17_headroom(v):
 
 @query(f"WITH {_DECAY} SELECT m.id, round((0.5 * (good + 1) / (good + bad + 2) + 0.25 * 0.6 + 0.25 * intelligence_rank / 50.0) * 1.0, 6) AS score FROM models_v m JOIN decayed d ON m.platform = d.platform AND m.model_id = d.model_id")
 def fun18_model_score(v):
-    stats = R.decayed_stats(v.requests_v, now)
+    stats = R.decayed_stats(v.requests_v, now())
     both = v.models_v.join(R.catalog(stats), ["platform", "model_id"])
     return both.select("id", F.round(S.mixed("balanced", S.reliability(F.col("good"), F.col("bad")), F.lit(S.SPEED_PRIOR), F.col("intelligence_rank") / 50.0, F.lit(1.0)), 6).alias("score"))
 
@@ -441,7 +444,7 @@ def fun29_reset_time(v):
 
 @query("SELECT id, CASE WHEN reset_at < $NOW - INTERVAL 10 DAY THEN lim ELSE remaining END AS remaining, CASE WHEN reset_at >= $NOW - INTERVAL 10 DAY THEN reset_at END AS reset_at FROM (SELECT id, created_at AS reset_at, 100 AS lim, input_tokens AS remaining FROM requests_v)")
 def fun30_quota_expiry(v):
-    past = F.col("created_at") < now - F.expr("INTERVAL 10 DAYS")
+    past = F.col("created_at") < now() - F.expr("INTERVAL 10 DAYS")
     return v.requests_v.select("id", F.when(past, F.lit(100).cast("long")).otherwise(F.col("input_tokens")).alias("remaining"), F.when(~past, F.col("created_at")).alias("reset_at"))
 
 
