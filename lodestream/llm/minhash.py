@@ -17,8 +17,10 @@ from .kernels import LOWER, SPACE, arrow_map, mix, prefix_hash, sequence_hash, s
 WORDS, PERCENT = 5, 80
 #: Rows of a band, and the chance to miss a pair at the threshold that the number of bands keeps below.
 BAND_ROWS, MISS = 6, 2e-6
-#: Rounds in which a bucket's members meet one centre each, before the rest of a bucket meets blockwise; members of a block.
-STAR_ROUNDS, BLOCK_ROWS = 3, 256
+#: Members of a bucket up to which its pairs are rows; larger buckets are compared in blocks of so many members.
+SMALL_BUCKET, BLOCK_ROWS = 16, 512
+#: Columns of an incidence matrix at a time.
+COLUMNS = 4096
 
 _U = np.uint64
 
@@ -185,12 +187,12 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     """(doc_id, n_shingles, component_id, kept) for each row: components of the links
     ``100 * intersection >= percent * union`` between sets of distinct k-word shingles.
 
-    Texts with equal sets are one class, by its least doc_id. Classes that share a band key are candidates: in a few rounds
-    every member of a bucket is verified against one centre (the least of the bucket, then other members), and
-    members of one component aren't compared again. What is left of a bucket in several components
-    meets in pairs of blocks, until every pair of different components that shares a key has been verified; no bucket is cut.
-    A bucket of copies thus costs as many verifications as it has members. A pair at the threshold shares no
-    key with probability below MISS; every link is confirmed on the full sets.
+    Texts with equal sets are one class, by its least doc_id. Classes that share a band key are candidates. In two rounds every
+    member of a bucket is verified against one centre (the least of the bucket, then another), and members of one component
+    aren't compared again, so a bucket of copies costs as many verifications as it has members. What is left of a bucket in
+    several components is compared exhaustively: pairs of small buckets are rows, large ones meet in pairs of blocks inside the
+    tasks. No bucket is cut. A pair at the threshold shares no key with probability below MISS; every link is confirmed on
+    the full sets.
 
     Null, empty and wordless texts have n_shingles 0 and link with nothing. Texts of fewer than k words are one shingle. Rows that
     repeat an id are one document, with the text of the least hash. Rows with a null id are kept, without component. kept: doc_id is its component_id.
@@ -212,24 +214,25 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     tried = materialise(_verified(first, sets, k, percent), "tried")
     links = tried.filter("linked").select("a", "b")
     labels = components(links)
-    for step in range(STAR_ROUNDS + 1):
+    for last in (False, True):
         of = labels.select(F.col("v").alias("rep"), "label")
         state = buckets.select("key", "rep").join(of.hint("merge"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        open_ = state.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min_by("rep", F.xxhash64("rep", F.lit(step))).alias("centre"), F.count(F.lit(1)).alias("n")).filter("low != high")
+        open_ = state.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min_by("rep", F.xxhash64("rep")).alias("centre"), F.count(F.lit(1)).alias("n")).filter("low != high")
         left = materialise(state.join(open_.select("key", "centre", "n").hint("merge"), "key"), "open")
         if left.isEmpty():
             break
-        if step < STAR_ROUNDS:
+        if last:
+            met = _pairs(left.filter(F.col("n") <= SMALL_BUCKET))
+        else:
             mid = left.filter("rep = centre").select("key", F.col("label").alias("of_centre"))
             met = left.join(mid.hint("merge"), "key").filter("label != of_centre").select(F.least("centre", "rep").alias("a"), F.greatest("centre", "rep").alias("b")).distinct()
-        else:
-            met = _blockwise(left)
         met = met.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).hint("merge"), ["a", "b"], "left_anti")
         new = materialise(_verified(met, sets, k, percent), "tried")
         tried = tried.unionByName(new)
-        if not new.filter("linked").isEmpty():
-            links = links.unionByName(new.filter("linked").select("a", "b"))
-            labels = components(links)
+        links = links.unionByName(new.filter("linked").select("a", "b"))
+        if last:
+            links = links.unionByName(materialise(_block_links(left.filter(F.col("n") > SMALL_BUCKET), sets, k, percent), "block-links"))
+        labels = components(links)
     named = some.select("class", "doc_id").join(classes.select("class", "rep").hint("merge"), "class").select(F.col("doc_id").alias("_d"), "rep")
     named = named.join(labels.select(F.col("v").alias("rep"), "label").hint("merge"), "rep", "left").select("_d", F.coalesce("label", "rep").alias("component_id"))
     out = signed.select("doc_id", "n_shingles").join(named.hint("merge"), F.col("doc_id") == F.col("_d"), "left")
@@ -237,21 +240,67 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def _blockwise(left: DataFrame) -> DataFrame:
-    """Pairs of different components within a bucket. Large buckets are cut into blocks of members and each pair of
-    blocks is a group of its own, so that no task holds more than two blocks."""
-    cut = left.withColumn("blocks", F.ceil(F.col("n") / BLOCK_ROWS).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = cut.withColumn("other", other).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "label")
+def _pairs(left: DataFrame) -> DataFrame:
+    """Pairs of different components within small buckets: at most SMALL_BUCKET rows a member."""
+    listed = left.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("rep", "label"))).alias("m"))
+    one = listed.select(F.explode("m").alias("x"), "m")
+    others = F.filter("m", lambda y: (y["rep"] > F.col("x.rep")) & (y["label"] != F.col("x.label")))
+    return one.select(F.col("x.rep").alias("a"), F.explode(others).alias("y")).select("a", F.col("y.rep").alias("b")).distinct()
+
+
+def _links_between(first: list[np.ndarray], second: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
+    """Places (i, j) of all pairs of sets at the threshold, by products of incidence matrices over a slice of the shingles at a time."""
+    sizes = [np.array([len(x) for x in side]) for side in (first, second)]
+    _, code = np.unique(np.concatenate([*first, *second]), return_inverse=True)
+    sides = [(np.repeat(np.arange(len(side)), n), c) for side, n, c in zip((first, second), sizes, np.split(code, [sizes[0].sum()]), strict=True)]
+    shared = np.intersect1d(sides[0][1], sides[1][1])
+    both = np.zeros((len(first), len(second)), np.float32)
+    for low in range(0, len(shared), COLUMNS):
+        part = shared[low : low + COLUMNS]
+        held = []
+        for row, c in sides:
+            at = np.minimum(np.searchsorted(part, c), len(part) - 1)
+            ok = part[at] == c
+            matrix = np.zeros((len(first) if row is sides[0][0] else len(second), len(part)), np.float32)
+            matrix[row[ok], at[ok]] = 1
+            held.append(matrix)
+        both += held[0] @ held[1].T
+    n = both.astype(np.int64)
+    yield from zip(*(x.tolist() for x in np.nonzero(100 * n >= percent * (sizes[0][:, None] + sizes[1][None, :] - n))), strict=True)
+
+
+def _block_links(left: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links between different components within large buckets. A bucket is cut into blocks of members and each pair of blocks
+    is a group of its own with two blocks' texts at most; a group compares all its pairs on the full sets and returns
+    links that join components there, no more than it has members."""
+    cut = left.join(sets.hint("merge"), "rep").withColumn("blocks", F.ceil(F.col("n") / BLOCK_ROWS).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "label", "text")
 
     def run(key, table):
         i, j = key[1].as_py(), key[2].as_py()
-        rep, label, own = (table.column(c).to_numpy() for c in ("rep", "label", "own"))
-        a, b = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        x, y = np.nonzero((label[a][:, None] != label[b][None, :]) & ((i != j) | (rep[a][:, None] < rep[b][None, :])))
-        return pa.table({"a": np.minimum(rep[a[x]], rep[b[y]]), "b": np.maximum(rep[a[x]], rep[b[y]])})
-
-    return dealt.groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
+        rep, label, own = (table.column(c).to_pylist() for c in ("rep", "label", "own"))
+        sets_, _ = shingle_sets(table.column("text"), k)
+        a = [x for x in range(len(rep)) if own[x] == i]
+        b = [x for x in range(len(rep)) if own[x] == j] if i != j else a
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        out = []
+        if a and b:
+            for x, y in _links_between([sets_[x] for x in a], [sets_[y] for y in b], percent):
+                one, two = root(label[a[x]]), root(label[b[y]])
+                if one != two:
+                    parent[max(one, two)] = min(one, two)
+                    out.append((rep[a[x]], rep[b[y]]))
+        return pa.table({"a": pa.array([min(p) for p in out], pa.int64()), "b": pa.array([max(p) for p in out], pa.int64())})
+
+    return dealt.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def drop_near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = WORDS, percent: int = PERCENT) -> DataFrame:
