@@ -16,10 +16,15 @@ from .kernels import arrow_map, by_bytes, mix, prefix_hash, span_hash, texts
 #: Bytes of a repeat, and of an anchor.
 LENGTH, ANCHOR = 200, 50
 #: Contexts of an anchor up to which one task compares them; beyond, their strings are compared by a shuffle. Contexts of a task, about.
-GROUP_ROWS, TASK_ROWS = 8_192, 16_384
+GROUP_ROWS, TASK_ROWS = 40_000, 2_048
+#: Strings that a comparison holds at a time.
+MOST_STRINGS = 300_000
 #: Bits of the table that tells shared anchors before the exact join: 16 an anchor, within these bounds (32 MB at most).
 LEAST_BITS, MOST_BITS = 16, 28
 
+#: Bytes of text that the scans take at a time: what they make of it stays in a core's cache.
+SCAN_BYTES = 1 << 18
+
 _U = np.uint64
 
 
@@ -27,7 +32,7 @@ def _sliding(x: np.ndarray, width: int, least: bool) -> np.ndarray:
     """Minimum (or maximum) of each ``width`` consecutive values."""
     op = np.minimum if least else np.maximum
     n = len(x)
-    fill = np.full(-n % width, np.iinfo(_U).max if least else 0, _U)
+    fill = np.full(-n % width, np.iinfo(x.dtype).max if least else 0, x.dtype)
     blocks = np.concatenate([x, fill]).reshape(-1, width)
     ahead = op.accumulate(blocks, axis=1).ravel()
     behind = op.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
@@ -47,13 +52,14 @@ def anchors(column: pa.Array, length: int = LENGTH, anchor: int = ANCHOR) -> tup
         return (*none, data, offsets)
     prefix = prefix_hash(data)
     at = np.arange(len(data) - anchor + 1)
-    grams = span_hash(prefix, at, at + anchor) | _U(1)
+    grams = span_hash(prefix, at, at + anchor)
+    short = (grams >> _U(33)).astype(np.uint32) + np.uint32(1)  # for the choice of anchors; equal strings tie, whatever follows
     ends = np.repeat(offsets[1:], np.diff(offsets))
-    least = _sliding(grams, width, True)
+    least = _sliding(short, width, True)
     least[ends[: len(least)] < np.arange(len(least)) + length] = 0
-    edge = np.zeros(width - 1, _U)
+    edge = np.zeros(width - 1, np.uint32)
     most = _sliding(np.concatenate([edge, least, edge]), width, False)
-    place = np.flatnonzero((most == grams) & (most > 0))
+    place = np.flatnonzero(most == short)
     row = np.searchsorted(offsets, place, "right") - 1
     low, high = np.maximum(offsets[row], place - (length - anchor)), np.minimum(offsets[row + 1], place + length)
     context = mix(span_hash(prefix, low, high) + (place - low).astype(_U) * _U(0x9E3779B97F4A7C15))
@@ -81,7 +87,7 @@ def _set(table: np.ndarray, bits: int, keys: np.ndarray) -> np.ndarray:
     return (table[(place >> _U(3)).astype(np.int64)] >> (place & _U(7)).astype(np.uint8)) & 1 == 1
 
 
-def interval_groups(lcp: np.ndarray, low: np.ndarray, left: list[set], floor: int) -> list[tuple[int, int, int]]:
+def interval_groups(lcp: np.ndarray, left: list[set], floor: int) -> list[tuple[int, int, int]]:
     """(first, last, length) of the nodes of the common-prefix interval tree with length >= ``floor`` whose
     suffixes differ in the byte before them, that is, of the maximal repeats.
 
@@ -115,13 +121,37 @@ def compare_contexts(a: np.ndarray, d: np.ndarray, contexts: list[bytes], length
     sizes = np.array([len(c) for c in contexts], np.int64)
     data = np.frombuffer(b"".join(contexts), np.uint8)
     offsets = np.concatenate([[0], np.cumsum(sizes)])
-    count = np.maximum(np.minimum(d, sizes - length) + 1, 0)
+    prefix, reaches = prefix_hash(data), length - anchor + 1
+    step = max(1, min(reaches, MOST_STRINGS // max(1, len(contexts))))
+    found, repeats = [], []
+    for near in range(0, reaches, step):  # strings by the anchor's place in them, some places at a time
+        part = _compare_places(a, d, contexts, sizes, data, offsets, prefix, range(near, min(near + step, reaches)), length, groups)
+        found.append(part[0])
+        repeats += part[1]
+    who, low, high = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort([low, who])
+    who, low, high = who[order], low[order], high[order]
+    furthest = np.maximum.accumulate(who * (1 << 32) + high) if len(who) else who  # of the same context, as rows are in its order
+    fresh = np.ones(len(who), bool)
+    fresh[1:] = (who[1:] != who[:-1]) | (low[1:] > (furthest[:-1] & 0xFFFFFFFF))
+    first = np.flatnonzero(fresh)
+    last = np.append(first[1:], len(who)) - 1
+    for i, j in zip(first.tolist(), last.tolist() if len(first) else [], strict=True):
+        spans[who[i]].append((int(low[i]), int(furthest[j] & 0xFFFFFFFF)))
+    return spans, repeats
+
+
+def _compare_places(a, d, contexts, sizes, data, offsets, prefix, places: range, length: int, groups: bool) -> tuple[tuple[np.ndarray, ...], list]:
+    """(context, start, end) of what is repeated, and groups, for strings with the anchor at ``places``."""
+    none = (np.zeros(0, np.int64),) * 3
+    begin = np.maximum(d - places[-1], 0)
+    count = np.maximum(np.minimum(d - places[0], sizes - length) - begin + 1, 0)
     own = np.repeat(np.arange(len(contexts)), count)
     if not len(own):
-        return spans, []
-    start = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
+        return none, []
+    start = begin[own] + np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
     at = offsets[own] + start
-    key = mix(span_hash(prefix_hash(data), at, at + length) ^ mix(a[own].astype(_U) + (d[own] - start).astype(_U) * _U(0xD1B54A32D192ED03)))
+    key = mix(span_hash(prefix, at, at + length) ^ mix(a[own].astype(_U) + (d[own] - start).astype(_U) * _U(0xD1B54A32D192ED03)))
     _, code, times = np.unique(key, return_inverse=True, return_counts=True)
     n = times[code]
     who = np.zeros(len(times), _U)  # tells the set of contexts of a class
@@ -130,28 +160,28 @@ def compare_contexts(a: np.ndarray, d: np.ndarray, contexts: list[bytes], length
     extends[1:] = (own[1:] == own[:-1]) & (n[1:] == n[:-1]) & (who[code[1:]] == who[code[:-1]])
     kept = np.flatnonzero((n > 1) & ~extends)
     if not len(kept):
-        return spans, []
+        return none, []
     own, start, at, code = own[kept], start[kept], at[kept], code[kept]
     left_over = sizes[own] - start
     wide = -(-int(left_over.max()) // 8) * 8
-    rows = np.zeros((len(kept), wide), np.uint8)
     padded = np.concatenate([data, np.zeros(wide, np.uint8)])
-    rows[:] = padded[at[:, None] + np.arange(wide)]
+    rows = np.lib.stride_tricks.sliding_window_view(padded, wide)[at]
     rows[np.arange(wide) >= left_over[:, None]] = 0
-    packed = rows.view(">u8")
-    order = np.lexsort([*(packed[:, i] for i in range(packed.shape[1] - 1, -1, -1)), code])
+    # members of a class are alike in their first ``length`` bytes, so what follows orders them
+    after = np.ascontiguousarray(rows[:, length // 8 * 8 :]).view(">u8").T.astype(_U)
+    order = np.lexsort([*after[::-1], code])
     own, start, code, rows, left_over = own[order], start[order], code[order], rows[order], left_over[order]
     differs = rows[1:] != rows[:-1]
     same = np.where(differs.any(axis=1), differs.argmax(axis=1), wide)
     same = np.where(code[1:] == code[:-1], np.minimum(same, np.minimum(left_over[1:], left_over[:-1])), 0)
     lcp = np.concatenate([[0], same, [0]])
     reach = np.maximum(lcp[:-1], lcp[1:])
-    for i in np.flatnonzero(reach >= length).tolist():
-        spans[own[i]].append((int(start[i]), int(start[i] + reach[i])))
+    ok = np.flatnonzero(reach >= length)
+    spans = own[ok], start[ok], start[ok] + reach[ok]
     if not groups:
         return spans, []
     before = [{None if s == 0 else contexts[o][s - 1]} for o, s in zip(own.tolist(), start.tolist(), strict=True)]
-    found = interval_groups(lcp[:-1], lcp, before, length)
+    found = interval_groups(lcp[:-1], before, length)
     return spans, [([(int(own[i]), int(start[i])) for i in range(low, high + 1)], n) for low, high, n in found]
 
 
@@ -188,7 +218,9 @@ def _hot_spans(contexts: DataFrame) -> DataFrame:
     rows = materialise(contexts.select("a", "c", "d", "bytes").mapInArrow(arrow_map(run, "bytes"), "a long, c long, start long, before long, gram long"), "hot-strings")
     often = rows.groupBy("a", "before", "gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     met = rows.join(often.hint("merge"), ["a", "before", "gram"])
-    return met.groupBy("a", "c").agg(F.collect_list(F.struct(F.col("start").alias("s"), (F.col("start") + LENGTH).alias("e"))).alias("spans"))  # at most 151 each
+    starts = met.groupBy("a", "c").agg(F.sort_array(F.collect_list("start")).alias("x"))  # at most 151 each
+    runs = F.arrays_zip(F.filter("x", lambda s: ~F.array_contains("x", s - 1)).alias("s"), F.filter("x", lambda s: ~F.array_contains("x", s + 1)).alias("e"))
+    return starts.select("a", "c", F.transform(runs, lambda r: F.struct(r["s"].alias("s"), (r["e"] + LENGTH).alias("e"))).alias("spans"))
 
 
 class Repeats:
@@ -203,7 +235,7 @@ class Repeats:
 
     def __init__(self, docs: DataFrame, text: str):
         keyed = docs.filter(F.octet_length(text) >= LENGTH).select(F.col(text).alias("_text"), *text_key(text))
-        pairs = materialise(keyed.select("_text").mapInArrow(arrow_map(_count, "_text"), "a long, c long, n long").groupBy("a", "c").agg(F.sum("n").alias("n")).groupBy("a").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("contexts")).filter("n > 1"), "anchors")
+        pairs = materialise(keyed.select("_text").mapInArrow(arrow_map(_count, "_text", SCAN_BYTES), "a long, c long, n long").groupBy("a", "c").agg(F.sum("n").alias("n")).groupBy("a").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("contexts")).filter("n > 1"), "anchors")
         self.pairs = pairs
         n = pairs.count()
         bits = min(MOST_BITS, max(LEAST_BITS, (16 * max(n, 1)).bit_length()))
@@ -211,7 +243,7 @@ class Repeats:
 
         def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shared, several = known.value
-            for part in by_bytes(batches, "_text"):
+            for part in by_bytes(batches, "_text", SCAN_BYTES):
                 row, place, a, low, high, c, data, offsets = anchors(part.column(0))
                 got = np.flatnonzero(_set(shared, bits, a))
                 if not len(got):
