@@ -39,7 +39,7 @@ WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
     at = 0
-    while at >= 0 and "@" in text[at:]:
+    while text.find("@", at) >= 0:
         found = EMAIL.match(text, at) if at else None
         found = found or EMAIL_FRESH.search(text, at)
         if not found:

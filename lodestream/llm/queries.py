@@ -78,4 +78,42 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_warc, op2_decontaminate, op3_imatch, op4_mixing, op5_url_filter, op6_superminhash, op7_repeats, op8_token_counts, op9_quality, op10_personal_data)
 }
 
-SQL: dict[str, str] = {}
+_LOW = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_BASE32 = " || ".join(
+    f"substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(('0x' || substring(x, {1 + 5 * i}, 5))::BIGINT // {32 ** (3 - j)} % 32 AS INT) + 1, 1)" for i in range(8) for j in range(4)
+)
+_HOST = "translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_BLOCKED = " OR ".join(f"regexp_matches({_LOW.replace('text', 'url')}, '{p}')" for p, _ in url_filter.PATTERN_RULES)
+_RULES = ", ".join(f"('{v}', '{r}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}')" for v, r in url_filter.HOST_RULES)
+
+SQL: dict[str, str] = {
+    "op1_warc": f"""
+        WITH d AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS x, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS m FROM pages)
+        SELECT page_id, n AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = m THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN page_id <> m THEN m END AS refers_to FROM d""",
+    "op2_decontaminate": f"""
+        WITH i AS (SELECT item_id, {_WORDS} AS w FROM benchmark), d AS (SELECT doc_id, coalesce({_WORDS}, []) AS w FROM documents),
+        iw AS (SELECT DISTINCT item_id, least(len(w), 10) AS size, array_to_string(w[k:k + least(len(w), 10) - 1], ' ') AS said FROM i, LATERAL (SELECT unnest(range(1, len(w) - least(len(w), 10) + 2)) AS k) WHERE len(w) > 0),
+        sizes AS (SELECT DISTINCT size FROM iw),
+        dw AS (SELECT doc_id, size, k, array_to_string(w[k:k + size - 1], ' ') AS said FROM d, sizes, LATERAL (SELECT unnest(range(1, len(w) - size + 2)) AS k) WHERE len(w) >= size),
+        h AS (SELECT doc_id, size, k, item_id FROM dw JOIN iw USING (size, said)),
+        hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM h, LATERAL (SELECT unnest(range(k, k + size)) AS p) GROUP BY 1),
+        met AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM h GROUP BY 1)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+        FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN met USING (doc_id)""",
+    "op5_url_filter": f"""
+        WITH p AS (SELECT page_id, url, {_HOST} AS host, coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path FROM pages),
+        f AS (SELECT page_id, max_by(rule, (length(rule), rule)) AS rule, max_by(verdict, (length(rule), rule)) AS verdict
+            FROM p JOIN (VALUES {_RULES}) r(verdict, rule, h, q) ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q) GROUP BY 1)
+        SELECT p.page_id, host, path, rule, coalesce(verdict, CASE WHEN {_BLOCKED} THEN 'block' ELSE 'allow' END) AS verdict FROM p LEFT JOIN f ON p.page_id = f.page_id""",
+    "op6_superminhash": rf"""
+        WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all({_LOW}, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 2], ' ') AS g FROM d, LATERAL (SELECT unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS k) WHERE len(w) > 0),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+        met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        links AS (SELECT a, b FROM met JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= 85 * (x.n + y.n - c)),
+        reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id, d.doc_id = m.component_id AS kept
+        FROM d LEFT JOIN n ON d.doc_id = n.doc_id JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY 1) m ON d.doc_id = m.a""",
+}
