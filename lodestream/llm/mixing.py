@@ -192,7 +192,9 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     sources = materialise(targets(sized, weights=weights), "targets")
     placed = materialise(place_documents(sized, sources), "placed")
     copies = placed.groupBy("doc_id", "source", "_h").agg(F.array_sort(F.collect_set("start")).alias("starts"), F.first("rank").alias("rank"))  # rows alike in all three hold the same words
-    body = docs.select(F.col(doc_id).alias("_d"), F.col(source).alias("_s"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_k"), F.col(text).alias("_text")).filter("_text is not null").dropDuplicates(["_d", "_s", "_k"])
+    body = docs.select(F.col(doc_id).alias("_d"), F.col(source).alias("_s"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_k"), F.col(text).alias("_text")).filter("_text is not null")
+    if not placed.filter("size > 0").groupBy("doc_id", "source", "_h").count().filter("count > 1").isEmpty():
+        body = body.dropDuplicates(["_d", "_s", "_k"])  # moves the texts once more, so only for repeated rows
     on = F.col("_d").eqNullSafe(F.col("doc_id")) & F.col("_s").eqNullSafe(F.col("source")) & (F.col("_k") == F.col("_h"))
     cut = body.join(copies.hint("merge"), on).select("doc_id", "source", "rank", "_text", F.explode("starts").alias("start"))
 

@@ -192,7 +192,9 @@ def test_words_taken_meet_targets(docs, block):
     assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.words_taken(docs, block=block).collect()), key=str)
 
 
-def test_mix_holds_what_words_taken_counts(docs):
+@pytest.mark.parametrize("repeated", [False, True])
+def test_mix_holds_what_words_taken_counts(docs, repeated):
+    docs = docs.unionByName(docs.filter("doc_id < 4")) if repeated else docs
     blocks = mixing.mix(docs, block=16).collect()
     counted = collections.Counter()
     for r in mixing.words_taken(docs, block=16).collect():
@@ -248,7 +250,7 @@ def component_ids(rows, k, percent):
     return {d: (len(sets[d]), label[d], label[d] == d) for d in sets}
 
 
-def hub(rng, copies=60):
+def hub(rng, copies=40):
     """A hub to which all are linked, while few are linked among themselves."""
     words = [f"w{i}" for i in range(400)]
     out = [(1000, " ".join(words))]
@@ -260,7 +262,7 @@ def hub(rng, copies=60):
     return out
 
 
-@pytest.mark.parametrize(("k", "percent", "small"), [(3, 85, 16), (5, 80, 16), (3, 85, 2), (3, 96, 2)])
+@pytest.mark.parametrize(("k", "percent", "small"), [(5, 80, 16), (3, 96, 2)])
 def test_components(spark, monkeypatch, k, percent, small):
     monkeypatch.setattr(minhash, "SMALL_BUCKET", small)
     monkeypatch.setattr(minhash, "BLOCK_ROWS", 8)
