@@ -33,14 +33,6 @@ def lexicon(docs: DataFrame, *, text: str = "text", low: float = LOW, high: floa
     return sorted(found)
 
 
-def _drawn(r: int):
-    return lambda t: F.xxhash64(t, F.lit(r))
-
-
-def _one_in(m: int):
-    return lambda y: y.bitwiseAND(F.lit(m - 1)) == 0
-
-
 def _hashes(df: DataFrame, text: str, into: str, known: list[int]) -> DataFrame:
     """Adds the array of subset hashes of ``text``: the whole lexicon, then REPEATS x ONE_IN subsets; 0: no term of the subset occurs."""
     df = df.withColumn("_all", terms(F.col(text)))
@@ -49,13 +41,11 @@ def _hashes(df: DataFrame, text: str, into: str, known: list[int]) -> DataFrame:
     df = df.withColumn("_kept", F.sort_array(F.array_distinct(kept)))
     # A text without a term of the lexicon is told by all its terms.
     df = df.withColumn("_kept", F.when(F.size("_kept") > 0, F.col("_kept")).otherwise(F.sort_array(F.array_distinct("_all"))))
-    draws = []
-    for r in range(REPEATS):
-        df = df.withColumn(f"_draw{r}", F.transform("_kept", _drawn(r)))
-        draws += [F.xxhash64(F.filter(f"_draw{r}", _one_in(m))) for m in ONE_IN]
-    df = df.withColumn(into, F.transform(F.array(*draws), lambda h: F.when(h == EMPTY, F.lit(0)).otherwise(h)))
+    subsets = F.array(*[F.struct(F.lit(r).alias("seed"), F.lit(m - 1).cast("long").alias("mask")) for r in range(REPEATS) for m in ONE_IN])
+    drawn = lambda p: F.xxhash64(F.filter("_kept", lambda t: F.xxhash64(t, p["seed"]).bitwiseAND(p["mask"]) == 0))
+    df = df.withColumn(into, F.transform(F.transform(subsets, drawn), lambda h: F.when(h == EMPTY, F.lit(0)).otherwise(h)))
     df = df.withColumn(into, F.concat(F.array(F.xxhash64("_kept")), into))
-    return df.drop("_all", "_kept", *(f"_draw{r}" for r in range(REPEATS)))
+    return df.drop("_all", "_kept")
 
 
 def as_string(hashes: Column) -> Column:
