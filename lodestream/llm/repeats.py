@@ -26,6 +26,8 @@ LEAST_BITS, MOST_BITS = 16, 28
 SCAN_BYTES = 1 << 18
 
 _U = np.uint64
+#: The byte before a suffix, by its value; none at a context's edge.
+_BEFORE = [*({b} for b in range(256)), {None}]
 
 
 def _sliding(x: np.ndarray, width: int, least: bool) -> np.ndarray:
@@ -114,8 +116,8 @@ def compare_contexts(a: np.ndarray, d: np.ndarray, contexts: list[bytes], length
 
     ``d`` is the anchor's place in its context. Strings are compared only where the anchor stands at the same place in them, so no
     string meets itself. Of strings that are repeated (by hash, among contexts of one anchor) those go into the suffix array that
-    can't be extended to the left with all their copies; they are sorted with all bytes that follow, and neighbours' common prefixes are
-    counted byte by byte. A group is ([(context, start)], length).
+    can't be extended to the left with all their copies; they are sorted with all bytes that follow, neighbours' common prefixes are
+    counted byte by byte, and the interval tree gives the maximal repeats, whose occurrences are the spans. A group is ([(context, start)], length).
     """
     spans: list[list[tuple[int, int]]] = [[] for _ in contexts]
     sizes = np.array([len(c) for c in contexts], np.int64)
@@ -174,14 +176,16 @@ def _compare_places(a, d, contexts, sizes, data, offsets, prefix, places: range,
     differs = rows[1:] != rows[:-1]
     same = np.where(differs.any(axis=1), differs.argmax(axis=1), wide)
     same = np.where(code[1:] == code[:-1], np.minimum(same, np.minimum(left_over[1:], left_over[:-1])), 0)
-    lcp = np.concatenate([[0], same, [0]])
-    reach = np.maximum(lcp[:-1], lcp[1:])
-    ok = np.flatnonzero(reach >= length)
+    before = [_BEFORE[b] for b in np.where(start > 0, data[np.maximum(offsets[own] + start - 1, 0)].astype(np.int64), 256).tolist()]
+    found = interval_groups(np.concatenate([[0], same]), before, length)
+    # a repeat that all its copies extend to the left is left to the place where it starts, so every span shows in some group
+    reach = np.zeros(len(own), np.int64)
+    for first, last, n in reversed(found):  # a node comes after those inside it, which are longer and so have the last word
+        reach[first : last + 1] = n
+    ok = np.flatnonzero(reach)
     spans = own[ok], start[ok], start[ok] + reach[ok]
     if not groups:
         return spans, []
-    before = [{None if s == 0 else contexts[o][s - 1]} for o, s in zip(own.tolist(), start.tolist(), strict=True)]
-    found = interval_groups(lcp[:-1], before, length)
     return spans, [([(int(own[i]), int(start[i])) for i in range(low, high + 1)], n) for low, high, n in found]
 
 

@@ -339,6 +339,27 @@ def test_repeat_groups_hold_equal_strings(spark, docs):
     assert groups and all(len(g) == 1 and len(next(iter(g))) == n >= 200 for (_, n), g in groups.items())
 
 
+def test_removed_spans_are_occurrences_of_interval_groups(monkeypatch):
+    rng = np.random.default_rng(11)
+    say = lambda n: bytes(rng.choice(list(b"abcdefgh "), n).tolist())
+    scan, seen = repeats.interval_groups, []
+    monkeypatch.setattr(repeats, "interval_groups", lambda *x: seen.append(scan(*x)) or seen[-1])
+    anchor = say(50)
+    before, after = say(150), say(150)
+    cuts = [(150, 150), (150, 150), (150, 90), (100, 150), (80, 120), (10, 20)]
+    contexts = [say(150 - i) + before[150 - i :] + anchor + after[:j] + say(150 - j) for i, j in cuts]
+    a, d = np.zeros(len(contexts), np.uint64), np.full(len(contexts), 150)
+    spans, groups = repeats.compare_contexts(a, d, contexts, groups=True)
+    assert sum(map(len, seen)) == len(groups) > 1
+    covered = lambda found: [{b for s, e in x for b in range(s, e)} for x in found]
+    told = [[(s, s + n) for who, n in groups for o, s in who if o == c] for c in range(len(contexts))]
+    seen.clear()
+    alone, _ = repeats.compare_contexts(a, d, contexts)
+    assert seen and alone == spans and covered(spans) == covered(told)
+    grams = collections.Counter((s, c[s : s + 200]) for c in contexts for s in range(151))
+    assert covered(spans) == [{b for s in range(151) if grams[s, c[s : s + 200]] > 1 for b in range(s, s + 200)} for c in contexts]
+
+
 def test_interval_groups_are_the_maximal_repeats():
     text = "xabcyabczabc"
     order = sorted(range(len(text)), key=lambda i: text[i:])
