@@ -18,7 +18,7 @@ HOST_RULES = (
 )
 
 #: Pattern rules of the production filter: a regular expression over the lower-cased url, and
-#: literal tokens (runs of a-z and 0-9) that every url it matches contains as whole tokens.
+#: literal tokens (runs of a-z and 0-9) that every url it matches contains as whole tokens; of tokens with a bar between them it contains one.
 PATTERN_RULES = (
     (r"[/.]cheap-pills\.", ("cheap", "pills")),
     (r"[/.]casino-win\.", ("casino", "win")),
@@ -26,7 +26,7 @@ PATTERN_RULES = (
     (r"[/.]ads-track\.", ("ads", "track")),
     (r"[/.]spam-farm\.", ("spam", "farm")),
     (r"[/.](online-)?casino(-[a-z0-9]+)?\.", ("casino",)),
-    (r"[/.-]pills?-(shop|store)\.", ("pills",)),
+    (r"[/.-]pills?-(shop|store)\.", ("pill|pills", "shop|store")),
     (r"[/.]payday-loans?\.", ("payday",)),
     (r"[/.]adult-[a-z0-9-]+\.", ("adult",)),
     (r"[/.]porn(-[a-z0-9]+)?\.", ("porn",)),
@@ -65,7 +65,7 @@ def judge_urls(pages: DataFrame, *, url: str = "url", patterns: Sequence[tuple]
 
     A host rule fits its host and all subdomains if the url's path starts with the rule's; the longest wins (of equally long ones
     the greatest text) and decides. Elsewhere a url is blocked if a pattern matches it. Patterns are indexed
-    by the token that is rarest among all urls; the tokens of a url fetch candidates, and only those run
+    by the token (or the choice of tokens) that is rarest among all urls; the tokens of a url fetch candidates, and only those run
     their expression. A pattern without tokens is a candidate for every url.
 
     Each distinct url is judged once, so a hot url costs one row until the last join, which Spark may split. Null urls and those without
@@ -78,10 +78,12 @@ def judge_urls(pages: DataFrame, *, url: str = "url", patterns: Sequence[tuple]
     said = urls.select("_url", F.explode(tokens).alias("token"))
     found = urls.select("_url", F.lit(0).alias("hit"), F.lit(None).cast("struct<n:int,rule:string,verdict:string>").alias("fit"))
     if patterns:
-        rules = _rows(spark, [(i, p, tuple(t) or ("",)) for i, (p, t) in enumerate(patterns)], "id pattern tokens").select("id", "pattern", F.explode("tokens").alias("token"))
+        rules = _rows(spark, [(i, p, tuple(t) or ("",)) for i, (p, t) in enumerate(patterns)], "id pattern tokens").select("id", "pattern", F.explode("tokens").alias("choice"))
+        rules = rules.select("*", F.explode(F.split("choice", r"\|")).alias("token"))
         wanted = rules.select("token").distinct()
         often = said.filter("token != ''").join(F.broadcast(wanted), "token").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-        index = rules.join(F.broadcast(often), "token", "left").groupBy("id", "pattern").agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), "token")).alias("token"))
+        choices = rules.join(F.broadcast(often), "token", "left").groupBy("id", "pattern", "choice").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"))
+        index = choices.groupBy("id", "pattern").agg(F.min_by("choice", F.struct("n", "choice")).alias("choice")).select("pattern", F.explode(F.split("choice", r"\|")).alias("token"))
         hits = said.join(F.broadcast(index), "token").filter(F.expr("rlike(translate(_url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), pattern)"))
         found = found.unionByName(hits.select("_url", F.lit(1).alias("hit"), F.lit(None).cast("struct<n:int,rule:string,verdict:string>").alias("fit")))
     if hosts:

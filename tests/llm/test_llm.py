@@ -230,6 +230,17 @@ def test_index_finds_what_all_rules_find(spark, sf_dir):
     assert got == {u: "block" if any(re.search(p, low(u)) for p, _ in url_filter.PATTERN_RULES) else "allow" for u in got}
 
 
+def test_every_alternative_of_a_pattern_is_found(spark):
+    hosts = "cheap-pills casino-win free-bets ads-track spam-farm online-casino casino-x1 online-casino-x1 casino pill-shop pills-shop pill-store pills-store a-pill-shop payday-loan payday-loans adult-x porn porn-x xxx xxx-x torrent-x warez-x"
+    blocked = [f"http://{h}.x/" for h in hosts.split()] + ["http://h/adserver.js", "http://h/a/adclick?", "http://h/?click_id=1&aff_id=2"]
+    urls = [*blocked, "http://pill.x/", "http://shop.x/", "http://pillar-shop.x/"]
+    for p, tokens_ in url_filter.PATTERN_RULES:
+        fits = [u for u in urls if re.search(p, u)]
+        assert fits and all(set(t.split("|")) & set(re.split("[^a-z0-9]+", u)) for t in tokens_ for u in fits)
+    pages = spark.createDataFrame([(u,) for u in urls], "url string")
+    assert {r.url for r in url_filter.judge_urls(pages, hosts=()).collect() if r.verdict == "block"} == set(blocked)
+
+
 # --- near duplicates
 
 
