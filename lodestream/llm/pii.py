@@ -9,23 +9,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from ..session import materialise
-from .kernels import LOWER, NON_ALNUM, arrow_map, by_bytes, prefix_hash, span_hash, texts, words
+from ..session import materialise, small_or_salted_join
+from .kernels import LOWER, NON_ALNUM, arrow_map, by_bytes, prefix_hash, row_of, span_hash, texts, words
+from .repeats import text_key
 
 KINDS = ("email", "ip", "card", "phone", "term")
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]"}
 
-#: Characters on either side of a mention whose words count as its context.
-NEAR = 60
-#: Distinct contexts in which a term must stand beside an entity before it can reveal it.
+#: Distinct texts in which a term must occur with an entity before it can reveal it.
 SUPPORT = 3
 #: Share of the entity's information that a term may reveal (pointwise mutual information over self-information).
 DISCLOSURE = 0.8
 #: Candidate terms up to which a set of their hashes is broadcast (8 bytes each).
 BROADCAST_TERMS = 500_000
+#: (entity, term) pairs that a task counts at a time.
+MOST_PAIRS = 1 << 20
+#: Stands for all entities in their counts; else a hash of 64 bits.
+ANY = 0
 
 # The base patterns. A run can't match from its middle if it doesn't from its
 # start, so starts inside a run are skipped and words of any length take linear time.
@@ -34,7 +38,6 @@ EMAIL_FRESH = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+
 IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -81,60 +84,96 @@ def _lower(text: str) -> str:
     return text if text.isascii() and text.islower() else re.sub("[A-Z]+", lambda m: m[0].lower(), text)
 
 
-def _term_hash(term: str) -> int:
-    data = LOWER[np.frombuffer(term.encode(), np.uint8)]
-    return int(span_hash(prefix_hash(data), np.array([0]), np.array([len(data)])).view(np.int64)[0])
-
-
-def mentions(text: str, spans: list[tuple[int, int, str]]) -> list[dict]:
-    """A row for each word near each mention: the entity, its context and the word's hash and place."""
-    out = []
-    for s, e, kind in spans:
-        said = text[s:e]
-        value = _lower(said) if kind in ("email", "ip") else re.sub("[^0-9]", "", said)
-        near = []
-        for low, high in ((max(0, s - NEAR), s), (e, min(len(text), e + NEAR))):
-            for m in WORD.finditer(text, low, high):
-                cut = (m.start() == low and low and WORD.match(text[low - 1])) or (m.end() == high and high < len(text) and WORD.match(text[high]))
-                if not cut and not any(m.start() < y and m.end() > x for x, y, _ in spans):
-                    near.append((m.start(), m.end(), _lower(m[0])))
-        context = _digest(*(w for _, _, w in near))
-        entity = _digest(kind, value)
-        out += [{"entity": entity, "context": context, "term": _term_hash(w), "start": i, "end": j} for i, j, w in near]
-        if not near:
-            out.append({"entity": entity, "context": context, "term": None, "start": s, "end": s})
-    return out
+def entities(text: str, spans: list[tuple[int, int, str]]) -> list[int]:
+    """Hashes of the distinct entities that a text's spans mention."""
+    said = ((kind, text[s:e]) for s, e, kind in spans)
+    return sorted({_digest(kind, _lower(x) if kind in ("email", "ip") else re.sub("[^0-9]", "", x)) for kind, x in said})
 
 
 SPAN = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("kind", T.StringType())])
-MENTION = T.StructType([T.StructField(c, T.LongType()) for c in ("entity", "context", "term", "start", "end")])
 SPAN_ARROW = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
-MENTION_ARROW = pa.list_(pa.struct([(c, pa.int64()) for c in ("entity", "context", "term", "start", "end")]))
 
 
 def scan(docs: DataFrame, text: str, keep_text: bool) -> DataFrame:
-    """``docs`` with _row, unique in the written table, _spans and _mentions."""
+    """``docs`` with _text (null where nothing is found, unless ``keep_text``), _k and _m that tell the text, _row, unique in the written table, _spans and _entities."""
     kept = [c for c in docs.columns if c != text]
-    source = docs.select(*kept, F.col(text).alias("_text"))
-    fields = [*source.schema.fields[:-1], *[source.schema["_text"]] * keep_text, T.StructField("_row", T.LongType()), T.StructField("_spans", T.ArrayType(SPAN)), T.StructField("_mentions", T.ArrayType(MENTION))]
+    source = docs.select(*kept, *[k.alias(n) for k, n in zip(text_key(text), ("_k", "_m"), strict=True)], F.col(text).alias("_text"))
+    fields = [*source.schema.fields, T.StructField("_row", T.LongType()), T.StructField("_spans", T.ArrayType(SPAN)), T.StructField("_entities", T.ArrayType(T.LongType()))]
+    place = len(source.columns) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = TaskContext.get().partitionId() << 40
         for part in by_bytes(batches, "_text"):
-            spans, met = [], []
-            for said in part.column(len(kept)).to_pylist():
+            spans, met, left = [], [], part.column(place).to_pylist()
+            for i, said in enumerate(left):
                 found = base_spans(said or "")
                 spans.append([{"start": s, "end": e, "kind": k} for s, e, k in found])
-                met.append(mentions(said, found) if found else [])
+                met.append(entities(said, found) if found else [])
+                if not found:
+                    left[i] = None
             rows = pa.array(np.arange(at, at + part.num_rows))
             at += part.num_rows
-            yield pa.RecordBatch.from_arrays([*part.columns[: len(kept) + keep_text], rows, pa.array(spans, SPAN_ARROW), pa.array(met, MENTION_ARROW)], [f.name for f in fields])
+            texts_ = part.column(place) if keep_text else pa.array(left, pa.string())
+            yield pa.RecordBatch.from_arrays([*part.columns[:place], texts_, rows, pa.array(spans, SPAN_ARROW), pa.array(met, pa.list_(pa.int64()))], [f.name for f in fields])
 
     return source.mapInArrow(run, T.StructType(fields))
 
 
+def _free_words(column: pa.Array, spans: pa.Array) -> tuple[np.ndarray, ...]:
+    """(hash, row, start, end) of the words that overlap no span, in code points of their text."""
+    raw, offsets = texts(column)
+    data = LOWER[raw]
+    starts, ends, first = words(data, offsets, NON_ALNUM)
+    hashes, row = span_hash(prefix_hash(data), starts, ends).view(np.int64), row_of(first)
+    chars = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])  # before each byte
+    begin = chars[offsets[:-1]]
+    covered = np.zeros(chars[-1] + 1, np.int64)
+    at, flat = np.repeat(begin, pc.list_value_length(spans).to_numpy(zero_copy_only=False)), spans.flatten()
+    np.add.at(covered, at + flat.field("start").to_numpy(), 1)
+    np.add.at(covered, at + flat.field("end").to_numpy(), -1)
+    inside = np.concatenate([[0], np.cumsum(np.cumsum(covered) > 0)])
+    low, high = chars[starts], chars[ends]
+    free = inside[high] == inside[low]
+    return hashes[free], row[free], (low - begin[row])[free], (high - begin[row])[free]
+
+
+def _pairs(found: DataFrame) -> DataFrame:
+    """(entity, term, n_et) from one row of each text, with _text, _spans and its entities as _held; entity ANY stands for all. Counts are summed in the tasks first."""
+
+    def counted(blocks: list[np.ndarray]) -> pa.RecordBatch:
+        pairs, n = np.unique(np.concatenate(blocks), axis=0, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), pa.array(n)], ["entity", "term", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks, size = [], 0
+        for part in by_bytes(batches, "_text"):
+            hashes, row, _, _ = _free_words(part.column(0), part.column(1))
+            edges = np.searchsorted(row, np.arange(part.num_rows + 1))
+            for i, held in enumerate(part.column(2).to_pylist()):
+                terms = np.unique(hashes[edges[i] : edges[i + 1]])
+                for entity in [ANY, *held] if len(terms) else ():
+                    blocks.append(np.column_stack([np.full(len(terms), entity, np.int64), terms]))
+                    size += len(terms)
+                    if size >= MOST_PAIRS:
+                        yield counted(blocks)
+                        blocks, size = [], 0
+        if blocks:
+            yield counted(blocks)
+
+    return found.select("_text", "_spans", "_held").mapInArrow(run, "entity long, term long, n long").groupBy("entity", "term").agg(F.sum("n").alias("n_et"))
+
+
+def _distinct_texts(docs: DataFrame, text: str) -> DataFrame:
+    """Each text once, as _text. Only texts that have copies are shuffled, or all if those are too many to broadcast."""
+    keyed = docs.select(F.col(text).alias("_text"), *text_key(text))
+    copied = materialise(keyed.groupBy("k", "m").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "copied")
+    marked = small_or_salted_join(keyed, copied, ["k", "m"], limit=BROADCAST_TERMS, how="left")
+    once = marked.filter("n is not null").groupBy("k", "m").agg(F.first("_text").alias("_text"))
+    return marked.filter("n is null").select("_text").unionByName(once.select("_text"))
+
+
 def _documents_with(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
-    """(term, df): in how many documents, of all, each wanted term occurs. Counts are summed in the tasks first."""
+    """(term, df): in how many distinct texts, of all documents, each wanted term occurs. Counts are summed in the tasks first."""
     known = None
     if wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
         known = docs.sparkSession.sparkContext.broadcast(np.sort(wanted.toArrow().column("term").to_numpy()))
@@ -155,44 +194,63 @@ def _documents_with(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
         term, n = np.unique(each, return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(term), pa.array(n)], ["term", "n"])
 
-    counted = docs.select(F.col(text).alias("_text")).mapInArrow(arrow_map(run, "_text"), "term long, n long").groupBy("term").agg(F.sum("n").alias("df"))
+    counted = _distinct_texts(docs, text).mapInArrow(arrow_map(run, "_text"), "term long, n long").groupBy("term").agg(F.sum("n").alias("df"))
     return counted if known is not None else counted.join(wanted.hint("merge"), "term", "left_semi")
 
 
-def revealing(docs: DataFrame, text: str, met: DataFrame, *, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
-    """(entity, term) for terms that reveal an entity: seen beside it in ``support`` distinct contexts, with
-    log(N n_et / (n_e n_t)) >= disclosure * log(N / n_e), where N counts documents, n_t those with the term,
-    n_et distinct contexts of the pair and n_e those of the entity. Copies share their contexts, and so count once."""
-    met = materialise(met.select("entity", "context", "term").distinct(), "contexts")
-    pairs = met.filter("term is not null").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et")).filter(F.col("n_et") >= support)
-    pairs = materialise(pairs, "pairs")
-    if pairs.isEmpty():
-        return pairs.select("entity", "term")
-    often = met.select("entity", "context").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    df = _documents_with(docs, text, pairs.select("term").distinct())
-    n = float(docs.count())
-    told = pairs.join(often.hint("merge"), "entity").join(df.hint("merge"), "term")
-    pmi = F.log(F.lit(n) * F.col("n_et") / (F.col("n_e") * F.greatest("df", "n_et")))
-    return told.filter((F.lit(n) > F.col("n_e")) & (pmi >= disclosure * F.log(F.lit(n) / F.col("n_e")))).select("entity", "term")
+def revealing(docs: DataFrame, text: str, facts: DataFrame, held: DataFrame, *, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
+    """(entity, term) for terms that reveal an entity: in ``support`` distinct texts that hold it, at any distance, with
+    log(N n_et / (n_e n_t)) >= disclosure * log(N / n_e), where N counts distinct texts, n_t those with the term,
+    n_e those with the entity and n_et those with both. Copies of a text so count once."""
+    often = materialise(held.select("entity", "_k", "_m").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).filter(F.col("n_e") >= support), "entities")
+    first = held.join(often.hint("merge"), "entity").groupBy("_k", "_m", "entity").agg(F.min("_row").alias("_row")).groupBy("_row").agg(F.collect_set("entity").alias("_held"))
+    found = facts.filter(F.size("_entities") > 0).select("_row", "_text", "_spans").join(first.hint("merge"), "_row")
+    pairs = materialise(_pairs(found).filter(F.col("n_et") >= support), "pairs")
+    n = float(facts.select("_k", "_m").distinct().count())
+    pmi = lambda n_t: F.log(F.lit(n) * F.col("n_et") / (F.col("n_e") * F.greatest(F.col(n_t), "n_et")))
+    least = disclosure * F.log(F.lit(n) / F.col("n_e"))
+    # n_t is no less than the texts of these entities that hold the term: what fails by that needn't be counted in all texts
+    some = pairs.filter(F.col("entity") == ANY).select("term", F.col("n_et").alias("n_some"))
+    told = pairs.filter(F.col("entity") != ANY).join(often.hint("merge"), "entity").join(some.hint("merge"), "term")
+    told = materialise(told.filter((F.lit(n) > F.col("n_e")) & (pmi("n_some") >= least)), "candidates")
+    if told.isEmpty():
+        return told.select("entity", "term")
+    df = _documents_with(docs, text, told.select("term").distinct())
+    return told.join(df.hint("merge"), "term").filter(pmi("df") >= least).select("entity", "term")
+
+
+def _term_spans(rows: DataFrame) -> DataFrame:
+    """(_row, _added): where the words among _terms stand in _text, outside _spans."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        hashes, row, start, end = _free_words(batch.column(1), batch.column(2))
+        edges, out = np.searchsorted(row, np.arange(batch.num_rows + 1)), []
+        for i, terms in enumerate(batch.column(3).to_pylist()):
+            own = slice(edges[i], edges[i + 1])
+            ok = np.isin(hashes[own], np.array(terms, np.int64))
+            out.append([{"start": s, "end": e, "kind": "term"} for s, e in zip(start[own][ok].tolist(), end[own][ok].tolist(), strict=True)])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, SPAN_ARROW)], ["_row", "_added"])
+
+    return rows.select("_row", "_text", "_spans", "_terms").mapInArrow(arrow_map(run, "_text"), T.StructType([T.StructField("_row", T.LongType()), T.StructField("_added", T.ArrayType(SPAN))]))
 
 
 def find_personal_data(docs: DataFrame, *, text: str = "text", keep_text: bool = False, **thresholds) -> DataFrame:
     """``docs`` (the text only with ``keep_text``, as _text) with _spans: array of (start, end, kind) in code points, by start, then kind.
 
-    Kinds email, ip, card and phone are matched by pattern in the whole text. Then term: words near a mention that, over the corpus,
-    reveal the entity (see revealing()); they count only in documents that hold the entity. Null and empty texts
+    Kinds email, ip, card and phone are matched by pattern in the whole text. Then term: words that, over the corpus,
+    reveal an entity (see revealing()), wherever they stand in a document that holds the entity. Null and empty texts
     have no spans. Repeated rows are found each by itself. An empty table gives an empty table.
     """
     facts = materialise(scan(docs, text, keep_text), "personal")
-    met = facts.filter(F.size("_mentions") > 0).select("_row", F.explode("_mentions").alias("x")).select("_row", "x.*")
-    flagged = revealing(docs, text, met, **thresholds)
-    added = met.join(flagged.hint("merge"), ["entity", "term"]).select("_row", F.struct("start", "end", F.lit("term").alias("kind")).alias("x"))
-    added = added.groupBy("_row").agg(F.collect_set("x").alias("_added"))
-    some = facts.filter(F.size("_mentions") > 0).join(added.hint("merge"), "_row", "left")
+    held = facts.filter(F.size("_entities") > 0).select("_row", "_k", "_m", F.explode("_entities").alias("entity"))
+    flagged = revealing(docs, text, facts, held, **thresholds)
+    terms = held.join(materialise(flagged, "flagged").hint("merge"), "entity").groupBy("_row").agg(F.collect_set("term").alias("_terms"))
+    added = _term_spans(facts.filter(F.size("_entities") > 0).select("_row", "_text", "_spans").join(terms.hint("merge"), "_row"))
+    some = facts.filter(F.size("_entities") > 0).join(added.hint("merge"), "_row", "left")
     order = lambda x: F.struct(x["start"].alias("start"), F.array_position(F.array(*map(F.lit, KINDS)), x["kind"]).alias("k"), x["end"].alias("end"), x["kind"].alias("kind"))
     every = F.transform(F.array_sort(F.transform(F.concat("_spans", F.coalesce("_added", F.array().cast(T.ArrayType(SPAN)))), order)), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))
-    columns = [c for c in facts.columns if c not in ("_row", "_mentions", "_spans")]
-    none = facts.filter(F.size("_mentions") == 0).select(*columns, F.array().cast(T.ArrayType(SPAN)).alias("_spans"))
+    columns = [c for c in facts.columns if c not in ("_row", "_k", "_m", "_entities", "_spans") and (keep_text or c != "_text")]
+    none = facts.filter(F.size("_entities") == 0).select(*columns, F.array().cast(T.ArrayType(SPAN)).alias("_spans"))
     return some.select(*columns, every.alias("_spans")).unionByName(none)
 
 

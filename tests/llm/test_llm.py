@@ -497,6 +497,24 @@ def test_revealing_terms_and_redaction(spark):
     assert pii.sanitise(df).count() == len(rows) and pii.find_personal_data(df.limit(0)).count() == 0
 
 
+def test_terms_far_from_a_mention_reveal_it_too(spark):
+    rng = np.random.default_rng(4)
+    common = [f"wörd{i}" for i in range(30)]
+    say = lambda n: " ".join(rng.choice(common, n))
+    rows = [(i, say(30)) for i in range(200)]
+    for i in range(4):  # the name stands far from the mention, whose surroundings are the same everywhere
+        rows.append((500 + i, f"Dear Zanzibar {say(60)} zanzibar, {'yours as ever ' * 6}jo@example.org {'sent by hand ' * 6}"))
+    rows += [(600, "Zanzibar"), *((700 + i, rows[-1][1]) for i in range(9)), *((800 + i, f"Copied Quux {rows[0][1]} al@example.org") for i in range(5))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = by_id(pii.find_personal_data(df), "_spans")
+    said = dict(rows)
+    for d in [*range(500, 504), *range(700, 709)]:
+        found = [said[d][s["start"] : s["end"]] for s in got[d][0] if s["kind"] == "term"]
+        assert found[:3] == ["Dear", "Zanzibar", "zanzibar"] and set(found[3:]) == {"yours", "as", "ever", "sent", "by", "hand"}
+    assert not got[600][0] and all([s["kind"] for s in got[800 + i][0]] == ["email"] for i in range(5))
+    assert all("anzibar" not in v[0] for d, v in by_id(pii.sanitise(df), "text").items() if d != 600)
+
+
 # --- the pipeline
 
 
