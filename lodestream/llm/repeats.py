@@ -8,15 +8,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..session import materialise
+from ..session import materialise, small_or_salted_join
 from .kernels import arrow_map, by_bytes, mix, prefix_hash, span_hash, texts
 
 #: Bytes of a repeat, and of an anchor.
 LENGTH, ANCHOR = 200, 50
-#: Contexts of an anchor up to which one task compares them; beyond, their strings are compared by a shuffle. Contexts of a task, about.
+#: Contexts of an anchor, or strings of a class, up to which one task compares them; beyond, they are taken apart by shuffles. Contexts of a task, about.
 GROUP_ROWS, TASK_ROWS = 40_000, 2_048
+#: Anchors or nodes up to which a list of them is broadcast (some 400 bytes each).
+BROADCAST_NODES = 20_000
 #: Strings that a comparison holds at a time.
 MOST_STRINGS = 300_000
 #: Bits of the table that tells shared anchors before the exact join: 16 an anchor, within these bounds (32 MB at most).
@@ -111,25 +113,77 @@ def interval_groups(lcp: np.ndarray, left: list[set], floor: int) -> list[tuple[
     return out
 
 
-def compare_contexts(a: np.ndarray, d: np.ndarray, contexts: list[bytes], length: int = LENGTH, anchor: int = ANCHOR, groups: bool = False) -> tuple[list[list[tuple[int, int]]], list[tuple[list[tuple[int, int]], int]]]:
-    """Spans of each context that occur in another context of its anchor, and with ``groups`` the maximal repeats.
+def suffix_array(code: np.ndarray, data: np.ndarray, at: np.ndarray, left_over: np.ndarray, before: np.ndarray, length: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """Order of the strings at ``at``, by class and then by their ``left_over`` bytes, and the maximal repeats (first, last, length) as ranges of that order.
+
+    ``code`` tells strings with equal first ``length`` bytes (by hash; common prefixes are counted byte by byte from the start), ``before`` the byte before each, 256 at an edge.
+    """
+    wide = -(-int(left_over.max()) // 8) * 8
+    padded = np.concatenate([data, np.zeros(wide, np.uint8)])
+    rows = np.lib.stride_tricks.sliding_window_view(padded, wide)[at]
+    rows[np.arange(wide) >= left_over[:, None]] = 0
+    # members of a class are alike in their first ``length`` bytes, so what follows orders them
+    after = np.ascontiguousarray(rows[:, length // 8 * 8 :]).view(">u8").T.astype(_U)
+    order = np.lexsort([left_over, *after[::-1], code])
+    code, rows, left_over = code[order], rows[order], left_over[order]
+    differs = rows[1:] != rows[:-1]
+    same = np.where(differs.any(axis=1), differs.argmax(axis=1), wide)
+    same = np.where(code[1:] == code[:-1], np.minimum(same, np.minimum(left_over[1:], left_over[:-1])), 0)
+    return order, interval_groups(np.concatenate([[0], same]), [_BEFORE[b] for b in before[order].tolist()], length)
+
+
+def reach_of(n: int, found: list[tuple[int, int, int]]) -> np.ndarray:
+    """The longest repeat that starts at each of ``n`` suffixes, 0 for none."""
+    reach = np.zeros(n, np.int64)
+    for first, last, size in reversed(found):  # a node comes after those inside it, which are longer and so have the last word
+        reach[first : last + 1] = size
+    return reach
+
+
+def _within_class(code: np.ndarray) -> np.ndarray:
+    """Rank of each entry among those of its class, for sorted classes."""
+    first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+    return np.arange(len(code)) - np.repeat(first, np.diff(np.append(first, len(code))))
+
+
+#: Trees as rows: a member (with its rank in first and last) is the string that starts at ``start`` in context (a, c), length that of the longest repeat
+#: that starts there, or 0; a group (without a) is the range first to last of its tree's members, alike in ``length`` bytes.
+TREES = "tree long, first long, last long, length long, a long, c long, start long"
+
+
+def _tree_rows(tree: np.ndarray, found: list[tuple[int, int, int]], a: np.ndarray, c: np.ndarray, start: np.ndarray) -> pa.Table:
+    """TREES of sorted strings and their groups; classes without a group are left out. Ranges keep this linear in the strings, however many repeats nest."""
+    rank = _within_class(tree)
+    groups = np.array(found, np.int64).reshape(-1, 3)
+    of = tree[groups[:, 0]] if len(groups) else np.zeros(0, np.int64)
+    own = np.flatnonzero(np.isin(tree, of))
+    reach, nothing = reach_of(len(tree), found), pa.nulls(len(groups), pa.int64())
+    columns = {
+        "tree": [pa.array(tree[own]), pa.array(of)], "first": [pa.array(rank[own]), pa.array(rank[groups[:, 0]])], "last": [pa.array(rank[own]), pa.array(rank[groups[:, 1]])],
+        "length": [pa.array(reach[own]), pa.array(groups[:, 2])], "a": [pa.array(a[own]), nothing], "c": [pa.array(c[own]), nothing], "start": [pa.array(start[own]), nothing],
+    }
+    return pa.table({k: pa.chunked_array(v, pa.int64()) for k, v in columns.items()})
+
+
+def compare_contexts(a: np.ndarray, c: np.ndarray, d: np.ndarray, contexts: list[bytes], length: int = LENGTH, anchor: int = ANCHOR, groups: bool = False) -> tuple[list[list[tuple[int, int]]], list[pa.Table]]:
+    """Spans of each context that occur in another context of its anchor, and with ``groups`` the maximal repeats as TREES.
 
     ``d`` is the anchor's place in its context. Strings are compared only where the anchor stands at the same place in them, so no
     string meets itself. Of strings that are repeated (by hash, among contexts of one anchor) those go into the suffix array that
     can't be extended to the left with all their copies; they are sorted with all bytes that follow, neighbours' common prefixes are
-    counted byte by byte, and the interval tree gives the maximal repeats, whose occurrences are the spans. A group is ([(context, start)], length).
+    counted byte by byte, and the interval tree gives the maximal repeats, whose occurrences are the spans.
     """
     spans: list[list[tuple[int, int]]] = [[] for _ in contexts]
-    sizes = np.array([len(c) for c in contexts], np.int64)
+    sizes = np.array([len(x) for x in contexts], np.int64)
     data = np.frombuffer(b"".join(contexts), np.uint8)
     offsets = np.concatenate([[0], np.cumsum(sizes)])
     prefix, reaches = prefix_hash(data), length - anchor + 1
     step = max(1, min(reaches, MOST_STRINGS // max(1, len(contexts))))
-    found, repeats = [], []
+    found, trees = [], []
     for near in range(0, reaches, step):  # strings by the anchor's place in them, some places at a time
-        part = _compare_places(a, d, contexts, sizes, data, offsets, prefix, range(near, min(near + step, reaches)), length, groups)
-        found.append(part[0])
-        repeats += part[1]
+        part, tree = _compare_places(a, c, d, sizes, data, offsets, prefix, range(near, min(near + step, reaches)), length, groups)
+        found.append(part)
+        trees += tree
     who, low, high = (np.concatenate(x) for x in zip(*found, strict=True))
     order = np.lexsort([low, who])
     who, low, high = who[order], low[order], high[order]
@@ -140,15 +194,15 @@ def compare_contexts(a: np.ndarray, d: np.ndarray, contexts: list[bytes], length
     last = np.append(first[1:], len(who)) - 1
     for i, j in zip(first.tolist(), last.tolist() if len(first) else [], strict=True):
         spans[who[i]].append((int(low[i]), int(furthest[j] & 0xFFFFFFFF)))
-    return spans, repeats
+    return spans, trees
 
 
-def _compare_places(a, d, contexts, sizes, data, offsets, prefix, places: range, length: int, groups: bool) -> tuple[tuple[np.ndarray, ...], list]:
-    """(context, start, end) of what is repeated, and groups, for strings with the anchor at ``places``."""
+def _compare_places(a, c, d, sizes, data, offsets, prefix, places: range, length: int, groups: bool) -> tuple[tuple[np.ndarray, ...], list[pa.Table]]:
+    """(context, start, end) of what is repeated, and trees, for strings with the anchor at ``places``."""
     none = (np.zeros(0, np.int64),) * 3
     begin = np.maximum(d - places[-1], 0)
     count = np.maximum(np.minimum(d - places[0], sizes - length) - begin + 1, 0)
-    own = np.repeat(np.arange(len(contexts)), count)
+    own = np.repeat(np.arange(len(sizes)), count)
     if not len(own):
         return none, []
     start = begin[own] + np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
@@ -163,51 +217,33 @@ def _compare_places(a, d, contexts, sizes, data, offsets, prefix, places: range,
     kept = np.flatnonzero((n > 1) & ~extends)
     if not len(kept):
         return none, []
-    own, start, at, code = own[kept], start[kept], at[kept], code[kept]
-    left_over = sizes[own] - start
-    wide = -(-int(left_over.max()) // 8) * 8
-    padded = np.concatenate([data, np.zeros(wide, np.uint8)])
-    rows = np.lib.stride_tricks.sliding_window_view(padded, wide)[at]
-    rows[np.arange(wide) >= left_over[:, None]] = 0
-    # members of a class are alike in their first ``length`` bytes, so what follows orders them
-    after = np.ascontiguousarray(rows[:, length // 8 * 8 :]).view(">u8").T.astype(_U)
-    order = np.lexsort([*after[::-1], code])
-    own, start, code, rows, left_over = own[order], start[order], code[order], rows[order], left_over[order]
-    differs = rows[1:] != rows[:-1]
-    same = np.where(differs.any(axis=1), differs.argmax(axis=1), wide)
-    same = np.where(code[1:] == code[:-1], np.minimum(same, np.minimum(left_over[1:], left_over[:-1])), 0)
-    before = [_BEFORE[b] for b in np.where(start > 0, data[np.maximum(offsets[own] + start - 1, 0)].astype(np.int64), 256).tolist()]
-    found = interval_groups(np.concatenate([[0], same]), before, length)
+    own, start, at, key = own[kept], start[kept], at[kept], key[kept]
+    before = np.where(start > 0, data[np.maximum(at - 1, 0)].astype(np.int64), 256)
+    order, found = suffix_array(key, data, at, sizes[own] - start, before, length)
+    own, start, key = own[order], start[order], key[order]
     # a repeat that all its copies extend to the left is left to the place where it starts, so every span shows in some group
-    reach = np.zeros(len(own), np.int64)
-    for first, last, n in reversed(found):  # a node comes after those inside it, which are longer and so have the last word
-        reach[first : last + 1] = n
+    reach = reach_of(len(own), found)
     ok = np.flatnonzero(reach)
-    spans = own[ok], start[ok], start[ok] + reach[ok]
-    if not groups:
-        return spans, []
-    return spans, [([(int(own[i]), int(start[i])) for i in range(low, high + 1)], n) for low, high, n in found]
+    return (own[ok], start[ok], start[ok] + reach[ok]), [_tree_rows(key.view(np.int64), found, a.view(np.int64)[own], c[own], start)] if groups else []
 
 
 def _groups_of(contexts: DataFrame, groups: bool) -> DataFrame:
-    """compare_contexts over buckets of anchors: (a, c, spans) or, with ``groups``, (a, place, length, c, start)."""
+    """compare_contexts over buckets of anchors: (a, c, spans) or, with ``groups``, TREES."""
     buckets = max(1, math.ceil(contexts.count() / TASK_ROWS))
 
     def run(table: pa.Table) -> pa.Table:
         a, c, d = (table.column(x).to_numpy() for x in ("a", "c", "d"))
-        spans, found = compare_contexts(a.view(_U), d.astype(np.int64), table.column("bytes").to_pylist(), groups=groups)
+        spans, trees = compare_contexts(a.view(_U), c, d.astype(np.int64), table.column("bytes").to_pylist(), groups=groups)
         if groups:
-            rows = [{"a": int(a[o]), "place": g, "length": n, "c": int(c[o]), "start": s} for g, (who, n) in enumerate(found) for o, s in who]
-            return pa.Table.from_pylist(rows, pa.schema([("a", pa.int64()), ("place", pa.int64()), ("length", pa.int64()), ("c", pa.int64()), ("start", pa.int64())]))
+            return pa.concat_tables(trees) if trees else _tree_rows(a[:0], [], a[:0], c[:0], c[:0])
         lists = pa.array([[{"s": s, "e": e} for s, e in x] for x in spans], pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())])))
         return pa.table({"a": a, "c": c, "spans": lists})
 
-    schema = "a long, place long, length long, c long, start long" if groups else "a long, c long, spans array<struct<s: long, e: long>>"
-    return contexts.withColumn("b", F.pmod("a", F.lit(buckets))).groupBy("b").applyInArrow(run, schema)
+    return contexts.select("a", "c", "d", "bytes").withColumn("b", F.pmod("a", F.lit(buckets))).groupBy("b").applyInArrow(run, TREES if groups else "a long, c long, spans array<struct<s: long, e: long>>")
 
 
-def _hot_spans(contexts: DataFrame) -> DataFrame:
-    """What _groups_of finds, for anchors with too many contexts for a task: each string is a row, equal ones are counted by a shuffle."""
+def _hot_strings(contexts: DataFrame) -> DataFrame:
+    """(tree, a, c, start, before, suffix): what _compare_places keeps, for anchors with too many contexts for a task. Each string is a row, equal ones are counted by a shuffle."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         c, d = batch.column(1), batch.column(2).to_numpy().astype(np.int64)
@@ -217,14 +253,72 @@ def _hot_spans(contexts: DataFrame) -> DataFrame:
         start = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
         at = offsets[own] + start
         gram = span_hash(prefix_hash(data), at, at + LENGTH)
-        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own)), c.take(pa.array(own)), pa.array(start), pa.array(d[own] - start), pa.array(gram.view(np.int64))], ["a", "c", "start", "before", "gram"])
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own)), c.take(pa.array(own)), pa.array(start), pa.array(d[own] - start), pa.array(gram.view(np.int64))], ["a", "c", "start", "place", "gram"])
+
+    rows = materialise(contexts.select("a", "c", "d", "bytes").mapInArrow(arrow_map(run, "bytes"), "a long, c long, start long, place long, gram long"), "hot-strings")
+    often = rows.groupBy("a", "place", "gram").agg(F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(c))").alias("who")).filter("n > 1")
+    along = W.partitionBy("a", "c").orderBy("start")  # at most 151 strings a context
+    met = rows.join(often.hint("merge"), ["a", "place", "gram"]).withColumn("_p", F.lag(F.struct("start", "n", "who")).over(along))
+    kept = met.filter("_p IS NULL OR _p.start <> start - 1 OR _p.n <> n OR _p.who <> who").select("a", "c", "start", F.xxhash64("a", "place", "gram").alias("tree"))
+    text = contexts.select("a", "c", "bytes")
+    said = kept.join(text.hint("merge"), ["a", "c"])
+    return said.select("tree", "a", "c", "start", F.expr("CASE WHEN start > 0 THEN substring(bytes, CAST(start AS INT), 1) END").alias("before"), F.expr("substring(bytes, CAST(start AS INT) + 1)").alias("suffix"))
+
+
+def _common(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Nodes with the bytes that the least and the greatest of their strings, and so all, have in common."""
+
+    def shared(x: bytes, y: bytes) -> int:
+        n = min(len(x), len(y))
+        differs = np.flatnonzero(np.frombuffer(x, np.uint8, n) != np.frombuffer(y, np.uint8, n))
+        return int(differs[0]) if len(differs) else n
+
+    size = [shared(x, y) for x, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+    return pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), batch.column(3)], ["tree", "length", "diverse"])
+
+
+def _hot_trees(strings: DataFrame) -> DataFrame:
+    """TREES of the hot strings. A class that fits a task gets its suffix array there. A larger one is taken apart from the root of its interval tree down:
+    a node's length is what its least and greatest string share, its children are told by the next byte; both come from
+    aggregates, so that no node is gathered, and a level moves only the strings of nodes that are still too large."""
+    open_, small, out = materialise(strings, "hot-nodes"), [], []
+    while True:
+        nodes = materialise(open_.groupBy("tree").agg(F.count(F.lit(1)).alias("n"), F.min("suffix").alias("low"), F.max("suffix").alias("high"), (F.count_if(F.col("before").isNull()) > 0).alias("edge"), (F.min("before") < F.max("before")).alias("differ")).filter("n > 1"), "hot-classes")
+        small.append(small_or_salted_join(open_, nodes.filter(F.col("n") <= GROUP_ROWS).select("tree"), ["tree"], limit=BROADCAST_NODES))
+        large = nodes.filter(F.col("n") > GROUP_ROWS).select("tree", "low", "high", (F.col("edge") | F.coalesce("differ", F.lit(False))).alias("diverse"))
+        large = materialise(large.mapInArrow(arrow_map(_common, "low"), "tree long, length long, diverse boolean"), "hot-roots")
+        if large.isEmpty():
+            break
+        held = materialise(small_or_salted_join(open_, large, ["tree"], limit=BROADCAST_NODES), "hot-members")
+        # classes are told by a hash: what it throws together differs before LENGTH bytes and is only taken apart
+        true = F.col("diverse") & (F.col("length") >= LENGTH)
+        out.append(large.filter(true).select("tree", F.lit(0).cast("long").alias("first"), F.lit(0).cast("long").alias("last"), "length", *[F.lit(None).cast("long").alias(x) for x in ("a", "c", "start")]))
+        out.append(held.filter(true).select("tree", F.lit(0).cast("long").alias("first"), F.lit(0).cast("long").alias("last"), "length", "a", "c", "start"))
+        # strings that end with the node are its leaves; equal ones stay together as a node of their own
+        ended = F.octet_length("suffix") <= F.col("length")
+        open_ = held.filter(~ended).select(F.expr("xxhash64(tree, substring(suffix, CAST(length AS INT) + 1, 1))").alias("tree"), "a", "c", "start", "before", "suffix")
+
+    def run(table: pa.Table) -> pa.Table:
+        tree, a, c, start = (table.column(x).to_numpy() for x in ("tree", "a", "c", "start"))
+        before = np.array([b[0] if b else 256 for b in table.column("before").to_pylist()], np.int64)
+        data, offsets = texts(table.column("suffix"))
+        order, found = suffix_array(tree, data, offsets[:-1], np.diff(offsets), before, LENGTH)
+        return _tree_rows(tree[order], found, a[order], c[order], start[order])
+
+    every = small[0]
+    for x in small[1:]:
+        every = every.unionByName(x)
+    buckets = max(1, math.ceil(every.count() / TASK_ROWS))
+    trees = every.withColumn("b", F.pmod("tree", F.lit(buckets))).groupBy("b").applyInArrow(run, TREES)
+    for x in out:
+        trees = trees.unionByName(x)
+    return trees
 
-    rows = materialise(contexts.select("a", "c", "d", "bytes").mapInArrow(arrow_map(run, "bytes"), "a long, c long, start long, before long, gram long"), "hot-strings")
-    often = rows.groupBy("a", "before", "gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    met = rows.join(often.hint("merge"), ["a", "before", "gram"])
-    starts = met.groupBy("a", "c").agg(F.sort_array(F.collect_list("start")).alias("x"))  # at most 151 each
-    runs = F.arrays_zip(F.filter("x", lambda s: ~F.array_contains("x", s - 1)).alias("s"), F.filter("x", lambda s: ~F.array_contains("x", s + 1)).alias("e"))
-    return starts.select("a", "c", F.transform(runs, lambda r: F.struct(r["s"].alias("s"), (r["e"] + LENGTH).alias("e"))).alias("spans"))
+
+def tree_spans(trees: DataFrame) -> DataFrame:
+    """(a, c, spans) of what the members of groups repeat."""
+    met = trees.filter("a IS NOT NULL AND length > 0")
+    return met.groupBy("a", "c").agg(F.collect_set(F.struct(F.col("start").alias("s"), (F.col("start") + F.col("length")).alias("e"))).alias("spans"))
 
 
 class Repeats:
@@ -234,7 +328,7 @@ class Repeats:
        Anchors that occur once are done with. An anchor with one context only, met several times, repeats all of it.
     2. A second scan gives the occurrences of the anchors left (told by a bit table of bounded size, then by an exact join), and the bytes
        of contexts where an anchor has several.
-    3. The distinct contexts of such an anchor meet in one task (see compare_contexts), unless they are too many (_hot_spans).
+    3. The distinct contexts of such an anchor meet in one task (see compare_contexts), unless they are too many (_hot_trees).
     """
 
     def __init__(self, docs: DataFrame, text: str):
@@ -260,17 +354,28 @@ class Repeats:
                 yield pa.RecordBatch.from_arrays([part.column(1).take(rows), part.column(2).take(rows), pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), pa.array(low - offsets[row]), pa.array((place - low).astype(np.int32)), pa.array((high - low).astype(np.int32)), pa.array(bytes_, pa.binary())], ["k", "m", "a", "c", "at", "d", "size", "bytes"])
 
         self.met = materialise(keyed.mapInArrow(occurrences, "k long, m int, a long, c long, at long, d int, size int, bytes binary"), "occurrences")
-        several = pairs.filter("contexts > 1").select("a", "contexts")
-        self.contexts = materialise(self.met.filter("bytes is not null").select("a", "c", "d", "bytes").join(several.hint("merge"), "a").groupBy("a", "c").agg(F.first("d").alias("d"), F.first("bytes").alias("bytes"), F.first("contexts").alias("contexts"), F.count(F.lit(1)).alias("n")), "contexts")
+        contexts = self.met.filter("bytes is not null").groupBy("a", "c").agg(F.first("d").alias("d"), F.first("bytes").alias("bytes"), F.count(F.lit(1)).alias("n"))
+        crowded = pairs.filter(F.col("contexts") > GROUP_ROWS).select("a", F.lit(True).alias("hot"))
+        self.contexts = materialise(small_or_salted_join(contexts, crowded, ["a"], limit=BROADCAST_NODES, how="left"), "contexts")
+        self.cold, self.hot = self.contexts.filter("hot IS NULL"), self.contexts.filter("hot")
+
+    def sites(self) -> DataFrame:
+        """(a, c, k, m, at): where each context starts in which text."""
+        return self.met.select("a", "c", "k", "m", "at").distinct()
+
+    def copies(self) -> DataFrame:
+        """(a, c, size) of contexts that occur more than once: all of them is repeated, whatever other contexts hold."""
+        # What the bit table lets through by chance is left out by this join.
+        alone = self.met.join(self.pairs.filter("contexts = 1").select("a").hint("merge"), "a").groupBy("a", "c").agg(F.first("size").cast("long").alias("size"))
+        several = self.contexts.filter("n > 1").select("a", "c", F.octet_length("bytes").cast("long").alias("size"))
+        return alone.unionByName(several).groupBy("a", "c").agg(F.max("size").alias("size"))
 
     def spans(self) -> DataFrame:
         """(k, m, spans): the repeated spans of each text that has any; texts that are alike share a row."""
-        cold, hot = self.contexts.filter(F.col("contexts") <= GROUP_ROWS), self.contexts.filter(F.col("contexts") > GROUP_ROWS)
-        found = _groups_of(cold, False)
-        if not hot.isEmpty():
-            found = found.unionByName(_hot_spans(hot))
+        found = _groups_of(self.cold, False)
+        if not self.hot.isEmpty():
+            found = found.unionByName(tree_spans(_hot_trees(_hot_strings(self.hot))))
         found = found.select("a", "c", "spans").filter(F.size("spans") > 0)
-        # What the bit table lets through by chance is left out by this join.
         own = self.met.select("k", "m", "a", "c", "at", "size").distinct()
         copies = self.pairs.filter("contexts = 1").select("a")
         whole = own.join(copies.hint("merge"), "a").select("k", "m", F.col("at").alias("s"), (F.col("at") + F.col("size")).alias("e"))
@@ -279,14 +384,19 @@ class Repeats:
         every = whole.unionByName(rest.select("k", "m", (F.col("at") + F.col("x.s")).alias("s"), (F.col("at") + F.col("x.e")).alias("e")))
         return every.groupBy("k", "m").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
 
-    def groups(self) -> DataFrame:
-        """(group, length, k, m, start): maximal repeats of at least LENGTH bytes with all their occurrences.
+    def trees(self) -> DataFrame:
+        """TREES of all anchors, crowded ones too, and a tree of one member for each context that occurs more than once."""
+        out = _groups_of(self.cold, True)
+        if not self.hot.isEmpty():
+            out = out.unionByName(_hot_trees(_hot_strings(self.hot)))
+        rank = [F.lit(0).cast("long").alias(x) for x in ("first", "last")]
+        copies = self.copies().select(F.xxhash64("a", "c", F.lit("copies")).alias("tree"), *rank, F.col("size").alias("length"), F.explode(F.array(F.struct("a", "c", F.lit(0).cast("long").alias("start")), F.lit(None).cast("struct<a:bigint,c:bigint,start:bigint>"))).alias("x"))
+        return out.unionByName(copies.select("tree", "first", "last", "length", "x.a", "x.c", "x.start"))
 
-        Seen within the contexts of one anchor of several contexts: a longer repeat shows as one group at each of its anchors.
-        """
-        found = _groups_of(self.contexts.filter(F.col("contexts") <= GROUP_ROWS), True)
-        at = found.join(self.met.select("k", "m", "a", "c", "at").distinct().hint("merge"), ["a", "c"])
-        return at.select(F.xxhash64("a", "place", "length").alias("group"), "length", "k", "m", (F.col("at") + F.col("start")).alias("start"))
+
+def as_row(columns: list[str]) -> Column:
+    """Columns of the caller in one, named row, so that none clashes with ours."""
+    return F.struct(*[F.col(f"`{c}`").alias(c) for c in columns] or [F.lit(0).alias("none")]).alias("row")
 
 
 def text_key(text: str) -> list:
@@ -294,9 +404,24 @@ def text_key(text: str) -> list:
     return [F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("k"), F.hash(F.coalesce(F.col(text), F.lit(""))).alias("m")]
 
 
-def repeat_groups(docs: DataFrame, *, text: str = "text") -> DataFrame:
-    """Maximal repeat groups with all occurrences, see Repeats.groups(); k and m are text_key() of the text."""
-    return Repeats(docs, text).groups()
+def repeat_groups(docs: DataFrame, *, text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The maximal repeats of at least LENGTH bytes with all their occurrences, as three tables that stay linear in the repeated bytes even where repeats nest:
+
+    groups (tree, first, last, length): ranges of the members of a tree; members (tree, rank, a, c, start): strings of contexts
+    in the order of their suffixes; sites (a, c, k, m, at): where contexts stand, k and m being text_key() of the text (exact copies of
+    a text share their sites). See occurrences(). A context reaches LENGTH - ANCHOR bytes before its anchor and LENGTH after its start: a
+    longer repeat shows as overlapping groups, one for each anchor in it, each with all occurrences. Null, empty and short texts are in no group.
+    """
+    found = Repeats(docs, text)
+    trees = materialise(found.trees(), "trees")
+    members = trees.filter("a IS NOT NULL").select("tree", F.col("first").alias("rank"), "a", "c", "start")
+    return trees.filter("a IS NULL").select("tree", "first", "last", "length"), members, found.sites()
+
+
+def occurrences(groups: DataFrame, members: DataFrame, sites: DataFrame) -> DataFrame:
+    """(tree, first, last, length, k, m, start): each occurrence of the given groups, which a caller may have filtered; nested groups repeat theirs."""
+    held = groups.join(members.hint("merge"), "tree").filter("rank BETWEEN first AND last").drop("rank")
+    return held.join(sites.hint("merge"), ["a", "c"]).select("tree", "first", "last", "length", "k", "m", (F.col("at") + F.col("start")).alias("start"))
 
 
 def remove_repeats(docs: DataFrame, *, text: str = "text", keep_bytes: bool = True) -> DataFrame:
@@ -309,14 +434,13 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", keep_bytes: bool = Tr
     new = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
     spans = Repeats(docs, text).spans()
     kept = [c for c in docs.columns if c != text and c not in new]
-    rows = docs.select(*[F.col(c) for c in kept], F.col(text).alias("_text"), *[k.alias(n) for k, n in zip(text_key(text), ("_k", "_m"), strict=True)])
-    both = rows.join(spans.hint("merge"), (F.col("_k") == F.col("k")) & (F.col("_m") == F.col("m")), "left").select(*kept, "_text", "spans")
-    place = len(kept)
+    rows = docs.select(as_row(kept), F.col(text).alias("text"), *text_key(text))
+    both = rows.join(spans.hint("merge"), ["k", "m"], "left").select("row", "text", "spans")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        data, offsets = texts(batch.column(place))
+        data, offsets = texts(batch.column(1))
         out = []
-        for r, found in enumerate(batch.column(place + 1).to_pylist()):
+        for r, found in enumerate(batch.column(2).to_pylist()):
             own = data[offsets[r] : offsets[r + 1]].tobytes()
             left, removed, runs, at = [], 0, 0, 0
             for s, e in sorted((x["s"], x["e"]) for x in found or ()):
@@ -332,8 +456,7 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", keep_bytes: bool = Tr
             out.append((len(own), removed, runs, hashlib.sha256(left).hexdigest(), left if keep_bytes else None))
         columns = list(zip(*out, strict=True))
         types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-        return pa.RecordBatch.from_arrays([*batch.columns[:place], *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], [*batch.schema.names[:place], *new])
+        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], ["row", *new])
 
-    schema = ", ".join([*(f"`{c}` {both.schema[c].dataType.simpleString()}" for c in kept), "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"])
-    out = both.mapInArrow(arrow_map(run, "_text"), schema)
-    return out if keep_bytes else out.drop("kept")
+    out = both.mapInArrow(arrow_map(run, "text"), f"row {both.schema['row'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return out.select(*[F.col("row")[c].alias(c) for c in kept], *(new if keep_bytes else new[:-1]))

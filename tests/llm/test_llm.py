@@ -328,8 +328,9 @@ def test_repeats(spark, docs, monkeypatch, group):
     say = lambda n: "".join(rng.choice(list("abcdefgh "), n))
     passage = say(260)
     extra = [(100 + i, say(int(rng.integers(0, 300))) + passage[: int(rng.integers(150, 261))] + say(50)) for i in range(12)]
-    rows = texts() + extra
-    df = docs.select("doc_id", "text", F.lit("clash").alias("n_bytes")).unionByName(spark.createDataFrame([(d, t, "c") for d, t in extra], "doc_id long, text string, n_bytes string"))
+    own = [(d, t) for d, t in texts() if group > 3 or t != "x" * 5000]  # each length of it would be a round
+    rows = own + extra
+    df = docs.join(spark.createDataFrame([(d,) for d, _ in own], "doc_id long"), "doc_id").select("doc_id", "text", F.lit("clash").alias("n_bytes")).unionByName(spark.createDataFrame([(d, t, "c") for d, t in extra], "doc_id long, text string, n_bytes string"))
     assert by_id(repeats.remove_repeats(df), "n_bytes", "n_removed", "n_spans", "kept_sha256") == removed(rows)
 
 
@@ -340,14 +341,61 @@ def test_repeats_of_repeated_rows_and_nothing(spark):
     assert repeats.remove_repeats(df.limit(0)).count() == 0
 
 
-def test_repeat_groups_hold_equal_strings(spark, docs):
-    said = {}
-    for d, t in texts():
-        said[spark.createDataFrame([(t,)], "text string").select(*repeats.text_key("text")).first()] = (t or "").encode()
-    groups = collections.defaultdict(set)
-    for r in repeats.repeat_groups(docs).collect():
-        groups[r.group, r.length].add(said[(r.k, r.m)][r.start : r.start + r.length])
-    assert groups and all(len(g) == 1 and len(next(iter(g))) == n >= 200 for (_, n), g in groups.items())
+def all_repeats(rows, length=200):
+    """Each string of ``length`` bytes that starts at two places at least, with its places."""
+    seen = collections.defaultdict(set)
+    for d, t in rows:
+        b = (t or "").encode()
+        for i in range(len(b) - length + 1):
+            seen[b[i : i + length]].add((d, i))
+    return {s: p for s, p in seen.items() if len(p) > 1}
+
+
+@pytest.mark.parametrize("group", [repeats.GROUP_ROWS, 3])
+def test_repeat_groups_have_all_occurrences(spark, monkeypatch, group):
+    monkeypatch.setattr(repeats, "GROUP_ROWS", group)
+    rng = np.random.default_rng(6)
+    say = lambda n: "".join(rng.choice(list("abcdéfgh "), n))
+    passage, far = say(260), say(700)
+    rows = [(i, say(int(rng.integers(0, 200))) + passage[: int(rng.integers(190, 261))] + say(40)) for i in range(10)]
+    rows += [(20, say(50) + far + say(30)), (21, far + "z"), (22, say(300)), (23, None), (24, ""), (25, "short")]
+    groups, members, sites = repeats.repeat_groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    ids = {tuple(r)[1:]: r.doc_id for r in spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", *repeats.text_key("text")).collect()}
+    data = {d: (t or "").encode() for d, t in rows}
+    found = collections.defaultdict(set)
+    for r in repeats.occurrences(groups, members, sites).collect():
+        found[r.tree, r["first"], r["last"], r.length].add((ids[r.k, r.m], r.start))
+    most = collections.defaultdict(set)
+    for (_, _, _, n), places in found.items():
+        assert len(places) > 1 and n >= 200 and len({data[d][s : s + n] for d, s in places}) == 1
+        d, s = next(iter(places))
+        for o in range(n - 199):
+            most[data[d][s + o : s + o + 200]] |= {(d, s + o) for d, s in places} if len(places) >= len(most[data[d][s + o : s + o + 200]]) else set()
+    assert dict(most) == all_repeats(rows)
+
+
+def test_copies_and_periodic_texts_stay_linear(spark):
+    t = "x" * 5000
+    copy = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(900))
+    docs = spark.createDataFrame([(1, t), (2, copy), (3, copy)], "doc_id long, text string")
+    groups, members, sites = (x.toPandas() for x in repeats.repeat_groups(docs))
+    assert len(groups) + len(members) < 100_000 and len(sites) < 6_000
+    at = sites.groupby(["a", "c"]).size().rename("n").reset_index()
+    held = members.merge(at, on=["a", "c"])
+    counts = [held[(held.tree == g.tree) & (held["rank"] >= g["first"]) & (held["rank"] <= g["last"])]["n"].sum() for _, g in groups[groups.length == 200].head(20).iterrows()]
+    assert max(counts) == 4801  # the places of 200 letters
+    keys = [tuple(r) for r in docs.filter("doc_id = 2").select(*repeats.text_key("text")).collect()]
+    own = sites[(sites.k == keys[0][0]) & (sites.m == keys[0][1])].merge(members, on=["a", "c"]).merge(groups, on="tree")
+    own = own[(own["rank"] >= own["first"]) & (own["rank"] <= own["last"])]
+    covered = {b for _, r in own.iterrows() for b in range(r["at"] + r["start"], r["at"] + r["start"] + r["length"])}
+    assert covered == set(range(900))
+
+
+def test_clashing_names_are_replaced_or_kept(spark):
+    names = ["k", "m", "_k", "_m", "spans", "_text", "row", "kept"]
+    df = spark.createDataFrame([(1, "ab" * 150, *names), (2, None, *names)], ", ".join(["doc_id long", "text string", *(f"{n} string" for n in names)]))
+    got = repeats.remove_repeats(df, keep_bytes=False).collect()
+    assert {(r.doc_id, r.n_bytes, r.n_removed) for r in got} == {(1, 300, 300), (2, 0, 0)} and all(r[n] == n for r in got for n in names[:-1]) and "kept" not in got[0]
 
 
 def test_removed_spans_are_occurrences_of_interval_groups(monkeypatch):
@@ -359,13 +407,15 @@ def test_removed_spans_are_occurrences_of_interval_groups(monkeypatch):
     before, after = say(150), say(150)
     cuts = [(150, 150), (150, 150), (150, 90), (100, 150), (80, 120), (10, 20)]
     contexts = [say(150 - i) + before[150 - i :] + anchor + after[:j] + say(150 - j) for i, j in cuts]
-    a, d = np.zeros(len(contexts), np.uint64), np.full(len(contexts), 150)
-    spans, groups = repeats.compare_contexts(a, d, contexts, groups=True)
+    a, c, d = np.zeros(len(contexts), np.uint64), np.arange(len(contexts)), np.full(len(contexts), 150)
+    spans, trees = repeats.compare_contexts(a, c, d, contexts, groups=True)
+    rows = pa.concat_tables(trees).to_pylist()
+    groups, members = [r for r in rows if r["a"] is None], [r for r in rows if r["a"] is not None]
     assert sum(map(len, seen)) == len(groups) > 1
     covered = lambda found: [{b for s, e in x for b in range(s, e)} for x in found]
-    told = [[(s, s + n) for who, n in groups for o, s in who if o == c] for c in range(len(contexts))]
+    told = [[(m["start"], m["start"] + g["length"]) for g in groups for m in members if m["c"] == o and m["tree"] == g["tree"] and g["first"] <= m["first"] <= g["last"]] for o in range(len(contexts))]
     seen.clear()
-    alone, _ = repeats.compare_contexts(a, d, contexts)
+    alone, _ = repeats.compare_contexts(a, c, d, contexts)
     assert seen and alone == spans and covered(spans) == covered(told)
     grams = collections.Counter((s, c[s : s + 200]) for c in contexts for s in range(151))
     assert covered(spans) == [{b for s in range(151) if grams[s, c[s : s + 200]] > 1 for b in range(s, s + 200)} for c in contexts]
