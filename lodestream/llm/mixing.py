@@ -15,6 +15,8 @@ from .kernels import SPACE, arrow_map, by_bytes, texts, words
 
 #: Words of a block, blocks of an output shard, rounds of the permutation, and the most that a source is repeated.
 BLOCK, SHARD_BLOCKS, ROUNDS, MOST_REPEATS = 64, 1 << 14, 4, 3
+#: Sources, and slots, of one draw of counts; shards that a task draws.
+COHORT, STRATUM, SHARDS_A_TASK = 100_000, 1 << 29, 64
 #: Sources up to which their table is broadcast, and documents of a source that one task puts in order, about.
 BROADCAST_SOURCES, BUCKET_ROWS = 100_000, 20_000
 
@@ -98,28 +100,77 @@ def _taken(target: float, size: int, block: int, seed: str, rank: int) -> tuple[
     return n, epochs * n + last, epochs, rest, place
 
 
-def draw_slots(sources: DataFrame, *, block: int = BLOCK, shard_blocks: int = SHARD_BLOCKS, seed: str = "mix") -> DataFrame:
-    """(rank, block, shard, slot, take): the blocks of the mix, in ``shard_blocks`` slots a shard on average.
+def split_counts(counts: np.ndarray, slots: int, *seed) -> np.ndarray:
+    """How many of ``slots`` slots go to each source if the sources have ``counts`` slots in all: multinomial counts, given those totals."""
+    if slots >= counts.sum():
+        return counts
+    return np.random.default_rng(_seed(*seed)).multivariate_hypergeometric(counts, slots, method="marginals")
 
-    For each source the number of its slots in every shard is a multinomial draw over the shards, with the sum
-    fixed by its target, so a shard's counts by source are as in a multinomial draw and the totals are exact. Slot k of a source
+
+def shard_counts(totals: np.ndarray, place: int, counts: np.ndarray, shard_blocks: int, wanted: range, *seed) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(shard, slots of each source before the shard, slots of each source in it) for the ``wanted`` of the shards that ``totals`` fill.
+
+    ``totals`` are the slots of all cohorts of sources, ``counts`` those of the sources of cohort ``place``. Every shard has ``shard_blocks`` slots, the
+    last one what is left. Counts of a shard are a multinomial draw over the cohorts and then over a cohort's sources, and the draws of all shards
+    are conditioned on the sources' totals. They are made by halving the range of shards, each half by a draw of its own
+    seed, so that a task finds the counts of its shards without drawing the others, and tasks agree.
+    """
+
+    def walk(low: int, high: int, all_: np.ndarray, before: np.ndarray, own: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        if high <= wanted.start or low >= wanted.stop:
+            return
+        if high - low <= 1:
+            yield low, before, own
+            return
+        middle = (low + high) // 2
+        left = split_counts(all_, (middle - low) * shard_blocks, *seed, low, high)
+        mine = split_counts(own, int(left[place]), *seed, low, high, place)
+        yield from walk(low, middle, left, before, mine)
+        yield from walk(middle, high, all_ - left, before + mine, own - mine)
+
+    yield from walk(0, -(-int(totals.sum()) // shard_blocks), totals, np.zeros_like(counts), counts)
+
+
+def draw_slots(sources: DataFrame, *, block: int = BLOCK, shard_blocks: int = SHARD_BLOCKS, seed: str = "mix", cohort: int = COHORT, stratum: int = STRATUM) -> DataFrame:
+    """(rank, block, shard, slot, take): the blocks of the mix, in shards of ``shard_blocks`` slots.
+
+    For each shard the counts of slots by source are drawn (see shard_counts()); totals meet the targets to the word. More than ``stratum`` slots
+    are cut into strata with equal shares of each source, whose last shard is short; more than ``cohort`` sources are drawn by cohorts. So
+    a draw never holds more numbers than that. Slot k of a source
     takes block perm(k mod n) of its n blocks, with another pseudorandom permutation each time all
-    n have been used; its last slots are cut so that its words are round(target). Draws are seeded by source
-    and number: reruns and retries agree.
+    n have been used; its last slots are cut so that its words are round(target). Draws are seeded by number: reruns and retries agree.
     """
-    total = sources.agg(F.sum("target")).first()[0] or 0.0
-    shards = max(1, math.ceil(total / block / shard_blocks))
 
-    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rank, size, target in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                slots = _taken(target, size, block, seed, rank)[1]
-                counts = np.random.default_rng(_seed(seed, "counts", rank)).multinomial(slots, np.full(shards, 1 / shards))
-                at = np.cumsum(counts) - counts
-                own = np.flatnonzero(counts)
-                for low in range(0, len(own), 50_000):
-                    k = own[low : low + 50_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), rank)), pa.array(np.full(len(k), size)), pa.array(np.full(len(k), target)), pa.array(k), pa.array(at[k]), pa.array(counts[k])], ["rank", "size", "target", "shard", "first", "n"])
+            rank, size, target = (batch.column(i) for i in range(3))
+            slots = [_taken(t, n, block, seed, r)[1] for r, n, t in zip(rank.to_pylist(), size.to_pylist(), target.to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([rank, size, target, pa.array(slots, pa.int64())], ["rank", "size", "target", "slots"])
+
+    known = sources.select("rank", F.col("source_size").cast("long").alias("size"), "target").mapInArrow(sized, "rank long, size long, target double, slots long")
+    known = materialise(known.withColumn("cohort", F.expr(f"rank div {cohort}")), "slots")
+    strata = max(1, math.ceil((known.agg(F.sum("slots")).first()[0] or 0) / stratum))
+    share = F.expr(f"slots * (part + 1) div {strata} - slots * part div {strata}")
+    sums = known.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(strata - 1)))).groupBy("part", "cohort").agg(F.sum(share).alias("n"))
+    totals = np.zeros((strata, 1 + (known.agg(F.max("cohort")).first()[0] or 0)), np.int64)
+    for r in sums.collect():  # a number for each stratum and each ``cohort`` sources
+        totals[r.part, r.cohort] = r.n
+    ends = np.cumsum(-(-totals.sum(axis=1) // shard_blocks)).tolist()
+    dealt = known.withColumn("low", F.explode(F.sequence(F.lit(0), F.lit(max(0, ends[-1] - 1)), F.lit(SHARDS_A_TASK))))
+
+    def draw(key: tuple, table: pa.Table) -> pa.Table:
+        place, low = key[0].as_py(), key[1].as_py()
+        table = table.sort_by("rank")
+        slots, out = table.column("slots").to_numpy(), []
+        for part, (start, end) in enumerate(zip([0, *ends], ends)):
+            wanted = range(max(start, low) - start, min(end, low + SHARDS_A_TASK) - start)
+            done = slots * part // strata
+            for shard, before, counts in shard_counts(totals[part], place, slots * (part + 1) // strata - done, shard_blocks, wanted, seed, part) if len(wanted) else ():
+                some = np.flatnonzero(counts)
+                out.append((some, np.full(len(some), start + shard), (done + before)[some], counts[some]))
+        at, shard, first, n = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 4
+        named = [table.column(c).take(pa.array(at)) for c in ("rank", "size", "target")]
+        return pa.table([*named, pa.array(shard), pa.array(first), pa.array(n)], ["rank", "size", "target", "shard", "first", "n"])
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,7 +187,7 @@ def draw_slots(sources: DataFrame, *, block: int = BLOCK, shard_blocks: int = SH
                     take = np.where(epoch < epochs, length, np.clip(rest - before, 0, length))
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), rank)), pa.array(which), pa.array(np.full(len(k), shard)), pa.array(k), pa.array(take)], ["rank", "block", "shard", "slot", "take"])
 
-    drawn = sources.select("rank", F.col("source_size").cast("long").alias("size"), "target").mapInArrow(draw, "rank long, size long, target double, shard long, first long, n long")
+    drawn = dealt.groupBy("cohort", "low").applyInArrow(draw, "rank long, size long, target double, shard long, first long, n long")
     return drawn.repartition("rank", "shard").mapInArrow(expand, "rank long, block long, shard long, slot long, take long").filter("take > 0")
 
 
@@ -150,7 +201,7 @@ def place_documents(sized: DataFrame, sources: DataFrame) -> DataFrame:
     keyed = sized.withColumn("_no", F.col("source").isNull()).withColumn("_source", F.coalesce("source", F.lit("")))
     known = sources.select(F.col("source").isNull().alias("_no"), F.coalesce("source", F.lit("")).alias("_source"), "source_size", "rank", "target")
     placed = small_or_salted_join(keyed, known, ["_no", "_source"], limit=BROADCAST_SOURCES).drop("_no", "_source")
-    placed = placed.withColumn("_bucket", F.pmod(F.xxhash64("doc_id"), F.lit(max(1, math.ceil(n / BUCKET_ROWS)))))
+    placed = placed.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "_h"), F.lit(max(1, math.ceil(n / BUCKET_ROWS)))))
     sums = placed.groupBy("rank", "_bucket").agg(F.sum("size").alias("_sum"))
     sums = sums.select("rank", "_bucket", (F.sum("_sum").over(W.partitionBy("rank").orderBy("_bucket")) - F.col("_sum")).alias("_before"))
     placed = placed.join(sums.hint("merge"), ["rank", "_bucket"])

@@ -192,6 +192,62 @@ def test_words_taken_meet_targets(docs, block):
     assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.words_taken(docs, block=block).collect()), key=str)
 
 
+def plain_targets(sizes, weights=(1, 2, 3), most=3):
+    """Water-filling by hand: sources by code point, null last."""
+    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    target, rest, left = {}, set(order), float(sum(sizes.values()))
+    while rest:
+        level = left / sum(weight[s] for s in rest)
+        full = {s for s in rest if most * sizes[s] <= level * weight[s]}
+        if not full:
+            return target | {s: level * weight[s] for s in rest}
+        target |= {s: float(most * sizes[s]) for s in full}
+        left -= sum(most * sizes[s] for s in full)
+        rest -= full
+    return target
+
+
+def test_targets_and_taken_words_by_hand(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, "w " * int(rng.integers(0, 90)), [None, "b", "a", "ü", "tiny"][i % 5] if i % 5 < 4 or i < 10 else "a") for i in range(120)] + [(None, "x y z", "b"), (None, "x y z", "b")]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, source string, rank string")
+    got = mixing.words_taken(df, block=8).collect()
+    sizes = collections.Counter({s: 0 for _, _, s in rows})
+    for _, t, s in rows:
+        sizes[s] += len(t.split())
+    told = plain_targets(sizes)
+    assert 3 * sizes["tiny"] == told["tiny"]
+    assert all(abs(r.target - told[r.source]) < 1e-6 and r.source_size == sizes[r.source] for r in got)
+    # blocks by hand: the documents of a source laid end to end, its slots put back on them
+    sized = mixing.measure(df).cache()
+    sources = mixing.targets(sized)
+    placed = mixing.place_documents(sized, sources).collect()
+    slots = collections.defaultdict(list)
+    for x in mixing.draw_slots(sources, block=8).collect():
+        slots[x["rank"]].append((x.block, x.take))
+    expected = collections.Counter()
+    for p in placed:
+        own = range(p.start, p.start + p["size"])
+        expected[p.doc_id, p.source, p["size"]] += sum(len(range(max(own.start, b * 8), min(own.stop, b * 8 + take))) for b, take in slots[p["rank"]])
+    counted = collections.Counter()
+    for r in got:
+        counted[r.doc_id, r.source, r["size"]] += r.taken
+    assert counted == expected
+
+
+@pytest.mark.parametrize("cohort", [100_000, 2])
+def test_every_shard_is_full_and_draws_by_weight(spark, cohort):
+    sources = spark.createDataFrame([(f"s{i}", 64 * 500 * (i + 1), i, 64.0 * 400 * (i + 1)) for i in range(5)], "source string, source_size long, rank long, target double")
+    got = collections.Counter((r.shard, r["rank"]) for r in mixing.draw_slots(sources, shard_blocks=1000, cohort=cohort).collect())
+    assert [sum(n for (s, _), n in got.items() if s == shard) for shard in range(6)] == [1000] * 6
+    assert [sum(n for (_, r), n in got.items() if r == rank) for rank in range(5)] == [400 * (i + 1) for i in range(5)]
+    assert all(abs(got[s, r] - 1000 * (r + 1) / 15) < 90 for s in range(6) for r in range(5)) and len({got[s, 0] for s in range(6)}) > 1
+    cut = mixing.draw_slots(sources, shard_blocks=1000, cohort=cohort, stratum=2500).collect()
+    assert collections.Counter(r["rank"] for r in cut) == {i: 400 * (i + 1) for i in range(5)} and len({(r["rank"], r.slot) for r in cut}) == 6000
+    assert max(collections.Counter(r.shard for r in cut).values()) == 1000
+
+
 @pytest.mark.parametrize("repeated", [False, True])
 def test_mix_holds_what_words_taken_counts(docs, repeated):
     docs = docs.unionByName(docs.filter("doc_id < 4")) if repeated else docs
