@@ -14,13 +14,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..session import materialise, small_or_salted_join
-from .kernels import LOWER, NON_ALNUM, arrow_map, by_bytes, prefix_hash, row_of, span_hash, texts, words
+from .kernels import LOWER, NON_ALNUM, arrow_map, as_row, by_bytes, prefix_hash, row_of, span_hash, texts, words
 from .repeats import text_key
 
 KINDS = ("email", "ip", "card", "phone", "term")
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]"}
 
-#: Distinct texts in which a term must occur with an entity before it can reveal it.
+#: Distinct texts in which a term must occur with an entity before it can reveal it; all of them, if the entity is in fewer.
 SUPPORT = 3
 #: Share of the entity's information that a term may reveal (pointwise mutual information over self-information).
 DISCLOSURE = 0.8
@@ -95,16 +95,14 @@ SPAN_ARROW = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("k
 
 
 def scan(docs: DataFrame, text: str, keep_text: bool) -> DataFrame:
-    """``docs`` with _text (null where nothing is found, unless ``keep_text``), _k and _m that tell the text, _row, unique in the written table, _spans and _entities."""
-    kept = [c for c in docs.columns if c != text]
-    source = docs.select(*kept, *[k.alias(n) for k, n in zip(text_key(text), ("_k", "_m"), strict=True)], F.col(text).alias("_text"))
-    fields = [*source.schema.fields, T.StructField("_row", T.LongType()), T.StructField("_spans", T.ArrayType(SPAN)), T.StructField("_entities", T.ArrayType(T.LongType()))]
-    place = len(source.columns) - 1
+    """row (the columns but the text), k and m that tell the text, said (the text; null where nothing is found, unless ``keep_text``), id, unique in the written table, spans and entities."""
+    source = docs.select(as_row([c for c in docs.columns if c != text]), *text_key(text), F.col(text).alias("said"))
+    fields = [*source.schema.fields, T.StructField("id", T.LongType()), T.StructField("spans", T.ArrayType(SPAN)), T.StructField("entities", T.ArrayType(T.LongType()))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = TaskContext.get().partitionId() << 40
-        for part in by_bytes(batches, "_text"):
-            spans, met, left = [], [], part.column(place).to_pylist()
+        for part in by_bytes(batches, "said"):
+            spans, met, left = [], [], part.column(3).to_pylist()
             for i, said in enumerate(left):
                 found = base_spans(said or "")
                 spans.append([{"start": s, "end": e, "kind": k} for s, e, k in found])
@@ -113,8 +111,8 @@ def scan(docs: DataFrame, text: str, keep_text: bool) -> DataFrame:
                     left[i] = None
             rows = pa.array(np.arange(at, at + part.num_rows))
             at += part.num_rows
-            texts_ = part.column(place) if keep_text else pa.array(left, pa.string())
-            yield pa.RecordBatch.from_arrays([*part.columns[:place], texts_, rows, pa.array(spans, SPAN_ARROW), pa.array(met, pa.list_(pa.int64()))], [f.name for f in fields])
+            texts_ = part.column(3) if keep_text else pa.array(left, pa.string())
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], texts_, rows, pa.array(spans, SPAN_ARROW), pa.array(met, pa.list_(pa.int64()))], [f.name for f in fields])
 
     return source.mapInArrow(run, T.StructType(fields))
 
@@ -138,7 +136,7 @@ def _free_words(column: pa.Array, spans: pa.Array) -> tuple[np.ndarray, ...]:
 
 
 def _pairs(found: DataFrame) -> DataFrame:
-    """(entity, term, n_et) from one row of each text, with _text, _spans and its entities as _held; entity ANY stands for all. Counts are summed in the tasks first."""
+    """(entity, term, n_et) from one row of each text, with said, spans and its entities as held; entity ANY stands for all. Counts are summed in the tasks first."""
 
     def counted(blocks: list[np.ndarray]) -> pa.RecordBatch:
         pairs, n = np.unique(np.concatenate(blocks), axis=0, return_counts=True)
@@ -146,7 +144,7 @@ def _pairs(found: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks, size = [], 0
-        for part in by_bytes(batches, "_text"):
+        for part in by_bytes(batches, "said"):
             hashes, row, _, _ = _free_words(part.column(0), part.column(1))
             edges = np.searchsorted(row, np.arange(part.num_rows + 1))
             for i, held in enumerate(part.column(2).to_pylist()):
@@ -160,16 +158,16 @@ def _pairs(found: DataFrame) -> DataFrame:
         if blocks:
             yield counted(blocks)
 
-    return found.select("_text", "_spans", "_held").mapInArrow(run, "entity long, term long, n long").groupBy("entity", "term").agg(F.sum("n").alias("n_et"))
+    return found.select("said", "spans", "held").mapInArrow(run, "entity long, term long, n long").groupBy("entity", "term").agg(F.sum("n").alias("n_et"))
 
 
 def _distinct_texts(docs: DataFrame, text: str) -> DataFrame:
-    """Each text once, as _text. Only texts that have copies are shuffled, or all if those are too many to broadcast."""
-    keyed = docs.select(F.col(text).alias("_text"), *text_key(text))
+    """Each text once, as said. Only texts that have copies are shuffled, or all if those are too many to broadcast."""
+    keyed = docs.select(F.col(text).alias("said"), *text_key(text))
     copied = materialise(keyed.groupBy("k", "m").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "copied")
     marked = small_or_salted_join(keyed, copied, ["k", "m"], limit=BROADCAST_TERMS, how="left")
-    once = marked.filter("n is not null").groupBy("k", "m").agg(F.first("_text").alias("_text"))
-    return marked.filter("n is null").select("_text").unionByName(once.select("_text"))
+    once = marked.filter("n is not null").groupBy("k", "m").agg(F.first("said").alias("said"))
+    return marked.filter("n is null").select("said").unionByName(once.select("said"))
 
 
 def _documents_with(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
@@ -194,25 +192,27 @@ def _documents_with(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
         term, n = np.unique(each, return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(term), pa.array(n)], ["term", "n"])
 
-    counted = _distinct_texts(docs, text).mapInArrow(arrow_map(run, "_text"), "term long, n long").groupBy("term").agg(F.sum("n").alias("df"))
+    counted = _distinct_texts(docs, text).mapInArrow(arrow_map(run, "said"), "term long, n long").groupBy("term").agg(F.sum("n").alias("df"))
     return counted if known is not None else counted.join(wanted.hint("merge"), "term", "left_semi")
 
 
 def revealing(docs: DataFrame, text: str, facts: DataFrame, held: DataFrame, *, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
-    """(entity, term) for terms that reveal an entity: in ``support`` distinct texts that hold it, at any distance, with
+    """(entity, term) for terms that reveal an entity: in ``support`` distinct texts that hold it (in all, if those are fewer), at any distance, with
     log(N n_et / (n_e n_t)) >= disclosure * log(N / n_e), where N counts distinct texts, n_t those with the term,
-    n_e those with the entity and n_et those with both. Copies of a text so count once."""
-    often = materialise(held.select("entity", "_k", "_m").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).filter(F.col("n_e") >= support), "entities")
-    first = held.join(often.hint("merge"), "entity").groupBy("_k", "_m", "entity").agg(F.min("_row").alias("_row")).groupBy("_row").agg(F.collect_set("entity").alias("_held"))
-    found = facts.filter(F.size("_entities") > 0).select("_row", "_text", "_spans").join(first.hint("merge"), "_row")
-    pairs = materialise(_pairs(found).filter(F.col("n_et") >= support), "pairs")
-    n = float(facts.select("_k", "_m").distinct().count())
+    n_e those with the entity and n_et those with both. Copies of a text so count once. An entity of one text is so revealed by
+    the words of it that at most N ** (1 - disclosure) texts have."""
+    often = materialise(held.select("entity", "k", "m").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")), "entities")
+    first = held.groupBy("k", "m", "entity").agg(F.min("id").alias("id")).groupBy("id").agg(F.collect_set("entity").alias("held"))
+    found = facts.filter(F.size("entities") > 0).select("id", "said", "spans").join(first.hint("merge"), "id")
+    pairs = materialise(_pairs(found), "pairs")
+    n = float(facts.select("k", "m").distinct().count())
     pmi = lambda n_t: F.log(F.lit(n) * F.col("n_et") / (F.col("n_e") * F.greatest(F.col(n_t), "n_et")))
     least = disclosure * F.log(F.lit(n) / F.col("n_e"))
     # n_t is no less than the texts of these entities that hold the term: what fails by that needn't be counted in all texts
     some = pairs.filter(F.col("entity") == ANY).select("term", F.col("n_et").alias("n_some"))
-    told = pairs.filter(F.col("entity") != ANY).join(often.hint("merge"), "entity").join(some.hint("merge"), "term")
-    told = materialise(told.filter((F.lit(n) > F.col("n_e")) & (pmi("n_some") >= least)), "candidates")
+    told = pairs.filter(F.col("entity") != ANY).join(often.hint("merge"), "entity").filter(F.col("n_et") >= F.least(F.lit(support), "n_e"))
+    told = told.filter((F.lit(n) > F.col("n_e")) & (pmi("n_et") >= least)).join(some.hint("merge"), "term")
+    told = materialise(told.filter(pmi("n_some") >= least), "candidates")
     if told.isEmpty():
         return told.select("entity", "term")
     df = _documents_with(docs, text, told.select("term").distinct())
@@ -220,7 +220,7 @@ def revealing(docs: DataFrame, text: str, facts: DataFrame, held: DataFrame, *,
 
 
 def _term_spans(rows: DataFrame) -> DataFrame:
-    """(_row, _added): where the words among _terms stand in _text, outside _spans."""
+    """(id, added): where the words among terms stand in said, outside spans."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         hashes, row, start, end = _free_words(batch.column(1), batch.column(2))
@@ -229,55 +229,70 @@ def _term_spans(rows: DataFrame) -> DataFrame:
             own = slice(edges[i], edges[i + 1])
             ok = np.isin(hashes[own], np.array(terms, np.int64))
             out.append([{"start": s, "end": e, "kind": "term"} for s, e in zip(start[own][ok].tolist(), end[own][ok].tolist(), strict=True)])
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, SPAN_ARROW)], ["_row", "_added"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, SPAN_ARROW)], ["id", "added"])
 
-    return rows.select("_row", "_text", "_spans", "_terms").mapInArrow(arrow_map(run, "_text"), T.StructType([T.StructField("_row", T.LongType()), T.StructField("_added", T.ArrayType(SPAN))]))
+    return rows.select("id", "said", "spans", "terms").mapInArrow(arrow_map(run, "said"), T.StructType([T.StructField("id", T.LongType()), T.StructField("added", T.ArrayType(SPAN))]))
 
 
-def find_personal_data(docs: DataFrame, *, text: str = "text", keep_text: bool = False, **thresholds) -> DataFrame:
-    """``docs`` (the text only with ``keep_text``, as _text) with _spans: array of (start, end, kind) in code points, by start, then kind.
+def _found(docs: DataFrame, text: str, keep_text: bool, **thresholds) -> DataFrame:
+    """(row, said, spans): see find_personal_data()."""
+    facts = materialise(scan(docs, text, keep_text), "personal")
+    held = facts.filter(F.size("entities") > 0).select("id", "k", "m", F.explode("entities").alias("entity"))
+    flagged = revealing(docs, text, facts, held, **thresholds)
+    terms = held.join(materialise(flagged, "flagged").hint("merge"), "entity").groupBy("id").agg(F.collect_set("term").alias("terms"))
+    added = _term_spans(facts.filter(F.size("entities") > 0).select("id", "said", "spans").join(terms.hint("merge"), "id"))
+    some = facts.filter(F.size("entities") > 0).join(added.hint("merge"), "id", "left")
+    order = lambda x: F.struct(x["start"].alias("start"), F.array_position(F.array(*map(F.lit, KINDS)), x["kind"]).alias("k"), x["end"].alias("end"), x["kind"].alias("kind"))
+    every = F.transform(F.array_sort(F.transform(F.concat("spans", F.coalesce("added", F.array().cast(T.ArrayType(SPAN)))), order)), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))
+    none = facts.filter(F.size("entities") == 0).select("row", "said", F.array().cast(T.ArrayType(SPAN)).alias("spans"))
+    return some.select("row", "said", every.alias("spans")).unionByName(none)
+
+
+def find_personal_data(docs: DataFrame, *, text: str = "text", **thresholds) -> DataFrame:
+    """``docs`` without the text, with _spans: array of (start, end, kind) in code points, by start, then kind. An input column named _spans is replaced.
 
     Kinds email, ip, card and phone are matched by pattern in the whole text. Then term: words that, over the corpus,
     reveal an entity (see revealing()), wherever they stand in a document that holds the entity. Null and empty texts
     have no spans. Repeated rows are found each by itself. An empty table gives an empty table.
     """
-    facts = materialise(scan(docs, text, keep_text), "personal")
-    held = facts.filter(F.size("_entities") > 0).select("_row", "_k", "_m", F.explode("_entities").alias("entity"))
-    flagged = revealing(docs, text, facts, held, **thresholds)
-    terms = held.join(materialise(flagged, "flagged").hint("merge"), "entity").groupBy("_row").agg(F.collect_set("term").alias("_terms"))
-    added = _term_spans(facts.filter(F.size("_entities") > 0).select("_row", "_text", "_spans").join(terms.hint("merge"), "_row"))
-    some = facts.filter(F.size("_entities") > 0).join(added.hint("merge"), "_row", "left")
-    order = lambda x: F.struct(x["start"].alias("start"), F.array_position(F.array(*map(F.lit, KINDS)), x["kind"]).alias("k"), x["end"].alias("end"), x["kind"].alias("kind"))
-    every = F.transform(F.array_sort(F.transform(F.concat("_spans", F.coalesce("_added", F.array().cast(T.ArrayType(SPAN)))), order)), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))
-    columns = [c for c in facts.columns if c not in ("_row", "_k", "_m", "_entities", "_spans") and (keep_text or c != "_text")]
-    none = facts.filter(F.size("_entities") == 0).select(*columns, F.array().cast(T.ArrayType(SPAN)).alias("_spans"))
-    return some.select(*columns, every.alias("_spans")).unionByName(none)
+    return _found(docs, text, False, **thresholds).select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in (text, "_spans")], F.col("spans").alias("_spans"))
 
 
 def spans_text(spans) -> F.Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
 
 
-def replace_spans(text: str, spans: list[dict]) -> str:
-    """The text with each run of overlapping spans replaced by the label of its first."""
+def generalise(term: str) -> str:
+    """What a term is kept as when it is generalised: the order of magnitude of a number, else the kind of word that it is."""
+    if term.isdecimal():
+        return f"[NUMBER OF {len(term)} DIGITS]"
+    if any(c.isdigit() for c in term):
+        return "[CODE]"
+    return "[NAME]" if term[:1].isupper() else "[WORD]"
+
+
+def replace_spans(text: str, spans: list[dict], terms: str = "label") -> str:
+    """The text with each run of overlapping spans replaced by the label of its first; revealing terms by [TERM], by what generalise() makes of them, or by nothing (``terms``: label, generalise, remove)."""
     out, at = [], 0
     for x in spans:
         if x["start"] >= at:
-            out += [text[at : x["start"]], LABELS[x["kind"]]]
+            label = LABELS[x["kind"]]
+            if x["kind"] == "term" and terms != "label":
+                label = generalise(text[x["start"] : x["end"]]) if terms == "generalise" else ""
+            out += [text[at : x["start"]], label]
         at = max(at, x["end"])
     return "".join([*out, text[at:]])
 
 
-def sanitise(docs: DataFrame, *, text: str = "text", **thresholds) -> DataFrame:
-    """``docs`` with personal data in the text replaced by labels such as [EMAIL], revealing terms by [TERM]; other texts stay as they are."""
-    found = find_personal_data(docs, text=text, keep_text=True, **thresholds)
-    names = docs.columns
+def sanitise(docs: DataFrame, *, text: str = "text", terms: str = "label", **thresholds) -> DataFrame:
+    """``docs`` with personal data in the text replaced by labels such as [EMAIL], and revealing terms labelled, generalised or removed (``terms``, see replace_spans()); other texts stay as they are, nulls too."""
+    if terms not in ("label", "generalise", "remove"):
+        raise ValueError(f"terms: label, generalise or remove, not {terms}")
+    found = _found(docs, text, True, **thresholds)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in by_bytes(batches, "_text"):
-            at = part.schema.get_field_index("_text")
-            said, spans = part.column(at).to_pylist(), part.column(part.schema.get_field_index("_spans")).to_pylist()
-            new = pa.array([replace_spans(t, s) if s else t for t, s in zip(said, spans, strict=True)], pa.string())
-            yield pa.RecordBatch.from_arrays([new if c == text else part.column(part.schema.get_field_index(c)) for c in names], names)
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        new = [replace_spans(t, s, terms) if s else t for t, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(new, pa.string())], ["row", "said"])
 
-    return found.mapInArrow(run, docs.schema)
+    clean = found.mapInArrow(arrow_map(run, "said"), T.StructType([found.schema["row"], T.StructField("said", T.StringType())]))
+    return clean.select(*[F.col("said").alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns])

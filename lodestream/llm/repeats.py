@@ -8,10 +8,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..session import materialise, small_or_salted_join
-from .kernels import arrow_map, by_bytes, mix, prefix_hash, span_hash, texts
+from .kernels import arrow_map, as_row, by_bytes, mix, prefix_hash, span_hash, texts
 
 #: Bytes of a repeat, and of an anchor.
 LENGTH, ANCHOR = 200, 50
@@ -394,11 +394,6 @@ class Repeats:
         return out.unionByName(copies.select("tree", "first", "last", "length", "x.a", "x.c", "x.start"))
 
 
-def as_row(columns: list[str]) -> Column:
-    """Columns of the caller in one, named row, so that none clashes with ours."""
-    return F.struct(*[F.col(f"`{c}`").alias(c) for c in columns] or [F.lit(0).alias("none")]).alias("row")
-
-
 def text_key(text: str) -> list:
     """96 bits that tell a text."""
     return [F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("k"), F.hash(F.coalesce(F.col(text), F.lit(""))).alias("m")]
