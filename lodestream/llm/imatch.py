@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..session import materialise
+from .kernels import as_row
+
 #: The band: terms in at least LOW and at most HIGH of all documents (and in two at least).
 LOW, HIGH = 0.005, 0.1
-#: A corpus whose texts have on average d distinct terms has at most d / LOW terms in the band, however large it is; more than this is refused.
+#: A corpus whose texts have on average d distinct terms has at most d / LOW terms in the band, however large it is; up to
+#: this many are a list of literals, more are a table that the terms of the texts are joined with.
 MOST_TERMS = 100_000
 #: Randomised subsets keep one term in each of these, REPEATS times.
 ONE_IN, REPEATS = (16, 64, 256, 1024), 6
@@ -22,23 +26,33 @@ def terms(text: Column) -> Column:
     return F.transform(F.filter(F.split(low, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def lexicon(docs: DataFrame, *, text: str = "text", low: float = LOW, high: float = HIGH) -> list[int]:
-    """Hashes of the terms whose document frequency lies in the band; counted over all documents and whole texts."""
+def lexicon(docs: DataFrame, *, text: str = "text", low: float = LOW, high: float = HIGH, most: int = MOST_TERMS) -> list[int] | DataFrame:
+    """Hashes of the terms whose document frequency lies in the band, counted over all documents and whole texts: a list, or a table (t) if more than ``most``."""
     n = docs.count()
     seen = docs.select(F.explode(F.array_distinct(terms(F.col(text)))).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df"))
-    band = seen.filter((F.col("df") >= max(2, low * n)) & (F.col("df") <= max(2, high * n))).select("t")
-    found = band.limit(MOST_TERMS + 1).toArrow().column("t").to_pylist()
-    if len(found) > MOST_TERMS:
-        raise ValueError(f"more than {MOST_TERMS} terms lie between {low} and {high} of {n} documents; choose a narrower band")
-    return sorted(found)
+    band = materialise(seen.filter((F.col("df") >= max(2, low * n)) & (F.col("df") <= max(2, high * n))).select("t"), "lexicon")
+    found = band.limit(most + 1).toArrow().column("t").to_pylist()
+    return sorted(found) if len(found) <= most else band
+
+
+def _kept_by_join(df: DataFrame, text: str, known: DataFrame) -> DataFrame:
+    """``df`` with _kept, the distinct terms of each text that are in the table ``known``: distinct texts' terms meet it in a shuffle and go back by the text's hashes."""
+    key = [F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_k1"), F.hash(F.coalesce(F.col(text), F.lit(""))).alias("_k2")]
+    said = df.select(*key, F.explode(F.array_distinct("_all")).alias("t")).distinct()
+    met = said.join(known.hint("merge"), "t").groupBy("_k1", "_k2").agg(F.collect_list("t").alias("_kept"))  # at most the terms of a text
+    back = df.select("*", *key).join(met.hint("merge"), ["_k1", "_k2"], "left").drop("_k1", "_k2")
+    return back.withColumn("_kept", F.sort_array(F.coalesce("_kept", F.array().cast("array<bigint>"))))
 
 
-def _hashes(df: DataFrame, text: str, into: str, known: list[int]) -> DataFrame:
+def _hashes(df: DataFrame, text: str, into: str, known: list[int] | DataFrame) -> DataFrame:
     """Adds the array of subset hashes of ``text``: the whole lexicon, then REPEATS x ONE_IN subsets; 0: no term of the subset occurs."""
     df = df.withColumn("_all", terms(F.col(text)))
-    # One parsed expression: Catalyst turns the list into a hash set, and building it term by term would take seconds.
-    kept = F.expr(f"filter(_all, t -> t IN ({', '.join(f'{t}L' if t > -(1 << 63) else 'NULL' for t in known)}))") if known else F.array().cast("array<bigint>")
-    df = df.withColumn("_kept", F.sort_array(F.array_distinct(kept)))
+    if isinstance(known, DataFrame):
+        df = _kept_by_join(df, text, known)
+    else:
+        # One parsed expression: Catalyst turns the list into a hash set, and building it term by term would take seconds.
+        kept = F.expr(f"filter(_all, t -> t IN ({', '.join(f'{t}L' if t > -(1 << 63) else 'NULL' for t in known)}))") if known else F.array().cast("array<bigint>")
+        df = df.withColumn("_kept", F.sort_array(F.array_distinct(kept)))
     # A text without a term of the lexicon is told by all its terms.
     df = df.withColumn("_kept", F.when(F.size("_kept") > 0, F.col("_kept")).otherwise(F.sort_array(F.array_distinct("_all"))))
     subsets = F.array(*[F.struct(F.lit(r).alias("seed"), F.lit(m - 1).cast("long").alias("mask")) for r in range(REPEATS) for m in ONE_IN])
@@ -58,7 +72,7 @@ def likeness(a: Column, b: Column) -> Column:
     return F.size(F.filter(pairs, lambda p: p["a"] == p["b"])).cast("double") / F.size(pairs)
 
 
-def fingerprints(docs: DataFrame, *, text: str = "text", into: str = "fingerprint", known: list[int] | None = None, **band: float) -> DataFrame:
+def fingerprints(docs: DataFrame, *, text: str = "text", into: str = "fingerprint", known: list[int] | DataFrame | None = None, **band: float) -> DataFrame:
     """``docs`` with the I-Match fingerprint of each whole text as a string.
 
     Of the distinct terms only those in the band count; sorted, they are hashed as a whole and within
@@ -67,7 +81,8 @@ def fingerprints(docs: DataFrame, *, text: str = "text", into: str = "fingerprin
     Two texts are likely copies if one of their non-empty hashes agrees; see likeness().
     """
     known = lexicon(docs, text=text, **band) if known is None else known
-    return _hashes(docs.drop(into), text, into, known).withColumn(into, as_string(F.col(into)))
+    packed = docs.select(as_row([c for c in docs.columns if c != into]), F.col(text).alias("said"))
+    return _hashes(packed, "said", "found", known).select(*[F.col("row")[c].alias(c) for c in docs.columns if c != into], as_string(F.col("found")).alias(into))
 
 
 def with_next(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -164,6 +164,41 @@ def test_next_row_of_one_row_ties_and_nulls(spark):
     assert imatch.with_next(spark.createDataFrame([], schema)).count() == 0
 
 
+def plain_likeness(kept_a, kept_b):
+    """Share of equal subsets among those of which a term occurs, by sets; subsets are drawn by the same hash."""
+    draws = [(r, m - 1) for r in range(imatch.REPEATS) for m in imatch.ONE_IN]
+    pairs = [({t for t, h in kept_a.items() if h[r] & m == 0}, {t for t, h in kept_b.items() if h[r] & m == 0}) for r, m in draws]
+    some = [(a, b) for a, b in pairs if a or b]
+    return (sum(a == b for a, b in some) + (set(kept_a) == set(kept_b))) / (len(some) + 1)
+
+
+@pytest.mark.parametrize("most", [imatch.MOST_TERMS, 3])
+def test_fingerprints_by_plain_sets(spark, most):
+    rng = np.random.default_rng(12)
+    vocabulary = [f"wört{int(x)}" for x in rng.integers(0, 80, 400)]
+    rows = [(i, " ".join(rng.choice(vocabulary, int(rng.integers(0, 40))))) for i in range(60)] + [(60, None), (61, ""), (62, "Xyz xyz"), (63, "Xyz, XYZ")]
+    rows += [(70, rows[3][1]), (71, rows[3][1].upper())]
+    names = ["fingerprint", "row", "said", "_all", "_kept", "t"]
+    df = spark.createDataFrame([(*r, *names) for r in rows], ", ".join(["doc_id long", "text string", *(f"{c} string" for c in names)]))
+    sets = {d: set(ALNUM.findall(low(t or ""))) for d, t in rows}
+    seen = collections.Counter(w for s in sets.values() for w in s)
+    band = {w for w, n in seen.items() if max(2, 0.03 * len(rows)) <= n <= max(2, 0.3 * len(rows))}
+    assert 10 < len(band) < len(seen)
+    got = by_id(imatch.fingerprints(df, known=imatch.lexicon(df, low=0.03, high=0.3, most=most)), "fingerprint", "row")
+    own = {d: frozenset(s & band or s) for d, s in sets.items()}
+    assert all((got[d][0] == got[e][0]) == (own[d] == own[e]) for d in own for e in own) and got[0][1] == "row"
+    drawn = {r["w"]: r["h"] for r in spark.createDataFrame([(w,) for w in seen], "w string").select("w", F.array(*[F.xxhash64(F.xxhash64("w"), F.lit(r)) for r in range(imatch.REPEATS)]).alias("h")).collect()}
+    near = by_id(imatch.compare_with_edits(df, low=0.03, high=0.3, most=most), "near_edited", "near_next")
+    kept = lambda t: {w: drawn[w] for w in (lambda s: s & band or s)(set(ALNUM.findall(low(t))))}
+    for i, (d, t) in enumerate(rows):
+        t, after = t or "", rows[(i + 1) % len(rows)][1] or ""
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        if set(ALNUM.findall(low(edited))) <= set(drawn):  # a cut may make a new word
+            assert abs(near[d][0] - plain_likeness(kept(t), kept(edited))) < 1e-9
+        assert abs(near[d][1] - plain_likeness(kept(t), kept(after))) < 1e-9
+    assert imatch.compare_with_edits(df.limit(0)).count() == 0 and imatch.fingerprints(df.limit(0)).count() == 0
+
+
 # --- mixing
 
 
@@ -280,9 +315,20 @@ def test_rules_and_patterns(spark):
     ]
 
 
-def test_index_finds_what_all_rules_find(spark, sf_dir):
+@pytest.mark.parametrize("most", [url_filter.MOST_RULES, 0])
+def test_rules_as_tables_empty_tables_and_long_urls(spark, most):
+    first, second = url_filter.rule_tables(spark, url_filter.PATTERN_RULES, [*url_filter.HOST_RULES, ("block", "noslash")])
+    urls = ["http://a.example.net/de/" + "x/" * 50_000, "http://" + "a." * 20_000 + "net/", "http://cheap-pills.x/" + "y" * 100_000, "http://ok/", None]
+    pages = spark.createDataFrame([(u, "c", "c") for u in urls], "url string, row string, _url string")
+    got = url_filter.judge_urls(pages, patterns=first, hosts=second, most=most)
+    assert [r.verdict for r in sorted(got.collect(), key=lambda r: urls.index(r.url))] == ["block", "block", "block", "allow", "allow"] and {r.row for r in got.collect()} == {"c"}
+    assert url_filter.judge_urls(pages.limit(0), most=most).count() == 0 and url_filter.judge_urls(pages, patterns=(), hosts=()).filter("verdict = 'allow'").count() == 5
+
+
+@pytest.mark.parametrize("most", [url_filter.MOST_RULES, 0])
+def test_index_finds_what_all_rules_find(spark, sf_dir, most):
     pages = table(spark, sf_dir, "pages")
-    got = {r.url: r.verdict for r in url_filter.judge_urls(pages, hosts=()).collect()}
+    got = {r.url: r.verdict for r in url_filter.judge_urls(pages, hosts=(), most=most).collect()}
     assert got == {u: "block" if any(re.search(p, low(u)) for p, _ in url_filter.PATTERN_RULES) else "allow" for u in got}
 
 
@@ -649,9 +695,10 @@ def test_terms_by_plain_counting(spark):
     mails = [f"u{i}@host{i % 3}.example.com" for i in range(12)]
     rows = []
     for i in range(260):
-        words_ = [*rng.choice(vocabulary, 20), *(f"Räre{x}" for x in rng.integers(0, 900, 5))]
+        words_ = [*rng.choice(vocabulary, 20), *(f"Räre{x}" for x in rng.integers(0, 4000, 9))]
         for _ in range(int(rng.integers(0, 3)) if i % 2 else 0):
-            words_.insert(int(rng.integers(0, 20)), rng.choice([*mails[:4], mails[i % 12], "10.0.0.7", "+1 (377) 555-0271"]))
+            who = rng.choice([*mails[:4], mails[i % 12], "10.0.0.7", "+1 (377) 555-0271"])
+            words_.insert(int(rng.integers(0, 20)), f"Zu{mails.index(who)} {who}" if who in mails and rng.random() < 0.9 else who)
         rows.append((i, " ".join(words_)))
     rows += [(900, rows[1][1]), (901, None), (902, ""), (903, "Solo x@y.zz")]
     names = ["said", "spans", "id", "k", "m", "entities", "row", "_spans", "added"]
