@@ -46,7 +46,7 @@ def str06_penalties(v):
     return R.latest(R.drain(R.penalties(_events(v)), "penalties", "update"), ["model"])
 
 
-@query("SELECT user_id, ms FROM (SELECT user_id, epoch_ms(ts) AS ms, lag(epoch_ms(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS last FROM events WHERE event_type = 'error') WHERE ms - last <= 3600000")
+@query("SELECT user_id, ms FROM (SELECT user_id, epoch_us(ts) // 1000 AS ms, epoch_us(ts) AS us, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS last FROM events WHERE event_type = 'error') WHERE us - last <= 3600000000")
 def str07_confirmations(v):
     return R.drain(R.confirmations(_events(v)), "confirmations").drop("batch")
 

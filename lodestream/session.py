@@ -33,10 +33,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir, which driver and executors share.
 
-    Only a session without that setting (tests, local mode) gets a folder of its own.
+    Only a local session without that setting (tests, one machine) gets a folder of its own.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -50,7 +52,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write a table into the shared folder and read it back: the lineage ends
     there, a lost executor costs a re-read, and its size is known to the planner."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

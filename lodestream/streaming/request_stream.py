@@ -83,20 +83,20 @@ def penalties(events: DataFrame) -> DataFrame:
     return keyed.groupBy("model").applyInPandasWithState(fold, "model string, penalty double, at_ms long", "penalty double, last long", "update", GroupStateTimeout.NoTimeout)
 
 
-def confirmations(events: DataFrame, within_ms: int = 3_600_000) -> DataFrame:
-    """(user_id, ms): error signals that follow another of the same user within an hour; the state is the last signal's time."""
+def confirmations(events: DataFrame, within_us: int = 3_600_000_000) -> DataFrame:
+    """(user_id, ms): error signals that follow another of the same user within an hour, to the microsecond; the state is the last signal's time."""
 
     def confirm(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         (last,) = state.get if state.exists else (None,)
         found = []
-        for ms in sorted(x for b in batches for x in b["ms"]):
-            if last is not None and ms - last <= within_ms:
-                found.append(ms)
-            last = ms
+        for us in sorted(x for b in batches for x in b["us"]):
+            if last is not None and us - last <= within_us:
+                found.append(us // 1000)
+            last = us
         state.update((last,))
         yield pd.DataFrame({"user_id": [key[0]] * len(found), "ms": found}).astype({"user_id": "int64", "ms": "int64"})
 
-    signals = events.filter("event_type = 'error'").select("user_id", F.unix_millis("ts").alias("ms"))
+    signals = events.filter("event_type = 'error'").select("user_id", F.unix_micros("ts").alias("us"))
     return signals.groupBy("user_id").applyInPandasWithState(confirm, "user_id long, ms long", "last long", "append", GroupStateTimeout.NoTimeout)
 
 

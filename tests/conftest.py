@@ -1,4 +1,5 @@
 import os
+import shutil
 import sys
 from pathlib import Path
 
@@ -11,15 +12,26 @@ os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from lodestream.session import build_session
 
-    session = build_session("tests")
+    shared = tmp_path_factory.mktemp("shared")
+    session = build_session("tests", "local[4]", **{"spark.driver.memory": "3g", "spark.checkpoint.dir": f"file://{shared}"})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
 
 
+@pytest.fixture(autouse=True)
+def scratch_ends_with_its_test(request):
+    """Tables that a test's queries wrote go with it; the session-wide ones are none of theirs."""
+    yield
+    if "spark" in request.fixturenames:
+        spark = request.getfixturevalue("spark")
+        for part in Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")).glob("*"):
+            shutil.rmtree(part, ignore_errors=True)
+
+
 @pytest.fixture(scope="session")
 def sf_dir():
     return os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
