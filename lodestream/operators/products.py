@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import text as X
 
@@ -68,6 +68,12 @@ def field_confidence(attributes: DataFrame, evidence: DataFrame) -> DataFrame:
     return both.select("attribute_id", "product_id", F.round(F.least(F.greatest(plus - minus, F.lit(0.0)), F.lit(1.0)), 4).alias("score"))
 
 
+def first_ids(rows: DataFrame, key: str, ident: str, k: int) -> DataFrame:
+    """(key, ids): the ``k`` least ids of each key. Ranks up to a limit are cut in the tasks before the shuffle, so a hot key moves little."""
+    rank = F.row_number().over(W.partitionBy(key).orderBy(ident))
+    return rows.withColumn("_rn", rank).filter(F.col("_rn") <= k).groupBy(key).agg(F.sort_array(F.collect_list(ident)).alias("ids"))
+
+
 def validation_issues(products: DataFrame) -> DataFrame:
     """(product_id, rule, severity): every rule that a product breaks.
 
@@ -117,8 +123,6 @@ def eviction(items: DataFrame, *, order: str, size: str, need: float, parts: int
         return items
     width = (high - low) / parts or 1
     cut = items.withColumn("_b", F.floor((F.col(order) - F.lit(low)) / F.lit(width)).cast("int"))
-    from pyspark.sql import Window as W
-
     sums = cut.groupBy("_b").agg(F.sum(size).alias("_s"))
     sums = sums.select("_b", (F.sum("_s").over(W.orderBy("_b")) - F.col("_s")).alias("_before"))  # at most ``parts`` + 1 rows
     inside = F.sum(size).over(W.partitionBy("_b").orderBy(order).rowsBetween(W.unboundedPreceding, 0))

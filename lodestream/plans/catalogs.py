@@ -9,8 +9,8 @@ from ..operators import products as P
 from ..operators.texts import search
 from ..session import scratch_path
 from ..sources import files as S
+from .products import _NUMBER, _UNIT, _clean
 from .registry import query
-from .texts import queries_v
 
 
 @query("SELECT 'SKU-' || CAST(CASE WHEN p_partkey % 10 = 3 THEN p_partkey - 3 ELSE p_partkey END AS VARCHAR) AS sku, p_name AS name, p_brand AS brand, CAST(p_size AS VARCHAR) AS housing_size FROM part")
@@ -40,62 +40,115 @@ def src06_label_scan(v):
     return S.labels(v.spark.read.text(path)).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
+# Columns of the sheet that come from the product itself, in SQL that both dialects share.
+_IDENTITY = {
+    "PART_NUMBER": "sku", "SKU - MY_PART_NUMBER": "sku", "Mfg_Part_Num": "sku", "MANUFACTURER_PART_NUMBER": "sku", "Part_Desc": "name", "Product Name": "clean_name", "E1_Brand": "brand",
+    "BRAND_NAME": "clean_brand", "MANUFACTURER_NAME": "clean_brand", "Dept": "category", "Class": "category", "Classpath": "concat_ws(' > ', category, clean_name)", "SHORT_DESC": "concat_ws(' ', clean_brand, clean_name)",
+    "LONG_DESC1": "concat_ws(' ', clean_brand, clean_name, sku)", "INVOICE_DESC": "substring(concat_ws(' ', clean_brand, clean_name), 1, 40)", "MOBILE_DESC": "substring(concat_ws(' ', clean_brand, clean_name), 1, 60)",
+    "RETAIL_DESC": "clean_name", "List Price": "CAST(price AS STRING)", "Selling Qty": "'1'", "Selling UOM": "'EA'", "Discontinued": "CASE WHEN status = 'failed' THEN 'Yes' ELSE 'No' END",
+}
+#: Columns that come from the first attribute of a name; sizes have their unit in a column of its own.
+_NAMED = {"LENGTH": "Length", "WEIGHT": "Weight", "Application": "Intended Use", "Standard/Approvals": "Certification"}
+
+
+def _quoted(names) -> str:
+    return ", ".join(f'coalesce({e}, \'\') AS "{c}"' for c, e in names)
+
+
+def _commerce_sql() -> str:
+    picks = [f"max({f}) FILTER (WHERE rn = {i}) AS {f}_{i}" for i in range(1, 51) for f in ("key", "shown", "uom")]
+    first = [f"min_by({f}, attribute_id) FILTER (WHERE key = '{k}') AS {f}_of_{n}" for n, k in enumerate(_NAMED.values()) for f in ("shown", "uom")]
+    known = dict(_IDENTITY)
+    for i in range(1, 51):
+        known |= {f"ATTRIBUTE_{c} {i}": f"{f}_{i}" for c, f in (("LABEL", "key"), ("VALUE", "shown"), ("UOM", "uom"))}
+    known |= {f"ITEM_FEATURES_{i}": f"key_{i} || ': ' || concat_ws(' ', shown_{i}, nullif(uom_{i}, ''))" for i in range(1, 21)}
+    for n, c in enumerate(_NAMED):
+        known[c] = f"shown_of_{n}"
+        known |= {f"{c}_UOM": f"uom_of_{n}"} if f"{c}_UOM" in S.COMMERCE_COLUMNS else {}
+    number = "CASE WHEN number = floor(number) THEN CAST(CAST(number AS BIGINT) AS VARCHAR) ELSE CAST(number AS VARCHAR) END"
+    return f"""WITH n AS (SELECT *, {_NUMBER} AS number, {_UNIT} AS u FROM attributes_v WHERE value IS NOT NULL),
+        s AS (SELECT product_id, attribute_id, key, CASE WHEN number IS NULL THEN trim(value) ELSE {number} END AS shown, CASE WHEN number IS NOT NULL THEN coalesce(u, '') ELSE '' END AS uom, row_number() OVER (PARTITION BY product_id ORDER BY attribute_id) AS rn FROM n),
+        w AS (SELECT product_id, {', '.join(picks)}, {', '.join(first)} FROM s GROUP BY 1),
+        p AS (SELECT *, {_clean('name')} AS clean_name, {_clean('brand')} AS clean_brand FROM products_v)
+        SELECT {_quoted((c, known.get(c, "''")) for c in S.COMMERCE_COLUMNS)} FROM p LEFT JOIN w ON p.product_id = w.product_id"""
+
+
 def _commerce(v):
-    """252 columns of text: identity, then attributes by position; what isn't known is empty."""
+    """The commerce sheet: identity and descriptions, features and attributes by position, sizes by name; what isn't known is empty."""
+    n = P.normalised(v.attributes_v.filter("value IS NOT NULL"))
+    whole = F.when(F.col("number") == F.floor("number"), F.col("number").cast("long").cast("string")).otherwise(F.col("number").cast("string"))
+    shown, uom = F.when(F.col("number").isNull(), F.trim("value")).otherwise(whole), F.when(F.col("number").isNotNull(), F.coalesce("unit", F.lit(""))).otherwise("")
+    said = n.select("product_id", "attribute_id", "key", shown.alias("shown"), uom.alias("uom"))
     place = F.row_number().over(W.partitionBy("product_id").orderBy("attribute_id"))
-    cut = P.normalised(v.attributes_v.filter("value IS NOT NULL")).withColumn("rn", place).filter("rn <= 50")
-    listed = cut.groupBy("product_id").agg(F.map_from_entries(F.collect_list(F.struct("rn", F.struct("key", "display", "unit")))).alias("a"))
-    wide = v.products_v.join(listed.hint("merge"), "product_id", "left")
-    known = {"sku": F.col("sku"), "name": X.clean(F.col("name")), "brand": X.clean(F.col("brand")), "category": F.col("category"), "status": F.col("status"), "confidence": F.round("confidence_score", 4).cast("string")}
+    one = F.struct("attribute_id", "key", "shown", "uom")
+    first = [F.min_by(F.struct("shown", "uom"), F.when(F.col("key") == k, F.col("attribute_id"))).alias(f"of_{i}") for i, k in enumerate(_NAMED.values())]
+    listed = said.withColumn("rn", place).filter("rn <= 50").groupBy("product_id").agg(F.array_sort(F.collect_list(one)).alias("a"))
+    named = said.filter(F.col("key").isin(*_NAMED.values())).groupBy("product_id").agg(*first)
+    p = v.products_v.withColumn("clean_name", X.clean(F.col("name"))).withColumn("clean_brand", X.clean(F.col("brand")))
+    wide = p.join(listed.hint("merge"), "product_id", "left").join(named.hint("merge"), "product_id", "left")
+    at = lambda i, f: F.get("a", i - 1)[f]
+    known = {c: F.expr(e) for c, e in _IDENTITY.items()}
     for i in range(1, 51):
-        for part, field in (("name", "key"), ("value", "display"), ("unit", "unit")):
-            known[f"attribute_{part}_{i}"] = F.try_element_at("a", F.lit(i))[field]
-    return wide.select(*[F.coalesce(known[c], F.lit("")).alias(c) if c in known else F.lit("").alias(c) for c in S.COMMERCE_COLUMNS])
+        known |= {f"ATTRIBUTE_{c} {i}": at(i, f) for c, f in (("LABEL", "key"), ("VALUE", "shown"), ("UOM", "uom"))}
+    known |= {f"ITEM_FEATURES_{i}": F.concat(at(i, "key"), F.lit(": "), F.concat_ws(" ", at(i, "shown"), F.nullif(at(i, "uom"), F.lit("")))) for i in range(1, 21)}
+    for i, c in enumerate(_NAMED):
+        known[c] = F.col(f"of_{i}")["shown"]
+        known |= {f"{c}_UOM": F.col(f"of_{i}")["uom"]} if f"{c}_UOM" in S.COMMERCE_COLUMNS else {}
+    return wide.select(*[F.coalesce(known.get(c, F.lit("")), F.lit("")).alias(c) for c in S.COMMERCE_COLUMNS])
 
 
-@query()
+@query(_commerce_sql())
 def prj24_commerce_row(v):
     return _commerce(v)
 
 
-@query()
+@query(_commerce_sql())
 def src10_commerce_csv(v):
     path = scratch_path(v.spark, "commerce")
     S.write_commerce(_commerce(v), path)
-    return v.spark.read.csv(path, header=True)
+    return S.read_commerce(v.spark, path)
 
 
-@query()
+@query(f'SELECT "Mfg_Part_Num" AS sku, "ATTRIBUTE_LABEL 1" AS first_label, "LENGTH" AS length, 252 AS n_columns, (SELECT count(*) FROM products_v) AS products FROM ({_commerce_sql()})', n_columns="INTEGER")
 def src11_commerce_json(v):
+    """A row as JSON: its 252 columns under commerce_data, the batch's size under intelligence_metadata; written as text and read back."""
     path = scratch_path(v.spark, "commerce-json")
-    row = _commerce(v).select("sku", F.to_json(F.struct(F.struct("*").alias("commerce_data"), F.struct(F.current_catalog().alias("catalog"), F.col("confidence")).alias("intelligence_metadata"))).alias("value"))
-    row.select("value").write.text(path)
+    products = v.products_v.agg(F.count(F.lit(1)).alias("products"))
+    rows = _commerce(v).select(F.struct("*").alias("commerce_data")).crossJoin(F.broadcast(products))  # one row
+    rows.select(F.to_json(F.struct("commerce_data", F.struct("products").alias("intelligence_metadata"))).alias("value")).write.text(path)
     back = v.spark.read.text(path)
-    return back.select(F.get_json_object("value", "$.commerce_data.sku").alias("sku"), F.get_json_object("value", "$.intelligence_metadata.confidence").alias("confidence"), F.length("value").alias("n_chars"))
+    data = F.from_json(F.get_json_object("value", "$.commerce_data"), "map<string,string>")
+    return back.select(data.alias("d"), F.get_json_object("value", "$.intelligence_metadata.products").cast("long").alias("products")).select(F.col("d")["Mfg_Part_Num"].alias("sku"), F.col("d")["ATTRIBUTE_LABEL 1"].alias("first_label"), F.col("d")["LENGTH"].alias("length"), F.size("d").alias("n_columns"), "products")
+
+
+# Raw headers of supplier files, of which each file here has six.
+_HEADERS = ("Mfg Part Num", "Part Desc", "E1_Brand", "Voltage", "Brand", "Vendor Name", "SKU-No", "Product Title (EN)", "Item Category", "Sub Category", "Market Sector", "Weight (kg)")
+_ALIAS_VALUES = ", ".join(f"('{c}', {i}, '{a}')" for i, (c, names) in enumerate(S.ALIASES.items()) for a in names)
 
 
-@query("SELECT 'Mfg_Part_Num' AS header, 'sku' AS canonical, 1 AS place FROM part WHERE p_partkey = 0 UNION ALL SELECT 'Part_Desc', 'name', 2 FROM part WHERE p_partkey = 0 UNION ALL SELECT 'E1_Brand', 'brand', 3 FROM part WHERE p_partkey = 0")
+@query(f"""WITH h AS (SELECT p_partkey AS file, i + 1 AS place, list_value({', '.join(f"'{h}'" for h in _HEADERS)})[(p_size + 5 * i) % {len(_HEADERS)} + 1] AS header FROM part, (SELECT unnest(range(6)) AS i)),
+    a(canonical, rank, alias) AS (VALUES {_ALIAS_VALUES}), k AS (SELECT *, regexp_replace(translate(lower(trim(header)), ' .-/', '____'), '[^a-z0-9_]', '', 'g') AS plain FROM h),
+    b AS (SELECT plain, canonical FROM (SELECT plain, canonical, row_number() OVER (PARTITION BY plain ORDER BY plain <> alias, rank) AS rn FROM (SELECT DISTINCT plain FROM k) k JOIN a ON plain = alias OR (length(alias) >= {S.CONTAINED} AND contains(plain, alias))) WHERE rn = 1)
+    SELECT file, place, header, canonical FROM (SELECT k.file, k.place, k.header, b.canonical, row_number() OVER (PARTITION BY file, canonical ORDER BY place) AS rn FROM k JOIN b ON k.plain = b.plain) WHERE rn = 1""", place="INTEGER")
 def prj02_column_aliases(v):
-    """Headers of each file joined to the aliases; the first canonical of a file wins."""
-    headers = v.part.filter("p_partkey = 0").select(F.posexplode(F.array(*map(F.lit, ("Mfg_Part_Num", "Part_Desc", "E1_Brand", "Voltage", "Brand")))).alias("place", "header"))
-    alias = v.spark.range(1).select(F.explode(F.create_map(*[F.lit(x) for c, names in S.ALIASES.items() for a in names.split() for x in (a, c)])).alias("alias", "canonical"))
-    hit = headers.join(F.broadcast(alias), F.lower("header") == F.col("alias"))
-    first = hit.withColumn("rn", F.row_number().over(W.partitionBy("canonical").orderBy("place"))).filter("rn = 1")
-    return first.select("header", "canonical", (F.col("place") + 1).alias("place"))
+    """Headers of a file for each part, resolved to canonical columns."""
+    pool = F.array(*map(F.lit, _HEADERS))
+    headers = v.part.select(F.col("p_partkey").alias("file"), F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.get(pool, (F.col("p_size") + i * 5) % len(_HEADERS)))).alias("place", "header"))
+    return S.resolve_headers(headers.withColumn("place", F.col("place") + 1))
 
 
 @query("SELECT a.attribute_id, coalesce(e.n, 0) AS evidence_count, a.status = 'CONFLICTING' AS has_conflict, e.ids FROM attributes_v a LEFT JOIN (SELECT product_id, count(*) AS n, array_to_string(list_sort(list(evidence_id))[1:3], ',') AS ids FROM evidence_v GROUP BY 1) e ON a.product_id = e.product_id")
 def prj26_field_provenance(v):
-    per = v.evidence_v.groupBy("product_id").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.slice(F.sort_array(F.collect_list("evidence_id")), 1, 3), ",").alias("ids"))
-    return v.attributes_v.join(per.hint("merge"), "product_id", "left").select("attribute_id", F.coalesce("n", F.lit(0)).alias("evidence_count"), (F.col("status") == "CONFLICTING").alias("has_conflict"), "ids")
+    counts = v.evidence_v.groupBy("product_id").agg(F.count(F.lit(1)).alias("n"))
+    per = counts.join(P.first_ids(v.evidence_v.select("product_id", "evidence_id"), "product_id", "evidence_id", 3).hint("merge"), "product_id")
+    return v.attributes_v.join(per.hint("merge"), "product_id", "left").select("attribute_id", F.coalesce("n", F.lit(0)).alias("evidence_count"), (F.col("status") == "CONFLICTING").alias("has_conflict"), F.array_join("ids", ",").alias("ids"))
 
 
 @query("SELECT product_id, count(*) FILTER (WHERE key IN ('Length', 'Weight')) AS dimensions, count(*) FILTER (WHERE key = 'Body Material') AS materials, count(*) FILTER (WHERE key = 'Certification') AS certifications, count(*) FILTER (WHERE key = 'Intended Use') AS applications FROM attributes_v GROUP BY 1")
 def prj27_response_shape(v):
     kinds = {"dimensions": "dimension", "materials": "material", "certifications": "certification", "applications": "application"}
-    typed = v.attributes_v.withColumn("t", P.attribute_type(F.col("key")))
-    lists = typed.groupBy("product_id").agg(*[F.collect_list(F.when(F.col("t") == t, F.struct("key", "value"))).alias(n) for n, t in kinds.items()])
-    return lists.select("product_id", *[F.size(n).cast("long").alias(n) for n in kinds])
+    kind = P.attribute_type(F.col("key"))
+    return v.attributes_v.groupBy("product_id").agg(*[F.count_if(kind == t).alias(n) for n, t in kinds.items()])
 
 
 @query("SELECT m.id, coalesce(e.n, 0) AS errors, concat_ws(',', CASE WHEN e.n > 20 THEN 'recent errors' END, CASE WHEN NOT m.enabled THEN 'disabled' END) AS reasons FROM models_v m LEFT JOIN (SELECT platform, model_id, count(*) AS n FROM requests_v WHERE status = 'error' GROUP BY 1, 2) e ON m.platform = e.platform AND m.model_id = e.model_id")
@@ -137,12 +190,12 @@ def udf03_product_pipeline(v):
     return out.select("product_id", "status", F.col("score").alias("validation_score"), "fields", "numeric_fields", "confidence", route.alias("route"))
 
 
-@query("WITH req(k) AS (VALUES ('Length'), ('Weight'), ('Voltage')) SELECT p.product_id, req.k AS key, EXISTS (SELECT 1 FROM attributes_v a WHERE a.product_id = p.product_id AND a.key = req.k AND a.value IS NOT NULL) AS known FROM products_v p, req WHERE p.product_id < 500")
+@query("WITH req(k) AS (VALUES ('Length'), ('Weight'), ('Voltage')) SELECT p.product_id, req.k AS key, count(a.value) AS facts, count(a.value) > 0 AS known FROM products_v p CROSS JOIN req LEFT JOIN attributes_v a ON a.product_id = p.product_id AND a.key = req.k GROUP BY 1, 2")
 def udf04_baseline_record(v):
-    """Known facts, and required fields that are absent."""
-    known = v.attributes_v.filter("value IS NOT NULL").select("product_id", "key").distinct().withColumn("known", F.lit(True))
-    asked = v.products_v.filter("product_id < 500").select("product_id", F.explode(F.array(*map(F.lit, ("Length", "Weight", "Voltage")))).alias("key"))
-    return asked.join(known.hint("merge"), ["product_id", "key"], "left").select("product_id", "key", F.coalesce("known", F.lit(False)).alias("known"))
+    """Known facts, and required fields that are absent, of every product."""
+    known = v.attributes_v.filter("value IS NOT NULL").groupBy("product_id", "key").agg(F.count(F.lit(1)).alias("facts"))
+    asked = v.products_v.select("product_id", F.explode(F.array(*map(F.lit, ("Length", "Weight", "Voltage")))).alias("key"))
+    return asked.join(known.hint("merge"), ["product_id", "key"], "left").select("product_id", "key", F.coalesce("facts", F.lit(0)).alias("facts"), F.col("facts").isNotNull().alias("known"))
 
 
 @query("SELECT a.product_id, a.key, count(*) AS n FROM attributes_v a GROUP BY 1, 2")

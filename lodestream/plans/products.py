@@ -51,17 +51,21 @@ def src12_idempotent_replace(v):
     return current.join(gone.hint("merge"), "product_id", "left_anti").select("issue_id", "product_id", "severity").unionByName(incoming)
 
 
-@query("SELECT source AS dataset_id, CASE WHEN min(doc_id) % 2 = 0 THEN 'permanent' ELSE 'temporary' END AS storage_class FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE doc_id < 3) GROUP BY 1")
+@query("SELECT source AS dataset_id, count(*) AS rows_now, CASE WHEN bool_or(lang = 'en') THEN 'updated' ELSE 'inserted' END AS action FROM documents GROUP BY 1")
 def src14_registry_upsert(v):
-    known = v.documents.filter("doc_id < 3").select("source").distinct()
-    new = v.documents.groupBy("source").agg(F.min("doc_id").alias("first")).join(catalog(known), "source", "left_anti")
-    return new.select(F.col("source").alias("dataset_id"), F.when(F.col("first") % 2 == 0, "permanent").otherwise("temporary").alias("storage_class"))
+    """Datasets met before (those with English rows are in the registry) keep their entry, new ones get one."""
+    known = v.documents.filter("lang = 'en'").select("source").distinct().withColumn("known", F.lit(True))
+    seen = v.documents.groupBy("source").agg(F.count(F.lit(1)).alias("rows_now"))
+    return seen.join(known.hint("merge"), "source", "left").select(F.col("source").alias("dataset_id"), "rows_now", F.when(F.col("known"), "updated").otherwise("inserted").alias("action"))
 
 
-@query("SELECT coalesce(c.id, u.id) AS id, coalesce(u.priority, c.priority) AS priority, CASE WHEN c.id IS NULL THEN 'inserted' WHEN u.id IS NULL AND c.custom THEN 'kept' WHEN u.id IS NULL THEN 'deleted' WHEN c.priority = u.priority THEN 'same' ELSE 'updated' END AS state FROM (SELECT id, priority, id % 8 = 0 AS custom FROM models_v WHERE id < 30) c FULL JOIN (SELECT id, CASE WHEN id % 3 = 0 THEN priority + 1 ELSE priority END AS priority FROM models_v WHERE id >= 10) u ON c.id = u.id")
+@query("SELECT coalesce(c.id, u.id) AS id, coalesce(u.price, c.price) AS price, coalesce(u.size, c.size) AS size, CASE WHEN c.id IS NULL THEN 'inserted' WHEN u.id IS NULL AND c.custom THEN 'kept' WHEN u.id IS NULL THEN 'deleted' WHEN c.price = u.price AND c.size = u.size THEN 'same' ELSE 'updated' END AS state FROM (SELECT p_partkey AS id, p_retailprice AS price, p_size AS size, p_brand = 'Brand#1' AS custom FROM part) c FULL JOIN (SELECT l_partkey AS id, CASE WHEN max(l_discount) > 0.08 THEN max(l_extendedprice) ELSE max(p_retailprice) END AS price, max(p_size) AS size FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linestatus = 'F' GROUP BY 1) u ON c.id = u.id")
 def src15_catalog_sync(v):
-    upstream = v.models_v.filter("id >= 10").selectExpr("id", "CASE WHEN id % 3 = 0 THEN priority + 1 ELSE priority END AS priority")
-    return P.snapshot_merge(v.models_v.filter("id < 30"), upstream, "id", ["priority"], F.col("id") % 8 == 0)
+    """The catalog against what suppliers list now: parts of closed orders, at the order's price where it was discounted."""
+    listed = v.lineitem.filter("l_linestatus = 'F'").groupBy("l_partkey").agg(F.max("l_discount").alias("d"), F.max("l_extendedprice").alias("p"))
+    upstream = listed.join(v.part.hint("merge"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_partkey").alias("id"), F.when(F.col("d") > 0.08, F.col("p")).otherwise(F.col("p_retailprice")).alias("price"), F.col("p_size").alias("size"))
+    current = v.part.select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("price"), F.col("p_size").alias("size"), "p_brand")
+    return P.snapshot_merge(current, upstream, "id", ["price", "size"], F.col("p_brand") == "Brand#1")
 
 
 @query("SELECT m.id, coalesce(CASE WHEN m.id % 4 = 0 THEN 'patched ' || CAST(m.id AS VARCHAR) END, m.display_name) AS display_name FROM models_v m")
@@ -259,18 +263,20 @@ def jon14_interval_overlap(v):
     return both.filter((F.col("e_a") >= F.col("s_b")) & (F.col("s_a") <= F.col("e_b")) & (F.col("bucket") == first)).select("a", "b")
 
 
-@query("SELECT content, count(*) AS n, array_to_string(list_sort(list(evidence_id))[1:3], ',') AS first_ids FROM evidence_v GROUP BY 1 HAVING count(*) > 1")
+@query("SELECT sha256(content) AS content_hash, count(*) AS n, array_to_string(list_sort(list(evidence_id))[1:3], ',') AS first_ids FROM evidence_v GROUP BY 1 HAVING count(*) > 1")
 def jon15_same_content(v):
-    same = v.evidence_v.groupBy(F.sha2("content", 256).alias("h")).agg(F.first("content").alias("content"), F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("evidence_id")).alias("ids")).filter("n > 1")
-    return same.select("content", "n", F.array_join(F.slice("ids", 1, 3), ",").alias("first_ids"))
+    """Evidence of equal whole content; only the first three ids of a content leave their task."""
+    rows = v.evidence_v.select(F.sha2("content", 256).alias("content_hash"), "evidence_id")
+    counts = rows.groupBy("content_hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return counts.join(P.first_ids(rows, "content_hash", "evidence_id", 3).hint("merge"), "content_hash").select("content_hash", "n", F.array_join("ids", ",").alias("first_ids"))
 
 
 _WORDS = "list_filter(string_split(lower(name), ' '), lambda w: length(w) > 3)[1:3]"
 
 
-@query(f"SELECT p.product_id, count(*) FILTER (WHERE list_has_any([contains(lower(e.content), w) FOR w IN {_WORDS}], [true])) > 0 AS supported FROM (SELECT product_id, name FROM products_v WHERE product_id < 200 AND trim(name) <> '') p JOIN evidence_v e ON e.product_id = p.product_id GROUP BY 1")
+@query(f"SELECT p.product_id, count(*) FILTER (WHERE list_has_any([contains(lower(e.content), w) FOR w IN {_WORDS}], [true])) > 0 AS supported FROM (SELECT product_id, name FROM products_v WHERE trim(name) <> '') p JOIN evidence_v e ON e.product_id = p.product_id GROUP BY 1")
 def jon16_evidence_support(v):
-    named = v.products_v.filter("product_id < 200 AND trim(name) <> ''").select("product_id", F.slice(F.filter(F.split(F.lower("name"), " "), lambda w: F.length(w) > 3), 1, 3).alias("words"))
+    named = v.products_v.filter("trim(name) <> ''").select("product_id", F.slice(F.filter(F.split(F.lower("name"), " "), lambda w: F.length(w) > 3), 1, 3).alias("words"))
     both = v.evidence_v.select("product_id", F.lower("content").alias("c")).join(named.hint("merge"), "product_id")
     return both.groupBy("product_id").agg(F.bool_or(F.exists("words", lambda w: F.col("c").contains(w))).alias("supported"))
 
@@ -290,11 +296,14 @@ def jon19_neighbour_chunks(v):
     return hits.select("idx", "score").unionByName(near.join(hits.select("idx").hint("merge"), "idx", "left_anti").select("idx", "score"))
 
 
-@query("SELECT a.product_id, a.key, count(DISTINCT e.evidence_id) AS mentions FROM (SELECT DISTINCT product_id, key FROM attributes_v WHERE product_id < 200) a JOIN evidence_v e ON e.product_id = a.product_id WHERE contains(lower(e.content), lower(substring(a.key, 1, 2))) GROUP BY 1, 2")
+@query("WITH a AS (SELECT product_id, key, count(DISTINCT value) AS variants, min(value) AS least, max(value) AS most FROM attributes_v WHERE value IS NOT NULL GROUP BY 1, 2), m AS (SELECT a.product_id, a.key, count(*) AS mentions FROM a JOIN evidence_v e ON e.product_id = a.product_id WHERE contains(lower(e.content), lower(a.key)) OR contains(lower(e.content), lower(a.least)) OR contains(lower(e.content), lower(a.most)) GROUP BY 1, 2) SELECT a.product_id, a.key, a.variants, a.variants > 1 AS conflict, coalesce(m.mentions, 0) AS mentions FROM a LEFT JOIN m ON a.product_id = m.product_id AND a.key = m.key")
 def jon21_attribute_mentions(v):
-    asked = v.attributes_v.filter("product_id < 200").select("product_id", "key").distinct()
-    both = v.evidence_v.select("product_id", "evidence_id", F.lower("content").alias("c")).join(asked.hint("merge"), "product_id")
-    return both.filter(F.col("c").contains(F.lower(F.substring("key", 1, 2)))).groupBy("product_id", "key").agg(F.countDistinct("evidence_id").alias("mentions"))
+    """Fields whose sources give several values, and how much evidence mentions the field or one of its values."""
+    a = v.attributes_v.filter("value IS NOT NULL").groupBy("product_id", "key").agg(F.countDistinct("value").alias("variants"), F.min("value").alias("least"), F.max("value").alias("most"))
+    both = a.join(v.evidence_v.select("product_id", F.lower("content").alias("c")).hint("merge"), "product_id")
+    said = F.col("c").contains(F.lower("key")) | F.col("c").contains(F.lower("least")) | F.col("c").contains(F.lower("most"))
+    m = both.filter(said).groupBy("product_id", "key").agg(F.count(F.lit(1)).alias("mentions"))
+    return a.join(m.hint("merge"), ["product_id", "key"], "left").select("product_id", "key", "variants", (F.col("variants") > 1).alias("conflict"), F.coalesce("mentions", F.lit(0)).alias("mentions"))
 
 
 @query("SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)idiot|worthless|all rights reserved|confidential')")

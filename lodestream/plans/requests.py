@@ -6,6 +6,7 @@ from pyspark.sql import Window as W, functions as F
 
 from ..functions import scores as S, text as X
 from ..operators import requests as R
+from ..session import with_rank
 from .registry import query
 from .views import NOW
 
@@ -81,8 +82,8 @@ def jon10_reachable_models(v):
 @query("SELECT m.id, 100 + row_number() OVER (ORDER BY m.id) AS priority FROM models_v m LEFT JOIN (SELECT id FROM models_v WHERE priority < 4) f ON m.id = f.id WHERE f.id IS NULL")
 def jon11_missing_fallbacks(v):
     known = v.models_v.filter("priority < 4").select("id")
-    # the catalog is at most 40 rows, so one ordered window is fine
-    return v.models_v.join(R.catalog(known), "id", "left_anti").select("id", (F.lit(100) + F.row_number().over(W.orderBy("id"))).cast("long").alias("priority"))
+    missing = v.models_v.select("id").join(known.hint("merge"), "id", "left_anti")
+    return with_rank(missing, [F.col("id")], "n").select("id", (F.col("n") + 100).alias("priority"))
 
 
 @query("SELECT m.id, count(r.id) FILTER (WHERE r.created_at >= $NOW - INTERVAL 1 DAY) AS today, count(r.id) AS month, coalesce(sum(r.output_tokens), 0) AS tokens FROM models_v m LEFT JOIN (SELECT * FROM requests_v WHERE status = 'success' AND created_at >= TIMESTAMP '2024-01-01 00:00:00') r ON r.platform = m.platform AND r.model_id = m.model_id GROUP BY m.id", tokens="BIGINT")
@@ -259,10 +260,10 @@ def agg46_billed_tokens(v):
     return per.groupBy("key_id").agg(F.sum(F.ceil(F.col("tokens") * factor)).cast("double").alias("billed"))
 
 
-@query("SELECT platform, model_id, count(*) AS n FROM (SELECT platform, model_id FROM models_v UNION ALL SELECT platform, model_id FROM models_v WHERE id % 6 = 0) GROUP BY 1, 2 HAVING count(*) > 1")
+@query(f"SELECT platform, {_GROUP} AS group_key, count(*) AS n, min(id) AS first_id FROM models_v GROUP BY 1, 2 HAVING count(*) > 1")
 def agg48_ambiguous_models(v):
-    pairs = v.models_v.select("platform", "model_id")
-    return pairs.unionByName(v.models_v.filter("id % 6 = 0").select("platform", "model_id")).groupBy("platform", "model_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    """Names that stand for several models of one platform."""
+    return v.models_v.groupBy("platform", X.group_key(F.col("display_name")).alias("group_key")).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id")).filter("n > 1")
 
 
 _RANKED = "SELECT platform, latency_ms, row_number() OVER (PARTITION BY platform ORDER BY latency_ms) AS rn, count(*) OVER (PARTITION BY platform) AS n FROM requests_v WHERE latency_ms IS NOT NULL"
@@ -321,8 +322,13 @@ def win09_min_max(v):
 
 @query("WITH a AS (SELECT id, platform, model_id, row_number() OVER (PARTITION BY platform ORDER BY priority, id) AS p, row_number() OVER (PARTITION BY model_id ORDER BY priority, id) AS f, priority FROM models_v) SELECT id, row_number() OVER (ORDER BY f > 1, p > 1, priority, id) AS place FROM a")
 def win10_diversity(v):
-    a = v.models_v.withColumn("p", F.row_number().over(W.partitionBy("platform").orderBy("priority", "id"))).withColumn("f", F.row_number().over(W.partitionBy("model_id").orderBy("priority", "id")))
-    return a.select("id", F.row_number().over(W.orderBy(F.col("f") > 1, F.col("p") > 1, "priority", "id")).cast("long").alias("place"))  # the candidate set is at most 40 rows
+    """First of its family, then first of its platform, then by priority; firsts come from aggregates, the order of all from ranges."""
+    key = F.struct("priority", "id")
+    firsts = lambda c, n: v.models_v.groupBy(c).agg(F.min(key).alias(n))
+    a = v.models_v.select("id", "platform", "model_id", "priority").join(firsts("platform", "p").hint("merge"), "platform").join(firsts("model_id", "f").hint("merge"), "model_id")
+    order = [F.col("f.id") != F.col("id"), F.col("p.id") != F.col("id"), F.col("priority"), F.col("id")]
+    rows = a.select("id", "priority", order[0].alias("again_f"), order[1].alias("again_p"))
+    return with_rank(rows, [F.col(c) for c in ("again_f", "again_p", "priority", "id")], "place").select("id", "place")
 
 
 @query("SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events")
@@ -354,18 +360,23 @@ def top05_attempts_in_order(v):
     return bad.groupBy("id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("ordinal")), lambda o: F.concat(F.lit("attempt "), o.cast("string"))), ",").alias("attempts"))
 
 
-@query("SELECT r.id AS request_id, m.id AS model, row_number() OVER (PARTITION BY r.id ORDER BY (m.model_id = r.requested_model) DESC, m.intelligence_rank DESC, m.priority, m.id) AS place FROM (SELECT * FROM requests_v WHERE requested_model IS NOT NULL AND status = 'error') r JOIN models_v m ON r.platform = m.platform")
+@query(f"WITH {_DECAY}, r AS (SELECT * FROM requests_v WHERE requested_model IS NOT NULL AND status = 'error'), m AS (SELECT m.*, round(0.5 * (coalesce(good, 0) + 1) / (coalesce(good, 0) + coalesce(bad, 0) + 2) + 0.25 * 0.6 + 0.25 * intelligence_rank / 50.0, 6) AS score FROM models_v m LEFT JOIN decayed d ON m.platform = d.platform AND m.model_id = d.model_id) SELECT r.id AS request_id, m.id AS model, row_number() OVER (PARTITION BY r.id ORDER BY (m.platform = r.platform) DESC, m.score DESC, m.priority, m.id) AS place FROM r JOIN m ON m.model_id = r.requested_model")
 def top06_candidate_order(v):
-    r = v.requests_v.filter("requested_model IS NOT NULL AND status = 'error'").select(F.col("id").alias("request_id"), "platform", "requested_model")
-    both = r.join(R.catalog(v.models_v.select(F.col("id").alias("model"), "platform", "model_id", "intelligence_rank", "priority")), "platform")
-    w = W.partitionBy("request_id").orderBy(F.desc(F.col("model_id") == F.col("requested_model")), F.desc("intelligence_rank"), "priority", "model")
+    """The platforms that offer the requested model: its own platform first, then by computed score and priority."""
+    r = v.requests_v.filter("requested_model IS NOT NULL AND status = 'error'").select(F.col("id").alias("request_id"), F.col("platform").alias("own"), F.col("requested_model").alias("model_id"))
+    stats = R.decayed_stats(v.requests_v, now())
+    n = lambda c: F.coalesce(c, F.lit(0.0))
+    score = F.round(S.mixed("balanced", S.reliability(n("good"), n("bad")), F.lit(S.SPEED_PRIOR), F.col("intelligence_rank") / 50.0, F.lit(1.0)), 6)
+    models = v.models_v.join(stats.hint("merge"), ["platform", "model_id"], "left").select(F.col("id").alias("model"), "platform", "model_id", "priority", score.alias("score"))
+    both = r.join(models.hint("merge"), "model_id")
+    w = W.partitionBy("request_id").orderBy(F.desc(F.col("platform") == F.col("own")), F.desc("score"), "priority", "model")
     return both.select("request_id", "model", F.row_number().over(w).cast("long").alias("place"))
 
 
 @query("SELECT id, model_id, dense_rank() OVER (ORDER BY best DESC, model_id) AS group_place, row_number() OVER (PARTITION BY model_id ORDER BY intelligence_rank DESC, id) AS place FROM (SELECT id, model_id, intelligence_rank, max(intelligence_rank) OVER (PARTITION BY model_id) AS best FROM models_v)")
 def top07_grouped_order(v):
     best = v.models_v.groupBy("model_id").agg(F.max("intelligence_rank").alias("best"))
-    groups = best.select("model_id", F.row_number().over(W.orderBy(F.desc("best"), "model_id")).cast("long").alias("group_place"))  # a row a model name
+    groups = with_rank(best, [F.desc("best"), F.col("model_id")], "group_place").select("model_id", "group_place")
     return v.models_v.join(groups.hint("merge"), "model_id").select("id", "model_id", "group_place", F.row_number().over(W.partitionBy("model_id").orderBy(F.desc("intelligence_rank"), "id")).cast("long").alias("place"))
 
 

@@ -30,11 +30,11 @@ VIEWS: dict[str, tuple[str, list[str], str | None]] = {
         f"CASE {K} % 6 WHEN 0 THEN 'openai-python/1.2' WHEN 1 THEN 'aider/0.5' WHEN 2 THEN 'Cursor/0.4' WHEN 3 THEN 'langchain' WHEN 4 THEN 'Zed/1.0' END AS user_agent",
     ], None),
     "models_v": ("part", [
-        "p_partkey AS id", "'p' || CAST(p_partkey % 5 AS STRING) AS platform", "'m' || CAST(p_partkey % 12 AS STRING) AS model_id", "p_name || ' (free)' AS display_name",
+        "p_partkey AS id", "'p' || CAST(p_partkey % 5 AS STRING) AS platform", "'m' || CAST(CAST(floor(p_partkey / 5) AS BIGINT) AS STRING) AS model_id", "p_name || ' (free)' AS display_name",
         "p_retailprice / 1000 AS input_price", "p_retailprice / 250 AS output_price", "CASE p_size % 4 WHEN 0 THEN 'small' WHEN 1 THEN 'medium' WHEN 2 THEN 'large' ELSE 'frontier' END AS size_label",
         "p_size AS intelligence_rank", "CASE WHEN p_partkey % 3 = 0 THEN '~' || CAST(p_size AS STRING) || '-' || CAST(2 * p_size AS STRING) || 'M' WHEN p_partkey % 3 = 1 THEN CAST(p_size AS STRING) || 'K' ELSE 'unlimited' END AS budget_label",
         "p_partkey % 7 AS priority", "p_partkey % 4 <> 0 AS enabled",
-    ], "p_partkey < 40"),
+    ], None),
     "products_v": ("part", [
         "p_partkey AS product_id", "'SKU-' || CAST(CASE WHEN p_partkey % 10 = 3 THEN p_partkey - 3 ELSE p_partkey END AS STRING) AS sku",
         "CASE WHEN p_size % 13 = 0 THEN '-- Unbranded --' ELSE p_brand END AS brand", "CASE WHEN p_size % 11 = 0 THEN ' ' ELSE p_name END AS name", "CASE WHEN p_size % 17 <> 0 THEN p_type END AS category",
@@ -56,7 +56,7 @@ VIEWS: dict[str, tuple[str, list[str], str | None]] = {
         "CASE l_linenumber % 3 WHEN 0 THEN 'CRITICAL' WHEN 1 THEN 'HIGH' ELSE 'LOW' END AS severity", "l_linestatus = 'F' AS resolved", "l_shipdate AS created_at",
     ], None),
     "evidence_v": ("documents", [
-        "doc_id AS evidence_id", "doc_id % 200 AS product_id", "substring(text, 1, 500) AS content", "(n_chars % 100) / CAST(100 AS DOUBLE) AS score",
+        "doc_id AS evidence_id", "CAST(floor(doc_id / 3) AS BIGINT) AS product_id", "text AS content", "(n_chars % 100) / CAST(100 AS DOUBLE) AS score",
         "CASE doc_id % 5 WHEN 0 THEN 'manufacturer_document' WHEN 1 THEN 'manufacturer_website' WHEN 2 THEN 'distributor_document' WHEN 3 THEN 'baseline' ELSE 'user_upload' END AS source_type",
         "CASE WHEN doc_id % 2 = 0 THEN 'VERIFIED' ELSE 'PROVISIONAL' END AS evidence_class", "source", "lang",
     ], None),

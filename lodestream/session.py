@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 
 def build_session(name: str = "lodestream", master: str = "local[8]", **conf: str) -> SparkSession:
@@ -56,6 +56,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def with_rank(df: DataFrame, order: list, into: str) -> DataFrame:
+    """``df`` with ``into``, the place (from 1) of each row in the whole order: rows are dealt into ranges, ranked inside them, and
+    the ranges' counts are added up, so no task holds more than its range. Ties should be broken by ``order``."""
+    ranges = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    ranges = materialise(ranges, "ranges")
+    counts = ranges.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_range", (F.sum("_n").over(W.orderBy("_range")) - F.col("_n")).alias("_before"))  # a row a range
+    inside = F.row_number().over(W.partitionBy("_range").orderBy(*order))
+    return ranges.join(F.broadcast(before), "_range").withColumn(into, F.col("_before") + inside).drop("_range", "_before")
+
+
 def small_or_salted_join(big: DataFrame, small: DataFrame, on: list[str], *, limit: int, how: str = "inner", salts: int = 16) -> DataFrame:
     """Join on keys that may be hot in ``big`` and are unique in ``small``.
 

@@ -2,34 +2,70 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Canonical columns of a catalog by the header names that stand for them.
 ALIASES = {
-    "sku": "mfg_part_num mfg_part_no mfgpartnum part_number part_no partnum sku mpn item_number item_no item_num material_number product_code catalog_number cat_no model_number model_no",
-    "name": "part_desc part_description product_name item_name name description product_description title item_desc short_desc",
-    "brand": "brand brand_name unilog_brand e1_brand dib_brand manufacturer_brand mfg_brand",
-    "manufacturer": "part_manuf manufacturer mfg maker vendor manufacturer_name mfg_name supplier",
-    "category": "category taxonomy product_category cat_name group product_group item_category segment",
-    "subcategory": "subcategory sub_category sub_cat sub_group",
-    "industry": "industry sector market application_industry",
-}
-
-#: The commerce sheet: identity, then triplets of attributes, features, documents and images, 252 columns in a fixed order, built by rule.
+    "sku": (
+        "mfg_part_num", "mfg_part_no", "mfgpartnum", "part_number", "part_no", "partnum", "sku", "mpn", "item_number", "item_no", "item_num",
+        "material_number", "product_code", "catalog_number", "cat_no", "model_number", "model_no",
+    ),
+    "name": ("part_desc", "part_description", "product_name", "item_name", "name", "description", "product_description", "title", "item_desc", "short_desc"),
+    "brand": ("brand", "brand_name", "unilog_brand", "e1_brand", "dib_brand", "manufacturer_brand", "mfg_brand"),
+    "manufacturer": ("part_manuf", "manufacturer", "mfg", "maker", "vendor", "manufacturer_name", "mfg_name", "supplier"),
+    "category": ("category", "taxonomy", "product_category", "cat_name", "group", "product_group", "item_category", "segment"),
+    "subcategory": ("subcategory", "sub_category", "sub_cat", "sub_group"),
+    "industry": ("industry", "sector", "market", "application_industry"),
+}
+#: Aliases of so many characters at least also name a header that only contains them.
+CONTAINED = 4
+
+# The columns of the commerce sheet, in order.
 COMMERCE_COLUMNS = (
-    ["sku", "name", "brand", "manufacturer", "category", "subcategory", "industry", "description", "short_description", "status", "confidence"]
-    + [f"feature_{i}" for i in range(1, 21)]
-    + [f"attribute_{part}_{i}" for i in range(1, 51) for part in ("name", "value", "unit")]
-    + [f"document_{part}_{i}" for i in range(1, 6) for part in ("url", "name")]
-    + [f"image_{part}_{i}" for i in range(1, 6) for part in ("url", "name")]
-    + [f"dimension_{d}_{part}" for d in ("length", "width", "height", "depth", "diameter", "thickness", "weight", "volume", "bore", "size", "pressure", "voltage", "power", "speed", "flow", "torque", "temperature") for part in ("value", "unit", "display")]
-)[:252]
+    ["MFR URL", "Ref URL 1", "Ref URL 2", "Ref URL 3", "Ref URL 4", "Ref URL 5", "PART_NUMBER", "Dept", "Class", "Fine"]
+    + ["SKU - MY_PART_NUMBER", "Mfg_Part_Num", "Part_Desc", "E1_Brand", "Unilog_Brand", "DIB_Brand", "Part_Manuf", "MANUFACTURER_NAME", "BRAND_NAME", "TRADE_NAME"]
+    + ["MANUFACTURER_PART_NUMBER", "ALTERNATE_PART_NUMBER", "Classpath", "MOBILE_DESC", "INVOICE_DESC", "SHORT_DESC", "LONG_DESC1", "RETAIL_DESC", "MARKETING_DESCRIPTION"]
+    + [f"ITEM_FEATURES_{i}" for i in range(1, 21)]
+    + ["With", "Standard/Approvals", "Prop 65", "Application", "Includes", "Product Name"]
+    + [f"ATTRIBUTE_{part} {i}" for i in range(1, 51) for part in ("LABEL", "VALUE", "UOM")]
+    + ["UPC", "EAN", "GTIN", "UNSPSC", "Warranty", "List Price", "Selling Qty", "Selling UOM", "Standard Packaging Information"]
+    + ["LENGTH", "LENGTH_UOM", "HEIGHT", "HEIGHT_UOM", "WIDTH", "WIDTH_UOM", "WEIGHT", "WEIGHT_UOM", "VOLUME", "VOLUME_UOM"]
+    + ["Product Image", "Alternate Image 1", "Alternate Image 2", "Alternate Image 3", "Alternate Image 4"]
+    + ["SDS", "SDS_1", "Warranty Information", "Catalog", "Specification Sheet", "Instruction/Installation Manual", "Service Manual", "Owners/User Manual"]
+    + ["Line Drawing", "MTR", "RoHS", "Full Engineering Drawing", "Energy Star Guide", "Technical Bulletin", "Submittal", "Compatibility Chart", "Size Chart", "Product Label/Insert"]
+    + ["Video Link", "Video Link 1", "Country Of Origin", "Discontinued", "Actual Image (Yes/No)"]
+)
+
+
+def alias_rows(spark: SparkSession) -> DataFrame:
+    """(canonical, rank, alias): the aliases in the order in which they are tried, a literal table of some sixty rows."""
+    rows = [F.struct(F.lit(c).alias("canonical"), F.lit(i).alias("rank"), F.lit(a).alias("alias")) for i, (c, names) in enumerate(ALIASES.items()) for a in names]
+    return spark.range(1).select(F.inline(F.array(*rows)))
+
+
+def plain_header(header: Column) -> Column:
+    """Lower case, blanks, dots, dashes and slashes as underscores, all but letters, digits and underscores gone."""
+    return F.regexp_replace(F.translate(F.lower(F.trim(header)), " .-/", "____"), "[^a-z0-9_]", "")
+
+
+def resolve_headers(headers: DataFrame) -> DataFrame:
+    """(file, place, header, canonical) of the headers (file, place, header) that stand for a canonical column; a file's first header of a column wins.
+
+    An alias that equals the header counts before aliases that it merely contains, of which the first canonical column counts.
+    """
+    plain = headers.withColumn("plain", plain_header(F.col("header")))
+    seen = plain.select("plain").distinct()
+    met = seen.join(F.broadcast(alias_rows(headers.sparkSession)), (F.col("plain") == F.col("alias")) | ((F.length("alias") >= CONTAINED) & F.col("plain").contains(F.col("alias"))))  # distinct header names by a literal table
+    best = met.groupBy("plain").agg(F.min_by("canonical", F.struct(F.col("plain") != F.col("alias"), "rank")).alias("canonical"))
+    named = plain.join(best.hint("merge"), "plain")
+    first = named.groupBy("file", "canonical").agg(F.min(F.struct("place", "header")).alias("x"))
+    return first.select("file", "x.place", "x.header", "canonical")
 
 
 def read_catalog(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
     """CSV catalogs with a header: columns renamed to canonical names, the file kept as _file. Fields may hold line ends; all are text."""
     raw = spark.read.csv(path, header=True, multiLine=True, encoding=encoding, inferSchema=False, mode="PERMISSIVE")
-    known = {a: c for c, names in ALIASES.items() for a in names.split()}
+    known = {a: c for c, names in ALIASES.items() for a in names}
     renamed, taken = [], set()
     for header in raw.columns:
         plain = "".join(ch for ch in header.strip().lstrip("﻿").lower().translate(str.maketrans(" -./", "____")) if ch.isalnum() or ch == "_")
@@ -44,7 +80,14 @@ def write_commerce(rows: DataFrame, path: str) -> None:
     """The commerce sheet as CSV; refused unless the columns are COMMERCE_COLUMNS in order."""
     if rows.columns != list(COMMERCE_COLUMNS):
         raise ValueError(f"the commerce sheet has {len(COMMERCE_COLUMNS)} columns in a fixed order")
-    rows.write.csv(path, header=True, emptyValue="")
+    rows.write.csv(path, header=True, emptyValue="", escape='"')
+
+
+def read_commerce(spark: SparkSession, path: str) -> DataFrame:
+    """A commerce sheet as written by write_commerce(); empty fields are empty texts."""
+    schema = ", ".join(f"`{c}` string" for c in COMMERCE_COLUMNS)
+    raw = spark.read.csv(path, header=True, schema=schema, multiLine=True, escape='"')
+    return raw.na.fill("")
 
 
 def flatten_taxonomy(nested: DataFrame, column: str = "json") -> DataFrame:

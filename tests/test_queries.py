@@ -48,5 +48,9 @@ def test_runs(spark, sf_dir, name):
     assert df.columns and df.toArrow().num_rows > 0
 
 
-def test_commerce_sheet_has_252_columns(spark, sf_dir):
-    assert len(registry.QUERIES["prj24_commerce_row"](spark, sf_dir).columns) == 252
+def test_commerce_sheet_has_252_columns_in_order(spark, sf_dir):
+    names = registry.QUERIES["prj24_commerce_row"](spark, sf_dir).columns
+    assert len(names) == len(set(names)) == 252
+    # The ends of the groups of the sheet, by place.
+    ends = {0: "MFR URL", 9: "Fine", 10: "SKU - MY_PART_NUMBER", 28: "MARKETING_DESCRIPTION", 29: "ITEM_FEATURES_1", 48: "ITEM_FEATURES_20", 54: "Product Name", 55: "ATTRIBUTE_LABEL 1", 56: "ATTRIBUTE_VALUE 1", 57: "ATTRIBUTE_UOM 1", 204: "ATTRIBUTE_UOM 50", 205: "UPC", 223: "VOLUME_UOM", 224: "Product Image", 251: "Actual Image (Yes/No)"}
+    assert {i: names[i] for i in ends} == ends
