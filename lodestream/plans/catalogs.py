@@ -57,7 +57,7 @@ def _quoted(names) -> str:
 
 def _commerce_sql() -> str:
     picks = [f"max({f}) FILTER (WHERE rn = {i}) AS {f}_{i}" for i in range(1, 51) for f in ("key", "shown", "uom")]
-    first = [f"min_by({f}, attribute_id) FILTER (WHERE key = '{k}') AS {f}_of_{n}" for n, k in enumerate(_NAMED.values()) for f in ("shown", "uom")]
+    first = [f"min_by({f}, rn) FILTER (WHERE key = '{k}') AS {f}_of_{n}" for n, k in enumerate(_NAMED.values()) for f in ("shown", "uom")]
     known = dict(_IDENTITY)
     for i in range(1, 51):
         known |= {f"ATTRIBUTE_{c} {i}": f"{f}_{i}" for c, f in (("LABEL", "key"), ("VALUE", "shown"), ("UOM", "uom"))}
@@ -67,7 +67,7 @@ def _commerce_sql() -> str:
         known |= {f"{c}_UOM": f"uom_of_{n}"} if f"{c}_UOM" in S.COMMERCE_COLUMNS else {}
     number = "CASE WHEN number = floor(number) THEN CAST(CAST(number AS BIGINT) AS VARCHAR) ELSE CAST(number AS VARCHAR) END"
     return f"""WITH n AS (SELECT *, {_NUMBER} AS number, {_UNIT} AS u FROM attributes_v WHERE value IS NOT NULL),
-        s AS (SELECT product_id, attribute_id, key, CASE WHEN number IS NULL THEN trim(value) ELSE {number} END AS shown, CASE WHEN number IS NOT NULL THEN coalesce(u, '') ELSE '' END AS uom, row_number() OVER (PARTITION BY product_id ORDER BY attribute_id) AS rn FROM n),
+        s AS (SELECT product_id, attribute_id, key, CASE WHEN number IS NULL THEN trim(value) ELSE {number} END AS shown, CASE WHEN number IS NOT NULL THEN coalesce(u, '') ELSE '' END AS uom, row_number() OVER (PARTITION BY product_id ORDER BY attribute_id, key, value) AS rn FROM n),
         w AS (SELECT product_id, {', '.join(picks)}, {', '.join(first)} FROM s GROUP BY 1),
         p AS (SELECT *, {_clean('name')} AS clean_name, {_clean('brand')} AS clean_brand FROM products_v)
         SELECT {_quoted((c, known.get(c, "''")) for c in S.COMMERCE_COLUMNS)} FROM p LEFT JOIN w ON p.product_id = w.product_id"""
@@ -78,10 +78,10 @@ def _commerce(v):
     n = P.normalised(v.attributes_v.filter("value IS NOT NULL"))
     whole = F.when(F.col("number") == F.floor("number"), F.col("number").cast("long").cast("string")).otherwise(F.col("number").cast("string"))
     shown, uom = F.when(F.col("number").isNull(), F.trim("value")).otherwise(whole), F.when(F.col("number").isNotNull(), F.coalesce("unit", F.lit(""))).otherwise("")
-    said = n.select("product_id", "attribute_id", "key", shown.alias("shown"), uom.alias("uom"))
-    place = F.row_number().over(W.partitionBy("product_id").orderBy("attribute_id"))
-    one = F.struct("attribute_id", "key", "shown", "uom")
-    first = [F.min_by(F.struct("shown", "uom"), F.when(F.col("key") == k, F.col("attribute_id"))).alias(f"of_{i}") for i, k in enumerate(_NAMED.values())]
+    said = n.select("product_id", "attribute_id", "key", "value", shown.alias("shown"), uom.alias("uom"))
+    place = F.row_number().over(W.partitionBy("product_id").orderBy("attribute_id", "key", "value"))
+    one = F.struct("attribute_id", "key", "value", "shown", "uom")
+    first = [F.min_by(F.struct("shown", "uom"), F.when(F.col("key") == k, F.struct("attribute_id", "key", "value"))).alias(f"of_{i}") for i, k in enumerate(_NAMED.values())]
     listed = said.withColumn("rn", place).filter("rn <= 50").groupBy("product_id").agg(F.array_sort(F.collect_list(one)).alias("a"))
     named = said.filter(F.col("key").isin(*_NAMED.values())).groupBy("product_id").agg(*first)
     p = v.products_v.withColumn("clean_name", X.clean(F.col("name"))).withColumn("clean_brand", X.clean(F.col("brand")))
