@@ -4,47 +4,86 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# Replacements that hide secrets in error texts, in order; patterns that both dialects read alike.
+# Replacements that hide secrets, in order: prefixed keys, headers, key=value forms, then long runs. Patterns that both dialects read alike.
 SECRETS = (
+    (r"\bsk-[A-Za-z0-9_/+=-]{8,}", "[redacted-key]"),
+    (r"\bsk_[A-Za-z0-9_-]{8,}", "[redacted-key]"),
+    (r"\bgsk_[A-Za-z0-9_-]{8,}", "[redacted-key]"),
+    (r"\bcsk-[A-Za-z0-9_-]{8,}", "[redacted-key]"),
+    (r"\bnvapi-[A-Za-z0-9_-]{8,}", "[redacted-key]"),
+    (r"\bAIza[0-9A-Za-z_-]{20,}", "[redacted-key]"),
+    (r"\bgithub_pat_[A-Za-z0-9_]{20,}", "[redacted-key]"),
+    (r"\bghp_[A-Za-z0-9]{20,}", "[redacted-key]"),
+    (r"\bhf_[A-Za-z0-9]{16,}", "[redacted-key]"),
+    (r"\bcfut_[A-Za-z0-9]{16,}", "[redacted-key]"),
+    (r"\bvck_[A-Za-z0-9]{16,}", "[redacted-key]"),
+    (r"\bcpk_[A-Za-z0-9.]{16,}", "[redacted-key]"),
+    (r"\balv2_[A-Za-z0-9]{16,}", "[redacted-key]"),
+    (r"\brqsty-sk-[A-Za-z0-9_/+=-]{16,}", "[redacted-key]"),
+    (r"\bAKIA[0-9A-Z]{16}\b", "[redacted-key]"),
     (r"(?i)\bBearer\s+[A-Za-z0-9._~+/-]+=*", "Bearer [redacted]"),
-    (r"(?i)\b(api[_-]?key|access[_-]?token|token|secret|authorization)(\s*[:=]\s*)[^\"',\s}\]]+", r"$1$2[redacted]"),
-    (r"\bsk-[A-Za-z0-9_-]{8,}\b", "[redacted-key]"),
-    (r"\bgsk_[A-Za-z0-9_-]{8,}\b", "[redacted-key]"),
-    (r"\bAIza[0-9A-Za-z_-]{20,}\b", "[redacted-key]"),
+    (r"(?i)(\bx-goog-api-key\b[\"']?\s*[:=]\s*[\"']?)[^\[\"',\s}\]&][^\"',\s}\]&]*", "$1[redacted-key]"),
+    (r"(?i)(\bx-api-key\b[\"']?\s*[:=]\s*[\"']?)[^\[\"',\s}\]&][^\"',\s}\]&]*", "$1[redacted-key]"),
+    (r"(?i)([\"']?\b(?:api[_-]?key|access[_-]?token|refresh[_-]?token|auth[_-]?token|token|secret|password|encryption[_-]?key|key)\b[\"']?\s*[:=]\s*[\"']?)[^\[\"',\s}\]&][^\"',\s}\]&]{5,}", "$1[redacted-key]"),
+    (r"\b[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}\b", "[redacted-token]"),
+    (r"\b[A-Za-z0-9]{24,}\.[A-Za-z0-9_-]{16,}\b", "[redacted-token]"),
     (r"\b[A-Za-z0-9]{32,}\b", "[redacted-token]"),
-    (r"(?i)\bhttps?://[^\s\"'<>)]*", "[redacted-url]"),
 )
+#: Links in error texts.
+LINK = (r"(?i)\bhttps?://[^\s\"'<>)]*", "[redacted-url]")
 MOST_CHARS = 240
 
 # Canonical units by alias.
 UNITS = {
-    "inch": "in", "inches": "in", "foot": "ft", "feet": "ft", "millimeter": "mm", "millimeters": "mm", "centimeter": "cm", "centimeters": "cm",
-    "meter": "m", "meters": "m", "kilogram": "kg", "kilograms": "kg", "kilo": "kg", "gram": "g", "grams": "g", "pound": "lb", "pounds": "lb", "lbs": "lb",
-    "ounce": "oz", "ounces": "oz", "volt": "V", "volts": "V", "amp": "A", "amps": "A", "ampere": "A", "amperes": "A", "watt": "W", "watts": "W",
-    "kilowatt": "kW", "kilowatts": "kW", "horsepower": "HP", "celsius": "°C", "fahrenheit": "°F", "decibel": "dB", "decibels": "dB", "rpm": "RPM",
+    "inch": "in", "inches": "in", '"': "in",
+    "foot": "ft", "feet": "ft", "'": "ft",
+    "millimeter": "mm", "millimeters": "mm", "millimetre": "mm",
+    "centimeter": "cm", "centimeters": "cm", "centimetre": "cm",
+    "meter": "m", "meters": "m", "metre": "m",
+    "kilogram": "kg", "kilograms": "kg", "kilo": "kg",
+    "gram": "g", "grams": "g",
+    "pound": "lb", "pounds": "lb", "lbs": "lb",
+    "ounce": "oz", "ounces": "oz",
+    "volt": "V", "volts": "V",
+    "amp": "A", "amps": "A", "ampere": "A", "amperes": "A",
+    "watt": "W", "watts": "W",
+    "kilowatt": "kW", "kilowatts": "kW",
+    "horsepower": "HP",
+    "celsius": "°C", "deg c": "°C", "deg. c": "°C", "degrees c": "°C",
+    "fahrenheit": "°F", "deg f": "°F", "deg. f": "°F",
+    "decibel": "dB", "decibels": "dB",
+    "rpm": "RPM", "r.p.m.": "RPM",
 }
 
 # Texts that stand for no value.
 PLACEHOLDERS = ("-- unbranded --", "-- no unilog brand --", "-- no dib brand --", "unbranded", "no brand", "n/a", "na", "null", "none", "unknown", "-", "--", "undefined")
 
-NUMBER_UNIT = r"^\s*([+-]?[0-9]+(?:\.[0-9]+)?)\s*([a-zA-Z°/%]+)?\s*$"
+NUMBER_UNIT = r"^\s*([+-]?[0-9]+(?:\.[0-9]+)?)\s*([a-zA-Z°/%\"'][a-zA-Z°/%.]*(?: [a-zA-Z])?)?\s*$"
 FRACTION = r"^\s*([0-9]+)/([0-9]+)\s*(.+)$"
 
 
-def sanitise(text: Column) -> Column:
-    """Secrets and links hidden, white space squeezed, cut to MOST_CHARS with an ellipsis."""
+def redact(text: Column) -> Column:
+    """Secrets replaced by the rules in order; null stays null."""
     for pattern, put in SECRETS:
         text = F.regexp_replace(text, pattern, put)
-    text = F.trim(F.regexp_replace(text, r"\s+", " "))
+    return text
+
+
+def sanitise(text: Column) -> Column:
+    """An error text: secrets and links hidden, white space squeezed, cut to MOST_CHARS with an ellipsis."""
+    text = F.trim(F.regexp_replace(F.regexp_replace(redact(text), *LINK), r"\s+", " "))
     return F.when(F.length(text) > MOST_CHARS, F.concat(F.rtrim(F.substring(text, 1, MOST_CHARS - 3)), F.lit("..."))).otherwise(text)
 
 
-def sanitise_sql(column: str) -> str:
+def redact_sql(column: str, rules: tuple = SECRETS) -> str:
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
-    out = column
-    for pattern, put in SECRETS:
-        out = f"regexp_replace({out}, {quoted(pattern)}, {quoted(put.replace('$', chr(92)))}, 'g')"
-    out = f"trim(regexp_replace({out}, '\\s+', ' ', 'g'))"
+    for pattern, put in rules:
+        column = f"regexp_replace({column}, {quoted(pattern)}, {quoted(put.replace('$', chr(92)))}, 'g')"
+    return column
+
+
+def sanitise_sql(column: str) -> str:
+    out = f"trim(regexp_replace({redact_sql(redact_sql(column), (LINK,))}, '\\s+', ' ', 'g'))"
     return f"CASE WHEN length({out}) > {MOST_CHARS} THEN rtrim(substring({out}, 1, {MOST_CHARS - 3})) || '...' ELSE {out} END"
 
 

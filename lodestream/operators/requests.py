@@ -91,30 +91,35 @@ def with_prices(requests: DataFrame, models: DataFrame) -> DataFrame:
     return priced.withColumn("cost", F.when(F.col("status") == "success", cost).otherwise(0.0))
 
 
-def percentile(df: DataFrame, value: str, fractions: dict[str, float], by: list[str]) -> DataFrame:
+def percentile(df: DataFrame, value: str, fractions: dict[str, float], by: list[str], *, width: float = 1.0) -> DataFrame:
     """Nearest-rank percentiles at place floor((n - 1) f) of the non-null values.
 
-    Works on counts by value, so a group's rows are never ranked one by one: the running sums go over distinct values.
+    Works on counts by value, and on sums of those over buckets of ``width``: running sums go over a group's buckets, then over the values
+    of the one bucket that holds the place, so neither a group's rows nor its values are put in order in one task.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    totals = counts.groupBy(*by).agg(F.sum("_n").alias("_all")) if by else counts.agg(F.sum("_n").alias("_all"))
-    upto = F.sum("_n").over(W.partitionBy(*by).orderBy(value))
-    placed = counts.withColumn("_to", upto)
-    placed = placed.join(catalog(totals), by) if by else placed.crossJoin(F.broadcast(totals))  # one row
-    hit = lambda f: F.min(F.when(F.col("_to") > F.floor((F.col("_all") - 1) * F.lit(f)), F.col(value)))
-    return placed.groupBy(*by).agg(*[hit(f).alias(name) for name, f in fractions.items()])
-
-
-def decayed_stats(requests: DataFrame, now: Column, *, days: int = 7, half_life: float = 2.0, cap_ms: float = 120_000) -> DataFrame:
-    """Successes, failures and latency of each (platform, model), a day's weight halving every ``half_life`` days."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n")).withColumn("_b", F.floor(F.col(value) / width))
+    buckets = counts.groupBy(*by, "_b").agg(F.sum("_n").alias("_s"))
+    along = W.partitionBy(*by).orderBy("_b")
+    buckets = buckets.withColumn("_to", F.sum("_s").over(along)).withColumn("_all", F.sum("_s").over(W.partitionBy(*by)))
+    asked = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.floor((F.col("_all") - 1) * F.lit(f)).alias("place")) for n, f in fractions.items()]))
+    hit = buckets.withColumn("_p", asked).filter((F.col("_to") > F.col("_p.place")) & (F.col("_to") - F.col("_s") <= F.col("_p.place")))
+    hit = hit.select(*by, "_b", F.col("_p.name").alias("_name"), (F.col("_p.place") - F.col("_to") + F.col("_s")).alias("_left"))
+    keys = [*by, "_b"]
+    met = counts.join(hit.hint("merge"), keys).withColumn("_upto", F.sum("_n").over(W.partitionBy(*by, "_name", "_b").orderBy(value)))
+    found = met.filter(F.col("_upto") > F.col("_left"))
+    return found.groupBy(*by).agg(*[F.min(F.when(F.col("_name") == n, F.col(value))).alias(n) for n in fractions])
+
+
+def decayed_stats(requests: DataFrame, now: Column, *, by: tuple[str, ...] = ("platform", "model_id"), days: int = 7, half_life: float = 2.0, cap_ms: float = 120_000) -> DataFrame:
+    """Successes, failures and latency of each (platform, model) or other grain, a day's weight halving every ``half_life`` days."""
     age = F.floor((F.unix_timestamp(now) - F.unix_timestamp("created_at")) / 86400)
     recent = requests.withColumn("age", age).filter((F.col("age") >= 0) & (F.col("age") < days))
-    daily = recent.groupBy("platform", "model_id", "age").agg(
+    daily = recent.groupBy(*by, "age").agg(
         F.count_if(F.col("status") == "success").alias("good"), F.count_if(F.col("status") == "error").alias("bad"),
         F.sum(F.least("latency_ms", F.lit(cap_ms))).alias("latency"), F.count("latency_ms").alias("timed"),
     )
     weight = F.pow(F.lit(0.5), F.col("age") / half_life)
-    return daily.groupBy("platform", "model_id").agg(*[F.round(F.sum(weight * F.coalesce(c, F.lit(0))), 4).alias(c) for c in ("good", "bad", "latency", "timed")])
+    return daily.groupBy(*by).agg(*[F.round(F.sum(weight * F.coalesce(c, F.lit(0))), 4).alias(c) for c in ("good", "bad", "latency", "timed")])
 
 
 def sliding_usage(requests: DataFrame, keys: list[str]) -> DataFrame:

@@ -13,9 +13,11 @@ _in = "(" + ", ".join(f"'{p}'" for p in X.PLACEHOLDERS) + ")"
 _clean = lambda c: f"CASE WHEN trim({c}) <> '' AND lower(trim({c})) NOT IN {_in} THEN trim({c}) END"
 _TYPE = "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(lower(key), {chr(39)}{w}{chr(39)})' for w in ws)} THEN '{k}'" for k, ws in P.ATTRIBUTE_TYPES) + " ELSE 'technical_spec' END"
 _LEVEL = "CASE WHEN conflict_fields > 0 THEN 'CONFLICT' WHEN confidence_score >= 0.75 THEN 'HIGH' WHEN confidence_score >= 0.5 THEN 'MEDIUM' WHEN confidence_score >= 0.25 THEN 'LOW' ELSE 'CONFLICT' END"
-_map = lambda c, known, default: f"CASE {c} " + " ".join(f"WHEN '{k}' THEN '{v}'" if isinstance(v, str) else f"WHEN '{k}' THEN {v}" for k, v in known.items()) + f" ELSE {default} END"
-_NUMBER = f"coalesce(TRY_CAST(nullif(regexp_extract(value, '{X.NUMBER_UNIT}', 1), '') AS DOUBLE), TRY_CAST(nullif(regexp_extract(value, '{X.FRACTION}', 1), '') AS DOUBLE) / nullif(TRY_CAST(nullif(regexp_extract(value, '{X.FRACTION}', 2), '') AS DOUBLE), 0))"
-_RAW = f"nullif(coalesce(nullif(regexp_extract(value, '{X.NUMBER_UNIT}', 2), ''), trim(regexp_extract(value, '{X.FRACTION}', 3))), '')"
+_quote = lambda s: "'" + s.replace("'", "''") + "'"
+_PATTERN = X.NUMBER_UNIT.replace("'", "''")
+_map = lambda c, known, default: f"CASE {c} " + " ".join(f"WHEN {_quote(k)} THEN {_quote(v) if isinstance(v, str) else v}" for k, v in known.items()) + f" ELSE {default} END"
+_NUMBER = f"coalesce(TRY_CAST(nullif(regexp_extract(value, '{_PATTERN}', 1), '') AS DOUBLE), TRY_CAST(nullif(regexp_extract(value, '{X.FRACTION}', 1), '') AS DOUBLE) / nullif(TRY_CAST(nullif(regexp_extract(value, '{X.FRACTION}', 2), '') AS DOUBLE), 0))"
+_RAW = f"nullif(coalesce(nullif(regexp_extract(value, '{_PATTERN}', 2), ''), trim(regexp_extract(value, '{X.FRACTION}', 3))), '')"
 _UNIT = f"coalesce({_map(f'lower(trim({_RAW}))', X.UNITS, 'NULL')}, trim({_RAW}))"
 
 

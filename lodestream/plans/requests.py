@@ -136,24 +136,37 @@ def agg16_range_totals(v):
     return R.rollup_totals(R.hourly_rollup(v.requests_v), now() - F.expr("INTERVAL 7 DAYS"))
 
 
-@query(f"SELECT count(*) AS requests, {_RATE} AS success_rate, round(avg(latency_ms), 4) AS latency, round(avg(ttfb_ms), 4) AS ttfb, count(*) FILTER (WHERE request_type = 'chat') AS chat FROM requests_v")
+@query(f"WITH r AS (SELECT latency_ms, row_number() OVER (ORDER BY latency_ms) AS rn, count(*) OVER () AS n FROM requests_v WHERE latency_ms IS NOT NULL), q AS (SELECT min(latency_ms) FILTER (WHERE rn = floor((n - 1) * 0.5) + 1) AS p50, min(latency_ms) FILTER (WHERE rn = floor((n - 1) * 0.95) + 1) AS p95 FROM r), s AS (SELECT round(sum({_COST}), 6) AS savings FROM {_PRICED}), a AS (SELECT count(*) AS requests, {_RATE} AS success_rate, sum(input_tokens) AS input_tokens, sum(output_tokens) AS output_tokens, round(avg(latency_ms), 4) AS latency, round(avg(ttfb_ms), 4) AS ttfb, count(*) FILTER (WHERE request_type = 'chat') AS chat, count(*) FILTER (WHERE requested_model IS NOT NULL) AS pinned, count(*) FILTER (WHERE requested_model = model_id) AS honoured, min(created_at) AS first_at FROM requests_v) SELECT * FROM a, q, s", input_tokens="BIGINT", output_tokens="BIGINT")
 def agg17_summary(v):
-    return v.requests_v.agg(F.count(F.lit(1)).alias("requests"), R.success_rate().alias("success_rate"), F.round(F.avg("latency_ms"), 4).alias("latency"), F.round(F.avg("ttfb_ms"), 4).alias("ttfb"), F.count_if(F.col("request_type") == "chat").alias("chat"))
+    totals = v.requests_v.agg(
+        F.count(F.lit(1)).alias("requests"), R.success_rate().alias("success_rate"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.round(F.avg("latency_ms"), 4).alias("latency"), F.round(F.avg("ttfb_ms"), 4).alias("ttfb"),
+        F.count_if(F.col("request_type") == "chat").alias("chat"), F.count_if(F.col("requested_model").isNotNull()).alias("pinned"), F.count_if(F.col("requested_model") == F.col("model_id")).alias("honoured"), F.min("created_at").alias("first_at"),
+    )
+    # a row each
+    return totals.crossJoin(F.broadcast(win01_percentiles_overall(v))).crossJoin(F.broadcast(agg24_savings(v)))
 
 
-@query(f"SELECT r.platform, r.model_id, count(*) AS requests, {_RATE} AS success_rate, round(avg(latency_ms), 4) AS latency, sum(input_tokens + output_tokens) AS tokens, round(sum({_COST}), 6) AS cost FROM {_PRICED} GROUP BY 1, 2", tokens="BIGINT")
+@query(f"SELECT r.platform, r.model_id, any_value(m.display_name) AS display_name, count(*) AS requests, {_RATE} AS success_rate, round(avg(latency_ms), 4) AS latency, round(avg(ttfb_ms), 4) AS ttfb, sum(input_tokens) AS input_tokens, sum(output_tokens) AS output_tokens, count(*) FILTER (WHERE requested_model = r.model_id) AS honoured, round(sum({_COST}), 6) AS cost FROM {_PRICED} GROUP BY 1, 2", input_tokens="BIGINT", output_tokens="BIGINT")
 def agg18_by_model(v):
     # one price per model: aggregate before the join, so that the log is shuffled once, by partial sums
     cost = lambda unit: F.sum(F.when(F.col("status") == "success", F.col(unit)).otherwise(0))
-    per = v.requests_v.groupBy("platform", "model_id").agg(F.count(F.lit(1)).alias("requests"), R.success_rate().alias("success_rate"), F.round(F.avg("latency_ms"), 4).alias("latency"), F.sum(F.col("input_tokens") + F.col("output_tokens")).alias("tokens"), cost("input_tokens").alias("i"), cost("output_tokens").alias("o"))
-    priced = per.join(R.catalog(v.models_v.select("platform", "model_id", "input_price", "output_price")), ["platform", "model_id"], "left")
-    return priced.select("platform", "model_id", "requests", "success_rate", "latency", "tokens", F.round((F.col("i") * F.coalesce("input_price", F.lit(R.INPUT_PRICE)) + F.col("o") * F.coalesce("output_price", F.lit(R.OUTPUT_PRICE))) / 1e6, 6).alias("cost"))
+    per = v.requests_v.groupBy("platform", "model_id").agg(
+        F.count(F.lit(1)).alias("requests"), R.success_rate().alias("success_rate"), F.round(F.avg("latency_ms"), 4).alias("latency"), F.round(F.avg("ttfb_ms"), 4).alias("ttfb"), F.sum("input_tokens").alias("input_tokens"),
+        F.sum("output_tokens").alias("output_tokens"), F.count_if(F.col("requested_model") == F.col("model_id")).alias("honoured"), cost("input_tokens").alias("i"), cost("output_tokens").alias("o"),
+    )
+    priced = per.join(v.models_v.select("platform", "model_id", "display_name", "input_price", "output_price").hint("merge"), ["platform", "model_id"], "left")
+    total = F.col("i") * F.coalesce("input_price", F.lit(R.INPUT_PRICE)) + F.col("o") * F.coalesce("output_price", F.lit(R.OUTPUT_PRICE))
+    return priced.select("platform", "model_id", "display_name", "requests", "success_rate", "latency", "ttfb", "input_tokens", "output_tokens", "honoured", F.round(total / 1e6, 6).alias("cost"))
 
 
-@query("SELECT platform, count(*) AS requests, count(*) FILTER (WHERE status = 'error') AS errors, round(avg(ttfb_ms), 4) AS ttfb, round(avg(CASE WHEN latency_ms > 0 AND status = 'success' THEN output_tokens / (latency_ms / 1000) END), 4) AS tokens_per_s FROM requests_v GROUP BY 1")
+@query(f"WITH r AS (SELECT platform, latency_ms, row_number() OVER (PARTITION BY platform ORDER BY latency_ms) AS rn, count(*) OVER (PARTITION BY platform) AS n FROM requests_v WHERE latency_ms IS NOT NULL), q AS (SELECT platform, min(latency_ms) FILTER (WHERE rn = floor((n - 1) * 0.95) + 1) AS p95 FROM r GROUP BY 1), a AS (SELECT platform, count(*) AS requests, {_RATE} AS success_rate, count(*) FILTER (WHERE status = 'error') AS errors, round(avg(latency_ms), 4) AS latency, round(avg(ttfb_ms), 4) AS ttfb, sum(input_tokens + output_tokens) AS tokens, round(avg(CASE WHEN latency_ms > 0 AND status = 'success' THEN output_tokens / (latency_ms / 1000) END), 4) AS tokens_per_s FROM requests_v GROUP BY 1) SELECT a.*, q.p95 FROM a LEFT JOIN q ON a.platform = q.platform", tokens="BIGINT")
 def agg19_by_platform(v):
     rate = F.when((F.col("latency_ms") > 0) & (F.col("status") == "success"), F.col("output_tokens") / (F.col("latency_ms") / 1000))
-    return v.requests_v.groupBy("platform").agg(F.count(F.lit(1)).alias("requests"), F.count_if(F.col("status") == "error").alias("errors"), F.round(F.avg("ttfb_ms"), 4).alias("ttfb"), F.round(F.avg(rate), 4).alias("tokens_per_s"))
+    a = v.requests_v.groupBy("platform").agg(
+        F.count(F.lit(1)).alias("requests"), R.success_rate().alias("success_rate"), F.count_if(F.col("status") == "error").alias("errors"), F.round(F.avg("latency_ms"), 4).alias("latency"), F.round(F.avg("ttfb_ms"), 4).alias("ttfb"),
+        F.sum(F.col("input_tokens") + F.col("output_tokens")).alias("tokens"), F.round(F.avg(rate), 4).alias("tokens_per_s"),
+    )
+    return a.join(R.percentile(v.requests_v, "latency_ms", {"p95": 0.95}, ["platform"]).hint("merge"), "platform", "left")
 
 
 @query("SELECT coalesce(user_agent, 'unknown') AS client, count(*) AS requests, strftime(max(created_at), '%Y-%m-%dT%H:%M:%SZ') AS last_seen FROM requests_v GROUP BY 1")
@@ -193,9 +206,9 @@ def agg25_pinned(v):
 _DECAY = "daily AS (SELECT platform, model_id, floor((epoch($NOW) - floor(epoch(created_at))) / 86400) AS age, count(*) FILTER (WHERE status = 'success') AS g, count(*) FILTER (WHERE status = 'error') AS b, coalesce(sum(least(latency_ms, 120000)), 0) AS l, count(latency_ms) AS t FROM requests_v GROUP BY 1, 2, 3), decayed AS (SELECT platform, model_id, round(sum(pow(0.5, age / 2) * g), 4) AS good, round(sum(pow(0.5, age / 2) * b), 4) AS bad, round(sum(pow(0.5, age / 2) * l), 4) AS latency, round(sum(pow(0.5, age / 2) * t), 4) AS timed FROM daily WHERE age >= 0 AND age < 7 GROUP BY 1, 2)"
 
 
-@query(f"WITH {_DECAY} SELECT * FROM decayed")
+@query("WITH daily AS (SELECT platform, model_id, key_id, floor((epoch($NOW) - floor(epoch(created_at))) / 86400) AS age, count(*) FILTER (WHERE status = 'success') AS g, count(*) FILTER (WHERE status = 'error') AS b, coalesce(sum(least(latency_ms, 120000)), 0) AS l, count(latency_ms) AS t FROM requests_v GROUP BY 1, 2, 3, 4) SELECT platform, model_id, key_id, round(sum(pow(0.5, age / 2) * g), 4) AS good, round(sum(pow(0.5, age / 2) * b), 4) AS bad, round(sum(pow(0.5, age / 2) * l), 4) AS latency, round(sum(pow(0.5, age / 2) * t), 4) AS timed FROM daily WHERE age >= 0 AND age < 7 GROUP BY 1, 2, 3")
 def agg26_decayed_stats(v):
-    return R.decayed_stats(v.requests_v, now())
+    return R.decayed_stats(v.requests_v, now(), by=("platform", "model_id", "key_id"))
 
 
 @query("SELECT model_id, key_id, sum(input_tokens + output_tokens) AS tokens FROM requests_v WHERE created_at >= date_trunc('month', $NOW) AND request_type = 'chat' GROUP BY 1, 2", tokens="BIGINT")
@@ -276,6 +289,7 @@ def win01_percentiles(v):
 
 @query("WITH r AS (SELECT latency_ms, row_number() OVER (ORDER BY latency_ms) AS rn, count(*) OVER () AS n FROM requests_v WHERE latency_ms IS NOT NULL) SELECT min(latency_ms) FILTER (WHERE rn = floor((n - 1) * 0.5) + 1) AS p50, min(latency_ms) FILTER (WHERE rn = floor((n - 1) * 0.95) + 1) AS p95 FROM r")
 def win01_percentiles_overall(v):
+    """All values as one group: what is ordered in a task is a row a bucket, and then the values of two buckets."""
     return R.percentile(v.requests_v.withColumn("_g", F.lit(0)), "latency_ms", {"p50": 0.5, "p95": 0.95}, ["_g"]).drop("_g")
 
 

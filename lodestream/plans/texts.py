@@ -4,22 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..operators import texts as T
 from .registry import query
 
 _LINES = "lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)"
 _KIND = "CASE WHEN regexp_matches(trim(line), '^(?i)(figure|table) [0-9]') THEN 'caption' WHEN regexp_matches(trim(line), '^\\[[0-9]+\\]') THEN 'footnote' WHEN regexp_matches(trim(line), '^[-*•] ') THEN 'bullet' WHEN regexp_matches(trim(line), '^[0-9]+[.)] ') THEN 'numbered' WHEN trim(line) = upper(trim(line)) AND regexp_matches(trim(line), '[A-Z]') AND length(trim(line)) < 80 THEN 'heading' WHEN length(trim(line)) < 40 AND NOT regexp_matches(trim(line), '[.!?]$') THEN 'subheading' ELSE 'paragraph' END"
 
+_PAIR = r"^([^:=]{2,40})[:=](.*)$"
+
 
 @query(f"WITH {_LINES} SELECT doc_id, pos, line FROM lines WHERE pos <= 19", pos="BIGINT")
 def src08_first_lines(v):
     return T.lines(v.documents).filter("pos <= 19")
 
 
-@query(f"WITH {_LINES} SELECT doc_id, trim(regexp_extract(line, '^([^:]{{2,40}}):', 1), ' -*') AS key, trim(regexp_extract(line, '^[^:]{{2,40}}:(.*)$', 1)) AS value FROM lines WHERE regexp_matches(line, '^[^:]{{2,40}}:')")
+@query(f"WITH {_LINES}, m AS (SELECT doc_id, pos, trim(regexp_replace(line, '^\\s*[-*•]+\\s*', '')) AS line FROM lines) SELECT doc_id, pos, trim(regexp_extract(line, '{_PAIR}', 1)) AS key, trim(regexp_replace(regexp_extract(line, '{_PAIR}', 2), '^\\s*[-*•]+\\s*', '')) AS value FROM m WHERE regexp_matches(line, '{_PAIR}')", pos="BIGINT")
 def fun05_key_values(v):
-    got = T.lines(v.documents).filter(F.col("line").rlike("^[^:]{2,40}:"))
-    return got.select("doc_id", F.btrim(F.regexp_extract("line", "^([^:]{2,40}):", 1), F.lit(" -*")).alias("key"), F.trim(F.regexp_extract("line", "^[^:]{2,40}:(.*)$", 1)).alias("value"))
+    """``key: value`` and ``key = value`` lines; bullets before the key or the value go."""
+    bullet = r"^\s*[-*•]+\s*"
+    rows = T.lines(v.documents).withColumn("line", F.trim(F.regexp_replace("line", bullet, "")))
+    got = rows.filter(F.col("line").rlike(_PAIR))
+    return got.select("doc_id", "pos", F.trim(F.regexp_extract("line", _PAIR, 1)).alias("key"), F.trim(F.regexp_replace(F.regexp_extract("line", _PAIR, 2), bullet, "")).alias("value"))
 
 
 @query(f"WITH {_LINES} SELECT {_KIND} AS kind, count(*) AS n FROM lines GROUP BY 1")
@@ -27,21 +33,9 @@ def fun06_line_kinds(v):
     return T.lines(v.documents).groupBy(T.line_kind(F.col("line")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
-# Shapes of secrets in logs and texts, in order.
-_SECRETS = (r"\bsk-[A-Za-z0-9_/+=-]{8,}", r"\bgsk_[A-Za-z0-9_-]{8,}", r"\bAIza[0-9A-Za-z_-]{20,}", r"\bghp_[A-Za-z0-9]{20,}", r"\bhf_[A-Za-z0-9]{16,}", r"\bAKIA[0-9A-Z]{16}\b", r"\b[A-Za-z0-9]{32,}\b")
-
-
-def _redacted_sql(c: str) -> str:
-    for p in _SECRETS:
-        c = f"regexp_replace({c}, '{p}', '[redacted]', 'g')"
-    return c
-
-
-@query(f"SELECT doc_id, sha256({_redacted_sql('text')}) AS said, {_redacted_sql('text')} <> text AS changed FROM documents")
+@query(f"SELECT doc_id, sha256({X.redact_sql('text')}) AS said, {X.redact_sql('text')} <> text AS changed FROM documents")
 def fun07_redaction(v):
-    said = F.col("text")
-    for p in _SECRETS:
-        said = F.regexp_replace(said, p, "[redacted]")
+    said = X.redact(F.col("text"))
     return v.documents.select("doc_id", F.sha2(said, 256).alias("said"), (said != F.col("text")).alias("changed"))
 
 

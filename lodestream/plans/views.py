@@ -48,7 +48,7 @@ VIEWS: dict[str, tuple[str, list[str], str | None]] = {
     "attributes_v": ("lineitem", [
         "l_orderkey * 10 + l_linenumber AS attribute_id", "l_partkey AS product_id",
         "CASE l_linenumber % 7 WHEN 0 THEN 'Body Material' WHEN 1 THEN 'Length' WHEN 2 THEN 'Weight' WHEN 3 THEN 'Motor Power' WHEN 4 THEN 'Certification' WHEN 5 THEN 'Intended Use' ELSE 'Voltage' END AS key",
-        "CASE l_suppkey % 8 WHEN 0 THEN CAST(CAST(l_quantity AS INT) AS STRING) || ' mm' WHEN 1 THEN CAST(CAST(l_quantity AS INT) AS STRING) || ' inches' WHEN 2 THEN CAST(CAST(l_quantity AS INT) AS STRING) || '.5 kW' WHEN 3 THEN CAST(CAST(l_quantity AS INT) AS STRING) || ' volts' WHEN 4 THEN '1/2 in' WHEN 5 THEN 'Stainless Steel' WHEN 6 THEN CAST(CAST(l_quantity AS INT) AS STRING) || ' lbs' END AS value",
+        "CASE l_suppkey % 8 WHEN 0 THEN CAST(CAST(l_quantity AS INT) AS STRING) || ' mm' WHEN 1 THEN CAST(CAST(l_quantity AS INT) AS STRING) || ' inches' WHEN 2 THEN CAST(CAST(l_quantity AS INT) AS STRING) || '.5 kW' WHEN 3 THEN CAST(CAST(l_quantity AS INT) AS STRING) || ' volts' WHEN 4 THEN CASE l_linenumber WHEN 1 THEN CAST(CAST(l_quantity AS INT) AS STRING) || '\"' WHEN 2 THEN CAST(CAST(l_quantity AS INT) AS STRING) || ' deg. c' WHEN 3 THEN CAST(CAST(l_quantity AS INT) AS STRING) || ' r.p.m.' ELSE '1/2 in' END WHEN 5 THEN 'Stainless Steel' WHEN 6 THEN CAST(CAST(l_quantity AS INT) AS STRING) || ' lbs' END AS value",
         "CASE l_returnflag WHEN 'A' THEN 'DIRECTLY_SUPPORTED' WHEN 'N' THEN 'INFERRED' ELSE 'CONFLICTING' END AS status", "l_linenumber AS page", "l_extendedprice AS weight",
     ], None),
     "issues_v": ("lineitem", [

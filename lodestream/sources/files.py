@@ -80,7 +80,7 @@ def write_commerce(rows: DataFrame, path: str) -> None:
     """The commerce sheet as CSV; refused unless the columns are COMMERCE_COLUMNS in order."""
     if rows.columns != list(COMMERCE_COLUMNS):
         raise ValueError(f"the commerce sheet has {len(COMMERCE_COLUMNS)} columns in a fixed order")
-    rows.write.csv(path, header=True, emptyValue="", escape='"')
+    rows.write.csv(path, header=True, emptyValue="", escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def read_commerce(spark: SparkSession, path: str) -> DataFrame:

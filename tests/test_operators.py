@@ -48,7 +48,7 @@ def test_placeholders(spark):
 def test_sanitised_text_is_cut_and_hides_keys(spark):
     df = spark.createDataFrame([("see https://a.b/c token=abcdef  now",), ("x " * 200,)], "e string")
     first, second = [r[0] for r in values(df.select(X.sanitise(F.col("e")).alias("e")), "e")]
-    assert first == "see [redacted-url] token=[redacted] now" and len(second) <= 240 and second.endswith("...")
+    assert first == "see [redacted-url] token=[redacted-key] now" and len(second) <= 240 and second.endswith("...")
 
 
 def test_chunks_overlap_and_cover(spark):
