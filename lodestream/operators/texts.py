@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..session import materialise, small_or_salted_join
+
 # Kinds of protected spans and their patterns.
 PROTECTED = {"url": r"https?://[^\s]+", "number": r"[0-9]+(?:\.[0-9]+)?", "email": r"[A-Za-z0-9._+-]+@[A-Za-z0-9.-]+", "path": r"/[a-z]+/[a-z0-9./]+"}
 
@@ -40,18 +42,61 @@ def chunks(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: in
     return docs.filter(F.col(text).isNotNull()).select(key, F.posexplode(folded).alias("chunk", "text"))
 
 
+#: Query terms up to which their list is broadcast.
+MOST_TERMS = 100_000
+
+
+def query_terms(query: Column) -> Column:
+    """Distinct words of over 2 characters."""
+    return F.array_distinct(F.filter(F.split(F.lower(query), r"[^\p{L}0-9]+"), lambda t: F.length(t) > 2))
+
+
+def term_hits(asked: DataFrame, docs: DataFrame) -> DataFrame:
+    """(query_id, doc_id, n): how many of a query's ``terms`` each document holds, by an inverted table of tokens. Tokens that no query asks for are left out before any shuffle."""
+    terms = asked.select("query_id", F.explode("terms").alias("t"))
+    tokens = docs.select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}0-9]+"))).alias("t"))
+    wanted = small_or_salted_join(tokens, terms.select("t").distinct(), ["t"], limit=MOST_TERMS)
+    return wanted.join(terms.hint("merge"), "t").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 def search(queries: DataFrame, docs: DataFrame, *, k: int = 5, least: float = 0.0) -> DataFrame:
-    """(query_id, doc_id, score, place): 0.5, 0.4 for the phrase, 0.1 for each query term contained, 0.99 at most.
+    """(query_id, doc_id, score, place): 0.5, 0.4 for the phrase, 0.1 for each query term contained, 0.99 at most; ties by doc_id.
 
-    Documents that hold a query term come from an inverted table of tokens (one equi join), not from all pairs. Terms have over 2 characters.
+    A text that holds the phrase holds its words but for the first and last, which may be parts of longer ones. So texts are fetched only
+    for hits that lack at most two terms; the others' scores are known from their counts. The best ``k`` of a
+    query are cut in the tasks before they meet.
     """
-    terms = F.array_distinct(F.filter(F.split(F.lower("query"), r"[^\p{L}0-9]+"), lambda t: F.length(t) > 2))
-    asked = queries.select("query_id", F.lower("query").alias("phrase"), terms.alias("terms"))
-    tokens = docs.select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}0-9]+"))).alias("t"))
-    rarest = asked.select("query_id", F.explode("terms").alias("t"))
-    hits = tokens.join(rarest.hint("merge"), "t").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-    texts = hits.join(docs.select("doc_id", F.lower("text").alias("low")).hint("merge"), "doc_id").join(asked.select("query_id", "phrase").hint("merge"), "query_id")
-    score = F.least(F.lit(0.5) + F.when(F.col("low").contains(F.col("phrase")), 0.4).otherwise(0.0) + F.col("n") * 0.1, F.lit(0.99))
-    ranked = texts.select("query_id", "doc_id", F.round(score, 4).alias("score"))
+    asked = materialise(queries.select("query_id", F.lower("query").alias("phrase"), query_terms(F.col("query")).alias("terms")), "asked")
+    hits = materialise(term_hits(asked, docs).join(asked.select("query_id", "phrase", F.size("terms").alias("of")).hint("merge"), "query_id"), "hits")
+    score = lambda extra: F.round(F.least(F.lit(0.5) + extra + F.col("n") * 0.1, F.lit(0.99)), 4).alias("score")
+    near = hits.filter(F.col("n") >= F.col("of") - 2)
+    said = near.join(docs.select("doc_id", F.lower("text").alias("low")).hint("merge"), "doc_id")
+    scored = said.select("query_id", "doc_id", score(F.when(F.col("low").contains(F.col("phrase")), 0.4).otherwise(0.0)))
+    scored = scored.unionByName(hits.filter(F.col("n") < F.col("of") - 2).select("query_id", "doc_id", score(F.lit(0.0))))
     place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
-    return ranked.withColumn("place", place).filter(F.col("place") <= k).filter(F.col("score") >= least)
+    return scored.withColumn("place", place).filter(F.col("place") <= k).filter(F.col("score") >= least)
+
+
+def collapsed(text: Column, least: int = 3) -> Column:
+    """Runs of at least ``least`` identical lines as the first of them and a marker; one pass over the array of lines, no row a line."""
+    lines_ = F.split(text, "\n")
+    starts = F.filter(F.sequence(F.lit(0), F.size(lines_) - 1), lambda i: (i == 0) | (F.get(lines_, i) != F.get(lines_, i - 1)))
+    ends = F.concat(F.slice(starts, F.lit(2), F.size(starts)), F.array(F.size(lines_)))
+    runs = F.transform(
+        F.arrays_zip(starts.alias("s"), ends.alias("e")),
+        lambda r: F.when(r["e"] - r["s"] >= least, F.array(F.get(lines_, r["s"]), F.concat(F.lit("["), (r["e"] - r["s"] - 1).cast("string"), F.lit(" identical lines]")))).otherwise(F.array_repeat(F.get(lines_, r["s"]), r["e"] - r["s"])),
+    )
+    return F.array_join(F.flatten(runs), "\n")
+
+
+def head_tail(text: Column, head: int = 5, tail: int = 3, keep: str = "[0-9]") -> Column:
+    """The first and last lines and those that match ``keep``; what is left out between is told by a marker."""
+    lines_ = F.split(text, "\n")
+    kept = F.filter(F.sequence(F.lit(0), F.size(lines_) - 1), lambda i: (i < head) | (i >= F.size(lines_) - tail) | F.get(lines_, i).rlike(keep))
+    marker = lambda n: F.concat(F.lit("["), n.cast("string"), F.lit(" lines omitted]"))
+    before = F.concat(F.array(F.lit(-1)), F.slice(kept, F.lit(1), F.size(kept) - 1))
+    parts = F.transform(
+        F.arrays_zip(kept.alias("i"), before.alias("p")),
+        lambda r: F.when(r["i"] - r["p"] > 1, F.array(marker(r["i"] - r["p"] - 1), F.get(lines_, r["i"]))).otherwise(F.array(F.get(lines_, r["i"]))),
+    )
+    return F.array_join(F.flatten(parts), "\n")  # the last lines are kept, so nothing is left out behind them

@@ -21,14 +21,33 @@ def str01_hourly_counters(v):
     return rows.select(_ntz("hour"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@query("SELECT date_trunc('day', ts) AS day, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS errors FROM events GROUP BY 1")
+@query("SELECT 'day' AS grain, date_trunc('day', ts) AS at, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS errors FROM events GROUP BY 2 UNION ALL SELECT 'hour', date_trunc('hour', ts), count(*), count(*) FILTER (WHERE event_type = 'error') FROM events GROUP BY 2")
 def str02_daily_trend(v):
-    return R.latest(R.drain(R.daily_trend(_events(v)), "daily", "update"), ["day"]).select(_ntz("day"), "n", "errors")
+    """The trend by day and by hour from the stream."""
+    out = None
+    for grain in ("day", "hour"):
+        part = R.latest(R.drain(R.trend(_events(v), grain), f"trend-{grain}", "update"), ["at"]).select(F.lit(grain).alias("grain"), _ntz("at"), "n", "errors")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
-@query("SELECT start, count(*) AS n, count(*) > 60 AS over FROM (SELECT time_bucket(INTERVAL 15 MINUTE, ts) - k * INTERVAL 15 MINUTE AS start FROM events, (VALUES (0), (1), (2), (3)) x(k)) GROUP BY 1")
+_LIMITS = {"minute": ("1 minute", "30 seconds", 1, 300), "day": ("1 day", "12 hours", 60, 9000)}
+_WINDOWS = " UNION ALL ".join(
+    f"SELECT '{n}' AS span, start, event_type, count(*) AS requests, sum(4 * k) AS tokens, CASE WHEN count(*) > {r} THEN 'requests' WHEN sum(4 * k) > {t} THEN 'tokens' ELSE 'none' END AS over FROM (SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, time_bucket(INTERVAL {every}, ts) - i * INTERVAL {every} AS start FROM events, (VALUES (0), (1)) x(i)) GROUP BY 1, 2, 3"
+    for n, (_, every, r, t) in _LIMITS.items()
+)
+
+
+@query(_WINDOWS, tokens="BIGINT")
 def str03_sliding_limits(v):
-    return R.latest(R.drain(R.sliding_limits(_events(v)), "sliding", "update"), ["start"]).select(_ntz("start"), "n", "over")
+    """Requests and tokens a minute and a day (rpm, tpm, rpd, tpd) over sliding windows, and which limit each window breaks first."""
+    events = _events(v).withColumn("tokens", F.get_json_object("props", "$.k").cast("long") * 4)
+    out = None
+    for name, limits in _LIMITS.items():
+        part = R.latest(R.drain(R.sliding_limits(events, *limits), f"sliding-{name}", "update"), ["start", "event_type"])
+        part = part.select(F.lit(name).alias("span"), _ntz("start"), "event_type", "requests", "tokens", "over")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query("SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events")

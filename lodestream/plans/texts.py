@@ -112,8 +112,7 @@ def txt05_query_analysis(v):
 @query(f"WITH {_ASKED}, {_HITS}, m AS (SELECT query_id, doc_id, least((25 * CAST(contains(lower(text), phrase) AS INT) + 10 * n / CAST(len(terms) AS DOUBLE) + 2.5 * (1 + ln(n))) / 45, 1.0) AS score FROM h JOIN documents USING (doc_id) JOIN qt USING (query_id)) SELECT query_id, count(*) FILTER (WHERE score >= 0.2) AS hits, round(max(score), 4) AS top FROM m GROUP BY 1", top="DOUBLE")
 def txt06_hybrid_score(v):
     asked = queries_v(v).select("query_id", F.lower("query").alias("phrase"), F.array_distinct(F.filter(F.split(F.lower("query"), r"[^\p{L}0-9]+"), lambda t: F.length(t) > 2)).alias("terms"))
-    tokens = v.documents.select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}0-9]+"))).alias("t"))
-    hits = tokens.join(asked.select("query_id", F.explode("terms").alias("t")).hint("merge"), "t").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    hits = T.term_hits(asked, v.documents)
     both = hits.join(v.documents.select("doc_id", F.lower("text").alias("low")).hint("merge"), "doc_id").join(asked.hint("merge"), "query_id")
     score = F.least((F.col("low").contains(F.col("phrase")).cast("int") * 25 + F.col("n") * 10 / F.size("terms").cast("double") + (F.log("n") + 1) * 2.5) / 45, F.lit(1.0))
     return both.select("query_id", score.alias("s")).groupBy("query_id").agg(F.count_if(F.col("s") >= 0.2).alias("hits"), F.round(F.max("s"), 4).alias("top"))
@@ -177,28 +176,32 @@ def txt16_image_summary(v):
     return v.lineitem.groupBy(F.col("l_orderkey").alias("image_id")).agg(F.count_if(F.col("l_linenumber") % 2 == 0).alias("specifications"), F.round(F.coalesce(F.avg(F.when(F.col("l_tax") > 0.04, F.col("l_discount"))), F.lit(0.85)), 8).alias("confidence"))
 
 
-@query(f"WITH {_LINES}, c AS (SELECT *, coalesce(lag(line) OVER (PARTITION BY doc_id ORDER BY pos) <> line, true) AS changed FROM lines), i AS (SELECT *, sum(CAST(changed AS INT)) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS island FROM c) SELECT doc_id, min(pos) AS pos, count(*) AS n FROM i GROUP BY doc_id, island HAVING count(*) > 1", pos="BIGINT")
+@query(f"WITH {_LINES}, c AS (SELECT *, coalesce(lag(line) OVER (PARTITION BY doc_id ORDER BY pos) <> line, true) AS changed FROM lines), i AS (SELECT *, sum(CAST(changed AS INT)) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS island FROM c), r AS (SELECT doc_id, min(pos) AS pos, any_value(line) AS line, count(*) AS n FROM i GROUP BY doc_id, island) SELECT doc_id, sha256(string_agg(CASE WHEN n >= 3 THEN line || chr(10) || '[' || CAST(n - 1 AS VARCHAR) || ' identical lines]' ELSE array_to_string(list_transform(range(n), lambda x: line), chr(10)) END, chr(10) ORDER BY pos)) AS said, sum(CASE WHEN n >= 3 THEN n - 1 ELSE 0 END) AS dropped FROM r GROUP BY 1", dropped="BIGINT")
 def win19_line_runs(v):
-    from pyspark.sql import Window as W
-
-    rows = T.lines(v.documents)
-    changed = F.coalesce(F.lag("line").over(W.partitionBy("doc_id").orderBy("pos")) != F.col("line"), F.lit(True))
-    runs = T.islands(rows.withColumn("changed", changed), ["doc_id"], ["pos"], F.col("changed"))
-    return runs.groupBy("doc_id", "island").agg(F.min("pos").alias("pos"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("island")
+    """Runs of identical lines collapsed, as a digest of the new text and the lines that it lost."""
+    said = v.documents.filter("text IS NOT NULL").select("doc_id", "text", T.collapsed(F.col("text")).alias("new"))
+    marks = F.regexp_extract_all("new", F.lit(r"(?m)^\[([0-9]+) identical lines\]$"), F.lit(1))
+    return said.select("doc_id", F.sha2("new", 256).alias("said"), F.aggregate(marks, F.lit(0).cast("long"), lambda a, x: a + x.cast("long")).alias("dropped"))
 
 
-@query(f"WITH {_LINES}, n AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS total FROM lines) SELECT doc_id, count(*) FILTER (WHERE pos <= 5 OR pos > total - 3 OR regexp_matches(line, '[0-9]')) AS kept, count(*) FILTER (WHERE NOT (pos <= 5 OR pos > total - 3 OR regexp_matches(line, '[0-9]'))) AS omitted FROM n GROUP BY 1")
+@query(f"WITH {_LINES}, n AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS total FROM lines), k AS (SELECT *, pos - lag(pos, 1, 0) OVER (PARTITION BY doc_id ORDER BY pos) AS step FROM n WHERE pos <= 5 OR pos > total - 3 OR regexp_matches(line, '[0-9]')) SELECT doc_id, sha256(string_agg(CASE WHEN step > 1 THEN '[' || CAST(step - 1 AS VARCHAR) || ' lines omitted]' || chr(10) || line ELSE line END, chr(10) ORDER BY pos)) AS said, count(*) AS kept, max(total) - count(*) AS omitted FROM k GROUP BY 1")
 def win20_head_tail(v):
-    rows = v.documents.select("doc_id", F.split("text", "\n").alias("a")).select("doc_id", F.size("a").alias("total"), F.posexplode("a").alias("pos", "line"))
-    keep = (F.col("pos") < 5) | (F.col("pos") >= F.col("total") - 3) | F.col("line").rlike("[0-9]")
-    return rows.groupBy("doc_id").agg(F.count_if(keep).alias("kept"), F.count_if(~keep).alias("omitted"))
+    """Head, tail and lines that must stay, as a digest of the new text and counts."""
+    keep = lambda a: F.size(F.filter(F.sequence(F.lit(0), F.size(a) - 1), lambda i: (i < 5) | (i >= F.size(a) - 3) | F.get(a, i).rlike("[0-9]"))).cast("long")
+    a = F.split("text", "\n")
+    return v.documents.filter("text IS NOT NULL").select("doc_id", F.sha2(T.head_tail(F.col("text")), 256).alias("said"), keep(a).alias("kept"), (F.size(a) - keep(a)).alias("omitted"))
 
 
-@query(f"WITH {_LINES}, s AS (SELECT doc_id, pos, line, sum(length(line)) OVER (PARTITION BY doc_id ORDER BY length(line) DESC, pos ROWS UNBOUNDED PRECEDING) AS upto, sum(length(line)) OVER (PARTITION BY doc_id) AS total FROM lines) SELECT doc_id, count(*) AS kept, sum(length(line)) AS chars FROM s WHERE upto <= greatest(total / 2, 200) GROUP BY 1", chars="BIGINT")
+@query(f"WITH {_LINES}, w AS (SELECT *, regexp_matches(line, '[0-9]') AS must, len(list_filter(string_split(line, ' '), lambda x: length(x) > 6)) AS score FROM lines), s AS (SELECT *, sum(length(line)) OVER (PARTITION BY doc_id ORDER BY must DESC, score DESC, pos ROWS UNBOUNDED PRECEDING) AS upto, sum(length(line)) OVER (PARTITION BY doc_id) AS total FROM w) SELECT doc_id, count(*) AS kept, sum(length(line)) AS chars, sha256(string_agg(line, chr(10) ORDER BY pos)) AS said FROM s WHERE must OR upto <= greatest(total / 2, 200) GROUP BY 1", chars="BIGINT")
 def win21_budgeted_drop(v):
+    """Lines by score until half the text is kept, in their own order; lines with numbers are never dropped. A window goes over one text's lines."""
     from pyspark.sql import Window as W
 
-    rows = T.lines(v.documents).withColumn("n", F.char_length("line"))
-    upto = F.sum("n").over(W.partitionBy("doc_id").orderBy(F.desc("n"), "pos").rowsBetween(W.unboundedPreceding, 0))
-    s = rows.withColumn("upto", upto).withColumn("total", F.sum("n").over(W.partitionBy("doc_id")))
-    return s.filter(F.col("upto") <= F.greatest(F.col("total") / 2, F.lit(200))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("kept"), F.sum("n").alias("chars"))
+    rows = T.lines(v.documents).withColumn("n", F.char_length("line")).withColumn("must", F.col("line").rlike("[0-9]"))
+    rows = rows.withColumn("score", F.size(F.filter(F.split("line", " "), lambda x: F.length(x) > 6)))
+    upto = F.sum("n").over(W.partitionBy("doc_id").orderBy(F.desc("must"), F.desc("score"), "pos").rowsBetween(W.unboundedPreceding, 0))
+    s = rows.withColumn("upto", upto).withColumn("total", F.sum("n").over(W.partitionBy("doc_id"))).filter(F.col("must") | (F.col("upto") <= F.greatest(F.col("total") / 2, F.lit(200))))
+    out = s.groupBy("doc_id").agg(F.count(F.lit(1)).alias("kept"), F.sum("n").alias("chars"), F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("x"))
+    return out.select("doc_id", "kept", "chars", F.sha2(F.array_join("x.line", "\n"), 256).alias("said"))
+
+

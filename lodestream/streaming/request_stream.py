@@ -44,14 +44,17 @@ def hourly_counters(events: DataFrame, late: str = "2 hours") -> DataFrame:
     return counted.agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("hour"), "event_type", "n", "total")
 
 
-def daily_trend(events: DataFrame) -> DataFrame:
-    return events.withWatermark("ts", "1 day").groupBy(F.window("ts", "1 day")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "error").alias("errors")).select(F.col("window.start").alias("day"), "n", "errors")
+def trend(events: DataFrame, grain: str = "day") -> DataFrame:
+    """(at, n, errors) in tumbling windows of a day or an hour."""
+    counted = events.withWatermark("ts", "1 day").groupBy(F.window("ts", f"1 {grain}")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "error").alias("errors"))
+    return counted.select(F.col("window.start").alias("at"), "n", "errors")
 
 
-def sliding_limits(events: DataFrame, limit: int = 60) -> DataFrame:
-    """Requests of each hour that starts every quarter of an hour, against a limit."""
-    counted = events.withWatermark("ts", "2 hours").groupBy(F.window("ts", "1 hour", "15 minutes")).agg(F.count(F.lit(1)).alias("n"))
-    return counted.select(F.col("window.start").alias("start"), "n", (F.col("n") > limit).alias("over"))
+def sliding_limits(events: DataFrame, span: str, every: str, requests: int, tokens: int) -> DataFrame:
+    """Requests and tokens of each type in windows of ``span`` that start ``every`` so often, against both limits."""
+    counted = events.withWatermark("ts", span).groupBy(F.window("ts", span, every), "event_type").agg(F.count(F.lit(1)).alias("requests"), F.sum("tokens").alias("tokens"))
+    over = F.when(F.col("requests") > requests, "requests").when(F.col("tokens") > tokens, "tokens").otherwise("none")
+    return counted.select(F.col("window.start").alias("start"), "event_type", "requests", "tokens", over.alias("over"))
 
 
 def sequences(events: DataFrame) -> DataFrame:
