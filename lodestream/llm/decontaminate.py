@@ -9,14 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..session import materialise
-from .kernels import LOWER, NON_ALNUM, arrow_map, prefix_hash, sequence_hash, span_hash, texts, words
+from .kernels import LOWER, NON_ALNUM, arrow_map, as_row, prefix_hash, sequence_hash, span_hash, texts, words
 
 WINDOW = 10
 #: (window, item) pairs up to which the windows are broadcast (about 100 bytes each); beyond, windows are joined by a shuffle.
 BROADCAST_WINDOWS = 500_000
 
 UPPER, LOWER_CASE = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-HITS = T.ArrayType(T.StructType([T.StructField("place", T.IntegerType()), T.StructField("size", T.IntegerType()), T.StructField("items", T.ArrayType(T.LongType()))]))
+HITS = T.ArrayType(T.StructType([T.StructField("place", T.IntegerType()), T.StructField("size", T.IntegerType())]))
 
 
 def word_array(text: str):
@@ -79,8 +79,9 @@ def _judge(batch: pa.RecordBatch, place: int, hits_at: int | None, table: Window
     if table is not None:
         found = table.hits(data, starts, ends, row)
     else:
+        known = batch.column(hits_at + 1).to_pylist()
         lists = batch.column(hits_at).to_pylist()
-        found = ((int(first[r]) + h["place"], h["size"], h["items"]) for r, hits in enumerate(lists) for h in hits or [])
+        found = ((int(first[r]) + h["place"], h["size"], known[r] or ()) for r, hits in enumerate(lists) for h in hits or [])
     edge = np.zeros(len(starts) + 1, np.int64)
     items: dict[int, set[int]] = {}
     for at, size, who in found:
@@ -89,8 +90,8 @@ def _judge(batch: pa.RecordBatch, place: int, hits_at: int | None, table: Window
         items.setdefault(int(row[at]), set()).update(x for x in who if x is not None)
     hit = np.cumsum(edge[:-1]) > 0
     total = np.concatenate([[0], np.cumsum(hit)])
-    out = [*batch.columns[: batch.num_columns - (hits_at is not None)], pa.array(np.diff(first)), pa.array(total[first[1:]] - total[first[:-1]]), pa.array([sorted(items.get(r, ())) for r in range(batch.num_rows)], pa.list_(pa.int64()))]
-    names = [*batch.schema.names[: batch.num_columns - (hits_at is not None)], "n_words", "n_hit", "hit_items"]
+    out = [*batch.columns[:2], pa.array(np.diff(first)), pa.array(total[first[1:]] - total[first[:-1]]), pa.array([sorted(items.get(r, ())) for r in range(batch.num_rows)], pa.list_(pa.int64()))]
+    names = [*batch.schema.names[:2], "n_words", "n_hit", "hit_items"]
     if clean:
         kept = column.to_pylist()
         for r in np.unique(row[hit]).tolist() if hit.any() else []:
@@ -120,30 +121,30 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", ite
     window; a null item id hits but isn't listed. Repeated rows, documents or items, are
     judged each by itself. Input columns named like the new ones are replaced.
     """
-    docs = docs.drop("n_words", "n_hit", "hit_items", "clean_text")
+    new = ["n_words", "n_hit", "hit_items", "clean_text"]
+    kept = [c for c in docs.columns if c not in new]
     pairs = materialise(item_windows(benchmark, item_id=item_id, text=item_text, window=window), "windows")
-    fields = [*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("hit_items", T.ArrayType(T.LongType()))]
-    schema = T.StructType(fields + [T.StructField("clean_text", T.StringType())] * clean)
-    place = docs.columns.index(text)
+    found = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("hit_items", T.ArrayType(T.LongType()))]
+    found += [T.StructField("clean_text", T.StringType())] * clean
+    rows = docs.select(as_row(kept), F.col(text).alias("said"))
+    schema = T.StructType([rows.schema["row"], rows.schema["said"], *found])
     if pairs.count() <= limit:
-        rows = pairs.groupBy("window").agg(F.collect_set("item").alias("items")).toArrow()
-        known = docs.sparkSession.sparkContext.broadcast(([w.encode() for w in rows.column("window").to_pylist()], rows.column("items").to_pylist()))
-
-        def run(batches):
-            table = WindowTable(*known.value)
-            yield from arrow_map(lambda b: _judge(b, place, None, table, clean), text)(batches)
-
-        return docs.mapInArrow(run, schema)
-    numbered = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    said = numbered.select("_row", word_array(text).alias("w"))
-    sizes = pairs.select("size").distinct()
-    own = said.join(F.broadcast(sizes), F.size("w") >= F.col("size")).withColumn("at", F.explode(F.sequence(F.lit(0), F.size("w") - F.col("size"))))
-    own = own.select("_row", "at", "size", F.array_join(F.slice("w", F.col("at") + 1, F.col("size")), " ").alias("window"))
-    grouped = pairs.groupBy("window").agg(F.collect_set("item").alias("items"))
-    hits = own.join(grouped.hint("merge"), "window").groupBy("_row").agg(F.collect_list(F.struct(F.col("at").alias("place"), "size", "items")).cast(HITS).alias("_hits"))
-    joined = numbered.join(hits.hint("merge"), "_row", "left").select(*docs.columns, "_hits")
-    at = len(docs.columns)
-    return joined.mapInArrow(arrow_map(lambda b: _judge(b, place, at, None, clean), text), schema)
+        held = pairs.groupBy("window").agg(F.collect_set("item").alias("items")).toArrow()
+        # built once; a worker process reads it once for all its tasks
+        known = docs.sparkSession.sparkContext.broadcast(WindowTable([w.encode() for w in held.column("window").to_pylist()], held.column("items").to_pylist()))
+        judged = rows.mapInArrow(arrow_map(lambda b: _judge(b, 1, None, known.value, clean), "said"), schema)
+    else:
+        numbered = materialise(rows.withColumn("id", F.monotonically_increasing_id()), "numbered")
+        said = numbered.select("id", word_array("said").alias("w"))
+        own = said.join(F.broadcast(pairs.select("size").distinct()), F.size("w") >= F.col("size")).withColumn("at", F.explode(F.sequence(F.lit(0), F.size("w") - F.col("size"))))  # at most ``window`` sizes
+        own = own.select("id", "at", "size", F.array_join(F.slice("w", F.col("at") + 1, F.col("size")), " ").alias("window"))
+        met = materialise(own.join(pairs.select("window").distinct().hint("merge"), "window").select("id", "at", "size", "window"), "met-windows")
+        # a window that all items hold meets them once a document, not at each of its places
+        items = met.select("id", "window").distinct().join(pairs.hint("merge"), "window").groupBy("id").agg(F.sort_array(F.collect_set("item")).alias("items"))
+        hits = met.groupBy("id").agg(F.collect_list(F.struct(F.col("at").alias("place"), "size")).cast(HITS).alias("hits"))
+        joined = numbered.join(hits.hint("merge"), "id", "left").join(items.hint("merge"), "id", "left").select("row", "said", "hits", "items")
+        judged = joined.mapInArrow(arrow_map(lambda b: _judge(b, 1, 2, None, clean), "said"), schema)
+    return judged.select(*[F.col("said").alias(c) if c == text else F.col("row")[c].alias(c) for c in kept], *new[: len(found)])
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", drop_documents: bool = False, **options) -> DataFrame:

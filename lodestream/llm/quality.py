@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .kernels import LOWER, SPACE, arrow_map, prefix_hash, span_hash, texts, words
+from .kernels import LOWER, SPACE, arrow_map, as_row, prefix_hash, span_hash, texts, words
 
 #: Labelled rows that a model is fitted on, at most: those with the smallest hash of their id.
 TRAIN_ROWS = 20_000
@@ -158,17 +158,15 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` without the text, with an array of FEATURES as _x."""
-    kept = [c for c in docs.columns if c != text]
-    source = docs.select(*kept, F.col(text).alias("_text"))
+    """(row, x): the columns of ``docs`` but the text, and an array of FEATURES."""
+    source = docs.select(as_row([c for c in docs.columns if c != text]), F.col(text).alias("said"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x = statistics(batch.column(len(kept)))
+        x = statistics(batch.column(1))
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * len(FEATURES), pa.int32()), pa.array(x.ravel()))
-        return pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], [*kept, "_x"])
+        return pa.RecordBatch.from_arrays([batch.column(0), lists], ["row", "x"])
 
-    schema = T.StructType([*(f for f in source.schema.fields[:-1]), T.StructField("_x", T.ArrayType(T.DoubleType()))])
-    return source.mapInArrow(arrow_map(run, "_text"), schema)
+    return source.mapInArrow(arrow_map(run, "said"), T.StructType([source.schema["row"], T.StructField("x", T.ArrayType(T.DoubleType()))]))
 
 
 def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", rows: int = TRAIN_ROWS) -> Forest:
@@ -177,12 +175,12 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
     Rows with a null id or label are passed over. Only the sample's statistics reach
     the driver (``rows`` x 22 doubles), whatever the size of the tables.
     """
-    known = labels.select(F.col(doc_id).cast("long").alias("_id"), F.col(label).cast("int").alias("_y")).filter(F.col("_id").isNotNull() & F.col("_y").isNotNull() & ~held_out("_id"))
-    sample = known.distinct().orderBy(F.xxhash64("_id"), "_id", "_y").limit(rows)
-    chosen = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text")).join(F.broadcast(sample), "_id")  # at most ``rows`` rows
-    got = with_statistics(chosen, "_text").orderBy(F.xxhash64("_id"), "_id", "_y", F.xxhash64("_x")).limit(rows).toArrow()
-    x = np.array(got.column("_x").to_pylist(), float).reshape(-1, len(FEATURES))
-    return fit(x, np.array(got.column("_y").to_pylist(), float).clip(0, 1))
+    known = labels.select(F.col(doc_id).cast("long").alias("id"), F.col(label).cast("int").alias("y")).filter(F.col("id").isNotNull() & F.col("y").isNotNull() & ~held_out("id"))
+    sample = known.distinct().orderBy(F.xxhash64("id"), "id", "y").limit(rows)
+    chosen = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("said")).join(F.broadcast(sample), "id")  # at most ``rows`` rows
+    got = with_statistics(chosen, "said").select("row.id", "row.y", "x").orderBy(F.xxhash64("id"), "id", "y", F.xxhash64("x")).limit(rows).toArrow()
+    x = np.array(got.column("x").to_pylist(), float).reshape(-1, len(FEATURES))
+    return fit(x, np.array(got.column("y").to_pylist(), float).clip(0, 1))
 
 
 def score(docs: DataFrame, forest: Forest, *, text: str = "text", into: str = "score") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
@@ -19,12 +20,44 @@ REMEMBERED = 500_000
 REMEMBERED_BYTES = 64
 
 
+#: Normalisers that treat what stands on the two sides of white space apart.
+LOCAL = {"NFC", "NFD", "NFKC", "NFKD", "Lowercase", "StripAccents"}
+#: Pre-tokenisers that end words at white space and drop it.
+AT_SPACE = {"BertPreTokenizer", "Whitespace", "WhitespaceSplit"}
+#: Alternatives of a pattern that match no white space: letters after an apostrophe, one Unicode class, and classes that exclude it.
+NO_SPACE = re.compile(r"'[a-z]+|\[(\\p\{[A-Z][a-z]?\})+\]\+?|\[\^\\s[^\]]*\]\+?")
+
+
+def splits_at_space(file: dict) -> bool:
+    """True if a tokenizer's JSON proves that no token crosses or holds ASCII white space and that pieces between it are encoded on their own.
+
+    That holds if all normalisers are local or turn runs of white space into a blank, if the first pre-tokeniser ends words at white space and drops it
+    (by its kind, or by a pattern whose matches alone are kept and hold none), and if no added token holds white space.
+    """
+
+    def parts(x: dict | None, inner: str) -> list[dict]:
+        return [] if x is None else [y for z in x[inner] for y in parts(z, inner)] if x["type"] == "Sequence" else [x]
+
+    def local(x: dict) -> bool:
+        return x["type"] in LOCAL or (x["type"] == "Replace" and x["pattern"].get("Regex") == r"\s+" and x["content"] == " ")
+
+    def drops(x: dict) -> bool:
+        if x["type"] != "Split":
+            return x["type"] in AT_SPACE
+        kept = x["behavior"] == "Removed" and x["invert"]
+        return kept and all(NO_SPACE.fullmatch(y) for y in x["pattern"].get("Regex", " ").split("|"))
+
+    first = parts(file.get("pre_tokenizer"), "pretokenizers")[:1]
+    added = any(re.search(r"\s", t["content"]) for t in file.get("added_tokens", ()))
+    return bool(first) and drops(first[0]) and all(map(local, parts(file.get("normalizer"), "normalizers"))) and not added
+
+
 class PieceLengths:
     """Token counts of texts by one tokenizer file, for use inside a task.
 
     ``.json`` files go to the tokenizers library, ``.model`` files to sentencepiece.
-    If the tokenizer drops white space before it splits words (it is asked, see
-    ``_drops_space``), ASCII white space is a safe boundary: no token crosses it, so
+    If the file proves that white space is dropped before words are split (see splits_at_space()),
+    it is a safe boundary: no token crosses it, so
     every text is split there and each piece is encoded once. Else texts are encoded whole.
     """
 
@@ -43,17 +76,10 @@ class PieceLengths:
             model.no_truncation()
             model.no_padding()
             self._lengths = lambda batch: [len(x) for x in model.encode_batch_fast(batch, add_special_tokens=False)]
-            self.splits = self._drops_space(model)
+            with open(path, encoding="utf-8") as file:
+                self.splits = splits_at_space(json.load(file))
         self._seen: dict[str, int] = {}
 
-    @staticmethod
-    def _drops_space(model) -> bool:
-        """True if the rules before the model remove white space, so that they treat its two sides apart."""
-        if model.pre_tokenizer is None:
-            return False
-        probe = model.pre_tokenizer.pre_tokenize_str("ab  c\t.\n1 ")
-        return not any(re.search(r"\s|Ġ|Ċ|ĉ|▁", piece) for piece, _ in probe)
-
     def encode_all(self, pieces: list[str]) -> np.ndarray:
         """Lengths of pieces, in calls balanced by bytes: longest first, each call up to ENCODE_BYTES."""
         sizes = np.array([len(p.encode()) for p in pieces], np.int64)

@@ -140,6 +140,16 @@ def test_leaks_of_empty_tables(spark, docs):
     assert decontaminate.find_leaks(docs.limit(0), none).count() == 0
 
 
+@pytest.mark.parametrize("limit", [decontaminate.BROADCAST_WINDOWS, 0])
+def test_leaks_with_clashing_names(spark, limit):
+    names = ["row", "said", "id", "hits", "items", "_row", "w"]
+    df = spark.createDataFrame([(1, "one two", *names), (1, "one two", *names), (None, None, *names)], ", ".join(["doc_id long", "text string", *(f"{n} string" for n in names)]))
+    items = spark.createDataFrame([(1, "two", "x"), (2, "two", "x"), (2, "two", "x")], "item_id long, text string, window string")
+    got = decontaminate.find_leaks(df, items, limit=limit).collect()
+    assert sorted((r.n_hit, tuple(r.hit_items)) for r in got) == [(0, ()), (1, (1, 2)), (1, (1, 2))] and all(r[n] == n for r in got for n in names)
+    assert {r.text for r in decontaminate.decontaminate(df, items, limit=limit).collect()} == {"one ", None}
+
+
 # --- fingerprints
 
 
@@ -559,6 +569,24 @@ def test_pieces_count_as_whole_texts(name, said):
     assert counter.of_texts(pa.array(said, pa.string())).tolist() == [int(counter._lengths([t or ""])[0]) for t in said]
 
 
+def test_boundaries_are_proven_or_not_used():
+    import json
+
+    import public_tokenizers
+
+    file = json.loads(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read())
+    assert tokens.splits_at_space(file)
+    split = {"type": "Split", "pattern": {"Regex": r"\w+ ?"}, "behavior": "Removed", "invert": True}
+    others = [{"pre_tokenizer": None}, {"pre_tokenizer": {"type": "ByteLevel"}}, {"pre_tokenizer": split}, {"normalizer": {"type": "Prepend", "prepend": "x"}}, {"added_tokens": [{"content": "a b"}]}]
+    assert not any(tokens.splits_at_space(file | x) for x in others) and tokens.splits_at_space(file | {"pre_tokenizer": {"type": "WhitespaceSplit"}})
+
+
+def test_token_counts_of_nothing_and_clashing_names(spark):
+    df = spark.createDataFrame([("a b", "c", "d"), (None, "c", "d"), (None, "c", "d")], "text string, n_tokens string, row string")
+    got = tokens.token_counts(df, queries.tokenizer_path()).collect()
+    assert sorted(r.n_tokens for r in got) == [0, 0, 2] and {r.row for r in got} == {"d"} and tokens.token_counts(df.limit(0), queries.tokenizer_path()).count() == 0
+
+
 # --- quality
 
 
@@ -599,6 +627,14 @@ def test_flat_trees_score_like_nodes():
     assert np.allclose(f.score(x[:50]), [one(r) for r in x[:50]]) and ((f.score(x) > 0.5) == y).mean() > 0.9
 
 
+def test_clashing_names_of_statistics(spark, docs):
+    names = ["row", "x", "said", "_x", "_text"]
+    df = spark.createDataFrame([(i, t, *names) for i, t in texts()], ", ".join(["doc_id long", "text string", *(f"{n} string" for n in names)]))
+    labels = spark.createDataFrame([(i, i % 2, "y") for i in range(10)], "doc_id long, quality int, y string")
+    got = quality.score(df, quality.train(df, labels)).collect()
+    assert len(got) == len(texts()) and all(r[n] == n for r in got for n in names)
+
+
 # --- personal data
 
 RULES = {
@@ -736,3 +772,18 @@ def test_pipeline_stages(spark, sf_dir):
     assert all(not plain_spans(t) for t in ids[4].values() if t)
     mixed = corpus_pipeline.STAGES[4][1](spark, seen[4], sf_dir)
     assert mixed.filter("n_words > 64 or n_words < 1").count() == 0
+
+
+def test_stages_take_nulls_repeated_rows_and_nothing(spark, sf_dir):
+    import corpus_pipeline
+
+    docs = table(spark, sf_dir, "documents")
+    none = {f.name: None for f in docs.schema}
+    odd = [none, none | {"doc_id": 10**9}, none | {"doc_id": 10**9 + 1, "text": ""}, none | {"doc_id": 10**9 + 2, "text": "same words again"}, none | {"doc_id": 10**9 + 2, "text": "same words again"}, none | {"doc_id": 10**9 + 3, "text": "mail me at a.b@c.de " * 3000}]
+    rows = spark.createDataFrame([tuple(r[f.name] for f in docs.schema) for r in odd], docs.schema)
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, rows.unionByName(docs.limit(20)) if i == 0 else rows, sf_dir)
+        assert out.count() > 0, name
+        assert stage(spark, rows.limit(0), sf_dir).count() == 0, name
+    kept = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, rows, sf_dir)
+    assert kept.count() == len(odd)
