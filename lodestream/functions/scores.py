@@ -7,7 +7,8 @@ from pyspark.sql import Column, functions as F
 # Scales, priors and weights of the axes, and the presets (reliability, speed, intelligence).
 SPEED_SCALE, TTFB_BEST, TTFB_WORST, THROUGHPUT_WEIGHT, TTFB_WEIGHT, SPEED_PRIOR = 60.0, 300.0, 5000.0, 0.6, 0.4, 0.6
 PRIOR_SUCCESS, PRIOR_FAILURE, RANK_SCALE, HEADROOM_FLOOR, HEADROOM_START = 1.0, 1.0, 31.0, 0.1, 0.2
-PRESETS = {"balanced": (0.5, 0.25, 0.25), "smartest": (0.35, 0.1, 0.55), "fastest": (0.35, 0.55, 0.1)}
+PRESETS = {"balanced": (0.5, 0.25, 0.25), "smartest": (0.35, 0.1, 0.55), "fastest": (0.35, 0.55, 0.1), "reliable": (0.7, 0.15, 0.15)}
+MOST_PENALTY, MOST_DAMP = 10, 0.95
 TIERS = {"frontier": 4, "large": 3, "medium": 2, "small": 1}
 
 
@@ -41,6 +42,11 @@ def headroom(remaining: Column) -> Column:
     return F.when(remaining >= HEADROOM_START, F.lit(1.0)).otherwise(HEADROOM_FLOOR + (1 - HEADROOM_FLOOR) * F.greatest(remaining, F.lit(0.0)) / HEADROOM_START)
 
 
+def rate_limit_factor(penalty: Column) -> Column:
+    """1 without a penalty, down to 1 - MOST_DAMP at MOST_PENALTY."""
+    return F.lit(1) - clamp(penalty, 0, MOST_PENALTY) / MOST_PENALTY * MOST_DAMP
+
+
 def mixed(preset: str, reliability_: Column, speed_: Column, intelligence_: Column, head: Column) -> Column:
     r, s, i = PRESETS[preset]
     return (r * reliability_ + s * speed_ + i * intelligence_) * head

@@ -68,6 +68,23 @@ def field_confidence(attributes: DataFrame, evidence: DataFrame) -> DataFrame:
     return both.select("attribute_id", "product_id", F.round(F.least(F.greatest(plus - minus, F.lit(0.0)), F.lit(1.0)), 4).alias("score"))
 
 
+def merged_events(events: DataFrame, by: list[str], within: float) -> DataFrame:
+    """Events (event_id, start_s, end_s) of a group in order, each merged into the last kept one if it starts no later than ``within`` after that one's start.
+
+    Only an event that is too far from its predecessor surely starts a new one, so a group is first cut there into runs, and the fold goes over a run.
+    """
+    w = W.partitionBy(*by).orderBy("start_s", "event_id")
+    cut = events.withColumn("_new", F.coalesce(F.col("start_s") - F.lag("start_s").over(w) > within, F.lit(True)).cast("int")).withColumn("_run", F.sum("_new").over(w))
+    listed = cut.groupBy(*by, "_run").agg(F.array_sort(F.collect_list(F.struct("start_s", "event_id", "end_s"))).alias("_x"))
+    one = "named_struct('start_s', e.start_s, 'end_s', e.end_s, 'ids', array(e.event_id))"
+    last = "element_at(a, -1)"
+    grown = f"named_struct('start_s', {last}.start_s, 'end_s', greatest({last}.end_s, e.end_s), 'ids', array_append({last}.ids, e.event_id))"
+    empty = f"slice(transform(_x, e -> {one}), 1, 0)"
+    fold = F.expr(f"aggregate(_x, {empty}, (a, e) -> IF(size(a) > 0 AND e.start_s - {last}.start_s <= {within}, concat(slice(a, 1, size(a) - 1), array({grown})), concat(a, array({one}))))")
+    kept = listed.select(*by, F.explode(fold).alias("k"))
+    return kept.select(*by, "k.start_s", "k.end_s", F.size("k.ids").cast("long").alias("merged"), F.array_sort("k.ids").alias("ids"))
+
+
 def first_ids(rows: DataFrame, key: str, ident: str, k: int) -> DataFrame:
     """(key, ids): the ``k`` least ids of each key. Ranks up to a limit are cut in the tasks before the shuffle, so a hot key moves little."""
     rank = F.row_number().over(W.partitionBy(key).orderBy(ident))

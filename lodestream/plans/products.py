@@ -21,10 +21,16 @@ _RAW = f"nullif(coalesce(nullif(regexp_extract(value, '{_PATTERN}', 2), ''), tri
 _UNIT = f"coalesce({_map(f'lower(trim({_RAW}))', X.UNITS, 'NULL')}, trim({_RAW}))"
 
 
-@query(f"SELECT count(*) AS total, count(*) FILTER (WHERE {_clean('name')} IS NOT NULL) AS imported, count(*) FILTER (WHERE {_clean('name')} IS NULL) AS skipped FROM products_v")
+@query(f"WITH r AS (SELECT product_id, CASE WHEN {_clean('name')} IS NULL AND {_clean('brand')} IS NULL AND category IS NULL THEN 'blank' WHEN {_clean('name')} IS NULL THEN 'missing name' WHEN {_clean('brand')} IS NULL AND category IS NULL THEN 'missing brand and category' END AS reason FROM products_v) SELECT 'error' AS kind, 'row ' || CAST(product_id AS VARCHAR) || ': ' || reason AS line, 1 AS n FROM r WHERE reason <> 'blank' UNION ALL SELECT k, NULL, n FROM (SELECT count(*) FILTER (WHERE reason IS NULL OR reason <> 'blank') AS total, count(*) FILTER (WHERE reason IS NULL) AS imported, count(*) FILTER (WHERE reason <> 'blank') AS skipped FROM r), LATERAL (VALUES ('total', total), ('imported', imported), ('skipped', skipped)) v(k, n)")
 def src02_row_accounting(v):
-    bad = X.clean(F.col("name")).isNull()
-    return v.products_v.agg(F.count(F.lit(1)).alias("total"), F.count_if(~bad).alias("imported"), F.count_if(bad).alias("skipped"))
+    """Counts of the rows that aren't blank, and an error line for each rejected one."""
+    no_name, no_brand = X.clean(F.col("name")).isNull(), X.clean(F.col("brand")).isNull()
+    reason = F.when(no_name & no_brand & F.col("category").isNull(), "blank").when(no_name, "missing name").when(no_brand & F.col("category").isNull(), "missing brand and category")
+    r = v.products_v.select("product_id", reason.alias("reason"))
+    errors = r.filter("reason <> 'blank'").select(F.lit("error").alias("kind"), F.concat(F.lit("row "), F.col("product_id").cast("string"), F.lit(": "), "reason").alias("line"), F.lit(1).cast("long").alias("n"))
+    kept = F.coalesce(F.col("reason") != "blank", F.lit(True))
+    counts = r.agg(F.count_if(kept).alias("total"), F.count_if(F.col("reason").isNull()).alias("imported"), F.count_if(F.col("reason") != "blank").alias("skipped"))
+    return errors.unionByName(counts.unpivot([], ["total", "imported", "skipped"], "kind", "n").withColumn("line", F.lit(None).cast("string")))
 
 
 @query("SELECT lang AS dataset_id, count(*) AS row_count, sum(strlen(text)) AS bytes FROM documents GROUP BY 1", bytes="BIGINT")
@@ -108,10 +114,18 @@ def prj07_identifiers(v):
     return v.part.select(F.col("p_partkey").alias("id"), F.regexp_replace(F.concat(F.col("p_partkey").cast("string"), F.lit(".0")), r"^([0-9]+)\.0$", "$1").alias("identifier"))
 
 
-@query(f"SELECT product_id, name FROM products_v WHERE tenant_id = 't1' AND (name ILIKE '%ring%' OR brand ILIKE '%ring%' OR sku ILIKE '%ring%') AND status = 'verified' AND {_LEVEL} = 'LOW'")
+_SEARCHED = ("name", "brand", "sku", "category", "status", "CAST(product_id AS STRING)")
+
+
+@query("SELECT product_id, name FROM products_v WHERE tenant_id = 't1' AND (" + " OR ".join(f"{c} ILIKE '%ring%'" for c in _SEARCHED) + f") AND category ILIKE '%e%' AND status = 'verified' AND {_LEVEL} = 'LOW' ORDER BY product_id DESC LIMIT 20 OFFSET 2")
 def prj08_product_search(v):
-    hit = F.col("name").ilike("%ring%") | F.col("brand").ilike("%ring%") | F.col("sku").ilike("%ring%")
-    return v.products_v.filter((F.col("tenant_id") == "t1") & hit & (F.col("status") == "verified") & (P.confidence_level(F.col("confidence_score"), F.col("conflict_fields")) == "LOW")).select("product_id", "name")
+    """A text in any of six columns, a category, a status and a level, in any case; newest first, the second page."""
+    hit = F.lit(False)
+    for c in _SEARCHED:
+        hit = hit | F.expr(c).ilike("%ring%")
+    level = P.confidence_level(F.col("confidence_score"), F.col("conflict_fields"))
+    found = v.products_v.filter((F.col("tenant_id") == "t1") & hit & F.col("category").ilike("%e%") & (F.col("status") == F.lower(F.lit("Verified"))) & (level == F.upper(F.lit("low"))))
+    return found.orderBy(F.desc("product_id")).offset(2).limit(20).select("product_id", "name")
 
 
 @query("SELECT tenant_id, count(*) AS n FROM products_v WHERE tenant_id = 't2' GROUP BY 1")
@@ -362,10 +376,24 @@ def agg07_requirement_coverage(v):
     return v.evidence_v.groupBy("product_id").agg(F.round(total / float(len(_REQUIRED)), 4).alias("coverage"))
 
 
-@query(f"WITH m AS ({_METRICS}) SELECT product_id, CASE WHEN n < 2 THEN 'INSUFFICIENT' WHEN mean_score >= 0.5 AND types >= 2 AND from_manufacturer THEN 'SUFFICIENT' WHEN mean_score >= 0.3 THEN 'PARTIAL' ELSE 'INSUFFICIENT' END AS decision FROM m")
+# Thresholds of the decision: identity, sources, mean score, coverage, share of conflicting fields.
+_ENOUGH = (0.1, 2, 0.45, 0.5, 0.5)
+_COVERED = "(" + " + ".join(f"CAST(bool_or(contains(lower(content), '{w}')) AS INT)" for w in _REQUIRED) + f") / CAST({len(_REQUIRED)} AS DOUBLE)"
+
+
+@query(f"WITH e AS (SELECT product_id, count(*) AS n, avg(score) AS mean_score, {_COVERED} AS coverage, bool_or(evidence_class = 'VERIFIED') AS verified FROM evidence_v GROUP BY 1), c AS (SELECT product_id, count(*) FILTER (WHERE status = 'CONFLICTING') / CAST(count(*) AS DOUBLE) AS conflicts FROM attributes_v GROUP BY 1) SELECT p.product_id, coalesce(n, 0) AS sources, CASE WHEN confidence_score < {_ENOUGH[0]} THEN 'IDENTITY_UNCERTAIN' WHEN n IS NULL THEN 'RESEARCH_REQUIRED' WHEN n < {_ENOUGH[1]} THEN 'INSUFFICIENT' WHEN mean_score < {_ENOUGH[2]} THEN 'INSUFFICIENT' WHEN coverage < {_ENOUGH[3]} THEN 'RESEARCH_REQUIRED' WHEN coalesce(conflicts, 0) > {_ENOUGH[4]} THEN 'CONFLICTING' WHEN NOT verified THEN 'PROVISIONAL' ELSE 'SUFFICIENT' END AS decision FROM products_v p LEFT JOIN e ON p.product_id = e.product_id LEFT JOIN c ON p.product_id = c.product_id")
 def agg08_sufficiency(v):
-    m = P.evidence_metrics(v.evidence_v, ["product_id"])
-    return m.select("product_id", F.when(F.col("n") < 2, "INSUFFICIENT").when((F.col("mean_score") >= 0.5) & (F.col("types") >= 2) & F.col("from_manufacturer"), "SUFFICIENT").when(F.col("mean_score") >= 0.3, "PARTIAL").otherwise("INSUFFICIENT").alias("decision"))
+    """Ordered rules on identity, number and mean score of sources, coverage, conflicts and verified sources, for every product."""
+    identity, least, mean, covered, conflicts = _ENOUGH
+    hits = sum((F.bool_or(F.lower("content").contains(w)).cast("int") for w in _REQUIRED), F.lit(0))
+    e = v.evidence_v.groupBy("product_id").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean_score"), (hits / float(len(_REQUIRED))).alias("coverage"), F.bool_or(F.col("evidence_class") == "VERIFIED").alias("verified"))
+    c = v.attributes_v.groupBy("product_id").agg((F.count_if(F.col("status") == "CONFLICTING") / F.count(F.lit(1))).alias("conflicts"))
+    both = v.products_v.select("product_id", "confidence_score").join(e.hint("merge"), "product_id", "left").join(c.hint("merge"), "product_id", "left")
+    decision = (
+        F.when(F.col("confidence_score") < identity, "IDENTITY_UNCERTAIN").when(F.col("n").isNull(), "RESEARCH_REQUIRED").when(F.col("n") < least, "INSUFFICIENT").when(F.col("mean_score") < mean, "INSUFFICIENT")
+        .when(F.col("coverage") < covered, "RESEARCH_REQUIRED").when(F.coalesce("conflicts", F.lit(0.0)) > conflicts, "CONFLICTING").when(~F.col("verified"), "PROVISIONAL").otherwise("SUFFICIENT")
+    )
+    return both.select("product_id", F.coalesce("n", F.lit(0)).alias("sources"), decision.alias("decision"))
 
 
 @query("SELECT product_id, count(*) AS total, count(value) AS populated, count(*) - count(value) AS missing, count(*) FILTER (WHERE status = 'CONFLICTING') AS conflicting, round(count(value) / CAST(count(*) AS DOUBLE), 4) AS completeness FROM attributes_v GROUP BY 1")
@@ -395,14 +423,19 @@ def agg12_composite(v):
     return p.select("product_id", F.round((F.col("c") + F.col("q") + F.col("a")) / 3, 2).alias("composite"))
 
 
-@query("SELECT media_id, round((0.35 * coalesce(o, 0) + 0.35 * coalesce(s, 0) + 0.2 * coalesce(f, 0)) / nullif(0.35 * CAST(o IS NOT NULL AS INT) + 0.35 * CAST(s IS NOT NULL AS INT) + 0.2 * CAST(f IS NOT NULL AS INT), 0), 2) AS score FROM (SELECT media_id, avg(end_s - start_s) FILTER (WHERE content = 'view') AS o, avg(end_s - start_s) FILTER (WHERE content = 'click') AS s, avg(end_s - start_s) FILTER (WHERE content = 'error') AS f FROM timeline_v GROUP BY 1)")
+_CONFIDENCE = "1 - (end_s - start_s) / 1000"
+
+
+@query(f"WITH m AS (SELECT media_id, avg({_CONFIDENCE}) FILTER (WHERE content = 'view') AS vision, avg({_CONFIDENCE}) FILTER (WHERE content = 'click') AS speech, avg({_CONFIDENCE}) FILTER (WHERE content = 'error') AS ocr, least(1.0, count(DISTINCT round(start_s, 1)) / greatest(1.0, (max(end_s) - min(start_s)) / 2)) AS coverage FROM timeline_v GROUP BY 1) SELECT media_id, round((0.35 * coalesce(vision, 0) + 0.35 * coalesce(speech, 0) + 0.2 * coalesce(ocr, 0) + 0.1 * coverage) / (0.35 * CAST(vision IS NOT NULL AS INT) + 0.35 * CAST(speech IS NOT NULL AS INT) + 0.2 * CAST(ocr IS NOT NULL AS INT) + 0.1), 2) AS score, round(coverage, 2) AS coverage FROM m", coverage="DOUBLE")
 def agg13_media_confidence(v):
-    span = F.col("end_s") - F.col("start_s")
-    m = v.timeline_v.groupBy("media_id").agg(*[F.avg(F.when(F.col("content") == c, span)).alias(n) for c, n in (("view", "o"), ("click", "s"), ("error", "f"))])
-    weights = {"o": 0.35, "s": 0.35, "f": 0.2}
-    top = sum((w * F.coalesce(c, F.lit(0.0)) for c, w in weights.items()), F.lit(0.0))
-    under = sum((w * F.col(c).isNotNull().cast("int") for c, w in weights.items()), F.lit(0.0))
-    return m.select("media_id", F.round(F.try_divide(top, under), 2).alias("score"))
+    """Means of the kinds of evidence that a medium has and the coverage of its time, with their weights made to add up to 1."""
+    confidence = F.lit(1) - (F.col("end_s") - F.col("start_s")) / 1000
+    kinds = {"vision": ("view", 0.35), "speech": ("click", 0.35), "ocr": ("error", 0.2)}
+    coverage = F.least(F.lit(1.0), F.countDistinct(F.round("start_s", 1)) / F.greatest(F.lit(1.0), (F.max("end_s") - F.min("start_s")) / 2))
+    m = v.timeline_v.groupBy("media_id").agg(*[F.avg(F.when(F.col("content") == c, confidence)).alias(n) for n, (c, _) in kinds.items()], coverage.alias("coverage"))
+    top = sum((w * F.coalesce(n, F.lit(0.0)) for n, (_, w) in kinds.items()), F.col("coverage") * 0.1)
+    under = sum((w * F.col(n).isNotNull().cast("int") for n, (_, w) in kinds.items()), F.lit(0.1))
+    return m.select("media_id", F.round(top / under, 2).alias("score"), F.round("coverage", 2).alias("coverage"))
 
 
 @query("SELECT product_id, 0 AS place, concat_ws(' ', brand, name) AS target FROM products_v WHERE missing_fields > 0 UNION ALL SELECT product_id, k, concat_ws(' ', brand, name, 'field ' || CAST(k AS VARCHAR)) FROM products_v, LATERAL (SELECT unnest(range(1, missing_fields + 1)) AS k) WHERE missing_fields > 0", place="INTEGER")
@@ -473,9 +506,12 @@ def agg40_validation_run(v):
     return P.validation_run(v.products_v)
 
 
-@query(f"WITH {_ISSUES} SELECT rule, severity, count(*) AS broken FROM issues GROUP BY 1, 2")
+@query(f"WITH {_ISSUES} SELECT product_id, count(*) AS issues, count(*) FILTER (WHERE severity = 'CRITICAL') AS critical, string_agg(rule || ' (' || severity || ')', '; ' ORDER BY severity, rule) AS report FROM issues GROUP BY 1")
 def agg41_validation_report(v):
-    return P.validation_issues(v.products_v).groupBy("rule", "severity").agg(F.count(F.lit(1)).alias("broken"))
+    """The report of each product with issues: at most one line a rule."""
+    per = P.validation_issues(v.products_v).groupBy("product_id").agg(F.count(F.lit(1)).alias("issues"), F.count_if(F.col("severity") == "CRITICAL").alias("critical"), F.array_sort(F.collect_list(F.struct("severity", "rule"))).alias("x"))
+    said = F.transform("x", lambda i: F.concat(i["rule"], F.lit(" ("), i["severity"], F.lit(")")))
+    return per.select("product_id", "issues", "critical", F.array_join(said, "; ").alias("report"))
 
 
 @query("SELECT sum(strlen(html)) AS bytes, round(100.0 * sum(strlen(html)) / 2147483648, 2) AS percent FROM pages", bytes="BIGINT", percent="DOUBLE")
@@ -502,21 +538,20 @@ def win04_eviction(v):
     return P.eviction(items, order="used_at", size="p_size", need=5000).select("p_partkey")
 
 
-_GAP = "WITH t AS (SELECT *, CASE WHEN start_s - max(start_s) OVER (PARTITION BY media_id, content ORDER BY start_s, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 120 THEN 0 ELSE 1 END AS new FROM timeline_v), i AS (SELECT *, sum(new) OVER (PARTITION BY media_id, content ORDER BY start_s, event_id ROWS UNBOUNDED PRECEDING) AS island FROM t)"
+_GAP = "WITH t AS (SELECT *, CASE WHEN start_s - lag(start_s) OVER (PARTITION BY media_id, content ORDER BY start_s, event_id) <= 0.1 THEN 0 ELSE 1 END AS new FROM timeline_v), i AS (SELECT *, sum(new) OVER (PARTITION BY media_id, content ORDER BY start_s, event_id ROWS UNBOUNDED PRECEDING) AS island FROM t)"
 
 
-@query(f"{_GAP} SELECT media_id, content, min(start_s) AS start_s, max(end_s) AS end_s, count(*) AS merged FROM i GROUP BY media_id, content, island")
+@query(f"{_GAP} SELECT media_id, content, min(start_s) AS start_s, max(end_s) AS end_s, count(*) AS merged, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) AS ids FROM i GROUP BY media_id, content, island")
 def win11_timeline_merge(v):
-    w = W.partitionBy("media_id", "content").orderBy("start_s", "event_id")
-    t = v.timeline_v.withColumn("new", F.when(F.col("start_s") - F.lag("start_s").over(w) <= 120, 0).otherwise(1)).withColumn("island", F.sum("new").over(w))
-    return t.groupBy("media_id", "content", "island").agg(F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"), F.count(F.lit(1)).alias("merged")).drop("island")
+    """Events of one kind within 0.1 s of the last kept one are merged into it, with the ids of all: a fold over a medium's events in order."""
+    return P.merged_events(v.timeline_v, ["media_id", "content"], 0.1).select("media_id", "content", "start_s", "end_s", "merged", F.array_join("ids", ",").alias("ids"))
 
 
-@query("SELECT media_id, bool_and(coalesce(ok, true)) AS ordered FROM (SELECT media_id, lag(start_s) OVER (PARTITION BY media_id ORDER BY event_id) <= start_s AS ok FROM timeline_v) GROUP BY 1")
+@query("SELECT media_id, CASE WHEN count(*) < 2 THEN 0.90 WHEN bool_and(coalesce(ok, true)) THEN 0.95 ELSE 0.80 END AS consistency FROM (SELECT media_id, lag(start_s) OVER (PARTITION BY media_id ORDER BY event_id) <= start_s AS ok FROM timeline_v) GROUP BY 1", consistency="DOUBLE")
 def win12_order_check(v):
     w = W.partitionBy("media_id").orderBy("event_id")
     t = v.timeline_v.select("media_id", F.coalesce(F.lag("start_s").over(w) <= F.col("start_s"), F.lit(True)).alias("ok"))
-    return t.groupBy("media_id").agg(F.bool_and("ok").alias("ordered"))
+    return t.groupBy("media_id").agg(F.when(F.count(F.lit(1)) < 2, 0.90).when(F.bool_and("ok"), 0.95).otherwise(0.80).alias("consistency"))
 
 
 @query("SELECT product_id, max(value) FILTER (WHERE rn = 1) AS value_1, max(value) FILTER (WHERE rn = 2) AS value_2, max(value) FILTER (WHERE rn = 3) AS value_3 FROM (SELECT product_id, value, row_number() OVER (PARTITION BY product_id ORDER BY attribute_id) AS rn FROM attributes_v WHERE value IS NOT NULL) WHERE rn <= 3 GROUP BY 1")

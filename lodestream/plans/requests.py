@@ -22,9 +22,12 @@ _COST = f"CASE WHEN status = 'success' THEN (input_tokens * coalesce(input_price
 _PRICED = "requests_v r LEFT JOIN models_v m ON r.platform = m.platform AND r.model_id = m.model_id"
 
 
-@query("SELECT id, platform, model_id, status, created_at FROM requests_v WHERE created_at >= $NOW - INTERVAL 7 DAY AND created_at <= $NOW AND status = 'error'")
+@query("WITH r AS (SELECT * FROM requests_v WHERE created_at >= $NOW - INTERVAL 7 DAY AND created_at <= $NOW AND status = 'error' AND platform = 'p1') SELECT id, model_id, created_at, (SELECT count(*) FROM r) AS total FROM r ORDER BY created_at DESC, id DESC LIMIT 25 OFFSET 5")
 def prj12_request_list(v):
-    return R.in_range(v.requests_v, now(), 7).filter("status = 'error'").select("id", "platform", "model_id", "status", "created_at")
+    """A page of the failed requests of a platform, newest first, with the number of all."""
+    r = R.in_range(v.requests_v, now(), 7).filter("status = 'error' AND platform = 'p1'")
+    page = r.orderBy(F.desc("created_at"), F.desc("id")).offset(5).limit(25)
+    return page.crossJoin(F.broadcast(r.agg(F.count(F.lit(1)).alias("total")))).select("id", "model_id", "created_at", "total")  # one row
 
 
 @query("SELECT count(*) AS n, min(id) AS first_id FROM requests_v WHERE created_at >= $NOW - INTERVAL 1 DAY AND created_at <= $NOW")
@@ -102,11 +105,13 @@ def win02_latest_observation(v):
     return obs.groupBy("platform", "key_id", F.col("request_type").alias("pool")).agg(F.max(F.struct("created_at", "id", "input_tokens")).alias("x")).select("platform", "key_id", "pool", F.col("x.created_at").alias("observed_at"), F.col("x.input_tokens").alias("used"))
 
 
-@query(f"WITH {_OBS}, latest AS (SELECT platform, key_id, pool, max_by(used, observed_at) AS used FROM obs GROUP BY 1, 2, 3), state AS (SELECT DISTINCT platform, key_id FROM requests_v WHERE key_id IS NOT NULL) SELECT s.platform, s.key_id, l.used FROM state s LEFT JOIN latest l ON s.platform = l.platform AND s.key_id = l.key_id AND l.pool = 'chat'")
+@query("WITH obs AS (SELECT platform, model_id, key_id, request_type AS pool, created_at, id, input_tokens FROM requests_v WHERE key_id IS NOT NULL), latest AS (SELECT platform, model_id, key_id, pool, max_by(input_tokens, (created_at, id)) AS used, max(created_at) AS observed_at FROM obs WHERE input_tokens > 20 GROUP BY 1, 2, 3, 4), state AS (SELECT DISTINCT platform, model_id, key_id, pool FROM obs) SELECT s.platform, s.model_id, s.key_id, s.pool, l.used, l.observed_at FROM state s LEFT JOIN latest l ON s.platform = l.platform AND s.model_id = l.model_id AND s.key_id = l.key_id AND s.pool = l.pool")
 def jon13_quota_state(v):
-    obs = v.requests_v.filter("key_id IS NOT NULL")
-    latest = obs.filter("request_type = 'chat'").groupBy("platform", "key_id").agg(F.max_by("input_tokens", "created_at").alias("used"))
-    return obs.select("platform", "key_id").distinct().join(latest.hint("merge"), ["platform", "key_id"], "left").select("platform", "key_id", "used")
+    """Every quota state with the newest observation (of requests over 20 tokens) of its four keys, if there is one."""
+    four = ["platform", "model_id", "key_id", "pool"]
+    obs = v.requests_v.filter("key_id IS NOT NULL").withColumnRenamed("request_type", "pool")
+    latest = obs.filter("input_tokens > 20").groupBy(*four).agg(F.max(F.struct("created_at", "id", "input_tokens")).alias("x"))
+    return obs.select(*four).distinct().join(latest.hint("merge"), four, "left").select(*four, F.col("x.input_tokens").alias("used"), F.col("x.created_at").alias("observed_at"))
 
 
 @query("SELECT id, input_tokens % 4 AS attempts FROM requests_v WHERE status = 'error'")
@@ -305,10 +310,15 @@ def win03_retention(v):
     return boundary.filter("whole").select("id").unionByName(ranked.filter(F.col("rn") <= keep - (F.col("upto") - F.col("n"))).select("id"))
 
 
-@query("SELECT platform, model_id, id, rn FROM (SELECT *, row_number() OVER (PARTITION BY platform, model_id ORDER BY created_at DESC, id DESC) AS rn FROM requests_v WHERE status = 'error' AND created_at >= $NOW - INTERVAL 2 DAY) WHERE rn <= 5")
+@query("WITH e AS (SELECT * FROM requests_v WHERE status = 'error' AND created_at >= $NOW - INTERVAL 2 DAY - INTERVAL 30 MINUTE), n AS (SELECT *, row_number() OVER (ORDER BY created_at DESC, id DESC) AS place FROM e), r AS (SELECT *, row_number() OVER (PARTITION BY platform, model_id ORDER BY created_at DESC, id DESC) AS rn FROM n WHERE place <= 250), c AS (SELECT platform, model_id, count(*) AS errors FROM e GROUP BY 1, 2) SELECT r.platform, r.model_id, r.id, r.rn, c.errors FROM r JOIN c ON r.platform = c.platform AND r.model_id = c.model_id WHERE rn <= 5")
 def win05_newest_errors(v):
+    """Up to five newest errors of a model among the 250 newest of all, and the model's full count."""
+    e = v.requests_v.filter((F.col("status") == "error") & (F.col("created_at") >= now() - F.expr("INTERVAL 2 DAYS") - F.expr("INTERVAL 30 MINUTES")))
+    newest = e.orderBy(F.desc("created_at"), F.desc("id")).limit(250)
     w = W.partitionBy("platform", "model_id").orderBy(F.desc("created_at"), F.desc("id"))
-    return v.requests_v.filter((F.col("status") == "error") & (F.col("created_at") >= now() - F.expr("INTERVAL 2 DAYS"))).withColumn("rn", F.row_number().over(w)).filter("rn <= 5").select("platform", "model_id", "id", F.col("rn").cast("long").alias("rn"))
+    counts = e.groupBy("platform", "model_id").agg(F.count(F.lit(1)).alias("errors"))
+    few = newest.withColumn("rn", F.row_number().over(w).cast("long")).filter("rn <= 5")  # of 250 rows
+    return few.join(counts.hint("merge"), ["platform", "model_id"]).select("platform", "model_id", "id", "rn", "errors")
 
 
 @query("SELECT model_id, min_by(id, priority * 1000 + id) AS id FROM models_v GROUP BY 1")
@@ -322,10 +332,12 @@ def win07_representative(v):
     return rows.groupBy("group_key").agg(F.min_by(F.struct("id", "display_name"), F.struct("intelligence_rank", F.length("display_name"), "id")).alias("x")).select("group_key", "x.id", "x.display_name")
 
 
-@query("WITH s AS (SELECT id, regexp_replace(lower(display_name), '[^a-z0-9]+', '-', 'g') AS slug FROM models_v) SELECT id, CASE WHEN rn > 1 THEN slug || '-' || CAST(rn AS VARCHAR) ELSE slug END AS slug FROM (SELECT id, slug, row_number() OVER (PARTITION BY slug ORDER BY id) AS rn FROM s)")
+@query(f"WITH g AS (SELECT DISTINCT {_GROUP} AS group_key FROM models_v), s AS (SELECT group_key, coalesce(nullif(trim(regexp_replace(group_key, '[^a-z0-9]+', '-', 'g'), '-'), ''), 'model') AS slug FROM g) SELECT group_key, CASE WHEN rn > 1 THEN slug || '-' || CAST(rn AS VARCHAR) ELSE slug END AS slug FROM (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY group_key) AS rn FROM s)")
 def win08_slugs(v):
-    rows = v.models_v.select("id", F.regexp_replace(F.lower("display_name"), "[^a-z0-9]+", "-").alias("slug")).withColumn("rn", F.row_number().over(W.partitionBy("slug").orderBy("id")))
-    return rows.select("id", F.when(F.col("rn") > 1, F.concat_ws("-", "slug", F.col("rn").cast("string"))).otherwise(F.col("slug")).alias("slug"))
+    """A slug for each group of models, with a number where groups collide, in the order of their keys."""
+    groups = v.models_v.select(X.group_key(F.col("display_name")).alias("group_key")).distinct()
+    rows = groups.withColumn("slug", X.slug(F.col("group_key"))).withColumn("rn", F.row_number().over(W.partitionBy("slug").orderBy("group_key")))
+    return rows.select("group_key", F.when(F.col("rn") > 1, F.concat_ws("-", "slug", F.col("rn").cast("string"))).otherwise(F.col("slug")).alias("slug"))
 
 
 @query("SELECT id, CASE WHEN hi = lo THEN 1.0 ELSE round((intelligence_rank - lo) / (hi - lo), 6) END AS scaled FROM (SELECT id, intelligence_rank, min(intelligence_rank) OVER () AS lo, max(intelligence_rank) OVER () AS hi FROM models_v)")
@@ -443,16 +455,27 @@ def fun16_intelligence(v):
     return v.models_v.select("id", F.round(S.intelligence(F.col("size_label"), F.col("intelligence_rank")), 6).alias("intelligence"))
 
 
-@query("SELECT id, round(CASE WHEN remaining >= 0.2 THEN 1.0 ELSE 0.1 + 0.9 * greatest(remaining, 0.0) / 0.2 END, 6) AS headroom FROM (SELECT id, priority / 7.0 AS remaining FROM models_v)")
+@query("WITH u AS (SELECT platform, model_id, sum(input_tokens + output_tokens) AS used, count(*) FILTER (WHERE error ILIKE '%429%') AS limited FROM requests_v GROUP BY 1, 2), b AS (SELECT *, greatest(0.0, 1 - used / 20000.0) AS remaining FROM u) SELECT platform, model_id, round(CASE WHEN remaining >= 0.2 THEN 1.0 ELSE 0.1 + 0.9 * remaining / 0.2 END, 6) AS headroom, round(1 - least(limited, 10) / 10.0 * 0.95, 6) AS rate_limit FROM b", headroom="DOUBLE", rate_limit="DOUBLE")
 def fun17_headroom(v):
-    return v.models_v.select("id", F.round(S.headroom(F.col("priority") / 7.0), 6).alias("headroom"))
+    """What is left of a budget of 20,000 tokens, and the damping by rate limits met, as factors of a model's score."""
+    u = v.requests_v.groupBy("platform", "model_id").agg(F.sum(F.col("input_tokens") + F.col("output_tokens")).alias("used"), F.count_if(F.col("error").ilike("%429%")).alias("limited"))
+    remaining = F.greatest(F.lit(0.0), F.lit(1) - F.col("used") / 20000.0)
+    return u.select("platform", "model_id", F.round(S.headroom(remaining), 6).alias("headroom"), F.round(S.rate_limit_factor(F.col("limited")), 6).alias("rate_limit"))
+
+
+_PRESET_ROWS = ", ".join(f"('{n}', {r}, {s}, {i})" for n, (r, s, i) in S.PRESETS.items())
 
 
-@query(f"WITH {_DECAY} SELECT m.id, round((0.5 * (good + 1) / (good + bad + 2) + 0.25 * 0.6 + 0.25 * intelligence_rank / 50.0) * 1.0, 6) AS score FROM models_v m JOIN decayed d ON m.platform = d.platform AND m.model_id = d.model_id")
+@query(f"WITH {_DECAY}, t AS (SELECT platform, model_id, round(avg({_SPEED}), 6) AS speed FROM requests_v WHERE status = 'success' GROUP BY 1, 2), c AS (SELECT m.id, CASE WHEN max(intelligence_rank) OVER () = min(intelligence_rank) OVER () THEN 1.0 ELSE (intelligence_rank - min(intelligence_rank) OVER ()) / CAST(max(intelligence_rank) OVER () - min(intelligence_rank) OVER () AS DOUBLE) END AS smart, (good + 1) / (good + bad + 2) AS rel, coalesce(t.speed, 0.6) AS speed FROM models_v m JOIN decayed d ON m.platform = d.platform AND m.model_id = d.model_id LEFT JOIN t ON m.platform = t.platform AND m.model_id = t.model_id) SELECT id, preset, round(r * rel + s * speed + i * smart, 6) AS score FROM c, (VALUES {_PRESET_ROWS}) p(preset, r, s, i)", score="DOUBLE")
 def fun18_model_score(v):
-    stats = R.decayed_stats(v.requests_v, now())
-    both = v.models_v.join(R.catalog(stats), ["platform", "model_id"])
-    return both.select("id", F.round(S.mixed("balanced", S.reliability(F.col("good"), F.col("bad")), F.lit(S.SPEED_PRIOR), F.col("intelligence_rank") / 50.0, F.lit(1.0)), 6).alias("score"))
+    """Measured reliability and speed, and intelligence scaled over the candidates, mixed by each preset."""
+    speed = v.requests_v.filter("status = 'success'").groupBy("platform", "model_id").agg(F.round(F.avg(_speed()), 6).alias("speed"))
+    both = v.models_v.join(R.decayed_stats(v.requests_v, now()).hint("merge"), ["platform", "model_id"]).join(speed.hint("merge"), ["platform", "model_id"], "left")
+    ends = both.agg(F.min("intelligence_rank").alias("lo"), F.max("intelligence_rank").alias("hi"))
+    c = both.crossJoin(F.broadcast(ends))  # one row
+    smart = F.when(F.col("hi") == F.col("lo"), 1.0).otherwise((F.col("intelligence_rank") - F.col("lo")) / (F.col("hi") - F.col("lo")))
+    scores = [F.struct(F.lit(n).alias("preset"), F.round(S.mixed(n, S.reliability(F.col("good"), F.col("bad")), F.coalesce("speed", F.lit(S.SPEED_PRIOR)), smart, F.lit(1.0)), 6).alias("score")) for n in S.PRESETS]
+    return c.select("id", F.inline(F.array(*scores)))
 
 
 @query("SELECT id, CAST(ceil(strlen(model_id) / 4.0) AS BIGINT) + input_tokens AS tokens, CASE WHEN input_tokens + 3 * input_tokens > 300 THEN 'reject' WHEN output_tokens > 150 THEN 'cap' ELSE 'ok' END AS verdict FROM requests_v")
@@ -485,10 +508,19 @@ def fun33_learned_limit(v):
     return v.requests_v.filter(F.col("error").rlike("limit [0-9]+ TPM")).groupBy("model_id").agg(F.min(F.regexp_extract("error", "limit ([0-9]+)", 1).cast("long")).alias("learned"))
 
 
-@query("SELECT id, error ILIKE '%429%' OR error ILIKE '%rate limit%' AS rate_limit, regexp_matches(lower(error), 'timeout|etimedout|aborted') AS timeout, error ILIKE '%unauthorized%' AS key_auth, error ILIKE '%not found%' AS not_found, error ILIKE '%forbidden%' AS forbidden FROM requests_v WHERE error IS NOT NULL")
+_FLAGS = {
+    "rate_limit": r"429|rate limit|too many requests|quota|resource_exhausted", "timeout": "timeout|stalled|etimedout|aborted",
+    "key_auth": "api key not valid|api key expired|api_key_invalid|401|unauthorized|invalid api key|invalid_api_key|incorrect api key|authentication failed",
+    "context_too_large": r"context_length_exceeded|maximum context length|context length exceeded|exceeds[^.]*context (length|window|size)|prompt is too long|input is too long|input token count[^.]*exceeds|exceeds the maximum number of tokens|(request|payload|request entity|request body|content) too large|api error 413",
+    "payment": "402|payment required|insufficient_quota|insufficient credit|insufficient balance", "model_not_found": "404|410|not found", "forbidden": "403|forbidden",
+}
+_DAILY = (r"daily|per[ _-]?day|\btoday\b", "allocation|quota|limit|exhaust|used up")
+
+
+@query("SELECT id, " + ", ".join(f"regexp_matches(lower(error), '{p}') AS {n}" for n, p in _FLAGS.items()) + f", regexp_matches(lower(error), '{_DAILY[0]}') AND regexp_matches(lower(error), '{_DAILY[1]}') AS daily_quota FROM requests_v WHERE error IS NOT NULL")
 def fun34_error_flags(v):
-    e = F.col("error")
-    return v.requests_v.filter("error IS NOT NULL").select("id", (e.ilike("%429%") | e.ilike("%rate limit%")).alias("rate_limit"), F.lower(e).rlike("timeout|etimedout|aborted").alias("timeout"), e.ilike("%unauthorized%").alias("key_auth"), e.ilike("%not found%").alias("not_found"), e.ilike("%forbidden%").alias("forbidden"))
+    low = F.lower("error")
+    return v.requests_v.filter("error IS NOT NULL").select("id", *[low.rlike(p).alias(n) for n, p in _FLAGS.items()], (low.rlike(_DAILY[0]) & low.rlike(_DAILY[1])).alias("daily_quota"))
 
 
 @query("SELECT m.id, intelligence_rank * coalesce(f.factor, 1.0) AS score FROM models_v m LEFT JOIN (SELECT id, 0.5 AS factor FROM models_v WHERE id % 9 = 0) f ON m.id = f.id", score="DOUBLE")
