@@ -151,12 +151,12 @@ def agg17_summary(v):
     return totals.crossJoin(F.broadcast(win01_percentiles_overall(v))).crossJoin(F.broadcast(agg24_savings(v)))
 
 
-@query(f"SELECT r.platform, r.model_id, any_value(m.display_name) AS display_name, count(*) AS requests, {_RATE} AS success_rate, round(avg(latency_ms), 4) AS latency, round(avg(ttfb_ms), 4) AS ttfb, sum(input_tokens) AS input_tokens, sum(output_tokens) AS output_tokens, count(*) FILTER (WHERE requested_model = r.model_id) AS honoured, round(sum({_COST}), 6) AS cost FROM {_PRICED} GROUP BY 1, 2", input_tokens="BIGINT", output_tokens="BIGINT")
+@query(f"SELECT r.platform, r.model_id, any_value(m.display_name) AS display_name, count(*) AS requests, {_RATE} AS success_rate, round(avg(latency_ms), 6) AS latency, round(avg(ttfb_ms), 6) AS ttfb, sum(input_tokens) AS input_tokens, sum(output_tokens) AS output_tokens, count(*) FILTER (WHERE requested_model = r.model_id) AS honoured, round((sum(CASE WHEN status = 'success' THEN input_tokens ELSE 0 END) * coalesce(any_value(input_price), {R.INPUT_PRICE}) + sum(CASE WHEN status = 'success' THEN output_tokens ELSE 0 END) * coalesce(any_value(output_price), {R.OUTPUT_PRICE})) / 1e6, 6) AS cost FROM {_PRICED} GROUP BY 1, 2", input_tokens="BIGINT", output_tokens="BIGINT")
 def agg18_by_model(v):
     # one price per model: aggregate before the join, so that the log is shuffled once, by partial sums
     cost = lambda unit: F.sum(F.when(F.col("status") == "success", F.col(unit)).otherwise(0))
     per = v.requests_v.groupBy("platform", "model_id").agg(
-        F.count(F.lit(1)).alias("requests"), R.success_rate().alias("success_rate"), F.round(F.avg("latency_ms"), 4).alias("latency"), F.round(F.avg("ttfb_ms"), 4).alias("ttfb"), F.sum("input_tokens").alias("input_tokens"),
+        F.count(F.lit(1)).alias("requests"), R.success_rate().alias("success_rate"), F.round(F.avg("latency_ms"), 6).alias("latency"), F.round(F.avg("ttfb_ms"), 6).alias("ttfb"), F.sum("input_tokens").alias("input_tokens"),
         F.sum("output_tokens").alias("output_tokens"), F.count_if(F.col("requested_model") == F.col("model_id")).alias("honoured"), cost("input_tokens").alias("i"), cost("output_tokens").alias("o"),
     )
     priced = per.join(v.models_v.select("platform", "model_id", "display_name", "input_price", "output_price").hint("merge"), ["platform", "model_id"], "left")
