@@ -86,15 +86,18 @@ def _commerce(v):
     named = said.filter(F.col("key").isin(*_NAMED.values())).groupBy("product_id").agg(*first)
     p = v.products_v.withColumn("clean_name", X.clean(F.col("name"))).withColumn("clean_brand", X.clean(F.col("brand")))
     wide = p.join(listed.hint("merge"), "product_id", "left").join(named.hint("merge"), "product_id", "left")
-    at = lambda i, f: F.get("a", i - 1)[f]
     known = {c: F.expr(e) for c, e in _IDENTITY.items()}
-    for i in range(1, 51):
-        known |= {f"ATTRIBUTE_{c} {i}": at(i, f) for c, f in (("LABEL", "key"), ("VALUE", "shown"), ("UOM", "uom"))}
-    known |= {f"ITEM_FEATURES_{i}": F.concat(at(i, "key"), F.lit(": "), F.concat_ws(" ", at(i, "shown"), F.nullif(at(i, "uom"), F.lit("")))) for i in range(1, 21)}
     for i, c in enumerate(_NAMED):
         known[c] = F.col(f"of_{i}")["shown"]
         known |= {f"{c}_UOM": F.col(f"of_{i}")["uom"]} if f"{c}_UOM" in S.COMMERCE_COLUMNS else {}
-    return wide.select(*[F.coalesce(known.get(c, F.lit("")), F.lit("")).alias(c) for c in S.COMMERCE_COLUMNS])
+    # the sheet's row as one array, in which features and triplets are an expression each
+    place = S.COMMERCE_COLUMNS.index
+    fixed = lambda low, high: F.array(*[known.get(c, F.lit("")) for c in S.COMMERCE_COLUMNS[low:high]])
+    feature = F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: F.concat(F.get("a", i)["key"], F.lit(": "), F.concat_ws(" ", F.get("a", i)["shown"], F.nullif(F.get("a", i)["uom"], F.lit("")))))
+    triplets = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(49)), lambda i: F.array(F.get("a", i)["key"], F.get("a", i)["shown"], F.get("a", i)["uom"])))
+    features, labels, rest = place("ITEM_FEATURES_1"), place("ATTRIBUTE_LABEL 1"), place("ATTRIBUTE_UOM 50") + 1
+    row = F.concat(fixed(0, features), feature, fixed(features + 20, labels), triplets, fixed(rest, len(S.COMMERCE_COLUMNS)))
+    return wide.select(row.alias("row")).select(*[F.coalesce(F.get("row", i), F.lit("")).alias(c) for i, c in enumerate(S.COMMERCE_COLUMNS)])
 
 
 @query(_commerce_sql())
