@@ -20,16 +20,23 @@ ERROR_CATEGORIES = (
 
 # Client labels by pattern over the lower-cased user agent, in order.
 CLIENT_AGENTS = (
+    ("claude-code", r"claude[- ]?code|\bclaude-cli\b"),
     ("codex", r"\bcodex\b"),
+    ("qwen-code", r"qwen[- ]?code|\bqwen-cli\b"),
+    ("gemini-cli", r"gemini[- /]?cli"),
+    ("kilo-code", r"kilo[- ]?code|\bkilocode\b"),
+    ("crush", r"\bcrush(?:/|\s|$)"),
     ("opencode", "opencode"),
     ("cline", r"\bcline\b"),
-    ("continue", r"continue(\.dev)?"),
+    ("roo", r"\broo[- /]|roo code"),
+    ("continue", r"continue(?:\.dev)?"),
     ("aider", r"\baider\b"),
     ("goose", r"\bgoose\b"),
     ("cursor", r"\bcursor\b"),
     ("zed", r"\bzed\b"),
     ("jetbrains", "jetbrains|intellij|pycharm|webstorm"),
     ("ollama-client", r"\bollama\b"),
+    ("anthropic-sdk", "anthropic|claude-sdk"),
     ("openai-sdk", "openai|langchain|litellm"),
 )
 

@@ -27,7 +27,7 @@ VIEWS: dict[str, tuple[str, list[str], str | None]] = {
         "CASE WHEN event_type = 'view' THEN 'embedding' ELSE 'chat' END AS request_type",
         f"CASE {K} % 4 WHEN 0 THEN 'm' || CAST(user_id % 12 AS STRING) WHEN 1 THEN 'm0' END AS requested_model",
         f"CASE WHEN event_type = 'error' THEN CASE {K} % 8 WHEN 0 THEN 'HTTP 429: rate limit reached, limit 6000 TPM' WHEN 1 THEN '401 Unauthorized' WHEN 2 THEN 'status 403 forbidden for https://host.example/v1?x=1' WHEN 3 THEN '404 model not found' WHEN 4 THEN 'ETIMEDOUT after 30 s' WHEN 5 THEN '500 internal server error' WHEN 6 THEN 'service unavailable' ELSE 'strange answer, token=abcdef123456' END END AS error",
-        f"CASE {K} % 6 WHEN 0 THEN 'openai-python/1.2' WHEN 1 THEN 'aider/0.5' WHEN 2 THEN 'Cursor/0.4' WHEN 3 THEN 'langchain' WHEN 4 THEN 'Zed/1.0' END AS user_agent",
+        f"CASE {K} % 6 WHEN 0 THEN 'openai-python/1.2' WHEN 1 THEN 'aider/0.5' WHEN 2 THEN 'Cursor/0.4' WHEN 3 THEN 'langchain' WHEN 4 THEN CASE user_id % 4 WHEN 0 THEN 'Zed/1.0' WHEN 1 THEN 'crush/0.2' WHEN 2 THEN 'Roo Code 3' ELSE 'Kilo-Code' END END AS user_agent",
     ], None),
     "models_v": ("part", [
         "p_partkey AS id", "'p' || CAST(p_partkey % 5 AS STRING) AS platform", "'m' || CAST(CAST(floor(p_partkey / 5) AS BIGINT) AS STRING) AS model_id", "p_name || ' (free)' AS display_name",
