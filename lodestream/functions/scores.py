@@ -50,3 +50,9 @@ def rate_limit_factor(penalty: Column) -> Column:
 def mixed(preset: str, reliability_: Column, speed_: Column, intelligence_: Column, head: Column) -> Column:
     r, s, i = PRESETS[preset]
     return (r * reliability_ + s * speed_ + i * intelligence_) * head
+
+
+def budget_tokens(label: Column) -> Column:
+    """Tokens of a budget label such as ``~5-10M`` or ``20K``: the upper end; 0 for other labels."""
+    n = F.regexp_extract(label, "([0-9]+)[MK]", 1).try_cast("long")
+    return F.coalesce(n * F.when(label.endswith("M"), 1_000_000).otherwise(1000), F.lit(0))

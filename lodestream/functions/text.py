@@ -122,3 +122,31 @@ def unit(raw: Column) -> Column:
     """The canonical unit."""
     known = F.create_map(*[F.lit(x) for pair in UNITS.items() for x in pair])
     return F.coalesce(F.try_element_at(known, F.lower(F.trim(raw))), F.trim(raw))
+
+
+def canonical_json(fields: dict[str, Column]) -> Column:
+    """JSON of the fields as strings, keys in order, those without a value left out."""
+    entries = F.array(*[F.struct(F.lit(k).alias("key"), fields[k].cast("string").alias("value")) for k in sorted(fields)])
+    return F.to_json(F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull())))
+
+
+def inline_payload(payload: Column, *, cap: int = 8192, preview: int = 200) -> Column:
+    """A payload of more than ``cap`` bytes as a struct with its size and the first ``preview`` characters; others as they are."""
+    size = F.octet_length(payload)
+    cut = F.struct(
+        F.lit(True).alias("truncated"), size.alias("original_size"), F.concat(F.substring(payload, 1, preview), F.lit("... [TRUNCATED]")).alias("preview"), F.lit("Payload exceeded maximum inline size.").alias("message")
+    )
+    return F.when(size > cap, F.to_json(cut)).otherwise(payload)
+
+
+# What names the axis of a limit.
+LIMIT_AXES = {"tpm": "tpm|tokens per minute", "tpd": "tpd|tokens per day", "rpm": "rpm|requests per minute", "rpd": "rpd|requests per day"}
+
+
+def limit_axis(error: Column) -> Column:
+    return F.coalesce(*[F.when(error.rlike(f"(?i){p}"), axis) for axis, p in LIMIT_AXES.items()])
+
+
+def limit_number(error: Column) -> Column:
+    """The number that follows the word limit; null without one."""
+    return F.replace(F.regexp_extract(error, r"(?i)\blimit[:\s]+([0-9,]+)", 1), F.lit(","), F.lit("")).try_cast("long")

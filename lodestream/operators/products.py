@@ -144,3 +144,12 @@ def eviction(items: DataFrame, *, order: str, size: str, need: float, parts: int
     sums = sums.select("_b", (F.sum("_s").over(W.orderBy("_b")) - F.col("_s")).alias("_before"))  # at most ``parts`` + 1 rows
     inside = F.sum(size).over(W.partitionBy("_b").orderBy(order).rowsBetween(W.unboundedPreceding, 0))
     return cut.join(F.broadcast(sums), "_b").withColumn("_upto", F.col("_before") + inside).filter(F.col("_upto") - F.col(size) < need).drop("_b", "_before", "_upto")
+
+
+def document_kind(pages: DataFrame, key: str) -> DataFrame:
+    """(key, pages, kind) from a row a page (chars, images, grid), by how many pages are scanned, hold a table or hold images."""
+    scanned = (F.col("chars") == 0) | ((F.col("chars") < 20) & (F.col("images") >= 1))
+    d = pages.groupBy(key).agg(F.count(F.lit(1)).alias("pages"), F.count_if(scanned).alias("scanned"), F.count_if(F.col("images") >= 2).alias("heavy"), F.count_if("grid").alias("tables"))
+    half = F.greatest(F.lit(1), F.floor(F.col("pages") / 2))
+    kind = F.when(F.col("scanned") == F.col("pages"), "SCANNED").when(F.col("scanned") > 0, "MIXED").when(F.col("tables") >= half, "TECHNICAL_DOCUMENT").when(F.col("heavy") >= half, "IMAGE_HEAVY").otherwise("TEXT")
+    return d.select(key, "pages", kind.alias("kind"))

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..functions import text as X
+from ..session import materialise
+
 #: Models, keys and platforms are catalogs; up to so many rows of one are broadcast, larger ones are joined by a shuffle.
 CATALOG_ROWS = 100_000
 
@@ -140,9 +143,51 @@ def sliding_usage(requests: DataFrame, keys: list[str]) -> DataFrame:
     return out.drop("_us", "_tokens")
 
 
-def bench_time(failures: DataFrame, keys: list[str]) -> DataFrame:
-    """The nth failure within 24 hours benches for 2 minutes, 10 minutes, 1 hour, then 24 hours."""
+def bench_time(failures: DataFrame, keys: list[str], *, known: Column | None = None) -> DataFrame:
+    """The nth failure within 24 hours benches for 2 minutes, 10 minutes, 1 hour, then 24 hours.
+
+    hour_hits counts those within an hour. Where the limits aren't ``known``, a failure benches (0 seconds if not) only as the second within an hour or later.
+    """
     us = F.unix_micros(F.col("created_at").cast("timestamp"))
-    hits = F.count(F.lit(1)).over(W.partitionBy(*keys).orderBy("_us").rangeBetween(-86_399_999_999, 0))
-    steps = F.array(*map(F.lit, (120, 600, 3600, 86400)))
-    return failures.withColumn("_us", us).withColumn("hits", hits).withColumn("bench_s", F.element_at(steps, F.least("hits", F.lit(4)).cast("int"))).drop("_us")
+    within = lambda span: F.count(F.lit(1)).over(W.partitionBy(*keys).orderBy("_us").rangeBetween(-(span - 1), 0))
+    step = F.element_at(F.array(*map(F.lit, (120, 600, 3600, 86400))), F.least("hits", F.lit(4)).cast("int"))
+    out = failures.withColumn("_us", us).withColumn("hits", within(86_400_000_000)).withColumn("hour_hits", within(3_600_000_000))
+    if known is not None:
+        step = F.when(~known & (F.col("hour_hits") < 2), 0).otherwise(step)
+    return out.withColumn("bench_s", step).drop("_us")
+
+
+def cooldowns(failures: DataFrame, at: Column) -> DataFrame:
+    """(platform, model_id, key_id, expires): keys that failures bench beyond ``at``."""
+    keys = ["platform", "model_id", "key_id"]
+    benched = bench_time(failures.filter("key_id IS NOT NULL"), keys)
+    ends = benched.groupBy(*keys).agg(F.max(F.expr("created_at + make_interval(0, 0, 0, 0, 0, 0, bench_s)")).alias("expires"))
+    return ends.filter(F.col("expires") > at)
+
+
+def model_groups(models: DataFrame, splits: DataFrame, merges: dict[str, str]) -> DataFrame:
+    """``models`` with group_key and chosen (an operator's choice made it): a split (id, into_key) gives a model a key of its own or a named one, else ``merges`` maps normalised names."""
+    base = X.group_key(F.col("display_name"))
+    merged = F.coalesce(*[F.when(base == k, into) for k, into in merges.items()], F.lit(None).cast("string"))
+    rows = models.join(splits.withColumn("_split", F.lit(True)).hint("merge"), "id", "left")
+    own = F.coalesce("into_key", F.concat(F.lit("__split__:"), F.col("id").cast("string")))
+    return rows.select(*models.columns, F.when(F.col("_split"), own).otherwise(F.coalesce(merged, base)).alias("group_key"), (F.col("_split").isNotNull() | merged.isNotNull()).alias("chosen"))
+
+
+def penalty_decay(events: DataFrame, *, most: float = 10.0, decay_ms: int = 120_000, failure: float = 3.0, success: float = 1.0) -> DataFrame:
+    """(model, penalty, at_ms) after all of a model's events (model, ms, event_id, bad) in order.
+
+    An event after k decays is p -> min(hi, max(lo, p + d)), and such functions compose to one of their kind. So each range of
+    events is folded into one function by itself, and only a row a range and model meets in the end: a hot model isn't one task's.
+    """
+    ranged = materialise(events.repartitionByRange("model", "ms", "event_id").withColumn("_range", F.spark_partition_id()), "penalty-ranges")
+    listed = ranged.groupBy("model", "_range").agg(F.array_sort(F.collect_list(F.struct("ms", "event_id", "bad"))).alias("x"))
+    lo, d = f"IF(e.bad, {failure}D, 0D)", f"IF(e.bad, {failure}D, -{success}D)"
+    k = f"IF(a.last IS NULL, 0L, floor((e.ms - a.last) / {decay_ms}))"
+    clamp = lambda c: f"least({most}D, greatest({lo}, a.{c} + {d} - {k}))"
+    fold = F.expr(f"aggregate(x, named_struct('d', 0D, 'lo', -1e18D, 'hi', 1e18D, 'last', CAST(NULL AS BIGINT)), (a, e) -> named_struct('d', a.d + {d} - {k}, 'lo', {clamp('lo')}, 'hi', {clamp('hi')}, 'last', e.ms))")
+    parts = listed.select("model", "_range", F.col("x")[0]["ms"].alias("first"), fold.alias("f"))
+    whole = parts.groupBy("model").agg(F.array_sort(F.collect_list(F.struct("_range", "first", "f"))).alias("y"))  # a row a range
+    rested = f"IF(a.last IS NULL, a.p, greatest(0D, a.p - floor((e.first - a.last) / {decay_ms})))"
+    end = F.expr(f"aggregate(y, named_struct('p', 0D, 'last', CAST(NULL AS BIGINT)), (a, e) -> named_struct('p', least(e.f.hi, greatest(e.f.lo, {rested} + e.f.d)), 'last', e.f.last))")
+    return whole.select("model", end.alias("s")).select("model", F.col("s.p").alias("penalty"), F.col("s.last").alias("at_ms"))

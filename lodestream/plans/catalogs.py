@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from ..functions import text as X
-from ..operators import products as P
+from ..operators import products as P, requests as Q
 from ..operators.texts import search
 from ..session import scratch_path
 from ..sources import files as S
 from .products import _NUMBER, _UNIT, _clean
 from .registry import query
+from .requests import _COOL, _KEYS, keys, now
 
 
 @query("SELECT 'SKU-' || CAST(CASE WHEN p_partkey % 10 = 3 THEN p_partkey - 3 ELSE p_partkey END AS VARCHAR) AS sku, p_name AS name, p_brand AS brand, CAST(p_size AS VARCHAR) AS housing_size FROM part")
@@ -27,10 +28,15 @@ def src03_taxonomy_scan(v):
     return S.flatten_taxonomy(nested).select("industry", "category", F.array_join("types", ",").alias("types"))
 
 
-@query("SELECT p_partkey AS id, a.key, a.unit FROM part, LATERAL (VALUES ('length', 'mm'), ('weight', 'kg')) a(key, unit) WHERE p_size % 2 = 0 UNION ALL SELECT p_partkey, NULL, NULL FROM part WHERE p_size % 2 <> 0")
+@query("""WITH t AS (SELECT DISTINCT p_brand AS industry, p_type AS category FROM part), a AS (SELECT p_type AS category, 'size' AS key, 'mm' AS unit, 'number' AS data_type FROM part GROUP BY 1 HAVING count(*) % 2 = 0 UNION ALL SELECT p_type, 'price', 'usd', 'number' FROM part GROUP BY 1 HAVING count(*) % 2 = 0)
+    SELECT t.industry, t.category, a.key, a.unit, a.data_type FROM t LEFT JOIN a ON t.category = a.category""")
 def src04_attribute_patterns(v):
-    pattern = v.part.select(F.col("p_partkey").alias("id"), F.when(F.col("p_size") % 2 == 0, F.lit('[{"key":"length","unit":"mm"},{"key":"weight","unit":"kg"}]')).alias("json"))
-    return pattern.select("id", F.explode_outer(F.coalesce(F.from_json("json", "array<struct<key:string,unit:string>>"), F.array().cast("array<struct<key:string,unit:string>>"))).alias("a")).select("id", "a.key", "a.unit")
+    """Attributes that are common in a category, read from nested JSON and joined to the taxonomy; categories without a pattern keep one row."""
+    taxonomy = v.part.select(F.col("p_brand").alias("industry"), F.col("p_type").alias("category")).distinct()
+    attributes = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(u).alias("unit"), F.lit("number").alias("data_type")) for k, u in (("size", "mm"), ("price", "usd"))])
+    known = v.part.groupBy("p_type").agg(F.count(F.lit(1)).alias("n")).filter("n % 2 = 0")
+    nested = known.select(F.to_json(F.create_map("p_type", F.struct(attributes.alias("common_attributes")))).alias("json"))
+    return S.attribute_patterns(nested, taxonomy).select("industry", "category", "key", "unit", "data_type")
 
 
 @query("SELECT p_name AS label, count(*) AS n FROM part GROUP BY 1")
@@ -154,21 +160,24 @@ def prj27_response_shape(v):
     return v.attributes_v.groupBy("product_id").agg(*[F.count_if(kind == t).alias(n) for n, t in kinds.items()])
 
 
-@query("SELECT m.id, coalesce(e.n, 0) AS errors, concat_ws(',', CASE WHEN e.n > 20 THEN 'recent errors' END, CASE WHEN NOT m.enabled THEN 'disabled' END) AS reasons FROM models_v m LEFT JOIN (SELECT platform, model_id, count(*) AS n FROM requests_v WHERE status = 'error' GROUP BY 1, 2) e ON m.platform = e.platform AND m.model_id = e.model_id")
+@query(f"WITH {_KEYS}, {_COOL}, c AS (SELECT platform, model_id, count(*) AS n FROM cool WHERE expires > $NOW - INTERVAL 1 DAY GROUP BY 1, 2), e AS (SELECT platform, model_id, count(*) AS n FROM requests_v WHERE status = 'error' GROUP BY 1, 2), k AS (SELECT DISTINCT platform FROM keys_v WHERE enabled) SELECT m.id, coalesce(e.n, 0) AS errors, coalesce(c.n, 0) AS cooling, concat_ws(',', CASE WHEN e.n > 20 THEN 'recent errors' END, CASE WHEN c.n > 0 THEN 'cooldown' END, CASE WHEN NOT m.enabled THEN 'disabled' END, CASE WHEN m.priority = 0 THEN 'no fallback' END, CASE WHEN k.platform IS NULL THEN 'no usable key' END) AS reasons FROM models_v m LEFT JOIN e ON m.platform = e.platform AND m.model_id = e.model_id LEFT JOIN c ON m.platform = c.platform AND m.model_id = c.model_id LEFT JOIN k ON m.platform = k.platform")
 def jon20_penalty_inspector(v):
-    bad = v.requests_v.filter("status = 'error'").groupBy("platform", "model_id").agg(F.count(F.lit(1)).alias("n"))
-    both = v.models_v.join(bad.hint("merge"), ["platform", "model_id"], "left")
-    return both.select("id", F.coalesce("n", F.lit(0)).alias("errors"), F.array_join(F.array_compact(F.array(F.when(F.col("n") > 20, "recent errors"), F.when(~F.col("enabled"), "disabled"))), ",").alias("reasons"))
-
-
-@query()
+    """A row for each model with all that is held against it: recent errors, cooldowns, its own state, its fallback and its platform's keys."""
+    bad = v.requests_v.filter("status = 'error'")
+    errors = bad.groupBy("platform", "model_id").agg(F.count(F.lit(1)).alias("n"))
+    cooling = Q.cooldowns(bad, now() - F.expr("INTERVAL 1 DAY")).groupBy("platform", "model_id").agg(F.count(F.lit(1)).alias("c"))
+    usable = keys(v).filter("enabled").select("platform").distinct().withColumn("k", F.lit(True))
+    both = v.models_v.join(errors.hint("merge"), ["platform", "model_id"], "left").join(cooling.hint("merge"), ["platform", "model_id"], "left").join(usable.hint("merge"), "platform", "left")
+    tests = {"recent errors": F.col("n") > 20, "cooldown": F.col("c") > 0, "disabled": ~F.col("enabled"), "no fallback": F.col("priority") == 0, "no usable key": F.col("k").isNull()}
+    return both.select("id", F.coalesce("n", F.lit(0)).alias("errors"), F.coalesce("c", F.lit(0)).alias("cooling"), F.array_join(F.array_compact(F.array(*[F.when(t, n) for n, t in tests.items()])), ",").alias("reasons"))
+
+
+@query("""WITH e AS (SELECT 'm' || CAST(user_id % 12 AS VARCHAR) AS model, list({'p': 0.0::DOUBLE, 'last': 0::BIGINT, 'ms': epoch_us(ts) // 1000, 'bad': event_type = 'error'} ORDER BY epoch_us(ts) // 1000, event_id) AS x FROM events GROUP BY 1),
+    s AS (SELECT model, list_reduce(list_prepend({'p': 0.0::DOUBLE, 'last': 0::BIGINT, 'ms': 0::BIGINT, 'bad': false}, x), lambda a, b: {'p': CASE WHEN b.bad THEN least(10.0, greatest(0.0, a.p - CASE WHEN a.last > 0 THEN (b.ms - a.last) // 120000 ELSE 0 END) + 3) ELSE greatest(0.0, a.p - CASE WHEN a.last > 0 THEN (b.ms - a.last) // 120000 ELSE 0 END - 1) END, 'last': b.ms, 'ms': b.ms, 'bad': b.bad}) AS s FROM e)
+    SELECT model, s.p AS penalty, s.last AS at_ms FROM s""", penalty="DOUBLE", at_ms="BIGINT")
 def fun19_penalty_decay(v):
     """The fold of STR-06 over each model's events in order, as a batch."""
-    keyed = v.events.select(F.concat(F.lit("m"), (F.col("user_id") % 12).cast("string")).alias("model"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), "event_id", (F.col("event_type") == "error").alias("bad"))
-    # a row per model and hour first would change the rule, so the events of a model are one array
-    listed = keyed.groupBy("model").agg(F.array_sort(F.collect_list(F.struct("ms", "event_id", "bad"))).alias("x"))
-    fold = F.expr("aggregate(x, named_struct('p', 0D, 'last', 0L), (a, e) -> named_struct('p', IF(e.bad, least(10D, greatest(0D, a.p - IF(a.last > 0, floor((e.ms - a.last) / 120000), 0)) + 3D), greatest(0D, greatest(0D, a.p - IF(a.last > 0, floor((e.ms - a.last) / 120000), 0)) - 1D)), 'last', e.ms))")
-    return listed.select("model", fold.alias("s")).select("model", F.col("s.p").alias("penalty"), F.col("s.last").alias("at_ms"))
+    return Q.penalty_decay(v.events.select(F.concat(F.lit("m"), (F.col("user_id") % 12).cast("string")).alias("model"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), "event_id", (F.col("event_type") == "error").alias("bad")))
 
 
 @query("SELECT rule, count(*) AS lines FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents), (VALUES ('digits', '[0-9]'), ('shout', '!!'), ('pipes', ' [|] ')) r(rule, pattern) WHERE regexp_matches(line, pattern) GROUP BY 1")

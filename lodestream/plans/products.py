@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Window as W, functions as F
 
-from ..functions import text as X
+from ..functions import scores as S, text as X
 from ..operators import products as P
 from ..operators.requests import catalog
 from .registry import query
+from .views import BUDGET as _BUDGET, GROUP_KEY as _GROUP, NOW
 
 _in = "(" + ", ".join(f"'{p}'" for p in X.PLACEHOLDERS) + ")"
 _clean = lambda c: f"CASE WHEN trim({c}) <> '' AND lower(trim({c})) NOT IN {_in} THEN trim({c}) END"
@@ -204,11 +205,16 @@ def prj31_url_names(v):
     return v.pages.select("page_id", F.regexp_extract("url", "://([^/?#]*)", 1).alias("name"), F.substring(F.replace(F.regexp_extract("url", "([^/?#]*)([?#].*)?$", 1), F.lit("-"), F.lit("_")), 1, 30).alias("sku"))
 
 
-@query("SELECT evidence_id AS id, 'document' AS modality, content, score AS confidence FROM evidence_v UNION ALL SELECT event_id, 'media', content, NULL FROM timeline_v")
+@query("""SELECT evidence_id AS id, 'document' AS modality, source AS origin, CAST(NULL AS DOUBLE) AS start_s, CAST(NULL AS DOUBLE) AS end_s, content, score AS confidence,
+        to_json({'source_type': source_type, 'evidence_class': evidence_class, 'lang': lang})::VARCHAR AS provenance FROM evidence_v
+    UNION ALL SELECT event_id, 'media', CAST(media_id AS VARCHAR), start_s, end_s, content, NULL, to_json({'media': CAST(media_id AS VARCHAR), 'event': event_id})::VARCHAR FROM timeline_v""")
 def prj32_canonical_evidence(v):
-    docs = v.evidence_v.select(F.col("evidence_id").alias("id"), F.lit("document").alias("modality"), "content", F.col("score").alias("confidence"))
-    media = v.timeline_v.select(F.col("event_id").alias("id"), F.lit("media").alias("modality"), "content")
-    return docs.unionByName(media, allowMissingColumns=True)
+    """Document and media evidence in one shape: what it comes from, its time range, content, confidence and provenance."""
+    provenance = F.to_json(F.struct("source_type", "evidence_class", "lang"))
+    docs = v.evidence_v.select(F.col("evidence_id").alias("id"), F.lit("document").alias("modality"), F.col("source").alias("origin"), "content", F.col("score").alias("confidence"), provenance.alias("provenance"))
+    named = F.to_json(F.struct(F.col("media_id").cast("string").alias("media"), F.col("event_id").alias("event")))
+    media = v.timeline_v.select(F.col("event_id").alias("id"), F.lit("media").alias("modality"), F.col("media_id").cast("string").alias("origin"), "start_s", "end_s", "content", named.alias("provenance"))
+    return media.unionByName(docs, allowMissingColumns=True)
 
 
 @query("WITH b AS (SELECT DISTINCT p_brand AS brand, lower(trim(p_brand)) AS k, CAST(regexp_extract(p_brand, '[0-9]+') AS INT) AS pos FROM part), q AS (SELECT product_id, lower(trim(CASE WHEN product_id % 3 = 0 THEN regexp_extract(brand, '#[0-9]+') ELSE brand END)) AS k FROM products_v WHERE brand LIKE 'Brand%') SELECT q.product_id, coalesce(e.brand, f.brand) AS brand FROM q LEFT JOIN b e ON e.k = q.k LEFT JOIN (SELECT q.k, min_by(b.brand, b.pos) AS brand FROM (SELECT DISTINCT k FROM q) q JOIN b ON contains(b.k, q.k) GROUP BY q.k) f ON f.k = q.k")
@@ -322,9 +328,12 @@ def jon21_attribute_mentions(v):
     return a.join(m.hint("merge"), ["product_id", "key"], "left").select("product_id", "key", "variants", (F.col("variants") > 1).alias("conflict"), F.coalesce("mentions", F.lit(0)).alias("mentions"))
 
 
-@query("SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)idiot|worthless|all rights reserved|confidential')")
+@query("SELECT doc_id, needle FROM documents, (VALUES ('idiot'), ('worthless'), ('all rights reserved'), ('confidential')) n(needle) WHERE contains(lower(text), needle)")
 def jon22_forbidden_phrases(v):
-    return v.documents.filter(F.col("text").rlike("(?i)idiot|worthless|all rights reserved|confidential")).select("doc_id")
+    """A row for each document and phrase of the list that it holds; the list is an array in the row, so nothing is crossed."""
+    needles = F.array(*map(F.lit, ("idiot", "worthless", "all rights reserved", "confidential")))
+    low = F.lower("text")
+    return v.documents.select("doc_id", F.explode(F.filter(needles, lambda n: low.contains(n))).alias("needle"))
 
 
 @query(f"WITH p AS (SELECT count(*) AS products, count(*) FILTER (WHERE status = 'verified') AS verified, count(*) FILTER (WHERE {_LEVEL} = 'HIGH') AS high, sum(missing_fields) AS missing FROM products_v WHERE tenant_id = 't1'), j AS (SELECT count(*) AS jobs, round(count(*) FILTER (WHERE status = 'COMPLETED') / CAST(count(*) AS DOUBLE), 4) AS success_rate FROM jobs_v WHERE tenant_id = 't1') SELECT * FROM p, j", missing="BIGINT")
@@ -446,13 +455,19 @@ def agg14_research_plan(v):
     return general.unionByName(each.select("product_id", "place", F.concat_ws(" ", "brand", "name", F.concat(F.lit("field "), F.col("place").cast("string"))).alias("target")))
 
 
-_COVER = "t AS (SELECT p_brand AS industry, count(DISTINCT p_type) AS categories FROM part GROUP BY 1), d AS (SELECT 'Brand#' || CAST(doc_id % 7 AS VARCHAR) AS industry, count(DISTINCT source) AS datasets, sum(strlen(text)) AS bytes FROM documents GROUP BY 1), cover AS (SELECT coalesce(t.industry, d.industry) AS industry, coalesce(categories, 0) AS categories, coalesce(datasets, 0) AS datasets, coalesce(bytes, 0) AS bytes, CASE WHEN coalesce(datasets, 0) = 0 THEN 'NONE' WHEN datasets < 2 THEN 'LOW' WHEN datasets < 4 THEN 'MEDIUM' ELSE 'HIGH' END AS level FROM t FULL JOIN d ON t.industry = d.industry)"
+_COVER = """t AS (SELECT p_brand AS industry, count(DISTINCT p_type) AS categories, coalesce(string_agg(DISTINCT CASE WHEN p_size % 4 = 0 THEN 'size of ' || p_type END, ',' ORDER BY CASE WHEN p_size % 4 = 0 THEN 'size of ' || p_type END), '') AS gaps FROM part GROUP BY 1),
+    d AS (SELECT 'Brand#' || CAST(unnest([doc_id % 7, doc_id % 11]) AS VARCHAR) AS industry, source, lang, text FROM documents), g AS (SELECT industry, count(DISTINCT source) AS datasets, sum(strlen(text)) AS bytes, string_agg(DISTINCT lang, ',' ORDER BY lang) AS types FROM d GROUP BY 1),
+    cover AS (SELECT coalesce(t.industry, g.industry) AS industry, coalesce(categories, 0) AS categories, coalesce(datasets, 0) AS datasets, coalesce(bytes, 0) AS bytes, coalesce(gaps, '') AS gaps, coalesce(types, '') AS types, CASE WHEN coalesce(datasets, 0) = 0 THEN 'NONE' WHEN datasets < 2 THEN 'LOW' WHEN datasets < 4 THEN 'MEDIUM' ELSE 'HIGH' END AS level FROM t FULL JOIN g ON t.industry = g.industry)"""
 
 
 def _coverage(v):
-    t = v.part.groupBy(F.col("p_brand").alias("industry")).agg(F.countDistinct("p_type").alias("categories"))
-    d = v.documents.groupBy(F.concat(F.lit("Brand#"), (F.col("doc_id") % 7).cast("string")).alias("industry")).agg(F.countDistinct("source").alias("datasets"), F.sum(F.octet_length("text")).alias("bytes"))
-    both = t.join(d.hint("merge"), "industry", "full").na.fill(0, ["categories", "datasets", "bytes"])
+    """Industries of the taxonomy and of the datasets, each of which serves several: categories, datasets, bytes, distinct gaps and types of knowledge, and a level."""
+    gap = F.when(F.col("p_size") % 4 == 0, F.concat(F.lit("size of "), "p_type"))
+    said = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")  # noqa: E731  distinct values of a short list
+    t = v.part.groupBy(F.col("p_brand").alias("industry")).agg(F.countDistinct("p_type").alias("categories"), said(gap).alias("gaps"))
+    served = v.documents.select("source", "lang", F.octet_length("text").alias("size"), F.explode(F.array(F.col("doc_id") % 7, F.col("doc_id") % 11)).alias("i"))
+    d = served.groupBy(F.concat(F.lit("Brand#"), F.col("i").cast("string")).alias("industry")).agg(F.countDistinct("source").alias("datasets"), F.sum("size").alias("bytes"), said("lang").alias("types"))
+    both = t.join(d.hint("merge"), "industry", "full").na.fill(0, ["categories", "datasets", "bytes"]).na.fill("", ["gaps", "types"])
     return both.withColumn("level", F.when(F.col("datasets") == 0, "NONE").when(F.col("datasets") < 2, "LOW").when(F.col("datasets") < 4, "MEDIUM").otherwise("HIGH"))
 
 
@@ -461,9 +476,9 @@ def agg31_industry_coverage(v):
     return _coverage(v)
 
 
-@query(f"WITH {_COVER} SELECT industry, level, concat_ws(',', CASE WHEN categories = 0 THEN 'categories' END, CASE WHEN datasets = 0 THEN 'datasets' END) AS missing FROM cover WHERE level IN ('NONE', 'LOW')")
+@query(f"WITH {_COVER} SELECT industry, level, concat_ws(',', CASE WHEN categories = 0 THEN 'categories' END, CASE WHEN datasets = 0 THEN 'datasets' END, nullif(gaps, '')) AS missing FROM cover WHERE level IN ('NONE', 'LOW')")
 def agg32_gap_report(v):
-    return _coverage(v).filter("level IN ('NONE', 'LOW')").select("industry", "level", F.concat_ws(",", F.when(F.col("categories") == 0, "categories"), F.when(F.col("datasets") == 0, "datasets")).alias("missing"))
+    return _coverage(v).filter("level IN ('NONE', 'LOW')").select("industry", "level", F.concat_ws(",", F.when(F.col("categories") == 0, "categories"), F.when(F.col("datasets") == 0, "datasets"), F.nullif("gaps", F.lit(""))).alias("missing"))
 
 
 @query("SELECT count(DISTINCT source) AS datasets, count(DISTINCT lang) AS industries, sum(strlen(text)) AS bytes FROM documents", bytes="BIGINT")
@@ -471,10 +486,11 @@ def agg33_baseline_status(v):
     return v.documents.agg(F.countDistinct("source").alias("datasets"), F.countDistinct("lang").alias("industries"), F.sum(F.octet_length("text")).alias("bytes"))
 
 
-@query("SELECT sum(strlen(text)) AS all_bytes, sum(strlen(text)) FILTER (WHERE doc_id % 2 = 0) AS permanent_bytes FROM documents", all_bytes="BIGINT", permanent_bytes="BIGINT")
+@query("SELECT sum(strlen(content)) AS all_bytes, sum(strlen(content)) FILTER (WHERE source_type = 'baseline') AS permanent_bytes FROM evidence_v", all_bytes="BIGINT", permanent_bytes="BIGINT")
 def agg34_registry_size(v):
-    size = F.octet_length("text")
-    return v.documents.agg(F.sum(size).alias("all_bytes"), F.sum(F.when(F.col("doc_id") % 2 == 0, size)).alias("permanent_bytes"))
+    """Size of all entries and of the permanent ones, which are the baseline's."""
+    size = F.octet_length("content")
+    return v.evidence_v.agg(F.sum(size).alias("all_bytes"), F.sum(F.when(F.col("source_type") == "baseline", size)).alias("permanent_bytes"))
 
 
 @query("SELECT product_id, lower(trim(key)) AS name, count(DISTINCT value) AS variations FROM attributes_v GROUP BY 1, 2 HAVING count(DISTINCT value) > 1")
@@ -487,10 +503,10 @@ def agg36_duplicate_names(v):
     return v.attributes_v.groupBy("product_id", F.lower("key").alias("name")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
-@query("SELECT count(*) FILTER (WHERE score >= 0.3) AS active, count(*) FILTER (WHERE score < 0.3) AS expired, sum(length(content)) FILTER (WHERE score >= 0.3) AS active_chars, count(DISTINCT source) FILTER (WHERE score >= 0.3) AS sources FROM evidence_v", active_chars="BIGINT")
+@query("SELECT count(*) FILTER (WHERE expires_at >= $NOW) AS active, count(*) FILTER (WHERE expires_at < $NOW) AS expired, sum(size) FILTER (WHERE expires_at >= $NOW) AS active_bytes, count(DISTINCT industry) FILTER (WHERE expires_at >= $NOW) AS industries, count(DISTINCT category) FILTER (WHERE expires_at >= $NOW) AS categories FROM cache_v", active_bytes="BIGINT")
 def agg37_cache_statistics(v):
-    live = F.col("score") >= 0.3
-    return v.evidence_v.agg(F.count_if(live).alias("active"), F.count_if(~live).alias("expired"), F.sum(F.when(live, F.char_length("content"))).alias("active_chars"), F.countDistinct(F.when(live, F.col("source"))).alias("sources"))
+    live = F.col("expires_at") >= F.expr(NOW)
+    return v.cache_v.agg(F.count_if(live).alias("active"), F.count_if(~live).alias("expired"), F.sum(F.when(live, F.col("size"))).alias("active_bytes"), *[F.countDistinct(F.when(live, F.col(c))).alias(n) for c, n in (("industry", "industries"), ("category", "categories"))])
 
 
 _ISSUES = f"issues AS (SELECT product_id, rule, severity FROM (SELECT *, count(*) OVER (PARTITION BY tenant_id, sku) AS copies FROM products_v) p, LATERAL (VALUES ('missing_name', 'CRITICAL', {_clean('name')} IS NULL), ('missing_brand', 'HIGH', {_clean('brand')} IS NULL), ('missing_category', 'HIGH', category IS NULL), ('duplicate_sku', 'CRITICAL', copies > 1), ('conflicts', 'HIGH', conflict_fields > 0)) r(rule, severity, broken) WHERE broken)"
@@ -520,16 +536,26 @@ def agg43_storage(v):
     return v.pages.agg(total.alias("bytes"), F.round(total * 100.0 / 2147483648, 2).alias("percent"))
 
 
-@query("SELECT product_id, CASE WHEN t / n > 0.5 THEN 'table' WHEN m / n > 0.4 THEN 'image' ELSE 'text' END AS kind FROM (SELECT product_id, CAST(count(*) AS DOUBLE) AS n, count(*) FILTER (WHERE page % 2 = 0) AS t, count(*) FILTER (WHERE page % 3 = 0) AS m FROM attributes_v GROUP BY 1)")
+@query("""WITH g AS (SELECT product_id, page, coalesce(sum(length(value)), 0) AS chars, count(*) FILTER (WHERE value IS NULL) AS images, count(*) FILTER (WHERE regexp_matches(value, '^[0-9]')) >= 2 AS grid FROM attributes_v GROUP BY 1, 2),
+    d AS (SELECT product_id, count(*) AS pages, count(*) FILTER (WHERE chars = 0 OR (chars < 20 AND images >= 1)) AS scanned, count(*) FILTER (WHERE images >= 2) AS heavy, count(*) FILTER (WHERE grid) AS tables FROM g GROUP BY 1)
+    SELECT product_id, pages, CASE WHEN scanned = pages THEN 'SCANNED' WHEN scanned > 0 THEN 'MIXED' WHEN tables >= greatest(1, pages // 2) THEN 'TECHNICAL_DOCUMENT' WHEN heavy >= greatest(1, pages // 2) THEN 'IMAGE_HEAVY' ELSE 'TEXT' END AS kind FROM d""")
 def agg47_document_kind(v):
-    n = F.count(F.lit(1))
-    per = v.attributes_v.groupBy("product_id").agg((F.count_if(F.col("page") % 2 == 0) / n).alias("t"), (F.count_if(F.col("page") % 3 == 0) / n).alias("m"))
-    return per.select("product_id", F.when(F.col("t") > 0.5, "table").when(F.col("m") > 0.4, "image").otherwise("text").alias("kind"))
+    """What a document is, by its pages: those without text are scanned, two numbers make a table, blank cells stand for images."""
+    page = v.attributes_v.groupBy("product_id", "page").agg(F.coalesce(F.sum(F.length("value")), F.lit(0)).alias("chars"), F.count_if(F.col("value").isNull()).alias("images"), (F.count_if(F.col("value").rlike("^[0-9]")) >= 2).alias("grid"))
+    return P.document_kind(page, "product_id")
 
 
-@query("SELECT model_id AS group_key, CASE WHEN max(CASE WHEN budget_label LIKE '~%' THEN 1 ELSE 0 END) = 1 THEN 'budget' WHEN max(priority) > 3 THEN 'rpm' ELSE 'label' END AS badge FROM models_v GROUP BY 1")
+@query(f"""WITH g AS (SELECT {_GROUP} AS group_key, {_BUDGET} AS budget, CASE WHEN size_label = 'small' THEN 10 * priority END AS rpm, CASE WHEN size_label = 'large' THEN 100 * priority END AS rpd,
+        nullif(trim(regexp_replace(regexp_replace(budget_label, '[~?]', '', 'g'), '\\s+', ' ', 'g')), '') AS label, id, enabled FROM models_v),
+    s AS (SELECT group_key, enabled, sum(budget) AS budget, coalesce(max(rpm), 0) AS rpm, coalesce(max(rpd), 0) AS rpd, min_by(label, id) FILTER (WHERE label IS NOT NULL) AS label FROM g GROUP BY 1, 2)
+    SELECT group_key, enabled, CASE WHEN budget > 0 THEN CAST(budget AS VARCHAR) || ' tokens' WHEN rpm > 0 THEN CAST(rpm AS VARCHAR) || ' rpm' WHEN rpd > 0 THEN CAST(rpd AS VARCHAR) || ' rpd' ELSE label END AS badge FROM s""")
 def agg49_quota_badge(v):
-    return v.models_v.groupBy(F.col("model_id").alias("group_key")).agg(F.when(F.bool_or(F.col("budget_label").startswith("~")), "budget").when(F.max("priority") > 3, "rpm").otherwise("label").alias("badge"))
+    """A group's summed budget, else its best rate a minute, else a day, else its first label, cleaned."""
+    label = F.nullif(F.trim(F.regexp_replace(F.regexp_replace("budget_label", "[~?]", ""), r"\s+", " ")), F.lit(""))
+    rows = v.models_v.select(X.group_key(F.col("display_name")).alias("group_key"), "enabled", "id", S.budget_tokens(F.col("budget_label")).alias("budget"), F.when(F.col("size_label") == "small", F.col("priority") * 10).alias("rpm"), F.when(F.col("size_label") == "large", F.col("priority") * 100).alias("rpd"), label.alias("label"))
+    s = rows.groupBy("group_key", "enabled").agg(F.sum("budget").alias("budget"), F.max("rpm").alias("rpm"), F.max("rpd").alias("rpd"), F.min_by("label", F.when(F.col("label").isNotNull(), F.col("id"))).alias("label"))
+    said = lambda c, unit: F.when(F.col(c) > 0, F.concat(F.col(c).cast("string"), F.lit(f" {unit}")))
+    return s.select("group_key", "enabled", F.coalesce(said("budget", "tokens"), said("rpm", "rpm"), said("rpd", "rpd"), "label").alias("badge"))
 
 
 @query("SELECT p_partkey FROM (SELECT p_partkey, p_size, sum(p_size) OVER (ORDER BY p_retailprice * 100000 + p_partkey) AS upto FROM part) WHERE upto - p_size < 5000")
@@ -613,10 +639,14 @@ def fun25_authority(v):
     return v.evidence_v.select("evidence_id", P.lookup(P.lookup(F.col("source_type"), P.SOURCE_TYPES, "SECONDARY_SOURCE"), P.AUTHORITY, 0.2).alias("authority"))
 
 
-@query("SELECT product_id, min_by(regexp_extract(value, '[a-zA-Z]+$'), attribute_id) FILTER (WHERE regexp_matches(value, '[a-zA-Z]+$') AND length(value) <= 10) AS unit FROM attributes_v GROUP BY 1")
+@query(r"""WITH h AS (SELECT *, CASE key WHEN 'Length' THEN 'Length (mm)' WHEN 'Weight' THEN 'Weight (kg)' ELSE key END AS header FROM attributes_v)
+    SELECT product_id, header, coalesce(nullif(regexp_extract(header, '\(([^)]+)\)', 1), ''), min_by(regexp_extract(value, '[a-zA-Z]+$'), (attribute_id, value)) FILTER (WHERE regexp_matches(value, '[a-zA-Z]+$') AND length(value) <= 10)) AS unit FROM h GROUP BY 1, 2""")
 def fun26_table_unit(v):
+    """The unit of a table's column: that in brackets in its header, else that at the end of its first short value."""
+    header = F.when(F.col("key") == "Length", "Length (mm)").when(F.col("key") == "Weight", "Weight (kg)").otherwise(F.col("key"))
     tail = F.when(F.col("value").rlike("[a-zA-Z]+$") & (F.length("value") <= 10), F.regexp_extract("value", "[a-zA-Z]+$", 0))
-    return v.attributes_v.groupBy("product_id").agg(F.min_by(tail, F.when(tail.isNotNull(), F.col("attribute_id"))).alias("unit"))
+    first = F.min_by(tail, F.when(tail.isNotNull(), F.struct("attribute_id", "value")))
+    return v.attributes_v.groupBy("product_id", header.alias("header")).agg(first.alias("tail")).select("product_id", "header", F.coalesce(F.nullif(F.regexp_extract("header", r"\(([^)]+)\)", 1), F.lit("")), "tail").alias("unit"))
 
 
 @query("SELECT product_id, concat_ws('; ', CASE WHEN conflict_fields > 0 THEN 'conflicts' END, CASE WHEN missing_fields > 0 THEN CAST(missing_fields AS VARCHAR) || ' missing' END, CAST(CAST(round(confidence_score * 100) AS INT) AS VARCHAR) || '%') AS said FROM products_v")
@@ -629,6 +659,8 @@ def fun28_content_hash(v):
     return v.documents.groupBy(F.sha2("text", 256).alias("hash")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
 
 
-@query("SELECT evidence_id, score >= 0.4 AS indexed FROM evidence_v")
+@query("SELECT item_id, used_at, CASE WHEN expires_at < $NOW THEN false ELSE true END AS indexed, CASE WHEN expires_at < $NOW THEN 'expired' ELSE 'active' END AS status FROM cache_v")
 def str08_idle_expiry(v):
-    return v.evidence_v.select("evidence_id", (F.col("score") >= 0.4).alias("indexed"))
+    """Items whose life, a week after their last use, has ended leave the index; their rows stay."""
+    live = F.coalesce(F.col("expires_at") >= F.expr(NOW), F.lit(True))
+    return v.cache_v.select("item_id", "used_at", live.alias("indexed"), F.when(live, "active").otherwise("expired").alias("status"))

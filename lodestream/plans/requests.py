@@ -8,17 +8,25 @@ from ..functions import scores as S, text as X
 from ..operators import requests as R
 from ..session import with_rank
 from .registry import query
-from .views import NOW
+from .views import BUDGET as _BUDGET, GROUP_KEY as _GROUP, NOW
 
 
 def now():
     return F.expr(NOW)
 
 
+def _request():
+    return X.canonical_json({"type": F.col("request_type"), "model": F.col("model_id"), "input": F.col("input_tokens"), "requested": F.col("requested_model")})
+
+
 _CASE_ERROR = "CASE " + " ".join(f"WHEN {' OR '.join(f'error ILIKE {chr(39)}{p}{chr(39)}' for p in ps)} THEN '{label}'" for label, ps in R.ERROR_CATEGORIES) + " ELSE 'Other' END"
 _CASE_AGENT = "CASE " + " ".join(f"WHEN regexp_matches(lower(coalesce(user_agent, '')), '{p}') THEN '{label}'" for label, p in R.CLIENT_AGENTS) + " ELSE 'unknown' END"
 _RATE = "coalesce(round(100.0 * count(*) FILTER (WHERE status = 'success') / nullif(count(*) FILTER (WHERE status IN ('success', 'error')), 0), 4), 0)"
 _COST = f"CASE WHEN status = 'success' THEN (input_tokens * coalesce(input_price, {R.INPUT_PRICE}) + output_tokens * coalesce(output_price, {R.OUTPUT_PRICE})) / 1e6 ELSE 0 END"
+#: The canonical text of a request: keys in order, without those that have no value.
+_REQUEST = """'{' || concat_ws(',', '"input":"' || CAST(input_tokens AS VARCHAR) || '"', '"model":"' || model_id || '"', '"requested":"' || requested_model || '"', '"type":"' || request_type || '"') || '}'"""
+_BENCHED = "SELECT platform, model_id, key_id, created_at, CASE least(count(*) OVER (PARTITION BY platform, model_id, key_id ORDER BY epoch_us(created_at) RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW), 4) WHEN 1 THEN 120 WHEN 2 THEN 600 WHEN 3 THEN 3600 ELSE 86400 END AS bench_s FROM requests_v WHERE status = 'error' AND key_id IS NOT NULL"
+_COOL = f"b AS ({_BENCHED}), cool AS (SELECT platform, model_id, key_id, max(created_at + to_seconds(bench_s)) AS expires FROM b GROUP BY 1, 2, 3)"
 _PRICED = "requests_v r LEFT JOIN models_v m ON r.platform = m.platform AND r.model_id = m.model_id"
 
 
@@ -51,9 +59,10 @@ def prj20_client_agent(v):
     return v.requests_v.groupBy(R.client_agent(F.col("user_agent")).alias("client")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT event_id, CASE WHEN strlen(props) > 10 THEN substring(props, 1, 5) || '...' ELSE props END AS payload FROM events")
+@query("""SELECT event_id, CASE WHEN strlen(props) > 8 THEN to_json({'truncated': true, 'original_size': strlen(props), 'preview': substring(props, 1, 5) || '... [TRUNCATED]', 'message': 'Payload exceeded maximum inline size.'})::VARCHAR ELSE props END AS payload FROM events""")
 def prj30_payload_cut(v):
-    return v.events.select("event_id", F.when(F.octet_length("props") > 10, F.concat(F.substring("props", 1, 5), F.lit("..."))).otherwise(F.col("props")).alias("payload"))
+    """Payloads above the inline cap (here 8 bytes) become a struct with their size and a preview."""
+    return v.events.select("event_id", X.inline_payload(F.col("props"), cap=8, preview=5).alias("payload"))
 
 
 @query(f"SELECT r.id, m.display_name, {_COST} AS cost FROM {_PRICED}")
@@ -114,18 +123,29 @@ def jon13_quota_state(v):
     return obs.select(*four).distinct().join(latest.hint("merge"), four, "left").select(*four, F.col("x.input_tokens").alias("used"), F.col("x.created_at").alias("observed_at"))
 
 
-@query("SELECT id, input_tokens % 4 AS attempts FROM requests_v WHERE status = 'error'")
+@query("SELECT o_orderkey AS id, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag <> 'R') AS attempts FROM orders")
 def jon17_attempt_counts(v):
-    bad = v.requests_v.filter("status = 'error'")
-    attempts = bad.select("id", F.explode(F.expr("CASE WHEN input_tokens % 4 > 0 THEN sequence(1, CAST(input_tokens % 4 AS INT)) ELSE array() END")).alias("ordinal"))
-    counts = attempts.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    return bad.select("id").join(counts.hint("merge"), "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("attempts"))
+    """How many lines of each order went out at once (those not returned); orders without any have 0."""
+    counts = v.lineitem.filter("l_returnflag <> 'R'").groupBy(F.col("l_orderkey").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    return v.orders.select(F.col("o_orderkey").alias("id")).join(counts.hint("merge"), "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("attempts"))
 
 
-@query("SELECT m.id, coalesce(o.priority, m.priority, 999) AS priority, coalesce(o.enabled, m.enabled) AS enabled, o.id IS NOT NULL AS has_overrides FROM models_v m LEFT JOIN (SELECT id, priority + 10 AS priority, CASE WHEN id % 2 = 0 THEN false END AS enabled FROM models_v WHERE id % 5 = 0) o ON m.id = o.id")
+@query(f"""WITH {_KEYS}, k AS (SELECT platform, count(DISTINCT key_id) AS n FROM keys_v WHERE enabled GROUP BY 1), o AS (SELECT id, priority + 10 AS priority, CASE WHEN id % 2 = 0 THEN false END AS enabled FROM models_v WHERE size_label = 'large'),
+    f AS (SELECT id, priority + 100 AS priority FROM models_v WHERE budget_label <> 'unlimited'), p AS (SELECT id, '{{"context":' || CAST(1000 * intelligence_rank AS VARCHAR) || '}}' AS patch FROM models_v WHERE size_label = 'small')
+    SELECT m.id, coalesce(o.priority, f.priority, 999) AS priority, coalesce(o.enabled, m.enabled) AS enabled, p.patch IS NOT NULL AS has_overrides, CAST(json_extract_string(p.patch, '$.context') AS BIGINT) AS context, coalesce(k.n, 0) AS keys, coalesce(o.enabled, m.enabled) AND coalesce(k.n, 0) > 0 AS usable
+    FROM models_v m LEFT JOIN f ON m.id = f.id LEFT JOIN o ON m.id = o.id LEFT JOIN p ON m.id = p.id LEFT JOIN k ON m.platform = k.platform""")
 def jon23_catalog_listing(v):
-    over = v.models_v.filter("id % 5 = 0").selectExpr("id", "priority + 10 AS o_priority", "CASE WHEN id % 2 = 0 THEN false END AS o_enabled", "true AS has")
-    return v.models_v.join(R.catalog(over), "id", "left").select("id", F.coalesce("o_priority", "priority", F.lit(999)).alias("priority"), F.coalesce("o_enabled", "enabled").alias("enabled"), F.coalesce("has", F.lit(False)).alias("has_overrides"))
+    """Models with fallback order, the active profile over it, overrides as a patch, and the enabled keys of their platform."""
+    profile = v.models_v.filter("size_label = 'large'").selectExpr("id", "priority + 10 AS p_priority", "CASE WHEN id % 2 = 0 THEN false END AS p_enabled")
+    fallback = v.models_v.filter("budget_label <> 'unlimited'").selectExpr("id", "priority + 100 AS f_priority")
+    patches = v.models_v.filter("size_label = 'small'").select("id", F.to_json(F.struct((F.col("intelligence_rank") * 1000).alias("context"))).alias("patch"))
+    usable = keys(v).filter("enabled").groupBy("platform").agg(F.countDistinct("key_id").alias("n"))
+    rows = v.models_v.select("id", "platform", "enabled")
+    for side in (fallback, profile, patches):
+        rows = rows.join(side.hint("merge"), "id", "left")
+    rows = rows.join(usable.hint("merge"), "platform", "left")
+    on, n = F.coalesce("p_enabled", "enabled"), F.coalesce("n", F.lit(0))
+    return rows.select("id", F.coalesce("p_priority", "f_priority", F.lit(999)).alias("priority"), on.alias("enabled"), F.col("patch").isNotNull().alias("has_overrides"), F.get_json_object("patch", "$.context").cast("long").alias("context"), n.alias("keys"), (on & (n > 0)).alias("usable"))
 
 
 _HOURLY = "SELECT date_trunc('hour', created_at) AS hour, platform, model_id, count(*) AS requests, count(*) FILTER (WHERE status = 'success') AS successes, count(*) FILTER (WHERE status = 'error') AS errors, count(*) FILTER (WHERE status = 'canceled') AS canceled, sum(input_tokens) AS input_tokens, sum(output_tokens) AS output_tokens FROM requests_v GROUP BY 1, 2, 3"
@@ -217,15 +237,22 @@ def agg26_decayed_stats(v):
 
 
 @query("SELECT model_id, key_id, sum(input_tokens + output_tokens) AS tokens FROM requests_v WHERE created_at >= date_trunc('month', $NOW) AND request_type = 'chat' GROUP BY 1, 2", tokens="BIGINT")
-def agg27_month_tokens(v):
-    return v.requests_v.filter((F.col("created_at") >= F.date_trunc("month", now())) & (F.col("request_type") == "chat")).groupBy("model_id", "key_id").agg(F.sum(F.col("input_tokens") + F.col("output_tokens")).alias("tokens"))
+def agg27_month_tokens(v, *by):
+    month = v.requests_v.filter((F.col("created_at") >= F.date_trunc("month", now())) & (F.col("request_type") == "chat"))
+    return month.groupBy(*(by or ("model_id", "key_id"))).agg(F.sum(F.col("input_tokens") + F.col("output_tokens")).alias("tokens"))
 
 
-@query(f"WITH {_KEYS}, k AS (SELECT platform, count(DISTINCT key_id) FILTER (WHERE enabled) AS n FROM keys_v GROUP BY 1), u AS (SELECT platform, sum(input_tokens + output_tokens) AS used FROM requests_v GROUP BY 1) SELECT u.platform, 1000000 * greatest(1, coalesce(k.n, 0)) AS budget, u.used FROM u LEFT JOIN k ON u.platform = k.platform", used="BIGINT")
+@query(f"""WITH {_KEYS}, k AS (SELECT platform, count(DISTINCT key_id) FILTER (WHERE enabled) AS n FROM keys_v GROUP BY 1), u AS (SELECT platform, sum(input_tokens + output_tokens) AS used FROM requests_v WHERE created_at >= date_trunc('month', $NOW) AND request_type = 'chat' GROUP BY 1),
+    b AS (SELECT platform, sum({_BUDGET}) AS budget FROM models_v WHERE enabled GROUP BY 1), r AS (SELECT b.platform, b.budget * greatest(1, coalesce(k.n, 0)) AS budget, coalesce(u.used, 0) AS used FROM b LEFT JOIN k ON b.platform = k.platform LEFT JOIN u ON b.platform = u.platform)
+    SELECT coalesce(platform, 'all') AS platform, sum(budget) AS budget, sum(used) AS used FROM r GROUP BY ROLLUP (platform)""", budget="BIGINT", used="BIGINT")
 def agg28_budget_use(v):
+    """Budgets of the enabled models of a platform times its usable keys, what this month used, and the totals."""
     usable = keys(v).groupBy("platform").agg(F.countDistinct(F.when(F.col("enabled"), F.col("key_id"))).alias("n"))
-    used = v.requests_v.groupBy("platform").agg(F.sum(F.col("input_tokens") + F.col("output_tokens")).alias("used"))
-    return used.join(usable.hint("merge"), "platform", "left").select("platform", (F.lit(1_000_000) * F.greatest(F.lit(1), F.coalesce("n", F.lit(0)))).alias("budget"), "used")
+    used = agg27_month_tokens(v, "platform").select("platform", "tokens")
+    budget = v.models_v.filter("enabled").groupBy("platform").agg(F.sum(S.budget_tokens(F.col("budget_label"))).alias("b"))
+    rows = budget.join(usable.hint("merge"), "platform", "left").join(used.hint("merge"), "platform", "left")
+    rows = rows.select("platform", (F.col("b") * F.greatest(F.lit(1), F.coalesce("n", F.lit(0)))).alias("budget"), F.coalesce("tokens", F.lit(0)).alias("used"))
+    return rows.rollup("platform").agg(F.sum("budget").alias("budget"), F.sum("used").alias("used")).na.fill("all", ["platform"])
 
 
 @query(f"WITH {_KEYS} SELECT platform, count(*) AS keys, count(*) FILTER (WHERE state = 0) AS healthy, count(*) FILTER (WHERE state = 1) AS limited, count(DISTINCT CASE WHEN enabled THEN label END) AS ready FROM keys_v GROUP BY 1")
@@ -241,19 +268,24 @@ def agg30_provider_health(v):
     return by_state.join(models.hint("merge"), "platform", "full").select("platform", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("s0", "s1", "s2", "s3", "models")])
 
 
-@query("SELECT hash, n - 1 AS hits, (n - 1) * input_tokens AS saved_input, (n - 1) * output_tokens AS saved_output FROM (SELECT sha256(model_id || '|' || coalesce(requested_model, '') || '|' || CAST(input_tokens AS VARCHAR)) AS hash, count(*) AS n, max(input_tokens) AS input_tokens, max(output_tokens) AS output_tokens FROM requests_v GROUP BY 1) WHERE n > 1")
+@query(f"""WITH h AS (SELECT {_REQUEST} AS request, input_tokens, output_tokens FROM requests_v) SELECT sha256(request) AS hash, count(*) - 1 AS hits, (count(*) - 1) * max(input_tokens) AS saved_input, (count(*) - 1) * max(output_tokens) AS saved_output FROM h GROUP BY 1 HAVING count(*) > 1""")
 def agg38_reuse_report(v):
-    key = F.sha2(F.concat_ws("|", "model_id", F.coalesce("requested_model", F.lit("")), F.col("input_tokens").cast("string")), 256)
-    groups = v.requests_v.groupBy(key.alias("hash")).agg(F.count(F.lit(1)).alias("n"), F.max("input_tokens").alias("i"), F.max("output_tokens").alias("o")).filter("n > 1")
+    """Repeats of a canonical request, and the tokens that a cache would have saved."""
+    groups = v.requests_v.groupBy(F.sha2(_request(), 256).alias("hash")).agg(F.count(F.lit(1)).alias("n"), F.max("input_tokens").alias("i"), F.max("output_tokens").alias("o")).filter("n > 1")
     return groups.select("hash", (F.col("n") - 1).alias("hits"), ((F.col("n") - 1) * F.col("i")).alias("saved_input"), ((F.col("n") - 1) * F.col("o")).alias("saved_output"))
 
 
-_GROUP = "regexp_replace(lower(regexp_replace(display_name, '(\\s*\\([^()]*\\)|\\s+free)+\\s*$', '')), '[\\s_./-]+', ' ', 'g')"
-
-
-@query(f"WITH g AS (SELECT id, {_GROUP} AS group_key, intelligence_rank, display_name FROM models_v) SELECT group_key, count(*) AS members, min(intelligence_rank) AS best_rank FROM g GROUP BY 1")
+@query(f"""WITH s AS (SELECT id, CASE WHEN id % 18 = 0 THEN 'own line' END AS into_key FROM models_v WHERE id % 9 = 0), g AS (SELECT m.id, display_name, intelligence_rank, s.id IS NOT NULL OR m.into_key IS NOT NULL AS chosen,
+        CASE WHEN s.id IS NOT NULL THEN coalesce(s.into_key, '__split__:' || CAST(m.id AS VARCHAR)) ELSE coalesce(m.into_key, base) END AS group_key
+        FROM (SELECT *, CASE WHEN base IN ('cold widget', 'small widget') THEN 'widget' END AS into_key FROM (SELECT *, {_GROUP} AS base FROM models_v)) m LEFT JOIN s ON m.id = s.id)
+    SELECT group_key, count(*) AS members, min(intelligence_rank) AS best_rank, min_by(display_name, (intelligence_rank, length(display_name), id)) AS label, bool_or(chosen) AS user_defined FROM g GROUP BY 1""")
 def agg39_model_groups(v):
-    return v.models_v.groupBy(X.group_key(F.col("display_name")).alias("group_key")).agg(F.count(F.lit(1)).alias("members"), F.min("intelligence_rank").alias("best_rank"))
+    """Groups of models by normalised name, after an operator's splits (into a key of their own or a named one) and merges (of several keys into one)."""
+    splits = v.models_v.filter("id % 9 = 0").selectExpr("id", "CASE WHEN id % 18 = 0 THEN 'own line' END AS into_key")
+    merges = {"cold widget": "widget", "small widget": "widget"}
+    grouped = R.model_groups(v.models_v, splits, merges)
+    order = F.struct("intelligence_rank", F.length("display_name"), "id")
+    return grouped.groupBy("group_key").agg(F.count(F.lit(1)).alias("members"), F.min("intelligence_rank").alias("best_rank"), F.min_by("display_name", order).alias("label"), F.bool_or("chosen").alias("user_defined"))
 
 
 @query("SELECT model_id, sum(input_tokens + output_tokens) AS tokens, count(*) AS requests FROM requests_v WHERE created_at >= $NOW - INTERVAL 7 DAY AND created_at <= $NOW GROUP BY 1 ORDER BY requests DESC, model_id LIMIT 5", tokens="BIGINT")
@@ -262,26 +294,27 @@ def agg44_top_models(v):
     return used.orderBy(F.desc("requests"), "model_id").limit(5)
 
 
-_COOL = "cool AS (SELECT platform, created_at + INTERVAL 1 DAY AS expires FROM requests_v WHERE status = 'error')"
-
-
-@query(f"WITH {_COOL} SELECT platform, count(*) AS active, min(expires) AS resume FROM cool WHERE expires > $NOW GROUP BY 1")
+@query(f"WITH {_COOL} SELECT platform, count(*) AS active, min(expires) AS resume FROM cool WHERE expires > $NOW - INTERVAL 1 DAY GROUP BY 1")
 def agg45_cooldowns(v):
-    cool = v.requests_v.filter("status = 'error'").select("platform", (F.col("created_at") + F.expr("INTERVAL 1 DAY")).alias("expires"))
-    return cool.filter(F.col("expires") > now()).groupBy("platform").agg(F.count(F.lit(1)).alias("active"), F.min("expires").alias("resume"))
+    """Keys of a platform that are benched a day before the log's end, and when the first of them is back."""
+    cool = R.cooldowns(v.requests_v.filter("status = 'error'"), now() - F.expr("INTERVAL 1 DAY"))
+    return cool.groupBy("platform").agg(F.count(F.lit(1)).alias("active"), F.min("expires").alias("resume"))
 
 
-@query("SELECT key_id, sum(ceil(tokens * factor)) AS billed FROM (SELECT key_id, model_id, sum(input_tokens + output_tokens) AS tokens, CASE WHEN model_id = 'm1' THEN 1.5 ELSE 0.3 END AS factor FROM requests_v WHERE created_at >= TIMESTAMP '2024-01-30 00:00:00' GROUP BY 1, 2) GROUP BY 1", billed="DOUBLE")
+@query("SELECT key_id, sum(ceil(tokens * coalesce(factor, 1.0))) AS billed FROM (SELECT platform, model_id, key_id, sum(input_tokens + output_tokens) AS tokens FROM requests_v WHERE created_at >= date_trunc('day', $NOW - INTERVAL 1 DAY) GROUP BY 1, 2, 3) u LEFT JOIN (SELECT platform, model_id, 0.25 + priority / 4 AS factor FROM models_v WHERE enabled) m ON u.platform = m.platform AND u.model_id = m.model_id GROUP BY 1", billed="DOUBLE")
 def agg46_billed_tokens(v):
-    per = v.requests_v.filter("created_at >= TIMESTAMP_NTZ '2024-01-30 00:00:00'").groupBy("key_id", "model_id").agg(F.sum(F.col("input_tokens") + F.col("output_tokens")).alias("tokens"))
-    factor = F.when(F.col("model_id") == "m1", 1.5).otherwise(0.3)
-    return per.groupBy("key_id").agg(F.sum(F.ceil(F.col("tokens") * factor)).cast("double").alias("billed"))
+    """Tokens of the log's last day at each model's multiplier, rounded up by model; models without one count singly."""
+    since = F.date_trunc("day", now() - F.expr("INTERVAL 1 DAY"))
+    per = v.requests_v.filter(F.col("created_at") >= since).groupBy("platform", "model_id", "key_id").agg(F.sum(F.col("input_tokens") + F.col("output_tokens")).alias("tokens"))
+    factors = v.models_v.filter("enabled").select("platform", "model_id", (F.lit(0.25) + F.col("priority") / 4).alias("factor"))
+    both = per.join(factors.hint("merge"), ["platform", "model_id"], "left")
+    return both.groupBy("key_id").agg(F.sum(F.ceil(F.col("tokens") * F.coalesce("factor", F.lit(1.0)))).cast("double").alias("billed"))
 
 
-@query(f"SELECT platform, {_GROUP} AS group_key, count(*) AS n, min(id) AS first_id FROM models_v GROUP BY 1, 2 HAVING count(*) > 1")
+@query("SELECT l_suppkey AS platform, l_partkey AS model_id, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
 def agg48_ambiguous_models(v):
-    """Names that stand for several models of one platform."""
-    return v.models_v.groupBy("platform", X.group_key(F.col("display_name")).alias("group_key")).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id")).filter("n > 1")
+    """Identities (supplier and part) that more than one row holds."""
+    return v.lineitem.groupBy(F.col("l_suppkey").alias("platform"), F.col("l_partkey").alias("model_id")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
 _RANKED = "SELECT platform, latency_ms, row_number() OVER (PARTITION BY platform ORDER BY latency_ms) AS rn, count(*) OVER (PARTITION BY platform) AS n FROM requests_v WHERE latency_ms IS NOT NULL"
@@ -370,9 +403,14 @@ def win24_sliding_usage(v):
     return R.sliding_usage(v.requests_v, ["platform", "model_id", "key_id"]).select("id", "requests_minute", "tokens_minute", "requests_day", "tokens_day")
 
 
-@query(f"SELECT id, hits, CASE least(hits, 4) WHEN 1 THEN 120 WHEN 2 THEN 600 WHEN 3 THEN 3600 ELSE 86400 END AS bench_s FROM (SELECT id, count(*) OVER (PARTITION BY platform, model_id ORDER BY {_US} RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW) AS hits FROM requests_v WHERE status = 'error')")
+@query(f"""WITH h AS (SELECT id, created_at, count(*) OVER d AS hits, count(*) OVER h AS hour_hits, size_label <> 'small' AS known FROM (SELECT r.*, m.size_label FROM requests_v r LEFT JOIN models_v m ON r.platform = m.platform AND r.model_id = m.model_id WHERE status = 'error')
+    WINDOW d AS (PARTITION BY platform, model_id, key_id ORDER BY {_US} RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW), h AS (PARTITION BY platform, model_id, key_id ORDER BY {_US} RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW))
+    SELECT id, hits, hour_hits, CASE WHEN NOT coalesce(known, false) AND hour_hits < 2 THEN 0 ELSE CASE least(hits, 4) WHEN 1 THEN 120 WHEN 2 THEN 600 WHEN 3 THEN 3600 ELSE 86400 END END AS bench_s FROM h""")
 def win25_bench_time(v):
-    return R.bench_time(v.requests_v.filter("status = 'error'"), ["platform", "model_id"]).select("id", "hits", "bench_s")
+    """Bench time of each failure of a (platform, model, key); where a model's limits are unknown, the second one within an hour is the first to count."""
+    known = v.models_v.select("platform", "model_id", (F.col("size_label") != "small").alias("known"))
+    bad = v.requests_v.filter("status = 'error'").join(known.hint("merge"), ["platform", "model_id"], "left")
+    return R.bench_time(bad, ["platform", "model_id", "key_id"], known=F.coalesce("known", F.lit(False))).select("id", "hits", "hour_hits", "bench_s")
 
 
 @query("SELECT id, created_at, error FROM requests_v WHERE status = 'error' ORDER BY created_at DESC, id DESC LIMIT 50")
@@ -380,10 +418,12 @@ def top03_recent_errors(v):
     return v.requests_v.filter("status = 'error'").select("id", "created_at", "error").orderBy(F.desc("created_at"), F.desc("id")).limit(50)
 
 
-@query("SELECT id, array_to_string(list_transform(range(1, input_tokens % 4 + 1), lambda x: 'attempt ' || CAST(x AS VARCHAR)), ',') AS attempts FROM requests_v WHERE status = 'error' AND input_tokens % 4 > 0")
+@query("SELECT l_orderkey AS id, string_agg(CAST(l_linenumber AS VARCHAR) || ':' || l_returnflag || l_linestatus, ',' ORDER BY l_linenumber, l_returnflag, l_linestatus) AS attempts FROM lineitem GROUP BY 1")
 def top05_attempts_in_order(v):
-    bad = v.requests_v.filter("status = 'error' AND input_tokens % 4 > 0").select("id", F.explode(F.expr("sequence(1, CAST(input_tokens % 4 AS INT))")).alias("ordinal"))
-    return bad.groupBy("id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("ordinal")), lambda o: F.concat(F.lit("attempt "), o.cast("string"))), ",").alias("attempts"))
+    """The lines of an order by their numbers, with what became of each; an order has few lines."""
+    one = F.struct("l_linenumber", "l_returnflag", "l_linestatus")
+    said = lambda a: F.concat(a["l_linenumber"].cast("string"), F.lit(":"), a["l_returnflag"], a["l_linestatus"])
+    return v.lineitem.groupBy(F.col("l_orderkey").alias("id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(one)), said), ",").alias("attempts"))
 
 
 @query(f"WITH {_DECAY}, r AS (SELECT * FROM requests_v WHERE requested_model IS NOT NULL AND status = 'error'), m AS (SELECT m.*, round(0.5 * (coalesce(good, 0) + 1) / (coalesce(good, 0) + coalesce(bad, 0) + 2) + 0.25 * 0.6 + 0.25 * intelligence_rank / 50.0, 6) AS score FROM models_v m LEFT JOIN decayed d ON m.platform = d.platform AND m.model_id = d.model_id) SELECT r.id AS request_id, m.id AS model, row_number() OVER (PARTITION BY r.id ORDER BY (m.platform = r.platform) DESC, m.score DESC, m.priority, m.id) AS place FROM r JOIN m ON m.model_id = r.requested_model")
@@ -490,22 +530,31 @@ def fun29_reset_time(v):
     return v.requests_v.select("id", raw.alias("v")).select("id", F.when(F.col("v") > 1e12, F.col("v") / 1000.0).when(F.col("v") > 1e9, F.col("v") * 1.0).otherwise(F.col("v") * 1.0 + 1706659200).cast("double").alias("reset_s"))
 
 
-@query("SELECT id, CASE WHEN reset_at < $NOW - INTERVAL 10 DAY THEN lim ELSE remaining END AS remaining, CASE WHEN reset_at >= $NOW - INTERVAL 10 DAY THEN reset_at END AS reset_at FROM (SELECT id, created_at AS reset_at, 100 AS lim, input_tokens AS remaining FROM requests_v)")
+@query("""WITH s AS (SELECT platform, key_id, request_type AS pool, max(created_at) + INTERVAL 1 DAY AS reset_at, 100 AS lim, greatest(0, 100 - max_by(input_tokens, (created_at, id))) AS remaining FROM requests_v WHERE key_id IS NOT NULL GROUP BY 1, 2, 3)
+    SELECT platform, key_id, pool, CASE WHEN reset_at < $NOW THEN lim ELSE remaining END AS remaining, CASE WHEN reset_at >= $NOW THEN reset_at END AS reset_at FROM s""", remaining="BIGINT")
 def fun30_quota_expiry(v):
-    past = F.col("created_at") < now() - F.expr("INTERVAL 10 DAYS")
-    return v.requests_v.select("id", F.when(past, F.lit(100).cast("long")).otherwise(F.col("input_tokens")).alias("remaining"), F.when(~past, F.col("created_at")).alias("reset_at"))
+    """Quota rows by their newest observation, with a reset a day later: past it the whole limit is back and there is no reset."""
+    s = win02_latest_observation(v).select("platform", "key_id", "pool", (F.col("observed_at") + F.expr("INTERVAL 1 DAY")).alias("reset_at"), F.greatest(F.lit(0), F.lit(100) - F.col("used")).alias("remaining"))
+    past = F.col("reset_at") < now()
+    return s.select("platform", "key_id", "pool", F.when(past, F.lit(100)).otherwise(F.col("remaining")).cast("long").alias("remaining"), F.when(~past, F.col("reset_at")).alias("reset_at"))
 
 
-@query("SELECT id, CASE WHEN regexp_matches(budget_label, '[0-9]+(-[0-9]+)?[MK]') THEN CAST(regexp_extract(budget_label, '([0-9]+)[MK]', 1) AS BIGINT) * CASE WHEN budget_label LIKE '%M' THEN 1000000 ELSE 1000 END ELSE 0 END AS budget FROM models_v")
+@query(f"SELECT id, {_BUDGET} AS budget FROM models_v")
 def fun31_budget_label(v):
-    n = F.expr("try_cast(regexp_extract(budget_label, '([0-9]+)[MK]', 1) AS BIGINT)")
-    unit = F.when(F.col("budget_label").endswith("M"), 1_000_000).otherwise(1000)
-    return v.models_v.select("id", F.coalesce(n * unit, F.lit(0)).alias("budget"))
+    return v.models_v.select("id", S.budget_tokens(F.col("budget_label")).alias("budget"))
 
 
-@query("SELECT model_id, min(CAST(regexp_extract(error, 'limit ([0-9]+)', 1) AS BIGINT)) AS learned FROM requests_v WHERE regexp_matches(error, 'limit [0-9]+ TPM') GROUP BY 1")
+@query("""WITH e AS (SELECT platform, model_id, CASE WHEN regexp_matches(error, '(?i)tpm|tokens per minute') THEN 'tpm' WHEN regexp_matches(error, '(?i)tpd|tokens per day') THEN 'tpd' WHEN regexp_matches(error, '(?i)rpm|requests per minute') THEN 'rpm' WHEN regexp_matches(error, '(?i)rpd|requests per day') THEN 'rpd' END AS axis,
+        CAST(replace(nullif(regexp_extract(error, '(?i)\\blimit[:\\s]+([0-9,]+)', 1), ''), ',', '') AS BIGINT) AS said FROM requests_v WHERE status = 'error'),
+    l AS (SELECT platform, model_id, axis, min(said) AS learned FROM e WHERE said > 0 AND axis IS NOT NULL GROUP BY 1, 2, 3), k AS (SELECT platform, model_id, CASE WHEN priority > 0 THEN 2000 * priority END AS known FROM models_v)
+    SELECT l.platform, l.model_id, axis, least(coalesce(known, learned), learned) AS applied, known IS NULL OR known > learned AS changed FROM l LEFT JOIN k ON l.platform = k.platform AND l.model_id = k.model_id""")
 def fun33_learned_limit(v):
-    return v.requests_v.filter(F.col("error").rlike("limit [0-9]+ TPM")).groupBy("model_id").agg(F.min(F.regexp_extract("error", "limit ([0-9]+)", 1).cast("long")).alias("learned"))
+    """The least limit that a provider told for a model and axis; it fills an unknown limit or lowers a known one, and never raises it."""
+    axis, said = X.limit_axis(F.col("error")), X.limit_number(F.col("error"))
+    learned = v.requests_v.filter("status = 'error'").select("platform", "model_id", axis.alias("axis"), said.alias("said")).filter("said > 0 AND axis IS NOT NULL").groupBy("platform", "model_id", "axis").agg(F.min("said").alias("learned"))
+    known = v.models_v.select("platform", "model_id", F.when(F.col("priority") > 0, F.col("priority") * 2000).alias("known"))
+    both = learned.join(known.hint("merge"), ["platform", "model_id"], "left")
+    return both.select("platform", "model_id", "axis", F.least(F.coalesce("known", "learned"), "learned").alias("applied"), (F.col("known").isNull() | (F.col("known") > F.col("learned"))).alias("changed"))
 
 
 _FLAGS = {
@@ -549,6 +598,6 @@ def fun11_family(v):
     return v.models_v.select("id", X.family(F.concat(F.lit("vendor/"), "model_id", F.lit(":free"))).alias("family"))
 
 
-@query("SELECT id, sha256('{\"model\":\"' || model_id || '\",\"type\":\"' || request_type || '\"}') AS hash FROM requests_v")
+@query(f"SELECT id, sha256({_REQUEST}) AS hash FROM requests_v")
 def fun20_canonical_hash(v):
-    return v.requests_v.select("id", F.sha2(F.to_json(F.struct(F.col("model_id").alias("model"), F.col("request_type").alias("type"))), 256).alias("hash"))
+    return v.requests_v.select("id", F.sha2(_request(), 256).alias("hash"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import inline_payload
 from ..streaming import request_stream as R
 from .registry import query
 
@@ -50,9 +51,12 @@ def str03_sliding_limits(v):
     return out
 
 
-@query("SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events")
+@query("""WITH s AS (SELECT event_id, user_id, props, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events) SELECT event_id, user_id, seq, (seq - 1) // 50 AS write_batch,
+    CASE WHEN strlen(props) > 8 THEN to_json({'truncated': true, 'original_size': strlen(props), 'preview': substring(props, 1, 5) || '... [TRUNCATED]', 'message': 'Payload exceeded maximum inline size.'})::VARCHAR ELSE props END AS payload FROM s""", write_batch="BIGINT")
 def str04_sequences(v):
-    return R.drain(R.sequences(_events(v)), "sequences").drop("batch")
+    """A number for each event within its trace, its batch of at most 50, and its payload, cut if too large."""
+    rows = R.drain(R.sequences(_events(v)), "sequences")
+    return rows.select("event_id", "user_id", "seq", F.floor((F.col("seq") - 1) / 50).alias("write_batch"), inline_payload(F.col("props"), cap=8, preview=5).alias("payload"))
 
 
 @query("SELECT DISTINCT user_id, event_type FROM events")
@@ -75,15 +79,20 @@ def str09_live_tail(v):
     return R.drain(R.tail(_events(v), 7, 100), "tail").select("event_id", "event_type", _ntz("ts"))
 
 
-@query("SELECT count(*) AS seen, count(*) FILTER (WHERE event_type = 'error') AS failed, count(*) FILTER (WHERE event_type = 'error') <= 0.3 * count(*) AS within_budget FROM events")
+@query("""WITH p AS (SELECT product_id, count(*) AS n, count(*) FILTER (WHERE value IS NULL) AS bad FROM attributes_v GROUP BY 1), t AS (SELECT count(*) AS seen, count(*) FILTER (WHERE bad > n / 4) AS failed FROM p)
+    SELECT product_id, CASE WHEN bad > n / 4 THEN 'FAILED' ELSE 'COMPLETED' END AS status, CASE WHEN bad > n / 4 THEN CAST(bad AS VARCHAR) || ' of ' || CAST(n AS VARCHAR) || ' values missing' END AS error, seen, failed, failed <= 0.3 * seen AS within_budget FROM p, t""")
 def str10_failure_budget(v):
-    """Failures are columns, not exceptions; the budget is judged on counts after the stage."""
-    n, bad = F.count(F.lit(1)), F.count_if(F.col("event_type") == "error")
-    return v.events.agg(n.alias("seen"), bad.alias("failed"), (bad <= n * 0.3).alias("within_budget"))
+    """A batch of products: a failure is a column of its row and stops no other; whether the batch is within its budget is told by the counts."""
+    p = v.attributes_v.groupBy("product_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value").isNull()).alias("bad"))
+    failed = F.col("bad") > F.col("n") / 4
+    done = p.select("product_id", F.when(failed, "FAILED").otherwise("COMPLETED").alias("status"), F.when(failed, F.format_string("%d of %d values missing", "bad", "n")).alias("error"))
+    t = done.agg(F.count(F.lit(1)).alias("seen"), F.count_if(F.col("status") == "FAILED").alias("failed"))
+    return done.crossJoin(F.broadcast(t)).withColumn("within_budget", F.col("failed") <= F.col("seen") * 0.3)  # one row
 
 
-@query("SELECT event_type, count(*) AS raw_rows, max(date_trunc('hour', ts)) AS last_hour FROM events GROUP BY 1")
+@query("SELECT CASE WHEN GROUPING(hour) = 1 THEN 'lifetime' ELSE 'hour' END AS grain, hour, event_type, count(*) AS requests, count(*) FILTER (WHERE event_type = 'error') AS errors, sum(k) AS input_tokens, sum(3 * k) AS output_tokens FROM (SELECT date_trunc('hour', ts) AS hour, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY GROUPING SETS ((hour, event_type), (event_type))", input_tokens="BIGINT", output_tokens="BIGINT")
 def src13_append_and_rollup(v):
-    """Raw rows and hourly deltas of the same stream: the raw append is written by batch, and the rollup is read off it."""
-    raw = R.drain(_events(v).select("event_type", "ts"), "raw")
-    return raw.groupBy("event_type").agg(F.count(F.lit(1)).alias("raw_rows"), F.date_trunc("hour", F.max("ts")).cast("timestamp_ntz").alias("last_hour"))
+    """The stream's raw rows are appended by batch; hourly and lifetime counters and token sums are read off what was appended."""
+    raw = R.drain(_events(v).select("event_type", "ts", F.get_json_object("props", "$.k").cast("long").alias("k")), "raw").withColumn("hour", F.date_trunc("hour", "ts").cast("timestamp_ntz"))
+    out = raw.groupingSets([["hour", "event_type"], ["event_type"]], "hour", "event_type").agg(F.grouping("hour").alias("g"), F.count(F.lit(1)).alias("requests"), F.count_if(F.col("event_type") == "error").alias("errors"), F.sum("k").alias("input_tokens"), F.sum(F.col("k") * 3).alias("output_tokens"))
+    return out.select(F.when(F.col("g") == 1, "lifetime").otherwise("hour").alias("grain"), "hour", "event_type", "requests", "errors", "input_tokens", "output_tokens")

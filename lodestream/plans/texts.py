@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from ..functions import text as X
-from ..operators import texts as T
+from ..operators import products as P, texts as T
 from .registry import query
 
 _LINES = "lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)"
@@ -146,23 +146,41 @@ def txt11_pipe_rows(v):
     return T.lines(v.documents).filter(F.col("line").contains(" | ")).select("doc_id", "pos", F.size(cells).cast("long").alias("cells"), F.trim(F.get(cells, 0)).alias("first_cell"))
 
 
-@query(f"WITH {_LINES} SELECT doc_id, 'text' AS kind, count(*) AS n, 1.0 AS confidence FROM lines WHERE regexp_matches(line, '^[^:]{{2,40}}:') GROUP BY 1 UNION ALL SELECT doc_id, 'table', count(*), 0.98 FROM lines WHERE contains(line, ' | ') GROUP BY 1", confidence="DOUBLE")
+@query(f"""WITH {_LINES} SELECT doc_id, pos, 'text' AS kind, trim(regexp_extract(line, '{_PAIR}', 1)) AS key, trim(regexp_extract(line, '{_PAIR}', 2)) AS value, 1.0 AS confidence FROM lines WHERE regexp_matches(line, '{_PAIR}')
+    UNION ALL SELECT doc_id, pos, 'table', trim(string_split(line, ' | ')[1]), trim(string_split(line, ' | ')[2]), 0.98 FROM lines WHERE contains(line, ' | ')""", confidence="DOUBLE", pos="BIGINT")
 def txt12_observed_attributes(v):
-    rows = T.lines(v.documents)
-    text = rows.filter(F.col("line").rlike("^[^:]{2,40}:")).groupBy("doc_id").agg(F.lit("text").alias("kind"), F.count(F.lit(1)).alias("n"), F.lit(1.0).alias("confidence"))
-    cells = rows.filter(F.col("line").contains(" | ")).groupBy("doc_id").agg(F.lit("table").alias("kind"), F.count(F.lit(1)).alias("n"), F.lit(0.98).alias("confidence"))
-    return text.unionByName(cells)
+    """Attributes as they are observed: ``key: value`` and ``key = value`` lines, surely, and the first two cells of table rows, nearly so."""
+    rows, cells = T.lines(v.documents), F.split("line", r" \| ")
+    text = rows.filter(F.col("line").rlike(_PAIR)).select("doc_id", "pos", F.lit("text").alias("kind"), F.trim(F.regexp_extract("line", _PAIR, 1)).alias("key"), F.trim(F.regexp_extract("line", _PAIR, 2)).alias("value"), F.lit(1.0).alias("confidence"))
+    table = rows.filter(F.col("line").contains(" | ")).select("doc_id", "pos", F.lit("table").alias("kind"), F.trim(F.get(cells, 0)).alias("key"), F.trim(F.get(cells, 1)).alias("value"), F.lit(0.98).alias("confidence"))
+    return text.unionByName(table)
 
 
-@query("SELECT media_id, event_id, 'scene' AS kind, start_s FROM timeline_v WHERE content = 'view' UNION ALL SELECT media_id, event_id, 'ocr', start_s FROM timeline_v WHERE content = 'click' UNION ALL SELECT media_id, event_id, 'speech', start_s FROM timeline_v WHERE content = 'purchase'")
+@query("""WITH k AS (SELECT media_id, event_id, start_s, end_s, CASE content WHEN 'view' THEN 'scene' WHEN 'click' THEN 'ocr' WHEN 'purchase' THEN 'speech' END AS kind FROM timeline_v WHERE content IN ('view', 'click', 'purchase')),
+    t AS (SELECT *, CASE WHEN start_s - lag(start_s) OVER (PARTITION BY media_id, kind ORDER BY start_s, event_id) <= 0.1 THEN 0 ELSE 1 END AS new FROM k), i AS (SELECT *, sum(new) OVER (PARTITION BY media_id, kind ORDER BY start_s, event_id ROWS UNBOUNDED PRECEDING) AS island FROM t),
+    m AS (SELECT media_id, kind, min(start_s) AS start_s, max(end_s) AS end_s, count(*) AS merged FROM i GROUP BY media_id, kind, island)
+    SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY start_s, kind) AS place FROM m""")
 def txt13_timeline(v):
-    parts = [v.timeline_v.filter(F.col("content") == c).select("media_id", "event_id", F.lit(k).alias("kind"), "start_s") for c, k in (("view", "scene"), ("click", "ocr"), ("purchase", "speech"))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """Scenes, visible text and speech as one ordered table of events, those of a kind at nearly the same time merged."""
+    parts = [v.timeline_v.filter(F.col("content") == c).select("media_id", "event_id", F.lit(k).alias("kind"), "start_s", "end_s") for c, k in (("view", "scene"), ("click", "ocr"), ("purchase", "speech"))]
+    events = P.merged_events(parts[0].unionByName(parts[1]).unionByName(parts[2]), ["media_id", "kind"], 0.1).drop("ids")
+    return events.withColumn("place", F.row_number().over(W.partitionBy("media_id").orderBy("start_s", "kind")).cast("long"))
 
 
-@query("SELECT event_id, content || ' at ' || CAST(CAST(start_s AS INT) AS VARCHAR) || ' s' AS said FROM timeline_v")
+@query("""SELECT media_id, CAST(NULL AS BIGINT) AS event_id, 'metadata' AS kind, 'Media metadata: ' || CAST(count(*) AS VARCHAR) || ' events, ' || CAST(CAST(floor(max(end_s)) AS INT) AS VARCHAR) || ' s' AS said, 1.0 AS confidence FROM timeline_v GROUP BY 1
+    UNION ALL SELECT media_id, event_id, 'scene', 'Keyframe selected at ' || CAST(CAST(start_s AS INT) AS VARCHAR) || ' s', 1.0 FROM timeline_v WHERE content = 'signup'
+    UNION ALL SELECT media_id, event_id, CASE content WHEN 'view' THEN 'visual' WHEN 'error' THEN 'ocr' ELSE 'speech' END, CASE content WHEN 'view' THEN 'Visual observation: ' WHEN 'error' THEN 'Visible text: ' ELSE 'Spoken: ' END || content, round(1 - (end_s - start_s) / 1000, 6) FROM timeline_v WHERE content IN ('view', 'error', 'click')""", confidence="DOUBLE")
 def txt14_media_evidence(v):
-    return v.timeline_v.select("event_id", F.format_string("%s at %d s", "content", F.col("start_s").cast("int")).alias("said"))
+    """Evidence rows of five kinds: a medium's metadata, its keyframes, what is seen, read and heard."""
+    t = v.timeline_v
+    whole = t.groupBy("media_id").agg(F.count(F.lit(1)).alias("n"), F.floor(F.max("end_s")).cast("int").alias("s"))
+    meta = whole.select("media_id", F.lit(None).cast("long").alias("event_id"), F.lit("metadata").alias("kind"), F.format_string("Media metadata: %d events, %d s", "n", "s").alias("said"), F.lit(1.0).alias("confidence"))
+    frames = t.filter("content = 'signup'").select("media_id", "event_id", F.lit("scene").alias("kind"), F.format_string("Keyframe selected at %d s", F.col("start_s").cast("int")).alias("said"), F.lit(1.0).alias("confidence"))
+    sure = F.round(F.lit(1) - (F.col("end_s") - F.col("start_s")) / 1000, 6).alias("confidence")
+    out = meta.unionByName(frames)
+    for content, kind, said in (("view", "visual", "Visual observation"), ("error", "ocr", "Visible text"), ("click", "speech", "Spoken")):
+        out = out.unionByName(t.filter(F.col("content") == content).select("media_id", "event_id", F.lit(kind).alias("kind"), F.concat(F.lit(f"{said}: "), "content").alias("said"), sure))
+    return out
 
 
 @query(f"WITH {_LINES} SELECT doc_id, sha256(string_agg(CAST(pos AS VARCHAR) || ' ' || {_KIND} || ' ' || line, chr(10) ORDER BY pos)) AS said FROM lines GROUP BY 1")
@@ -171,9 +189,19 @@ def txt15_assembled_text(v):
     return rows.groupBy("doc_id").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["l"]), "\n"), 256).alias("said"))
 
 
-@query("SELECT l_orderkey AS image_id, count(*) FILTER (WHERE l_linenumber % 2 = 0) AS specifications, round(coalesce(avg(CASE WHEN l_tax > 0.04 THEN l_discount END), 0.85), 8) AS confidence FROM lineitem GROUP BY 1")
+@query("""WITH i AS (SELECT DISTINCT product_id AS image_id, value AS label, regexp_matches(value, '[0-9]') AS spec FROM attributes_v WHERE value IS NOT NULL), s AS (SELECT product_id AS image_id, round(avg(page / 10.0) FILTER (WHERE value IS NOT NULL), 6) AS sure FROM attributes_v GROUP BY 1),
+    l AS (SELECT image_id, string_agg(label, ', ' ORDER BY label) AS labels, string_agg(label, ', ' ORDER BY label) FILTER (WHERE spec) AS specifications, string_agg(label, ', ' ORDER BY label) FILTER (WHERE NOT spec) AS components, count(*) AS items FROM i GROUP BY 1)
+    SELECT s.image_id, coalesce(labels, 'None detected') AS labels, coalesce(specifications, 'None visible') AS specifications, coalesce(components, 'None specified') AS components, coalesce(items, 0) AS items, coalesce(sure, 0.85) AS confidence FROM s LEFT JOIN l ON s.image_id = l.image_id""", confidence="DOUBLE")
 def txt16_image_summary(v):
-    return v.lineitem.groupBy(F.col("l_orderkey").alias("image_id")).agg(F.count_if(F.col("l_linenumber") % 2 == 0).alias("specifications"), F.round(F.coalesce(F.avg(F.when(F.col("l_tax") > 0.04, F.col("l_discount"))), F.lit(0.85)), 8).alias("confidence"))
+    """The distinct labels of an image, those with digits as specifications, the others as components, and the mean confidence (0.85 without a label)."""
+    a = v.attributes_v.withColumnRenamed("product_id", "image_id")
+    labels = a.filter("value IS NOT NULL").select("image_id", "value").distinct().groupBy("image_id").agg(F.array_sort(F.collect_list("value")).alias("x"))
+    spec = F.filter("x", lambda s: s.rlike("[0-9]"))
+    part = F.filter("x", lambda s: ~s.rlike("[0-9]"))
+    sure = a.groupBy("image_id").agg(F.round(F.avg(F.when(F.col("value").isNotNull(), F.col("page") / 10.0)), 6).alias("sure"))
+    said = lambda c, none: F.coalesce(F.nullif(F.array_join(c, ", "), F.lit("")), F.lit(none))
+    both = sure.join(labels.hint("merge"), "image_id", "left")
+    return both.select("image_id", said(F.col("x"), "None detected").alias("labels"), said(spec, "None visible").alias("specifications"), said(part, "None specified").alias("components"), F.coalesce(F.size("x").cast("long"), F.lit(0)).alias("items"), F.coalesce("sure", F.lit(0.85)).alias("confidence"))
 
 
 @query(f"WITH {_LINES}, c AS (SELECT *, coalesce(lag(line) OVER (PARTITION BY doc_id ORDER BY pos) <> line, true) AS changed FROM lines), i AS (SELECT *, sum(CAST(changed AS INT)) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS island FROM c), r AS (SELECT doc_id, min(pos) AS pos, any_value(line) AS line, count(*) AS n FROM i GROUP BY doc_id, island) SELECT doc_id, sha256(string_agg(CASE WHEN n >= 3 THEN line || chr(10) || '[' || CAST(n - 1 AS VARCHAR) || ' identical lines]' ELSE array_to_string(list_transform(range(n), lambda x: line), chr(10)) END, chr(10) ORDER BY pos)) AS said, sum(CASE WHEN n >= 3 THEN n - 1 ELSE 0 END) AS dropped FROM r GROUP BY 1", dropped="BIGINT")
@@ -195,8 +223,6 @@ def win20_head_tail(v):
 @query(f"WITH {_LINES}, w AS (SELECT *, regexp_matches(line, '[0-9]') AS must, len(list_filter(string_split(line, ' '), lambda x: length(x) > 6)) AS score FROM lines), s AS (SELECT *, sum(length(line)) OVER (PARTITION BY doc_id ORDER BY must DESC, score DESC, pos ROWS UNBOUNDED PRECEDING) AS upto, sum(length(line)) OVER (PARTITION BY doc_id) AS total FROM w) SELECT doc_id, count(*) AS kept, sum(length(line)) AS chars, sha256(string_agg(line, chr(10) ORDER BY pos)) AS said FROM s WHERE must OR upto <= greatest(total / 2, 200) GROUP BY 1", chars="BIGINT")
 def win21_budgeted_drop(v):
     """Lines by score until half the text is kept, in their own order; lines with numbers are never dropped. A window goes over one text's lines."""
-    from pyspark.sql import Window as W
-
     rows = T.lines(v.documents).withColumn("n", F.char_length("line")).withColumn("must", F.col("line").rlike("[0-9]"))
     rows = rows.withColumn("score", F.size(F.filter(F.split("line", " "), lambda x: F.length(x) > 6)))
     upto = F.sum("n").over(W.partitionBy("doc_id").orderBy(F.desc("must"), F.desc("score"), "pos").rowsBetween(W.unboundedPreceding, 0))

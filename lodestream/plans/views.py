@@ -17,6 +17,10 @@ K_SPARK, K_DUCK = "CAST(get_json_object(props, '$.k') AS BIGINT)", "CAST(json_ex
 #: The instant at which the queries look back; the events end before it.
 NOW = "TIMESTAMP '2024-01-31 00:00:00'"
 
+#: SQL twins of ``text.group_key`` and ``scores.budget_tokens``.
+GROUP_KEY = "regexp_replace(lower(regexp_replace(display_name, '(\\s*\\([^()]*\\)|\\s+free)+\\s*$', '')), '[\\s_./-]+', ' ', 'g')"
+BUDGET = "CASE WHEN regexp_matches(budget_label, '[0-9]+(-[0-9]+)?[MK]') THEN CAST(regexp_extract(budget_label, '([0-9]+)[MK]', 1) AS BIGINT) * CASE WHEN budget_label LIKE '%M' THEN 1000000 ELSE 1000 END ELSE 0 END"
+
 VIEWS: dict[str, tuple[str, list[str], str | None]] = {
     "requests_v": ("events", [
         "event_id AS id", "ts AS created_at", "'p' || CAST(user_id % 5 AS STRING) AS platform", "'m' || CAST(user_id % 12 AS STRING) AS model_id",
@@ -65,6 +69,9 @@ VIEWS: dict[str, tuple[str, list[str], str | None]] = {
         "CASE WHEN role = 'assistant' AND conv_id % 3 = 0 THEN '<think>plan ' || CAST(conv_id AS STRING) || '</think> ' || text WHEN role = 'system' THEN 'Be brief.   ' ELSE text END AS text",
         "'file' || CAST(conv_id % 4 AS STRING) || '.txt' AS path", "CASE turn % 3 WHEN 0 THEN 'read' WHEN 1 THEN 'write' ELSE 'say' END AS action",
     ], None),
+    "cache_v": ("events", [
+        "event_id AS item_id", "ts AS used_at", "ts + INTERVAL 7 DAY AS expires_at", f"{K} AS size", "event_type AS industry", "'c' || CAST(user_id % 12 AS STRING) AS category",
+    ], None),
     "timeline_v": ("events", [
         "event_id", "CAST(ts AS DATE) AS media_id", "(extract(hour FROM ts) * 3600 + extract(minute FROM ts) * 60) / CAST(1 AS DOUBLE) AS start_s",
         "(extract(hour FROM ts) * 3600 + extract(minute FROM ts) * 60) / CAST(1 AS DOUBLE) + value AS end_s", "event_type AS content",

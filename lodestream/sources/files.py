@@ -96,6 +96,13 @@ def flatten_taxonomy(nested: DataFrame, column: str = "json") -> DataFrame:
     return parsed.select(F.explode("m").alias("industry", "c")).select("industry", F.explode("c").alias("category", "types"))
 
 
+def attribute_patterns(nested: DataFrame, taxonomy: DataFrame, column: str = "json") -> DataFrame:
+    """Rows of ``taxonomy`` (with category) with the attributes of {category: {common_attributes: [{key, unit, data_type}]}}; nulls where there are none."""
+    parsed = nested.select(F.from_json(column, "map<string, struct<common_attributes: array<struct<key: string, unit: string, data_type: string>>>>").alias("m"))
+    known = parsed.select(F.explode("m").alias("category", "p")).select("category", F.col("p.common_attributes").alias("a"))
+    return taxonomy.join(known.hint("merge"), "category", "left").select(*taxonomy.columns, F.explode_outer("a").alias("a")).select(*taxonomy.columns, "a.*")
+
+
 def labels(lines: DataFrame, column: str = "value") -> DataFrame:
     """label of each `rdfs:label "..."` line."""
     return lines.select(F.regexp_extract(column, 'rdfs:label "([^"]*)"(@en)?', 1).alias("label")).filter("label <> ''")

@@ -58,16 +58,16 @@ def sliding_limits(events: DataFrame, span: str, every: str, requests: int, toke
 
 
 def sequences(events: DataFrame) -> DataFrame:
-    """event_id and its number within its user's trace; the state is one counter a user."""
+    """event_id, props and the event's number within its user's trace; the state is one counter a user."""
 
     def number(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         (at,) = state.get if state.exists else (0,)
         rows = pd.concat(batches).sort_values(["ts", "event_id"])
         rows["seq"] = range(at + 1, at + 1 + len(rows))
         state.update((at + len(rows),))
-        yield rows[["event_id", "user_id", "seq"]]
+        yield rows[["event_id", "user_id", "props", "seq"]]
 
-    return events.groupBy("user_id").applyInPandasWithState(number, "event_id long, user_id long, seq long", "n long", "append", GroupStateTimeout.NoTimeout)
+    return events.groupBy("user_id").applyInPandasWithState(number, "event_id long, user_id long, props string, seq long", "n long", "append", GroupStateTimeout.NoTimeout)
 
 
 def penalties(events: DataFrame) -> DataFrame:
