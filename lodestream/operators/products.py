@@ -53,19 +53,36 @@ def evidence_metrics(evidence: DataFrame, by: list[str]) -> DataFrame:
     return evidence.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 4).alias("mean_score"), F.countDistinct("source_type").alias("types"), F.bool_or(F.col("source_type").startswith("manufacturer")).alias("from_manufacturer"))
 
 
-def field_confidence(attributes: DataFrame, evidence: DataFrame) -> DataFrame:
-    """(attribute_id, score): weighted signals of each field and of its product's evidence, clamped to 0..1.
+# Weights of the signals for a field and of those against it.
+FIELD_WEIGHTS = {"authority": 0.25, "direct": 0.20, "quality": 0.10, "coverage": 0.10, "agreement": 0.15, "validation": 0.10}
+FIELD_PENALTIES = {"inference": 0.04, "conflict": 0.03, "missing": 0.01, "provisional": 0.02}
+#: Fields whose values must be numbers.
+NUMERIC_FIELDS = ("Length", "Weight", "Voltage")
 
-    Evidence is aggregated per product before the join, so a product with much of it costs one row.
+
+def field_confidence(attributes: DataFrame, evidence: DataFrame, required: tuple[str, ...]) -> DataFrame:
+    """(attribute_id, product_id, plus, minus, score): ten signals of each field and of its product's evidence, weighted, the difference clamped to 0..1.
+
+    Evidence is aggregated per product before the join, so a product with much of it costs one row; its coverage is the share of
+    ``required`` words that it holds. A conflicting field loses by how many other values it has.
     """
     weight = lookup(lookup(F.col("source_type"), SOURCE_TYPES, "SECONDARY_SOURCE"), AUTHORITY, 0.2)
-    per = evidence.groupBy("product_id").agg(F.max(weight).alias("authority"), F.avg("score").alias("quality"), F.count(F.lit(1)).alias("n"), F.bool_or(F.col("evidence_class") == "VERIFIED").alias("verified"))
-    both = attributes.join(per.hint("merge"), "product_id", "left")
-    direct = lookup(F.col("status"), {"DIRECTLY_SUPPORTED": 1.0, "INFERRED": 0.4, "CONFLICTING": 0.3}, 0.0)
-    agreement = F.when(F.col("n") >= 2, 0.9).when(F.col("n") == 1, 0.5).otherwise(0.0)
-    plus = F.coalesce("authority", F.lit(0.1)) * 0.3 + direct * 0.3 + F.coalesce("quality", F.lit(0.0)) * 0.2 + agreement * 0.2
-    minus = F.when(F.col("status") == "INFERRED", 0.03).otherwise(0.0) + F.when(F.col("value").isNull(), 0.1).otherwise(0.0) + F.when(F.col("verified"), 0.0).otherwise(0.05)
-    return both.select("attribute_id", "product_id", F.round(F.least(F.greatest(plus - minus, F.lit(0.0)), F.lit(1.0)), 4).alias("score"))
+    held = sum((F.bool_or(F.lower("content").contains(w)).cast("int") for w in required), F.lit(0)) / float(len(required))
+    per = evidence.groupBy("product_id").agg(F.max(weight).alias("authority"), F.avg("score").alias("quality"), F.count(F.lit(1)).alias("n"), F.bool_or(F.col("evidence_class") == "VERIFIED").alias("verified"), held.alias("coverage"))
+    variants = attributes.groupBy("product_id", "key").agg(F.countDistinct("value").alias("variants"))
+    both = attributes.join(per.hint("merge"), "product_id", "left").join(variants.hint("merge"), ["product_id", "key"], "left")
+    known, no = F.col("value").isNotNull(), F.lit(0.0)
+    plus = {
+        "authority": F.coalesce("authority", F.lit(0.1)), "direct": lookup(F.col("status"), {"DIRECTLY_SUPPORTED": 1.0, "INFERRED": 0.4, "CONFLICTING": 0.3}, 0.0), "quality": F.coalesce("quality", no), "coverage": F.coalesce("coverage", no),
+        "agreement": F.when(F.col("n") >= 2, 0.9).when(F.col("n") == 1, 0.5).otherwise(0.0), "validation": F.when(X.number(F.col("value")).isNotNull(), 1.0).when(known & F.col("key").isin(*NUMERIC_FIELDS), 0.0).otherwise(0.5),
+    }
+    minus = {
+        "inference": lookup(F.col("status"), {"INFERRED": 0.3, "MISSING": 1.0}, 0.0), "conflict": F.when(F.col("status") == "CONFLICTING", F.least((F.col("variants") - 1) * 0.3, F.lit(1.0))).otherwise(0.0),
+        "missing": F.when(known, 0.0).otherwise(1.0), "provisional": F.when(~F.col("verified"), 1.0).otherwise(0.0),
+    }
+    total = lambda signals, weights: sum((signals[n] * w for n, w in weights.items()), no)
+    out = both.select("attribute_id", "product_id", total(plus, FIELD_WEIGHTS).alias("p"), total(minus, FIELD_PENALTIES).alias("m"))
+    return out.select("attribute_id", "product_id", F.round("p", 6).alias("plus"), F.round("m", 6).alias("minus"), F.round(F.least(F.greatest(F.col("p") - F.col("m"), no), F.lit(1.0)), 4).alias("score"))
 
 
 def merged_events(events: DataFrame, by: list[str], within: float) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window as W, functions as F
 
 from ..session import materialise, small_or_salted_join
 
@@ -100,3 +100,73 @@ def head_tail(text: Column, head: int = 5, tail: int = 3, keep: str = "[0-9]") -
         lambda r: F.when(r["i"] - r["p"] > 1, F.array(marker(r["i"] - r["p"] - 1), F.get(lines_, r["i"]))).otherwise(F.array(F.get(lines_, r["i"]))),
     )
     return F.array_join(F.flatten(parts), "\n")  # the last lines are kept, so nothing is left out behind them
+
+
+# Words that say nothing in a query, its words and capitalised phrases, and the words that tell what it is after.
+STOPWORDS = ("the", "and", "of", "to", "in", "for", "that", "with", "was", "is")
+_REST = r"(?:[A-Za-z0-9_./'-]*[A-Za-z0-9_])?"
+QUERY_WORD = rf"[A-Za-z0-9_]{_REST}"
+CAP_PHRASE = rf"(?:^|[^A-Za-z0-9_])([A-Z]{_REST}(?:\s+[A-Z]{_REST})+)"
+INTENTS = {
+    "table": ("table", "data", "row", "column", "matrix", "values", "specification", "spec", "rate"),
+    "visual": ("diagram", "image", "photo", "figure", "drawing", "schematic", "picture", "logo", "chart", "graph"),
+    "ocr": ("scanned", "ocr", "handwritten", "text"),
+}
+# Points of a hit in the text and in the section, by what hits; the whole query; a term; all terms; an intent met; full score.
+HIT_POINTS = {"caps": (18, 10), "ngrams": (12, 8), "proper": (8, 5)}
+PHRASE_POINTS, TERM_POINTS, OVERLAP_POINTS, INTENT_POINTS, FULL_POINTS = 25, 2.5, 10, 6, 45
+
+
+def query_analysis(queries: DataFrame) -> DataFrame:
+    """(query_id, low, terms, proper, caps, ngrams, table_intent, visual_intent, ocr_intent) of each query."""
+    raw = F.trim("query")
+    q = queries.select("query_id", F.lower(raw).alias("low"), F.regexp_extract_all(raw, F.lit(QUERY_WORD), F.lit(0)).alias("w"), F.array_distinct(F.regexp_extract_all(raw, F.lit(CAP_PHRASE), F.lit(1))).alias("caps"))
+    said = lambda w: ~F.lower(w).isin(*STOPWORDS)
+    q = q.withColumn("k", F.filter(F.transform("w", F.lower), lambda w: said(w) & (F.length(w) > 1)))
+    run = lambda n: F.transform(F.filter(F.sequence(F.lit(0), F.size("k")), lambda i: i + n <= F.size("k")), lambda i: F.array_join(F.slice("k", i + 1, n), " "))
+    met = [F.exists(F.array(*map(F.lit, words)), lambda w: F.col("low").contains(w)).alias(f"{name}_intent") for name, words in INTENTS.items()]
+    proper = F.array_distinct(F.filter("w", lambda w: w.rlike("^[A-Z]|[0-9]") & said(w)))
+    return q.select("query_id", "low", F.array_distinct("k").alias("terms"), proper.alias("proper"), "caps", F.array_distinct(F.concat(run(2), run(3))).alias("ngrams"), *met)
+
+
+def hybrid_scores(asked: DataFrame, docs: DataFrame) -> DataFrame:
+    """(query_id, doc_id, kind, section, score) of the documents that hold a term of an analysed query: all signals over FULL_POINTS, 1 at most.
+
+    The first line of a text is its section; one with cells is a table.
+    """
+    asked = materialise(asked, "analysed")
+    body = docs.select("doc_id", F.lower("text").alias("body"), F.split(F.lower("text"), "\n")[0].alias("section"), F.when(F.col("text").contains(" | "), "table").otherwise("text").alias("kind"))
+    both = term_hits(asked, docs).select("query_id", "doc_id").join(asked.hint("merge"), "query_id").join(body.hint("merge"), "doc_id")
+    held = lambda c, hay: F.size(F.filter(c, lambda t: F.col(hay).contains(F.lower(t))))
+    times = F.filter(F.transform("terms", lambda t: (F.length("body") - F.length(F.replace("body", t, F.lit("")))) / F.length(t)), lambda n: n > 0)
+    both = both.withColumn("tf", times)
+    points = F.when(F.col("body").contains(F.col("low")), PHRASE_POINTS).otherwise(0)
+    for c, (in_text, in_section) in HIT_POINTS.items():
+        points = points + held(c, "body") * in_text + held(c, "section") * in_section
+    points = points + F.aggregate("tf", F.lit(0.0), lambda a, n: a + (F.log(n) + 1) * TERM_POINTS) + F.size("tf") * OVERLAP_POINTS / F.size("terms")
+    points = points + F.when(F.col("table_intent") & (F.col("kind") == "table"), INTENT_POINTS).otherwise(0)
+    return both.select("query_id", "doc_id", "kind", "section", F.round(F.least(points / FULL_POINTS, F.lit(1.0)), 6).alias("score"))
+
+
+def best(scored: DataFrame, k: int) -> DataFrame:
+    """(query_id, doc_id, score, place): the ``k`` best of each query, ties by doc_id."""
+    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
+    return scored.select("query_id", "doc_id", "score").withColumn("place", place).filter(F.col("place") <= k).withColumn("place", F.col("place").cast("long"))
+
+
+def line_rules(spark: SparkSession, path: str) -> list[Row]:
+    """The rules (name, action drop or keep, match, unless) of a JSON file, by name; a user's list is short."""
+    return spark.read.schema("name string, action string, match string, unless string").json(path).orderBy("name").collect()
+
+
+def filtered_lines(docs: DataFrame, rules: list[Row], *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, new, a count for each rule that drops): a text without the lines that rules drop; the first rule that matches counts. Null texts give no row."""
+    lines_ = F.split(text, "\n")
+    keep = lambda x: F.coalesce(*[F.when(x.rlike(r["match"]), True) for r in rules if r["action"] == "keep"], F.lit(False))
+    hit = lambda x, r: x.rlike(r["match"]) & (~x.rlike(r["unless"]) if r["unless"] else F.lit(True))
+    drops = [r for r in rules if r["action"] == "drop"]
+    by = lambda x: F.when(keep(x), F.lit(None).cast("string")).otherwise(F.coalesce(*[F.when(hit(x, r), r["name"]) for r in drops], F.lit(None).cast("string")))
+    judged = docs.filter(F.col(text).isNotNull()).select(key, F.transform(lines_, lambda x: F.struct(x.alias("line"), by(x).alias("rule"))).alias("_j"))
+    count = lambda name: F.size(F.filter("_j", lambda j: j["rule"].eqNullSafe(F.lit(name)))).cast("long").alias(name)
+    counts = [count(r["name"]) for r in drops]
+    return judged.select(key, F.array_join(F.transform(F.filter("_j", lambda j: j["rule"].isNull()), lambda j: j["line"]), "\n").alias("new"), *counts)

@@ -9,9 +9,10 @@ from ..operators import products as P, requests as Q
 from ..operators.texts import search
 from ..session import scratch_path
 from ..sources import files as S
-from .products import _NUMBER, _UNIT, _clean
+from .products import _NUMBER, _REQUIRED, _UNIT, _clean
 from .registry import query
 from .requests import _COOL, _KEYS, keys, now
+from .streams import PENALTY_SQL
 
 
 @query("SELECT 'SKU-' || CAST(CASE WHEN p_partkey % 10 = 3 THEN p_partkey - 3 ELSE p_partkey END AS VARCHAR) AS sku, p_name AS name, p_brand AS brand, CAST(p_size AS VARCHAR) AS housing_size FROM part")
@@ -39,6 +40,15 @@ def src04_attribute_patterns(v):
     return S.attribute_patterns(nested, taxonomy).select("industry", "category", "key", "unit", "data_type")
 
 
+@query("SELECT source AS dataset_id, count(*) AS row_count, 'doc_id,lang,source,n_chars' AS columns, sum(n_chars) AS chars FROM documents WHERE source IS NOT NULL GROUP BY 1", chars="BIGINT")
+def src05_dataset_counts(v):
+    """Rows and columns of datasets that come as CSV files with a byte order mark, for their entries in the registry."""
+    path = scratch_path(v.spark, "datasets")
+    v.documents.filter("source IS NOT NULL").select(F.col("doc_id").alias("\ufeffdoc_id"), "lang", "source", "n_chars").write.csv(path, header=True)
+    rows = S.read_dataset(v.spark, path)
+    return rows.groupBy(F.col("source").alias("dataset_id")).agg(F.count(F.lit(1)).alias("row_count"), F.lit(",".join(rows.columns)).alias("columns"), F.sum(F.col("n_chars").cast("long")).alias("chars"))
+
+
 @query("SELECT p_name AS label, count(*) AS n FROM part GROUP BY 1")
 def src06_label_scan(v):
     path = scratch_path(v.spark, "labels")
@@ -172,29 +182,18 @@ def jon20_penalty_inspector(v):
     return both.select("id", F.coalesce("n", F.lit(0)).alias("errors"), F.coalesce("c", F.lit(0)).alias("cooling"), F.array_join(F.array_compact(F.array(*[F.when(t, n) for n, t in tests.items()])), ",").alias("reasons"))
 
 
-@query("""WITH e AS (SELECT 'm' || CAST(user_id % 12 AS VARCHAR) AS model, list({'p': 0.0::DOUBLE, 'last': 0::BIGINT, 'ms': epoch_us(ts) // 1000, 'bad': event_type = 'error'} ORDER BY epoch_us(ts) // 1000, event_id) AS x FROM events GROUP BY 1),
-    s AS (SELECT model, list_reduce(list_prepend({'p': 0.0::DOUBLE, 'last': 0::BIGINT, 'ms': 0::BIGINT, 'bad': false}, x), lambda a, b: {'p': CASE WHEN b.bad THEN least(10.0, greatest(0.0, a.p - CASE WHEN a.last > 0 THEN (b.ms - a.last) // 120000 ELSE 0 END) + 3) ELSE greatest(0.0, a.p - CASE WHEN a.last > 0 THEN (b.ms - a.last) // 120000 ELSE 0 END - 1) END, 'last': b.ms, 'ms': b.ms, 'bad': b.bad}) AS s FROM e)
-    SELECT model, s.p AS penalty, s.last AS at_ms FROM s""", penalty="DOUBLE", at_ms="BIGINT")
+@query(PENALTY_SQL, penalty="DOUBLE", at_ms="BIGINT")
 def fun19_penalty_decay(v):
     """The fold of STR-06 over each model's events in order, as a batch."""
     return Q.penalty_decay(v.events.select(F.concat(F.lit("m"), (F.col("user_id") % 12).cast("string")).alias("model"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), "event_id", (F.col("event_type") == "error").alias("bad")))
 
 
-@query("SELECT rule, count(*) AS lines FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents), (VALUES ('digits', '[0-9]'), ('shout', '!!'), ('pipes', ' [|] ')) r(rule, pattern) WHERE regexp_matches(line, pattern) GROUP BY 1")
-def udf01_line_rules(v):
-    """User rules as rows; each line is tested by every rule's literal pattern in one pass."""
-    rules = {"digits": "[0-9]", "shout": "!!", "pipes": " [|] "}
-    rows = v.documents.select(F.explode(F.split("text", "\n")).alias("line"))
-    met = F.array_compact(F.array(*[F.when(F.col("line").rlike(p), n) for n, p in rules.items()]))
-    return rows.select(F.explode(met).alias("rule")).groupBy("rule").agg(F.count(F.lit(1)).alias("lines"))
-
-
 @query()
 def udf03_product_pipeline(v):
     """Evidence, sufficiency, normalisation, validation and confidence of each product in one row."""
     metrics = P.evidence_metrics(v.evidence_v, ["product_id"])
     fields = P.normalised(v.attributes_v).groupBy("product_id").agg(F.count(F.lit(1)).alias("fields"), F.count("number").alias("numeric_fields"))
-    score = P.field_confidence(v.attributes_v, v.evidence_v).groupBy("product_id").agg(F.round(F.avg("score"), 4).alias("confidence"))
+    score = P.field_confidence(v.attributes_v, v.evidence_v, _REQUIRED).groupBy("product_id").agg(F.round(F.avg("score"), 4).alias("confidence"))
     out = P.validation_run(v.products_v)
     for part in (metrics, fields, score):
         out = out.join(part.hint("merge"), "product_id", "left")

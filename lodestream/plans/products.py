@@ -34,11 +34,6 @@ def src02_row_accounting(v):
     return errors.unionByName(counts.unpivot([], ["total", "imported", "skipped"], "kind", "n").withColumn("line", F.lit(None).cast("string")))
 
 
-@query("SELECT lang AS dataset_id, count(*) AS row_count, sum(strlen(text)) AS bytes FROM documents GROUP BY 1", bytes="BIGINT")
-def src05_dataset_counts(v):
-    return v.documents.groupBy(F.col("lang").alias("dataset_id")).agg(F.count(F.lit(1)).alias("row_count"), F.sum(F.octet_length("text")).alias("bytes"))
-
-
 @query("SELECT doc_id, length(text) AS char_count, strlen(text) AS file_size FROM documents", char_count="BIGINT", file_size="BIGINT")
 def src07_text_sizes(v):
     return v.documents.select("doc_id", F.char_length("text").cast("long").alias("char_count"), F.octet_length("text").cast("long").alias("file_size"))
@@ -413,17 +408,26 @@ def agg09_field_metrics(v):
 
 _AUTH = _map(f"({_SOURCE})", P.AUTHORITY, "0.2")
 _DIRECT = "CASE a.status WHEN 'DIRECTLY_SUPPORTED' THEN 1.0 WHEN 'INFERRED' THEN 0.4 WHEN 'CONFLICTING' THEN 0.3 ELSE 0.0 END"
-_CONF = f"e AS (SELECT product_id, max(CAST({_AUTH} AS DOUBLE)) AS authority, avg(score) AS quality, count(*) AS n, bool_or(evidence_class = 'VERIFIED') AS verified FROM evidence_v GROUP BY 1), conf AS (SELECT a.attribute_id, a.product_id, round(least(greatest(coalesce(authority, 0.1) * 0.3 + CAST({_DIRECT} AS DOUBLE) * 0.3 + coalesce(quality, 0.0) * 0.2 + CAST(CASE WHEN n >= 2 THEN 0.9 WHEN n = 1 THEN 0.5 ELSE 0.0 END AS DOUBLE) * 0.2 - (CASE WHEN a.status = 'INFERRED' THEN 0.03 ELSE 0.0 END + CASE WHEN a.value IS NULL THEN 0.1 ELSE 0.0 END + CASE WHEN verified THEN 0.0 ELSE 0.05 END), 0.0), 1.0), 4) AS score FROM attributes_v a LEFT JOIN e ON a.product_id = e.product_id)"
-
-
-@query(f"WITH {_CONF} SELECT attribute_id, round(score, 2) AS score FROM conf")
+_HELD = "(" + " + ".join(f"CAST(bool_or(contains(lower(content), '{w}')) AS INT)" for w in _REQUIRED) + f") / CAST({len(_REQUIRED)} AS DOUBLE)"
+_CONF = f"""e AS (SELECT product_id, max(CAST({_AUTH} AS DOUBLE)) AS authority, avg(score) AS quality, count(*) AS n, bool_or(evidence_class = 'VERIFIED') AS verified, {_HELD} AS coverage FROM evidence_v GROUP BY 1),
+    k AS (SELECT product_id, key, count(DISTINCT value) AS variants FROM attributes_v GROUP BY 1, 2),
+    g AS (SELECT a.attribute_id, a.product_id, coalesce(authority, 0.1) * 0.25 + CAST({_DIRECT} AS DOUBLE) * 0.2 + coalesce(quality, 0.0) * 0.1 + coalesce(coverage, 0.0) * 0.1 + CAST(CASE WHEN n >= 2 THEN 0.9 WHEN n = 1 THEN 0.5 ELSE 0.0 END AS DOUBLE) * 0.15
+            + CAST(CASE WHEN {_NUMBER} IS NOT NULL THEN 1.0 WHEN value IS NOT NULL AND a.key IN ('Length', 'Weight', 'Voltage') THEN 0.0 ELSE 0.5 END AS DOUBLE) * 0.1 AS plus,
+        CAST(CASE a.status WHEN 'INFERRED' THEN 0.3 WHEN 'MISSING' THEN 1.0 ELSE 0.0 END AS DOUBLE) * 0.04 + CAST(CASE WHEN a.status = 'CONFLICTING' THEN least((variants - 1) * 0.3, 1.0) ELSE 0.0 END AS DOUBLE) * 0.03
+            + CAST(CASE WHEN value IS NULL THEN 1.0 ELSE 0.0 END AS DOUBLE) * 0.01 + CAST(CASE WHEN verified = false THEN 1.0 ELSE 0.0 END AS DOUBLE) * 0.02 AS minus
+        FROM attributes_v a LEFT JOIN e ON a.product_id = e.product_id LEFT JOIN k ON a.product_id = k.product_id AND a.key = k.key),
+    conf AS (SELECT attribute_id, product_id, round(plus, 6) AS plus, round(minus, 6) AS minus, round(least(greatest(plus - minus, 0.0), 1.0), 4) AS score FROM g)"""
+
+
+@query(f"WITH {_CONF} SELECT attribute_id, plus, minus, score FROM conf")
 def agg10_field_confidence(v):
-    return P.field_confidence(v.attributes_v, v.evidence_v).select("attribute_id", F.round("score", 2).alias("score"))
+    """Ten signals of a field and of its product's evidence: what speaks for it, against it, and the score."""
+    return P.field_confidence(v.attributes_v, v.evidence_v, _REQUIRED).select("attribute_id", "plus", "minus", "score")
 
 
 @query(f"WITH {_CONF} SELECT product_id, round(avg(score), 8) AS score FROM conf GROUP BY 1")
 def agg11_product_confidence(v):
-    return P.field_confidence(v.attributes_v, v.evidence_v).groupBy("product_id").agg(F.round(F.avg("score"), 8).alias("score"))
+    return P.field_confidence(v.attributes_v, v.evidence_v, _REQUIRED).groupBy("product_id").agg(F.round(F.avg("score"), 8).alias("score"))
 
 
 @query("WITH p AS (SELECT product_id, least(count(*) / 10.0, 1.0) AS coverage, avg(score) AS quality, avg(CASE WHEN evidence_class = 'VERIFIED' THEN 1.0 ELSE 0.0 END) AS agreement FROM evidence_v GROUP BY 1) SELECT product_id, round((coverage + quality + agreement) / 3, 2) AS composite FROM p")

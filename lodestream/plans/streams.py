@@ -64,7 +64,13 @@ def str05_unique_sources(v):
     return R.drain(R.unique_sources(_events(v)), "unique").select("user_id", "event_type").distinct()
 
 
-@query()
+#: The fold over each model's events in order.
+PENALTY_SQL = """WITH e AS (SELECT 'm' || CAST(user_id % 12 AS VARCHAR) AS model, list({'p': 0.0::DOUBLE, 'last': 0::BIGINT, 'ms': epoch_us(ts) // 1000, 'bad': event_type = 'error'} ORDER BY epoch_us(ts) // 1000, event_id) AS x FROM events GROUP BY 1),
+    s AS (SELECT model, list_reduce(list_prepend({'p': 0.0::DOUBLE, 'last': 0::BIGINT, 'ms': 0::BIGINT, 'bad': false}, x), lambda a, b: {'p': CASE WHEN b.bad THEN least(10.0, greatest(0.0, a.p - CASE WHEN a.last > 0 THEN (b.ms - a.last) // 120000 ELSE 0 END) + 3) ELSE greatest(0.0, a.p - CASE WHEN a.last > 0 THEN (b.ms - a.last) // 120000 ELSE 0 END - 1) END, 'last': b.ms, 'ms': b.ms, 'bad': b.bad}) AS s FROM e)
+    SELECT model, s.p AS penalty, s.last AS at_ms FROM s"""
+
+
+@query(PENALTY_SQL, penalty="DOUBLE", at_ms="BIGINT")
 def str06_penalties(v):
     return R.latest(R.drain(R.penalties(_events(v)), "penalties", "update"), ["model"])
 

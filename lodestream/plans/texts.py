@@ -6,6 +6,7 @@ from pyspark.sql import Window as W, functions as F
 
 from ..functions import text as X
 from ..operators import products as P, texts as T
+from ..session import scratch_path
 from .registry import query
 
 _LINES = "lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)"
@@ -98,30 +99,44 @@ def agg42_retrieval_check(v):
     return T.search(queries_v(v), v.documents, k=3).groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"), F.max("score").alias("top"))
 
 
-_STOP = ("the", "and", "of", "to", "in", "for", "that", "with", "was", "is")
+_listed = lambda words: "(" + ", ".join(f"'{w}'" for w in words) + ")"
+_any = lambda words: "list_has_any([contains(low, w) FOR w IN [" + ", ".join(f"'{w}'" for w in words) + "]], [true])"
+_ANALYSIS = f"""q0 AS (SELECT item_id AS query_id, trim(array_to_string(string_split(text, ' ')[1:6], ' ')) AS raw FROM benchmark),
+    q1 AS (SELECT *, lower(raw) AS low, regexp_extract_all(raw, '{T.QUERY_WORD.replace("'", "''")}') AS words, regexp_extract_all(raw, '{T.CAP_PHRASE.replace("'", "''")}', 1) AS phrases FROM q0),
+    q2 AS (SELECT *, list_filter(list_transform(words, lambda w: lower(w)), lambda w: w NOT IN {_listed(T.STOPWORDS)} AND length(w) > 1) AS k FROM q1),
+    qa AS (SELECT query_id, low, list_distinct(k) AS terms, list_distinct(list_filter(words, lambda w: regexp_matches(w, '^[A-Z]|[0-9]') AND lower(w) NOT IN {_listed(T.STOPWORDS)})) AS proper, list_distinct(phrases) AS caps,
+        list_distinct(list_concat(list_transform(range(1, len(k)), lambda i: k[i] || ' ' || k[i + 1]), list_transform(range(1, len(k) - 1), lambda i: k[i] || ' ' || k[i + 1] || ' ' || k[i + 2]))) AS ngrams,
+        {_any(T.INTENTS["table"])} AS table_intent, {_any(T.INTENTS["visual"])} AS visual_intent, {_any(T.INTENTS["ocr"])} AS ocr_intent FROM q2)"""
+_held = lambda c, hay, w: f"{w} * len(list_filter({c}, lambda t: contains({hay}, lower(t))))"
+_SCORED = f"""tok AS (SELECT DISTINCT doc_id, unnest(list_distinct(string_split_regex(lower(text), '[^\\p{{L}}0-9]+'))) AS t FROM documents), cand AS (SELECT DISTINCT query_id, doc_id FROM tok JOIN (SELECT query_id, unnest(terms) AS t FROM qa) USING (t)),
+    body AS (SELECT doc_id, lower(text) AS body, string_split(lower(text), chr(10))[1] AS section, CASE WHEN contains(text, ' | ') THEN 'table' ELSE 'text' END AS kind FROM documents),
+    tf AS (SELECT *, list_filter(list_transform(terms, lambda t: (length(body) - length(replace(body, t, ''))) / length(t)), lambda n: n > 0) AS tfs FROM cand JOIN qa USING (query_id) JOIN body USING (doc_id)),
+    scored AS (SELECT query_id, doc_id, kind, section, round(least((CASE WHEN contains(body, low) THEN 25 ELSE 0 END + {_held("caps", "body", 18)} + {_held("caps", "section", 10)} + {_held("ngrams", "body", 12)} + {_held("ngrams", "section", 8)} + {_held("proper", "body", 8)} + {_held("proper", "section", 5)}
+        + coalesce(list_sum(list_transform(tfs, lambda n: (1 + ln(n)) * 2.5)), 0) + len(tfs) * 10 / CAST(len(terms) AS DOUBLE) + CASE WHEN table_intent AND kind = 'table' THEN 6 ELSE 0 END) / 45, 1.0), 6) AS score FROM tf)"""
 
 
-@query("WITH w AS (SELECT item_id AS query_id, list_filter(string_split_regex(lower(text), '[^\\p{L}0-9]+'), lambda t: length(t) > 0 AND t NOT IN (" + ", ".join(f"'{s}'" for s in _STOP) + ")) AS words FROM benchmark) SELECT query_id, len(words) AS words, array_to_string(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]), '|') AS bigrams FROM w", words="BIGINT")
+@query(f"""WITH {_ANALYSIS} SELECT query_id, array_to_string(list_sort(terms), '|') AS terms, array_to_string(list_sort(proper), '|') AS proper_nouns, array_to_string(list_sort(caps), '|') AS cap_phrases, array_to_string(list_sort(ngrams), '|') AS ngrams, table_intent, visual_intent, ocr_intent FROM qa""")
 def txt05_query_analysis(v):
-    words = F.filter(F.split(F.lower("text"), r"[^\p{L}0-9]+"), lambda t: (t != "") & ~t.isin(*_STOP))
-    w = v.benchmark.select(F.col("item_id").alias("query_id"), words.alias("w"))
-    pairs = F.zip_with(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    return w.select("query_id", F.size("w").cast("long").alias("words"), F.array_join(pairs, "|").alias("bigrams"))
+    """Key terms, proper nouns, capitalised phrases, runs of two and three terms, and the three intents of each query."""
+    said = lambda c: F.array_join(F.array_sort(c), "|")
+    qa = T.query_analysis(queries_v(v))
+    return qa.select("query_id", said("terms").alias("terms"), said("proper").alias("proper_nouns"), said("caps").alias("cap_phrases"), said("ngrams").alias("ngrams"), "table_intent", "visual_intent", "ocr_intent")
 
 
-@query(f"WITH {_ASKED}, {_HITS}, m AS (SELECT query_id, doc_id, least((25 * CAST(contains(lower(text), phrase) AS INT) + 10 * n / CAST(len(terms) AS DOUBLE) + 2.5 * (1 + ln(n))) / 45, 1.0) AS score FROM h JOIN documents USING (doc_id) JOIN qt USING (query_id)) SELECT query_id, count(*) FILTER (WHERE score >= 0.2) AS hits, round(max(score), 4) AS top FROM m GROUP BY 1", top="DOUBLE")
+@query(f"WITH {_ANALYSIS}, {_SCORED} SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS place FROM scored WHERE score >= 0.2 QUALIFY place <= 5", score="DOUBLE")
 def txt06_hybrid_score(v):
-    asked = queries_v(v).select("query_id", F.lower("query").alias("phrase"), F.array_distinct(F.filter(F.split(F.lower("query"), r"[^\p{L}0-9]+"), lambda t: F.length(t) > 2)).alias("terms"))
-    hits = T.term_hits(asked, v.documents)
-    both = hits.join(v.documents.select("doc_id", F.lower("text").alias("low")).hint("merge"), "doc_id").join(asked.hint("merge"), "query_id")
-    score = F.least((F.col("low").contains(F.col("phrase")).cast("int") * 25 + F.col("n") * 10 / F.size("terms").cast("double") + (F.log("n") + 1) * 2.5) / 45, F.lit(1.0))
-    return both.select("query_id", score.alias("s")).groupBy("query_id").agg(F.count_if(F.col("s") >= 0.2).alias("hits"), F.round(F.max("s"), 4).alias("top"))
+    """The best five documents of each query by all seven signals."""
+    return T.best(T.hybrid_scores(T.query_analysis(queries_v(v)), v.documents).filter("score >= 0.2"), 5)
 
 
-@query(f"WITH {_ASKED}, {_HITS} SELECT q.query_id, coalesce(r.n, 0) AS hits, r.n IS NULL AS fallback FROM q LEFT JOIN (SELECT query_id, count(*) AS n FROM ranked JOIN documents USING (doc_id) WHERE place <= 20 AND lang = 'de' GROUP BY 1) r USING (query_id)")
+@query(f"""WITH {_ANALYSIS}, {_SCORED}, r AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS place FROM scored JOIN documents USING (doc_id) WHERE score >= 0.2 AND lang = 'en' AND kind = 'text' AND contains(section, 'th') QUALIFY place <= 3)
+    SELECT q.query_id, r.doc_id, r.score, coalesce(r.place, 1) AS place, r.doc_id IS NULL AS fallback FROM qa q LEFT JOIN r USING (query_id)""", score="DOUBLE")
 def txt07_filtered_retrieval(v):
-    hits = T.search(queries_v(v), v.documents, k=20).join(v.documents.filter("lang = 'de'").select("doc_id").hint("merge"), "doc_id", "left_semi").groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
-    return queries_v(v).select("query_id").join(hits.hint("merge"), "query_id", "left").select("query_id", F.coalesce("n", F.lit(0)).alias("hits"), F.col("n").isNull().alias("fallback"))
+    """The best three among documents of a language, a kind of content and a section that contains a text; a fallback row where none qualifies."""
+    asked = T.query_analysis(queries_v(v))
+    hits = T.hybrid_scores(asked, v.documents.filter("lang = 'en'")).filter("score >= 0.2 AND kind = 'text' AND contains(section, 'th')")
+    met = asked.select("query_id").join(T.best(hits, 3).hint("merge"), "query_id", "left")
+    return met.select("query_id", "doc_id", "score", F.coalesce("place", F.lit(1)).cast("long").alias("place"), F.col("doc_id").isNull().alias("fallback"))
 
 
 @query("SELECT p_partkey AS id, concat_ws(' | ', 'name: ' || p_name, 'brand: ' || p_brand, 'size: ' || CAST(p_size AS VARCHAR) || ' mm') AS chunk FROM part")
@@ -231,3 +246,12 @@ def win21_budgeted_drop(v):
     return out.select("doc_id", "kept", "chars", F.sha2(F.array_join("x.line", "\n"), 256).alias("said"))
 
 
+@query(f"""WITH {_LINES}, j AS (SELECT *, regexp_matches(line, '[|]') AND NOT regexp_matches(line, '(?i)total') AND NOT regexp_matches(line, '@') AS pipes, regexp_matches(line, '!!') AND NOT regexp_matches(line, '@') AS shouts FROM lines WHERE line IS NOT NULL)
+    SELECT doc_id, count(*) FILTER (WHERE pipes) AS pipes, count(*) FILTER (WHERE shouts AND NOT pipes) AS shouts, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT pipes AND NOT shouts), '')) AS said FROM j GROUP BY 1""")
+def udf01_line_rules(v):
+    """User rules, read from a JSON file: lines that match a rule are dropped, unless they match its exception or a line rule that keeps them."""
+    path = scratch_path(v.spark, "rules")
+    given = [("pipes", "drop", "[|]", "(?i)total"), ("shouts", "drop", "!!", None), ("addresses", "keep", "@", None)]
+    v.spark.createDataFrame(given, "name string, action string, match string, unless string").coalesce(1).write.json(path)
+    rules = T.line_rules(v.spark, path)
+    return T.filtered_lines(v.documents, rules).select("doc_id", "pipes", "shouts", F.sha2("new", 256).alias("said"))

@@ -96,6 +96,12 @@ def flatten_taxonomy(nested: DataFrame, column: str = "json") -> DataFrame:
     return parsed.select(F.explode("m").alias("industry", "c")).select("industry", F.explode("c").alias("category", "types"))
 
 
+def read_dataset(spark: SparkSession, path: str) -> DataFrame:
+    """A dataset's CSV files with headers, all columns as text; a byte order mark is no part of the first name."""
+    rows = spark.read.csv(path, header=True, encoding="UTF-8")
+    return rows.toDF(*[c.lstrip("\ufeff") for c in rows.columns])
+
+
 def attribute_patterns(nested: DataFrame, taxonomy: DataFrame, column: str = "json") -> DataFrame:
     """Rows of ``taxonomy`` (with category) with the attributes of {category: {common_attributes: [{key, unit, data_type}]}}; nulls where there are none."""
     parsed = nested.select(F.from_json(column, "map<string, struct<common_attributes: array<struct<key: string, unit: string, data_type: string>>>>").alias("m"))

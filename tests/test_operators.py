@@ -121,3 +121,26 @@ def test_filters_reach_the_scan(spark, sf_dir):
     v = Views(spark, sf_dir)
     plan = v.jobs_v.filter("job_id = 5").select("status")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(o_orderkey), EqualTo(o_orderkey,5)]" in plan and "o_totalprice" not in plan.split("ReadSchema")[1]
+
+
+def test_penalty_decay_over_many_ranges(spark):
+    import random
+
+    from lodestream.operators.requests import penalty_decay
+
+    draw = random.Random(5)
+    rows = [(f"m{draw.randrange(3)}", 1_000_000 + draw.randrange(4_000_000), i, draw.random() < 0.4) for i in range(3000)]
+    rows += [("m0", 1_500_000, 3000 + i, i % 2 == 0) for i in range(300)]
+    expected = {}
+    for model, ms, _, bad in sorted(rows):
+        p, last = expected.get(model, (0.0, None))
+        p = max(0.0, p - (0 if last is None else (ms - last) // 120_000))
+        expected[model] = (min(10.0, p + 3) if bad else max(0.0, p - 1), ms)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.createDataFrame(rows, "model string, ms long, event_id long, bad boolean").repartition(7)
+        got = {r["model"]: (r["penalty"], r["at_ms"]) for r in penalty_decay(df).collect()}
+        assert got == expected
+        assert penalty_decay(df.limit(0)).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
