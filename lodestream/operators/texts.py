@@ -138,7 +138,7 @@ def hybrid_scores(asked: DataFrame, docs: DataFrame) -> DataFrame:
     body = docs.select("doc_id", F.lower("text").alias("body"), F.split(F.lower("text"), "\n")[0].alias("section"), F.when(F.col("text").contains(" | "), "table").otherwise("text").alias("kind"))
     both = term_hits(asked, docs).select("query_id", "doc_id").join(asked.hint("merge"), "query_id").join(body.hint("merge"), "doc_id")
     held = lambda c, hay: F.size(F.filter(c, lambda t: F.col(hay).contains(F.lower(t))))
-    times = F.filter(F.transform("terms", lambda t: (F.length("body") - F.length(F.replace("body", t, F.lit("")))) / F.length(t)), lambda n: n > 0)
+    times = F.filter(F.transform("terms", lambda t: (F.octet_length("body") - F.octet_length(F.replace("body", t, F.lit("")))) / F.octet_length(t)), lambda n: n > 0)
     both = both.withColumn("tf", times)
     points = F.when(F.col("body").contains(F.col("low")), PHRASE_POINTS).otherwise(0)
     for c, (in_text, in_section) in HIT_POINTS.items():
