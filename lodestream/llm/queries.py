@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path, table
-from . import decontaminate, imatch, minhash, mixing, pii, quality, repeats, tokens, url_filter, warc
+from . import decontaminate, imatch, merkle, minhash, mixing, pii, quality, repeats, tokens, url_filter, warc
 
 #: Where the tokenizer files of this machine are; a parameter of the operator.
 TOKENIZER = "word_bpe_49k.json"
@@ -74,8 +75,16 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, pii.KINDS[:4]), F.sha2(pii.spans_text(base).cast("binary"), 256).alias("base_sha256"), pii.spans_text(F.col("_spans")).alias("spans"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # a third of the ids, by their checksum, comes back with its text in lower case
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, F.translate("text", string.ascii_uppercase, string.ascii_lowercase)).otherwise(F.col("text"))
+    tree = merkle.manifest(table(spark, sf_dir, "documents"), altered={"text": tampered})
+    folded = tree.withColumn("folded_root", merkle.fold(F.col("altered_leaf"), F.col("steps")))
+    return folded.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("steps")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_warc, op2_decontaminate, op3_imatch, op4_mixing, op5_url_filter, op6_superminhash, op7_repeats, op8_token_counts, op9_quality, op10_personal_data)
+    f.__name__: f for f in (op1_warc, op2_decontaminate, op3_imatch, op4_mixing, op5_url_filter, op6_superminhash, op7_repeats, op8_token_counts, op9_quality, op10_personal_data, op11_merkle)
 }
 
 _LOW = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -87,6 +96,17 @@ _HOST = "translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), '')
 _BLOCKED = " OR ".join(f"regexp_matches({_LOW.replace('text', 'url')}, '{p}')" for p, _ in url_filter.PATTERN_RULES)
 _RULES = ", ".join(f"('{v}', '{r}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}')" for v, r in url_filter.HOST_RULES)
 
+_UPPER_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_CRC32 = (  # of a decimal id: each digit, then eight shifts
+    "xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda d: [ascii(d)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))), "
+    "lambda c, e: CASE WHEN e >= 0 THEN xor(c, e) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295)"
+)
+
+
+def _leaf_sql(text: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(strlen({v}) || ':' || {v}, '-')" for v in ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text)) + ")"
+
+
 SQL: dict[str, str] = {
     "op1_warc": f"""
         WITH d AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS x, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS m FROM pages)
@@ -116,4 +136,21 @@ SQL: dict[str, str] = {
         reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
         SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id, d.doc_id = m.component_id AS kept
         FROM d LEFT JOIN n ON d.doc_id = n.doc_id JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY 1) m ON d.doc_id = m.a""",
+    "op11_merkle": f"""
+        WITH RECURSIVE f AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n, {_leaf_sql("text")} AS leaf,
+            CASE WHEN {_CRC32} % 3 = 0 THEN {_leaf_sql(f"translate(text, {_UPPER_LOWER})")} ELSE {_leaf_sql("text")} END AS other FROM documents),
+        tree AS (SELECT 0 AS level, lang, pos, n, leaf AS h FROM f
+            UNION ALL SELECT level + 1, lang, pos // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY pos)) FROM tree WHERE n > 1 GROUP BY level, lang, pos // 8, n),
+        subs AS (SELECT lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM tree WHERE n = 1),
+        over AS (SELECT 0 AS level, pos, n, h FROM subs
+            UNION ALL SELECT level + 1, pos // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY pos)) FROM over WHERE n > 1 GROUP BY level, pos // 8, n),
+        below AS (SELECT doc_id, level, string_agg(t.h, '' ORDER BY t.pos) FILTER (t.pos < f.pos >> 3 * level) AS l, string_agg(t.h, '' ORDER BY t.pos) FILTER (t.pos > f.pos >> 3 * level) AS r
+            FROM f JOIN tree t ON f.lang IS NOT DISTINCT FROM t.lang AND t.n > 1 AND f.pos >> 3 * (level + 1) = t.pos >> 3 GROUP BY 1, 2),
+        above AS (SELECT lang, level, string_agg(t.h, '' ORDER BY t.pos) FILTER (t.pos < s.pos >> 3 * level) AS l, string_agg(t.h, '' ORDER BY t.pos) FILTER (t.pos > s.pos >> 3 * level) AS r
+            FROM subs s JOIN over t ON t.n > 1 AND s.pos >> 3 * (level + 1) = t.pos >> 3 GROUP BY 1, 2),
+        steps AS (SELECT doc_id, level, l, r FROM below UNION ALL SELECT doc_id, 100 + level, l, r FROM f JOIN above a ON f.lang IS NOT DISTINCT FROM a.lang),
+        path AS (SELECT doc_id, list(coalesce(l, '') || '|' || coalesce(r, '') ORDER BY level) AS p FROM steps GROUP BY 1)
+        SELECT f.doc_id, leaf, s.h AS subroot, o.h AS root, sha256(replace(coalesce(array_to_string(p, ''), ''), '|', '')) AS proof_sha256,
+            list_reduce(list_concat([other], coalesce(p, [])), lambda h, x: sha256(split_part(x, '|', 1) || h || split_part(x, '|', 2))) AS folded_root, folded_root = o.h AS verified
+        FROM f JOIN subs s ON f.lang IS NOT DISTINCT FROM s.lang CROSS JOIN (SELECT h FROM over WHERE n = 1) o LEFT JOIN path ON f.doc_id = path.doc_id""",
 }
