@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path, table
-from . import decontaminate, imatch, merkle, minhash, mixing, pii, quality, repeats, tokens, url_filter, warc
+from . import decontaminate, imatch, merkle, minhash, mixing, periods, pii, quality, repeats, tokens, url_filter, warc
 
 #: Where the tokenizer files of this machine are; a parameter of the operator.
 TOKENIZER = "word_bpe_49k.json"
@@ -83,8 +83,29 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folded.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("steps")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def _with_planted_periods(docs: DataFrame) -> DataFrame:
+    """A tenth of the documents, by the checksum of their id, repeats a stretch of words up to its end: the query's input."""
+    words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"))
+    checked = docs.withColumn("_h", F.crc32(F.col("doc_id").cast("string").cast("binary"))).withColumn("_g", F.floor(F.col("_h") / 10))
+    split = checked.withColumn("_w", F.when(F.col("_h") % 10 == 0, words)).withColumn("_n", F.size("_w"))
+    placed = split.withColumn("_a", F.expr("IF(_n > 0, _g % _n, 0)")).withColumn("_p", F.expr("1 + (_n - _a) div (3 + _g % 8)"))
+    text = F.expr("CASE WHEN _h % 10 = 0 AND _n > 0 THEN array_join(transform(sequence(0, _n - 1), i -> _w[CAST(IF(i < _a, i, _a + (i - _a) % _p) AS INT)]), ' ') ELSE text END")
+    return placed.select("doc_id", text.alias("text"))
+
+
+def op12_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periods.periodic_runs(_with_planted_periods(table(spark, sf_dir, "documents")))
+    # by exact fractions; runs are in order, so the first of equals stays
+    longest = F.expr("aggregate(runs, runs[0], (best, x) -> IF(x.length * best.period > best.length * x.period, x, best))")
+    lines = F.array_join(F.expr("transform(runs, x -> concat(x.start, ',', x.length, ',', x.period, '\n'))"), "")
+    best = found.select("doc_id", "runs", "collapsed", F.when(F.size("runs") > 0, longest).alias("x"), lines.alias("lines"))
+    columns = [F.col(f"x.{c}").alias(c) for c in ("start", "length", "period")]
+    hashes = [F.sha2(F.col(c).cast("binary"), 256).alias(name) for c, name in (("lines", "runs_sha256"), ("collapsed", "collapsed_sha256"))]
+    return best.select("doc_id", F.size("runs").cast("long").alias("n_runs"), *columns, F.expr("1000 * x.length div x.period").alias("exponent_milli"), *hashes)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_warc, op2_decontaminate, op3_imatch, op4_mixing, op5_url_filter, op6_superminhash, op7_repeats, op8_token_counts, op9_quality, op10_personal_data, op11_merkle)
+    f.__name__: f for f in (op1_warc, op2_decontaminate, op3_imatch, op4_mixing, op5_url_filter, op6_superminhash, op7_repeats, op8_token_counts, op9_quality, op10_personal_data, op11_merkle, op12_periods)
 }
 
 _LOW = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
