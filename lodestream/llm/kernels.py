@@ -52,6 +52,13 @@ def prefix_hash(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def sequence_prefix(items: np.ndarray) -> np.ndarray:
+    """Prefix sums of a polynomial over hashes, for span_hash()."""
+    out = np.zeros(len(items) + 1, _U)
+    np.cumsum(items * _power("up", len(items)), out=out[1:])
+    return out
+
+
 def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hashes of the byte spans [start, end); equal spans have equal hashes."""
     raw = (prefix[end] - prefix[start]) * _power("down", len(prefix))[start]

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path, table
-from . import decontaminate, imatch, merkle, minhash, mixing, periods, pii, quality, repeats, tokens, url_filter, warc
+from . import decontaminate, imatch, merkle, minhash, mixing, periods, pii, quality, repeats, tokens, url_filter, warc, windows
 
 #: Where the tokenizer files of this machine are; a parameter of the operator.
 TOKENIZER = "word_bpe_49k.json"
@@ -104,8 +104,12 @@ def op12_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("doc_id", F.size("runs").cast("long").alias("n_runs"), *columns, F.expr("1000 * x.length div x.period").alias("exponent_milli"), *hashes)
 
 
+def op13_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.remove_windows(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_warc, op2_decontaminate, op3_imatch, op4_mixing, op5_url_filter, op6_superminhash, op7_repeats, op8_token_counts, op9_quality, op10_personal_data, op11_merkle, op12_periods)
+    f.__name__: f for f in (op1_warc, op2_decontaminate, op3_imatch, op4_mixing, op5_url_filter, op6_superminhash, op7_repeats, op8_token_counts, op9_quality, op10_personal_data, op11_merkle, op12_periods, op13_windows)
 }
 
 _LOW = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -174,4 +178,13 @@ SQL: dict[str, str] = {
         SELECT f.doc_id, leaf, s.h AS subroot, o.h AS root, sha256(replace(coalesce(array_to_string(p, ''), ''), '|', '')) AS proof_sha256,
             list_reduce(list_concat([other], coalesce(p, [])), lambda h, x: sha256(split_part(x, '|', 1) || h || split_part(x, '|', 2))) AS folded_root, folded_root = o.h AS verified
         FROM f JOIN subs s ON f.lang IS NOT DISTINCT FROM s.lang CROSS JOIN (SELECT h FROM over WHERE n = 1) o LEFT JOIN path ON f.doc_id = path.doc_id""",
+    "op13_windows": r"""
+        WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+        k AS (SELECT doc_id, i, hash(array_to_string(w[i:i + 34], ' ')) AS h, w[i:i + 34] AS said FROM d, LATERAL (SELECT unnest(range(1, len(w) - 33)) AS i) WHERE len(w) >= 35),
+        again AS (SELECT h, said FROM k GROUP BY 1, 2 HAVING count(*) > 1),
+        gone AS (SELECT DISTINCT doc_id, p FROM k JOIN again USING (h, said), LATERAL (SELECT unnest(range(i, i + 35)) AS p)),
+        lost AS (SELECT doc_id, count(*) AS n, list(p) AS ps FROM gone GROUP BY 1)
+        SELECT d.doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed,
+            sha256(coalesce(array_to_string(CASE WHEN n IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(ps, i)) END, ' '), '')) AS kept_sha256
+        FROM d LEFT JOIN lost USING (doc_id)""",
 }
