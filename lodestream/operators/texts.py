@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window as W, functions as F
 
-from ..session import materialise, small_or_salted_join
+from ..session import materialise
+from .search import SLICE
 
 # Kinds of protected spans and their patterns.
 PROTECTED = {"url": r"https?://[^\s]+", "number": r"[0-9]+(?:\.[0-9]+)?", "email": r"[A-Za-z0-9._+-]+@[A-Za-z0-9.-]+", "path": r"/[a-z]+/[a-z0-9./]+"}
@@ -28,53 +34,68 @@ def islands(rows: DataFrame, by: list[str], order: list[str], changed: Column) -
     return rows.withColumn("island", F.sum(changed.cast("int")).over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
 
 
-def chunks(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 500, overlap: int = 2) -> DataFrame:
-    """(key, chunk, text): lines gathered until ``size`` characters are reached; the next chunk starts with the last ``overlap`` lines.
+PAGE, NUMBER = re.compile(r"Page \s*(\S+)"), re.compile(r"[+-]?[0-9]+")
 
-    The rule is sequential within a text, so it is one fold per row over the array of its lines.
-    """
-    state = "named_struct('done', cast(array() as array<string>), 'held', cast(array() as array<string>), 'n', 0)"
-    step = f"""(s, x) -> IF(s.n + length(x) >= {size},
-        named_struct('done', array_append(s.done, array_join(array_append(s.held, x), '\\n')), 'held', slice(array_append(s.held, x), greatest(size(s.held) + 2 - {overlap}, 1), {overlap}), 'n', 0),
-        named_struct('done', s.done, 'held', array_append(s.held, x), 'n', s.n + length(x)))"""
-    end = f"s -> IF(s.n > 0 OR size(s.done) = 0, array_append(s.done, array_join(s.held, '\\n')), s.done)"
-    folded = F.expr(f"aggregate(split({text}, '\\n'), {state}, {step}, {end})")
-    return docs.filter(F.col(text).isNotNull()).select(key, F.posexplode(folded).alias("chunk", "text"))
 
+def chunk_lines(text: str, size: int, overlap: int) -> Iterator[tuple[int, str]]:
+    """(page, text) of the chunks of a text: lines are gathered until they have ``size`` characters; the next chunk begins with the last ``overlap`` of them, whose
+    characters count, if more than that were held, else with none. What is held at the end is a chunk too. The page is that of the last line `Page n`."""
+    held, n, page = [], 0, 1
+    for line in text.split("\n"):
+        if met := PAGE.match(line):
+            number = met[1].replace(":", "")
+            page = int(number) if NUMBER.fullmatch(number) else page
+        held.append(line)
+        n += len(line)
+        if n >= size:
+            yield page, "\n".join(held)
+            held = held[-overlap:] if len(held) > overlap else []
+            n = sum(map(len, held))
+    if held:
+        yield page, "\n".join(held)
 
-#: Query terms up to which their list is broadcast.
-MOST_TERMS = 100_000
 
+def chunks(docs: DataFrame, *, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), size: int = 500, overlap: int = 2) -> DataFrame:
+    """(key, ``keep``, chunk, page, text): the chunks of each text by chunk_lines(), numbered from 0. Null and empty texts have none.
 
-def query_terms(query: Column) -> Column:
-    """Distinct words of over 2 characters."""
-    return F.array_distinct(F.filter(F.split(F.lower(query), r"[^\p{L}0-9]+"), lambda t: F.length(t) > 2))
+    The rule carries lines and their length from chunk to chunk, so a text is walked in a task, once.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                rows = [(i, n, page, said) for i, t in enumerate(part.columns[-1].to_pylist()) for n, (page, said) in enumerate(chunk_lines(t, size, overlap))]
+                if rows:
+                    own, number, page, said = zip(*rows, strict=True)
+                    yield pa.RecordBatch.from_arrays([*(c.take(pa.array(own)) for c in part.columns[:-1]), pa.array(number, pa.int32()), pa.array(page, pa.int64()), pa.array(said, pa.string())], [key, *keep, "chunk", "page", "text"])
 
-def term_hits(asked: DataFrame, docs: DataFrame) -> DataFrame:
-    """(query_id, doc_id, n): how many of a query's ``terms`` each document holds, by an inverted table of tokens. Tokens that no query asks for are left out before any shuffle."""
-    terms = asked.select("query_id", F.explode("terms").alias("t"))
-    tokens = docs.select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}0-9]+"))).alias("t"))
-    wanted = small_or_salted_join(tokens, terms.select("t").distinct(), ["t"], limit=MOST_TERMS)
-    return wanted.join(terms.hint("merge"), "t").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    rows, kinds = docs.filter(F.length(text) > 0).select(key, *keep, F.col(text).alias("text")), dict(docs.dtypes)
+    return rows.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in (key, *keep)) + ", chunk int, page long, text string")
 
 
-def search(queries: DataFrame, docs: DataFrame, *, k: int = 5, least: float = 0.0) -> DataFrame:
-    """(query_id, doc_id, score, place): 0.5, 0.4 for the phrase, 0.1 for each query term contained, 0.99 at most; ties by doc_id.
+def index_chunks(rows: DataFrame, path: str, *, key: str = "doc_id", buckets: int = 64) -> DataFrame:
+    """The chunk table at ``path`` after ``rows``, all chunks of some texts: they replace what the table held of those texts.
 
-    A text that holds the phrase holds its words but for the first and last, which may be parts of longer ones. So texts are fetched only
-    for hits that lack at most two terms; the others' scores are known from their counts. The best ``k`` of a
-    query are cut in the tasks before they meet.
+    The table is partitioned by a hash of the key, and only partitions that hold a text of ``rows`` are read and written. What they will hold is written to
+    the scratch folder first, so a run that is lost can be repeated.
     """
-    asked = materialise(queries.select("query_id", F.lower("query").alias("phrase"), query_terms(F.col("query")).alias("terms")), "asked")
-    hits = materialise(term_hits(asked, docs).join(asked.select("query_id", "phrase", F.size("terms").alias("of")).hint("merge"), "query_id"), "hits")
-    score = lambda extra: F.round(F.least(F.lit(0.5) + extra + F.col("n") * 0.1, F.lit(0.99)), 4).alias("score")
-    near = hits.filter(F.col("n") >= F.col("of") - 2)
-    said = near.join(docs.select("doc_id", F.lower("text").alias("low")).hint("merge"), "doc_id")
-    scored = said.select("query_id", "doc_id", score(F.when(F.col("low").contains(F.col("phrase")), 0.4).otherwise(0.0)))
-    scored = scored.unionByName(hits.filter(F.col("n") < F.col("of") - 2).select("query_id", "doc_id", score(F.lit(0.0))))
-    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
-    return scored.withColumn("place", place).filter(F.col("place") <= k).filter(F.col("score") >= least)
+    spark = rows.sparkSession
+    new = materialise(rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")), "chunks-new")
+    touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # buckets at most
+    if not touched:
+        return spark.read.schema(new.schema).parquet(path)
+    names = [c for c in new.columns if c != "bucket"]
+    try:
+        old = spark.read.schema(new.schema).parquet(path).filter(F.col("bucket").isin(touched))
+        kept = old.join(new.select(key).distinct().hint("merge"), key, "left_anti")
+        both = materialise(kept.select(*names, "bucket").unionByName(new), "chunks-merged")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        both = new
+    both.repartition("bucket").write.partitionBy("bucket").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    return spark.read.schema(new.schema).parquet(path)
 
 
 def collapsed(text: Column, least: int = 3) -> Column:
@@ -103,7 +124,12 @@ def head_tail(text: Column, head: int = 5, tail: int = 3, keep: str = "[0-9]") -
 
 
 # Words that say nothing in a query, its words and capitalised phrases, and the words that tell what it is after.
-STOPWORDS = ("the", "and", "of", "to", "in", "for", "that", "with", "was", "is")
+STOPWORDS = tuple(
+    """a an the is are was were be been being in on at to for from up of with by about against between into through during before after above below out off
+    over under again further then once here there when where why how all any both each few more most other some such no nor not only own same so than too very
+    s t can will just don should now d ll m o re ve y ain aren couldn didn doesn hadn hasn haven isn ma mightn mustn needn shan shouldn wasn weren won wouldn
+    what which who whom this that these those am it its provided information details show find give tell describe summarize list explain document file pdf page section""".split()
+)
 _REST = r"(?:[A-Za-z0-9_./'-]*[A-Za-z0-9_])?"
 QUERY_WORD = rf"[A-Za-z0-9_]{_REST}"
 CAP_PHRASE = rf"(?:^|[^A-Za-z0-9_])([A-Z]{_REST}(?:\s+[A-Z]{_REST})+)"
@@ -112,11 +138,6 @@ INTENTS = {
     "visual": ("diagram", "image", "photo", "figure", "drawing", "schematic", "picture", "logo", "chart", "graph"),
     "ocr": ("scanned", "ocr", "handwritten", "text"),
 }
-# Points of a hit in the text and in the section, by what hits; the whole query; a term; all terms; an intent met; full score.
-HIT_POINTS = {"caps": (18, 10), "ngrams": (12, 8), "proper": (8, 5)}
-PHRASE_POINTS, TERM_POINTS, OVERLAP_POINTS, INTENT_POINTS, FULL_POINTS = 25, 2.5, 10, 6, 45
-
-
 def query_analysis(queries: DataFrame) -> DataFrame:
     """(query_id, low, terms, proper, caps, ngrams, table_intent, visual_intent, ocr_intent) of each query."""
     raw = F.trim("query")
@@ -129,29 +150,9 @@ def query_analysis(queries: DataFrame) -> DataFrame:
     return q.select("query_id", "low", F.array_distinct("k").alias("terms"), proper.alias("proper"), "caps", F.array_distinct(F.concat(run(2), run(3))).alias("ngrams"), *met)
 
 
-def hybrid_scores(asked: DataFrame, docs: DataFrame) -> DataFrame:
-    """(query_id, doc_id, kind, section, score) of the documents that hold a term of an analysed query: all signals over FULL_POINTS, 1 at most.
-
-    The first line of a text is its section; one with cells is a table.
-    """
-    asked = materialise(asked, "analysed")
-    body = docs.select("doc_id", F.lower("text").alias("body"), F.split(F.lower("text"), "\n")[0].alias("section"), F.when(F.col("text").contains(" | "), "table").otherwise("text").alias("kind"))
-    both = term_hits(asked, docs).select("query_id", "doc_id").join(asked.hint("merge"), "query_id").join(body.hint("merge"), "doc_id")
-    held = lambda c, hay: F.size(F.filter(c, lambda t: F.col(hay).contains(F.lower(t))))
-    times = F.filter(F.transform("terms", lambda t: (F.octet_length("body") - F.octet_length(F.replace("body", t, F.lit("")))) / F.octet_length(t)), lambda n: n > 0)
-    both = both.withColumn("tf", times)
-    points = F.when(F.col("body").contains(F.col("low")), PHRASE_POINTS).otherwise(0)
-    for c, (in_text, in_section) in HIT_POINTS.items():
-        points = points + held(c, "body") * in_text + held(c, "section") * in_section
-    points = points + F.aggregate("tf", F.lit(0.0), lambda a, n: a + (F.log(n) + 1) * TERM_POINTS) + F.size("tf") * OVERLAP_POINTS / F.size("terms")
-    points = points + F.when(F.col("table_intent") & (F.col("kind") == "table"), INTENT_POINTS).otherwise(0)
-    return both.select("query_id", "doc_id", "kind", "section", F.round(F.least(points / FULL_POINTS, F.lit(1.0)), 6).alias("score"))
-
-
-def best(scored: DataFrame, k: int) -> DataFrame:
-    """(query_id, doc_id, score, place): the ``k`` best of each query, ties by doc_id."""
-    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
-    return scored.select("query_id", "doc_id", "score").withColumn("place", place).filter(F.col("place") <= k).withColumn("place", F.col("place").cast("long"))
+def as_chunks(docs: DataFrame) -> DataFrame:
+    """Documents as chunks of one text: the first line is the section, one with cells is a table, and ten are a page."""
+    return docs.select("doc_id", "text", "lang", F.split("text", "\n")[0].alias("section"), F.when(F.col("text").contains(" | "), "table").otherwise("text").alias("kind"), (F.floor(F.col("doc_id") / 10) + 1).alias("page"))
 
 
 def line_rules(spark: SparkSession, path: str) -> list[Row]:

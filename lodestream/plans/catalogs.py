@@ -6,7 +6,6 @@ from pyspark.sql import Window as W, functions as F
 
 from ..functions import text as X
 from ..operators import products as P, requests as Q
-from ..operators.texts import search
 from ..session import scratch_path
 from ..sources import files as S
 from .products import _NUMBER, _REQUIRED, _UNIT, _clean

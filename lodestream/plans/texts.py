@@ -6,6 +6,7 @@ from pyspark.sql import Window as W, functions as F
 
 from ..functions import text as X
 from ..operators import products as P, texts as T
+from ..operators.search import hybrid, search, with_neighbours
 from ..session import scratch_path
 from .registry import query
 
@@ -57,46 +58,84 @@ def fun24_fidelity_gate(v):
     return s.select("doc_id", F.size("spans").cast("long").alias("spans"), kept.cast("long").alias("kept"), (F.size("spans") == kept).alias("passes"))
 
 
-@query()
+def _chunks_sql(rows: str) -> str:
+    """Rows c (doc_id, chunk, page, text) of the chunks of ``rows`` (doc_id, text): a fold over each text's lines."""
+    number = "replace(regexp_extract(b.x, '^Page \\s*(\\S+)', 1), ':', '')"
+    page = f"CASE WHEN regexp_matches({number}, '^[+-]?[0-9]+$') THEN CAST({number} AS BIGINT) ELSE s.page END"
+    state = "{{'done': {}, 'held': {}, 'n': {}, 'page': {}, 'x': {}}}".format
+    done, held = "CAST([] AS STRUCT(page BIGINT, text VARCHAR)[])", "CAST([] AS VARCHAR[])"
+    full = state(f"list_append(s.done, {{'page': {page}, 'text': array_to_string(list_append(s.held, b.x), chr(10))}})", "CASE WHEN len(s.held) > 1 THEN [s.held[-1], b.x] ELSE [] END", "CASE WHEN len(s.held) > 1 THEN length(s.held[-1]) + length(b.x) ELSE 0 END", page, "''")
+    more = state("s.done", "list_append(s.held, b.x)", "s.n + length(b.x)", page, "''")
+    first = state(done, held, "0::BIGINT", "1::BIGINT", "''")
+    each = state(done, held, "0::BIGINT", "1::BIGINT", "x")
+    return f"""folded AS (SELECT doc_id, list_reduce(list_prepend({first}, list_transform(string_split(text, chr(10)), lambda x: {each})), lambda s, b: CASE WHEN s.n + length(b.x) >= 500 THEN {full} ELSE {more} END) AS s FROM ({rows}) WHERE text <> ''),
+        whole AS (SELECT doc_id, CASE WHEN len(s.held) > 0 THEN list_append(s.done, {{'page': s.page, 'text': array_to_string(s.held, chr(10))}}) ELSE s.done END AS parts FROM folded),
+        c AS (SELECT doc_id, CAST(i AS INTEGER) AS chunk, parts[i + 1].page AS page, parts[i + 1].text AS text FROM whole, LATERAL (SELECT unnest(range(len(parts))) AS i))"""
+
+
+@query(f"WITH {_chunks_sql('SELECT doc_id, text FROM documents')} SELECT * FROM c")
 def txt01_chunks(v):
     return T.chunks(v.documents)
 
 
-@query()
+_REVISED = "CASE WHEN doc_id % 7 = 0 THEN text || chr(10) || 'Page 3: more' || chr(10) || 'an added line' WHEN doc_id % 7 = 1 THEN substring(text, 1, 300) ELSE text END"
+
+
+@query(f"WITH {_chunks_sql(f'SELECT doc_id, {_REVISED} AS text FROM documents')} SELECT sha256(CAST(doc_id AS VARCHAR) || '|' || CAST(chunk AS VARCHAR)) AS chunk_id, doc_id, source, lang, chunk, page, sha256(c.text) AS said FROM c JOIN documents USING (doc_id)")
 def txt02_chunk_index(v):
-    """Chunks with their provenance; ids follow from content, so a rerun replaces rows by equal ones."""
-    rows = T.chunks(v.documents).join(v.documents.select("doc_id", "source", "lang").hint("merge"), "doc_id")
-    return rows.select(F.sha2(F.concat_ws("|", F.col("doc_id").cast("string"), F.col("chunk").cast("string"), "text"), 256).alias("chunk_id"), "doc_id", "chunk", "source", "lang", F.char_length("text").alias("n_chars"))
+    """The chunk table after two runs: all documents, then those that changed, of which some are longer and some shorter now."""
+    path = scratch_path(v.spark, "chunk-table")
+    rows = lambda docs: T.chunks(docs, keep=("source", "lang")).withColumn("chunk_id", F.sha2(F.concat_ws("|", F.col("doc_id").cast("string"), F.col("chunk").cast("string")), 256))
+    T.index_chunks(rows(v.documents), path)
+    changed = v.documents.filter("doc_id % 7 < 2").withColumn("text", F.expr(_REVISED.replace("chr(10)", "'\\n'")))
+    index = T.index_chunks(rows(changed), path)
+    return index.select("chunk_id", "doc_id", "source", "lang", "chunk", "page", F.sha2("text", 256).alias("said"))
 
 
 def queries_v(v):
+    """Six words of each item; one in four asks for a language, others leave it open, and so for pages, kinds and sections."""
     words = F.slice(F.split("text", " "), 1, 6)
-    return v.benchmark.select(F.col("item_id").alias("query_id"), F.array_join(words, " ").alias("query"))
+    return v.benchmark.select(F.col("item_id").alias("query_id"), F.array_join(words, " ").alias("query"), *[F.expr(f"CASE WHEN {w} THEN {x} END AS {c}") for c, (w, x) in _OPEN.items()])
 
 
-_ASKED = "q AS (SELECT item_id AS query_id, lower(array_to_string(string_split(text, ' ')[1:6], ' ')) AS phrase FROM benchmark), qt AS (SELECT query_id, phrase, list_distinct(list_filter(string_split_regex(phrase, '[^\\p{L}0-9]+'), lambda t: length(t) > 2)) AS terms FROM q)"
-_HITS = "tok AS (SELECT doc_id, unnest(list_distinct(string_split_regex(lower(text), '[^\\p{L}0-9]+'))) AS t FROM documents), h AS (SELECT query_id, doc_id, count(*) AS n FROM tok JOIN (SELECT query_id, unnest(terms) AS t FROM qt) USING (t) GROUP BY 1, 2), s AS (SELECT query_id, doc_id, round(least(0.5 + CASE WHEN contains(lower(text), phrase) THEN 0.4 ELSE 0.0 END + n * 0.1, 0.99), 4) AS score FROM h JOIN documents USING (doc_id) JOIN qt USING (query_id)), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS place FROM s)"
+#: What queries ask for besides words: the condition and the value of each column, in SQL that both dialects share.
+_OPEN = {"lang": ("item_id % 4 = 0", "'en'"), "page": ("item_id % 5 = 0", "item_id % 60 + 1"), "kind": ("item_id % 3 = 0", "'text'"), "section": ("item_id % 2 = 0", "'TH'")}
+_ASKED = f"""q AS (SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:6], ' ') AS query, {', '.join(f'CASE WHEN {w} THEN {x} END AS {c}' for c, (w, x) in _OPEN.items())} FROM benchmark),
+    qt AS (SELECT *, lower(query) AS phrase, list_filter(string_split_regex(lower(query), '\\s+'), lambda t: length(t) > 2) AS terms FROM q)"""
+_HITS = """s AS (SELECT query_id, doc_id, least(50 + CASE WHEN contains(low, phrase) THEN 40 ELSE 0 END + 10 * len(list_filter(terms, lambda t: contains(low, t))), 99) / 100.0::DOUBLE AS score
+    FROM (SELECT doc_id, lang, lower(text) AS low FROM documents) d JOIN qt ON qt.lang IS NULL OR qt.lang = d.lang), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS place FROM s)"""
 
 
 @query(f"WITH {_ASKED}, {_HITS} SELECT query_id, doc_id, score, place FROM ranked WHERE place <= 5", score="DOUBLE", place="INTEGER")
 def txt03_search(v):
-    return T.search(queries_v(v), v.documents)
+    return search(queries_v(v), v.documents, filters=("lang",))
 
 
 @query(f"WITH {_ASKED}, {_HITS} SELECT query_id, doc_id, score FROM ranked WHERE place <= 20 AND score >= 0.8", score="DOUBLE")
 def top01_top_k(v):
-    return T.search(queries_v(v), v.documents, k=20, least=0.8).select("query_id", "doc_id", "score")
+    return search(queries_v(v), v.documents, k=20, least=0.8, filters=("lang",)).select("query_id", "doc_id", "score")
 
 
-@query(f"WITH {_ASKED}, {_HITS} SELECT r.query_id, d.source, d.lang, substring(d.text, 1, 200) AS snippet, r.score FROM ranked r JOIN documents d USING (doc_id) WHERE place <= 5", score="DOUBLE")
+@query(f"WITH {_ASKED}, {_HITS} SELECT r.query_id, 'ev_' || CAST(doc_id AS VARCHAR) AS evidence_id, coalesce(d.source, 'unknown_source') AS source_id, CAST(floor(doc_id / 10) AS BIGINT) + 1 AS page, sha256(d.text) AS content_hash, r.score, r.place FROM ranked r JOIN documents d USING (doc_id) WHERE place <= 5", score="DOUBLE", place="INTEGER")
 def txt04_evidence_of_hits(v):
-    hits = T.search(queries_v(v), v.documents)
-    return hits.join(v.documents.hint("merge"), "doc_id").select("query_id", "source", "lang", F.substring("text", 1, 200).alias("snippet"), "score")
+    """Hits as evidence: an id of its own, the source, the page, the content's hash and the rounded score."""
+    hits = search(queries_v(v), v.documents, filters=("lang",))
+    said = v.documents.select("doc_id", "source", F.sha2("text", 256).alias("content_hash"), (F.floor(F.col("doc_id") / 10) + 1).alias("page"))
+    both = hits.join(said.hint("merge"), "doc_id")
+    return both.select("query_id", F.concat(F.lit("ev_"), F.col("doc_id").cast("string")).alias("evidence_id"), F.coalesce("source", F.lit("unknown_source")).alias("source_id"), "page", "content_hash", F.round("score", 4).alias("score"), "place")
 
 
-@query(f"WITH {_ASKED}, {_HITS} SELECT query_id, count(*) AS hits, max(score) AS top FROM ranked WHERE place <= 3 GROUP BY 1", top="DOUBLE")
+@query(f"""WITH {_ASKED}, {_HITS} SELECT r.query_id, count(*) AS total_found, array_to_string(list(coalesce(d.source, 'unknown_source') ORDER BY place)[1:3], ',') AS top_sources, array_to_string(list(CAST(r.score AS VARCHAR) ORDER BY place)[1:3], ',') AS top_scores,
+    bool_or(place = 1 AND contains(lower(d.text), 'ring')) AND NOT contains(any_value(phrase), 'ring') AS biased, 'PASS' AS status FROM ranked r JOIN documents d USING (doc_id) JOIN qt USING (query_id) WHERE place <= 5 GROUP BY 1""")
 def agg42_retrieval_check(v):
-    return T.search(queries_v(v), v.documents, k=3).groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"), F.max("score").alias("top"))
+    """Hits of each query, its three best sources and scores, and whether the best hit brings in a word that the query doesn't have."""
+    asked = queries_v(v)
+    said = v.documents.select("doc_id", F.coalesce("source", F.lit("unknown_source")).alias("source"), F.lower("text").contains("ring").alias("word"))
+    hits = search(asked, v.documents, filters=("lang",)).join(said.hint("merge"), "doc_id")
+    per = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("place", "source", F.col("score").cast("string").alias("score"), "word"))).alias("h"))  # five a query
+    top = lambda c: F.array_join(F.slice(F.col("h")[c], 1, 3), ",")
+    both = per.join(asked.select("query_id", F.lower("query").alias("phrase")).hint("merge"), "query_id")
+    return both.select("query_id", F.size("h").cast("long").alias("total_found"), top("source").alias("top_sources"), top("score").alias("top_scores"), (F.col("h")[0]["word"] & ~F.col("phrase").contains("ring")).alias("biased"), F.lit("PASS").alias("status"))
 
 
 _listed = lambda words: "(" + ", ".join(f"'{w}'" for w in words) + ")"
@@ -108,10 +147,9 @@ _ANALYSIS = f"""q0 AS (SELECT item_id AS query_id, trim(array_to_string(string_s
         list_distinct(list_concat(list_transform(range(1, len(k)), lambda i: k[i] || ' ' || k[i + 1]), list_transform(range(1, len(k) - 1), lambda i: k[i] || ' ' || k[i + 1] || ' ' || k[i + 2]))) AS ngrams,
         {_any(T.INTENTS["table"])} AS table_intent, {_any(T.INTENTS["visual"])} AS visual_intent, {_any(T.INTENTS["ocr"])} AS ocr_intent FROM q2)"""
 _held = lambda c, hay, w: f"{w} * len(list_filter({c}, lambda t: contains({hay}, lower(t))))"
-_SCORED = f"""tok AS (SELECT DISTINCT doc_id, unnest(list_distinct(string_split_regex(lower(text), '[^\\p{{L}}0-9]+'))) AS t FROM documents), cand AS (SELECT DISTINCT query_id, doc_id FROM tok JOIN (SELECT query_id, unnest(terms) AS t FROM qa) USING (t)),
-    body AS (SELECT doc_id, lower(text) AS body, string_split(lower(text), chr(10))[1] AS section, CASE WHEN contains(text, ' | ') THEN 'table' ELSE 'text' END AS kind FROM documents),
-    tf AS (SELECT *, list_filter(list_transform(terms, lambda t: (length(body) - length(replace(body, t, ''))) / length(t)), lambda n: n > 0) AS tfs FROM cand JOIN qa USING (query_id) JOIN body USING (doc_id)),
-    scored AS (SELECT query_id, doc_id, kind, section, round(least((CASE WHEN contains(body, low) THEN 25 ELSE 0 END + {_held("caps", "body", 18)} + {_held("caps", "section", 10)} + {_held("ngrams", "body", 12)} + {_held("ngrams", "section", 8)} + {_held("proper", "body", 8)} + {_held("proper", "section", 5)}
+_SCORED = f"""body AS (SELECT doc_id, lower(text) AS body, lower(string_split(text, chr(10))[1]) AS section, CASE WHEN contains(text, ' | ') THEN 'table' ELSE 'text' END AS kind, CAST(floor(doc_id / 10) AS BIGINT) + 1 AS page FROM documents),
+    tf AS (SELECT * EXCLUDE (n), list_filter(n, lambda n: n > 0) AS tfs FROM (SELECT *, list_transform(terms, lambda t: (length(body) - length(replace(body, t, ''))) / length(t)) AS n FROM qa, body)),
+    scored AS (SELECT query_id, doc_id, kind, section, page, round(least((CASE WHEN contains(body, low) THEN 25 ELSE 0 END + {_held("caps", "body", 18)} + {_held("caps", "section", 10)} + {_held("ngrams", "body", 12)} + {_held("ngrams", "section", 8)} + {_held("proper", "body", 8)} + {_held("proper", "section", 5)}
         + coalesce(list_sum(list_transform(tfs, lambda n: (1 + ln(n)) * 2.5)), 0) + len(tfs) * 10 / CAST(len(terms) AS DOUBLE) + CASE WHEN table_intent AND kind = 'table' THEN 6 ELSE 0 END) / 45, 1.0), 6) AS score FROM tf)"""
 
 
@@ -123,20 +161,25 @@ def txt05_query_analysis(v):
     return qa.select("query_id", said("terms").alias("terms"), said("proper").alias("proper_nouns"), said("caps").alias("cap_phrases"), said("ngrams").alias("ngrams"), "table_intent", "visual_intent", "ocr_intent")
 
 
-@query(f"WITH {_ANALYSIS}, {_SCORED} SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS place FROM scored WHERE score >= 0.2 QUALIFY place <= 5", score="DOUBLE")
+@query(f"WITH {_ANALYSIS}, {_SCORED} SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS place FROM scored WHERE score >= 0.2 QUALIFY place <= 5", score="DOUBLE", place="INTEGER")
 def txt06_hybrid_score(v):
     """The best five documents of each query by all seven signals."""
-    return T.best(T.hybrid_scores(T.query_analysis(queries_v(v)), v.documents).filter("score >= 0.2"), 5)
+    return hybrid(T.query_analysis(queries_v(v)), T.as_chunks(v.documents), k=5)
 
 
-@query(f"""WITH {_ANALYSIS}, {_SCORED}, r AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS place FROM scored JOIN documents USING (doc_id) WHERE score >= 0.2 AND lang = 'en' AND kind = 'text' AND contains(section, 'th') QUALIFY place <= 3)
-    SELECT q.query_id, r.doc_id, r.score, coalesce(r.place, 1) AS place, r.doc_id IS NULL AS fallback FROM qa q LEFT JOIN r USING (query_id)""", score="DOUBLE")
+@query(f"""WITH {_ASKED}, {_ANALYSIS}, {_SCORED}, h AS (SELECT query_id, doc_id, s.page, CAST(round(score * 1000) AS BIGINT) AS m FROM scored s JOIN q USING (query_id)
+        WHERE score >= 0.2 AND (q.page IS NULL OR q.page = s.page) AND (q.kind IS NULL OR q.kind = s.kind) AND (q.section IS NULL OR s.section = '' OR contains(s.section, lower(q.section)))
+        QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 10),
+    n AS (SELECT query_id, b.doc_id, max((m * 85 + 50) // 100) AS m FROM h JOIN body b ON b.page = h.page AND b.doc_id IN (h.doc_id - 1, h.doc_id + 1) WHERE m >= 500 AND (query_id, b.doc_id) NOT IN (SELECT (query_id, doc_id) FROM h) GROUP BY 1, 2),
+    r AS (SELECT query_id, doc_id, m / 1000.0::DOUBLE AS score, supporting FROM (SELECT query_id, doc_id, m, false AS supporting FROM h UNION ALL SELECT query_id, doc_id, m, true FROM n) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY m DESC, doc_id) <= 10)
+    SELECT qa.query_id, r.doc_id, coalesce(r.score, 0) AS score, r.supporting, r.doc_id IS NULL AS fallback FROM qa LEFT JOIN r USING (query_id)""", score="DOUBLE")
 def txt07_filtered_retrieval(v):
-    """The best three among documents of a language, a kind of content and a section that contains a text; a fallback row where none qualifies."""
-    asked = T.query_analysis(queries_v(v))
-    hits = T.hybrid_scores(asked, v.documents.filter("lang = 'en'")).filter("score >= 0.2 AND kind = 'text' AND contains(section, 'th')")
-    met = asked.select("query_id").join(T.best(hits, 3).hint("merge"), "query_id", "left")
-    return met.select("query_id", "doc_id", "score", F.coalesce("place", F.lit(1)).cast("long").alias("place"), F.col("doc_id").isNull().alias("fallback"))
+    """Among documents of the page, the kind and the section that a query asks for, the best ten and their neighbours on the page; a fallback row where nothing qualifies."""
+    asked, chunks = queries_v(v), T.as_chunks(v.documents)
+    analysed = T.query_analysis(asked).join(asked.select("query_id", "page", "kind", "section").hint("merge"), "query_id")
+    hits = hybrid(analysed, chunks, filters=("page", "kind"), contains=("section",)).select("query_id", "doc_id", "score")
+    met = asked.select("query_id").join(with_neighbours(hits, chunks).hint("merge"), "query_id", "left")
+    return met.select("query_id", "doc_id", F.coalesce("score", F.lit(0.0)).alias("score"), "supporting", F.col("doc_id").isNull().alias("fallback"))
 
 
 @query("SELECT p_partkey AS id, concat_ws(' | ', 'name: ' || p_name, 'brand: ' || p_brand, 'size: ' || CAST(p_size AS VARCHAR) || ' mm') AS chunk FROM part")

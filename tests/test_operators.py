@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestream.functions import text as X
 from lodestream.operators import products as P, requests as R, texts as T
+from lodestream.operators.search import search
 from lodestream.plans.views import VIEWS, Views
 from lodestream.session import materialise, small_or_salted_join
 from lodestream.sources import files as S
@@ -51,19 +52,48 @@ def test_sanitised_text_is_cut_and_hides_keys(spark):
     assert first == "see [redacted-url] token=[redacted-key] now" and len(second) <= 240 and second.endswith("...")
 
 
-def test_chunks_overlap_and_cover(spark):
-    text = "\n".join(f"line {i} " + "ä" * 60 for i in range(30))
-    got = values(T.chunks(spark.createDataFrame([(1, text), (2, ""), (3, None)], "doc_id long, text string")), "doc_id", "chunk", "text")
-    own = [t for d, _, t in got if d == 1]
-    assert all(b.split("\n")[:2] == a.split("\n")[-2:] for a, b in zip(own, own[1:], strict=False))
-    assert {line for t in own for line in t.split("\n")} == set(text.split("\n"))
-    assert [t for d, _, t in got if d == 2] == [""] and not [t for d, _, t in got if d == 3]
-
-
-def test_search_ties_go_by_id_and_nothing_matches_nothing(spark):
-    docs = spark.createDataFrame([(2, "blue ring"), (1, "blue ring"), (3, None)], "doc_id long, text string")
-    asked = spark.createDataFrame([(1, "blue ring"), (2, "xyz")], "query_id long, query string")
-    assert values(T.search(asked, docs), "query_id", "doc_id", "place") == [(1, 1, 1), (1, 2, 2)]
+def test_chunks_carry_lines_lengths_and_pages(spark, tmp_path):
+    long, line = "x" * 600, "ä" * 240
+    texts = {1: "\n".join([line] * 5), 2: "", 3: None, 4: long, 5: f"{long}\na\nb", 6: f"Page 7: cover\n{line}\n{line}\n{line}\nPage x\nPage 9\nend", 7: "one"}
+    docs = spark.createDataFrame([(i, t, "kept") for i, t in texts.items()], "doc_id long, text string, chunk string")
+    got = values(T.chunks(docs), "doc_id", "chunk", "page", "text")
+    # three lines fill a chunk and two of them go on; one long line fills one and none goes on
+    assert got == [
+        (1, 0, 1, "\n".join([line] * 3)), (1, 1, 1, "\n".join([line] * 3)), (1, 2, 1, "\n".join([line] * 3)), (1, 3, 1, "\n".join([line] * 2)),
+        (4, 0, 1, long), (5, 0, 1, long), (5, 1, 1, "a\nb"),
+        (6, 0, 7, f"Page 7: cover\n{line}\n{line}\n{line}"), (6, 1, 9, f"{line}\n{line}\nPage x\nPage 9\nend"), (7, 0, 1, "one"),
+    ]
+
+
+def test_chunk_index_rewrites_what_changed_only(spark, tmp_path):
+    path = f"file://{tmp_path}/index"
+    docs = [(i, f"text {i}\n" * 100) for i in range(40)]
+    as_df = lambda rows: T.chunks(spark.createDataFrame(rows, "doc_id long, text string"))
+    first = {r["doc_id"] for r in T.index_chunks(as_df(docs), path, buckets=8).collect()}
+    files = {f: f.stat().st_mtime_ns for f in tmp_path.glob("index/bucket=*/*.parquet")}
+    changed = T.index_chunks(as_df([(3, "short now")]), path, buckets=8)
+    assert first == set(range(40)) and values(changed.filter("doc_id = 3"), "chunk", "text") == [(0, "short now")]
+    assert changed.count() == T.chunks(spark.createDataFrame([*docs[:3], *docs[4:]], "doc_id long, text string")).count() + 1
+    now = {f: f.stat().st_mtime_ns for f in tmp_path.glob("index/bucket=*/*.parquet")}
+    assert len({f.parent for f in files if now.get(f) != files[f]}) == 1
+    assert T.index_chunks(as_df(docs).limit(0), path, buckets=8).count() == changed.count()
+
+
+def test_search_counts_what_is_contained_and_ties_go_by_id(spark):
+    docs = spark.createDataFrame([(2, "Blue RINGS", "x"), (1, "blue ring", "y"), (3, None, "x"), (4, "a bluering", None), (None, "blue ring", "x")], "doc_id long, text string, lang string")
+    asked = spark.createDataFrame([(1, "blue ring", None), (2, "xyz", "x"), (3, "ring  ring or", "x"), (4, "", None)], "query_id long, query string, lang string")
+    got = values(search(asked, docs, k=3, filters=("lang",)), "query_id", "place", "doc_id", "score")
+    assert got == [(1, 1, 1, 0.99), (1, 2, 2, 0.99), (1, 3, 4, 0.7), (2, 1, 2, 0.5), (2, 2, 3, 0.5), (3, 1, 2, 0.7), (3, 2, 3, 0.5), (4, 1, 1, 0.9), (4, 2, 2, 0.9), (4, 3, 3, 0.9)]
+    assert values(search(asked, docs, k=3, least=0.8, filters=("lang",)), "query_id", "doc_id") == [(1, 1), (1, 2), (4, 1), (4, 2), (4, 3)]
+    assert search(asked.limit(0), docs).count() == 0 and search(asked, docs.limit(0), filters=("lang",)).count() == 0
+
+
+def test_search_in_blocks_and_over_many_tasks_gives_the_same(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"w{i % 7} w{i % 11} w{i % 5}x") for i in range(300)], "doc_id long, text string")
+    asked = spark.createDataFrame([(i, f"w{i % 9} w{i % 4}x") for i in range(25)], "query_id long, query string")
+    whole = values(search(asked, docs.coalesce(1), k=4), "query_id", "place", "doc_id", "score")
+    monkeypatch.setattr("lodestream.operators.search.BLOCK", 7)
+    assert values(search(asked, docs.repartition(9), k=4), "query_id", "place", "doc_id", "score") == whole and len(whole) == 100
 
 
 def test_eviction_stops_when_enough_is_freed(spark):
