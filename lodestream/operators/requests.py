@@ -174,20 +174,32 @@ def model_groups(models: DataFrame, splits: DataFrame, merges: dict[str, str]) -
     return rows.select(*models.columns, F.when(F.col("_split"), own).otherwise(F.coalesce(merged, base)).alias("group_key"), (F.col("_split").isNotNull() | merged.isNotNull()).alias("chosen"))
 
 
-def penalty_decay(events: DataFrame, *, most: float = 10.0, decay_ms: int = 120_000, failure: float = 3.0, success: float = 1.0) -> DataFrame:
-    """(model, penalty, at_ms) after all of a model's events (model, ms, event_id, bad) in order.
+def penalty_decay(events: DataFrame, *, most: float = 10.0, decay_ms: int = 120_000, success: float = 1.0) -> DataFrame:
+    """(model, penalty, last_ms, seen_ms) after all of a model's events (model, ms, event_id, weight) in order.
 
-    An event after k decays is p -> min(hi, max(lo, p + d)), and such functions compose to one of their kind. So each range of
-    events is folded into one function by itself, and only a row a range and model meets in the end: a hot model isn't one task's.
+    A failure (with a weight over 0) takes off a point for each ``decay_ms`` since the last failure, adds its weight, ``most`` at most, and sets the clock; a success takes off
+    ``success`` and leaves the clock; at 0 nothing is left of it, last_ms is null. Between failures such steps are p -> min(hi, max(lo, p + d)), which compose to one
+    of their kind; what a range of events takes off before its first failure is told apart, as the clock of that failure is another range's. So each range is
+    folded by itself, and only a row a range and model meets in the end: a hot model isn't one task's.
     """
     ranged = materialise(events.repartitionByRange("model", "ms", "event_id").withColumn("_range", F.spark_partition_id()), "penalty-ranges")
-    listed = ranged.groupBy("model", "_range").agg(F.array_sort(F.collect_list(F.struct("ms", "event_id", "bad"))).alias("x"))
-    lo, d = f"IF(e.bad, {failure}D, 0D)", f"IF(e.bad, {failure}D, -{success}D)"
-    k = f"IF(a.last IS NULL, 0L, floor((e.ms - a.last) / {decay_ms}))"
-    clamp = lambda c: f"least({most}D, greatest({lo}, a.{c} + {d} - {k}))"
-    fold = F.expr(f"aggregate(x, named_struct('d', 0D, 'lo', -1e18D, 'hi', 1e18D, 'last', CAST(NULL AS BIGINT)), (a, e) -> named_struct('d', a.d + {d} - {k}, 'lo', {clamp('lo')}, 'hi', {clamp('hi')}, 'last', e.ms))")
-    parts = listed.select("model", "_range", F.col("x")[0]["ms"].alias("first"), fold.alias("f"))
-    whole = parts.groupBy("model").agg(F.array_sort(F.collect_list(F.struct("_range", "first", "f"))).alias("y"))  # a row a range
-    rested = f"IF(a.last IS NULL, a.p, greatest(0D, a.p - floor((e.first - a.last) / {decay_ms})))"
-    end = F.expr(f"aggregate(y, named_struct('p', 0D, 'last', CAST(NULL AS BIGINT)), (a, e) -> named_struct('p', least(e.f.hi, greatest(e.f.lo, {rested} + e.f.d)), 'last', e.f.last))")
-    return whole.select("model", end.alias("s")).select("model", F.col("s.p").alias("penalty"), F.col("s.last").alias("at_ms"))
+    listed = ranged.groupBy("model", "_range").agg(F.array_sort(F.collect_list(F.struct("ms", "event_id", F.col("weight").cast("double").alias("w")))).alias("x"))
+    gone = lambda last, ms: f"IF({last} IS NULL, 0D, floor(({ms} - {last}) / {decay_ms}))"
+    hit = lambda c: f"least({most}D, greatest(e.w, a.{c} - {gone('a.last', 'e.ms')} + e.w))"
+    state = "named_struct('before', {}, 'd', {}, 'lo', {}, 'hi', {}, 'first', {}, 'last', {})".format
+    failed = state("a.before", f"a.d - {gone('a.last', 'e.ms')} + e.w", hit("lo"), hit("hi"), "coalesce(a.first, e.ms)", "e.ms")
+    before = state(f"a.before + {success}D", "a.d", "a.lo", "a.hi", "a.first", "a.last")
+    after = state("a.before", f"a.d - {success}D", f"greatest(0D, a.lo - {success}D)", f"greatest(0D, a.hi - {success}D)", "a.first", "a.last")
+    empty = state("0D", "0D", "-1e18D", "1e18D", "CAST(NULL AS BIGINT)", "CAST(NULL AS BIGINT)")
+    fold = F.expr(f"aggregate(x, {empty}, (a, e) -> IF(e.w > 0, {failed}, IF(a.last IS NULL, {before}, {after})))")
+    parts = listed.select("model", "_range", F.element_at("x", -1)["ms"].alias("seen"), fold.alias("f"))
+    whole = parts.groupBy("model").agg(F.max("seen").alias("seen_ms"), F.array_sort(F.collect_list(F.struct("_range", "f"))).alias("y"))  # a row a range
+    rested = f"greatest(0D, greatest(0D, a.p - e.f.before) - {gone('a.last', 'e.f.first')})"
+    joined = f"IF(e.f.first IS NULL, named_struct('p', greatest(0D, a.p - e.f.before), 'last', a.last), named_struct('p', least(e.f.hi, greatest(e.f.lo, {rested} + e.f.d)), 'last', e.f.last))"
+    end = F.expr(f"aggregate(y, named_struct('p', 0D, 'last', CAST(NULL AS BIGINT)), (a, e) -> {joined})")
+    return whole.select("model", "seen_ms", end.alias("s")).select("model", F.col("s.p").alias("penalty"), F.when(F.col("s.p") > 0, F.col("s.last")).alias("last_ms"), "seen_ms")
+
+
+def penalty_at(penalty: Column, last_ms: Column, ms: Column, decay_ms: int = 120_000) -> Column:
+    """A penalty as it reads at ``ms``: a point less for each ``decay_ms`` since its last failure; reading changes nothing."""
+    return F.coalesce(F.greatest(F.lit(0.0), penalty - F.floor((ms - last_ms) / decay_ms)), F.lit(0.0))

@@ -8,10 +8,11 @@ from ..functions import text as X
 from ..operators import products as P, requests as Q
 from ..session import scratch_path
 from ..sources import files as S
+from ..streaming.request_stream import weighted
 from .products import _NUMBER, _REQUIRED, _UNIT, _clean
 from .registry import query
 from .requests import _COOL, _KEYS, keys, now
-from .streams import PENALTY_SQL
+from .streams import PENALTY_SQL, penalty_reads
 
 
 @query("SELECT 'SKU-' || CAST(CASE WHEN p_partkey % 10 = 3 THEN p_partkey - 3 ELSE p_partkey END AS VARCHAR) AS sku, p_name AS name, p_brand AS brand, CAST(p_size AS VARCHAR) AS housing_size FROM part")
@@ -181,10 +182,10 @@ def jon20_penalty_inspector(v):
     return both.select("id", F.coalesce("n", F.lit(0)).alias("errors"), F.coalesce("c", F.lit(0)).alias("cooling"), F.array_join(F.array_compact(F.array(*[F.when(t, n) for n, t in tests.items()])), ",").alias("reasons"))
 
 
-@query(PENALTY_SQL, penalty="DOUBLE", at_ms="BIGINT")
+@query(PENALTY_SQL, penalty="DOUBLE", reads="DOUBLE", last_ms="BIGINT", seen_ms="BIGINT")
 def fun19_penalty_decay(v):
     """The fold of STR-06 over each model's events in order, as a batch."""
-    return Q.penalty_decay(v.events.select(F.concat(F.lit("m"), (F.col("user_id") % 12).cast("string")).alias("model"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), "event_id", (F.col("event_type") == "error").alias("bad")))
+    return penalty_reads(Q.penalty_decay(weighted(v.events)))
 
 
 @query()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import inline_payload
+from ..operators.requests import penalty_at
 from ..streaming import request_stream as R
 from .registry import query
 
@@ -64,15 +65,39 @@ def str05_unique_sources(v):
     return R.drain(R.unique_sources(_events(v)), "unique").select("user_id", "event_type").distinct()
 
 
-#: The fold over each model's events in order.
-PENALTY_SQL = """WITH e AS (SELECT 'm' || CAST(user_id % 12 AS VARCHAR) AS model, list({'p': 0.0::DOUBLE, 'last': 0::BIGINT, 'ms': epoch_us(ts) // 1000, 'bad': event_type = 'error'} ORDER BY epoch_us(ts) // 1000, event_id) AS x FROM events GROUP BY 1),
-    s AS (SELECT model, list_reduce(list_prepend({'p': 0.0::DOUBLE, 'last': 0::BIGINT, 'ms': 0::BIGINT, 'bad': false}, x), lambda a, b: {'p': CASE WHEN b.bad THEN least(10.0, greatest(0.0, a.p - CASE WHEN a.last > 0 THEN (b.ms - a.last) // 120000 ELSE 0 END) + 3) ELSE greatest(0.0, a.p - CASE WHEN a.last > 0 THEN (b.ms - a.last) // 120000 ELSE 0 END - 1) END, 'last': b.ms, 'ms': b.ms, 'bad': b.bad}) AS s FROM e)
-    SELECT model, s.p AS penalty, s.last AS at_ms FROM s"""
+#: Bytes that a store of the query may hold, and milliseconds that a source may be idle.
+STORE_BYTES, STORE_IDLE = 2_000, 3_600_000
 
 
-@query(PENALTY_SQL, penalty="DOUBLE", at_ms="BIGINT")
+def adds(events):
+    """Sources that users bring into the store of their group: some by address, some without, with contents that repeat."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    url = F.when(k % 3 > 0, F.concat(F.lit("https://host.example/"), (k % 40).cast("string")))
+    return events.select(F.concat(F.lit("s"), (F.col("user_id") % 12).cast("string")).alias("store"), "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), url.alias("url"), F.sha2(F.concat_ws(" ", "event_type", (k % 25).cast("string")), 256).alias("hash"), (F.col("value") * 10).cast("long").alias("size"))
+
+
+@query()
+def str05_source_store(v):
+    """What each add did to the store of its group; a fold over maps of addresses and contents, so tests hold it against a plain loop instead of SQL."""
+    return R.drain(R.source_store(adds(_events(v)), idle_ms=STORE_IDLE, budget=STORE_BYTES), "sources").drop("batch")
+
+
+#: The fold over each model's events in order: failures move the clock, successes don't, and nothing is left at 0.
+PENALTY_SQL = """WITH e AS (SELECT 'm' || CAST(user_id % 12 AS VARCHAR) AS model, max(epoch_us(ts) // 1000) AS seen_ms, list({'p': 0.0::DOUBLE, 'last': NULL::BIGINT, 'ms': epoch_us(ts) // 1000, 'w': CASE WHEN event_type <> 'error' THEN 0.0 WHEN CAST(json_extract_string(props, '$.k') AS BIGINT) % 8 = 0 THEN 3.0 ELSE 1.0 END::DOUBLE} ORDER BY epoch_us(ts) // 1000, event_id) AS x FROM events GROUP BY 1),
+    s AS (SELECT model, seen_ms, list_reduce(list_prepend({'p': 0.0::DOUBLE, 'last': NULL::BIGINT, 'ms': 0::BIGINT, 'w': 0.0::DOUBLE}, x), lambda a, b: CASE
+        WHEN b.w > 0 AND a.last IS NULL THEN {'p': b.w, 'last': b.ms, 'ms': b.ms, 'w': b.w}
+        WHEN b.w > 0 THEN {'p': least(10.0, greatest(0.0, a.p - (b.ms - a.last) // 120000) + b.w), 'last': b.ms, 'ms': b.ms, 'w': b.w}
+        WHEN a.p <= 1 THEN {'p': 0.0::DOUBLE, 'last': NULL::BIGINT, 'ms': b.ms, 'w': b.w} ELSE {'p': a.p - 1, 'last': a.last, 'ms': b.ms, 'w': b.w} END) AS s FROM e)
+    SELECT model, s.p AS penalty, s.last AS last_ms, seen_ms, coalesce(greatest(0.0, s.p - (seen_ms - s.last) // 120000), 0.0) AS reads FROM s"""
+
+
+def penalty_reads(rows):
+    return rows.withColumn("reads", penalty_at(F.col("penalty"), F.col("last_ms"), F.col("seen_ms")))
+
+
+@query(PENALTY_SQL, penalty="DOUBLE", reads="DOUBLE", last_ms="BIGINT", seen_ms="BIGINT")
 def str06_penalties(v):
-    return R.latest(R.drain(R.penalties(_events(v)), "penalties", "update"), ["model"])
+    return penalty_reads(R.latest(R.drain(R.penalties(R.weighted(_events(v))), "penalties", "update"), ["model"]))
 
 
 @query("SELECT user_id, ms FROM (SELECT user_id, epoch_us(ts) // 1000 AS ms, epoch_us(ts) AS us, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS last FROM events WHERE event_type = 'error') WHERE us - last <= 3600000000")

@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..session import scratch_path, table
 
-# Fixed values of the penalty: most, milliseconds of decay per point, weight of a failure and of a success.
-MOST_PENALTY, DECAY_MS, FAILURE, SUCCESS = 10.0, 120_000, 3.0, 1.0
+# Fixed values of the penalty: most, milliseconds of decay per point, weight of a rate limit, of another failure and of a success.
+MOST_PENALTY, DECAY_MS, LIMITED, FAILURE, SUCCESS = 10.0, 120_000, 3.0, 1.0, 1.0
 
 
 def source(spark: SparkSession, sf_dir: str, name: str = "events") -> DataFrame:
@@ -28,6 +29,8 @@ def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     def save(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
+    # keyed state with several variables needs a store with column families
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(save).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema.add("batch", "long")).parquet(path)
@@ -70,20 +73,107 @@ def sequences(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").applyInPandasWithState(number, "event_id long, user_id long, props string, seq long", "n long", "append", GroupStateTimeout.NoTimeout)
 
 
-def penalties(events: DataFrame) -> DataFrame:
-    """(model, penalty, at): failures add up to MOST_PENALTY, a point decays every DECAY_MS, successes take one off."""
+class Penalty(StatefulProcessor):
+    """The penalty of a model and the time of its last failure; no state is kept at 0."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("penalty", "penalty double, last_ms long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:  # noqa: N802, N803  the names that Spark calls
+        penalty, last = self.state.get() if self.state.exists() else (0.0, None)
+        seen = 0
+        for seen, _, weight in sorted((r["ms"], r["event_id"], r["weight"]) for r in rows):  # a trigger's rows of a model, by number of files at most
+            if weight > 0:
+                rested = penalty if last is None else max(0.0, penalty - (seen - last) // DECAY_MS)
+                penalty, last = min(MOST_PENALTY, rested + weight), seen
+            else:
+                penalty = max(0.0, penalty - SUCCESS)
+                last = last if penalty else None
+        if penalty:
+            self.state.update((penalty, last))
+        else:
+            self.state.clear()
+        yield Row(model=key[0], penalty=penalty, last_ms=last, seen_ms=seen)
+
+    def close(self) -> None:
+        pass
 
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        penalty, last = state.get if state.exists else (0.0, 0)
-        for row in pd.concat(batches).sort_values(["ms", "event_id"]).itertuples():
-            penalty = max(0.0, penalty - (max(row.ms - last, 0) // DECAY_MS if last else 0))
-            last = row.ms
-            penalty = min(MOST_PENALTY, penalty + FAILURE) if row.event_type == "error" else max(0.0, penalty - SUCCESS)
-        state.update((penalty, last))
-        yield pd.DataFrame({"model": [key[0]], "penalty": [penalty], "at_ms": [last]})
 
-    keyed = events.select(F.concat(F.lit("m"), (F.col("user_id") % 12).cast("string")).alias("model"), "event_id", "event_type", F.unix_millis("ts").alias("ms"))
-    return keyed.groupBy("model").applyInPandasWithState(fold, "model string, penalty double, at_ms long", "penalty double, last long", "update", GroupStateTimeout.NoTimeout)
+def weighted(events: DataFrame) -> DataFrame:
+    """(model, event_id, ms, weight) of events: a rate limit met weighs LIMITED, another error FAILURE, a success 0."""
+    limited = F.get_json_object("props", "$.k").cast("long") % 8 == 0
+    weight = F.when(F.col("event_type") != "error", 0.0).when(limited, LIMITED).otherwise(FAILURE)
+    return events.select(F.concat(F.lit("m"), (F.col("user_id") % 12).cast("string")).alias("model"), "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), weight.alias("weight"))
+
+
+def penalties(events: DataFrame) -> DataFrame:
+    """(model, penalty, last_ms, seen_ms) of weighted events, after each trigger: see Penalty, and operators.requests.penalty_decay for the same over a table."""
+    return events.groupBy("model").transformWithState(Penalty(), "model string, penalty double, last_ms long, seen_ms long", "Update", "None")
+
+
+class SourceStore(StatefulProcessor):
+    """The live sources of one store. An add is a touch if its address, or else its content, is that of a live source; sources that nothing has used for
+    ``idle_ms`` are gone before an add, and those used longest ago go after it while the store holds more than ``budget`` bytes."""
+
+    def __init__(self, idle_ms: int, budget: int):
+        self.idle_ms, self.budget = idle_ms, budget
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        # what is live is bounded by the budget, so a trigger works on it in memory and writes what changed
+        self.live = handle.getMapState("live", "source_id long", "url string, hash string, size long, used_ms long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:  # noqa: N802, N803
+        was = {k[0]: tuple(v) for k, v in self.live.iterator()}
+        held = dict(sorted(was.items(), key=lambda x: (x[1][3], x[0])))  # least recently used first
+        urls, hashes = {v[0]: i for i, v in held.items() if v[0]}, {v[1]: i for i, v in held.items()}
+        total = sum(v[2] for v in held.values())
+
+        def drop(source: int) -> int:
+            url, content, size, _ = held.pop(source)
+            if url and urls.get(url) == source:
+                del urls[url]
+            if hashes.get(content) == source:
+                del hashes[content]
+            return size
+
+        for row in sorted(rows, key=lambda r: (r["ms"], r["event_id"])):
+            now, expired, evicted = row["ms"], 0, 0
+            while held and now - held[oldest := next(iter(held))][3] > self.idle_ms:
+                total -= drop(oldest)
+                expired += 1
+            source, action = urls.get(row["url"]) if row["url"] else None, "url"
+            if source is None:
+                source, action = hashes.get(row["hash"]), "hash"
+            if source is not None:
+                held[source] = (*held.pop(source)[:3], now)  # last in the order of use
+            elif row["size"] > self.budget:
+                action = "rejected"
+            else:
+                source, action = row["event_id"], "new"
+                held[source] = (row["url"], row["hash"], row["size"], now)
+                hashes[row["hash"]] = source
+                if row["url"]:
+                    urls[row["url"]] = source
+                total += row["size"]
+                while total > self.budget:
+                    total -= drop(next(iter(held)))
+                    evicted += 1
+            yield Row(store=key[0], event_id=row["event_id"], source_id=source, action=action, expired=expired, evicted=evicted, bytes=total)
+        for source in was.keys() - held.keys():
+            self.live.removeKey((source,))
+        for source, value in held.items():
+            if was.get(source) != value:
+                self.live.updateValue((source,), value)
+
+    def close(self) -> None:
+        pass
+
+
+def source_store(adds: DataFrame, *, idle_ms: int = 7 * 86_400_000, budget: int = 4 << 30) -> DataFrame:
+    """A row for each add (store, event_id, ms, url, hash, size): the source that it made or met and how (new, url, hash or rejected), how many sources expired before and
+    were evicted after it, and the store's bytes then. Stores are apart, so each has a budget of its own. Adds of a trigger are taken by time and id."""
+    schema = "store string, event_id long, source_id long, action string, expired int, evicted int, bytes long"
+    return adds.groupBy("store").transformWithState(SourceStore(idle_ms, budget), schema, "Append", "None")
 
 
 def confirmations(events: DataFrame, within_us: int = 3_600_000_000) -> DataFrame:
@@ -104,7 +194,7 @@ def confirmations(events: DataFrame, within_us: int = 3_600_000_000) -> DataFram
 
 
 def unique_sources(events: DataFrame) -> DataFrame:
-    """One event of each (user, type); repeats within a week of event time go."""
+    """One event of each (user, type); repeats within a week of event time go. The simple form of source_store(), by one key and without touch, contents or budget."""
     return events.withWatermark("ts", "7 days").dropDuplicatesWithinWatermark(["user_id", "event_type"]).select("user_id", "event_type")
 
 

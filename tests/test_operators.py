@@ -1,6 +1,8 @@
 """Edge cases of operators: empty input, nulls, one row, ties, non-ASCII text."""
 
 import datetime as dt
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from lodestream.operators.search import search
 from lodestream.plans.views import VIEWS, Views
 from lodestream.session import materialise, small_or_salted_join
 from lodestream.sources import files as S
+from lodestream.streaming import request_stream as Q
 
 
 def values(df, *columns):
@@ -153,24 +156,85 @@ def test_filters_reach_the_scan(spark, sf_dir):
     assert "PushedFilters: [IsNotNull(o_orderkey), EqualTo(o_orderkey,5)]" in plan and "o_totalprice" not in plan.split("ReadSchema")[1]
 
 
-def test_penalty_decay_over_many_ranges(spark):
-    import random
+def plain_penalties(rows):
+    out = {}
+    for model, ms, _, weight in sorted(rows):
+        p, last, _ = out.get(model, (0.0, None, 0))
+        if weight:
+            p, last = min(10.0, (max(0.0, p - (ms - last) // 120_000) if last is not None else 0.0) + weight), ms
+        else:
+            p = max(0.0, p - 1)
+            last = last if p else None
+        out[model] = (p, last, ms)
+    return out
 
-    from lodestream.operators.requests import penalty_decay
 
+def penalty_rows(n):
     draw = random.Random(5)
-    rows = [(f"m{draw.randrange(3)}", 1_000_000 + draw.randrange(4_000_000), i, draw.random() < 0.4) for i in range(3000)]
-    rows += [("m0", 1_500_000, 3000 + i, i % 2 == 0) for i in range(300)]
-    expected = {}
-    for model, ms, _, bad in sorted(rows):
-        p, last = expected.get(model, (0.0, None))
-        p = max(0.0, p - (0 if last is None else (ms - last) // 120_000))
-        expected[model] = (min(10.0, p + 3) if bad else max(0.0, p - 1), ms)
+    rows = [(f"m{draw.randrange(3)}", 1_000_000 + draw.randrange(4_000_000), i, draw.choice([0.0, 0.0, 1.0, 3.0])) for i in range(n)]
+    rows += [("m0", 1_500_000, n + i, [1.0, 0.0][i % 2]) for i in range(n // 10)]
+    return [*rows, ("gone", 5, 1, 3.0), ("gone", 9, 2, 0.0), ("gone", 9, 3, 0.0), ("gone", 9, 4, 0.0), ("good", 5, 1, 0.0), ("old", 5, 1, 3.0), ("old", 9_000_000, 2, 1.0)]
+
+
+PENALTIES = "model string, ms long, event_id long, weight double"
+
+
+def test_penalty_decay_over_many_ranges(spark):
+    rows = penalty_rows(3000)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        df = spark.createDataFrame(rows, "model string, ms long, event_id long, bad boolean").repartition(7)
-        got = {r["model"]: (r["penalty"], r["at_ms"]) for r in penalty_decay(df).collect()}
-        assert got == expected
-        assert penalty_decay(df.limit(0)).count() == 0
+        df = spark.createDataFrame(rows, PENALTIES).repartition(7)
+        got = {r["model"]: (r["penalty"], r["last_ms"], r["seen_ms"]) for r in R.penalty_decay(df).collect()}
+        assert got == plain_penalties(rows) and got["gone"] == (0.0, None, 9) and got["old"] == (1.0, 9_000_000, 9_000_000)
+        assert R.penalty_decay(df.limit(0)).count() == 0
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def in_triggers(spark, tmp_path, rows, schema, parts):
+    """A stream of the rows, a file a trigger; files are in the rows' order."""
+    step = -(-len(rows) // parts)
+    for i in range(parts):
+        spark.createDataFrame(rows[i * step : (i + 1) * step], schema).coalesce(1).write.parquet(f"file://{tmp_path}/in{i}/x")
+        time.sleep(0.02)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in*/x")
+
+
+def test_streamed_penalties_carry_their_clock_over_triggers(spark, tmp_path):
+    rows = sorted(penalty_rows(200), key=lambda r: r[1:])
+    got = Q.latest(Q.drain(Q.penalties(in_triggers(spark, tmp_path, rows, PENALTIES, 4)), "p", "update"), ["model"]).collect()
+    assert {r["model"]: (r["penalty"], r["last_ms"], r["seen_ms"]) for r in got} == plain_penalties(rows)
+
+
+def test_source_store_is_that_of_a_plain_loop(spark, tmp_path):
+    draw = random.Random(3)
+    adds = [(f"s{draw.randrange(2)}", i, 1000 * i + draw.randrange(3) * 20_000 * (i % 25 == 0), draw.choice([None, "", *(f"u{j}" for j in range(9))]), f"h{draw.randrange(14)}", draw.randrange(1, 60)) for i in range(160)]
+    adds[40] = (*adds[40][:3], None, "large", 500)
+    adds.sort(key=lambda r: r[2:0:-1])
+    idle, budget, expected, stores = 9_000, 130, {}, {}
+    for store, i, ms, url, content, size in sorted(adds, key=lambda r: (r[0], r[2], r[1])):
+        live = stores.setdefault(store, [])  # [source, url, hash, size, used] by use
+        old = [x for x in live if ms - x[4] > idle]
+        live[:] = [x for x in live if ms - x[4] <= idle]
+        by_url = [x for x in live if url and x[1] == url]
+        by_hash = [x for x in live if x[2] == content]
+        gone = 0
+        if met := by_url or by_hash:
+            x = met[0]
+            live.remove(x)
+            live.append([*x[:4], ms])
+            source, action = x[0], "url" if by_url else "hash"
+        elif size > budget:
+            source, action = None, "rejected"
+        else:
+            source, action = i, "new"
+            live.append([i, url, content, size, ms])
+            while sum(x[3] for x in live) > budget:
+                live.pop(0)
+                gone += 1
+        expected[i] = (store, source, action, len(old), gone, sum(x[3] for x in live))
+    stream = in_triggers(spark, tmp_path, adds, "store string, event_id long, ms long, url string, hash string, size long", 4)
+    got = Q.drain(Q.source_store(stream, idle_ms=idle, budget=budget), "s").collect()
+    seen = {r["event_id"]: (r["store"], r["source_id"], r["action"], r["expired"], r["evicted"], r["bytes"]) for r in got}
+    assert len(got) == len(adds) and {x[2] for x in seen.values()} == {"new", "url", "hash", "rejected"}
+    assert seen == expected
