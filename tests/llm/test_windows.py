@@ -41,7 +41,7 @@ def texts(window):
 
 
 @pytest.mark.parametrize(("window", "period"), [(35, 21), (8, 7), (8, 3), (35, 31)])
-@pytest.mark.parametrize("most", [windows.MOST_MARKED, 0])
+@pytest.mark.parametrize("most", [windows.MOST_PAIRS, 0])
 def test_words_left_are_those_of_a_plain_count(spark, window, period, most):
     rows = texts(window)
     docs = spark.createDataFrame([(d, t, "clash", "clash") for d, t in rows], "doc_id long, text string, kept string, row string").repartition(4)
