@@ -5,17 +5,16 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Row, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from ..functions import protected
 from ..session import materialise
 from .search import SLICE
 
-# Kinds of protected spans and their patterns.
-PROTECTED = {"url": r"https?://[^\s]+", "number": r"[0-9]+(?:\.[0-9]+)?", "email": r"[A-Za-z0-9._+-]+@[A-Za-z0-9.-]+", "path": r"/[a-z]+/[a-z0-9./]+"}
-
-
 def lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, pos, line) of each text, positions from 1."""
     return docs.select(key, F.posexplode(F.split(text, "\n")).alias("pos", "line")).withColumn("pos", (F.col("pos") + 1).cast("long"))
@@ -98,31 +97,6 @@ def index_chunks(rows: DataFrame, path: str, *, key: str = "doc_id", buckets: in
     return spark.read.schema(new.schema).parquet(path)
 
 
-def collapsed(text: Column, least: int = 3) -> Column:
-    """Runs of at least ``least`` identical lines as the first of them and a marker; one pass over the array of lines, no row a line."""
-    lines_ = F.split(text, "\n")
-    starts = F.filter(F.sequence(F.lit(0), F.size(lines_) - 1), lambda i: (i == 0) | (F.get(lines_, i) != F.get(lines_, i - 1)))
-    ends = F.concat(F.slice(starts, F.lit(2), F.size(starts)), F.array(F.size(lines_)))
-    runs = F.transform(
-        F.arrays_zip(starts.alias("s"), ends.alias("e")),
-        lambda r: F.when(r["e"] - r["s"] >= least, F.array(F.get(lines_, r["s"]), F.concat(F.lit("["), (r["e"] - r["s"] - 1).cast("string"), F.lit(" identical lines]")))).otherwise(F.array_repeat(F.get(lines_, r["s"]), r["e"] - r["s"])),
-    )
-    return F.array_join(F.flatten(runs), "\n")
-
-
-def head_tail(text: Column, head: int = 5, tail: int = 3, keep: str = "[0-9]") -> Column:
-    """The first and last lines and those that match ``keep``; what is left out between is told by a marker."""
-    lines_ = F.split(text, "\n")
-    kept = F.filter(F.sequence(F.lit(0), F.size(lines_) - 1), lambda i: (i < head) | (i >= F.size(lines_) - tail) | F.get(lines_, i).rlike(keep))
-    marker = lambda n: F.concat(F.lit("["), n.cast("string"), F.lit(" lines omitted]"))
-    before = F.concat(F.array(F.lit(-1)), F.slice(kept, F.lit(1), F.size(kept) - 1))
-    parts = F.transform(
-        F.arrays_zip(kept.alias("i"), before.alias("p")),
-        lambda r: F.when(r["i"] - r["p"] > 1, F.array(marker(r["i"] - r["p"] - 1), F.get(lines_, r["i"]))).otherwise(F.array(F.get(lines_, r["i"]))),
-    )
-    return F.array_join(F.flatten(parts), "\n")  # the last lines are kept, so nothing is left out behind them
-
-
 # Words that say nothing in a query, its words and capitalised phrases, and the words that tell what it is after.
 STOPWORDS = tuple(
     """a an the is are was were be been being in on at to for from up of with by about against between into through during before after above below out off
@@ -155,19 +129,14 @@ def as_chunks(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", "lang", F.split("text", "\n")[0].alias("section"), F.when(F.col("text").contains(" | "), "table").otherwise("text").alias("kind"), (F.floor(F.col("doc_id") / 10) + 1).alias("page"))
 
 
-def line_rules(spark: SparkSession, path: str) -> list[Row]:
-    """The rules (name, action drop or keep, match, unless) of a JSON file, by name; a user's list is short."""
-    return spark.read.schema("name string, action string, match string, unless string").json(path).orderBy("name").collect()
+SPANS = ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("kinds", ArrayType(StringType()))]))
+
+
+@F.pandas_udf(SPANS)
+def _spans(text: pd.Series) -> pd.Series:
+    return text.map(lambda x: [{"start": s, "end": e, "kinds": k} for s, e, k in protected.spans(x or "")])
 
 
-def filtered_lines(docs: DataFrame, rules: list[Row], *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, new, a count for each rule that drops): a text without the lines that rules drop; the first rule that matches counts. Null texts give no row."""
-    lines_ = F.split(text, "\n")
-    keep = lambda x: F.coalesce(*[F.when(x.rlike(r["match"]), True) for r in rules if r["action"] == "keep"], F.lit(False))
-    hit = lambda x, r: x.rlike(r["match"]) & (~x.rlike(r["unless"]) if r["unless"] else F.lit(True))
-    drops = [r for r in rules if r["action"] == "drop"]
-    by = lambda x: F.when(keep(x), F.lit(None).cast("string")).otherwise(F.coalesce(*[F.when(hit(x, r), r["name"]) for r in drops], F.lit(None).cast("string")))
-    judged = docs.filter(F.col(text).isNotNull()).select(key, F.transform(lines_, lambda x: F.struct(x.alias("line"), by(x).alias("rule"))).alias("_j"))
-    count = lambda name: F.size(F.filter("_j", lambda j: j["rule"].eqNullSafe(F.lit(name)))).cast("long").alias(name)
-    counts = [count(r["name"]) for r in drops]
-    return judged.select(key, F.array_join(F.transform(F.filter("_j", lambda j: j["rule"].isNull()), lambda j: j["line"]), "\n").alias("new"), *counts)
+def protected_spans(text: str) -> Column:
+    """The disjoint spans (start, end, kinds) of a text that a compression must not lose; null and empty texts have none."""
+    return _spans(text)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Window as W, functions as F
 
 from ..functions import text as X
+from ..functions.protected import MUST_KEEP, PROTECTED, java
 from ..operators import products as P, texts as T
+from ..operators.compression import OMITTED, collapse_runs, fidelity, filter_lines, head_tail, line_rules
 from ..operators.search import hybrid, search, with_neighbours
 from ..session import scratch_path
 from .registry import query
@@ -41,21 +45,28 @@ def fun07_redaction(v):
     return v.documents.select("doc_id", F.sha2(said, 256).alias("said"), (said != F.col("text")).alias("changed"))
 
 
-@query("SELECT doc_id, kind, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, unnest(regexp_extract_all(text, '{p}')) AS span FROM documents" for k, p in T.PROTECTED.items()) + ") GROUP BY 1, 2")
+_sql = lambda pattern: pattern.replace("'", "''")
+
+
+@query("SELECT doc_id, kind, len(x) AS n, sha256(array_to_string(x, chr(10))) AS said FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, regexp_extract_all(text, '{_sql(p)}') AS x FROM documents" for k, p in PROTECTED.items()) + ") WHERE len(x) > 0", n="INTEGER")
 def fun23_protected_spans(v):
-    found = F.array(*[F.struct(F.lit(k).alias("kind"), F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias("spans")) for k, p in T.PROTECTED.items()])
-    return v.documents.select("doc_id", F.inline(found)).select("doc_id", "kind", F.size("spans").cast("long").alias("n")).filter("n > 0")
+    """What each of the eleven patterns finds in a text, as a count and a digest of the values in order."""
+    found = F.array(*[F.struct(F.lit(k).alias("kind"), F.regexp_extract_all("text", F.lit(java(p)), F.lit(0)).alias("x")) for k, p in PROTECTED.items()])
+    return v.documents.select("doc_id", F.inline(found)).filter("size(x) > 0").select("doc_id", "kind", F.size("x").alias("n"), F.sha2(F.array_join("x", "\n"), 256).alias("said"))
 
 
-_NUM = r"[0-9]+(?:\.[0-9]+)?"
+@query()
+def fun23_span_table(v):
+    """The merged spans of each text with their places and kinds, a row a span."""
+    spans = T.protected_spans("text")
+    return v.documents.select("doc_id", F.explode(spans).alias("s")).select("doc_id", "s.start", "s.end", F.array_join("s.kinds", ",").alias("kinds"))
 
 
-@query(f"WITH s AS (SELECT doc_id, list_distinct(regexp_extract_all(text, '{_NUM}')) AS spans, array_to_string(list_filter(string_split(text, chr(10)), lambda x: length(x) >= 60), chr(10)) AS short FROM documents) SELECT doc_id, len(spans) AS spans, len(list_filter(spans, lambda x: contains(short, x))) AS kept, len(spans) = len(list_filter(spans, lambda x: contains(short, x))) AS passes FROM s", spans="BIGINT", kept="BIGINT")
+@query()
 def fun24_fidelity_gate(v):
-    """A compressed text, here without its short lines, passes if it still holds every number of the whole text."""
-    s = v.documents.select("doc_id", F.array_distinct(F.regexp_extract_all("text", F.lit(_NUM), F.lit(0))).alias("spans"), F.array_join(F.filter(F.split("text", "\n"), lambda x: F.length(x) >= 60), "\n").alias("short"))
-    kept = F.size(F.filter("spans", lambda x: F.col("short").contains(x)))
-    return s.select("doc_id", F.size("spans").cast("long").alias("spans"), kept.cast("long").alias("kept"), (F.size("spans") == kept).alias("passes"))
+    """Whether a text without its short lines may stand for the whole: six tests of what it still holds."""
+    short = F.array_join(F.filter(F.split("text", "\n"), lambda x: F.length(x) >= 60), "\n")
+    return v.documents.filter("text IS NOT NULL").select("doc_id", fidelity(F.array("text"), F.array(short)).alias("g")).select("doc_id", "g.*")
 
 
 def _chunks_sql(rows: str) -> str:
@@ -262,39 +273,50 @@ def txt16_image_summary(v):
     return both.select("image_id", said(F.col("x"), "None detected").alias("labels"), said(spec, "None visible").alias("specifications"), said(part, "None specified").alias("components"), F.coalesce(F.size("x").cast("long"), F.lit(0)).alias("items"), F.coalesce("sure", F.lit(0.85)).alias("confidence"))
 
 
-@query(f"WITH {_LINES}, c AS (SELECT *, coalesce(lag(line) OVER (PARTITION BY doc_id ORDER BY pos) <> line, true) AS changed FROM lines), i AS (SELECT *, sum(CAST(changed AS INT)) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS island FROM c), r AS (SELECT doc_id, min(pos) AS pos, any_value(line) AS line, count(*) AS n FROM i GROUP BY doc_id, island) SELECT doc_id, sha256(string_agg(CASE WHEN n >= 3 THEN line || chr(10) || '[' || CAST(n - 1 AS VARCHAR) || ' identical lines]' ELSE array_to_string(list_transform(range(n), lambda x: line), chr(10)) END, chr(10) ORDER BY pos)) AS said, sum(CASE WHEN n >= 3 THEN n - 1 ELSE 0 END) AS dropped FROM r GROUP BY 1", dropped="BIGINT")
-def win19_line_runs(v):
-    """Runs of identical lines collapsed, as a digest of the new text and the lines that it lost."""
-    said = v.documents.filter("text IS NOT NULL").select("doc_id", "text", T.collapsed(F.col("text")).alias("new"))
-    marks = F.regexp_extract_all("new", F.lit(r"(?m)^\[([0-9]+) identical lines\]$"), F.lit(1))
-    return said.select("doc_id", F.sha2("new", 256).alias("said"), F.aggregate(marks, F.lit(0).cast("long"), lambda a, x: a + x.cast("long")).alias("dropped"))
+_KEEP = f"regexp_matches(line, '{_sql(MUST_KEEP)}')"
+_RUNS = lambda rows: f"""i AS (SELECT *, sum(CAST(changed AS INT)) OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM (SELECT *, coalesce(lag(line) OVER (PARTITION BY doc_id ORDER BY pos) <> line, true) AS changed FROM {rows})),
+    r AS (SELECT doc_id, island, any_value(line) AS line, count(*) AS n FROM i GROUP BY 1, 2),
+    x AS (SELECT doc_id, island, CASE WHEN n >= 3 AND NOT {_KEEP} THEN [line, '[… ' || CAST(n - 2 AS VARCHAR) || ' identical lines omitted …]', line] ELSE list_transform(range(n), lambda z: line) END AS said, CASE WHEN n >= 3 AND NOT {_KEEP} THEN n - 2 ELSE 0 END AS lost FROM r)"""
 
 
-@query(f"WITH {_LINES}, n AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS total FROM lines), k AS (SELECT *, pos - lag(pos, 1, 0) OVER (PARTITION BY doc_id ORDER BY pos) AS step FROM n WHERE pos <= 5 OR pos > total - 3 OR regexp_matches(line, '[0-9]')) SELECT doc_id, sha256(string_agg(CASE WHEN step > 1 THEN '[' || CAST(step - 1 AS VARCHAR) || ' lines omitted]' || chr(10) || line ELSE line END, chr(10) ORDER BY pos)) AS said, count(*) AS kept, max(total) - count(*) AS omitted FROM k GROUP BY 1")
-def win20_head_tail(v):
-    """Head, tail and lines that must stay, as a digest of the new text and counts."""
-    keep = lambda a: F.size(F.filter(F.sequence(F.lit(0), F.size(a) - 1), lambda i: (i < 5) | (i >= F.size(a) - 3) | F.get(a, i).rlike("[0-9]"))).cast("long")
-    a = F.split("text", "\n")
-    return v.documents.filter("text IS NOT NULL").select("doc_id", F.sha2(T.head_tail(F.col("text")), 256).alias("said"), keep(a).alias("kept"), (F.size(a) - keep(a)).alias("omitted"))
-
-
-@query(f"WITH {_LINES}, w AS (SELECT *, regexp_matches(line, '[0-9]') AS must, len(list_filter(string_split(line, ' '), lambda x: length(x) > 6)) AS score FROM lines), s AS (SELECT *, sum(length(line)) OVER (PARTITION BY doc_id ORDER BY must DESC, score DESC, pos ROWS UNBOUNDED PRECEDING) AS upto, sum(length(line)) OVER (PARTITION BY doc_id) AS total FROM w) SELECT doc_id, count(*) AS kept, sum(length(line)) AS chars, sha256(string_agg(line, chr(10) ORDER BY pos)) AS said FROM s WHERE must OR upto <= greatest(total / 2, 200) GROUP BY 1", chars="BIGINT")
-def win21_budgeted_drop(v):
-    """Lines by score until half the text is kept, in their own order; lines with numbers are never dropped. A window goes over one text's lines."""
-    rows = T.lines(v.documents).withColumn("n", F.char_length("line")).withColumn("must", F.col("line").rlike("[0-9]"))
-    rows = rows.withColumn("score", F.size(F.filter(F.split("line", " "), lambda x: F.length(x) > 6)))
-    upto = F.sum("n").over(W.partitionBy("doc_id").orderBy(F.desc("must"), F.desc("score"), "pos").rowsBetween(W.unboundedPreceding, 0))
-    s = rows.withColumn("upto", upto).withColumn("total", F.sum("n").over(W.partitionBy("doc_id"))).filter(F.col("must") | (F.col("upto") <= F.greatest(F.col("total") / 2, F.lit(200))))
-    out = s.groupBy("doc_id").agg(F.count(F.lit(1)).alias("kept"), F.sum("n").alias("chars"), F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("x"))
-    return out.select("doc_id", "kept", "chars", F.sha2(F.array_join("x.line", "\n"), 256).alias("said"))
+@query(f"WITH {_LINES}, {_RUNS('lines')} SELECT doc_id, sha256(array_to_string(flatten(list(said ORDER BY island)), chr(10))) AS said, sum(lost) AS dropped FROM x GROUP BY 1", dropped="BIGINT")
+def win19_line_runs(v):
+    """Runs of identical lines as the first, a marker and the last, unless the line must stay: a digest of the new text and the lines that it lost."""
+    said = v.documents.filter("text IS NOT NULL").select("doc_id", collapse_runs(F.split("text", "\n")).alias("x"))
+    marks = F.filter(F.transform("x", lambda y: F.regexp_extract(y, r"^\[… ([0-9]+) identical lines omitted …\]$", 1)), lambda y: y != "")
+    return said.select("doc_id", F.sha2(F.array_join("x", "\n"), 256).alias("said"), F.aggregate(marks, F.lit(0).cast("long"), lambda a, y: a + y.cast("long")).alias("dropped"))
 
 
-@query(f"""WITH {_LINES}, j AS (SELECT *, regexp_matches(line, '[|]') AND NOT regexp_matches(line, '(?i)total') AND NOT regexp_matches(line, '@') AS pipes, regexp_matches(line, '!!') AND NOT regexp_matches(line, '@') AS shouts FROM lines WHERE line IS NOT NULL)
-    SELECT doc_id, count(*) FILTER (WHERE pipes) AS pipes, count(*) FILTER (WHERE shouts AND NOT pipes) AS shouts, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT pipes AND NOT shouts), '')) AS said FROM j GROUP BY 1""")
+@query(f"""WITH {_LINES}, n AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS total FROM lines), k AS (SELECT *, pos - lag(pos, 1, 0) OVER (PARTITION BY doc_id ORDER BY pos) AS step FROM n WHERE total <= 10 OR pos <= 5 OR pos > total - 5 OR {_KEEP})
+    SELECT doc_id, sha256(string_agg(CASE WHEN step > 1 THEN '[… ' || CAST(step - 1 AS VARCHAR) || ' lines omitted …]' || chr(10) || line ELSE line END, chr(10) ORDER BY pos)) AS said, count(*) AS kept, max(total) - count(*) AS omitted FROM k GROUP BY 1""")
+def win20_head_tail(v):
+    """The first and last five lines and those that must stay, as a digest of the new text and counts."""
+    rows = v.documents.filter("text IS NOT NULL").select("doc_id", F.split("text", "\n").alias("a")).select("doc_id", "a", head_tail(F.col("a"), 5, 5).alias("x"))
+    marks = F.size(F.filter("x", lambda y: y.rlike(OMITTED)))
+    return rows.select("doc_id", F.sha2(F.array_join("x", "\n"), 256).alias("said"), (F.size("x") - marks).cast("long").alias("kept"), (F.size("a") - F.size("x") + marks).cast("long").alias("omitted"))
+
+
+#: Rules of the query's user: an object and an array of them, in two files.
+_USER_RULES = {
+    "a.json": {"id": "cells", "detect": {"content": ["[|]"]}, "dropLines": [{"pattern": "!!", "unless": "total"}], "collapseRuns": {"min": 3}, "headTail": True, "maxChars": 900},
+    "b.json": [{"id": "short", "detect": {"content": ["^die ", "^the "]}, "keepLines": ["e"], "collapseRuns": {"min": 3}, "headTail": True}],
+}
+_FREE = f"NOT {_KEEP} AND NOT regexp_matches(line, '{OMITTED}')"
+
+
+@query(f"""WITH {_LINES}, u AS (SELECT doc_id, text, CASE WHEN regexp_matches(text, '(?im:[|])') THEN 'cells' WHEN regexp_matches(text, '(?im:^die )') OR regexp_matches(text, '(?im:^the )') THEN 'short' ELSE 'fallback' END AS rule FROM documents),
+    l1 AS (SELECT l.* FROM lines l JOIN u USING (doc_id) WHERE {_KEEP} OR (NOT (rule = 'cells' AND regexp_matches(line, '(?i:!!)') AND NOT regexp_matches(line, '(?i:total)')) AND (rule <> 'short' OR regexp_matches(line, '(?i:e)')))),
+    {_RUNS('l1')}, l2 AS (SELECT doc_id, unnest(a) AS line, generate_subscripts(a, 1) AS pos, len(a) AS total FROM (SELECT doc_id, flatten(list(said ORDER BY island)) AS a FROM x GROUP BY 1)),
+    k AS (SELECT *, pos - lag(pos, 1, 0) OVER (PARTITION BY doc_id ORDER BY pos) AS step FROM l2 WHERE total <= 11 OR pos <= 6 OR pos > total - 5 OR {_KEEP}),
+    l3 AS (SELECT doc_id, unnest(a) AS line, generate_subscripts(a, 1) - 1 AS i, len(a) AS n FROM (SELECT doc_id, flatten(list(CASE WHEN step > 1 THEN ['[… ' || CAST(step - 1 AS VARCHAR) || ' lines omitted …]', line] ELSE [line] END ORDER BY pos)) AS a FROM k GROUP BY 1)),
+    t AS (SELECT *, {_FREE} AS free, sum(length(line) + 1) OVER (PARTITION BY doc_id) - 1 AS total, CASE WHEN rule = 'cells' THEN 900 ELSE 1500 END AS most FROM l3 JOIN u USING (doc_id)),
+    o AS (SELECT *, coalesce(sum(CASE WHEN free THEN length(line) + 1 ELSE 0 END) OVER w, 0) AS before, coalesce(count(*) FILTER (WHERE free) OVER w, 0) AS gone FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY free DESC, abs(2 * i - n + 1), i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    f AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS new FROM o WHERE NOT (free AND n > 2 AND total - before > most AND gone < n - 2) GROUP BY 1)
+    SELECT u.doc_id, rule, sha256(CASE WHEN length(coalesce(new, '')) < length(text) THEN coalesce(new, '') ELSE text END) AS said FROM u LEFT JOIN f USING (doc_id)""")
 def udf01_line_rules(v):
-    """User rules, read from a JSON file: lines that match a rule are dropped, unless they match its exception or a line rule that keeps them."""
+    """User rules, read from JSON files: the first that detects a text drops and keeps lines, collapses runs, selects head and tail and cuts the length; lines that must stay do."""
     path = scratch_path(v.spark, "rules")
-    given = [("pipes", "drop", "[|]", "(?i)total"), ("shouts", "drop", "!!", None), ("addresses", "keep", "@", None)]
-    v.spark.createDataFrame(given, "name string, action string, match string, unless string").coalesce(1).write.json(path)
-    rules = T.line_rules(v.spark, path)
-    return T.filtered_lines(v.documents, rules).select("doc_id", "pipes", "shouts", F.sha2("new", 256).alias("said"))
+    for name, rules in _USER_RULES.items():
+        v.spark.createDataFrame([(json.dumps(rules),)], "value string").coalesce(1).write.text(f"{path}/{name}")
+    rules = line_rules(v.spark, f"{path}/*")
+    return filter_lines(v.documents, rules, most_lines=10, most_chars=1500).select("doc_id", "rule", F.sha2("text", 256).alias("said"))

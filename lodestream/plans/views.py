@@ -69,6 +69,12 @@ VIEWS: dict[str, tuple[str, list[str], str | None]] = {
         "CASE WHEN role = 'assistant' AND conv_id % 3 = 0 THEN '<think>plan ' || CAST(conv_id AS STRING) || '</think> ' || text WHEN role = 'system' THEN 'Be brief.   ' ELSE text END AS text",
         "'file' || CAST(conv_id % 4 AS STRING) || '.txt' AS path", "CASE turn % 3 WHEN 0 THEN 'read' WHEN 1 THEN 'write' ELSE 'say' END AS action",
     ], None),
+    "messages_v": ("conversations", [
+        "CAST(floor(conv_id / 10) AS BIGINT) AS conv_id", "CAST((conv_id % 10) * 100 + turn AS BIGINT) AS turn", "CASE WHEN turn % 4 = 2 THEN 'tool' ELSE role END AS role",
+        "CASE WHEN turn % 4 = 2 AND conv_id % 3 = 0 THEN 'rows: [' || replace(repeat('{\"number\": ' || CAST(conv_id AS STRING) || ', \"name\": \"item\", \"state\": \"ready\"}, ', 9) || '#', ', #', ']') || ' end' "
+        "WHEN turn % 4 = 2 AND conv_id % 3 = 1 THEN repeat('npm notice item' || chr(10), 5) || 'added some packages' || chr(10) || repeat('waiting' || chr(10), 4) || 'Error: build failed at step ' || CAST(turn AS STRING) || chr(10) || repeat('more output of a tool' || chr(10), 2) || text "
+        "WHEN role = 'system' THEN 'Be brief.   ' WHEN turn % 2 = 1 AND conv_id % 2 = 0 THEN text || chr(10) || chr(10) || chr(10) || 'A block that the group ' || CAST(CAST(floor(conv_id / 20) AS BIGINT) AS STRING) || ' says' || chr(10) || 'in several of its turns, of three lines   ' || chr(10) || 'and of more than eighty characters in all' ELSE text END AS text",
+    ], None),
     "cache_v": ("events", [
         "event_id AS item_id", "ts AS used_at", "ts + INTERVAL 7 DAY AS expires_at", f"{K} AS size", "event_type AS industry", "'c' || CAST(user_id % 12 AS STRING) AS category",
     ], None),
