@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -215,17 +214,9 @@ def remove_windows(docs: DataFrame, *, text: str = "text", window: int = WINDOW,
     new = ["n_words", "n_removed", "kept_sha256", "kept"]
     kept = [c for c in docs.columns if c != text and c not in new]
     long = docs.filter(F.octet_length(text) >= 2 * window - 1).select(F.col(text).alias("text"), *text_key(text))
-    places = materialise(repeated_places(long, window=window, period=period, most=most), "window-of-texts")
+    places = repeated_places(long, window=window, period=period, most=most)
     rows = docs.select(as_row(kept), F.col(text).alias("text"), *text_key(text))
-    # texts without any, as a bit table tells, don't move
-    known = docs.sparkSession.sparkContext.broadcast(_table(places, "k"))
-
-    @F.pandas_udf("boolean")
-    def told(k: pd.Series) -> pd.Series:
-        return pd.Series(_in(known.value, k.to_numpy().view(_U)))
-
-    met = rows.filter(told("k")).join(places.hint("merge"), ["k", "m"], "left").select("row", "text", "places")
-    both = met.unionByName(rows.filter(~told("k")).select("row", "text", F.lit(None).cast("array<int>").alias("places")))
+    both = rows.join(places.hint("merge"), ["k", "m"], "left").select("row", "text", "places")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sizes, removed, left = [], [], []
