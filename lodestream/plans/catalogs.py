@@ -15,11 +15,26 @@ from .requests import _COOL, _KEYS, keys, now
 from .streams import PENALTY_SQL, penalty_reads
 
 
-@query("SELECT 'SKU-' || CAST(CASE WHEN p_partkey % 10 = 3 THEN p_partkey - 3 ELSE p_partkey END AS VARCHAR) AS sku, p_name AS name, p_brand AS brand, CAST(p_size AS VARCHAR) AS housing_size FROM part")
+#: Catalogs of four suppliers: which parts, and the columns of their files in order, as SQL. The last writes ISO 8859-1.
+_SUPPLIERS = {
+    "a": ("p_partkey % 4 = 0", {"Mfg_Part_Num": "sku", "Part Desc": "p_name", "E1 Brand": "p_brand", "Housing Size": "size"}),
+    "b": ("p_partkey % 4 = 1", {"brand": "p_brand", "Housing Size": "size", "Part Description": "p_name", "SKU": "sku"}),
+    "c": ("p_partkey % 4 = 2", {"Product Title (EN)": "p_name", "Item No": "sku", "Maker": "p_brand", "Long Desc": "concat('two\nlines, ', p_name)"}),
+    "d": ("p_partkey % 4 = 3", {"Größe": "size", "Name": "concat(p_name, ' ä')", "SKU": "sku", "Other Brand": "p_brand"}),
+}
+
+
+@query("""SELECT 'SKU-' || CAST(p_partkey AS VARCHAR) AS sku, CASE WHEN p_partkey % 4 = 3 THEN p_name || ' ä' ELSE p_name END AS name, CASE WHEN p_partkey % 4 <> 2 THEN p_brand END AS brand, CASE WHEN p_partkey % 4 = 2 THEN p_brand END AS manufacturer,
+    CASE WHEN p_partkey % 4 = 2 THEN 'two' || chr(10) || 'lines, ' || p_name END AS description, CASE WHEN p_partkey % 4 <> 2 THEN CAST(p_size AS VARCHAR) END AS size FROM part""")
 def src01_catalog_scan(v):
+    """A folder of catalogs whose files differ in columns, their order, and encoding, each read by its own header."""
     path = scratch_path(v.spark, "catalog")
-    v.products_v.select("product_id", "sku").join(v.part.hint("merge"), F.col("product_id") == F.col("p_partkey")).select(F.col("sku").alias("Mfg_Part_Num"), F.col("p_name").alias("Part Desc"), F.col("p_brand").alias("E1 Brand"), F.col("p_size").alias("Housing Size")).write.csv(path, header=True)
-    return S.read_catalog(v.spark, path).select("sku", "name", "brand", "housing_size")
+    for name, (which, columns) in _SUPPLIERS.items():
+        rows = v.part.filter(which).selectExpr("*", "concat('SKU-', CAST(p_partkey AS STRING)) AS sku", "CAST(p_size AS STRING) AS size").select(*[F.expr(e).alias(c) for c, e in columns.items()])
+        rows.write.csv(f"{path}/{name}", header=True, escape='"', encoding="ISO-8859-1" if name == "d" else "UTF-8")
+    rows = S.read_catalog(v.spark, f"{path}/*")
+    size = F.coalesce(F.try_element_at("attributes", F.lit("Housing Size")), F.try_element_at("attributes", F.lit("Größe")))
+    return rows.select("sku", "name", "brand", "manufacturer", "description", size.alias("size"))
 
 
 @query("SELECT DISTINCT p_brand AS industry, p_type AS category, array_to_string(list_sort(list(DISTINCT p_name)), ',') AS types FROM part GROUP BY 1, 2")
@@ -141,18 +156,21 @@ def src11_commerce_json(v):
 
 
 # Raw headers of supplier files, of which each file here has six.
-_HEADERS = ("Mfg Part Num", "Part Desc", "E1_Brand", "Voltage", "Brand", "Vendor Name", "SKU-No", "Product Title (EN)", "Item Category", "Sub Category", "Market Sector", "Weight (kg)")
+_HEADERS = ("Mfg Part Num", "MFG Code", "Segmentation", "Partnum Internal", "Part Desc", "E1_Brand", "Voltage", "Brand", "Vendor Name", "SKU-No", "Product Title (EN)", "Item Category", "Sub Category", "Market Sector", "Weight (kg)")
 _ALIAS_VALUES = ", ".join(f"('{c}', {i}, '{a}')" for i, (c, names) in enumerate(S.ALIASES.items()) for a in names)
 
 
-@query(f"""WITH h AS (SELECT p_partkey AS file, i + 1 AS place, list_value({', '.join(f"'{h}'" for h in _HEADERS)})[(p_size + 5 * i) % {len(_HEADERS)} + 1] AS header FROM part, (SELECT unnest(range(6)) AS i)),
-    a(canonical, rank, alias) AS (VALUES {_ALIAS_VALUES}), k AS (SELECT *, regexp_replace(translate(lower(trim(header)), ' .-/', '____'), '[^a-z0-9_]', '', 'g') AS plain FROM h),
-    b AS (SELECT plain, canonical FROM (SELECT plain, canonical, row_number() OVER (PARTITION BY plain ORDER BY plain <> alias, rank) AS rn FROM (SELECT DISTINCT plain FROM k) k JOIN a ON plain = alias OR (length(alias) >= {S.CONTAINED} AND contains(plain, alias))) WHERE rn = 1)
-    SELECT file, place, header, canonical FROM (SELECT k.file, k.place, k.header, b.canonical, row_number() OVER (PARTITION BY file, canonical ORDER BY place) AS rn FROM k JOIN b ON k.plain = b.plain) WHERE rn = 1""", place="INTEGER")
+@query(f"""WITH h AS (SELECT p_partkey AS file, i + 1 AS place, list_value({', '.join(f"'{h}'" for h in _HEADERS)})[(p_size + 5 * i) % {len(_HEADERS)} + 1] || CASE WHEN p_size % 7 = i THEN ' ' || p_brand ELSE '' END AS header FROM part, (SELECT unnest(range(6)) AS i)),
+    a(canonical, rank, alias) AS (VALUES {_ALIAS_VALUES}), k AS (SELECT *, regexp_replace(translate(lower(trim(header)), ' .-/', '____'), '[^\\p{{L}}\\p{{N}}_]', '', 'g') AS plain FROM h),
+    d AS (SELECT DISTINCT plain FROM k), w AS (SELECT plain, 0 AS far, plain AS word FROM d UNION SELECT plain, 1, unnest(string_split(plain, '_')) FROM d),
+    z AS (SELECT canonical, rank, 0 AS far, alias AS word FROM a UNION SELECT canonical, rank, 1, unnest([alias, replace(alias, '_', '')]) FROM a),
+    b AS (SELECT plain, far, canonical FROM w JOIN z USING (far, word) QUALIFY row_number() OVER (PARTITION BY plain ORDER BY far, rank) = 1)
+    SELECT file, place, header, canonical, row_number() OVER (PARTITION BY file, canonical ORDER BY far, place) AS choice FROM k JOIN b ON k.plain = b.plain""", place="INTEGER", choice="INTEGER")
 def prj02_column_aliases(v):
-    """Headers of a file for each part, resolved to canonical columns."""
+    """Headers of a file for each part, one of them with a brand in it, resolved to canonical columns by whole names and then by words."""
     pool = F.array(*map(F.lit, _HEADERS))
-    headers = v.part.select(F.col("p_partkey").alias("file"), F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.get(pool, (F.col("p_size") + i * 5) % len(_HEADERS)))).alias("place", "header"))
+    own = lambda i: F.concat(F.get(pool, (F.col("p_size") + i * 5) % len(_HEADERS)), F.when(F.col("p_size") % 7 == i, F.concat(F.lit(" "), "p_brand")).otherwise(""))
+    headers = v.part.select(F.col("p_partkey").alias("file"), F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(5)), own)).alias("place", "header"))
     return S.resolve_headers(headers.withColumn("place", F.col("place") + 1))
 
 

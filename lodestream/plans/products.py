@@ -7,6 +7,7 @@ from pyspark.sql import Window as W, functions as F
 from ..functions import scores as S, text as X
 from ..operators import products as P
 from ..operators.requests import catalog
+from ..sources.files import row_accounting
 from .registry import query
 from .views import BUDGET as _BUDGET, GROUP_KEY as _GROUP, NOW
 
@@ -22,16 +23,15 @@ _RAW = f"nullif(coalesce(nullif(regexp_extract(value, '{_PATTERN}', 2), ''), tri
 _UNIT = f"coalesce({_map(f'lower(trim({_RAW}))', X.UNITS, 'NULL')}, trim({_RAW}))"
 
 
-@query(f"WITH r AS (SELECT product_id, CASE WHEN {_clean('name')} IS NULL AND {_clean('brand')} IS NULL AND category IS NULL THEN 'blank' WHEN {_clean('name')} IS NULL THEN 'missing name' WHEN {_clean('brand')} IS NULL AND category IS NULL THEN 'missing brand and category' END AS reason FROM products_v) SELECT 'error' AS kind, 'row ' || CAST(product_id AS VARCHAR) || ': ' || reason AS line, 1 AS n FROM r WHERE reason <> 'blank' UNION ALL SELECT k, NULL, n FROM (SELECT count(*) FILTER (WHERE reason IS NULL OR reason <> 'blank') AS total, count(*) FILTER (WHERE reason IS NULL) AS imported, count(*) FILTER (WHERE reason <> 'blank') AS skipped FROM r), LATERAL (VALUES ('total', total), ('imported', imported), ('skipped', skipped)) v(k, n)")
+@query(f"""WITH r AS (SELECT product_id, CASE WHEN price % 2 < 1 THEN sku END AS sku, name, CASE WHEN price % 7 >= 1 THEN brand END AS brand, category FROM products_v),
+    c AS (SELECT *, sku IS NULL AND {_clean('name')} IS NULL AS bad FROM r WHERE sku IS NOT NULL OR {_clean('name')} IS NOT NULL OR {_clean('brand')} IS NOT NULL OR category IS NOT NULL)
+    SELECT 'error' AS kind, 'Row ' || CAST(product_id AS VARCHAR) || ': Missing both part number and product name; skipped.' AS line, 1 AS n FROM c WHERE bad
+    UNION ALL SELECT 'total', NULL, count(*) FROM c UNION ALL SELECT 'imported', NULL, count(*) FILTER (WHERE NOT bad) FROM c UNION ALL SELECT 'skipped', NULL, count(*) FILTER (WHERE bad) FROM c""", n="BIGINT")
 def src02_row_accounting(v):
-    """Counts of the rows that aren't blank, and an error line for each rejected one."""
-    no_name, no_brand = X.clean(F.col("name")).isNull(), X.clean(F.col("brand")).isNull()
-    reason = F.when(no_name & no_brand & F.col("category").isNull(), "blank").when(no_name, "missing name").when(no_brand & F.col("category").isNull(), "missing brand and category")
-    r = v.products_v.select("product_id", reason.alias("reason"))
-    errors = r.filter("reason <> 'blank'").select(F.lit("error").alias("kind"), F.concat(F.lit("row "), F.col("product_id").cast("string"), F.lit(": "), "reason").alias("line"), F.lit(1).cast("long").alias("n"))
-    kept = F.coalesce(F.col("reason") != "blank", F.lit(True))
-    counts = r.agg(F.count_if(kept).alias("total"), F.count_if(F.col("reason").isNull()).alias("imported"), F.count_if(F.col("reason") != "blank").alias("skipped"))
-    return errors.unionByName(counts.unpivot([], ["total", "imported", "skipped"], "kind", "n").withColumn("line", F.lit(None).cast("string")))
+    """Counts of the rows that aren't blank, and an error line for each that has neither a part number nor a name."""
+    rows = v.products_v.select(F.col("product_id").alias("_row"), F.expr("CASE WHEN price % 2 < 1 THEN sku END AS sku"), "name", F.expr("CASE WHEN price % 7 >= 1 THEN brand END AS brand"), "category")
+    said = ~(F.col("sku").isNull() & X.clean(F.col("name")).isNull() & X.clean(F.col("brand")).isNull() & F.col("category").isNull())
+    return row_accounting(rows.filter(said))
 
 
 @query("SELECT doc_id, length(text) AS char_count, strlen(text) AS file_size FROM documents", char_count="BIGINT", file_size="BIGINT")

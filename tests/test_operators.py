@@ -113,11 +113,23 @@ def test_snapshot_merge_states(spark):
     assert got == {1: "same", 2: "updated", 3: "kept", 4: "deleted", 5: "inserted"}
 
 
-def test_catalog_scan_maps_headers_and_keeps_line_ends(spark, tmp_path):
-    (tmp_path / "a.csv").write_text('Mfg_Part_Num,Part Desc,Part_Manuf,Bore Diameter\n00123,"two\nlines",-- Unbranded --,5 mm\n', encoding="utf-8")
+def test_catalog_files_are_read_by_their_own_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes("\ufeffMfg_Part_Num,Part_Desc,Part_Manuf,E1_Brand,Dib Brand,Bore Diameter\n00123,\"two\nlines, \"\"ü\"\"\",Acme,-- Unbranded --,Ring,5 mm\n,,,,,\n".encode())
+    (tmp_path / "b.csv").write_bytes("brand,Mfg Code,Segmentation,SKU,,Name\r\nb1,m1,s1,x1,extra,n1,beyond\r\n, ,s2\r\n".encode())
+    (tmp_path / "c.csv").write_bytes("Größe,Partnum Old,Title,Details\n5 €,p1,Müller’s pump,long text\n".encode("cp1252"))
+    (tmp_path / "d.csv").write_bytes(b"SKU,Name\n")
     df = S.read_catalog(spark, str(tmp_path))
-    assert df.columns == ["sku", "name", "manufacturer", "bore_diameter", "_file"]
-    assert values(df, "sku", "name") == [("00123", "two\nlines")]
+    assert df.columns == ["_file", "_row", "sku", "name", "brand", "manufacturer", "category", "subcategory", "industry", "description", "attributes"]
+    got = {(r["_file"][-5:], r["_row"]): r for r in df.collect()}
+    assert set(got) == {("a.csv", 2), ("b.csv", 2), ("b.csv", 3), ("c.csv", 2)}
+    a, b, c = got["a.csv", 2], got["b.csv", 2], got["c.csv", 2]
+    assert (a.sku, a.name, a.brand, a.manufacturer, a.attributes) == ("00123", 'two\nlines, "ü"', "Ring", "Acme", {"Bore Diameter": "5 mm"})
+    assert (b.sku, b.name, b.brand, b.manufacturer, b.category, b.attributes) == ("x1", "n1", "b1", "m1", None, {"Segmentation": "s1", "Col 4": "extra"})
+    assert (c.sku, c.name, c.description, c.attributes) == ("p1", "Müller’s pump", "long text", {"Größe": "5 €"})
+    lines = {(r["kind"], r["line"]): r["n"] for r in S.row_accounting(df).collect()}
+    assert lines == {("error", "Row 3: Missing both part number and product name; skipped."): 1, ("total", None): 4, ("imported", None): 3, ("skipped", None): 1}
+    made = {r["sku"]: r for r in S.as_products(df).collect()}
+    assert set(made) == {"00123", "x1", "p1"} and made["x1"].description == "n1. Part Number: x1" and made["p1"].brand == "Unknown"
 
 
 def test_commerce_sheet_refuses_other_columns(spark, tmp_path):
