@@ -16,8 +16,11 @@ def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.least(F.greatest(x, F.lit(low)), F.lit(high))
 
 
-def reliability(good: Column, bad: Column) -> Column:
-    return (good + PRIOR_SUCCESS) / (good + bad + PRIOR_SUCCESS + PRIOR_FAILURE)
+def reliability(good: Column, bad: Column, prior_good: Column | None = None, prior_bad: Column | None = None) -> Column:
+    """The expected share of successes, from own counts and, if there are any, those that others report."""
+    more = lambda c: F.lit(0.0) if c is None else F.coalesce(c, F.lit(0.0))
+    own = F.greatest(good, F.lit(0.0)) + more(prior_good) + PRIOR_SUCCESS
+    return own / (own + F.greatest(bad, F.lit(0.0)) + more(prior_bad) + PRIOR_FAILURE)
 
 
 def speed(tokens_per_s: Column, ttfb_ms: Column) -> Column:
@@ -37,9 +40,10 @@ def intelligence(size_label: Column, rank: Column) -> Column:
     return tier * 1000 - F.sqrt(rank) * RANK_SCALE
 
 
-def headroom(remaining: Column) -> Column:
-    """1 above HEADROOM_START of the limit, then down to HEADROOM_FLOOR."""
-    return F.when(remaining >= HEADROOM_START, F.lit(1.0)).otherwise(HEADROOM_FLOOR + (1 - HEADROOM_FLOOR) * F.greatest(remaining, F.lit(0.0)) / HEADROOM_START)
+def headroom(used: Column, budget: Column) -> Column:
+    """1 while HEADROOM_START of a budget is left, then down to HEADROOM_FLOOR; 1 without a known budget."""
+    left = F.greatest(F.lit(0.0), F.lit(1.0) - F.coalesce(used, F.lit(0)) / F.nullif(budget, F.lit(0)))
+    return F.when(F.coalesce(budget, F.lit(0)) <= 0, 1.0).when(left >= HEADROOM_START, 1.0).otherwise(HEADROOM_FLOOR + (1 - HEADROOM_FLOOR) * left / HEADROOM_START)
 
 
 def rate_limit_factor(penalty: Column) -> Column:
@@ -47,12 +51,34 @@ def rate_limit_factor(penalty: Column) -> Column:
     return F.lit(1) - clamp(penalty, 0, MOST_PENALTY) / MOST_PENALTY * MOST_DAMP
 
 
-def mixed(preset: str, reliability_: Column, speed_: Column, intelligence_: Column, head: Column) -> Column:
+def mixed(preset: str, reliability_: Column, speed_: Column, intelligence_: Column, head: Column, limited: Column) -> Column:
+    """The axes by the weights of a preset, which count as shares of their sum, times both factors."""
     r, s, i = PRESETS[preset]
-    return (r * reliability_ + s * speed_ + i * intelligence_) * head
+    return (r * reliability_ + s * speed_ + i * intelligence_) / (r + s + i) * head * limited
+
+
+# Fixed value: the form of a budget label: a number or a range, and M or K, wherever it stands in the label.
+BUDGET_LABEL = r"~?([0-9.]+)(?:-([0-9.]+))?([MK])"
 
 
 def budget_tokens(label: Column) -> Column:
-    """Tokens of a budget label such as ``~5-10M`` or ``20K``: the upper end; 0 for other labels."""
-    n = F.regexp_extract(label, "([0-9]+)[MK]", 1).try_cast("long")
-    return F.coalesce(n * F.when(label.endswith("M"), 1_000_000).otherwise(1000), F.lit(0))
+    """Tokens of a budget label such as ``~5-10M``, ``~1.5M (trial)`` or ``20K``: the upper end; 0 for labels without a unit."""
+    part = lambda i: F.regexp_extract(label, BUDGET_LABEL, i)
+    number = F.regexp_extract(F.coalesce(F.nullif(part(2), F.lit("")), part(1)), r"^[0-9]*\.?[0-9]*", 0).try_cast("double")
+    unit = F.when(part(3) == "M", 1_000_000).when(part(3) == "K", 1000)
+    return F.coalesce(F.round(number * unit).cast("long"), F.lit(0).cast("long"))
+
+
+# Fixed value: tokens that are allowed at most where a request asks for no number.
+MOST_OUTPUT = 4096
+
+
+def token_budget(estimated: Column, asked: Column, budget: int) -> Column:
+    """(verdict, max_tokens) of a request within ``budget`` tokens, 0 for none: reject if the estimate and what it asks for are more, or nothing would be left; if it asks for no
+    number, cap at what is left and MOST_OUTPUT; else ok as it is."""
+    if budget <= 0:
+        return F.struct(F.lit("ok").alias("verdict"), asked.cast("long").alias("max_tokens"))
+    left = F.lit(budget) - estimated
+    reject = (estimated + F.coalesce(asked, F.lit(0)) > budget) | (asked.isNull() & (left < 1))
+    verdict = F.when(reject, "reject").when(asked.isNull(), "cap").otherwise("ok")
+    return F.struct(verdict.alias("verdict"), F.when(~reject, F.coalesce(asked, F.least(left, F.lit(MOST_OUTPUT)))).cast("long").alias("max_tokens"))

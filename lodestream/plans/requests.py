@@ -6,9 +6,9 @@ from pyspark.sql import Window as W, functions as F
 
 from ..functions import scores as S, text as X
 from ..operators import requests as R
-from ..session import with_rank
+from ..session import materialise, with_rank
 from .registry import query
-from .views import BUDGET as _BUDGET, GROUP_KEY as _GROUP, NOW
+from .views import BUDGET as _BUDGET, GROUP_KEY as _GROUP, NOW, penalty_cte
 
 
 def now():
@@ -432,7 +432,7 @@ def top06_candidate_order(v):
     r = v.requests_v.filter("requested_model IS NOT NULL AND status = 'error'").select(F.col("id").alias("request_id"), F.col("platform").alias("own"), F.col("requested_model").alias("model_id"))
     stats = R.decayed_stats(v.requests_v, now())
     n = lambda c: F.coalesce(c, F.lit(0.0))
-    score = F.round(S.mixed("balanced", S.reliability(n("good"), n("bad")), F.lit(S.SPEED_PRIOR), F.col("intelligence_rank") / 50.0, F.lit(1.0)), 6)
+    score = F.round(S.mixed("balanced", S.reliability(n("good"), n("bad")), F.lit(S.SPEED_PRIOR), F.col("intelligence_rank") / 50.0, F.lit(1.0), F.lit(1.0)), 6)
     models = v.models_v.join(stats.hint("merge"), ["platform", "model_id"], "left").select(F.col("id").alias("model"), "platform", "model_id", "priority", score.alias("score"))
     both = r.join(models.hint("merge"), "model_id")
     w = W.partitionBy("request_id").orderBy(F.desc(F.col("platform") == F.col("own")), F.desc("score"), "priority", "model")
@@ -482,9 +482,20 @@ def fun14_speed_rank(v):
     return per.select("model_id", S.speed_rank(F.col("s")).alias("rank"))
 
 
-@query(f"WITH {_DECAY} SELECT platform, model_id, round((good + 1) / (good + bad + 2), 6) AS reliability FROM decayed")
+#: Counts of successes and failures that others report for a model; not for every one.
+_PRIORS = "pr AS (SELECT platform, model_id, CASE WHEN enabled THEN 2 * priority END AS pg, CASE WHEN enabled THEN intelligence_rank % 5 END AS pb FROM models_v)"
+_RELIABLE = "(good + coalesce(pg, 0) + 1) / (good + bad + coalesce(pg, 0) + coalesce(pb, 0) + 2)"
+
+
+def priors(v):
+    return v.models_v.selectExpr("platform", "model_id", "CAST(CASE WHEN enabled THEN 2 * priority END AS DOUBLE) AS pg", "CAST(CASE WHEN enabled THEN intelligence_rank % 5 END AS DOUBLE) AS pb")
+
+
+@query(f"WITH {_DECAY}, {_PRIORS} SELECT d.platform, d.model_id, round({_RELIABLE}, 6) AS reliability FROM decayed d LEFT JOIN pr ON d.platform = pr.platform AND d.model_id = pr.model_id")
 def fun15_reliability(v):
-    return R.decayed_stats(v.requests_v, now()).select("platform", "model_id", F.round(S.reliability(F.col("good"), F.col("bad")), 6).alias("reliability"))
+    """The posterior mean of a model's reliability, from decayed own counts and those that others report."""
+    both = R.decayed_stats(v.requests_v, now()).join(priors(v).hint("merge"), ["platform", "model_id"], "left")
+    return both.select("platform", "model_id", F.round(S.reliability(F.col("good"), F.col("bad"), F.col("pg"), F.col("pb")), 6).alias("reliability"))
 
 
 _TIER = "CASE size_label WHEN 'frontier' THEN 4 WHEN 'large' THEN 3 WHEN 'medium' THEN 2 WHEN 'small' THEN 1 ELSE 0 END"
@@ -495,33 +506,61 @@ def fun16_intelligence(v):
     return v.models_v.select("id", F.round(S.intelligence(F.col("size_label"), F.col("intelligence_rank")), 6).alias("intelligence"))
 
 
-@query("WITH u AS (SELECT platform, model_id, sum(input_tokens + output_tokens) AS used, count(*) FILTER (WHERE error ILIKE '%429%') AS limited FROM requests_v GROUP BY 1, 2), b AS (SELECT *, greatest(0.0, 1 - used / 20000.0) AS remaining FROM u) SELECT platform, model_id, round(CASE WHEN remaining >= 0.2 THEN 1.0 ELSE 0.1 + 0.9 * remaining / 0.2 END, 6) AS headroom, round(1 - least(limited, 10) / 10.0 * 0.95, 6) AS rate_limit FROM b", headroom="DOUBLE", rate_limit="DOUBLE")
+_FACTORS = penalty_cte("SELECT platform || '/' || model_id AS model, epoch_us(created_at) // 1000 AS ms, id AS event_id, CASE status WHEN 'success' THEN 0 ELSE CASE WHEN error ILIKE '%429%' THEN 3 ELSE 1 END END AS w FROM requests_v WHERE status IN ('success', 'error')") + f""",
+    used AS (SELECT platform, model_id, sum(input_tokens + output_tokens) AS used FROM requests_v WHERE created_at >= date_trunc('month', $NOW) AND request_type = 'chat' GROUP BY 1, 2),
+    fb AS (SELECT m.id, m.platform, m.model_id, {_BUDGET} AS budget, coalesce(used, 0) AS used, coalesce(reads, 0) AS reads FROM models_v m LEFT JOIN used u ON m.platform = u.platform AND m.model_id = u.model_id LEFT JOIN penalties p ON p.model = m.platform || '/' || m.model_id),
+    factors AS (SELECT id, platform, model_id, CASE WHEN budget <= 0 THEN 1.0 WHEN greatest(0.0, 1 - used / CAST(budget AS DOUBLE)) >= 0.2 THEN 1.0 ELSE 0.1 + 0.9 * greatest(0.0, 1 - used / CAST(budget AS DOUBLE)) / 0.2 END AS headroom, 1 - least(reads, 10) / 10.0::DOUBLE * 0.95::DOUBLE AS rate_limit FROM fb)"""
+
+
+def factors(v):
+    """Both guardrail factors of each model: what is left of its own budget this month, and its decayed penalty as it read at its last request."""
+    weight = F.when(F.col("status") == "success", 0.0).when(F.col("error").ilike("%429%"), 3.0).otherwise(1.0)
+    events = v.requests_v.filter("status IN ('success', 'error')").select(F.concat_ws("/", "platform", "model_id").alias("model"), F.unix_millis(F.col("created_at").cast("timestamp")).alias("ms"), F.col("id").alias("event_id"), weight.alias("weight"))
+    penalty = R.penalty_decay(events).select("model", R.penalty_at(F.col("penalty"), F.col("last_ms"), F.col("seen_ms")).alias("reads"))
+    rows = v.models_v.withColumn("model", F.concat_ws("/", "platform", "model_id"))
+    both = rows.join(agg27_month_tokens(v, "platform", "model_id").hint("merge"), ["platform", "model_id"], "left").join(penalty.hint("merge"), "model", "left")
+    return both.select("id", "platform", "model_id", S.headroom(F.col("tokens"), S.budget_tokens(F.col("budget_label"))).alias("headroom"), S.rate_limit_factor(F.coalesce("reads", F.lit(0.0))).alias("rate_limit"))
+
+
+@query(f"WITH {_FACTORS} SELECT id, round(headroom, 6) AS headroom, round(rate_limit, 6) AS rate_limit FROM factors", headroom="DOUBLE", rate_limit="DOUBLE")
 def fun17_headroom(v):
-    """What is left of a budget of 20,000 tokens, and the damping by rate limits met, as factors of a model's score."""
-    u = v.requests_v.groupBy("platform", "model_id").agg(F.sum(F.col("input_tokens") + F.col("output_tokens")).alias("used"), F.count_if(F.col("error").ilike("%429%")).alias("limited"))
-    remaining = F.greatest(F.lit(0.0), F.lit(1) - F.col("used") / 20000.0)
-    return u.select("platform", "model_id", F.round(S.headroom(remaining), 6).alias("headroom"), F.round(S.rate_limit_factor(F.col("limited")), 6).alias("rate_limit"))
+    """What is left of each model's own monthly budget, and the damping by its penalty, as factors of its score."""
+    return factors(v).select("id", F.round("headroom", 6).alias("headroom"), F.round("rate_limit", 6).alias("rate_limit"))
 
 
 _PRESET_ROWS = ", ".join(f"('{n}', {r}, {s}, {i})" for n, (r, s, i) in S.PRESETS.items())
 
 
-@query(f"WITH {_DECAY}, t AS (SELECT platform, model_id, round(avg({_SPEED}), 6) AS speed FROM requests_v WHERE status = 'success' GROUP BY 1, 2), c AS (SELECT m.id, CASE WHEN max(intelligence_rank) OVER () = min(intelligence_rank) OVER () THEN 1.0 ELSE (intelligence_rank - min(intelligence_rank) OVER ()) / CAST(max(intelligence_rank) OVER () - min(intelligence_rank) OVER () AS DOUBLE) END AS smart, (good + 1) / (good + bad + 2) AS rel, coalesce(t.speed, 0.6) AS speed FROM models_v m JOIN decayed d ON m.platform = d.platform AND m.model_id = d.model_id LEFT JOIN t ON m.platform = t.platform AND m.model_id = t.model_id) SELECT id, preset, round(r * rel + s * speed + i * smart, 6) AS score FROM c, (VALUES {_PRESET_ROWS}) p(preset, r, s, i)", score="DOUBLE")
+@query(f"""WITH {_DECAY}, {_PRIORS}, {_FACTORS}, t AS (SELECT platform, model_id, round(avg({_SPEED}), 6) AS speed FROM requests_v WHERE status = 'success' GROUP BY 1, 2),
+    c AS (SELECT m.id, CASE WHEN max(intelligence_rank) OVER () = min(intelligence_rank) OVER () THEN 1.0 ELSE (intelligence_rank - min(intelligence_rank) OVER ()) / CAST(max(intelligence_rank) OVER () - min(intelligence_rank) OVER () AS DOUBLE) END AS smart, {_RELIABLE} AS rel, coalesce(t.speed, 0.6) AS speed, f.headroom * f.rate_limit AS factor
+        FROM models_v m JOIN decayed d ON m.platform = d.platform AND m.model_id = d.model_id LEFT JOIN pr ON m.platform = pr.platform AND m.model_id = pr.model_id JOIN factors f ON m.id = f.id LEFT JOIN t ON m.platform = t.platform AND m.model_id = t.model_id)
+    SELECT id, preset, round((r * rel + s * speed + i * smart) / (r + s + i) * factor, 6) AS score FROM c, (VALUES {_PRESET_ROWS}) p(preset, r, s, i)""", score="DOUBLE")
 def fun18_model_score(v):
-    """Measured reliability and speed, and intelligence scaled over the candidates, mixed by each preset."""
-    speed = v.requests_v.filter("status = 'success'").groupBy("platform", "model_id").agg(F.round(F.avg(_speed()), 6).alias("speed"))
-    both = v.models_v.join(R.decayed_stats(v.requests_v, now()).hint("merge"), ["platform", "model_id"]).join(speed.hint("merge"), ["platform", "model_id"], "left")
+    """Measured reliability and speed, and intelligence scaled over the candidates, mixed by each preset, times what is left of the budget and the damping by penalties."""
+    pair = ["platform", "model_id"]
+    speed = v.requests_v.filter("status = 'success'").groupBy(*pair).agg(F.round(F.avg(_speed()), 6).alias("speed"))
+    both = v.models_v.join(R.decayed_stats(v.requests_v, now()).hint("merge"), pair).join(priors(v).hint("merge"), pair, "left").join(speed.hint("merge"), pair, "left").join(factors(v).select("id", "headroom", "rate_limit").hint("merge"), "id")
+    both = materialise(both, "candidates")  # read for the range and for the scores
     ends = both.agg(F.min("intelligence_rank").alias("lo"), F.max("intelligence_rank").alias("hi"))
     c = both.crossJoin(F.broadcast(ends))  # one row
     smart = F.when(F.col("hi") == F.col("lo"), 1.0).otherwise((F.col("intelligence_rank") - F.col("lo")) / (F.col("hi") - F.col("lo")))
-    scores = [F.struct(F.lit(n).alias("preset"), F.round(S.mixed(n, S.reliability(F.col("good"), F.col("bad")), F.coalesce("speed", F.lit(S.SPEED_PRIOR)), smart, F.lit(1.0)), 6).alias("score")) for n in S.PRESETS]
+    reliable = S.reliability(F.col("good"), F.col("bad"), F.col("pg"), F.col("pb"))
+    scores = [F.struct(F.lit(n).alias("preset"), F.round(S.mixed(n, reliable, F.coalesce("speed", F.lit(S.SPEED_PRIOR)), smart, F.col("headroom"), F.col("rate_limit")), 6).alias("score")) for n in S.PRESETS]
     return c.select("id", F.inline(F.array(*scores)))
 
 
-@query("SELECT id, CAST(ceil(strlen(model_id) / 4.0) AS BIGINT) + input_tokens AS tokens, CASE WHEN input_tokens + 3 * input_tokens > 300 THEN 'reject' WHEN output_tokens > 150 THEN 'cap' ELSE 'ok' END AS verdict FROM requests_v")
+#: Tokens that a request may cost in the query.
+_REQUEST_BUDGET = 5_000
+
+
+@query(f"""WITH c AS (SELECT conv_id, sum(length(text)) AS chars FROM messages_v GROUP BY 1), e AS (SELECT conv_id, CAST(ceil(chars / 4.0) AS BIGINT) AS tokens, CASE WHEN conv_id % 3 > 0 THEN 500 * (conv_id % 7) END AS asked FROM c),
+    r AS (SELECT *, tokens + coalesce(asked, 0) > {_REQUEST_BUDGET} OR (asked IS NULL AND {_REQUEST_BUDGET} - tokens < 1) AS bad FROM e)
+    SELECT conv_id, tokens, CASE WHEN bad THEN 'reject' WHEN asked IS NULL THEN 'cap' ELSE 'ok' END AS verdict, CASE WHEN NOT bad THEN coalesce(asked, least({_REQUEST_BUDGET} - tokens, 4096)) END AS max_tokens FROM r""", max_tokens="BIGINT")
 def fun21_token_budget(v):
-    verdict = F.when(F.col("input_tokens") + F.col("output_tokens") > 300, "reject").when(F.col("output_tokens") > 150, "cap").otherwise("ok")
-    return v.requests_v.select("id", (F.ceil(F.length("model_id") / 4.0) + F.col("input_tokens")).alias("tokens"), verdict.alias("verdict"))
+    """A conversation's tokens by its characters, whether it and the output that it asks for fit a request's budget, and the output that it gets."""
+    c = v.messages_v.groupBy("conv_id").agg(F.ceil(F.sum(F.char_length("text")) / 4.0).cast("long").alias("tokens"))
+    asked = F.expr("CASE WHEN conv_id % 3 > 0 THEN 500 * (conv_id % 7) END")
+    return c.select("conv_id", "tokens", S.token_budget(F.col("tokens"), asked, _REQUEST_BUDGET).alias("x")).select("conv_id", "tokens", "x.*")
 
 
 @query("SELECT id, CASE WHEN v > 1e12 THEN v / 1000.0 WHEN v > 1e9 THEN v * 1.0 ELSE 1706659200 + v * 1.0 END AS reset_s FROM (SELECT id, CASE id % 3 WHEN 0 THEN 1706659200000 + id WHEN 1 THEN 1706659200 + id ELSE id END AS v FROM requests_v)")

@@ -8,6 +8,7 @@ from ..functions.text import inline_payload
 from ..operators.requests import penalty_at
 from ..streaming import request_stream as R
 from .registry import query
+from .views import penalty_cte
 
 
 def _events(v):
@@ -82,13 +83,7 @@ def str05_source_store(v):
     return R.drain(R.source_store(adds(_events(v)), idle_ms=STORE_IDLE, budget=STORE_BYTES), "sources").drop("batch")
 
 
-#: The fold over each model's events in order: failures move the clock, successes don't, and nothing is left at 0.
-PENALTY_SQL = """WITH e AS (SELECT 'm' || CAST(user_id % 12 AS VARCHAR) AS model, max(epoch_us(ts) // 1000) AS seen_ms, list({'p': 0.0::DOUBLE, 'last': NULL::BIGINT, 'ms': epoch_us(ts) // 1000, 'w': CASE WHEN event_type <> 'error' THEN 0.0 WHEN CAST(json_extract_string(props, '$.k') AS BIGINT) % 8 = 0 THEN 3.0 ELSE 1.0 END::DOUBLE} ORDER BY epoch_us(ts) // 1000, event_id) AS x FROM events GROUP BY 1),
-    s AS (SELECT model, seen_ms, list_reduce(list_prepend({'p': 0.0::DOUBLE, 'last': NULL::BIGINT, 'ms': 0::BIGINT, 'w': 0.0::DOUBLE}, x), lambda a, b: CASE
-        WHEN b.w > 0 AND a.last IS NULL THEN {'p': b.w, 'last': b.ms, 'ms': b.ms, 'w': b.w}
-        WHEN b.w > 0 THEN {'p': least(10.0, greatest(0.0, a.p - (b.ms - a.last) // 120000) + b.w), 'last': b.ms, 'ms': b.ms, 'w': b.w}
-        WHEN a.p <= 1 THEN {'p': 0.0::DOUBLE, 'last': NULL::BIGINT, 'ms': b.ms, 'w': b.w} ELSE {'p': a.p - 1, 'last': a.last, 'ms': b.ms, 'w': b.w} END) AS s FROM e)
-    SELECT model, s.p AS penalty, s.last AS last_ms, seen_ms, coalesce(greatest(0.0, s.p - (seen_ms - s.last) // 120000), 0.0) AS reads FROM s"""
+PENALTY_SQL = "WITH " + penalty_cte("SELECT 'm' || CAST(user_id % 12 AS VARCHAR) AS model, epoch_us(ts) // 1000 AS ms, event_id, CASE WHEN event_type <> 'error' THEN 0 WHEN CAST(json_extract_string(props, '$.k') AS BIGINT) % 8 = 0 THEN 3 ELSE 1 END AS w FROM events") + " SELECT * FROM penalties"
 
 
 def penalty_reads(rows):

@@ -19,7 +19,19 @@ NOW = "TIMESTAMP '2024-01-31 00:00:00'"
 
 #: SQL twins of ``text.group_key`` and ``scores.budget_tokens``.
 GROUP_KEY = "regexp_replace(lower(regexp_replace(display_name, '(\\s*\\([^()]*\\)|\\s+free)+\\s*$', '')), '[\\s_./-]+', ' ', 'g')"
-BUDGET = "CASE WHEN regexp_matches(budget_label, '[0-9]+(-[0-9]+)?[MK]') THEN CAST(regexp_extract(budget_label, '([0-9]+)[MK]', 1) AS BIGINT) * CASE WHEN budget_label LIKE '%M' THEN 1000000 ELSE 1000 END ELSE 0 END"
+_LABEL = "regexp_extract(budget_label, '~?([0-9.]+)(?:-([0-9.]+))?([MK])', {})".format
+BUDGET = f"CAST(coalesce(round(TRY_CAST(regexp_extract(coalesce(nullif({_LABEL(2)}, ''), {_LABEL(1)}), '^[0-9]*\\.?[0-9]*') AS DOUBLE) * CASE {_LABEL(3)} WHEN 'M' THEN 1000000 WHEN 'K' THEN 1000 END), 0) AS BIGINT)"
+
+
+def penalty_cte(rows: str) -> str:
+    """The table penalties (model, penalty, last_ms, seen_ms, reads) over ``rows`` (model, ms, event_id, w) in order: failures move the clock, successes don't, and nothing is left at 0."""
+    state = "{{'p': {}, 'last': {}, 'ms': {}, 'w': {}}}".format
+    own = lambda p, last: state(p, last, "b.ms", "b.w")
+    return f"""penalty_e AS (SELECT model, max(ms) AS seen_ms, list({state('0.0::DOUBLE', 'NULL::BIGINT', 'ms', 'w::DOUBLE')} ORDER BY ms, event_id) AS x FROM ({rows}) GROUP BY 1),
+    penalty_s AS (SELECT model, seen_ms, list_reduce(list_prepend({state('0.0::DOUBLE', 'NULL::BIGINT', '0::BIGINT', '0.0::DOUBLE')}, x), lambda a, b: CASE WHEN b.w > 0 AND a.last IS NULL THEN {own('b.w', 'b.ms')}
+        WHEN b.w > 0 THEN {own('least(10.0, greatest(0.0, a.p - (b.ms - a.last) // 120000) + b.w)', 'b.ms')} WHEN a.p <= 1 THEN {own('0.0::DOUBLE', 'NULL::BIGINT')} ELSE {own('a.p - 1', 'a.last')} END) AS s FROM penalty_e),
+    penalties AS (SELECT model, s.p AS penalty, s.last AS last_ms, seen_ms, coalesce(greatest(0.0, s.p - (seen_ms - s.last) // 120000), 0.0) AS reads FROM penalty_s)"""
+
 
 VIEWS: dict[str, tuple[str, list[str], str | None]] = {
     "requests_v": ("events", [
@@ -36,7 +48,7 @@ VIEWS: dict[str, tuple[str, list[str], str | None]] = {
     "models_v": ("part", [
         "p_partkey AS id", "'p' || CAST(p_partkey % 5 AS STRING) AS platform", "'m' || CAST(CAST(floor(p_partkey / 5) AS BIGINT) AS STRING) AS model_id", "p_name || ' (free)' AS display_name",
         "p_retailprice / 1000 AS input_price", "p_retailprice / 250 AS output_price", "CASE p_size % 4 WHEN 0 THEN 'small' WHEN 1 THEN 'medium' WHEN 2 THEN 'large' ELSE 'frontier' END AS size_label",
-        "p_size AS intelligence_rank", "CASE WHEN p_partkey % 3 = 0 THEN '~' || CAST(p_size AS STRING) || '-' || CAST(2 * p_size AS STRING) || 'M' WHEN p_partkey % 3 = 1 THEN CAST(p_size AS STRING) || 'K' ELSE 'unlimited' END AS budget_label",
+        "p_size AS intelligence_rank", "CASE p_partkey % 6 WHEN 0 THEN '~' || CAST(p_size AS STRING) || '-' || CAST(2 * p_size AS STRING) || 'M' WHEN 1 THEN CAST(p_size AS STRING) || 'K' WHEN 2 THEN 'unlimited' WHEN 3 THEN '~' || CAST(p_size AS STRING) || '.5K (trial)' WHEN 4 THEN 'free, 40 RPM' ELSE '~1-' || CAST(p_size AS STRING) || '.25M' END AS budget_label",
         "p_partkey % 7 AS priority", "p_partkey % 4 <> 0 AS enabled",
     ], None),
     "products_v": ("part", [
