@@ -54,35 +54,150 @@ def evidence_metrics(evidence: DataFrame, by: list[str]) -> DataFrame:
 
 
 # Weights of the signals for a field and of those against it.
-FIELD_WEIGHTS = {"authority": 0.25, "direct": 0.20, "quality": 0.10, "coverage": 0.10, "agreement": 0.15, "validation": 0.10}
-FIELD_PENALTIES = {"inference": 0.04, "conflict": 0.03, "missing": 0.01, "provisional": 0.02}
+FIELD_WEIGHTS = {"source_authority": 0.25, "direct_evidence": 0.20, "evidence_quality": 0.10, "evidence_coverage": 0.10, "cross_source_agreement": 0.15, "validation_success": 0.10}
+FIELD_PENALTIES = {"inference_penalty": 0.04, "conflict_penalty": 0.03, "missing_context_penalty": 0.01, "provisional_penalty": 0.02}
 #: Fields whose values must be numbers.
 NUMERIC_FIELDS = ("Length", "Weight", "Voltage")
 
 
-def field_confidence(attributes: DataFrame, evidence: DataFrame, required: tuple[str, ...]) -> DataFrame:
-    """(attribute_id, product_id, plus, minus, score): ten signals of each field and of its product's evidence, weighted, the difference clamped to 0..1.
+#: Words of a value that are looked for, of so many characters at least, and the confidence of a supported and of an unsupported value. Fixed values.
+VALUE_WORDS, LEAST_WORD, SUPPORTED, UNSUPPORTED = 3, 4, 0.85, 0.55
+#: Snippets that are shown, and their characters.
+SNIPPETS, SNIPPET_CHARS = 3, 200
 
-    Evidence is aggregated per product before the join, so a product with much of it costs one row; its coverage is the share of
-    ``required`` words that it holds. A conflicting field loses by how many other values it has.
+
+def requirement_coverage(required: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(product_id, attribute, covered) of each required attribute (product_id, attribute): whether any of the product's evidence holds any word of its name.
+
+    Each piece of evidence meets its product's list of attributes once, and what leaves its task are the attributes that it holds, not its text.
+    """
+    words = F.filter(F.split(F.translate(F.lower("attribute"), "_", " "), " "), lambda w: w != "")
+    asked = required.select("product_id", "attribute").distinct()
+    lists = asked.groupBy("product_id").agg(F.collect_list(F.struct("attribute", words.alias("words"))).alias("asked"))  # of one product
+    both = evidence.select("product_id", F.lower("content").alias("low")).join(lists.hint("merge"), "product_id")
+    held = both.select("product_id", F.explode(F.filter("asked", lambda a: F.exists(a["words"], lambda w: F.col("low").contains(w)))["attribute"]).alias("attribute")).distinct()
+    return asked.join(held.withColumn("covered", F.lit(True)).hint("merge"), ["product_id", "attribute"], "left").select("product_id", "attribute", F.coalesce("covered", F.lit(False)).alias("covered"))
+
+
+def value_support(fields: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(field_id, evidence_id, source, source_type, evidence_class, score, snippet): the evidence of a product that holds one of the first words of a field's value.
+
+    ``fields`` has field_id, product_id and value; of a value the first VALUE_WORDS words count, and of those the ones of LEAST_WORD characters or more. Evidence meets the words
+    of all fields of its product at once; words and snippets go on, texts don't.
+    """
+    words = F.filter(F.slice(F.filter(F.split(F.lower("value"), r"\s+"), lambda w: w != ""), 1, VALUE_WORDS), lambda w: F.length(w) >= LEAST_WORD)
+    asked = fields.filter("value IS NOT NULL").select("field_id", "product_id", F.explode(F.array_distinct(words)).alias("word"))
+    lists = asked.groupBy("product_id").agg(F.collect_set("word").alias("words"))  # of one product
+    both = evidence.withColumn("_low", F.lower("content")).join(lists.hint("merge"), "product_id")
+    hits = both.withColumn("_hits", F.filter("words", lambda w: F.col("_low").contains(w))).filter(F.size("_hits") > 0)
+    hits = hits.select("product_id", "evidence_id", "source", "source_type", "evidence_class", "score", F.substring("content", 1, SNIPPET_CHARS).alias("snippet"), F.explode("_hits").alias("word"))
+    met = asked.join(hits.hint("merge"), ["product_id", "word"])
+    return met.dropDuplicates(["field_id", "evidence_id"]).drop("product_id", "word")
+
+
+def supported_fields(fields: DataFrame, support: DataFrame) -> DataFrame:
+    """(field_id, n, status, confidence, snippets) of each field: how much evidence supports its value, and the first SNIPPETS by evidence id. A field without a value is missing."""
+    counts = support.groupBy("field_id").agg(F.count(F.lit(1)).alias("n"))
+    first = support.withColumn("_place", F.row_number().over(W.partitionBy("field_id").orderBy("evidence_id"))).filter(F.col("_place") <= SNIPPETS)
+    shown = first.groupBy("field_id").agg(F.array_sort(F.collect_list(F.struct("evidence_id", "source", "source_type", "score", "snippet"))).alias("snippets"))
+    both = fields.select("field_id", "value").join(counts.hint("merge"), "field_id", "left").join(shown.hint("merge"), "field_id", "left")
+    none = F.col("value").isNull()
+    status = F.when(none, "MISSING").when(F.col("n") > 0, "DIRECTLY_SUPPORTED").otherwise("INFERRED")
+    confidence = F.when(none, 0.0).when(F.col("n") > 0, SUPPORTED).otherwise(UNSUPPORTED)
+    return both.select("field_id", F.coalesce("n", F.lit(0)).alias("n"), status.alias("status"), confidence.alias("confidence"), "snippets")
+
+
+# Thresholds of the decision on evidence: confidence of the identity, sources, mean score, coverage and conflict signal; the signal of sources of both kinds, and of others.
+ENOUGH = {"identity": 0.40, "sources": 1, "mean": 0.50, "coverage": 0.30, "conflicts": 0.30}
+MIXED_SIGNAL, OTHER_SIGNAL = 0.15, 0.05
+
+
+def sufficiency(products: DataFrame, evidence: DataFrame, coverage: DataFrame, **thresholds: float) -> DataFrame:
+    """(product_id, sources, mean_score, coverage, decision, reason, provisional) by ordered rules; ``products`` has product_id and identity, ``coverage`` is that of requirement_coverage().
+
+    A product without requirements is covered. provisional tells that no verified evidence is behind a sufficient one.
+    """
+    t = ENOUGH | thresholds
+    e = evidence.groupBy("product_id").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean_score"), F.bool_or(F.col("evidence_class") == "VERIFIED").alias("verified"),
+        (F.bool_or(F.col("source_type") == "distributor_document") & F.bool_or(F.col("source_type") == "manufacturer_document")).alias("mixed"),
+    )
+    c = coverage.groupBy("product_id").agg(F.avg(F.col("covered").cast("int")).alias("coverage"))
+    both = products.join(e.hint("merge"), "product_id", "left").join(c.hint("merge"), "product_id", "left").withColumn("coverage", F.coalesce("coverage", F.lit(1.0))).withColumn("n", F.coalesce("n", F.lit(0)))
+    signal = F.when(F.col("n") < 2, 0.0).when(F.col("mixed"), MIXED_SIGNAL).otherwise(OTHER_SIGNAL)
+    rules = [
+        (F.col("identity") < t["identity"], "IDENTITY_UNCERTAIN", F.lit("Low confidence in product identity matching.")),
+        (F.col("n") == 0, "RESEARCH_REQUIRED", F.lit("No baseline evidence found. Full targeted research required.")),
+        (F.col("n") < t["sources"], "INSUFFICIENT", F.format_string(f"Only found %d sources. Min required is {t['sources']}.", "n")),
+        (F.col("mean_score") < t["mean"], "INSUFFICIENT", F.lit("Average evidence score is below threshold.")),
+        (F.col("coverage") < t["coverage"], "RESEARCH_REQUIRED", F.lit("Evidence coverage ratio is insufficient for critical attributes.")),
+        (signal > t["conflicts"], "CONFLICTING", F.lit("Conflicting evidence sources detected across critical features.")),
+    ]
+    pick = lambda i, last: F.coalesce(*[F.when(r[0], r[i] if i == 2 else F.lit(r[i])) for r in rules], F.lit(last))
+    out = both.select("product_id", F.col("n").alias("sources"), F.round("mean_score", 4).alias("mean_score"), F.round("coverage", 4).alias("coverage"), pick(1, "SUFFICIENT").alias("decision"), pick(2, "Evidence meets all requirements for extraction.").alias("reason"), "verified")
+    return out.withColumn("provisional", (F.col("decision") == "SUFFICIENT") & ~F.col("verified")).drop("verified")
+
+
+def research_plan(products: DataFrame, decisions: DataFrame, coverage: DataFrame) -> DataFrame:
+    """(product_id, place, query, targets, priority) for products whose evidence isn't sufficient: where research is required a general query first, after up to five of what is missing, then
+    one a required attribute, of high priority if it is not covered. ``products`` has brand, manufacturer and sku, which may be null."""
+    said = lambda *parts: F.trim(F.concat_ws(" ", *[F.coalesce(p, F.lit("")) for p in parts]))
+    need = products.join(decisions.filter("decision <> 'SUFFICIENT'").select("product_id", "decision").hint("merge"), "product_id")
+    missing = coverage.filter("NOT covered").groupBy("product_id").agg(F.slice(F.array_sort(F.collect_list("attribute")), 1, 5).alias("missing"))  # of one product
+    general = need.filter("decision = 'RESEARCH_REQUIRED'").join(missing.hint("merge"), "product_id", "left")
+    general = general.select("product_id", F.lit(0).alias("place"), said(F.col("brand"), F.col("sku"), F.lit("technical specifications datasheet")).alias("query"), F.coalesce(F.array_join("missing", ","), F.lit("")).alias("targets"), F.lit("HIGH").alias("priority"))
+    place = F.row_number().over(W.partitionBy("product_id").orderBy("attribute"))
+    each = need.join(coverage.hint("merge"), "product_id").select("product_id", place.alias("place"), said(F.col("manufacturer"), F.col("sku"), F.col("attribute")).alias("query"), F.col("attribute").alias("targets"), F.when(F.col("covered"), "MEDIUM").otherwise("HIGH").alias("priority"))
+    return general.unionByName(each)
+
+
+def field_confidence(fields: DataFrame, support: DataFrame, coverage: DataFrame) -> DataFrame:
+    """(field_id, product_id, plus, minus, score, breakdown, explanation): ten signals of each field (field_id, product_id, key, value, status, others), weighted, the difference clamped to 0..1.
+
+    ``support`` is the field's own evidence, see value_support(), aggregated before the join; coverage is its product's; others says how many other values the field has.
     """
     weight = lookup(lookup(F.col("source_type"), SOURCE_TYPES, "SECONDARY_SOURCE"), AUTHORITY, 0.2)
-    held = sum((F.bool_or(F.lower("content").contains(w)).cast("int") for w in required), F.lit(0)) / float(len(required))
-    per = evidence.groupBy("product_id").agg(F.max(weight).alias("authority"), F.avg("score").alias("quality"), F.count(F.lit(1)).alias("n"), F.bool_or(F.col("evidence_class") == "VERIFIED").alias("verified"), held.alias("coverage"))
-    variants = attributes.groupBy("product_id", "key").agg(F.countDistinct("value").alias("variants"))
-    both = attributes.join(per.hint("merge"), "product_id", "left").join(variants.hint("merge"), ["product_id", "key"], "left")
+    own = support.groupBy("field_id").agg(F.max(weight).alias("authority"), F.avg("score").alias("quality"), F.count(F.lit(1)).alias("n"), F.bool_or(F.col("evidence_class") == "VERIFIED").alias("verified"))
+    per = coverage.groupBy("product_id").agg(F.avg(F.col("covered").cast("int")).alias("coverage"))
+    both = fields.join(own.hint("merge"), "field_id", "left").join(per.hint("merge"), "product_id", "left")
     known, no = F.col("value").isNotNull(), F.lit(0.0)
-    plus = {
-        "authority": F.coalesce("authority", F.lit(0.1)), "direct": lookup(F.col("status"), {"DIRECTLY_SUPPORTED": 1.0, "INFERRED": 0.4, "CONFLICTING": 0.3}, 0.0), "quality": F.coalesce("quality", no), "coverage": F.coalesce("coverage", no),
-        "agreement": F.when(F.col("n") >= 2, 0.9).when(F.col("n") == 1, 0.5).otherwise(0.0), "validation": F.when(X.number(F.col("value")).isNotNull(), 1.0).when(known & F.col("key").isin(*NUMERIC_FIELDS), 0.0).otherwise(0.5),
-    }
-    minus = {
-        "inference": lookup(F.col("status"), {"INFERRED": 0.3, "MISSING": 1.0}, 0.0), "conflict": F.when(F.col("status") == "CONFLICTING", F.least((F.col("variants") - 1) * 0.3, F.lit(1.0))).otherwise(0.0),
-        "missing": F.when(known, 0.0).otherwise(1.0), "provisional": F.when(~F.col("verified"), 1.0).otherwise(0.0),
+    signals = {
+        "source_authority": F.coalesce("authority", F.lit(0.1)), "direct_evidence": lookup(F.col("status"), {"DIRECTLY_SUPPORTED": 1.0, "INFERRED": 0.4, "CONFLICTING": 0.3}, 0.0), "evidence_quality": F.coalesce("quality", no), "evidence_coverage": F.coalesce("coverage", F.lit(1.0)),
+        "cross_source_agreement": F.when(F.col("n") >= 2, 0.9).when(F.col("n") == 1, 0.5).otherwise(0.0), "validation_success": F.when(X.number(F.col("value")).isNotNull(), 1.0).when(known & F.col("key").isin(*NUMERIC_FIELDS), 0.0).otherwise(0.5),
+        "inference_penalty": lookup(F.col("status"), {"INFERRED": 0.3, "MISSING": 1.0}, 0.0), "conflict_penalty": F.least(F.coalesce("others", F.lit(0)) * 0.3, F.lit(1.0)),
+        "missing_context_penalty": F.when(known, 0.0).otherwise(1.0), "provisional_penalty": F.when(~F.col("verified"), 1.0).otherwise(0.0),
     }
-    total = lambda signals, weights: sum((signals[n] * w for n, w in weights.items()), no)
-    out = both.select("attribute_id", "product_id", total(plus, FIELD_WEIGHTS).alias("p"), total(minus, FIELD_PENALTIES).alias("m"))
-    return out.select("attribute_id", "product_id", F.round("p", 6).alias("plus"), F.round("m", 6).alias("minus"), F.round(F.least(F.greatest(F.col("p") - F.col("m"), no), F.lit(1.0)), 4).alias("score"))
+    out = both.select("field_id", "product_id", F.struct(*[x.cast("double").alias(n) for n, x in signals.items()]).alias("s"))
+    part = lambda n, w: F.col(f"s.{n}") * w
+    total = lambda weights: sum((part(n, w) for n, w in weights.items()), no)
+    out = out.withColumn("p", total(FIELD_WEIGHTS)).withColumn("m", total(FIELD_PENALTIES)).withColumn("score", F.round(F.least(F.greatest(F.col("p") - F.col("m"), no), F.lit(1.0)), 4))
+    breakdown = F.map_from_arrays(F.array(*map(F.lit, signals)), F.array(*[F.round(part(n, w), 6) for n, w in FIELD_WEIGHTS.items()], *[F.round(F.lit(0.0) - part(n, w), 6) for n, w in FIELD_PENALTIES.items()]))
+    return out.select("field_id", "product_id", F.round("p", 6).alias("plus"), F.round("m", 6).alias("minus"), "score", breakdown.alias("breakdown"), explanation(F.col("s"), F.col("score")).alias("explanation"))
+
+
+def explanation(s: Column, score: Column) -> Column:
+    """What a field's confidence rests on, in a sentence."""
+    authority = F.when(s["source_authority"] >= 0.9, "High source authority (manufacturer document)").when(s["source_authority"] >= 0.7, "Moderate source authority").otherwise("Low source authority")
+    direct = F.when(s["direct_evidence"] >= 0.8, "directly supported by evidence").when(s["direct_evidence"] >= 0.3, "partially supported").otherwise("no direct evidence")
+    conflict = F.when(s["conflict_penalty"] > 0, F.format_string("conflict penalty applied (%.1f)", s["conflict_penalty"]))
+    inference = F.when(s["inference_penalty"] > 0.2, "inference penalty applied")
+    return F.concat(F.lit("Confidence "), F.floor(score * 100 + 0.5).cast("string"), F.lit("%: "), F.concat_ws("; ", authority, direct, conflict, inference), F.lit("."))
+
+
+def composite_confidence(products: DataFrame, fields: DataFrame, support: DataFrame, issues: DataFrame) -> DataFrame:
+    """(product_id, source_quality, evidence_coverage, agreement, validation, overall): four parts of a quarter each: 95 for a product with brand and part number, else 70; the share of its
+    fields with support, 50 without fields; 100 less 20 for each conflicting field, 30 at least; 98, or 60 with a critical issue."""
+    own = fields.join(support.select("field_id").distinct().withColumn("_held", F.lit(True)).hint("merge"), "field_id", "left")
+    per = own.groupBy("product_id").agg(F.count(F.lit(1)).alias("n"), F.count("_held").alias("held"), F.count_if(F.col("status") == "CONFLICTING").alias("conflicts"))
+    bad = issues.filter("severity = 'CRITICAL'").select("product_id").distinct().withColumn("_bad", F.lit(True))
+    both = products.join(per.hint("merge"), "product_id", "left").join(bad.hint("merge"), "product_id", "left")
+    quality = F.when(F.col("brand").isNotNull() & F.col("sku").isNotNull(), 95.0).otherwise(70.0)
+    covered = F.coalesce(F.col("held") * 100.0 / F.col("n"), F.lit(50.0))
+    agreement = F.greatest(F.lit(100.0) - F.coalesce("conflicts", F.lit(0)) * 20.0, F.lit(30.0))
+    valid = F.when(F.col("_bad"), 60.0).otherwise(98.0)
+    out = both.select("product_id", quality.alias("source_quality"), covered.alias("c"), agreement.alias("agreement"), valid.alias("validation"))
+    overall = F.col("source_quality") * 0.25 + F.col("c") * 0.25 + F.col("agreement") * 0.25 + F.col("validation") * 0.25
+    return out.select("product_id", "source_quality", F.round("c", 2).alias("evidence_coverage"), "agreement", "validation", F.round(F.round(overall, 6), 2).alias("overall"))
 
 
 def merged_events(events: DataFrame, by: list[str], within: float) -> DataFrame:

@@ -6,10 +6,10 @@ from pyspark.sql import Window as W, functions as F
 
 from ..functions import text as X
 from ..operators import products as P, requests as Q
-from ..session import scratch_path
+from ..session import materialise, scratch_path
 from ..sources import files as S
 from ..streaming.request_stream import weighted
-from .products import _NUMBER, _REQUIRED, _UNIT, _clean
+from .products import _NUMBER, _UNIT, _clean, confidence, decisions, required
 from .registry import query
 from .requests import _COOL, _KEYS, keys, now
 from .streams import PENALTY_SQL, penalty_reads
@@ -128,18 +128,18 @@ def _commerce(v):
     triplets = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(49)), lambda i: F.array(F.get("a", i)["key"], F.get("a", i)["shown"], F.get("a", i)["uom"])))
     features, labels, rest = place("ITEM_FEATURES_1"), place("ATTRIBUTE_LABEL 1"), place("ATTRIBUTE_UOM 50") + 1
     row = F.concat(fixed(0, features), feature, fixed(features + 20, labels), triplets, fixed(rest, len(S.COMMERCE_COLUMNS)))
-    return wide.select(row.alias("row")).select(*[F.coalesce(F.get("row", i), F.lit("")).alias(c) for i, c in enumerate(S.COMMERCE_COLUMNS)])
+    return wide.select(row.alias("row"), F.col("product_id").alias("_product_id")).select(*[F.coalesce(F.get("row", i), F.lit("")).alias(c) for i, c in enumerate(S.COMMERCE_COLUMNS)], "_product_id")
 
 
 @query(_commerce_sql())
 def prj24_commerce_row(v):
-    return _commerce(v)
+    return _commerce(v).drop("_product_id")
 
 
 @query(_commerce_sql())
 def src10_commerce_csv(v):
     path = scratch_path(v.spark, "commerce")
-    S.write_commerce(_commerce(v), path)
+    S.write_commerce(_commerce(v).drop("_product_id"), path)
     return S.read_commerce(v.spark, path)
 
 
@@ -148,7 +148,7 @@ def src11_commerce_json(v):
     """A row as JSON: its 252 columns under commerce_data, the batch's size under intelligence_metadata; written as text and read back."""
     path = scratch_path(v.spark, "commerce-json")
     products = v.products_v.agg(F.count(F.lit(1)).alias("products"))
-    rows = _commerce(v).select(F.struct("*").alias("commerce_data")).crossJoin(F.broadcast(products))  # one row
+    rows = _commerce(v).drop("_product_id").select(F.struct("*").alias("commerce_data")).crossJoin(F.broadcast(products))  # one row
     rows.select(F.to_json(F.struct("commerce_data", F.struct("products").alias("intelligence_metadata"))).alias("value")).write.text(path)
     back = v.spark.read.text(path)
     data = F.from_json(F.get_json_object("value", "$.commerce_data"), "map<string,string>")
@@ -208,23 +208,32 @@ def fun19_penalty_decay(v):
 
 @query()
 def udf03_product_pipeline(v):
-    """Evidence, sufficiency, normalisation, validation and confidence of each product in one row."""
-    metrics = P.evidence_metrics(v.evidence_v, ["product_id"])
-    fields = P.normalised(v.attributes_v).groupBy("product_id").agg(F.count(F.lit(1)).alias("fields"), F.count("number").alias("numeric_fields"))
-    score = P.field_confidence(v.attributes_v, v.evidence_v, _REQUIRED).groupBy("product_id").agg(F.round(F.avg("score"), 4).alias("confidence"))
-    out = P.validation_run(v.products_v)
-    for part in (metrics, fields, score):
+    """A product's job from its evidence to its commerce row: coverage of what it must tell and the decision on it, the route that follows, normalised fields, validation, confidence, status
+    and the first columns of the sheet. The steps are those of the queries of their own, so tests hold this one against their SQL."""
+    coverage = materialise(P.requirement_coverage(required(v), v.evidence_v), "coverage")
+    decided = decisions(v, coverage).select("product_id", "sources", "coverage", "decision", "provisional")
+    numbers = P.normalised(v.attributes_v).groupBy("product_id").agg(F.count(F.lit(1)).alias("fields"), F.count("number").alias("numeric_fields"), F.count_if(F.col("value").isNull()).alias("missing"), F.count_if(F.col("status") == "CONFLICTING").alias("conflicts"))
+    score = confidence(v).groupBy("product_id").agg(F.round(F.avg("score"), 4).alias("confidence"))
+    out = P.validation_run(v.products_v).select("product_id", F.col("status").alias("validation"), F.col("score").alias("validation_score"))
+    for part in (decided, numbers, score):
         out = out.join(part.hint("merge"), "product_id", "left")
-    route = F.when(F.coalesce("n", F.lit(0)) < 2, "research").when(F.col("status") == "FAILED", "review").otherwise("publish")
-    return out.select("product_id", "status", F.col("score").alias("validation_score"), "fields", "numeric_fields", "confidence", route.alias("route"))
+    route = F.when(F.col("decision") == "SUFFICIENT", "extract").when(F.col("decision").isin("RESEARCH_REQUIRED", "INSUFFICIENT"), "research").otherwise("review")
+    conflicts = F.coalesce("conflicts", F.lit(0))
+    out = out.withColumn("route", route).withColumn("level", P.confidence_level(F.col("confidence"), conflicts)).withColumn("commerce_ready", (route == "extract") & (F.col("validation") != "FAILED") & (conflicts == 0))
+    sheet = _commerce(v).select(F.col("Mfg_Part_Num").alias("sku"), F.col("Product Name").alias("product_name"), F.col("ATTRIBUTE_LABEL 1").alias("first_label"), F.col("ATTRIBUTE_VALUE 1").alias("first_value"), "_product_id")
+    return out.join(sheet.withColumnRenamed("_product_id", "product_id").hint("merge"), "product_id")
 
 
-@query("WITH req(k) AS (VALUES ('Length'), ('Weight'), ('Voltage')) SELECT p.product_id, req.k AS key, count(a.value) AS facts, count(a.value) > 0 AS known FROM products_v p CROSS JOIN req LEFT JOIN attributes_v a ON a.product_id = p.product_id AND a.key = req.k GROUP BY 1, 2")
+@query("""WITH req(k) AS (VALUES ('Length'), ('Weight'), ('Voltage')), f AS (SELECT product_id, key, min_by(value, (attribute_id, value)) AS value, count(*) AS facts FROM attributes_v WHERE value IS NOT NULL GROUP BY 1, 2),
+    a AS (SELECT product_id, k AS key FROM products_v, req UNION SELECT product_id, key FROM f)
+    SELECT a.product_id, a.key, f.value, coalesce(facts, 0) AS facts, CASE WHEN f.value IS NULL THEN 'MISSING' ELSE 'DIRECTLY_SUPPORTED' END AS status, CASE WHEN f.value IS NULL THEN 0.0 ELSE 1.0 END AS confidence FROM a LEFT JOIN f ON a.product_id = f.product_id AND a.key = f.key""", confidence="DOUBLE")
 def udf04_baseline_record(v):
-    """Known facts, and required fields that are absent, of every product."""
-    known = v.attributes_v.filter("value IS NOT NULL").groupBy("product_id", "key").agg(F.count(F.lit(1)).alias("facts"))
+    """What is known of every product without any synthesis: each known fact with confidence 1, and required fields that are absent as MISSING."""
+    known = v.attributes_v.filter("value IS NOT NULL").groupBy("product_id", "key").agg(F.min_by("value", F.struct("attribute_id", "value")).alias("value"), F.count(F.lit(1)).alias("facts"))
     asked = v.products_v.select("product_id", F.explode(F.array(*map(F.lit, ("Length", "Weight", "Voltage")))).alias("key"))
-    return asked.join(known.hint("merge"), ["product_id", "key"], "left").select("product_id", "key", F.coalesce("facts", F.lit(0)).alias("facts"), F.col("facts").isNotNull().alias("known"))
+    both = asked.unionByName(known.select("product_id", "key")).distinct().join(known.hint("merge"), ["product_id", "key"], "left")
+    none = F.col("value").isNull()
+    return both.select("product_id", "key", "value", F.coalesce("facts", F.lit(0)).alias("facts"), F.when(none, "MISSING").otherwise("DIRECTLY_SUPPORTED").alias("status"), F.when(none, 0.0).otherwise(1.0).alias("confidence"))
 
 
 @query("SELECT a.product_id, a.key, count(*) AS n FROM attributes_v a GROUP BY 1, 2")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W, functions as F
 from ..functions import scores as S, text as X
 from ..operators import products as P
 from ..operators.requests import catalog
+from ..session import materialise
 from ..sources.files import row_accounting
 from .registry import query
 from .views import BUDGET as _BUDGET, GROUP_KEY as _GROUP, NOW
@@ -288,14 +289,33 @@ def jon15_same_content(v):
     return counts.join(P.first_ids(rows, "content_hash", "evidence_id", 3).hint("merge"), "content_hash").select("content_hash", "n", F.array_join("ids", ",").alias("first_ids"))
 
 
-_WORDS = "list_filter(string_split(lower(name), ' '), lambda w: length(w) > 3)[1:3]"
+#: Fields of products: attributes, and the names under negative ids; and what each product must tell: something about each word of its name, and two measures.
+_FIELDS = f"fields AS (SELECT attribute_id AS field_id, product_id, key, value, status FROM attributes_v UNION ALL SELECT -product_id, product_id, 'Product Name', {_clean('name')}, 'INFERRED' FROM products_v)"
+_REQUIRED = f"required AS (SELECT DISTINCT product_id, unnest(list_concat(list_transform(string_split({_clean('name')}, ' '), lambda w: w || '_type'), ['Length', 'Voltage'])) AS attribute FROM products_v)"
+_COVERAGE = """coverage AS (SELECT r.product_id, r.attribute, coalesce(bool_or(list_has_any([contains(lower(content), w) FOR w IN list_filter(string_split(replace(lower(r.attribute), '_', ' '), ' '), lambda w: w <> '')], [true])), false) AS covered
+    FROM required r LEFT JOIN evidence_v e ON r.product_id = e.product_id GROUP BY 1, 2)"""
+_SUPPORT = """support AS (SELECT f.field_id, e.evidence_id, e.source, e.source_type, e.evidence_class, e.score, substring(content, 1, 200) AS snippet FROM fields f JOIN evidence_v e ON f.product_id = e.product_id
+    WHERE list_has_any([contains(lower(content), w) FOR w IN list_filter(list_filter(string_split_regex(lower(value), '\\s+'), lambda w: w <> '')[1:3], lambda w: length(w) > 3)], [true]))"""
 
 
-@query(f"SELECT p.product_id, count(*) FILTER (WHERE list_has_any([contains(lower(e.content), w) FOR w IN {_WORDS}], [true])) > 0 AS supported FROM (SELECT product_id, name FROM products_v WHERE trim(name) <> '') p JOIN evidence_v e ON e.product_id = p.product_id GROUP BY 1")
+def fields(v):
+    names = v.products_v.select((-F.col("product_id")).alias("field_id"), "product_id", F.lit("Product Name").alias("key"), X.clean(F.col("name")).alias("value"), F.lit("INFERRED").alias("status"))
+    return v.attributes_v.select(F.col("attribute_id").alias("field_id"), "product_id", "key", "value", "status").unionByName(names)
+
+
+def required(v):
+    words = F.transform(F.split(X.clean(F.col("name")), " "), lambda w: F.concat(w, F.lit("_type")))
+    measures = F.array(F.lit("Length"), F.lit("Voltage"))
+    return v.products_v.select("product_id", F.explode(F.concat(F.coalesce(words, F.array().cast("array<string>")), measures)).alias("attribute")).distinct()
+
+
+@query(f"""WITH {_FIELDS}, {_SUPPORT}, n AS (SELECT field_id, count(*) AS n, array_to_string(list(evidence_id ORDER BY evidence_id)[1:3], ',') AS first_ids, array_to_string(list(snippet ORDER BY evidence_id)[1:3], chr(10)) AS snippets FROM support GROUP BY 1)
+    SELECT f.field_id, coalesce(n, 0) AS n, CASE WHEN value IS NULL THEN 'MISSING' WHEN n > 0 THEN 'DIRECTLY_SUPPORTED' ELSE 'INFERRED' END AS status, CASE WHEN value IS NULL THEN 0.0 WHEN n > 0 THEN 0.85 ELSE 0.55 END AS confidence, first_ids, sha256(snippets) AS snippets FROM fields f LEFT JOIN n ON f.field_id = n.field_id""", confidence="DOUBLE")
 def jon16_evidence_support(v):
-    named = v.products_v.filter("trim(name) <> ''").select("product_id", F.slice(F.filter(F.split(F.lower("name"), " "), lambda w: F.length(w) > 3), 1, 3).alias("words"))
-    both = v.evidence_v.select("product_id", F.lower("content").alias("c")).join(named.hint("merge"), "product_id")
-    return both.groupBy("product_id").agg(F.bool_or(F.exists("words", lambda w: F.col("c").contains(w))).alias("supported"))
+    """The evidence that supports the value of each field of a product, by the first words of the value; the first three snippets show."""
+    f = fields(v)
+    out = P.supported_fields(f, P.value_support(f, v.evidence_v))
+    return out.select("field_id", "n", "status", "confidence", F.array_join(F.col("snippets")["evidence_id"].cast("array<string>"), ",").alias("first_ids"), F.sha2(F.array_join(F.col("snippets")["snippet"], "\n"), 256).alias("snippets"))
 
 
 @query("SELECT evidence_id FROM evidence_v WHERE evidence_id NOT IN (SELECT evidence_id FROM evidence_v WHERE source_type = 'baseline')")
@@ -367,37 +387,32 @@ def agg06_evidence_metrics(v):
     return P.evidence_metrics(v.evidence_v, ["product_id"])
 
 
-_REQUIRED = ("the", "was", "des", "ung", "zebra")
+@query(f"WITH {_REQUIRED}, {_COVERAGE} SELECT product_id, round(avg(CAST(covered AS INT)), 4) AS coverage, string_agg(attribute, ',' ORDER BY attribute) FILTER (WHERE NOT covered) AS missing FROM coverage GROUP BY 1")
+def agg07_requirement_coverage(v):
+    """The share of a product's own required attributes that its evidence tells of, and those that it doesn't."""
+    c = P.requirement_coverage(required(v), v.evidence_v)
+    missing = F.array_join(F.array_sort(F.collect_list(F.when(~F.col("covered"), F.col("attribute")))), ",")
+    return c.groupBy("product_id").agg(F.round(F.avg(F.col("covered").cast("int")), 4).alias("coverage"), F.nullif(missing, F.lit("")).alias("missing"))
 
 
-@query("SELECT product_id, round((" + " + ".join(f"CAST(bool_or(contains(lower(content), '{w}')) AS INT)" for w in _REQUIRED) + f") / {len(_REQUIRED)}.0, 4) AS coverage FROM evidence_v GROUP BY 1", coverage="DOUBLE")
-def agg07_requirement_coverage(v):
-    low = F.lower("content")
-    hits = [F.bool_or(low.contains(w)).cast("int") for w in _REQUIRED]
-    total = hits[0]
-    for h in hits[1:]:
-        total = total + h
-    return v.evidence_v.groupBy("product_id").agg(F.round(total / float(len(_REQUIRED)), 4).alias("coverage"))
+#: The signal that counts as a conflict in the queries; the operator's default lets both signals pass.
+_CONFLICTS = 0.10
+_ENOUGH = P.ENOUGH | {"conflicts": _CONFLICTS}
+_DECIDED = f"""e AS (SELECT product_id, count(*) AS n, avg(score) AS mean_score, bool_or(evidence_class = 'VERIFIED') AS verified, bool_or(source_type = 'distributor_document') AND bool_or(source_type = 'manufacturer_document') AS mixed FROM evidence_v GROUP BY 1),
+    cv AS (SELECT product_id, avg(CAST(covered AS INT)) AS coverage FROM coverage GROUP BY 1),
+    d0 AS (SELECT p.product_id, coalesce(n, 0) AS sources, mean_score, coverage, verified, CASE WHEN coalesce(n, 0) < 2 THEN 0 WHEN mixed THEN 0.15 ELSE 0.05 END AS signal, confidence_score FROM products_v p LEFT JOIN e ON p.product_id = e.product_id LEFT JOIN cv ON p.product_id = cv.product_id),
+    decided AS (SELECT product_id, sources, round(mean_score, 4) AS mean_score, round(coverage, 4) AS coverage, verified, CASE WHEN confidence_score < {_ENOUGH['identity']} THEN 'IDENTITY_UNCERTAIN' WHEN sources = 0 THEN 'RESEARCH_REQUIRED' WHEN sources < {_ENOUGH['sources']} THEN 'INSUFFICIENT' WHEN mean_score < {_ENOUGH['mean']} THEN 'INSUFFICIENT'
+        WHEN coverage < {_ENOUGH['coverage']} THEN 'RESEARCH_REQUIRED' WHEN signal > {_ENOUGH['conflicts']} THEN 'CONFLICTING' ELSE 'SUFFICIENT' END AS decision FROM d0)"""
 
 
-# Thresholds of the decision: identity, sources, mean score, coverage, share of conflicting fields.
-_ENOUGH = (0.1, 2, 0.45, 0.5, 0.5)
-_COVERED = "(" + " + ".join(f"CAST(bool_or(contains(lower(content), '{w}')) AS INT)" for w in _REQUIRED) + f") / CAST({len(_REQUIRED)} AS DOUBLE)"
+def decisions(v, coverage):
+    return P.sufficiency(v.products_v.select("product_id", F.col("confidence_score").alias("identity")), v.evidence_v, coverage, conflicts=_CONFLICTS)
 
 
-@query(f"WITH e AS (SELECT product_id, count(*) AS n, avg(score) AS mean_score, {_COVERED} AS coverage, bool_or(evidence_class = 'VERIFIED') AS verified FROM evidence_v GROUP BY 1), c AS (SELECT product_id, count(*) FILTER (WHERE status = 'CONFLICTING') / CAST(count(*) AS DOUBLE) AS conflicts FROM attributes_v GROUP BY 1) SELECT p.product_id, coalesce(n, 0) AS sources, CASE WHEN confidence_score < {_ENOUGH[0]} THEN 'IDENTITY_UNCERTAIN' WHEN n IS NULL THEN 'RESEARCH_REQUIRED' WHEN n < {_ENOUGH[1]} THEN 'INSUFFICIENT' WHEN mean_score < {_ENOUGH[2]} THEN 'INSUFFICIENT' WHEN coverage < {_ENOUGH[3]} THEN 'RESEARCH_REQUIRED' WHEN coalesce(conflicts, 0) > {_ENOUGH[4]} THEN 'CONFLICTING' WHEN NOT verified THEN 'PROVISIONAL' ELSE 'SUFFICIENT' END AS decision FROM products_v p LEFT JOIN e ON p.product_id = e.product_id LEFT JOIN c ON p.product_id = c.product_id")
+@query(f"WITH {_REQUIRED}, {_COVERAGE}, {_DECIDED} SELECT product_id, sources, mean_score, coverage, decision, decision = 'SUFFICIENT' AND NOT verified AS provisional FROM decided")
 def agg08_sufficiency(v):
-    """Ordered rules on identity, number and mean score of sources, coverage, conflicts and verified sources, for every product."""
-    identity, least, mean, covered, conflicts = _ENOUGH
-    hits = sum((F.bool_or(F.lower("content").contains(w)).cast("int") for w in _REQUIRED), F.lit(0))
-    e = v.evidence_v.groupBy("product_id").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean_score"), (hits / float(len(_REQUIRED))).alias("coverage"), F.bool_or(F.col("evidence_class") == "VERIFIED").alias("verified"))
-    c = v.attributes_v.groupBy("product_id").agg((F.count_if(F.col("status") == "CONFLICTING") / F.count(F.lit(1))).alias("conflicts"))
-    both = v.products_v.select("product_id", "confidence_score").join(e.hint("merge"), "product_id", "left").join(c.hint("merge"), "product_id", "left")
-    decision = (
-        F.when(F.col("confidence_score") < identity, "IDENTITY_UNCERTAIN").when(F.col("n").isNull(), "RESEARCH_REQUIRED").when(F.col("n") < least, "INSUFFICIENT").when(F.col("mean_score") < mean, "INSUFFICIENT")
-        .when(F.col("coverage") < covered, "RESEARCH_REQUIRED").when(F.coalesce("conflicts", F.lit(0.0)) > conflicts, "CONFLICTING").when(~F.col("verified"), "PROVISIONAL").otherwise("SUFFICIENT")
-    )
-    return both.select("product_id", F.coalesce("n", F.lit(0)).alias("sources"), decision.alias("decision"))
+    """Ordered rules on identity, number and mean score of sources, coverage of the product's own requirements and kinds of sources, for every product."""
+    return decisions(v, P.requirement_coverage(required(v), v.evidence_v)).drop("reason")
 
 
 @query("SELECT product_id, count(*) AS total, count(value) AS populated, count(*) - count(value) AS missing, count(*) FILTER (WHERE status = 'CONFLICTING') AS conflicting, round(count(value) / CAST(count(*) AS DOUBLE), 4) AS completeness FROM attributes_v GROUP BY 1")
@@ -408,32 +423,46 @@ def agg09_field_metrics(v):
 
 _AUTH = _map(f"({_SOURCE})", P.AUTHORITY, "0.2")
 _DIRECT = "CASE a.status WHEN 'DIRECTLY_SUPPORTED' THEN 1.0 WHEN 'INFERRED' THEN 0.4 WHEN 'CONFLICTING' THEN 0.3 ELSE 0.0 END"
-_HELD = "(" + " + ".join(f"CAST(bool_or(contains(lower(content), '{w}')) AS INT)" for w in _REQUIRED) + f") / CAST({len(_REQUIRED)} AS DOUBLE)"
-_CONF = f"""e AS (SELECT product_id, max(CAST({_AUTH} AS DOUBLE)) AS authority, avg(score) AS quality, count(*) AS n, bool_or(evidence_class = 'VERIFIED') AS verified, {_HELD} AS coverage FROM evidence_v GROUP BY 1),
+_SIGNALS = f"""own AS (SELECT field_id, max(CAST({_AUTH} AS DOUBLE)) AS authority, avg(score) AS quality, count(*) AS n, bool_or(evidence_class = 'VERIFIED') AS verified FROM support GROUP BY 1), cv AS (SELECT product_id, avg(CAST(covered AS INT)) AS coverage FROM coverage GROUP BY 1),
     k AS (SELECT product_id, key, count(DISTINCT value) AS variants FROM attributes_v GROUP BY 1, 2),
-    g AS (SELECT a.attribute_id, a.product_id, coalesce(authority, 0.1) * 0.25 + CAST({_DIRECT} AS DOUBLE) * 0.2 + coalesce(quality, 0.0) * 0.1 + coalesce(coverage, 0.0) * 0.1 + CAST(CASE WHEN n >= 2 THEN 0.9 WHEN n = 1 THEN 0.5 ELSE 0.0 END AS DOUBLE) * 0.15
-            + CAST(CASE WHEN {_NUMBER} IS NOT NULL THEN 1.0 WHEN value IS NOT NULL AND a.key IN ('Length', 'Weight', 'Voltage') THEN 0.0 ELSE 0.5 END AS DOUBLE) * 0.1 AS plus,
-        CAST(CASE a.status WHEN 'INFERRED' THEN 0.3 WHEN 'MISSING' THEN 1.0 ELSE 0.0 END AS DOUBLE) * 0.04 + CAST(CASE WHEN a.status = 'CONFLICTING' THEN least((variants - 1) * 0.3, 1.0) ELSE 0.0 END AS DOUBLE) * 0.03
-            + CAST(CASE WHEN value IS NULL THEN 1.0 ELSE 0.0 END AS DOUBLE) * 0.01 + CAST(CASE WHEN verified = false THEN 1.0 ELSE 0.0 END AS DOUBLE) * 0.02 AS minus
-        FROM attributes_v a LEFT JOIN e ON a.product_id = e.product_id LEFT JOIN k ON a.product_id = k.product_id AND a.key = k.key),
-    conf AS (SELECT attribute_id, product_id, round(plus, 6) AS plus, round(minus, 6) AS minus, round(least(greatest(plus - minus, 0.0), 1.0), 4) AS score FROM g)"""
+    g AS (SELECT a.field_id, a.product_id, coalesce(authority, 0.1)::DOUBLE AS s1, CAST({_DIRECT} AS DOUBLE) AS s2, coalesce(quality, 0.0)::DOUBLE AS s3, coalesce(coverage, 1.0)::DOUBLE AS s4, CAST(CASE WHEN n >= 2 THEN 0.9 WHEN n = 1 THEN 0.5 ELSE 0.0 END AS DOUBLE) AS s5,
+        CAST(CASE WHEN {_NUMBER} IS NOT NULL THEN 1.0 WHEN value IS NOT NULL AND a.key IN ('Length', 'Weight', 'Voltage') THEN 0.0 ELSE 0.5 END AS DOUBLE) AS s6, CAST(CASE a.status WHEN 'INFERRED' THEN 0.3 WHEN 'MISSING' THEN 1.0 ELSE 0.0 END AS DOUBLE) AS m1,
+        CASE WHEN a.status = 'CONFLICTING' THEN least((variants - 1) * 0.3::DOUBLE, 1.0) ELSE 0.0 END::DOUBLE AS m2, CAST(CASE WHEN value IS NULL THEN 1.0 ELSE 0.0 END AS DOUBLE) AS m3, CAST(CASE WHEN verified = false THEN 1.0 ELSE 0.0 END AS DOUBLE) AS m4
+        FROM fields a LEFT JOIN own ON a.field_id = own.field_id LEFT JOIN cv ON a.product_id = cv.product_id LEFT JOIN k ON a.product_id = k.product_id AND a.key = k.key),
+    w AS (SELECT *, s1 * 0.25 + s2 * 0.2 + s3 * 0.1 + s4 * 0.1 + s5 * 0.15 + s6 * 0.1 AS plus, m1 * 0.04 + m2 * 0.03 + m3 * 0.01 + m4 * 0.02 AS minus FROM g),
+    conf AS (SELECT *, round(least(greatest(plus - minus, 0.0), 1.0), 4) AS score FROM w)"""
+_CONF = f"{_FIELDS}, {_SUPPORT}, {_REQUIRED}, {_COVERAGE}, {_SIGNALS}"
+
+
+def confidence(v):
+    variants = v.attributes_v.groupBy("product_id", "key").agg((F.countDistinct("value") - 1).alias("more"))
+    f = fields(v).join(variants.hint("merge"), ["product_id", "key"], "left").withColumn("others", F.when(F.col("status") == "CONFLICTING", F.col("more")))
+    return P.field_confidence(f, P.value_support(fields(v), v.evidence_v), P.requirement_coverage(required(v), v.evidence_v))
 
 
-@query(f"WITH {_CONF} SELECT attribute_id, plus, minus, score FROM conf")
+@query(f"""WITH {_CONF} SELECT field_id, round(plus, 6) AS plus, round(minus, 6) AS minus, score, round(s1 * 0.25, 6) AS authority, round(s4 * 0.1, 6) AS coverage, round(0.0 - m2 * 0.03, 6) AS conflict, 'Confidence ' || CAST(CAST(floor(score * 100 + 0.5) AS BIGINT) AS VARCHAR) || '%: ' || concat_ws('; ',
+        CASE WHEN s1 >= 0.9 THEN 'High source authority (manufacturer document)' WHEN s1 >= 0.7 THEN 'Moderate source authority' ELSE 'Low source authority' END, CASE WHEN s2 >= 0.8 THEN 'directly supported by evidence' WHEN s2 >= 0.3 THEN 'partially supported' ELSE 'no direct evidence' END,
+        CASE WHEN m2 > 0 THEN format('conflict penalty applied ({{:.1f}})', m2) END, CASE WHEN m1 > 0.2 THEN 'inference penalty applied' END) || '.' AS explanation FROM conf""")
 def agg10_field_confidence(v):
-    """Ten signals of a field and of its product's evidence: what speaks for it, against it, and the score."""
-    return P.field_confidence(v.attributes_v, v.evidence_v, _REQUIRED).select("attribute_id", "plus", "minus", "score")
+    """Ten signals of a field, of its own evidence and of its product's coverage: what speaks for it, against it, the score, three of the ten parts and the sentence."""
+    parts = {"authority": "source_authority", "coverage": "evidence_coverage", "conflict": "conflict_penalty"}
+    return confidence(v).select("field_id", "plus", "minus", "score", *[F.col("breakdown")[n].alias(c) for c, n in parts.items()], "explanation")
 
 
 @query(f"WITH {_CONF} SELECT product_id, round(avg(score), 8) AS score FROM conf GROUP BY 1")
 def agg11_product_confidence(v):
-    return P.field_confidence(v.attributes_v, v.evidence_v, _REQUIRED).groupBy("product_id").agg(F.round(F.avg("score"), 8).alias("score"))
+    return confidence(v).groupBy("product_id").agg(F.round(F.avg("score"), 8).alias("score"))
 
 
-@query("WITH p AS (SELECT product_id, least(count(*) / 10.0, 1.0) AS coverage, avg(score) AS quality, avg(CASE WHEN evidence_class = 'VERIFIED' THEN 1.0 ELSE 0.0 END) AS agreement FROM evidence_v GROUP BY 1) SELECT product_id, round((coverage + quality + agreement) / 3, 2) AS composite FROM p")
+@query(f"""WITH {_FIELDS}, {_SUPPORT}, h AS (SELECT DISTINCT field_id, true AS held FROM support), a AS (SELECT product_id, count(*) AS n, count(held) AS held, count(*) FILTER (WHERE status = 'CONFLICTING') AS conflicts FROM fields f LEFT JOIN h ON f.field_id = h.field_id GROUP BY 1),
+    b AS (SELECT DISTINCT product_id, true AS bad FROM issues_v WHERE severity = 'CRITICAL'),
+    c AS (SELECT p.product_id, CASE WHEN {_clean('brand')} IS NOT NULL AND sku IS NOT NULL THEN 95.0 ELSE 70.0 END::DOUBLE AS source_quality, coalesce(held * 100.0 / n, 50.0)::DOUBLE AS cov, greatest(100.0 - coalesce(conflicts, 0) * 20.0, 30.0)::DOUBLE AS agreement, CASE WHEN bad THEN 60.0 ELSE 98.0 END::DOUBLE AS validation
+        FROM products_v p LEFT JOIN a ON p.product_id = a.product_id LEFT JOIN b ON p.product_id = b.product_id)
+    SELECT product_id, source_quality, round(cov, 2) AS evidence_coverage, agreement, validation, round(round(source_quality * 0.25 + cov * 0.25 + agreement * 0.25 + validation * 0.25, 6), 2) AS overall FROM c""")
 def agg12_composite(v):
-    p = v.evidence_v.groupBy("product_id").agg(F.least(F.count(F.lit(1)) / 10.0, F.lit(1.0)).alias("c"), F.avg("score").alias("q"), F.avg(F.when(F.col("evidence_class") == "VERIFIED", 1.0).otherwise(0.0)).alias("a"))
-    return p.select("product_id", F.round((F.col("c") + F.col("q") + F.col("a")) / 3, 2).alias("composite"))
+    """A product's confidence in four parts: its identity, the support of its fields, their agreement, and validation."""
+    f = fields(v)
+    return P.composite_confidence(v.products_v.select("product_id", X.clean(F.col("brand")).alias("brand"), "sku"), f, P.value_support(f, v.evidence_v), v.issues_v)
 
 
 _CONFIDENCE = "1 - (end_s - start_s) / 1000"
@@ -451,12 +480,15 @@ def agg13_media_confidence(v):
     return m.select("media_id", F.round(top / under, 2).alias("score"), F.round("coverage", 2).alias("coverage"))
 
 
-@query("SELECT product_id, 0 AS place, concat_ws(' ', brand, name) AS target FROM products_v WHERE missing_fields > 0 UNION ALL SELECT product_id, k, concat_ws(' ', brand, name, 'field ' || CAST(k AS VARCHAR)) FROM products_v, LATERAL (SELECT unnest(range(1, missing_fields + 1)) AS k) WHERE missing_fields > 0", place="INTEGER")
+@query(f"""WITH {_REQUIRED}, {_COVERAGE}, {_DECIDED}, n AS (SELECT p.product_id, {_clean('brand')} AS brand, sku, decision FROM products_v p JOIN decided d ON p.product_id = d.product_id WHERE decision <> 'SUFFICIENT'),
+    m AS (SELECT product_id, array_to_string(list(attribute ORDER BY attribute)[1:5], ',') AS missing FROM coverage WHERE NOT covered GROUP BY 1)
+    SELECT n.product_id, 0 AS place, trim(coalesce(brand, '') || ' ' || sku || ' technical specifications datasheet') AS query, coalesce(missing, '') AS targets, 'HIGH' AS priority FROM n LEFT JOIN m ON n.product_id = m.product_id WHERE decision = 'RESEARCH_REQUIRED'
+    UNION ALL SELECT n.product_id, row_number() OVER (PARTITION BY n.product_id ORDER BY attribute), trim(coalesce(brand, '') || ' ' || sku || ' ' || attribute), attribute, CASE WHEN covered THEN 'MEDIUM' ELSE 'HIGH' END FROM n JOIN coverage c ON n.product_id = c.product_id""", place="INTEGER")
 def agg14_research_plan(v):
-    need = v.products_v.filter("missing_fields > 0")
-    general = need.select("product_id", F.lit(0).alias("place"), F.concat_ws(" ", "brand", "name").alias("target"))
-    each = need.select("product_id", "brand", "name", F.explode(F.sequence(F.lit(1), F.col("missing_fields"))).alias("place"))
-    return general.unionByName(each.select("product_id", "place", F.concat_ws(" ", "brand", "name", F.concat(F.lit("field "), F.col("place").cast("string"))).alias("target")))
+    """What to look for, for products whose evidence isn't sufficient: a general query where research is required, and one a required attribute."""
+    coverage = materialise(P.requirement_coverage(required(v), v.evidence_v), "coverage")
+    named = v.products_v.select("product_id", X.clean(F.col("brand")).alias("brand"), X.clean(F.col("brand")).alias("manufacturer"), "sku")
+    return P.research_plan(named, decisions(v, coverage), coverage)
 
 
 _COVER = """t AS (SELECT p_brand AS industry, count(DISTINCT p_type) AS categories, coalesce(string_agg(DISTINCT CASE WHEN p_size % 4 = 0 THEN 'size of ' || p_type END, ',' ORDER BY CASE WHEN p_size % 4 = 0 THEN 'size of ' || p_type END), '') AS gaps FROM part GROUP BY 1),
