@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from ..functions import protected
@@ -129,6 +129,24 @@ def as_chunks(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", "lang", F.split("text", "\n")[0].alias("section"), F.when(F.col("text").contains(" | "), "table").otherwise("text").alias("kind"), (F.floor(F.col("doc_id") / 10) + 1).alias("page"))
 
 
+# Rows of a table that its text shows, and that are kept.
+SHOWN_ROWS, KEPT_ROWS = 19, 49
+
+
+def tables_as_text(rows: DataFrame, headers: list[str]) -> DataFrame:
+    """(name, text, rows) of tables, whose ``rows`` are (name, row: struct of place and cells): headers, how many rows there are, and the first of them; the first KEPT_ROWS rows are kept as well.
+
+    Rows leave their task only if they are among the first of their table there.
+    """
+    counts = rows.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    first = rows.withColumn("_i", F.row_number().over(W.partitionBy("name").orderBy("row.place"))).filter(F.col("_i") <= KEPT_ROWS)
+    kept = first.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("_i", "row.cells"))).alias("rows"))
+    line = lambda r: F.concat(F.lit("Row "), r["_i"].cast("string"), F.lit(": "), F.array_join(r["cells"], ", "), F.lit("\n"))
+    head = F.concat(F.lit("CSV Document "), "name", F.lit(f"\nHeaders: {', '.join(headers)}\nRows: "), F.col("n").cast("string"), F.lit("\n"))
+    both = counts.join(kept.hint("merge"), "name")
+    return both.select("name", F.concat(head, F.array_join(F.transform(F.slice("rows", 1, SHOWN_ROWS), line), "")).alias("text"), F.transform("rows", lambda r: r["cells"]).alias("rows"))
+
+
 SPANS = ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("kinds", ArrayType(StringType()))]))
 
 

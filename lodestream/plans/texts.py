@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Window as W, functions as F
 
 from ..functions import text as X
 from ..functions.protected import MUST_KEEP, PROTECTED, java
-from ..operators import products as P, texts as T
+from ..operators import blocks as B, products as P, texts as T
 from ..operators.compression import OMITTED, collapse_runs, fidelity, filter_lines, head_tail, line_rules
 from ..operators.search import hybrid, search, with_neighbours
 from ..session import scratch_path
@@ -25,6 +26,14 @@ def src08_first_lines(v):
     return T.lines(v.documents).filter("pos <= 19")
 
 
+@query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS i, count(*) OVER (PARTITION BY p_brand) AS n FROM part)
+    SELECT p_brand AS name, 'CSV Document ' || p_brand || chr(10) || 'Headers: key, name, size' || chr(10) || 'Rows: ' || any_value(n) || chr(10) || string_agg('Row ' || i || ': ' || p_partkey || ', ' || p_name || ', ' || p_size || chr(10), '' ORDER BY i) FILTER (WHERE i <= 19) AS text, CAST(count(*) FILTER (WHERE i <= 49) AS INTEGER) AS kept FROM r GROUP BY 1""")
+def src08_csv_text(v):
+    """Tables as text for an index, here one a brand: headers, row count and the first 19 rows; a table keeps 49 rows."""
+    rows = v.part.select(F.col("p_brand").alias("name"), F.struct(F.col("p_partkey").alias("place"), F.array(F.col("p_partkey").cast("string"), "p_name", F.col("p_size").cast("string")).alias("cells")).alias("row"))
+    return T.tables_as_text(rows, ["key", "name", "size"]).select("name", "text", F.size("rows").alias("kept"))
+
+
 @query(f"WITH {_LINES}, m AS (SELECT doc_id, pos, trim(regexp_replace(line, '^\\s*[-*•]+\\s*', '')) AS line FROM lines) SELECT doc_id, pos, trim(regexp_extract(line, '{_PAIR}', 1)) AS key, trim(regexp_replace(regexp_extract(line, '{_PAIR}', 2), '^\\s*[-*•]+\\s*', '')) AS value FROM m WHERE regexp_matches(line, '{_PAIR}')", pos="BIGINT")
 def fun05_key_values(v):
     """``key: value`` and ``key = value`` lines; bullets before the key or the value go."""
@@ -193,26 +202,70 @@ def txt07_filtered_retrieval(v):
     return met.select("query_id", "doc_id", F.coalesce("score", F.lit(0.0)).alias("score"), "supporting", F.col("doc_id").isNull().alias("fallback"))
 
 
-@query("SELECT p_partkey AS id, concat_ws(' | ', 'name: ' || p_name, 'brand: ' || p_brand, 'size: ' || CAST(p_size AS VARCHAR) || ' mm') AS chunk FROM part")
+#: Pages of the documents: the text, and for one in four a second page with a table; pictures and scanned text of some.
+_PAGE_TWO = "'Chapter two' || chr(10) || 'Name | Size (mm) | Power' || chr(10) || 'bolt ' || CAST(doc_id AS STRING) || ' | ' || CAST(doc_id % 50 AS STRING) || ' | 5 kW' || chr(10) || 'nut | | 7 V max' || chr(10) || '  ' || chr(10) || 'alone |' || chr(10) || 'section of notes' || chr(10) || lang"
+_IMAGE = "doc_id, 1 AS page, CASE WHEN doc_id % 10 = 0 THEN 'schematic' ELSE 'photo' END AS classification, CASE WHEN doc_id % 15 > 0 THEN substring(text, 1, 30) END AS caption, 'seen in ' || lang AS summary"
+_SCAN = "doc_id, 1 AS page, substring(text, 1, 50) AS text, '0.9' AS confidence"
+_PAGES = f"pg AS (SELECT doc_id, 1 AS page, text FROM documents UNION ALL SELECT doc_id, 2, {_PAGE_TWO} FROM documents WHERE doc_id % 4 = 0)"
+_OPENS = f"{_KIND} IN ('heading', 'subheading') OR starts_with(lower(line), 'section ') OR starts_with(lower(line), 'chapter ')"
+_SECTIONS = f"""sl AS (SELECT doc_id, page, unnest(x) AS line, generate_subscripts(x, 1) AS pos FROM (SELECT doc_id, page, list_filter(list_transform(string_split(text, chr(10)), lambda y: trim(y)), lambda y: y <> '') AS x FROM pg)),
+    sp AS (SELECT *, sum(CASE WHEN pos > 1 AND ({_OPENS}) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page ORDER BY pos ROWS UNBOUNDED PRECEDING) AS place FROM sl),
+    sections AS (SELECT doc_id, page, CAST(place AS INTEGER) AS place, CASE WHEN place = 0 THEN 'Page ' || page ELSE min_by(line, pos) END AS section, string_agg(line, chr(10) ORDER BY pos) AS text FROM sp GROUP BY doc_id, page, place)"""
+_TAIL = "CASE WHEN length(regexp_extract(r[i], '[0-9]+\\s*([a-zA-Z°℃℉/%]+(?:\\s*[a-zA-Z]+)?)$', 1)) BETWEEN 1 AND 10 THEN trim(regexp_extract(r[i], '[0-9]+\\s*([a-zA-Z°℃℉/%]+(?:\\s*[a-zA-Z]+)?)$', 1)) END"
+_TABLES = f"""tm AS (SELECT doc_id, page, list_filter(list_transform(list_filter(string_split(text, chr(10)), lambda x: contains(x, '|')), lambda x: list_filter(list_transform(string_split(x, '|'), lambda c: trim(c)), lambda c: c <> '')), lambda r: len(r) >= 2) AS m FROM pg),
+    tu AS (SELECT doc_id, page, 'Table (Page ' || page || ')' AS title, m[1] AS cols, m[2:] AS rws FROM tm WHERE len(m) >= 2),
+    tables AS (SELECT *, list_transform(range(1, len(cols) + 1), lambda i: coalesce(nullif(trim(regexp_extract(cols[i], '[\\(\\[\\{{]([^\\)\\]\\}}]+)[\\)\\]\\}}]', 1)), ''), list_filter(list_transform(rws, lambda r: {_TAIL}), lambda u: u IS NOT NULL)[1])) AS units FROM tu),
+    tc AS (SELECT doc_id, page, 0 AS place, 'TABLE: ' || title || chr(10) || 'Page: ' || page || chr(10) || chr(10) || '| ' || array_to_string(cols, ' | ') || ' |' || chr(10) || '| ' || array_to_string(list_transform(cols, lambda c: '---'), ' | ') || ' |' || chr(10)
+            || array_to_string(list_transform(rws, lambda r: '| ' || array_to_string(list_transform(range(1, len(cols) + 1), lambda i: coalesce(r[i], '')), ' | ') || ' |'), chr(10)) || chr(10) AS text FROM tables
+        UNION ALL SELECT doc_id, page, k, 'TABLE: ' || title || ' (Page ' || page || ') | Row ' || k || ': ' || array_to_string(list_transform(range(1, len(cols) + 1), lambda i: cols[i] || coalesce(' (' || units[i] || ')', '') || ': ' || coalesce(rws[k][i], '')), ' | ') FROM tables, LATERAL (SELECT CAST(unnest(range(1, len(rws) + 1)) AS INTEGER) AS k))"""
+
+
+def pages(v):
+    two = F.expr(_PAGE_TWO.replace("chr(10)", "'\\n'"))
+    return v.documents.select("doc_id", F.lit(1).alias("page"), "text").unionByName(v.documents.filter("doc_id % 4 = 0").select("doc_id", F.lit(2).alias("page"), two.alias("text")))
+
+
+def images(v):
+    return v.documents.filter("doc_id % 5 = 0").selectExpr(*_split_columns(_IMAGE))
+
+
+def scans(v):
+    return v.documents.filter("doc_id % 6 = 0").selectExpr(*_split_columns(_SCAN))
+
+
+def _split_columns(text: str) -> list[str]:
+    return re.split(r", (?![^(]*\))", text)
+
+
+@query(f"WITH {_PAGES}, {_TABLES} SELECT doc_id, page, place, text FROM tc")
 def txt08_table_chunks(v):
-    return v.part.select(F.col("p_partkey").alias("id"), F.concat_ws(" | ", F.concat(F.lit("name: "), "p_name"), F.concat(F.lit("brand: "), "p_brand"), F.concat(F.lit("size: "), F.col("p_size").cast("string"), F.lit(" mm"))).alias("chunk"))
+    """Tables of pages, whole and by row, each row with title, columns and units."""
+    return B.table_chunks(B.pipe_tables(pages(v)))
 
 
-@query(f"WITH {_LINES} SELECT doc_id, pos, {_KIND} AS block_type, line AS text FROM lines WHERE trim(line) <> ''", pos="BIGINT")
+@query(f"""WITH {_PAGES}, {_SECTIONS}, {_TABLES}, im AS (SELECT {_IMAGE} FROM documents WHERE doc_id % 5 = 0)
+    SELECT doc_id, page, place, section, 'text' AS kind, 'text_extractor' AS source, text FROM sections
+    UNION ALL SELECT doc_id, page, place, 'Page ' || page, 'table', CASE WHEN place = 0 THEN 'table_extractor' ELSE 'table_extractor_row' END, text FROM tc
+    UNION ALL SELECT doc_id, page, 0, 'Page ' || page, CASE WHEN classification = 'schematic' THEN 'diagram' ELSE 'image' END, 'image_extractor', trim('IMAGE [' || upper(classification) || '] (Page ' || page || '): ' || coalesce(caption, '') || '. Visual Summary: ' || summary) FROM im
+    UNION ALL SELECT doc_id, page, 0, 'Page ' || page || ' (Scanned)', 'ocr', 'ocr_engine', text FROM (SELECT {_SCAN} FROM documents WHERE doc_id % 6 = 0)""")
 def txt09_block_chunks(v):
-    return T.lines(v.documents).filter("trim(line) <> ''").select("doc_id", "pos", T.line_kind(F.col("line")).alias("block_type"), F.col("line").alias("text"))
+    """Chunks of all that pages hold: blocks of text, tables and rows, pictures, scanned text."""
+    return B.chunks_of_pages(pages(v), images(v), scans(v))
 
 
-@query(f"WITH {_LINES}, k AS (SELECT doc_id, pos, line, sum(CASE WHEN {_KIND} IN ('heading', 'subheading') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS island FROM lines) SELECT doc_id, island AS section, count(*) AS n_lines, sum(length(line)) AS chars FROM k GROUP BY 1, 2", section="BIGINT", chars="BIGINT")
+@query(f"WITH {_PAGES}, {_SECTIONS} SELECT doc_id, page, place, section, sha256(text) AS said, len(string_split(text, chr(10))) AS n_lines FROM sections", n_lines="INTEGER")
 def txt10_sections(v):
-    flagged = T.islands(T.lines(v.documents), ["doc_id"], ["pos"], T.line_kind(F.col("line")).isin("heading", "subheading"))
-    return flagged.groupBy("doc_id", F.col("island").alias("section")).agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.char_length("line")).alias("chars"))
+    """Blocks of a page, each from a heading to the next."""
+    return B.sections(pages(v)).select("doc_id", "page", "place", "section", F.sha2("text", 256).alias("said"), F.size(F.split("text", "\n")).alias("n_lines"))
 
 
-@query(f"WITH {_LINES} SELECT doc_id, pos, len(string_split(line, ' | ')) AS cells, trim(string_split(line, ' | ')[1]) AS first_cell FROM lines WHERE contains(line, ' | ')", pos="BIGINT", cells="BIGINT")
+@query(f"""WITH {_PAGES}, {_TABLES} SELECT doc_id, page, CAST(k AS INTEGER) AS row, array_to_string(list_transform(range(1, len(cols) + 1), lambda i: cols[i] || '=' || coalesce(rws[k][i], '')), ';') AS cells, array_to_string(list_transform(units, lambda u: coalesce(u, '-')), ';') AS units
+    FROM tables, LATERAL (SELECT unnest(range(1, len(rws) + 1)) AS k)""")
 def txt11_pipe_rows(v):
-    cells = F.split("line", r" \| ")
-    return T.lines(v.documents).filter(F.col("line").contains(" | ")).select("doc_id", "pos", F.size(cells).cast("long").alias("cells"), F.trim(F.get(cells, 0)).alias("first_cell"))
+    """Rows of tables in pages, cells by the keys of the header, and the units of the columns."""
+    rows = B.pipe_tables(pages(v)).select("doc_id", "page", "columns", "units", F.posexplode("rows").alias("k", "r"))
+    cells = F.array_join(F.transform("columns", lambda c, i: F.concat(c, F.lit("="), F.coalesce(F.get("r", i), F.lit("")))), ";")
+    return rows.select("doc_id", "page", (F.col("k") + 1).alias("row"), cells.alias("cells"), F.array_join(F.transform("units", lambda u: F.coalesce(u, F.lit("-"))), ";").alias("units"))
 
 
 @query(f"""WITH {_LINES} SELECT doc_id, pos, 'text' AS kind, trim(regexp_extract(line, '{_PAIR}', 1)) AS key, trim(regexp_extract(line, '{_PAIR}', 2)) AS value, 1.0 AS confidence FROM lines WHERE regexp_matches(line, '{_PAIR}')
@@ -252,10 +305,15 @@ def txt14_media_evidence(v):
     return out
 
 
-@query(f"WITH {_LINES} SELECT doc_id, sha256(string_agg(CAST(pos AS VARCHAR) || ' ' || {_KIND} || ' ' || line, chr(10) ORDER BY pos)) AS said FROM lines GROUP BY 1")
+@query(f"""WITH {_PAGES}, {_SECTIONS}, {_TABLES}, ln AS (SELECT doc_id, page, 0 AS kind, 0 AS place, '--- PAGE ' || page || ' ---' || chr(10) AS line FROM pg UNION ALL SELECT doc_id, page, 1, place, '[PARAGRAPH] (Section: ' || section || '):' || chr(10) || text || chr(10) FROM sections
+        UNION ALL SELECT doc_id, page, 2, place, text FROM tc WHERE place = 0 UNION ALL SELECT doc_id, page, 3, 0, 'FIGURE [' || upper(classification) || ']: ' || coalesce(caption, '') || chr(10) || 'VISUAL SUMMARY: ' || summary || chr(10) FROM (SELECT {_IMAGE} FROM documents WHERE doc_id % 5 = 0)
+        UNION ALL SELECT doc_id, page, 4, 0, '[SCANNED OCR (Confidence: ' || confidence || ')]: ' || text || chr(10) FROM (SELECT {_SCAN} FROM documents WHERE doc_id % 6 = 0)),
+    b AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY page, kind, place) AS body FROM ln GROUP BY 1)
+    SELECT d.doc_id, sha256('DOCUMENT: ' || source || chr(10) || 'DOCUMENT ID: ' || d.doc_id || chr(10) || 'CLASSIFICATION: ' || lang || chr(10) || repeat('=', 60) || chr(10) || chr(10) || body || chr(10) || repeat('=', 60) || chr(10) || 'END OF EVIDENCE DOCUMENT') AS said FROM documents d JOIN b ON d.doc_id = b.doc_id""")
 def txt15_assembled_text(v):
-    rows = T.lines(v.documents).select("doc_id", F.struct("pos", F.concat_ws(" ", F.col("pos").cast("string"), T.line_kind(F.col("line")), "line").alias("l")).alias("x"))
-    return rows.groupBy("doc_id").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["l"]), "\n"), 256).alias("said"))
+    """A document as one text: a head, its pages with blocks, tables, pictures and scanned text in order, an end; as a digest."""
+    named = v.documents.select("doc_id", F.col("source").alias("name"), F.col("lang").alias("classification"))
+    return B.assembled(named, pages(v), images(v), scans(v)).select("doc_id", F.sha2("text", 256).alias("said"))
 
 
 @query("""WITH i AS (SELECT DISTINCT product_id AS image_id, value AS label, regexp_matches(value, '[0-9]') AS spec FROM attributes_v WHERE value IS NOT NULL), s AS (SELECT product_id AS image_id, round(avg(page / 10.0) FILTER (WHERE value IS NOT NULL), 6) AS sure FROM attributes_v GROUP BY 1),
