@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import text as X
+from ..session import materialise
 
 # Keywords of attribute types, in order of precedence.
 ATTRIBUTE_TYPES = (
@@ -223,22 +224,38 @@ def first_ids(rows: DataFrame, key: str, ident: str, k: int) -> DataFrame:
     return rows.withColumn("_rn", rank).filter(F.col("_rn") <= k).groupBy(key).agg(F.sort_array(F.collect_list(ident)).alias("ids"))
 
 
-def validation_issues(products: DataFrame) -> DataFrame:
-    """(product_id, rule, severity): every rule that a product breaks.
+#: Named checks of a product, with the severity of a failure.
+CHECKS = {"missing_name": "CRITICAL", "missing_brand": "HIGH", "missing_category": "HIGH", "duplicate_sku": "CRITICAL", "conflicts": "HIGH"}
+
+
+def validation_checks(products: DataFrame) -> DataFrame:
+    """(product_id, rule, severity, passed): every check of every product.
 
     A product's own columns are judged in one pass; a repeated sku is found by counts per (tenant, sku), not by a self join.
     """
     counts = products.groupBy("tenant_id", "sku").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
     marked = products.join(counts.hint("merge"), ["tenant_id", "sku"], "left")
-    rules = {
-        ("missing_name", "CRITICAL"): X.clean(F.col("name")).isNull(),
-        ("missing_brand", "HIGH"): X.clean(F.col("brand")).isNull(),
-        ("missing_category", "HIGH"): F.col("category").isNull(),
-        ("duplicate_sku", "CRITICAL"): F.col("copies").isNotNull(),
-        ("conflicts", "HIGH"): F.col("conflict_fields") > 0,
-    }
-    broken = F.array_compact(F.array(*[F.when(test, F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"))) for (rule, severity), test in rules.items()]))
-    return marked.select("product_id", F.inline(broken))
+    broken = {
+        "missing_name": X.clean(F.col("name")).isNull(), "missing_brand": X.clean(F.col("brand")).isNull(), "missing_category": F.col("category").isNull(),
+        "duplicate_sku": F.col("copies").isNotNull(), "conflicts": F.coalesce("conflict_fields", F.lit(0)) > 0,
+    }
+    return marked.select("product_id", F.inline(F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), (~broken[rule]).alias("passed")) for rule, severity in CHECKS.items()])))
+
+
+def validation_issues(products: DataFrame) -> DataFrame:
+    """(product_id, rule, severity): every check that a product fails."""
+    return validation_checks(products).filter("NOT passed").drop("passed")
+
+
+def validation_report(products: DataFrame) -> DataFrame:
+    """(product_id, passes, total_checks, passed_checks, failed_checks, warning_checks, errors, warnings): a failed check of severity HIGH is a warning; a product passes without other failures."""
+    bad, warn = ~F.col("passed"), F.col("severity") == "HIGH"
+    listed = lambda test: F.array_join(F.array_sort(F.collect_list(F.when(test, F.col("rule")))), "; ")  # noqa: E731  of one product's checks
+    n = F.count_if
+    return validation_checks(products).groupBy("product_id").agg(
+        (n(bad & ~warn) == 0).alias("passes"), F.count(F.lit(1)).alias("total_checks"), n(F.col("passed")).alias("passed_checks"), n(bad & ~warn).alias("failed_checks"), n(bad & warn).alias("warning_checks"),
+        listed(bad & ~warn).alias("errors"), listed(bad & warn).alias("warnings"),
+    )
 
 
 def validation_run(products: DataFrame) -> DataFrame:
@@ -255,16 +272,52 @@ def idempotent_replace(current: DataFrame, incoming: DataFrame, keys: list[str])
     return current.join(incoming.select(*keys).distinct().hint("merge"), keys, "left_anti").unionByName(incoming)
 
 
-def snapshot_merge(current: DataFrame, upstream: DataFrame, key: str, columns: list[str], custom: Column) -> DataFrame:
-    """Next snapshot of a catalog: upstream rows win, rows absent upstream go unless ``custom``; state tells what happened."""
+def snapshot_merge(current: DataFrame, upstream: DataFrame, key: str, columns: list[str], custom: Column, tombstones: DataFrame | None = None) -> DataFrame:
+    """Next snapshot of a catalog: upstream rows win, rows absent upstream go unless ``custom``; state tells what happened. Keys of ``tombstones``, which users deleted, don't come back
+    from upstream, and a row that one of them still has goes (state buried)."""
     left = current.select(key, F.struct(*columns).alias("old"), custom.alias("custom"))
     right = upstream.select(key, F.struct(*columns).alias("new"))
+    if tombstones is not None:
+        dead = tombstones.select(key).distinct()
+        right = right.join(dead.hint("merge"), key, "left_anti")
+        left = left.join(dead.withColumn("dead", F.lit(True)).hint("merge"), key, "left")
+    else:
+        left = left.withColumn("dead", F.lit(None).cast("boolean"))
     both = left.join(right.hint("merge"), key, "full")
-    state = F.when(F.col("old").isNull(), "inserted").when(F.col("new").isNull() & F.coalesce("custom", F.lit(False)), "kept").when(F.col("new").isNull(), "deleted").when(F.col("old").eqNullSafe(F.col("new")), "same").otherwise("updated")
+    state = F.when(F.col("dead"), "buried").when(F.col("old").isNull(), "inserted").when(F.col("new").isNull() & F.coalesce("custom", F.lit(False)), "kept").when(F.col("new").isNull(), "deleted").when(F.col("old").eqNullSafe(F.col("new")), "same").otherwise("updated")
     row = F.coalesce("new", "old")
     return both.select(key, *[row[c].alias(c) for c in columns], state.alias("state"))
 
 
+def registered(registry: DataFrame, incoming: DataFrame) -> DataFrame:
+    """The dataset registry (dataset_id, permanent, storage_class and more) after ``incoming`` datasets: those with an id that it has are left out, others are appended with the
+    storage class that permanent asks for. An id that comes several times is taken once, its smallest row."""
+    others = [c for c in registry.columns if c not in ("dataset_id", "storage_class")]
+    fresh = incoming.join(registry.select("dataset_id").hint("merge"), "dataset_id", "left_anti")
+    fresh = fresh.groupBy("dataset_id").agg(F.min(F.struct(*others)).alias("x")).select("dataset_id", "x.*")
+    fresh = fresh.withColumn("storage_class", F.when(F.col("permanent"), "PERMANENT_BASELINE").otherwise("TEMPORARY_ACQUISITION"))
+    return registry.unionByName(fresh.select(*registry.columns))
+
+
+def in_order(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
+    """(key, n, ordered): whether ``value`` never falls along ``order`` among a key's rows, nulls left out, and how many there are.
+
+    Rows are dealt into ranges of (key, order); a range tells its first and last value and whether it falls inside, and only those rows meet.
+    """
+    ranged = materialise(rows.filter(F.col(value).isNotNull()).select(key, order, value).repartitionByRange(key, order).withColumn("_range", F.spark_partition_id()), "order-ranges")
+    w = W.partitionBy(key, "_range").orderBy(order)
+    parts = ranged.withColumn("_back", F.lag(value).over(w) > F.col(value)).groupBy(key, "_range").agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.coalesce("_back", F.lit(False))).alias("_back"), F.min_by(value, order).alias("_first"), F.max_by(value, order).alias("_last"))
+    over = parts.withColumn("_fell", F.lag("_last").over(W.partitionBy(key).orderBy("_range")) > F.col("_first"))
+    return over.groupBy(key).agg(F.sum("n").alias("n"), (~F.bool_or(F.col("_back") | F.coalesce("_fell", F.lit(False)))).alias("ordered"))
+
+
+def positional(rows: DataFrame, key: str, limits: dict[str, int]) -> DataFrame:
+    """(key, a column a kind and place): the first ``limits`` rows of each kind (key, kind, place, value), spread to columns kind_1 and so on, empty texts where there are fewer. Rows beyond don't leave their task."""
+    cut = rows.withColumn("_i", F.row_number().over(W.partitionBy(key, "kind").orderBy("place", "value"))).filter(F.col("_i") <= max(limits.values()))
+    listed = cut.groupBy(key).agg(*[F.array_sort(F.collect_list(F.when((F.col("kind") == k) & (F.col("_i") <= n), F.struct("_i", "value"))))["value"].alias(k) for k, n in limits.items()])
+    return listed.select(key, *[F.coalesce(F.get(k, i), F.lit("")).alias(f"{k}_{i + 1}") for k, n in limits.items() for i in range(n)])
+
+
 def eviction(items: DataFrame, *, order: str, size: str, need: float, parts: int = 64) -> DataFrame:
     """Items in ascending ``order`` until their sizes reach ``need``. The running sum goes over range buckets, then inside one."""
     low, high = items.agg(F.min(order), F.max(order)).first()

@@ -61,12 +61,26 @@ def error_category(error: Column) -> Column:
     return out.otherwise("Other")
 
 
-def client_agent(user_agent: Column) -> Column:
-    """Label of a client; ``unknown`` where nothing matches."""
-    low, out = F.lower(F.coalesce(user_agent, F.lit(""))), None
+# What a client sends tells it where the user agent doesn't: a header of its own, which counts before all, and the paths of its surface (some without a tenant's prefix).
+OWN_HEADER, OWN_CLIENT = "x-claude-code-session-id", "claude-code"
+TENANT_PATH = r"^/v1/t/[^/]+"
+PATH_AGENTS = (("codex", "^/v1/responses", False), ("codex", "^/responses", True), ("gemini-cli", "^/v1beta/", False), ("anthropic-sdk", "^/v1/messages", False), ("ollama-client", "^/api/(chat|generate|tags)", True))
+
+
+def client_agent(user_agent: Column, path: Column | None = None, own_header: Column | None = None, session: Column | None = None) -> Column:
+    """Label of a client: by OWN_HEADER if it is there, else by the user agent, else by the path (its query and a tenant's prefix left out; on the messages surface a session id
+    tells OWN_CLIENT); ``unknown`` where nothing matches."""
+    none = F.lit(None).cast("string")
+    low = F.lower(F.coalesce(user_agent, F.lit("")))
+    there = lambda c: F.coalesce(none if c is None else c, F.lit("")) != ""
+    out = F.when(there(own_header), OWN_CLIENT)
     for label, pattern in CLIENT_AGENTS:
-        test = low.rlike(pattern)
-        out = F.when(test, label) if out is None else out.when(test, label)
+        out = out.when(low.rlike(pattern), label)
+    plain = F.lower(F.regexp_extract(F.coalesce(none if path is None else path, F.lit("")), r"^[^?]*", 0))
+    bare = F.regexp_replace(plain, TENANT_PATH, "")
+    for label, pattern, tenant in PATH_AGENTS:
+        test = (bare if tenant else plain).rlike(pattern)
+        out = out.when(test, F.when(there(session), OWN_CLIENT).otherwise(label) if label == "anthropic-sdk" else F.lit(label))
     return out.otherwise("unknown")
 
 

@@ -56,21 +56,23 @@ def src12_idempotent_replace(v):
     return current.join(gone.hint("merge"), "product_id", "left_anti").select("issue_id", "product_id", "severity").unionByName(incoming)
 
 
-@query("SELECT source AS dataset_id, count(*) AS rows_now, CASE WHEN bool_or(lang = 'en') THEN 'updated' ELSE 'inserted' END AS action FROM documents GROUP BY 1")
+@query("""WITH r AS (SELECT source AS dataset_id, true AS permanent, 'PERMANENT_BASELINE' AS storage_class, sum(n_chars) AS size FROM documents WHERE lang = 'en' AND doc_id % 3 = 0 GROUP BY 1), i AS (SELECT source AS dataset_id, bool_or(lang = 'de') AS permanent, sum(n_chars) AS size FROM documents GROUP BY 1)
+    SELECT * FROM r UNION ALL SELECT dataset_id, permanent, CASE WHEN permanent THEN 'PERMANENT_BASELINE' ELSE 'TEMPORARY_ACQUISITION' END, size FROM i WHERE dataset_id NOT IN (SELECT dataset_id FROM r)""", size="BIGINT")
 def src14_registry_upsert(v):
-    """Datasets met before (those with English rows are in the registry) keep their entry, new ones get one."""
-    known = v.documents.filter("lang = 'en'").select("source").distinct().withColumn("known", F.lit(True))
-    seen = v.documents.groupBy("source").agg(F.count(F.lit(1)).alias("rows_now"))
-    return seen.join(known.hint("merge"), "source", "left").select(F.col("source").alias("dataset_id"), "rows_now", F.when(F.col("known"), "updated").otherwise("inserted").alias("action"))
+    """The registry of datasets after an acquisition: those that it has keep their entry, others are appended with their storage class."""
+    has = v.documents.filter("lang = 'en' AND doc_id % 3 = 0").groupBy(F.col("source").alias("dataset_id")).agg(F.lit(True).alias("permanent"), F.lit("PERMANENT_BASELINE").alias("storage_class"), F.sum("n_chars").alias("size"))
+    new = v.documents.groupBy(F.col("source").alias("dataset_id")).agg(F.bool_or(F.col("lang") == "de").alias("permanent"), F.sum("n_chars").alias("size"))
+    return P.registered(has, new)
 
 
-@query("SELECT coalesce(c.id, u.id) AS id, coalesce(u.price, c.price) AS price, coalesce(u.size, c.size) AS size, CASE WHEN c.id IS NULL THEN 'inserted' WHEN u.id IS NULL AND c.custom THEN 'kept' WHEN u.id IS NULL THEN 'deleted' WHEN c.price = u.price AND c.size = u.size THEN 'same' ELSE 'updated' END AS state FROM (SELECT p_partkey AS id, p_retailprice AS price, p_size AS size, p_brand = 'Brand#1' AS custom FROM part) c FULL JOIN (SELECT l_partkey AS id, CASE WHEN max(l_discount) > 0.08 THEN max(l_extendedprice) ELSE max(p_retailprice) END AS price, max(p_size) AS size FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linestatus = 'F' GROUP BY 1) u ON c.id = u.id")
+@query("SELECT coalesce(c.id, u.id) AS id, coalesce(u.price, c.price) AS price, coalesce(u.size, c.size) AS size, CASE WHEN c.id % 17 = 0 THEN 'buried' WHEN c.id IS NULL THEN 'inserted' WHEN u.id IS NULL AND c.custom THEN 'kept' WHEN u.id IS NULL THEN 'deleted' WHEN c.price = u.price AND c.size = u.size THEN 'same' ELSE 'updated' END AS state FROM (SELECT p_partkey AS id, p_retailprice AS price, p_size AS size, p_brand = 'Brand#1' AS custom FROM part) c FULL JOIN (SELECT l_partkey AS id, CASE WHEN max(l_discount) > 0.08 THEN max(l_extendedprice) ELSE max(p_retailprice) END AS price, max(p_size) AS size FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linestatus = 'F' AND l_partkey % 17 <> 0 GROUP BY 1) u ON c.id = u.id")
 def src15_catalog_sync(v):
-    """The catalog against what suppliers list now: parts of closed orders, at the order's price where it was discounted."""
+    """The catalog against what suppliers list now: parts of closed orders, at the order's price where it was discounted; what users deleted stays away."""
     listed = v.lineitem.filter("l_linestatus = 'F'").groupBy("l_partkey").agg(F.max("l_discount").alias("d"), F.max("l_extendedprice").alias("p"))
     upstream = listed.join(v.part.hint("merge"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_partkey").alias("id"), F.when(F.col("d") > 0.08, F.col("p")).otherwise(F.col("p_retailprice")).alias("price"), F.col("p_size").alias("size"))
     current = v.part.select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("price"), F.col("p_size").alias("size"), "p_brand")
-    return P.snapshot_merge(current, upstream, "id", ["price", "size"], F.col("p_brand") == "Brand#1")
+    gone = v.part.filter("p_partkey % 17 = 0").select(F.col("p_partkey").alias("id"))
+    return P.snapshot_merge(current, upstream, "id", ["price", "size"], F.col("p_brand") == "Brand#1", gone)
 
 
 @query("SELECT m.id, coalesce(CASE WHEN m.id % 4 = 0 THEN 'patched ' || CAST(m.id AS VARCHAR) END, m.display_name) AS display_name FROM models_v m")
@@ -289,6 +291,17 @@ def jon15_same_content(v):
     return counts.join(P.first_ids(rows, "content_hash", "evidence_id", 3).hint("merge"), "content_hash").select("content_hash", "n", F.array_join("ids", ",").alias("first_ids"))
 
 
+@query("""WITH f AS (SELECT product_id * 10 + k AS frame_id, product_id, k FROM products_v, (SELECT unnest(range(2)) AS k)), e AS (SELECT evidence_id, product_id * 10 + evidence_id % 2 AS frame_id FROM evidence_v)
+    SELECT f.frame_id, count(evidence_id) AS n, array_to_string(list_sort(list(evidence_id) FILTER (WHERE evidence_id IS NOT NULL))[1:3], ',') AS first_ids FROM f LEFT JOIN e ON f.frame_id = e.frame_id GROUP BY 1""")
+def jon15_frame_evidence(v):
+    """The evidence of each frame of a product's media, by frame id, frames without any included; only the first three ids leave their task."""
+    frames = v.products_v.select("product_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("k")).select((F.col("product_id") * 10 + F.col("k")).alias("frame_id"))
+    e = v.evidence_v.select("evidence_id", (F.col("product_id") * 10 + F.col("evidence_id") % 2).alias("frame_id"))
+    counts = e.groupBy("frame_id").agg(F.count(F.lit(1)).alias("n"))
+    both = frames.join(counts.hint("merge"), "frame_id", "left").join(P.first_ids(e, "frame_id", "evidence_id", 3).hint("merge"), "frame_id", "left")
+    return both.select("frame_id", F.coalesce("n", F.lit(0)).alias("n"), F.array_join("ids", ",").alias("first_ids"))
+
+
 #: Fields of products: attributes, and the names under negative ids; and what each product must tell: something about each word of its name, and two measures.
 _FIELDS = f"fields AS (SELECT attribute_id AS field_id, product_id, key, value, status FROM attributes_v UNION ALL SELECT -product_id, product_id, 'Product Name', {_clean('name')}, 'INFERRED' FROM products_v)"
 _REQUIRED = f"required AS (SELECT DISTINCT product_id, unnest(list_concat(list_transform(string_split({_clean('name')}, ' '), lambda w: w || '_type'), ['Length', 'Voltage'])) AS attribute FROM products_v)"
@@ -468,16 +481,20 @@ def agg12_composite(v):
 _CONFIDENCE = "1 - (end_s - start_s) / 1000"
 
 
-@query(f"WITH m AS (SELECT media_id, avg({_CONFIDENCE}) FILTER (WHERE content = 'view') AS vision, avg({_CONFIDENCE}) FILTER (WHERE content = 'click') AS speech, avg({_CONFIDENCE}) FILTER (WHERE content = 'error') AS ocr, least(1.0, count(DISTINCT round(start_s, 1)) / greatest(1.0, (max(end_s) - min(start_s)) / 2)) AS coverage FROM timeline_v GROUP BY 1) SELECT media_id, round((0.35 * coalesce(vision, 0) + 0.35 * coalesce(speech, 0) + 0.2 * coalesce(ocr, 0) + 0.1 * coverage) / (0.35 * CAST(vision IS NOT NULL AS INT) + 0.35 * CAST(speech IS NOT NULL AS INT) + 0.2 * CAST(ocr IS NOT NULL AS INT) + 0.1), 2) AS score, round(coverage, 2) AS coverage FROM m", coverage="DOUBLE")
+@query(f"""WITH o AS (SELECT *, lag(start_s) OVER (PARTITION BY media_id ORDER BY event_id) > start_s AS back FROM timeline_v), m AS (SELECT media_id, avg({_CONFIDENCE}) FILTER (WHERE content = 'view') AS vision, avg({_CONFIDENCE}) FILTER (WHERE content = 'click') AS speech, avg({_CONFIDENCE}) FILTER (WHERE content = 'error') AS ocr,
+        least(1.0, count(DISTINCT round(start_s, 1)) / greatest(1.0, (max(end_s) - min(start_s)) / 2)) AS coverage, CASE WHEN count(start_s) < 2 THEN 0.9 WHEN bool_or(coalesce(back, false)) THEN 0.8 ELSE 0.95 END AS consistency FROM o GROUP BY 1)
+    SELECT media_id, round((0.35 * coalesce(vision, 0) + 0.35 * coalesce(speech, 0) + 0.2 * coalesce(ocr, 0) + 0.1 * coverage) / (0.35 * CAST(vision IS NOT NULL AS INT) + 0.35 * CAST(speech IS NOT NULL AS INT) + 0.2 * CAST(ocr IS NOT NULL AS INT) + 0.1), 2) AS score, round(coverage, 2) AS coverage, consistency FROM m""", coverage="DOUBLE", consistency="DOUBLE")
 def agg13_media_confidence(v):
-    """Means of the kinds of evidence that a medium has and the coverage of its time, with their weights made to add up to 1."""
+    """Means of the kinds of evidence that a medium has and the coverage of its time, with their weights made to add up to 1, and whether its evidence, in the order of its ids, goes forward in time."""
     confidence = F.lit(1) - (F.col("end_s") - F.col("start_s")) / 1000
     kinds = {"vision": ("view", 0.35), "speech": ("click", 0.35), "ocr": ("error", 0.2)}
     coverage = F.least(F.lit(1.0), F.countDistinct(F.round("start_s", 1)) / F.greatest(F.lit(1.0), (F.max("end_s") - F.min("start_s")) / 2))
     m = v.timeline_v.groupBy("media_id").agg(*[F.avg(F.when(F.col("content") == c, confidence)).alias(n) for n, (c, _) in kinds.items()], coverage.alias("coverage"))
+    m = m.join(P.in_order(v.timeline_v, "media_id", "event_id", "start_s").hint("merge"), "media_id")
     top = sum((w * F.coalesce(n, F.lit(0.0)) for n, (_, w) in kinds.items()), F.col("coverage") * 0.1)
     under = sum((w * F.col(n).isNotNull().cast("int") for n, (_, w) in kinds.items()), F.lit(0.1))
-    return m.select("media_id", F.round(top / under, 2).alias("score"), F.round("coverage", 2).alias("coverage"))
+    consistency = F.when(F.col("n") < 2, 0.9).when(F.col("ordered"), 0.95).otherwise(0.8)
+    return m.select("media_id", F.round(top / under, 2).alias("score"), F.round("coverage", 2).alias("coverage"), consistency.alias("consistency"))
 
 
 @query(f"""WITH {_REQUIRED}, {_COVERAGE}, {_DECIDED}, n AS (SELECT p.product_id, {_clean('brand')} AS brand, sku, decision FROM products_v p JOIN decided d ON p.product_id = d.product_id WHERE decision <> 'SUFFICIENT'),
@@ -517,9 +534,16 @@ def agg32_gap_report(v):
     return _coverage(v).filter("level IN ('NONE', 'LOW')").select("industry", "level", F.concat_ws(",", F.when(F.col("categories") == 0, "categories"), F.when(F.col("datasets") == 0, "datasets"), F.nullif("gaps", F.lit(""))).alias("missing"))
 
 
-@query("SELECT count(DISTINCT source) AS datasets, count(DISTINCT lang) AS industries, sum(strlen(text)) AS bytes FROM documents", bytes="BIGINT")
+@query("""WITH d AS (SELECT source, text, unnest(['Brand#' || (doc_id % 7), 'Brand#' || (doc_id % 11)]) AS industry, unnest([lang, lang || '-' || (n_chars % 3)]) AS category FROM documents WHERE source IS NOT NULL)
+    SELECT (SELECT sum(strlen(text)) FROM documents WHERE source IS NOT NULL) > 1048576 AS initialized, (SELECT sum(strlen(text)) FROM documents WHERE source IS NOT NULL) AS actual_bytes, count(DISTINCT source) AS dataset_count, count(DISTINCT industry) AS industry_count, count(DISTINCT category) AS category_count FROM d""", actual_bytes="BIGINT")
 def agg33_baseline_status(v):
-    return v.documents.agg(F.countDistinct("source").alias("datasets"), F.countDistinct("lang").alias("industries"), F.sum(F.octet_length("text")).alias("bytes"))
+    """Datasets, the industries and categories that they list, and their bytes; a baseline of a megabyte or less isn't one."""
+    rows = v.documents.filter("source IS NOT NULL")
+    size = rows.agg(F.sum(F.octet_length("text")).alias("actual_bytes"))
+    brand = lambda n: F.concat(F.lit("Brand#"), (F.col("doc_id") % n).cast("string"))
+    both = rows.select("source", F.inline(F.arrays_zip(F.array(brand(7), brand(11)).alias("industry"), F.array("lang", F.concat("lang", F.lit("-"), (F.col("n_chars") % 3).cast("string"))).alias("category"))))
+    counts = both.agg(F.countDistinct("source").alias("dataset_count"), F.countDistinct("industry").alias("industry_count"), F.countDistinct("category").alias("category_count"))
+    return size.crossJoin(F.broadcast(counts)).select((F.col("actual_bytes") > 1048576).alias("initialized"), "actual_bytes", "dataset_count", "industry_count", "category_count")  # a row each
 
 
 @query("SELECT sum(strlen(content)) AS all_bytes, sum(strlen(content)) FILTER (WHERE source_type = 'baseline') AS permanent_bytes FROM evidence_v", all_bytes="BIGINT", permanent_bytes="BIGINT")
@@ -558,12 +582,11 @@ def agg40_validation_run(v):
     return P.validation_run(v.products_v)
 
 
-@query(f"WITH {_ISSUES} SELECT product_id, count(*) AS issues, count(*) FILTER (WHERE severity = 'CRITICAL') AS critical, string_agg(rule || ' (' || severity || ')', '; ' ORDER BY severity, rule) AS report FROM issues GROUP BY 1")
+@query(f"""WITH {_ISSUES}, s AS (SELECT product_id, count(*) AS bad, count(*) FILTER (WHERE severity <> 'HIGH') AS failed, string_agg(rule, '; ' ORDER BY rule) FILTER (WHERE severity <> 'HIGH') AS errors, string_agg(rule, '; ' ORDER BY rule) FILTER (WHERE severity = 'HIGH') AS warnings FROM issues GROUP BY 1)
+    SELECT p.product_id, coalesce(failed, 0) = 0 AS passes, 5 AS total_checks, 5 - coalesce(bad, 0) AS passed_checks, coalesce(failed, 0) AS failed_checks, coalesce(bad - failed, 0) AS warning_checks, coalesce(errors, '') AS errors, coalesce(warnings, '') AS warnings FROM products_v p LEFT JOIN s ON p.product_id = s.product_id""", total_checks="BIGINT")
 def agg41_validation_report(v):
-    """The report of each product with issues: at most one line a rule."""
-    per = P.validation_issues(v.products_v).groupBy("product_id").agg(F.count(F.lit(1)).alias("issues"), F.count_if(F.col("severity") == "CRITICAL").alias("critical"), F.array_sort(F.collect_list(F.struct("severity", "rule"))).alias("x"))
-    said = F.transform("x", lambda i: F.concat(i["rule"], F.lit(" ("), i["severity"], F.lit(")")))
-    return per.select("product_id", "issues", "critical", F.array_join(said, "; ").alias("report"))
+    """All checks of each product: how many there are, passed, failed and gave a warning, and which."""
+    return P.validation_report(v.products_v)
 
 
 @query("SELECT sum(strlen(html)) AS bytes, round(100.0 * sum(strlen(html)) / 2147483648, 2) AS percent FROM pages", bytes="BIGINT", percent="DOUBLE")
@@ -616,11 +639,19 @@ def win12_order_check(v):
     return t.groupBy("media_id").agg(F.when(F.count(F.lit(1)) < 2, 0.90).when(F.bool_and("ok"), 0.95).otherwise(0.80).alias("consistency"))
 
 
-@query("SELECT product_id, max(value) FILTER (WHERE rn = 1) AS value_1, max(value) FILTER (WHERE rn = 2) AS value_2, max(value) FILTER (WHERE rn = 3) AS value_3 FROM (SELECT product_id, value, row_number() OVER (PARTITION BY product_id ORDER BY attribute_id) AS rn FROM attributes_v WHERE value IS NOT NULL) WHERE rn <= 3 GROUP BY 1")
+_PLACES = {"feature": 20, "attribute": 50, "url": 5, "image": 5}
+
+
+@query(f"""WITH p AS (SELECT product_id, 'attribute' AS kind, attribute_id AS place, value FROM attributes_v WHERE value IS NOT NULL UNION ALL SELECT product_id, 'feature', attribute_id, key || ': ' || value FROM attributes_v WHERE value IS NOT NULL
+        UNION ALL SELECT product_id, CASE WHEN evidence_id % 3 = 0 THEN 'image' ELSE 'url' END, evidence_id, 'https://host.example/' || evidence_id FROM evidence_v),
+    n AS (SELECT *, row_number() OVER (PARTITION BY product_id, kind ORDER BY place, value) AS i FROM p)
+    SELECT product_id, {', '.join(f"coalesce(max(value) FILTER (WHERE kind = '{k}' AND i = {i}), '') AS {k}_{i}" for k, n in _PLACES.items() for i in range(1, n + 1))} FROM n GROUP BY 1""")
 def win14_positional_columns(v):
-    w = W.partitionBy("product_id").orderBy("attribute_id")
-    cut = v.attributes_v.filter("value IS NOT NULL").withColumn("rn", F.row_number().over(w)).filter("rn <= 3")
-    return cut.groupBy("product_id").pivot("rn", [1, 2, 3]).agg(F.max("value")).select("product_id", *[F.col(str(i)).alias(f"value_{i}") for i in (1, 2, 3)])
+    """The first twenty features, fifty attributes, five addresses and five pictures of a product, a column each."""
+    a = v.attributes_v.filter("value IS NOT NULL")
+    e = v.evidence_v.select("product_id", F.when(F.col("evidence_id") % 3 == 0, "image").otherwise("url").alias("kind"), F.col("evidence_id").alias("place"), F.concat(F.lit("https://host.example/"), F.col("evidence_id").cast("string")).alias("value"))
+    rows = a.select("product_id", F.lit("attribute").alias("kind"), F.col("attribute_id").alias("place"), "value").unionByName(a.select("product_id", F.lit("feature").alias("kind"), F.col("attribute_id").alias("place"), F.concat("key", F.lit(": "), "value").alias("value"))).unionByName(e)
+    return P.positional(rows, "product_id", _PLACES)
 
 
 @query("SELECT source, substring(content, 1, 50) AS head, min(evidence_id) AS evidence_id FROM evidence_v GROUP BY 1, 2")

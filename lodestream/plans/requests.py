@@ -54,9 +54,29 @@ def prj19_error_category(v):
     return v.requests_v.filter("status = 'error'").select("id", R.error_category(F.col("error")).alias("category"))
 
 
-@query(f"SELECT {_CASE_AGENT} AS client, count(*) AS n FROM requests_v GROUP BY 1")
+#: What else a request carries, in SQL that both dialects share: a client's own header, a session id, and the path.
+_SENT = {
+    "own": "CASE WHEN id % 29 = 0 THEN 's1' END", "session": "CASE WHEN id % 5 = 0 THEN 's2' ELSE '' END",
+    "path": "CASE id % 8 WHEN 0 THEN '/v1/responses?x=1' WHEN 1 THEN '/v1/t/abc/responses' WHEN 2 THEN '/V1beta/models' WHEN 3 THEN '/v1/messages' WHEN 4 THEN '/v1/t/abc/api/chat' WHEN 5 THEN '/api/tags' WHEN 6 THEN '/v1/chat/completions' END",
+}
+
+
+def _client_sql() -> str:
+    path = "lower(regexp_extract(coalesce(path, ''), '^[^?]*'))"
+    bare = f"regexp_replace({path}, '{R.TENANT_PATH}', '')"
+    tests = [f"WHEN coalesce(own, '') <> '' THEN '{R.OWN_CLIENT}'"] + [f"WHEN regexp_matches(lower(coalesce(user_agent, '')), '{p}') THEN '{n}'" for n, p in R.CLIENT_AGENTS]
+    for name, pattern, tenant in R.PATH_AGENTS:
+        label = f"CASE WHEN coalesce(session, '') <> '' THEN '{R.OWN_CLIENT}' ELSE '{name}' END" if name == "anthropic-sdk" else f"'{name}'"
+        tests.append(f"WHEN regexp_matches({bare if tenant else path}, '{pattern}') THEN {label}")
+    return f"CASE {' '.join(tests)} ELSE 'unknown' END"
+
+
+@query(f"WITH c AS (SELECT *, {', '.join(f'{e} AS {n}' for n, e in _SENT.items())} FROM requests_v) SELECT {_client_sql()} AS client, count(*) AS n FROM c GROUP BY 1")
 def prj20_client_agent(v):
-    return v.requests_v.groupBy(R.client_agent(F.col("user_agent")).alias("client")).agg(F.count(F.lit(1)).alias("n"))
+    """Clients by a header of their own, by the user agent, and by the surface that they call."""
+    c = v.requests_v.select("user_agent", *[F.expr(e).alias(n) for n, e in _SENT.items()])
+    label = R.client_agent(F.col("user_agent"), F.col("path"), F.col("own"), F.col("session"))
+    return c.groupBy(label.alias("client")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""SELECT event_id, CASE WHEN strlen(props) > 8 THEN to_json({'truncated': true, 'original_size': strlen(props), 'preview': substring(props, 1, 5) || '... [TRUNCATED]', 'message': 'Payload exceeded maximum inline size.'})::VARCHAR ELSE props END AS payload FROM events""")
