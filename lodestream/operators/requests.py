@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import text as X
-from ..session import materialise
+from ..session import materialise, small_or_salted_join
 
 #: Models, keys and platforms are catalogs; up to so many rows of one are broadcast, larger ones are joined by a shuffle.
 CATALOG_ROWS = 100_000
@@ -115,23 +115,32 @@ def with_prices(requests: DataFrame, models: DataFrame) -> DataFrame:
     return priced.withColumn("cost", F.when(F.col("status") == "success", cost).otherwise(0.0))
 
 
+def savings(requests: DataFrame, models: DataFrame) -> DataFrame:
+    """What successful requests would have cost: tokens are summed by model before prices join."""
+    per = requests.filter("status = 'success'").groupBy("platform", "model_id").agg(F.sum("input_tokens").alias("i"), F.sum("output_tokens").alias("o"))
+    priced = per.join(models.select("platform", "model_id", "input_price", "output_price").hint("merge"), ["platform", "model_id"], "left")
+    cost = (F.col("i") * F.coalesce("input_price", F.lit(INPUT_PRICE)) + F.col("o") * F.coalesce("output_price", F.lit(OUTPUT_PRICE))) / 1e6
+    return priced.agg(F.round(F.coalesce(F.sum(cost), F.lit(0.0)), 6).alias("savings"))
+
+
 def percentile(df: DataFrame, value: str, fractions: dict[str, float], by: list[str], *, width: float = 1.0) -> DataFrame:
     """Nearest-rank percentiles at place floor((n - 1) f) of the non-null values.
 
-    Works on counts by value, and on sums of those over buckets of ``width``: running sums go over a group's buckets, then over the values
-    of the one bucket that holds the place, so neither a group's rows nor its values are put in order in one task.
+    Values are first counted by buckets of ``width``: running sums go over a group's buckets and tell which hold a place. Only values of those are read again, counted
+    and put in order, so neither a group's rows nor all of its values are moved or ordered in one task.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n")).withColumn("_b", F.floor(F.col(value) / width))
-    buckets = counts.groupBy(*by, "_b").agg(F.sum("_n").alias("_s"))
+    keys = [*by, "_b"]
+    rows = df.filter(F.col(value).isNotNull()).select(*by, value).withColumn("_b", F.floor(F.col(value) / width))
+    buckets = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_s"))
     along = W.partitionBy(*by).orderBy("_b")
     buckets = buckets.withColumn("_to", F.sum("_s").over(along)).withColumn("_all", F.sum("_s").over(W.partitionBy(*by)))
-    asked = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.floor((F.col("_all") - 1) * F.lit(f)).alias("place")) for n, f in fractions.items()]))
-    hit = buckets.withColumn("_p", asked).filter((F.col("_to") > F.col("_p.place")) & (F.col("_to") - F.col("_s") <= F.col("_p.place")))
-    hit = hit.select(*by, "_b", F.col("_p.name").alias("_name"), (F.col("_p.place") - F.col("_to") + F.col("_s")).alias("_left"))
-    keys = [*by, "_b"]
-    met = counts.join(hit.hint("merge"), keys).withColumn("_upto", F.sum("_n").over(W.partitionBy(*by, "_name", "_b").orderBy(value)))
-    found = met.filter(F.col("_upto") > F.col("_left"))
-    return found.groupBy(*by).agg(*[F.min(F.when(F.col("_name") == n, F.col(value))).alias(n) for n in fractions])
+    place = {n: F.floor((F.col("_all") - 1) * F.lit(f)) for n, f in fractions.items()}
+    asked = F.array_compact(F.array(*[F.when((F.col("_to") > p) & (F.col("_to") - F.col("_s") <= p), F.struct(F.lit(n).alias("name"), (p - F.col("_to") + F.col("_s")).alias("left"))) for n, p in place.items()]))
+    hit = materialise(buckets.select(*keys, asked.alias("_asked")).filter(F.size("_asked") > 0), "percentile-buckets")
+    counts = small_or_salted_join(rows, hit, keys, limit=CATALOG_ROWS).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"), F.first("_asked").alias("_asked"))
+    met = counts.withColumn("_upto", F.sum("_n").over(W.partitionBy(*keys).orderBy(value)))
+    found = met.select(*by, value, "_upto", F.explode("_asked").alias("_p")).filter(F.col("_upto") > F.col("_p.left"))
+    return found.groupBy(*by).agg(*[F.min(F.when(F.col("_p.name") == n, F.col(value))).alias(n) for n in fractions])
 
 
 def decayed_stats(requests: DataFrame, now: Column, *, by: tuple[str, ...] = ("platform", "model_id"), days: int = 7, half_life: float = 2.0, cap_ms: float = 120_000) -> DataFrame:

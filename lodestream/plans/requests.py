@@ -240,7 +240,7 @@ def agg23_error_grains(v):
 
 @query(f"SELECT round(sum({_COST}), 6) AS savings FROM {_PRICED}")
 def agg24_savings(v):
-    return R.with_prices(v.requests_v, v.models_v).agg(F.round(F.sum("cost"), 6).alias("savings"))
+    return R.savings(v.requests_v, v.models_v)
 
 
 @query("SELECT count(*) FILTER (WHERE requested_model IS NOT NULL) AS pinned, count(*) FILTER (WHERE requested_model = model_id) AS honoured FROM requests_v")
