@@ -33,8 +33,8 @@ PATTERN_RULES = (
     (r"[/.]adult-[a-z0-9-]+\.", ("adult",)),
     (r"[/.]porn(-[a-z0-9]+)?\.", ("porn",)),
     (r"[/.]xxx(-[a-z0-9]+)?\.", ("xxx",)),
-    (r"[/.](torrent|warez)-[a-z0-9-]+\.", ()),
-    (r"^https?://[^/]*/(.*/)?(adserver|adclick)[/.?]", ()),
+    (r"[/.](torrent|warez)-[a-z0-9-]+\.", ("torrent|warez",)),
+    (r"^https?://[^/]*/(.*/)?(adserver|adclick)[/.?]", ("adserver|adclick",)),
     (r"[?&]click_id=[^&#]+&aff_id=", ("click", "id", "aff")),
 )
 
