@@ -109,7 +109,7 @@ def supported_fields(fields: DataFrame, support: DataFrame) -> DataFrame:
 
 
 # Thresholds of the decision on evidence: confidence of the identity, sources, mean score, coverage and conflict signal; the signal of sources of both kinds, and of others.
-ENOUGH = {"identity": 0.40, "sources": 1, "mean": 0.50, "coverage": 0.30, "conflicts": 0.30}
+ENOUGH = {"identity": 0.40, "sources": 1, "mean": 0.50, "covered": 0.30, "conflicts": 0.30}
 MIXED_SIGNAL, OTHER_SIGNAL = 0.15, 0.05
 
 
@@ -131,7 +131,7 @@ def sufficiency(products: DataFrame, evidence: DataFrame, coverage: DataFrame, *
         (F.col("n") == 0, "RESEARCH_REQUIRED", F.lit("No baseline evidence found. Full targeted research required.")),
         (F.col("n") < t["sources"], "INSUFFICIENT", F.format_string(f"Only found %d sources. Min required is {t['sources']}.", "n")),
         (F.col("mean_score") < t["mean"], "INSUFFICIENT", F.lit("Average evidence score is below threshold.")),
-        (F.col("coverage") < t["coverage"], "RESEARCH_REQUIRED", F.lit("Evidence coverage ratio is insufficient for critical attributes.")),
+        (F.col("coverage") < t["covered"], "RESEARCH_REQUIRED", F.lit("Evidence coverage ratio is insufficient for critical attributes.")),
         (signal > t["conflicts"], "CONFLICTING", F.lit("Conflicting evidence sources detected across critical features.")),
     ]
     pick = lambda i, last: F.coalesce(*[F.when(r[0], r[i] if i == 2 else F.lit(r[i])) for r in rules], F.lit(last))

@@ -110,8 +110,10 @@ def _commerce(v):
     whole = F.when(F.col("number") == F.floor("number"), F.col("number").cast("long").cast("string")).otherwise(F.col("number").cast("string"))
     shown, uom = F.when(F.col("number").isNull(), F.trim("value")).otherwise(whole), F.when(F.col("number").isNotNull(), F.coalesce("unit", F.lit(""))).otherwise("")
     said = n.select("product_id", "attribute_id", "key", "value", shown.alias("shown"), uom.alias("uom"))
+    # a row's strings are made before rows meet, so that a product's lambdas only copy them
+    feature = F.concat("key", F.lit(": "), F.concat_ws(" ", "shown", F.nullif("uom", F.lit(""))))
     place = F.row_number().over(W.partitionBy("product_id").orderBy("attribute_id", "key", "value"))
-    one = F.struct("attribute_id", "key", "value", "shown", "uom")
+    one = F.struct("rn", feature.alias("feature"), F.array("key", "shown", "uom").alias("triplet"))
     first = [F.min_by(F.struct("shown", "uom"), F.when(F.col("key") == k, F.struct("attribute_id", "key", "value"))).alias(f"of_{i}") for i, k in enumerate(_NAMED.values())]
     listed = said.withColumn("rn", place).filter("rn <= 50").groupBy("product_id").agg(F.array_sort(F.collect_list(one)).alias("a"))
     named = said.filter(F.col("key").isin(*_NAMED.values())).groupBy("product_id").agg(*first)
@@ -124,8 +126,9 @@ def _commerce(v):
     # the sheet's row as one array, in which features and triplets are an expression each
     place = S.COMMERCE_COLUMNS.index
     fixed = lambda low, high: F.array(*[known.get(c, F.lit("")) for c in S.COMMERCE_COLUMNS[low:high]])
-    feature = F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: F.concat(F.get("a", i)["key"], F.lit(": "), F.concat_ws(" ", F.get("a", i)["shown"], F.nullif(F.get("a", i)["uom"], F.lit("")))))
-    triplets = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(49)), lambda i: F.array(F.get("a", i)["key"], F.get("a", i)["shown"], F.get("a", i)["uom"])))
+    padded = lambda x, n: F.slice(F.concat(F.coalesce(x, F.array().cast("array<string>")), F.array_repeat(F.lit(""), n)), 1, n)
+    feature = padded(F.col("a")["feature"], 20)
+    triplets = padded(F.flatten(F.col("a")["triplet"]), 150)
     features, labels, rest = place("ITEM_FEATURES_1"), place("ATTRIBUTE_LABEL 1"), place("ATTRIBUTE_UOM 50") + 1
     row = F.concat(fixed(0, features), feature, fixed(features + 20, labels), triplets, fixed(rest, len(S.COMMERCE_COLUMNS)))
     return wide.select(row.alias("row"), F.col("product_id").alias("_product_id")).select(*[F.coalesce(F.get("row", i), F.lit("")).alias(c) for i, c in enumerate(S.COMMERCE_COLUMNS)], "_product_id")

@@ -415,7 +415,7 @@ _DECIDED = f"""e AS (SELECT product_id, count(*) AS n, avg(score) AS mean_score,
     cv AS (SELECT product_id, avg(CAST(covered AS INT)) AS coverage FROM coverage GROUP BY 1),
     d0 AS (SELECT p.product_id, coalesce(n, 0) AS sources, mean_score, coverage, verified, CASE WHEN coalesce(n, 0) < 2 THEN 0 WHEN mixed THEN 0.15 ELSE 0.05 END AS signal, confidence_score FROM products_v p LEFT JOIN e ON p.product_id = e.product_id LEFT JOIN cv ON p.product_id = cv.product_id),
     decided AS (SELECT product_id, sources, round(mean_score, 4) AS mean_score, round(coverage, 4) AS coverage, verified, CASE WHEN confidence_score < {_ENOUGH['identity']} THEN 'IDENTITY_UNCERTAIN' WHEN sources = 0 THEN 'RESEARCH_REQUIRED' WHEN sources < {_ENOUGH['sources']} THEN 'INSUFFICIENT' WHEN mean_score < {_ENOUGH['mean']} THEN 'INSUFFICIENT'
-        WHEN coverage < {_ENOUGH['coverage']} THEN 'RESEARCH_REQUIRED' WHEN signal > {_ENOUGH['conflicts']} THEN 'CONFLICTING' ELSE 'SUFFICIENT' END AS decision FROM d0)"""
+        WHEN coverage < {_ENOUGH['covered']} THEN 'RESEARCH_REQUIRED' WHEN signal > {_ENOUGH['conflicts']} THEN 'CONFLICTING' ELSE 'SUFFICIENT' END AS decision FROM d0)"""
 
 
 def decisions(v, coverage):
