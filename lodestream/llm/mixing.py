@@ -15,8 +15,8 @@ from .kernels import SPACE, arrow_map, by_bytes, texts, words
 
 #: Words of a block, blocks of an output shard, rounds of the permutation, and the most that a source is repeated.
 BLOCK, SHARD_BLOCKS, ROUNDS, MOST_REPEATS = 64, 1 << 14, 4, 3
-#: Sources, and slots, of one draw of counts; shards that a task draws.
-COHORT, STRATUM, SHARDS_A_TASK = 100_000, 1 << 29, 64
+#: Sources of one draw of counts; shards that a task draws; slots beyond which a draw is made in units.
+COHORT, SHARDS_A_TASK, LARGEST_DRAW = 100_000, 64, 900_000_000
 #: Sources up to which their table is broadcast, and documents of a source that one task puts in order, about.
 BROADCAST_SOURCES, BUCKET_ROWS = 100_000, 20_000
 
@@ -100,11 +100,27 @@ def _taken(target: float, size: int, block: int, seed: str, rank: int) -> tuple[
     return n, epochs * n + last, epochs, rest, place
 
 
-def split_counts(counts: np.ndarray, slots: int, *seed) -> np.ndarray:
-    """How many of ``slots`` slots go to each source if the sources have ``counts`` slots in all: multinomial counts, given those totals."""
-    if slots >= counts.sum():
+def split_counts(counts: np.ndarray, slots: int, *seed, largest: int = LARGEST_DRAW) -> np.ndarray:
+    """How many of ``slots`` slots go to each source if the sources have ``counts`` slots in all: multinomial counts, given those totals.
+
+    More than ``largest`` slots are drawn in units of several slots, what the units leave over by single slots; so are only the first halvings of a very large mix, whose
+    shards are drawn slot by slot in the end like any others.
+    """
+    total = int(counts.sum())
+    if slots >= total:
         return counts
-    return np.random.default_rng(_seed(*seed)).multivariate_hypergeometric(counts, slots, method="marginals")
+    rng, unit = np.random.default_rng(_seed(*seed)), -(-total // largest)
+    if unit <= 1:
+        return rng.multivariate_hypergeometric(counts, slots, method="marginals")
+    whole, rest = np.divmod(counts, unit)
+    units = min(slots // unit, int(whole.sum()))
+    drawn = rng.multivariate_hypergeometric(whole, units, method="marginals")
+    left = slots - units * unit
+    single = min(left, int(rest.sum()))
+    out = drawn * unit + split_counts(rest, single, *seed, "rest", largest=largest)
+    if left > single:  # less than a unit: all of one source that has a unit left
+        out[int(rng.multivariate_hypergeometric(whole - drawn, 1, method="marginals").argmax())] += left - single
+    return out
 
 
 def shard_counts(totals: np.ndarray, place: int, counts: np.ndarray, shard_blocks: int, wanted: range, *seed) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -131,12 +147,11 @@ def shard_counts(totals: np.ndarray, place: int, counts: np.ndarray, shard_block
     yield from walk(0, -(-int(totals.sum()) // shard_blocks), totals, np.zeros_like(counts), counts)
 
 
-def draw_slots(sources: DataFrame, *, block: int = BLOCK, shard_blocks: int = SHARD_BLOCKS, seed: str = "mix", cohort: int = COHORT, stratum: int = STRATUM) -> DataFrame:
+def draw_slots(sources: DataFrame, *, block: int = BLOCK, shard_blocks: int = SHARD_BLOCKS, seed: str = "mix", cohort: int = COHORT) -> DataFrame:
     """(rank, block, shard, slot, take): the blocks of the mix, in shards of ``shard_blocks`` slots.
 
-    For each shard the counts of slots by source are drawn (see shard_counts()); totals meet the targets to the word. More than ``stratum`` slots
-    are cut into strata with equal shares of each source, whose last shard is short; more than ``cohort`` sources are drawn by cohorts. So
-    a draw never holds more numbers than that. Slot k of a source
+    For each shard the counts of slots by source are drawn (see shard_counts()); totals meet the targets to the word, and only the last shard may be short. More than
+    ``cohort`` sources are drawn by cohorts, so a draw never holds more numbers than that. Slot k of a source
     takes block perm(k mod n) of its n blocks, with another pseudorandom permutation each time all
     n have been used; its last slots are cut so that its words are round(target). Draws are seeded by number: reruns and retries agree.
     """
@@ -149,25 +164,20 @@ def draw_slots(sources: DataFrame, *, block: int = BLOCK, shard_blocks: int = SH
 
     known = sources.select("rank", F.col("source_size").cast("long").alias("size"), "target").mapInArrow(sized, "rank long, size long, target double, slots long")
     known = materialise(known.withColumn("cohort", F.expr(f"rank div {cohort}")), "slots")
-    strata = max(1, math.ceil((known.agg(F.sum("slots")).first()[0] or 0) / stratum))
-    share = F.expr(f"slots * (part + 1) div {strata} - slots * part div {strata}")
-    sums = known.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(strata - 1)))).groupBy("part", "cohort").agg(F.sum(share).alias("n"))
-    totals = np.zeros((strata, 1 + (known.agg(F.max("cohort")).first()[0] or 0)), np.int64)
-    for r in sums.collect():  # a number for each stratum and each ``cohort`` sources
-        totals[r.part, r.cohort] = r.n
-    ends = np.cumsum(-(-totals.sum(axis=1) // shard_blocks)).tolist()
-    dealt = known.withColumn("low", F.explode(F.sequence(F.lit(0), F.lit(max(0, ends[-1] - 1)), F.lit(SHARDS_A_TASK))))
+    totals = np.zeros(1 + (known.agg(F.max("cohort")).first()[0] or 0), np.int64)
+    for r in known.groupBy("cohort").agg(F.sum("slots").alias("n")).collect():  # a number for each ``cohort`` sources
+        totals[r.cohort] = r.n
+    shards = -(-int(totals.sum()) // shard_blocks)
+    dealt = known.withColumn("low", F.explode(F.sequence(F.lit(0), F.lit(max(0, shards - 1)), F.lit(SHARDS_A_TASK))))
 
     def draw(key: tuple, table: pa.Table) -> pa.Table:
         place, low = key[0].as_py(), key[1].as_py()
         table = table.sort_by("rank")
         slots, out = table.column("slots").to_numpy(), []
-        for part, (start, end) in enumerate(zip([0, *ends], ends)):
-            wanted = range(max(start, low) - start, min(end, low + SHARDS_A_TASK) - start)
-            done = slots * part // strata
-            for shard, before, counts in shard_counts(totals[part], place, slots * (part + 1) // strata - done, shard_blocks, wanted, seed, part) if len(wanted) else ():
-                some = np.flatnonzero(counts)
-                out.append((some, np.full(len(some), start + shard), (done + before)[some], counts[some]))
+        # the number in the seed is that of the only draw there is
+        for shard, before, counts in shard_counts(totals, place, slots, shard_blocks, range(low, min(shards, low + SHARDS_A_TASK)), seed, 0):
+            some = np.flatnonzero(counts)
+            out.append((some, np.full(len(some), shard), before[some], counts[some]))
         at, shard, first, n = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 4
         named = [table.column(c).take(pa.array(at)) for c in ("rank", "size", "target")]
         return pa.table([*named, pa.array(shard), pa.array(first), pa.array(n)], ["rank", "size", "target", "shard", "first", "n"])

@@ -288,9 +288,23 @@ def test_every_shard_is_full_and_draws_by_weight(spark, cohort):
     assert [sum(n for (s, _), n in got.items() if s == shard) for shard in range(6)] == [1000] * 6
     assert [sum(n for (_, r), n in got.items() if r == rank) for rank in range(5)] == [400 * (i + 1) for i in range(5)]
     assert all(abs(got[s, r] - 1000 * (r + 1) / 15) < 90 for s in range(6) for r in range(5)) and len({got[s, 0] for s in range(6)}) > 1
-    cut = mixing.draw_slots(sources, shard_blocks=1000, cohort=cohort, stratum=2500).collect()
-    assert collections.Counter(r["rank"] for r in cut) == {i: 400 * (i + 1) for i in range(5)} and len({(r["rank"], r.slot) for r in cut}) == 6000
-    assert max(collections.Counter(r.shard for r in cut).values()) == 1000
+
+
+@given(st.lists(st.integers(0, 60), min_size=1, max_size=8), st.floats(0, 1), st.integers(1, 40), st.integers(0, 99))
+@settings(max_examples=200, deadline=None)
+def test_draws_in_units_keep_totals(counts, share, largest, seed):
+    counts = np.array(counts, np.int64)
+    slots = int(share * counts.sum())
+    got = mixing.split_counts(counts, slots, seed, largest=max(largest, len(counts) + 1))
+    assert got.sum() == slots and (got >= 0).all() and (got <= counts).all()
+
+
+def test_draws_beyond_the_largest_are_shared_by_size():
+    counts = np.array([1, 2, 3, 4], np.int64) * 10**12 + 7
+    for seed in range(20):
+        got = mixing.split_counts(counts, 3 * 10**12 + 5, seed)
+        assert got.sum() == 3 * 10**12 + 5 and (abs(got / counts - 0.3) < 1e-3).all()
+    assert len({tuple(mixing.split_counts(counts, 10**12, seed)) for seed in range(5)}) == 5
 
 
 @pytest.mark.parametrize("repeated", [False, True])
