@@ -8,7 +8,7 @@ import re
 from pyspark.sql import Window as W, functions as F
 
 from ..functions import text as X
-from ..functions.protected import MUST_KEEP, PROTECTED, java
+from ..functions.protected import MUST_KEEP, PROTECTED, extracted
 from ..operators import blocks as B, products as P, texts as T
 from ..operators.compression import OMITTED, collapse_runs, fidelity, filter_lines, head_tail, line_rules
 from ..operators.search import hybrid, search, with_neighbours
@@ -60,7 +60,7 @@ _sql = lambda pattern: pattern.replace("'", "''")
 @query("SELECT doc_id, kind, len(x) AS n, sha256(array_to_string(x, chr(10))) AS said FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, regexp_extract_all(text, '{_sql(p)}') AS x FROM documents" for k, p in PROTECTED.items()) + ") WHERE len(x) > 0", n="INTEGER")
 def fun23_protected_spans(v):
     """What each of the eleven patterns finds in a text, as a count and a digest of the values in order."""
-    found = F.array(*[F.struct(F.lit(k).alias("kind"), F.regexp_extract_all("text", F.lit(java(p)), F.lit(0)).alias("x")) for k, p in PROTECTED.items()])
+    found = F.array(*[F.struct(F.lit(k).alias("kind"), extracted(k, F.col("text")).alias("x")) for k in PROTECTED])
     return v.documents.select("doc_id", F.inline(found)).filter("size(x) > 0").select("doc_id", "kind", F.size("x").alias("n"), F.sha2(F.array_join("x", "\n"), 256).alias("said"))
 
 
