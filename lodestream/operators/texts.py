@@ -5,13 +5,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from ..functions import protected
+from ..functions.slices import sliced
 from ..session import materialise
 from .search import SLICE
 
@@ -150,11 +151,11 @@ def tables_as_text(rows: DataFrame, headers: list[str]) -> DataFrame:
 SPANS = ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("kinds", ArrayType(StringType()))]))
 
 
-@F.pandas_udf(SPANS)
-def _spans(text: pd.Series) -> pd.Series:
-    return text.map(lambda x: [{"start": s, "end": e, "kinds": k} for s, e, k in protected.spans(x or "")])
+@F.arrow_udf(SPANS)
+def _spans(text: pa.Array) -> pa.Array:
+    return sliced(lambda x: [{"start": s, "end": e, "kinds": k} for s, e, k in protected.spans(x)], to_arrow_type(SPANS), text)
 
 
 def protected_spans(text: str) -> Column:
     """The disjoint spans (start, end, kinds) of a text that a compression must not lose; null and empty texts have none."""
-    return _spans(text)
+    return _spans(F.coalesce(text, F.lit("")))
