@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Row, SparkSession, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -73,16 +76,39 @@ def sequences(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").applyInPandasWithState(number, "event_id long, user_id long, props string, seq long", "n long", "append", GroupStateTimeout.NoTimeout)
 
 
+#: Rows of a key that are Python objects at a time.
+PART = 10_000
+
+
+def by_time(frames: Iterator[pd.DataFrame], numbers: list[str], texts: list[str]) -> Iterator[Iterator[tuple]]:
+    """The rows of a key in a trigger by the first two of ``numbers``, in parts of PART. They are held as columns, each text once, not as objects."""
+    columns, words = [[] for _ in numbers], [[] for _ in texts]
+    for f in frames:
+        for held, c in zip(columns, numbers, strict=True):
+            held.append(f[c].to_numpy(np.float64 if f[c].dtype.kind == "f" else np.int64))
+        for held, c in zip(words, texts, strict=True):
+            held.append(pa.array(f[c], pa.string(), from_pandas=True).dictionary_encode())
+    if not columns[0]:
+        return
+    columns = [np.concatenate(x) for x in columns]
+    coded = [pa.chunked_array(x).unify_dictionaries().combine_chunks() for x in words]
+    del words
+    order = np.lexsort((columns[1], columns[0]))
+    for at in range(0, len(order), PART):
+        some = order[at : at + PART]
+        yield zip(*(c[some].tolist() for c in columns), *(c.take(pa.array(some)).to_pylist() for c in coded), strict=True)
+
+
 class Penalty(StatefulProcessor):
     """The penalty of a model and the time of its last failure; no state is kept at 0."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("penalty", "penalty double, last_ms long")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:  # noqa: N802, N803  the names that Spark calls
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  the names that Spark calls
         penalty, last = self.state.get() if self.state.exists() else (0.0, None)
         seen = 0
-        for seen, _, weight in sorted((r["ms"], r["event_id"], r["weight"]) for r in rows):  # a trigger's rows of a model, by number of files at most
+        for seen, _, weight in itertools.chain.from_iterable(by_time(rows, ["ms", "event_id", "weight"], [])):
             if weight > 0:
                 rested = penalty if last is None else max(0.0, penalty - (seen - last) // DECAY_MS)
                 penalty, last = min(MOST_PENALTY, rested + weight), seen
@@ -93,7 +119,7 @@ class Penalty(StatefulProcessor):
             self.state.update((penalty, last))
         else:
             self.state.clear()
-        yield Row(model=key[0], penalty=penalty, last_ms=last, seen_ms=seen)
+        yield pd.DataFrame({"model": [key[0]], "penalty": [float(penalty)], "last_ms": pd.array([last], "Int64"), "seen_ms": [seen]})
 
     def close(self) -> None:
         pass
@@ -108,7 +134,7 @@ def weighted(events: DataFrame) -> DataFrame:
 
 def penalties(events: DataFrame) -> DataFrame:
     """(model, penalty, last_ms, seen_ms) of weighted events, after each trigger: see Penalty, and operators.requests.penalty_decay for the same over a table."""
-    return events.groupBy("model").transformWithState(Penalty(), "model string, penalty double, last_ms long, seen_ms long", "Update", "None")
+    return events.groupBy("model").transformWithStateInPandas(Penalty(), "model string, penalty double, last_ms long, seen_ms long", "Update", "None")
 
 
 class SourceStore(StatefulProcessor):
@@ -122,7 +148,7 @@ class SourceStore(StatefulProcessor):
         # what is live is bounded by the budget, so a trigger works on it in memory and writes what changed
         self.live = handle.getMapState("live", "source_id long", "url string, hash string, size long, used_ms long")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:  # noqa: N802, N803
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         was = {k[0]: tuple(v) for k, v in self.live.iterator()}
         held = dict(sorted(was.items(), key=lambda x: (x[1][3], x[0])))  # least recently used first
         urls, hashes = {v[0]: i for i, v in held.items() if v[0]}, {v[1]: i for i, v in held.items()}
@@ -136,29 +162,33 @@ class SourceStore(StatefulProcessor):
                 del hashes[content]
             return size
 
-        for row in sorted(rows, key=lambda r: (r["ms"], r["event_id"])):
-            now, expired, evicted = row["ms"], 0, 0
-            while held and now - held[oldest := next(iter(held))][3] > self.idle_ms:
-                total -= drop(oldest)
-                expired += 1
-            source, action = urls.get(row["url"]) if row["url"] else None, "url"
-            if source is None:
-                source, action = hashes.get(row["hash"]), "hash"
-            if source is not None:
-                held[source] = (*held.pop(source)[:3], now)  # last in the order of use
-            elif row["size"] > self.budget:
-                action = "rejected"
-            else:
-                source, action = row["event_id"], "new"
-                held[source] = (row["url"], row["hash"], row["size"], now)
-                hashes[row["hash"]] = source
-                if row["url"]:
-                    urls[row["url"]] = source
-                total += row["size"]
-                while total > self.budget:
-                    total -= drop(next(iter(held)))
-                    evicted += 1
-            yield Row(store=key[0], event_id=row["event_id"], source_id=source, action=action, expired=expired, evicted=evicted, bytes=total)
+        for part in by_time(rows, ["ms", "event_id", "size"], ["url", "hash"]):
+            out = []
+            for now, event, size, url, content in part:
+                expired, evicted = 0, 0
+                while held and now - held[oldest := next(iter(held))][3] > self.idle_ms:
+                    total -= drop(oldest)
+                    expired += 1
+                source, action = urls.get(url) if url else None, "url"
+                if source is None:
+                    source, action = hashes.get(content), "hash"
+                if source is not None:
+                    held[source] = (*held.pop(source)[:3], now)  # last in the order of use
+                elif size > self.budget:
+                    action = "rejected"
+                else:
+                    source, action = event, "new"
+                    held[source] = (url, content, size, now)
+                    hashes[content] = source
+                    if url:
+                        urls[url] = source
+                    total += size
+                    while total > self.budget:
+                        total -= drop(next(iter(held)))
+                        evicted += 1
+                out.append((key[0], event, source, action, expired, evicted, total))
+            said = pd.DataFrame(out, columns=["store", "event_id", "source_id", "action", "expired", "evicted", "bytes"], dtype=object)
+            yield said.astype({"event_id": "Int64", "source_id": "Int64", "expired": "int32", "evicted": "int32", "bytes": "int64"})
         for source in was.keys() - held.keys():
             self.live.removeKey((source,))
         for source, value in held.items():
@@ -173,7 +203,7 @@ def source_store(adds: DataFrame, *, idle_ms: int = 7 * 86_400_000, budget: int
     """A row for each add (store, event_id, ms, url, hash, size): the source that it made or met and how (new, url, hash or rejected), how many sources expired before and
     were evicted after it, and the store's bytes then. Stores are apart, so each has a budget of its own. Adds of a trigger are taken by time and id."""
     schema = "store string, event_id long, source_id long, action string, expired int, evicted int, bytes long"
-    return adds.groupBy("store").transformWithState(SourceStore(idle_ms, budget), schema, "Append", "None")
+    return adds.groupBy("store").transformWithStateInPandas(SourceStore(idle_ms, budget), schema, "Append", "None")
 
 
 def confirmations(events: DataFrame, within_us: int = 3_600_000_000) -> DataFrame:

@@ -4,6 +4,7 @@ import datetime as dt
 import random
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -250,3 +251,14 @@ def test_source_store_is_that_of_a_plain_loop(spark, tmp_path):
     seen = {r["event_id"]: (r["store"], r["source_id"], r["action"], r["expired"], r["evicted"], r["bytes"]) for r in got}
     assert len(got) == len(adds) and {x[2] for x in seen.values()} == {"new", "url", "hash", "rejected"}
     assert seen == expected
+
+
+def test_a_triggers_rows_of_a_key_are_columns_until_their_part_comes():
+    draw, rows = random.Random(4), []
+    for i in range(25_000):
+        rows.append((draw.randrange(5_000), i, draw.choice([None, "", "u1", "u2"])))
+    frames = (pd.DataFrame(rows[at : at + 4_000], columns=["ms", "id", "url"]) for at in range(0, len(rows), 4_000))
+    parts = [list(p) for p in Q.by_time(frames, ["ms", "id"], ["url"])]
+    assert [len(p) for p in parts] == [10_000, 10_000, 5_000]
+    assert sum(parts, []) == sorted(rows, key=lambda r: r[:2])
+    assert list(Q.by_time(iter([]), ["ms", "id"], ["url"])) == []
