@@ -104,19 +104,26 @@ def _commerce_sql() -> str:
         SELECT {_quoted((c, known.get(c, "''")) for c in S.COMMERCE_COLUMNS)} FROM p LEFT JOIN w ON p.product_id = w.product_id"""
 
 
-def _commerce(v):
-    """The commerce sheet: identity and descriptions, features and attributes by position, sizes by name; what isn't known is empty."""
-    n = P.normalised(v.attributes_v.filter("value IS NOT NULL"))
+def _shown(rows):
+    """``rows`` with what the sheet shows of their values: the number or the text, and the number's unit."""
     whole = F.when(F.col("number") == F.floor("number"), F.col("number").cast("long").cast("string")).otherwise(F.col("number").cast("string"))
     shown, uom = F.when(F.col("number").isNull(), F.trim("value")).otherwise(whole), F.when(F.col("number").isNotNull(), F.coalesce("unit", F.lit(""))).otherwise("")
-    said = n.select("product_id", "attribute_id", "key", "value", shown.alias("shown"), uom.alias("uom"))
-    # a row's strings are made before rows meet, so that a product's lambdas only copy them
-    feature = F.concat("key", F.lit(": "), F.concat_ws(" ", "shown", F.nullif("uom", F.lit(""))))
+    return P.normalised(rows).withColumn("shown", shown).withColumn("uom", uom)
+
+
+def _commerce(v):
+    """The commerce sheet: identity and descriptions, features and attributes by position, sizes by name; what isn't known is empty."""
+    attributes = v.attributes_v.filter("value IS NOT NULL").select("product_id", "attribute_id", "key", "value")
+    # rows meet as they are, and only those that the sheet shows are normalised
     place = F.row_number().over(W.partitionBy("product_id").orderBy("attribute_id", "key", "value"))
+    said = _shown(attributes.withColumn("rn", place).filter("rn <= 50")).select("product_id", "rn", "key", "shown", "uom")
+    feature = F.concat("key", F.lit(": "), F.concat_ws(" ", "shown", F.nullif("uom", F.lit(""))))
     one = F.struct("rn", feature.alias("feature"), F.array("key", "shown", "uom").alias("triplet"))
-    first = [F.min_by(F.struct("shown", "uom"), F.when(F.col("key") == k, F.struct("attribute_id", "key", "value"))).alias(f"of_{i}") for i, k in enumerate(_NAMED.values())]
-    listed = said.withColumn("rn", place).filter("rn <= 50").groupBy("product_id").agg(F.array_sort(F.collect_list(one)).alias("a"))
-    named = said.filter(F.col("key").isin(*_NAMED.values())).groupBy("product_id").agg(*first)
+    listed = said.groupBy("product_id").agg(F.sort_array(F.collect_list(one)).alias("a"))
+    first = [F.min(F.when(F.col("key") == k, F.struct("attribute_id", "key", "value"))).alias(f"of_{i}") for i, k in enumerate(_NAMED.values())]
+    named = attributes.filter(F.col("key").isin(*_NAMED.values())).groupBy("product_id").agg(*first)
+    for i in range(len(_NAMED)):
+        named = _shown(named.withColumn("value", F.col(f"of_{i}.value"))).withColumn(f"of_{i}", F.when(F.col("value").isNotNull(), F.struct("shown", "uom"))).drop("value", "number", "unit", "display", "shown", "uom")
     p = v.products_v.withColumn("clean_name", X.clean(F.col("name"))).withColumn("clean_brand", X.clean(F.col("brand")))
     wide = p.join(listed.hint("merge"), "product_id", "left").join(named.hint("merge"), "product_id", "left")
     known = {c: F.expr(e) for c, e in _IDENTITY.items()}

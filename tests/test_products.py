@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from lodestream.plans.views import Views
 from lodestream.functions import scores as S
 from lodestream.operators import blocks as B, products as P, requests as R
 from lodestream.plans import registry
@@ -107,3 +108,16 @@ def test_product_job_is_that_of_its_parts(spark, sf_dir):
         assert (r["decision"], r["sources"], r["provisional"], r["coverage"]) == tuple(decided[i][c] for c in ("decision", "sources", "provisional", "coverage"))
         assert (r["validation"], r["validation_score"]) == (valid[i]["status"], valid[i]["score"]) and abs(r["confidence"] - sure[i]["score"]) < 1e-4
         assert r["commerce_ready"] == (r["route"] == "extract" and r["validation"] != "FAILED" and not r["conflicts"])
+
+
+def test_sheet_normalises_only_rows_that_it_shows(spark, sf_dir):
+    """Below the cut of a product's rows, and below the choice of its named ones, no value is parsed."""
+    from lodestream.plans import catalogs
+
+    plan = catalogs._commerce(Views(spark, sf_dir))._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    depth = [len(x) - len(x.lstrip(" :+-")) for x in plan]
+    tops = [i for i, x in enumerate(plan) if x.lstrip(" :+-").startswith("Window [") or "Aggregate" in x and "min(" in x]
+    assert len(tops) == 2
+    for i in tops:
+        end = next((j for j in range(i + 1, len(plan)) if depth[j] <= depth[i]), len(plan))
+        assert not any("regexp_extract" in x for x in plan[i:end])
