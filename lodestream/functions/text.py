@@ -108,9 +108,10 @@ def clean(value: Column) -> Column:
 
 def number(value: Column) -> Column:
     """The number that a value such as ``25 mm`` or ``1/2 in`` starts with; null for other text."""
-    plain = F.regexp_extract(value, NUMBER_UNIT, 1).try_cast("double")
-    over = F.try_divide(F.regexp_extract(value, FRACTION, 1).try_cast("double"), F.regexp_extract(value, FRACTION, 2).try_cast("double"))
-    return F.coalesce(plain, over)
+    # an empty text isn't cast: each failure would be an exception inside
+    part = lambda pattern, group: F.nullif(F.regexp_extract(value, pattern, group), F.lit("")).try_cast("double")
+    over = F.when(F.contains(value, F.lit("/")), F.try_divide(part(FRACTION, 1), part(FRACTION, 2)))
+    return F.coalesce(part(NUMBER_UNIT, 1), over)
 
 
 def raw_unit(value: Column) -> Column:

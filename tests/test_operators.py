@@ -262,3 +262,9 @@ def test_a_triggers_rows_of_a_key_are_columns_until_their_part_comes():
     assert [len(p) for p in parts] == [10_000, 10_000, 5_000]
     assert sum(parts, []) == sorted(rows, key=lambda r: r[:2])
     assert list(Q.by_time(iter([]), ["ms", "id"], ["url"])) == []
+
+
+def test_numbers_of_texts_without_one_and_of_fractions(spark):
+    known = {"25 mm": 25.0, "1/2 in": 0.5, "1/0 in": None, "": None, "  ": None, "a/b": None, "/": None, "Stainless Steel": None, "3/4": None, "-1.5 m/s": -1.5, "1.": None, None: None}
+    rows = spark.createDataFrame([(k,) for k in known], "value string")
+    assert {r["value"]: r["n"] for r in rows.select("value", X.number(F.col("value")).alias("n")).collect()} == known
