@@ -6,8 +6,9 @@ from __future__ import annotations
 import bisect
 import itertools
 import math
+import operator
 from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -80,13 +81,57 @@ class Lexical:
         return np.minimum(self.base + self.words.points(self.words.found(low), len(self.base)), MOST) / 100
 
 
+class Counted:
+    """How often each of some texts occurs in another, without overlaps as str.count() has it: all are counted in one pass."""
+
+    def __init__(self, texts: Iterable[str]):
+        import ahocorasick
+
+        self.texts = sorted(set(texts))
+        self.place = {x: i for i, x in enumerate(self.texts)}
+        self.automaton = ahocorasick.Automaton()
+        for x, i in self.place.items():
+            self.automaton.add_word(x, i)
+        if self.texts:
+            self.automaton.make_automaton()
+        # texts that end as they begin may overlap themselves
+        self.overlaps = np.array([i for x, i in self.place.items() if any(x.startswith(x[at:]) for at in range(1, len(x)))], np.int64)
+
+    def __call__(self, text: str) -> np.ndarray:
+        if not self.texts or not text:
+            return np.zeros(len(self.texts), np.int64)
+        counts = np.bincount(np.fromiter(map(operator.itemgetter(1), self.automaton.iter(text)), np.int64), minlength=len(self.texts))
+        for i in self.overlaps[counts[self.overlaps] > 1].tolist():
+            counts[i] = text.count(self.texts[i])
+        return counts
+
+
+class Hits:
+    """Points of queries, each for a text that is contained."""
+
+    def __init__(self) -> None:
+        self.query, self.text, self.points = [], [], []
+
+    def add(self, text: str, query: int, points: float) -> None:
+        self.query.append(query)
+        self.text.append(text)
+        self.points.append(points)
+
+    def build(self, place: dict[str, int]) -> Hits:
+        self.query, self.at, self.points = np.array(self.query, np.int64), np.array([place[x] for x in self.text], np.int64), np.array(self.points, float)
+        return self
+
+    def __call__(self, weights: np.ndarray, queries: int) -> np.ndarray:
+        return np.bincount(self.query, self.points * weights[self.at], queries)
+
+
 class Hybrid:
     """All signals of analysed queries over FULL_POINTS, 1 at most, rounded to 6 digits: what a text and its section contain, how often terms occur, the share of terms met, and the intent."""
 
     COLUMNS = ("section", "kind")
 
     def __init__(self, asked: list[Row]):
-        self.n, self.body, self.section, self.terms = len(asked), Patterns(), Patterns(), Patterns()
+        self.n, self.body, self.section, self.terms, self.often = len(asked), Hits(), Hits(), Hits(), Hits()
         self.whole, self.kinds = np.zeros(len(asked)), defaultdict(lambda: np.zeros(len(asked)))
         for i, row in enumerate(asked):
             if row["low"]:
@@ -99,19 +144,22 @@ class Hybrid:
                     self.section.add(x.lower(), i, above)
             for x in row["terms"]:
                 self.terms.add(x, i, OVERLAP_POINTS / len(row["terms"]))
+                self.often.add(x, i, TERM_POINTS)  # a query has each term once
             for intent, kinds in INTENT_KINDS.items():
                 for kind in kinds if row[f"{intent}_intent"] else ():
                     self.kinds[kind][i] = INTENT_POINTS
-        for x in (self.body, self.section, self.terms):
-            x.build()
+        self.inside, self.above = Counted([*self.body.text, *self.terms.text]), Counted(self.section.text)
+        for x in (self.body, self.terms, self.often):
+            x.build(self.inside.place)
+        self.section.build(self.above.place)
 
     def __call__(self, low: str, more: dict) -> np.ndarray:
-        section = (more["section"] or "").lower()
-        out = self.whole + self.body.points(self.body.found(low), self.n) + self.section.points(self.section.found(section), self.n)
-        met = self.terms.found(low)
-        out = out + self.terms.points(met, self.n)
-        for x in met:
-            out[self.terms.of[x][0]] += (1 + math.log(low.count(x))) * TERM_POINTS  # a query has each term once
+        counts, above = self.inside(low), self.above((more["section"] or "").lower())
+        met = (counts > 0).astype(float)
+        often = met.copy()
+        for i in np.flatnonzero(counts > 1).tolist():
+            often[i] += math.log(counts[i])
+        out = self.whole + self.body(met, self.n) + self.section((above > 0).astype(float), self.n) + self.terms(met, self.n) + self.often(often, self.n)
         if more["kind"] in self.kinds:
             out = out + self.kinds[more["kind"]]
         return np.round(np.minimum(out / FULL_POINTS, 1), 6)

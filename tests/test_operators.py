@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestream.functions import text as X
 from lodestream.operators import products as P, requests as R, texts as T
-from lodestream.operators.search import search
+from lodestream.operators.search import Counted, Hybrid, search
 from lodestream.plans.views import VIEWS, Views
 from lodestream.session import materialise, small_or_salted_join
 from lodestream.sources import files as S
@@ -268,3 +268,20 @@ def test_numbers_of_texts_without_one_and_of_fractions(spark):
     known = {"25 mm": 25.0, "1/2 in": 0.5, "1/0 in": None, "": None, "  ": None, "a/b": None, "/": None, "Stainless Steel": None, "3/4": None, "-1.5 m/s": -1.5, "1.": None, None: None}
     rows = spark.createDataFrame([(k,) for k in known], "value string")
     assert {r["value"]: r["n"] for r in rows.select("value", X.number(F.col("value")).alias("n")).collect()} == known
+
+
+def test_counts_of_one_pass_are_those_of_each_text():
+    texts = ["ana", "a", "aa", "nan", "die", "ie d", "é", "x"]
+    for low in ("", "bananana aaa die die dié é", "aaaaa", "x" * 9):
+        assert Counted(texts)(low).tolist() == [low.count(x) for x in sorted(texts)]
+    assert Counted([])("a").tolist() == []
+
+
+def test_hybrid_asks_a_text_once_for_all_terms():
+    class Once(str):
+        def count(self, *_):
+            raise AssertionError("a pass for one term")
+
+    row = {"low": "bolt size", "caps": ["Bolt Size"], "ngrams": ["bolt size"], "proper": ["Bolt"], "terms": ["bolt", "size"], "table_intent": True, "visual_intent": False, "ocr_intent": False}
+    got = Hybrid([row])(Once("a bolt of bolt size"), {"section": "Bolt", "kind": "table"})
+    assert got.tolist() == [1.0]
