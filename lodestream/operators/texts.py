@@ -13,7 +13,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 
 from ..functions import protected
 from ..functions.slices import sliced
-from ..session import materialise
+from ..session import materialise, scratch_path
 from .search import SLICE
 
 def lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -77,25 +77,32 @@ def chunks(docs: DataFrame, *, key: str = "doc_id", text: str = "text", keep: tu
 def index_chunks(rows: DataFrame, path: str, *, key: str = "doc_id", buckets: int = 64) -> DataFrame:
     """The chunk table at ``path`` after ``rows``, all chunks of some texts: they replace what the table held of those texts.
 
-    The table is partitioned by a hash of the key, and only partitions that hold a text of ``rows`` are read and written. What they will hold is written to
-    the scratch folder first, so a run that is lost can be repeated.
+    The table is partitioned by a hash of the key, and only partitions that hold a text of ``rows`` are read and written. Their old and new rows meet in one
+    shuffle by that hash. What they will hold is written to the scratch folder first, so a run that is lost can be repeated; where there is no table yet, the rows
+    are written to it at once.
     """
     spark = rows.sparkSession
-    new = materialise(rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")), "chunks-new")
-    touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # buckets at most
-    if not touched:
-        return spark.read.schema(new.schema).parquet(path)
-    names = [c for c in new.columns if c != "bucket"]
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    out = lambda df: df.write.partitionBy("bucket").option("compression", "zstd")
     try:
-        old = spark.read.schema(new.schema).parquet(path).filter(F.col("bucket").isin(touched))
-        kept = old.join(new.select(key).distinct().hint("merge"), key, "left_anti")
-        both = materialise(kept.select(*names, "bucket").unionByName(new), "chunks-merged")
+        table = spark.read.schema(rows.schema).parquet(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        both = new
-    both.repartition("bucket").write.partitionBy("bucket").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
-    return spark.read.schema(new.schema).parquet(path)
+        out(rows.repartition("bucket")).parquet(path)
+        return spark.read.schema(rows.schema).parquet(path)
+    new = materialise(rows, "chunks-new")
+    touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # buckets at most
+    if not touched:
+        return table
+    sides = table.filter(F.col("bucket").isin(touched)).withColumn("_new", F.lit(False)).unionByName(new.withColumn("_new", F.lit(True)))
+    # the window's groups lie inside the partitions of the shuffle
+    newest = F.max("_new").over(W.partitionBy("bucket", key))
+    both = sides.repartition("bucket").withColumn("_newest", newest).filter(F.col("_new") == F.col("_newest")).drop("_new", "_newest")
+    merged = scratch_path(spark, "chunks-merged")
+    out(both).parquet(merged)
+    out(spark.read.schema(rows.schema).parquet(merged)).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
 
 
 # Words that say nothing in a query, its words and capitalised phrases, and the words that tell what it is after.

@@ -285,3 +285,14 @@ def test_hybrid_asks_a_text_once_for_all_terms():
     row = {"low": "bolt size", "caps": ["Bolt Size"], "ngrams": ["bolt size"], "proper": ["Bolt"], "terms": ["bolt", "size"], "table_intent": True, "visual_intent": False, "ocr_intent": False}
     got = Hybrid([row])(Once("a bolt of bolt size"), {"section": "Bolt", "kind": "table"})
     assert got.tolist() == [1.0]
+
+
+def test_chunk_index_writes_a_first_table_once_and_shuffles_old_rows_once(spark, tmp_path, monkeypatch):
+    path, scratch = f"file://{tmp_path}/index", tmp_path / "scratch"
+    monkeypatch.setattr("lodestream.session.shared_dir", lambda _: f"file://{scratch}")
+    rows = lambda n: T.chunks(spark.createDataFrame([(i, f"text {i} of {n}\n" * 100) for i in range(n)], "doc_id long, text string"))
+    T.index_chunks(rows(40), path, buckets=8)
+    assert not list(scratch.glob("chunks-*"))
+    index = T.index_chunks(rows(7), path, buckets=8)
+    assert list(scratch.glob("chunks-merged-*/bucket=*"))  # in the table's own layout, so that it isn't dealt out again
+    assert {(r["doc_id"], r["text"].split("\n")[0]) for r in index.collect()} == {(i, f"text {i} of {7 if i < 7 else 40}") for i in range(40)}
