@@ -5,7 +5,9 @@ import collections
 import gzip
 import hashlib
 import re
+import time
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -467,6 +469,27 @@ def test_repeats_of_repeated_rows_and_nothing(spark):
     assert repeats.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_texts_without_repeats_do_not_move(spark, tmp_path):
+    """op7 at 6 GB: its shuffle files held every text and every step's rows at once."""
+    rng = np.random.default_rng(7)
+    say = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzäöü"), n))
+    passage = say(5000)
+    rows = [(i, say(20_000)) for i in range(40)] + [(200 + i, say(90) + passage) for i in range(3)] + [(300, twin := say(2000)), (301, twin), (302, ""), (303, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {f: f.stat().st_size for d in dirs for f in Path(d).rglob("shuffle_*.data")}
+    before = files()
+    out = repeats.remove_repeats(docs, keep_bytes=False)
+    out.write.parquet(f"{tmp_path}/out")
+    moved, until = lambda: sum(n for f, n in files().items() if f not in before), time.time() + 20
+    while moved() > 200_000 and time.time() < until:  # files go a moment after their step
+        time.sleep(0.5)
+    assert moved() < 200_000 < sum(len(t or "") for _, t in rows) / 4
+    assert by_id(spark.read.parquet(f"{tmp_path}/out"), "n_bytes", "n_removed", "n_spans", "kept_sha256") == removed(rows)
+    assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in repeats.remove_repeats(docs).select("kept", "kept_sha256").collect())
+
+
 def all_repeats(rows, length=200):
     """Each string of ``length`` bytes that starts at two places at least, with its places."""
     seen = collections.defaultdict(set)
